@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidentia.llm import decontaminate, html_extract, language_id, line_dedup, packing, quality_classifier
-from evidentia.llm._shared import fold, table
+from evidentia.llm import decontaminate, html_extract, language_id, line_dedup, packing, quality_classifier, quality_rules, sharding
+from evidentia.llm._shared import fold, shared_dir, table
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +20,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended to a new store, compacted, and read back through its manifest."""
+    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    store.append(table(spark, sf_dir, "documents"))
+    store.compact()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_dedup.remove_boilerplate(docs, counts=True).select("doc_id", "text", "n_lines", "n_dropped")
@@ -38,9 +52,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_extraction, op3_packing, op7_line_dedup, op8_language_id, op9_quality_classifier, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_extraction, op3_packing, op4_quality_rules, op6_sharding, op7_line_dedup, op8_language_id, op9_quality_classifier, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
     "op7_line_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS lines FROM documents),
         pages AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
