@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import decontaminate, html_extract, language_id, line_dedup, packing, quality_classifier, quality_rules, sharding
+from evidentia.llm import decontaminate, html_extract, language_id, line_dedup, lm_score, packing, quality_classifier, quality_rules, sharding
 from evidentia.llm._shared import fold, shared_dir, table
 
 
@@ -24,6 +24,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, fold(docs["doc_id"], 7) == 2)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents appended to a new store, compacted, and read back through its manifest."""
     store = sharding.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
@@ -52,7 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_extraction, op3_packing, op4_quality_rules, op6_sharding, op7_line_dedup, op8_language_id, op9_quality_classifier, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_extraction, op3_packing, op4_quality_rules, op5_lm_scoring, op6_sharding, op7_line_dedup, op8_language_id, op9_quality_classifier, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
