@@ -5,9 +5,10 @@ powers of two of its binary form, largest first. A piece is a training sequence
 power of two, so it needs no padding, and no sequence crosses documents. Equal lengths share a bucket;
 ``write_buckets`` writes one folder a bucket, from which a trainer draws batches of one length.
 
-Tokens come from a public tokenizer file. As that tokenizer never joins text across white space, each
-distinct word is encoded once and looked up afterwards; the tables of known words are bounded and start
-anew when full.
+Tokens come from a public tokenizer file. That tokenizer splits a text into pieces before it merges bytes, so
+in texts of plain characters each distinct piece is encoded once and looked up afterwards; the table of known
+pieces is bounded and starts anew when full. Words with other characters
+are encoded as they are.
 
 Defined cases: a null text is the empty text and gives one piece, the end token. Repeated rows are packed
 each for itself. An empty table gives no rows. A null ``doc_id`` stays null. Other columns are ignored.
@@ -27,10 +28,11 @@ from evidentia.llm._shared import small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
-#: Words of printable ASCII and Latin-1 letters: their case folding and normal form are plain.
-_PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+#: Beyond white space, printable ASCII and Latin-1 letters: only of those are case folding and normal form plain.
+_OTHER = re.compile("[^\\x09-\\x0d\\x20-\\x7eÀ-ÖØ-öø-ÿ]").search
 #: The tokenizer file's own split pattern, narrowed to those characters.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+").findall
+_SPACE = re.compile("[\\x09-\\x0d ]+").split
 _END_OF_WORD = "</w>"
 
 
@@ -40,8 +42,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """Token ids of texts as little-endian 32-bit bytes, a word at a time."""
+class PieceEncoder:
+    """Token ids of texts as little-endian 32-bit bytes, by the pieces into which the tokenizer splits a text."""
 
     def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
@@ -50,52 +52,40 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith(_END_OF_WORD)]] = True
-        self.limit, self.words, self.pieces = limit, {}, {}
+        self.limit, self.known = limit, {}
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces as one text; each ends with the only token of it that ends a word."""
         for at in range(0, len(pieces), 20_000):
             part = pieces[at : at + 20_000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
-                raise AssertionError("a piece of a word has not exactly one end")
+                raise AssertionError("a piece has not exactly one end")
             data, begin = ids.tobytes(), 0
             for piece, end in zip(part, (cuts * 4).tolist(), strict=True):
-                self.pieces[piece] = data[begin:end]
+                self.known[piece] = data[begin:end]
                 begin = end
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) > self.limit:
-            self.words.clear()
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        plain, other = {}, []
-        for word in words:
-            if _PLAIN(word) and b"<|" not in word:
-                plain[word] = _PIECES(word.decode().lower())
-            else:
-                other.append(word)
-        self._learn_pieces(list({p for pieces in plain.values() for p in pieces if p not in self.pieces}))
-        known = self.pieces
-        for word, pieces in plain.items():
-            self.words[word] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
-        for word in other:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            self.words[word] = np.array(ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [(text or "").encode().split() for text in texts]
-        missing = {w for words in split for w in words}
-        if len(self.words) > self.limit:
-            self.words.clear()
-        missing.difference_update(self.words)
-        self._learn(missing)
-        for words in split:
-            if all(map(self.words.__contains__, words)):
-                yield b"".join(map(self.words.__getitem__, words))
-            else:  # the table was emptied meanwhile
-                self._learn(set(words) - self.words.keys())
-                yield b"".join(map(self.words.__getitem__, words))
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _pieces(self, text: str) -> list[str]:
+        """Keys of a text; one that begins with a space is a word with other characters, to encode as it is."""
+        if not _OTHER(text):
+            return _PIECES(text.lower())
+        return [p for w in _SPACE(text) if w for p in ([" " + w] if _OTHER(w) else _PIECES(w.lower()))]
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        split: list[list[str] | str] = [text if "<|" in text else self._pieces(text) for text in ((t or "") for t in texts)]
+        if len(self.known) > self.limit:
+            self.known.clear()
+        missing = {p for pieces in split if isinstance(pieces, list) for p in pieces}
+        missing.difference_update(self.known)
+        self._learn([p for p in missing if p[0] != " "])
+        self.known.update((p, self._whole(p)) for p in missing if p[0] == " ")
+        for pieces in split:
+            yield b"".join(map(self.known.__getitem__, pieces)) if isinstance(pieces, list) else self._whole(pieces)
 
 
 def lengths(tokens: int, max_len: int = 4096) -> list[int]:
@@ -117,7 +107,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = 4096, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, count = WordEncoder(path), TaskContext.get().partitionId() << 33
+        encoder, count = PieceEncoder(path), TaskContext.get().partitionId() << 33
         for batch in small_batches(batches, "text"):
             out, own, kept = [[] for _ in range(5)], [], []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
