@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import decontaminate, line_dedup, packing, quality_classifier
+from evidentia.llm import decontaminate, line_dedup, ngram_join, packing, quality_classifier
 from evidentia.llm._shared import fold, settle, table
 
 #: The quality classifier and the packing of tokens are no SQL.
@@ -22,6 +22,11 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.with_length(line_dedup.remove_boilerplate(docs))
 
 
+def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a similarity of 0.8, one stays."""
+    return ngram_join.keep_one(docs)
+
+
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -32,12 +37,12 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, with_ids=True)
 
 
-STAGES = [("quality classifier", quality_stage), ("line dedup", lines_stage), ("benchmark decontamination", benchmark_stage), ("packing", packing_stage)]
+STAGES = [("quality classifier", quality_stage), ("line dedup", lines_stage), ("n-gram Jaccard join", copies_stage), ("benchmark decontamination", benchmark_stage), ("packing", packing_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
     return STAGES[-1][1](spark, docs, sf_dir)
