@@ -226,11 +226,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tup
         yield done()
 
 
-def score(docs: DataFrame, held_out: Column, block_bytes: int = 24 << 20, context_bits: int = 52, m2: float = 5000.0, m3: float = 10.0) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, context_bits: int = 52, m2: float = 5000.0, m3: float = 10.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], held_out.alias("held_out"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / block_bytes))
+    shards = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / shard_bytes))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, _, texts, held in _blocks(batches, block_bytes):
