@@ -148,5 +148,5 @@ def confirmed(boxes: DataFrame, results: DataFrame, id_: str = "id") -> DataFram
     A box without a class, or UNKNOWN, is never tried; a label that differs is kept as a disagreement.
     """
     tried = boxes.filter(F.coalesce(F.col("cls"), F.lit(UNKNOWN)) != UNKNOWN).select(id_)
-    best = results.filter("ok").join(tried, id_, "left_semi").groupBy(id_).agg(F.min_by(F.struct("decoder", "label"), F.struct("rank", "decoder")).alias("b"))
+    best = results.filter("ok").join(tried, id_, "left_semi").groupBy(id_).agg(F.min(F.struct("rank", "decoder", "label")).alias("b"))
     return boxes.join(best, id_, "left").select(*boxes.columns, F.col("b.decoder").alias("decoder"), F.coalesce("b.label", "cls").alias("label"), (F.col("b.label") != F.col("cls")).alias("disagrees"))

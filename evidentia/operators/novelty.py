@@ -29,10 +29,15 @@ def similar(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     return met.withColumn("place", place).filter(F.col("place") <= k)
 
 
+def _exploded(rows: DataFrame, text: str, n: int, *keys: str) -> DataFrame:
+    """keys, gram: the words are a column of their own, so that they are found once a row and not once a gram."""
+    return rows.select(*keys, words(F.col(text)).alias("_w")).select(*keys, F.explode(grams(F.col("_w"), n)).alias("gram"))
+
+
 def containment(docs: DataFrame, id_: str, text: str, corpus: DataFrame, corpus_text: str, n: int = 3) -> DataFrame:
     """id, grams, seen, contained: the share of a document's word grams that the corpus has."""
-    own = docs.select(F.col(id_).alias("id"), F.explode(grams(words(F.col(text)), n)).alias("gram"))
-    known = corpus.select(F.explode(grams(words(F.col(corpus_text)), n)).alias("gram")).distinct()
+    own = _exploded(docs.withColumn("id", F.col(id_)), text, n, "id")
+    known = _exploded(corpus, corpus_text, n).distinct()
     total = own.groupBy("id").agg(F.count(F.lit(1)).alias("grams"))
     seen = own.join(known, "gram", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("seen"))
     return total.join(seen, "id", "left").select("id", "grams", F.coalesce("seen", F.lit(0)).alias("seen"), (F.coalesce("seen", F.lit(0)) / F.col("grams")).alias("contained"))
@@ -46,8 +51,8 @@ def sentences(docs: DataFrame, id_: str, text: str) -> DataFrame:
 
 def new_sentences(docs: DataFrame, id_: str, text: str, corpus: DataFrame, corpus_text: str, n: int = 3, tau: float = 0.5) -> DataFrame:
     """id, idx, grams, fresh, score, novel: the share of a sentence's grams that neither the corpus nor an earlier sentence has."""
-    own = sentences(docs, id_, text).select("id", "idx", F.explode(grams(words(F.col("sentence")), n)).alias("gram"))
-    known = corpus.select(F.explode(grams(words(F.col(corpus_text)), n)).alias("gram")).distinct()
+    own = _exploded(sentences(docs, id_, text), "sentence", n, "id", "idx")
+    known = _exploded(corpus, corpus_text, n).distinct()
     first = own.groupBy("id", "gram").agg(F.min("idx").alias("first"))
     fresh = own.join(first, ["id", "gram"]).filter(F.col("idx") == F.col("first")).join(known, "gram", "left_anti").groupBy("id", "idx").agg(F.count(F.lit(1)).alias("fresh"))
     total = own.groupBy("id", "idx").agg(F.count(F.lit(1)).alias("grams"))
