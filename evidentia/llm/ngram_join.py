@@ -7,9 +7,9 @@ threshold share a shingle among the first n - ceil(t n) + 1 of each, so classes
 shingles; buckets with the same members count once.
 
 Joining goes in two rounds. In the first, each bucket's hub (the member that stands in the most buckets)
-is joined with the others, which links most copies of a text in linear work. In the second, buckets whose
-members are not all connected are joined whole, without those pairs that are connected already, so no
-link between different components is lost. A join stores the ordered sets of one side in a prefix
+is joined with the others, which links most copies of a text in linear work. In the second, the other members
+of buckets that are not connected yet are joined with each other, those of one hub together, without pairs
+that are connected already, so no link between different components is lost. A join stores the ordered sets of one side in a prefix
 tree with one path for each common beginning; each set of the other side walks it, adds up the overlap along
 shared paths, and leaves a subtree as soon as the overlap so far and what can remain of either side stay
 below the threshold. Large groups are cut into pairs of chunks of bounded size; no group is held whole.
@@ -175,12 +175,17 @@ def buckets(sets: DataFrame, codes, num: int, den: int) -> DataFrame:
             classes.append(np.frombuffer(data, "<i8", m, 16 + 8 * n)[at])
             sizes.append(np.frombuffer(data, "<i8", m, 16 + 8 * n + 8 * m)[at])
         key, cls, n = np.concatenate(keys), np.concatenate(classes), np.concatenate(sizes)
-        order = np.lexsort((cls, key))
+        order = np.lexsort((cls, n, key))
         key, cls, n = key[order], cls[order], n[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
         key, cls, n = key[new], cls[new], n[new]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        # By size, a member that is too far from both neighbours has no partner in the bucket.
+        near = np.zeros(len(key) + 1, bool)
+        near[1:-1] = (key[1:] == key[:-1]) & (n[:-1] * den >= n[1:] * num)
+        met = near[1:] | near[:-1]
+        key, cls, n = key[met], cls[met], n[met]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(key)))
         # A bucket's name is made of its members, so equal buckets have equal names, here and in other shards.
         mixed = (cls.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) * _MIX
@@ -327,10 +332,11 @@ def classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100),
     links = _join(spokes.unionByName(centres), sets, codes, num, den, "links")
     labels = settle(components(links), "labels")
 
-    # Second round: buckets that are not connected yet.
-    labelled = members.join(labels, "cls", "left").select("bucket", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
-    work = settle(labelled.join(mixed, "bucket", "left_semi"), "mixed")
+    # Second round: what the buckets of one hub hold besides it, where it is not connected yet.
+    labelled = members.filter("size > 2").join(labels, "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("comp"))
+    besides = labelled.join(hubs.select("bucket", "hub"), "bucket").filter("cls <> hub")
+    split = besides.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
+    work = settle(besides.join(split, "bucket", "left_semi").select(F.col("hub").alias("bucket"), "cls", "comp").distinct(), "work")
     largest = work.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.sum("c").alias("all"), F.max("c").alias("own"))
     sized = largest.select("bucket", "main", F.ceil(F.col("all") / chunk).cast("int").alias("parts"), F.greatest(F.ceil((F.col("all") - F.col("own")) / chunk), F.lit(1)).cast("int").alias("rest"))
     cut = work.join(sized, "bucket").withColumns({"p": F.pmod(F.xxhash64("cls"), F.col("parts")), "q": F.pmod(F.xxhash64("cls", F.lit(1)), F.col("rest"))})
