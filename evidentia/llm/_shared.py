@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -67,3 +67,16 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, max_chars: int =
             total += size
         if begin < len(sizes):
             yield batch.slice(begin)
+
+
+def filter_texts(docs: DataFrame, keep: Callable[[list[str | None]], Sequence[bool]]) -> DataFrame:
+    """The rows of ``docs``, with all their columns whatever their names, whose text ``keep`` wants."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{names.index('text')}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, text):
+            yield batch.filter(pa.array(keep(batch.column(batch.schema.get_field_index(text)).to_pylist()), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

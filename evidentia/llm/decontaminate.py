@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm._shared import small_batches
+from evidentia.llm._shared import filter_texts, small_batches
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -221,14 +221,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, b
     """The rows of ``docs``, with all their columns, in which no window of the benchmark occurs."""
     sc = docs.sparkSession.sparkContext
 
-    def keeping(index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in small_batches(batches, "text"):
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                yield batch.filter(pa.array([not spans for _, spans, _ in _scan(index.value, texts)], pa.bool_()))
-
-        return run
+    def clean_of(index):
+        return lambda texts: [not spans for _, spans, _ in _scan(index.value, texts)]
 
     for index in blocks(benchmark, window, k, block_words):
-        docs = docs.mapInArrow(keeping(sc.broadcast(index)), docs.schema)
+        docs = filter_texts(docs, clean_of(sc.broadcast(index)))
     return docs

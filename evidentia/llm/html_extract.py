@@ -4,10 +4,9 @@ Markup is read in one pass. Each block element is a line; scripts, styles, comme
 menus, headers, footers, sidebars, notices, adverts, forms or reader comments, by tag, role, class or id,
 give empty lines, and so do the borders of containers. Over the lines, text lengths (without link text) are
 summed in sliding windows: the main text begins where the sum surges above a threshold and ends where the
-sum dives to nothing. Lines between a surge and its dive are kept, and the edges of such a stretch are
-moved out to the border of the container in which it stands, so that a heading or a short paragraph at its
-edge stays. Where the page names its article or main element, only lines in it are looked at and all of
-them stand between surge and dive.
+sum dives to nothing. The edges of such stretches are then moved out to the borders of the innermost container
+that holds nearly all of their text, so that a heading or a short paragraph in it stays. Where the page
+names its article or main element, only lines in it are looked at and all of them are kept.
 
 Defined cases: null and empty pages give empty texts; unclosed or cut markup ends where its parent or the page ends;
 repeated rows are each extracted; other columns are ignored; an empty table gives no rows.
@@ -72,16 +71,16 @@ def _furniture(attrs: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Lines in page order: text, length without link text, whether in an article or main element.
+def lines_of(page: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
+    """Lines in page order: text, length without link text, whether in an article or main element, containers from outside in.
 
     An empty text marks a border between containers or a piece of furniture.
     """
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, int]] = []
+    out: list[tuple[str, int, bool, tuple[int, ...]]] = []
+    stack: list[tuple[str, int, tuple[int, ...]]] = []
     parts: list[str] = []
-    links = pos = 0
-    flags = 0
+    links = pos = count = 0
+    flags, path = 0, (0,)
     end = len(page)
 
     def flush() -> None:
@@ -89,18 +88,18 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, max(len(text) - links, 0), bool(flags & ARTICLE)))
+                out.append((text, max(len(text) - links, 0), bool(flags & ARTICLE), path))
             parts.clear()
         links = 0
 
     def border() -> None:
         if out and out[-1][0]:
-            out.append(("", 0, False))
+            out.append(("", 0, False, ()))
 
     def shut(depth: int) -> None:
-        nonlocal flags
+        nonlocal flags, path
         del stack[depth:]
-        flags = stack[-1][1] if stack else 0
+        flags, path = stack[-1][1:] if stack else (0, (0,))
 
     while pos < end:
         m = _TAG.search(page, pos)
@@ -126,11 +125,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if tag in _BLOCK:
                 if not flags & SKIP:
                     flush()
+                skipped = flags & SKIP
                 if depth >= 0:
                     shut(depth)
-                if tag in _CONTAINER:
+                if tag in _CONTAINER and not skipped:
                     border()
-            elif depth >= 0 and not any(t in _CONTAINER for t, _ in stack[depth + 1 :]):
+            elif depth >= 0 and not any(t in _CONTAINER for t, _, _ in stack[depth + 1 :]):
                 shut(depth)
             continue
         if tag in _RAW:
@@ -155,13 +155,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if tag in _DROP or (tag == "header" and not flags & ARTICLE) or (attrs and tag not in ("html", "body", "article", "main") and _furniture(attrs)):
             new |= SKIP
         if tag == "body":
-            new = 0
+            new, path = 0, (0,)
             stack.clear()
-        if tag in _CONTAINER:
-            border()
         if tag == "a" and stack and stack[-1][0] == "a":
             shut(len(stack) - 1)
-        stack.append((tag, new))
+        if tag in _CONTAINER and not new & SKIP:
+            border()
+            count += 1
+            path = (*path, count)
+        stack.append((tag, new, path))
         flags = new
     if not flags & SKIP:
         flush()
@@ -171,27 +173,33 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
     """The main text: blocks in page order, joined by a line break."""
     lines = lines_of(page or "")
-    if any(inside and text for text, _, inside in lines):
-        return "\n".join(text for text, _, inside in lines if inside and text)
-    sizes = [size for _, size, _ in lines]
+    if any(inside and text for text, _, inside, _ in lines):
+        return "\n".join(text for text, _, inside, _ in lines if inside and text)
+    sizes = [size for _, size, _, _ in lines]
     sums = [sum(sizes[i : i + window]) for i in range(len(lines))]
     kept, i = [], 0
     while i < len(lines):
         if sums[i] < surge or not lines[i][0]:
             i += 1
             continue
-        begin = i
-        while begin and lines[begin - 1][0]:
-            begin -= 1
         stop = i
         while stop < len(lines) and lines[stop][0]:
             stop += 1
-        kept.append((begin, stop, sum(sizes[begin:stop])))
+        kept.append((i, stop, sum(sizes[i:stop])))
         i = stop
-    most = max((n for _, _, n in kept), default=0)
     if not kept:
-        return "\n".join(text for text, size, _ in lines if size)
-    return "\n".join(text for begin, stop, n in kept if 8 * n >= most for text, _, _ in lines[begin:stop])
+        return "\n".join(text for text, size, _, _ in lines if size)
+    most = max(n for _, _, n in kept)
+    held: dict[int, int] = {}
+    depth: dict[int, int] = {}
+    for begin, stop, n in kept:
+        if 8 * n >= most:
+            for _, size, _, path in lines[begin:stop]:
+                for d, container in enumerate(path):
+                    held[container] = held.get(container, 0) + size
+                    depth[container] = d
+    inner = max((c for c, n in held.items() if 10 * n >= 8 * held[0]), key=lambda c: (depth[c], -c))
+    return "\n".join(text for text, _, _, path in lines if text and inner in path)
 
 
 def extract(pages: DataFrame, window: int = 3, surge: int = 60) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm._grams import buckets, codes
-from evidentia.llm._shared import small_batches
+from evidentia.llm._shared import filter_texts, small_batches
 
 _SLICE = 1 << 20
 
@@ -128,10 +128,4 @@ def score(docs: DataFrame, model: Model, held_out: Column, threshold: float = 0.
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score at least the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array(shared.value.scores(texts) >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filter_texts(docs, lambda texts: shared.value.scores(texts) >= threshold)
