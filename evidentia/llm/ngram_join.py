@@ -37,6 +37,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 48
 SKETCH = 1 << 22
 _PARTS = 32
+SLOTS = 1 << 25
 
 
 # Sets
@@ -285,10 +286,32 @@ def _links(num: int, den: int, codes):
     return run
 
 
-def _join(tasks: DataFrame, sets: DataFrame, codes, num: int, den: int, tag: str) -> DataFrame:
+def _needed(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """cls, keys of the classes in ``members``, once each.
+
+    A bit map of fixed size, broadcast, first leaves out nearly all other classes where they are read, so that
+    their keys are not moved; the exact join follows.
+    """
+    wanted = members.select("cls").distinct()
+    slot = F.pmod("cls", F.lit(SLOTS)) + 1  # bit maps count from 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()
+    bits = np.zeros(SLOTS, bool)
+    for b, m in maps:
+        own = np.unpackbits(np.frombuffer(bytes(m), np.uint8), bitorder="little")
+        bits[(b - 1) * 32_768 : (b - 1) * 32_768 + len(own)] = own
+    shared = sets.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.mod(np.array(batch.column(0).to_pylist(), np.int64), SLOTS)
+            yield batch.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    near = sets.select("cls", "keys").mapInArrow(run, "cls long, keys binary")
+    return near.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("keys").alias("keys"))
+
+
+def _join(tasks: DataFrame, keys: DataFrame, codes, num: int, den: int, tag: str) -> DataFrame:
     """Links a, b found in ``tasks`` (task, cls, comp, side): each task is one bounded group."""
-    needed = tasks.select("cls").distinct()
-    keys = sets.join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("keys").alias("keys"))
     return settle(tasks.join(keys, "cls").groupBy("task").applyInArrow(_links(num, den, codes), "a long, b long"), tag)
 
 
@@ -324,12 +347,14 @@ def classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100),
     # First round: hubs.
     weight = members.groupBy("cls").agg(F.sum(F.col("size") - 1).alias("weight"))
     hubs = members.join(weight, "cls").groupBy("bucket").agg(F.max(F.struct("weight", F.col("cls").alias("hub"), F.col("n").alias("hub_n"))).alias("h")).select("bucket", "h.hub", "h.hub_n")
+    keys = settle(_needed(sets, members), "keys")
+    drop(every)
     stars = settle(members.join(hubs, "bucket").filter((F.col("cls") != F.col("hub")) & near(F.col("n"), F.col("hub_n"))).select("hub", "cls").distinct(), "stars")
     counts = stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
     starred = stars.join(counts, "hub").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     spokes = starred.select(F.xxhash64("hub", "part").alias("task"), "cls", F.col("cls").alias("comp"), F.lit(1).alias("side"))
     centres = starred.select("hub", "part").distinct().select(F.xxhash64("hub", "part").alias("task"), F.col("hub").alias("cls"), F.col("hub").alias("comp"), F.lit(0).alias("side"))
-    links = _join(spokes.unionByName(centres), sets, codes, num, den, "links")
+    links = _join(spokes.unionByName(centres), keys, codes, num, den, "links")
     labels = settle(components(links), "labels")
 
     # Second round: what the buckets of one hub hold besides it, where it is not connected yet.
@@ -344,10 +369,9 @@ def classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100),
     stored = cut.select("bucket", "cls", "comp", F.col("p").cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("q"), F.lit(1).alias("side"))
     walking = cut.filter(F.col("comp") != F.col("main")).select("bucket", "cls", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.col("q").cast("int").alias("q"), F.lit(0).alias("side"))
     tasks = stored.unionByName(walking).select(F.xxhash64("bucket", "p", "q").alias("task"), "cls", "comp", "side")
-    more = _join(tasks, sets, codes, num, den, "links")
+    more = _join(tasks, keys, codes, num, den, "links")
     if not more.isEmpty():
         labels = settle(components(links.unionByName(more)), "labels")
-    drop(every)
     return rows, labels
 
 
