@@ -182,6 +182,7 @@ class Block:
         self.pairs, at2 = np.unique(pair[self.pair_here], return_inverse=True)
         self.at2 = np.full(len(pair), -1, np.int64)
         self.at2[self.pair_here] = at2
+        del pair, at2
         self.ends = np.flatnonzero(self.token)  # places of tokens, in order
         key = (self.at2[self.ends - 2].astype(np.uint64) << np.uint64(32)) | (own[self.ends] >> np.uint64(32))
         self.entries, self.at3 = np.unique(key, return_inverse=True)
@@ -226,7 +227,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tup
         yield done()
 
 
-def score(docs: DataFrame, held_out: Column, block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, context_bits: int = 52, m2: float = 5000.0, m3: float = 10.0) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, block_bytes: int = 5 << 20, shard_bytes: int = 6 << 20, context_bits: int = 52, m2: float = 5000.0, m3: float = 10.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], held_out.alias("held_out"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -269,8 +270,10 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 8 << 20, shard_b
         del keys, weights, of
         chance = threes / (twos[(entries >> np.uint64(32)).astype(np.int64)] + m3)
         trie = Trie(contexts, count_code(twos), entries, chance_code(chance), context_bits)
+        del contexts, twos, entries, threes, chance
         out = []
-        for a in asked:
+        while asked:
+            a = asked.pop(0)
             two, three = trie.codes(a[2], a[4], a[5])
             out.append(pack(ones[np.searchsorted(words, a[0])], two, three))
         rows = len(out)
