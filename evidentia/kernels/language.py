@@ -1,0 +1,143 @@
+"""Text kernels with exact character spans: sentences, casing, glossaries, small masked language models."""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter, defaultdict
+from difflib import SequenceMatcher
+
+# Abbreviations after which a full stop ends no sentence.
+ABBREVIATIONS = frozenset("mr mrs ms dr prof st no vs etc e.g i.e fig eq sec approx dept est inc ltd co corp gen col lt sgt capt rev hon jan feb mar apr jun jul aug sep sept oct nov dec".split())
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """Spans of sentences: they end after . ! ? before space, but not after an abbreviation, an initial, or before lower case."""
+    out, begin = [], 0
+    for m in re.finditer(r"[.!?]+[\"')\]]*(?=\s|$)|\n+", text):
+        if m[0][0] == ".":
+            word = re.search(r"([\w.]+)$", text[: m.start()])
+            rest = text[m.end() :].lstrip()
+            if word and (word[1].lower() in ABBREVIATIONS or re.fullmatch(r"[A-Z]", word[1])) or (rest[:1].islower() and "\n" not in text[m.end() : len(text) - len(rest)]):
+                continue
+        end = m.start() if m[0][0] == "\n" else m.end()
+        out.append((begin, end))
+        begin = m.end()
+    out.append((begin, len(text)))
+    trimmed = []
+    for a, b in out:
+        s = text[a:b]
+        a, b = a + len(s) - len(s.lstrip()), b - (len(s) - len(s.rstrip()))
+        if b > a:
+            trimmed.append((a, b))
+    return trimmed
+
+
+def detokenize(tokens: list[str]) -> str:
+    return re.sub(r"([(\[«]) ", r"\1", re.sub(r" ([,.;:!?)\]»%])", r"\1", " ".join(tokens)))
+
+
+def truecase(text: str, sources: list[str]) -> str:
+    """Each word in the casing that the sources use most, not counting the beginnings of sentences."""
+    votes: dict[str, Counter] = defaultdict(Counter)
+    for s in sources:
+        for a, b in sentences(s):
+            for w in re.findall(r"\w+", s[a:b])[1:]:
+                votes[w.lower()][w] += 1
+    pick = lambda m: votes[m[0].lower()].most_common(1)[0][0] if m[0].lower() in votes else m[0]
+    out = re.sub(r"\w+", pick, text)
+    return out[:1].upper() + out[1:]
+
+
+def glossary_check(text: str, glossary: dict[str, list[str]]) -> list[dict]:
+    """Variants that stand where the glossary wants another term, with a proposal in the same casing, in order."""
+    out = []
+    for term, variants in glossary.items():
+        for v in variants:
+            for m in re.finditer(rf"(?<!\w){re.escape(v)}(?!\w)", text, re.I):
+                case = term.upper() if m[0].isupper() and len(m[0]) > 1 else term[:1].upper() + term[1:] if m[0][:1].isupper() else term
+                out.append({"start": m.start(), "end": m.end(), "found": m[0], "proposal": case})
+    return sorted(out, key=lambda x: (x["start"], -x["end"]))
+
+
+def apply_edits(text: str, edits: list[dict]) -> str:
+    """From right to left, so that positions hold; of edits that overlap the first stays."""
+    free, kept = 0, []
+    for e in sorted(edits, key=lambda x: x["start"]):
+        if e["start"] >= free:
+            kept.append(e)
+            free = e["end"]
+    for e in reversed(kept):
+        text = text[: e["start"]] + e["proposal"] + text[e["end"] :]
+    return text
+
+
+def closest_passage(needle: str, text: str) -> tuple[float, int, int]:
+    """Likeness and span of the run of words most like another text."""
+    words, n = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)], len(needle.split())
+    best = (0.0, 0, 0)
+    for i in range(max(len(words) - n + 1, 1)):
+        if not words:
+            break
+        a, b = words[i][0], words[min(i + n, len(words)) - 1][1]
+        r = SequenceMatcher(None, needle.lower(), text[a:b].lower(), autojunk=False).ratio()
+        best = max(best, (r, a, b), key=lambda x: (x[0], -x[1]))
+    return best
+
+
+def last_json(text: str):
+    """The last JSON object in a text that parses, else None."""
+    import json
+
+    for begin in range(len(text) - 1, -1, -1):
+        if text[begin] == "{":
+            try:
+                return json.JSONDecoder().raw_decode(text[begin:])[0]
+            except ValueError:
+                continue
+    return None
+
+
+class MaskedModel:
+    """Words from both neighbours: counts with back-off from two sides to one to none."""
+
+    def __init__(self, sequences: list[list[str]]):
+        self.both, self.left, self.right, self.alone = (defaultdict(Counter) for _ in range(4))
+        for s in sequences:
+            padded = ["<s>", *s, "</s>"]
+            for a, w, b in zip(padded, padded[1:], padded[2:], strict=False):
+                self.both[a, b][w] += 1
+                self.left[a][w] += 1
+                self.right[b][w] += 1
+                self.alone[()][w] += 1
+        self.total = sum(self.alone[()].values())
+
+    def chance(self, a: str, w: str, b: str) -> float:
+        """A mixture of what the contexts say, each trusted by how often it was seen."""
+        p = (self.alone[()][w] + 1) / (self.total + len(self.alone[()]) + 1)
+        for seen in (self.left.get(a), self.right.get(b), self.both.get((a, b))):
+            if seen:
+                n = sum(seen.values())
+                p = (seen[w] + 2 * p) / (n + 2)
+        return p
+
+    def surprise(self, s: list[str]) -> list[float]:
+        """Bits of each word between its neighbours."""
+        padded = ["<s>", *s, "</s>"]
+        return [-math.log2(self.chance(a, w, b)) for a, w, b in zip(padded, padded[1:], padded[2:], strict=False)]
+
+    def fill(self, s: list[str | None]) -> tuple[list[str], list[int]]:
+        """Fill the gaps, the surest first; the words and the order in which gaps were filled."""
+        out, order = list(s), []
+        while gaps := [i for i, w in enumerate(out) if w is None]:
+            best = None
+            for i in gaps:
+                a, b = (out[i - 1] if i else "<s>"), (out[i + 1] if i + 1 < len(out) else "</s>")
+                pool = set(self.both.get((a, b), ())) or set(self.left.get(a, ())) or set(self.right.get(b, ())) or set(self.alone[()])
+                w = max(sorted(pool), key=lambda w, a=a, b=b: self.chance(a, w, b))
+                p = self.chance(a or "", w, b or "")
+                if best is None or p > best[0]:
+                    best = (p, i, w)
+            out[best[1]] = best[2]
+            order.append(best[1])
+        return out, order
