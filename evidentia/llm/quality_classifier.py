@@ -1,7 +1,8 @@
 """Quality classifier with supervised subword embeddings.
 
-Words and character n-grams (3 to 5 characters of a word with its borders) are hashed to 2**bits places,
-each with a learned vector. A document is the mean of the vectors of all its features, and a softmax over
+Words, pairs of words in a row and character n-grams (3 to 5 characters of a word with its borders) are hashed
+to 2**bits places, each with a learned vector; pairs of one word with itself share a place, so that repetition
+is learned as such. A document is the mean of the vectors of all its features, and a softmax over
 two classes stands on it; both are trained by stochastic gradient descent in numpy on a bounded sample of
 ``sample`` labelled documents, those of least hash. Since class scores are linear in the vectors, scoring
 needs one number for each place, the difference of its two class scores, and reads every text whole.
@@ -25,6 +26,7 @@ from evidentia.llm._grams import buckets, codes
 from evidentia.llm._shared import filter_texts, small_batches
 
 _SLICE = 1 << 20
+_TWICE = 0x5BD1E995
 
 
 def features(text: str | None, bits: int) -> Iterator[np.ndarray]:
@@ -33,7 +35,10 @@ def features(text: str | None, bits: int) -> Iterator[np.ndarray]:
     mask = (1 << bits) - 1
     for begin in range(0, len(words), 1 << 16):
         part = words[begin : begin + (1 << 16)]
-        yield np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) & mask for w in part], np.uint32)
+        own = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in part], np.uint32)
+        yield own & np.uint32(mask)
+        pair = (own[:-1] * np.uint32(0x9E3779B1)) ^ (own[1:] * np.uint32(0x85EBCA6B))
+        yield np.where(own[:-1] == own[1:], np.uint32(_TWICE & mask), (pair ^ (pair >> np.uint32(15))) & np.uint32(mask))
         points = codes(" " + " ".join(part) + " ")
         for at in range(0, len(points), _SLICE):
             piece = points[at : at + _SLICE + 4]
