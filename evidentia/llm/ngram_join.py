@@ -25,10 +25,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm._shared import drop, settle, small_batches
@@ -286,27 +287,32 @@ def _links(num: int, den: int, codes):
     return run
 
 
-def _needed(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """cls, keys of the classes in ``members``, once each.
+class Slots:
+    """A bit map of fixed size of numbers, broadcast: it tells all that are in a table, and few others."""
 
-    A bit map of fixed size, broadcast, first leaves out nearly all other classes where they are read, so that
-    their keys are not moved; the exact join follows.
-    """
-    wanted = members.select("cls").distinct()
-    slot = F.pmod("cls", F.lit(SLOTS)) + 1  # bit maps count from 1
-    maps = wanted.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()
-    bits = np.zeros(SLOTS, bool)
-    for b, m in maps:
-        own = np.unpackbits(np.frombuffer(bytes(m), np.uint8), bitorder="little")
-        bits[(b - 1) * 32_768 : (b - 1) * 32_768 + len(own)] = own
-    shared = sets.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    def __init__(self, rows: DataFrame, column: str):
+        slot = F.pmod(F.xxhash64(column), F.lit(SLOTS)) + 1  # bit maps count from 1
+        maps = rows.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()
+        bits = np.zeros(SLOTS // 8, np.uint8)
+        for b, m in maps:
+            bits[(b - 1) * 4096 : b * 4096] = np.frombuffer(bytes(m), np.uint8)
+        self.shared = rows.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.mod(np.array(batch.column(0).to_pylist(), np.int64), SLOTS)
-            yield batch.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+    def may_have(self, column: str) -> Column:
+        shared = self.shared
 
-    near = sets.select("cls", "keys").mapInArrow(run, "cls long, keys binary")
+        @F.pandas_udf("boolean")
+        def run(slot: pd.Series) -> pd.Series:
+            at = slot.to_numpy(np.int64)
+            return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+        return run(F.pmod(F.xxhash64(column), F.lit(SLOTS)))
+
+
+def _needed(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """cls, keys of the classes in ``members``, once each. Nearly all others are left out where they are read, so their keys are not moved."""
+    wanted = members.select("cls").distinct()
+    near = sets.select("cls", "keys").filter(Slots(wanted, "cls").may_have("cls"))
     return near.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("keys").alias("keys"))
 
 
@@ -398,4 +404,7 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("mark").alias("mark"))
     first = own.groupBy("root").agg(F.min(rank)["mark"].alias("first"))
     gone = settle(own.join(first, "root").filter("mark <> first").select(F.col("mark").alias(number)), "copies")
-    return numbered.join(gone, number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Rows that surely stay are not moved; only the others meet the list.
+    maybe = Slots(gone, number).may_have(number)
+    kept = numbered.filter(~maybe).unionByName(numbered.filter(maybe).join(gone, number, "left_anti"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
