@@ -423,4 +423,17 @@ ORACLE_SQL = {
         h AS (SELECT l_orderkey AS qid, l_linenumber AS key, (-l_quantity - 50)::DOUBLE AS level FROM li WHERE l_orderkey <= 20), m AS (SELECT qid, sum(-2.5 * ln(1 + pow((level + 110) / 6, 2) / 4)) AS missed FROM h GROUP BY 1),
         p AS (SELECT qid, place, count(*) AS shared, sum(-2.5 * ln(1 + pow((h.level - k.level) / 6, 2) / 4)) AS hit, sum(-2.5 * ln(1 + pow((h.level + 110) / 6, 2) / 4)) AS ins FROM h JOIN k USING (key) GROUP BY ALL)
         SELECT qid, place, shared, round(missed - ins + hit, 5) AS loglik FROM p JOIN m USING (qid)""",
+    "extracted_licence": rf"""
+        WITH g AS (SELECT doc_id, text, nullif(regexp_extract(text, '(?m)^(?:Licensed|Released) under (?:the )?([^\n.]+)', 1), '') AS got FROM documents),
+        w AS (SELECT *, CASE WHEN got IS NULL OR trim(got) = '' THEN 'empty' WHEN lower(trim(got, ' .' || chr(9))) IN ('-', 'n/a', 'na', 'nil', 'none', 'null', 'unknown') THEN 'null wording'
+            WHEN NOT contains(' ' || array_to_string({_WORDS.format(t='text')}, ' ') || ' ', ' ' || array_to_string({_WORDS.format(t='got')}, ' ') || ' ') THEN 'no support' END AS why FROM g)
+        SELECT doc_id, CASE WHEN why IS NULL THEN got END AS value, why IS NULL AS ok, why FROM w""",
+    "bearing_cells": f"""
+        WITH grid AS (SELECT i AS cell, 50 + (i // 20) * 0.1 AS lat, 5 + (i % 20) * 0.15 AS lon FROM range(400) AS r(i)), {_PLACE.format(k="s_suppkey", v="s_acctbal", t="supplier")},
+        b AS (SELECT id, lat AS la, lon AS lo, {_BEAR.format(a="lat", b="lon", c="51.03", d="6.02")} AS deg, id = 2 AS amb FROM p WHERE id <= 4),
+        o AS (SELECT cell, amb, {_BEAR.format(a="la", b="lo", c="lat", d="lon")} - deg + 180 AS x FROM grid, b), q AS (SELECT cell, amb, abs(x - 360 * floor(x / 360) - 180) AS off FROM o),
+        n AS (SELECT cell, CASE WHEN amb THEN (exp(-0.5 * pow(off / 5, 2)) + exp(-0.5 * pow((180 - off) / 5, 2))) / 2 ELSE exp(-0.5 * pow(off / 5, 2)) END / (5 * 2.5066282746310002) AS one FROM q),
+        l AS (SELECT cell, sum(ln(0.95 * one + 0.05 / 360)) AS s FROM n GROUP BY 1), e AS (SELECT cell, exp(s - max(s) OVER ()) AS v FROM l), m AS (SELECT cell, round(v / sum(v) OVER (), 9) AS mass FROM e),
+        d AS (SELECT mass, sum(mass) AS own FROM m GROUP BY 1), c AS (SELECT mass, own, sum(own) OVER (ORDER BY mass DESC) - own / 2 AS credible FROM d)
+        SELECT cell, round(m.mass, 6) AS mass, round(credible, 5) AS credible FROM m JOIN c ON c.mass = m.mass""",
 }
