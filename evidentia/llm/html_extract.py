@@ -42,17 +42,18 @@ _WITHOUT = frozenset("p li dt dd td th tr option".split())  # their end tags may
 
 #: Parts of class, id and role names by which page furniture is known.
 _FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs topbar masthead header footer sidebar side rail widget related recommended share sharing social newsletter subscribe subscription signup login search pagination pager toolbar copyright legal disclaimer comment comments commentlist disqus respond reply replies discussion complementary contentinfo navigation tags sitemap skip outbrain taboola".split()
+    "ad ads adsbygoogle adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs topbar masthead header footer sidebar side rail widget related recommended share sharing social newsletter subscribe subscription signup login search pagination pager toolbar copyright legal disclaimer comment comments commentlist disqus respond reply replies discussion complementary contentinfo navigation tags sitemap skip outbrain taboola".split()
 )
-#: Names that hold the content even if a part above stands beside them.
+#: A header named after the content stands over it: title and date.
 _CONTENT = frozenset("article content main post entry story body text".split())
+_ABOUT = frozenset("has no with without show hide is".split())
 _SPLIT = re.compile(r"[a-z]+(?![a-z])|[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 LINK, ARTICLE, SKIP = 1, 2, 4
 
 
-def _furniture(attrs: str) -> bool:
+def _furniture(attrs: str, heading: bool) -> bool:
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" and not value:
@@ -66,7 +67,8 @@ def _furniture(attrs: str) -> bool:
         elif name in ("class", "id", "role"):
             for word in value.split():
                 parts = _SPLIT.findall(_CAMEL.sub("-", word).lower())
-                if any(p in _FURNITURE for p in parts) and not (parts[-1] in _CONTENT and len(parts) > 1 and parts[0] not in ("ad", "ads", "advert", "comment", "comments", "sidebar", "footer")):
+                found = [p for p in parts if p in _FURNITURE]
+                if found and parts[0] not in _ABOUT and not (found == ["header"] and (heading or parts[0] in _CONTENT)):
                     return True
     return False
 
@@ -152,7 +154,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
             new |= ARTICLE
         if tag == "a":
             new |= LINK
-        if tag in _DROP or (tag == "header" and not flags & ARTICLE) or (attrs and tag not in ("html", "body", "article", "main") and _furniture(attrs)):
+        if tag in _DROP or (tag == "header" and not flags & ARTICLE) or (attrs and tag not in ("html", "body", "article", "main") and _furniture(attrs, tag[0] == "h" and tag[1:].isdigit())):
             new |= SKIP
         if tag == "body":
             new, path = 0, (0,)

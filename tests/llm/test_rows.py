@@ -58,6 +58,11 @@ def test_extraction(open_, close):
     assert html_extract.main_text(PAGE.format(open=open_, close=close, long=LONG)).split("\n") == WANT
 
 
+def test_names_of_furniture():
+    page = "<div class='wrap has-sidebar'><div class='post-header'><h1 class='header'>T</h1></div><p>{}</p><div class='menu-main'>M</div><div id='siteFooter'>F</div><div class='ad-content'>A</div><p class='shadow'>S</p></div>"
+    assert html_extract.main_text(page.format(LONG)) == f"T\n{LONG.strip()}\nS"
+
+
 def test_extraction_of_damage(spark):
     assert html_extract.main_text(None) == "" and html_extract.main_text("") == ""
     assert html_extract.main_text("<article><p>a &lt;b&gt; &am</p><p>cut <b>x</article><footer>no") == "a <b> &am\ncut x"
