@@ -196,11 +196,17 @@ class Block:
         three = np.bincount(self.at3[marks[self.ends]], minlength=len(self.entries))
         return one, two, three
 
-    def cuts(self, shards: int, context_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where the words and the contexts of each shard begin: shards are ranges of hashes."""
-        word = np.searchsorted(self.words >> np.uint64(40), np.array([-(-(s << 24) // shards) for s in range(shards + 1)], np.uint64))
-        pair = np.searchsorted(self.pairs, np.array([-(-(s << context_bits) // shards) for s in range(shards + 1)], np.uint64))
-        return word, pair
+    def cuts(self, shards: int, context_bits: int) -> Iterator[tuple[int, slice, slice]]:
+        """The shards that have any of these words and contexts, and where theirs stand: shards are ranges of hashes."""
+        upper = self.pairs >> np.uint64(context_bits - 32)
+        word, pair = (x * np.uint64(shards) >> np.uint64(32) for x in (self.words >> np.uint64(32), upper))
+        for s in np.union1d(word, pair):
+            yield int(s), slice(*np.searchsorted(word, [s, s + 1])), slice(*np.searchsorted(pair, [s, s + 1]))
+
+
+def shard_base(shard: int, shards: int, context_bits: int) -> int:
+    """The least context of a shard."""
+    return -(-(shard << 32) // shards) << (context_bits - 32)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, list, list, list]]:
@@ -237,20 +243,20 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 5 << 20, shard_b
         for name, _, texts, held in _blocks(batches, block_bytes):
             block = Block(texts, context_bits)
             one, two, three = block.counts(~np.array(held, bool))
-            word, pair = block.cuts(shards, context_bits)
-            entry = np.concatenate([[0], np.cumsum(block.children)])[pair]
+            entry = np.concatenate([[0], np.cumsum(block.children)])
             after = (block.entries & np.uint64(0xFFFFFFFF)).astype("<u4")
-            rows = []
-            for s in range(shards):
-                w, p, e = slice(word[s], word[s + 1]), slice(pair[s], pair[s + 1]), slice(entry[s], entry[s + 1])
-                base = -(-(s << context_bits) // shards)
-                rows.append(pack(block.words[w], one[w].astype("<u4"), ef_encode(block.pairs[p] - np.uint64(base), (1 << context_bits) // shards + 1), two[p].astype("<u4"), block.children[p].astype("<u4"), after[e], three[e].astype("<u4")))
-            yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([name] * shards, pa.int64()), pa.array(rows, pa.binary())], ["shard", "block", "data"])
+            own, rows = [], []
+            for s, w, p in block.cuts(shards, context_bits):
+                e = slice(entry[p.start], entry[p.stop])
+                base, end = (shard_base(s + i, shards, context_bits) for i in (0, 1))
+                own.append(s)
+                rows.append(pack(block.words[w], one[w].astype("<u4"), ef_encode(block.pairs[p] - np.uint64(base), end - base), two[p].astype("<u4"), block.children[p].astype("<u4"), after[e], three[e].astype("<u4")))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([name] * len(own), pa.int64()), pa.array(rows, pa.binary())], ["shard", "block", "data"])
 
     def answer(group: pa.Table) -> pa.Table:
         asked = []
         shard = group.column("shard")[0].as_py()
-        base = np.uint64(-(-(shard << context_bits) // shards))
+        base = np.uint64(shard_base(shard, shards, context_bits))
         for data in group.column("data").to_pylist():
             a = unpack(data)
             asked.append((np.frombuffer(a[0], "<u8"), np.frombuffer(a[1], "<u4"), ef_decode(a[2]) + base, np.frombuffer(a[3], "<u4"), np.frombuffer(a[4], "<u4"), np.frombuffer(a[5], "<u4"), np.frombuffer(a[6], "<u4")))
