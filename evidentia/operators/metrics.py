@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.operators.running import running
+
 
 def confusion(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     return rows.groupBy(F.col(truth).alias("truth"), F.col(guess).alias("guess")).agg(F.count(F.lit(1)).alias("n"))
@@ -43,16 +45,15 @@ def calibration_error(rows: DataFrame, confidence: str, right: Column, bins: int
 
 
 def _cumulative(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """By score: labels 1 and 0 at or above it. Scores are summed first, so a window runs over distinct ones only."""
+    """By distinct score: labels 1 and 0 at it, and at or above it."""
     at = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return at.select("score", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    return running(at, "score", {"tp": ("sum", "pos"), "fp": ("sum", "neg")}, desc=True)
 
 
 def average_precision(rows: DataFrame, score: str, label: str) -> DataFrame:
     """All-point interpolated average precision: the greatest precision at any lower score, weighted by recall gained."""
     c = _cumulative(rows, score, label).withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
-    best = c.withColumn("best", F.max("precision").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)))
+    best = running(c, "score", {"best": ("max", "precision")})
     return best.agg(F.sum("pos").alias("positives"), F.coalesce(F.sum(F.col("pos") * F.col("best")) / F.sum("pos"), F.lit(0.0)).alias("ap"))
 
 
@@ -76,7 +77,7 @@ def operating_point(rows: DataFrame, score: str, label: str, false_rate: float)
 def average_rank(rows: DataFrame, value: str, name: str, tiebreak: str | None = None) -> DataFrame:
     """Adds the rank of a value, ties sharing their mean rank. Ranks come from counts of distinct values."""
     counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = counts.withColumn("_r", F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) - (F.col("_n") - 1) / 2)
+    ranked = running(counts, "_v", {"_upto": ("sum", "_n")}).withColumn("_r", F.col("_upto") - (F.col("_n") - 1) / 2)
     return rows.join(ranked.select("_v", F.col("_r").alias(name)), rows[value] == ranked["_v"]).drop("_v")
 
 
@@ -92,7 +93,7 @@ def kendall_tau_b(rows: DataFrame, a: str, b: str) -> DataFrame:
     x, y = cells.alias("x"), cells.alias("y")
     sign = F.signum(F.col("x.a") - F.col("y.a")) * F.signum(F.col("x.b") - F.col("y.b"))
     weight = F.col("x.n") * F.col("y.n")
-    s = x.join(F.broadcast(y), (F.col("x.a") < F.col("y.a")) | ((F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")))).agg(F.sum(sign * weight).alias("s"))
+    s = x.join(y, (F.col("x.a") < F.col("y.a")) | ((F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")))).agg(F.sum(sign * weight).alias("s"))
     pairs = lambda d: F.sum(d * (d - 1) / 2)
     total = cells.agg(F.sum("n").alias("n"))
     ta = cells.groupBy("a").agg(F.sum("n").alias("n")).agg(pairs(F.col("n")).alias("ta"))
@@ -111,6 +112,6 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
 def disc_quantile(rows: DataFrame, value: str, q: float) -> DataFrame:
     """The least value with at least the share q at or below it: no interpolation."""
     at = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    up = at.withColumn("upto", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    up = running(at, "v", {"upto": ("sum", "n")})
     total = at.agg(F.sum("n").alias("all"))
     return up.join(F.broadcast(total)).filter(F.col("upto") >= q * F.col("all")).agg(F.min("v").alias("threshold"), F.max("all").alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.operators.running import running
+
 
 def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key; one pass of partial maxima, no sort of a key's rows."""
@@ -81,9 +83,7 @@ def coverage(rows: DataFrame, hit: Column, *keys: str) -> DataFrame:
 
 def unusual(rows: DataFrame, value: str, baseline: DataFrame, baseline_value: str) -> DataFrame:
     """Adds the share of the baseline at or under each value; no row is dropped."""
-    from pyspark.sql import Window
-
     at = baseline.groupBy(F.col(baseline_value).alias("v")).agg(F.count(F.lit(1)).alias("n")).unionByName(rows.select(F.col(value).alias("v"), F.lit(0).cast("long").alias("n")).distinct())
-    run = at.groupBy("v").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    run = running(at.groupBy("v").agg(F.sum("n").alias("n")), "v", {"upto": ("sum", "n")})
     total = baseline.agg(F.count(F.lit(1)).alias("_all"))
     return rows.join(run.select("v", "upto"), rows[value] == run["v"], "left").join(F.broadcast(total)).withColumn("percentile", 100 * F.col("upto") / F.col("_all")).drop("v", "upto", "_all")
