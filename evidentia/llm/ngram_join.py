@@ -36,6 +36,8 @@ from evidentia.llm._shared import drop, settle, small_batches
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 48
+#: Marks a shingle so early in its set that it can be the first common one of a pair whose smaller set this is.
+_EARLY = np.uint64(1 << 63)
 SKETCH = 1 << 22
 _PARTS = 32
 SLOTS = 1 << 25
@@ -151,10 +153,12 @@ def buckets(sets: DataFrame, codes, num: int, den: int) -> DataFrame:
             for data in batch.column(2).to_pylist():
                 keys = _wide(data)
                 n = len(keys)
-                parts.append(_ordered(keys, codes.value)[: n - -(-num * n // den) + 1] & np.uint64((1 << _BITS) - 1))
+                part = _ordered(keys, codes.value)[: n - -(-num * n // den) + 1] & np.uint64((1 << _BITS) - 1)
+                part[: n - -(-2 * num * n // (num + den)) + 1] |= _EARLY
+                parts.append(part)
             keys = np.concatenate(parts)
             own = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            shard = ((keys >> np.uint64(16)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            shard = (((keys & ~_EARLY) >> np.uint64(16)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             names, rows = [], []
@@ -177,15 +181,28 @@ def buckets(sets: DataFrame, codes, num: int, den: int) -> DataFrame:
             classes.append(np.frombuffer(data, "<i8", m, 16 + 8 * n)[at])
             sizes.append(np.frombuffer(data, "<i8", m, 16 + 8 * n + 8 * m)[at])
         key, cls, n = np.concatenate(keys), np.concatenate(classes), np.concatenate(sizes)
+        early = (key & _EARLY) > 0
+        key &= ~_EARLY
         order = np.lexsort((cls, n, key))
-        key, cls, n = key[order], cls[order], n[order]
+        key, cls, n, early = key[order], cls[order], n[order], early[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls, n = key[new], cls[new], n[new]
-        # By size, a member that is too far from both neighbours has no partner in the bucket.
-        near = np.zeros(len(key) + 1, bool)
-        near[1:-1] = (key[1:] == key[:-1]) & (n[:-1] * den >= n[1:] * num)
-        met = near[1:] | near[:-1]
+        key, cls, n, early = key[new], cls[new], n[new], early[new]
+        # By size: a pair's sizes are near, and its first common shingle comes early in the smaller. A member
+        # stays if it is early and the next is near, or if the last early one before it is; of equal sizes
+        # either may be the smaller.
+        lead, last = (np.full(len(key), -1) for _ in range(2))
+        if len(key):
+            own = np.flatnonzero(early)
+            before = np.searchsorted(own, np.arange(len(key))) - 1
+            lead = np.where(before >= 0, own[np.maximum(before, 0)] if len(own) else -1, -1)
+            after = np.searchsorted(own, np.arange(len(key)), "right")
+            last = np.where(after < len(own), own[np.minimum(after, len(own) - 1)] if len(own) else -1, -1)
+        ahead = np.zeros(len(key), bool)
+        ahead[:-1] = early[:-1] & (key[1:] == key[:-1]) & (n[:-1] * den >= n[1:] * num)
+        behind = (lead >= 0) & (key[lead] == key) & (n[lead] * den >= n * num)
+        level = (last >= 0) & (key[last] == key) & (n[last] == n)
+        met = ahead | behind | level
         key, cls, n = key[met], cls[met], n[met]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(key)))
@@ -310,15 +327,14 @@ class Slots:
 
 
 def _needed(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """cls, keys of the classes in ``members``, once each. Nearly all others are left out where they are read, so their keys are not moved."""
-    wanted = members.select("cls").distinct()
-    near = sets.select("cls", "keys").filter(Slots(wanted, "cls").may_have("cls"))
-    return near.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("keys").alias("keys"))
+    """cls, keys of the classes in ``members`` and a few more, once each. Nearly all others are left out where they are read, so their keys are not moved."""
+    near = sets.select("cls", "keys").filter(Slots(members.select("cls").distinct(), "cls").may_have("cls"))
+    return near.groupBy("cls").agg(F.first("keys").alias("keys"))
 
 
 def _join(tasks: DataFrame, keys: DataFrame, codes, num: int, den: int, tag: str) -> DataFrame:
     """Links a, b found in ``tasks`` (task, cls, comp, side): each task is one bounded group."""
-    return settle(tasks.join(keys, "cls").groupBy("task").applyInArrow(_links(num, den, codes), "a long, b long"), tag)
+    return settle(tasks.join(keys.hint("merge"), "cls").groupBy("task").applyInArrow(_links(num, den, codes), "a long, b long"), tag)
 
 
 # Components
