@@ -38,7 +38,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 48
 #: Marks a shingle so early in its set that it can be the first common one of a pair whose smaller set this is.
 _EARLY = np.uint64(1 << 63)
-SKETCH = 1 << 22
+SKETCH = 1 << 23
 _PARTS = 32
 SLOTS = 1 << 25
 
@@ -84,7 +84,7 @@ def sets_of(docs: DataFrame, k: int, mark: str = "doc_id") -> DataFrame:
         seen: set[int] = set()
         known: dict[bytes, int] = {}
         for batch in small_batches(batches, "text"):
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             sizes, classes, keys = [], [], []
             for text in batch.column(1).to_pylist():
@@ -113,7 +113,8 @@ def order_codes(sets: DataFrame) -> np.ndarray:
         total = np.zeros(SKETCH, np.uint32)
         for batch in small_batches(batches, "keys"):
             keys = np.concatenate([_wide(x) for x in batch.column(0).to_pylist()])
-            total += np.bincount((keys & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            cells, n = np.unique((keys & np.uint64(SKETCH - 1)).astype(np.uint32), return_counts=True)
+            total[cells] += n.astype(np.uint32)
         parts = [zstandard.compress(p.tobytes(), 1) for p in total.reshape(_PARTS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "data"])
 
@@ -391,7 +392,7 @@ def classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100),
     stored = cut.select("bucket", "cls", "comp", F.col("p").cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("q"), F.lit(1).alias("side"))
     walking = cut.filter(F.col("comp") != F.col("main")).select("bucket", "cls", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.col("q").cast("int").alias("q"), F.lit(0).alias("side"))
     tasks = stored.unionByName(walking).select(F.xxhash64("bucket", "p", "q").alias("task"), "cls", "comp", "side")
-    more = _join(tasks, keys, codes, num, den, "links")
+    more = _join(tasks, keys.filter(Slots(tasks, "cls").may_have("cls")), codes, num, den, "links")
     if not more.isEmpty():
         labels = settle(components(links.unionByName(more)), "labels")
     return rows, labels

@@ -45,7 +45,7 @@ def default_tokenizer() -> str:
 class PieceEncoder:
     """Token ids of texts as little-endian 32-bit bytes, by the pieces into which the tokenizer splits a text."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
