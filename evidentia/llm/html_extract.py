@@ -5,8 +5,9 @@ menus, headers, footers, sidebars, notices, adverts, forms or reader comments, b
 give empty lines, and so do the borders of containers. Over the lines, text lengths (without link text) are
 summed in sliding windows: the main text begins where the sum surges above a threshold and ends where the
 sum dives to nothing. The edges of such stretches are then moved out to the borders of the innermost container
-that holds nearly all of their text, so that a heading or a short paragraph in it stays. Where the page
-names its article or main element, only lines in it are looked at and all of them are kept.
+that holds nearly all of their text, so that a heading or a short paragraph in it stays. Article and main
+elements are containers like others. Where no sum surges, all lines with text outside links are kept, and
+those in an article or main element.
 
 Defined cases: null and empty pages give empty texts; unclosed or cut markup ends where its parent or the page ends;
 repeated rows are each extracted; other columns are ignored; an empty table gives no rows.
@@ -175,8 +176,6 @@ def lines_of(page: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
 def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
     """The main text: blocks in page order, joined by a line break."""
     lines = lines_of(page or "")
-    if any(inside and text for text, _, inside, _ in lines):
-        return "\n".join(text for text, _, inside, _ in lines if inside and text)
     sizes = [size for _, size, _, _ in lines]
     sums = [sum(sizes[i : i + window]) for i in range(len(lines))]
     kept, i = [], 0
@@ -190,7 +189,7 @@ def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
         kept.append((i, stop, sum(sizes[i:stop])))
         i = stop
     if not kept:
-        return "\n".join(text for text, size, _, _ in lines if size)
+        return "\n".join(text for text, size, inside, _ in lines if size or (inside and text))
     most = max(n for _, _, n in kept)
     held: dict[int, int] = {}
     depth: dict[int, int] = {}

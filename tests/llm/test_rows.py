@@ -73,6 +73,14 @@ def test_extraction_of_damage(spark):
     assert html_extract.extract(rows.limit(0)).count() == 0
 
 
+def test_article_elements_do_not_replace_the_sums():
+    story, card = f"<p>{LONG}</p><p>{LONG}</p>", "<article><p>{}</p></article>"
+    got = html_extract.main_text(f"<body><div>{story}{story}</div>{card.format('Teaser of another story.')}{card.format('One more.')}</body>").split("\n")
+    assert got[:4] == [LONG.strip()] * 4
+    assert html_extract.main_text(f"<body><article><div>{story}</div><div>Filed under odds</div></article></body>") == f"{LONG.strip()}\n{LONG.strip()}"
+    assert html_extract.main_text("<body><p>Short text.</p><article><p>Card <a>link</a></p><p><a>all link</a></p></article></body>") == "Short text.\nCard link\nall link"
+
+
 def counts(text):
     w = re.findall("[^\x20\x09-\x0d]+", text or "")
     seen = defaultdict(list)
