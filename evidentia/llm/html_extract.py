@@ -4,9 +4,10 @@ Markup is read in one pass. Each block element is a line; scripts, styles, comme
 menus, headers, footers, sidebars, notices, adverts, forms or reader comments, by tag, role, class or id,
 give empty lines, and so do the borders of containers. Over the lines, text lengths (without link text) are
 summed in sliding windows: the main text begins where the sum surges above a threshold and ends where the
-sum dives to nothing. The edges of such stretches are then moved out to the borders of the innermost container
-that holds nearly all of their text, so that a heading or a short paragraph in it stays. Article and main
-elements are containers like others. Where no sum surges, all lines with text outside links are kept, and
+sum dives to nothing. All such stretches are kept. Their edges are then moved out to the borders of the innermost
+container that holds nearly all of their text, so that a heading or a short paragraph in it stays. Article and main
+elements are containers like others. An element whose name only has a furniture word among others, like
+main-with-sidebar, stays if it holds more than half of the page's text. Where no sum surges, all lines with text outside links are kept, and
 those in an article or main element.
 
 Defined cases: null and empty pages give empty texts; unclosed or cut markup ends where its parent or the page ends;
@@ -51,35 +52,44 @@ _ABOUT = frozenset("has no with without show hide is".split())
 _SPLIT = re.compile(r"[a-z]+(?![a-z])|[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-LINK, ARTICLE, SKIP = 1, 2, 4
+LINK, ARTICLE, SKIP, SURE = 1, 2, 4, 8
 
 
-def _furniture(attrs: str, heading: bool) -> bool:
+def _furniture(attrs: str, heading: bool) -> int:
+    """SKIP, with SURE unless only a part of a compound name says so; else 0."""
+    doubt = 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" and not value:
-            return True
+            return SKIP | SURE
         if name == "aria-hidden":
             if value.lower() == "true":
-                return True
+                return SKIP | SURE
         elif name == "style":
             if re.search(r"display\s*:\s*none", value, re.I):
-                return True
+                return SKIP | SURE
         elif name in ("class", "id", "role"):
             for word in value.split():
                 parts = _SPLIT.findall(_CAMEL.sub("-", word).lower())
                 found = [p for p in parts if p in _FURNITURE]
                 if found and parts[0] not in _ABOUT and not (found == ["header"] and (heading or parts[0] in _CONTENT)):
-                    return True
-    return False
+                    if len(found) == len(parts):
+                        return SKIP | SURE
+                    doubt = SKIP
+    return doubt
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
+def lines_of(page: str, spared: frozenset[int] | None = None) -> list[tuple[str, int, bool, tuple[int, ...]]]:
     """Lines in page order: text, length without link text, whether in an article or main element, containers from outside in.
 
-    An empty text marks a border between containers or a piece of furniture.
+    An empty text marks a border between containers or a piece of furniture. spared: where the elements begin
+    that stay in spite of a compound name; by default those that hold more than half of the page's text.
     """
     out: list[tuple[str, int, bool, tuple[int, ...]]] = []
+    # Elements in doubt: depth in the stack, where they begin, the page's text before them; and how much those that ended hold.
+    doubts: list[tuple[int, int, int]] = []
+    held: dict[int, int] = {}
+    seen = 0
     stack: list[tuple[str, int, tuple[int, ...]]] = []
     parts: list[str] = []
     links = pos = count = 0
@@ -101,6 +111,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
 
     def shut(depth: int) -> None:
         nonlocal flags, path
+        while doubts and doubts[-1][0] >= depth:
+            _, at, before = doubts.pop()
+            held[at] = seen - before
         del stack[depth:]
         flags, path = stack[-1][1:] if stack else (0, (0,))
 
@@ -109,6 +122,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
         chunk = page[pos : m.start() if m else end]
         if not m:
             chunk = re.sub(r"<[a-zA-Z/!][^>]*\Z", "", chunk)
+        if chunk and not flags & (SURE | LINK):
+            seen += len(chunk.strip())
         if chunk and not flags & SKIP:
             parts.append(chunk)
             if flags & LINK:
@@ -155,21 +170,34 @@ def lines_of(page: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
             new |= ARTICLE
         if tag == "a":
             new |= LINK
-        if tag in _DROP or (tag == "header" and not flags & ARTICLE) or (attrs and tag not in ("html", "body", "article", "main") and _furniture(attrs, tag[0] == "h" and tag[1:].isdigit())):
-            new |= SKIP
+        doubt = False
+        if tag in _DROP or (tag == "header" and not flags & ARTICLE):
+            new |= SKIP | SURE
+        elif attrs and tag not in ("html", "body", "article", "main"):
+            found = _furniture(attrs, tag[0] == "h" and tag[1:].isdigit())
+            doubt = found == SKIP and not new & SURE
+            if not (doubt and m.start() in (spared or ())):
+                new |= found
         if tag == "body":
-            new, path = 0, (0,)
-            stack.clear()
+            shut(0)
+            new = 0
         if tag == "a" and stack and stack[-1][0] == "a":
             shut(len(stack) - 1)
         if tag in _CONTAINER and not new & SKIP:
             border()
             count += 1
             path = (*path, count)
+        if doubt:
+            doubts.append((len(stack), m.start(), seen))
         stack.append((tag, new, path))
         flags = new
     if not flags & SKIP:
         flush()
+    shut(0)
+    if spared is None:
+        most = frozenset(at for at, n in held.items() if 2 * n > seen)
+        if most:
+            return lines_of(page, most)
     return out
 
 
@@ -200,7 +228,8 @@ def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
                     held[container] = held.get(container, 0) + size
                     depth[container] = d
     inner = max((c for c, n in held.items() if 10 * n >= 8 * held[0]), key=lambda c: (depth[c], -c))
-    return "\n".join(text for text, _, _, path in lines if text and inner in path)
+    found = {i for begin, stop, _ in kept for i in range(begin, stop)}
+    return "\n".join(text for i, (text, _, _, path) in enumerate(lines) if text and (i in found or inner in path))
 
 
 def extract(pages: DataFrame, window: int = 3, surge: int = 60) -> DataFrame:

@@ -81,6 +81,21 @@ def test_article_elements_do_not_replace_the_sums():
     assert html_extract.main_text("<body><p>Short text.</p><article><p>Card <a>link</a></p><p><a>all link</a></p></article></body>") == "Short text.\nCard link\nall link"
 
 
+def test_every_stretch_stays():
+    lead, story = "A lead of some length. " * 13, "\n".join(f"<p>{LONG}</p>" for _ in range(8))
+    got = html_extract.main_text(f"<body><div class='w'><div><p>{lead}</p></div><div>{story}</div></div></body>").split("\n")
+    assert got == [lead.strip()] + [LONG.strip()] * 8
+    assert html_extract.main_text(f"<body><h1>Title above</h1><article><div>{story}</div></article></body>") == "\n".join(["Title above"] + [LONG.strip()] * 8)
+
+
+@pytest.mark.parametrize("name", ["main-with-sidebar", "content-share", "layoutSidebarLeft"])
+def test_compound_names_skip_no_main_text(name):
+    page = "<body><div class='{}'><article><h1>T</h1><p>{}</p><div class='share-box'>S</div></article><aside>A</aside></div><div class='{}'>{}</div></body>"
+    assert html_extract.main_text(page.format(name, LONG * 2, "news-menu", "M")) == f"T\n{(LONG * 2).strip()}"
+    assert html_extract.main_text(page.format("wrap", LONG * 2, name, LONG)) == f"T\n{(LONG * 2).strip()}"
+    assert html_extract.main_text(page.format("x-y", LONG, "sidebar", LONG * 9)) == f"T\n{LONG.strip()}"
+
+
 def counts(text):
     w = re.findall("[^\x20\x09-\x0d]+", text or "")
     seen = defaultdict(list)
