@@ -36,7 +36,7 @@ def kriged_balances(spark, sf):
 
 
 def event_pulse_trains(spark, sf):
-    e = _t(spark, sf, "events").filter("user_id <= 5").select(F.col("user_id").alias("scene"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) / 1e6").alias("toa_s"))
+    e = _t(spark, sf, "events").select(F.col("user_id").alias("scene"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) / 1e6").alias("toa_s"))
     return arrays.pulse_trains(e)
 
 

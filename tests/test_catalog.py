@@ -55,6 +55,12 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_pulse_trains_hold_every_event(spark, sf):
+    got = catalog.QUERIES["event_pulse_trains"](spark, sf).filter("tier = 'measured'").groupBy("scene").count()
+    want = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_filters_reach_the_scan(spark, sf, capsys):
     catalog.QUERIES["loud_runs"](spark, sf).explain("formatted")
     plan = capsys.readouterr().out
