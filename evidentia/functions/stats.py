@@ -104,9 +104,22 @@ def sidak(p: float, trials: int) -> float:
     return -math.expm1(trials * math.log1p(-min(p, 1 - 1e-16)))
 
 
-def poisson_tail(count: Column, mean: Column, most: int = 400) -> Column:
-    """P(X >= count) of a Poisson variable, in a sum of terms; counts beyond ``most`` use the normal tail bound."""
-    top = F.least(count.cast("int"), F.lit(most)) - 1
-    terms = F.aggregate(F.sequence(F.lit(0), F.greatest(top, F.lit(0))), F.struct(F.exp(-mean).alias("t"), F.lit(0.0).alias("s")), lambda a, k: F.struct((a["t"] * mean / (k + 1)).alias("t"), (a["s"] + a["t"]).alias("s")))["s"]
-    far = F.exp(-F.greatest(count - mean, F.lit(0)) ** 2 / (2 * count))
-    return F.when(count <= 0, F.lit(1.0)).when(count > most, far).otherwise(F.greatest(1 - terms, F.lit(0.0)))
+def _log_gamma(x: Column) -> Column:
+    """Of x >= 1, by Stirling's series at x + 8."""
+    y = x + 8
+    series = (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return series - sum((F.ln(x + i) for i in range(1, 8)), F.ln(x))
+
+
+def poisson_tail(count: Column, mean: Column) -> Column:
+    """P(X >= count) of a Poisson variable: terms from the count away from the mean, in units of the first, till they vanish."""
+    n, m = count.cast("double"), F.greatest(mean.cast("double"), F.lit(1e-300))
+    above = n > m
+    first = F.when(above, n).otherwise(n - 1)
+    ratio = F.when(above, m / (n + 1)).otherwise(first / m)
+    most = F.least(10 * F.sqrt(n) + 50, F.when(ratio <= 0, F.lit(1.0)).when(ratio < 1, -40 / F.ln(ratio) + 1)).cast("int")
+    step = lambda k: F.when(above, m / (n + k)).otherwise(F.greatest(n - k, F.lit(0)) / m)
+    total = F.aggregate(F.sequence(F.lit(1), most), F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")), lambda a, k: F.struct((a["t"] * step(k)).alias("t"), (a["s"] + a["t"]).alias("s")))["s"]
+    part = F.exp(first * F.ln(m) - m - _log_gamma(first + 1)) * total
+    tail = F.when(above, part).otherwise(1 - part)
+    return F.when(count <= 0, F.lit(1.0)).when(mean <= 0, F.lit(0.0)).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))

@@ -4,11 +4,24 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidentia.functions import stats
 from evidentia.kernels import fields, repair, signal
 
 
+def test_poisson_tail_has_no_switch(spark):
+    def want(c, m):
+        term = lambda i: math.exp(i * math.log(m) - m - math.lgamma(i + 1))
+        return 1 - math.fsum(map(term, range(c))) if c <= m else math.fsum(map(term, range(c, c + 20_000)))
+
+    rows = [(c, m) for c in (1, 2, 30, 399, 400, 401, 1000, 20_000) for m in (0.5, 0.9 * c, max(c - 3 * c**0.5, 0.1), float(c), 1.1 * c)]
+    for r in spark.createDataFrame(rows, "c long, m double").withColumn("p", stats.poisson_tail(F.col("c"), F.col("m"))).collect():
+        assert r.p == pytest.approx(want(r.c, r.m), rel=1e-8, abs=1e-9), r
+    edge = spark.createDataFrame([(0, 3.0), (5, 0.0)], "c long, m double")
+    assert [r[0] for r in edge.select(stats.poisson_tail(F.col("c"), F.col("m"))).collect()] == [1.0, 0.0]
+
+
 def test_tails():
     assert stats.gamma_p(1, 2) == pytest.approx(1 - math.exp(-2), rel=1e-12)
     assert stats.gamma_p(3, 12) == pytest.approx(1 - math.exp(-12) * (1 + 12 + 72), rel=1e-12)
