@@ -8,7 +8,9 @@ kernel is a product of presence vectors, a language's weights over landmarks fol
 place, and texts are scored by products of presence matrices, in batches, with these weights.
 
 Sample: ``per_lang`` documents of each language, fewer if there are more than ``sample`` // ``per_lang``
-languages, those of least hash; a tenth are landmarks at least. It is the only bound: every document is read whole.
+languages, but four at least, those of least hash; a quarter are landmarks. It is the only bound: every document
+is read whole and every language is learned. Beyond sample // 4 languages the sample grows with their number,
+by four rows of 2**bits 4-byte numbers each in the driver.
 
 Defined cases: null texts and texts without a letter are "und" with score 0; without any learned language
 all are; ties go to the language that sorts first; repeated rows are scored each; other columns are ignored.
@@ -21,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm._grams import buckets, codes
-from evidentia.llm._shared import small_batches
+from evidentia.llm._shared import settle, small_batches
 
 _LETTER = re.compile(r"[^\W\d_]").search
 _SLICE = 1 << 20
@@ -71,29 +73,23 @@ class Model:
 
 def _sample(rows: DataFrame, per_lang: int, sample: int, order: int, bits: int) -> list:
     """Rows (lang, packed presence) of the training sample."""
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample // 4).collect()}
-    if not counts:
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")).withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
+    counts = settle(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    found = counts.count()
+    if not found:
         return []
-    want = max(4, min(per_lang, sample // len(counts)))
-    # A share of the hashes that holds the wanted number, with room for chance; the rest is settled below.
-    near = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        near = near | ((F.col("lang") == lang) & (F.col("h") < int(min(1.0, (2 * want + 20) / n) * (1 << 40))))
+    want = max(4, min(per_lang, sample // found))
+    # A share of each language's hashes that holds the wanted number, with room for chance; the least of them are settled below.
+    near = rows.join(counts, "lang").filter(F.col("h") < F.least(F.lit(1.0), (2 * want + 20) / F.col("n")) * float(1 << 40))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             bits_of = [np.packbits(presence(t, order, bits)).tobytes() if _LETTER(t) else None for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits_of, pa.binary())], ["lang", "h", "marks"])
 
-    picked = rows.filter(near).orderBy("h").limit(3 * sample).select("lang", "text", "h").mapInArrow(pack, "lang string, h long, marks binary").filter("marks is not null").orderBy("h", "lang", "marks").limit(3 * sample)
-    taken: dict[str, int] = {}
-    out = []
-    for r in picked.toLocalIterator():
-        if taken.setdefault(r[0], 0) < want:
-            taken[r[0]] += 1
-            out.append((r[0], bytes(r[2])))
-    return out
+    packed = near.select("lang", "text", "h").mapInArrow(pack, "lang string, h long, marks binary").filter("marks is not null")
+    least = packed.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "marks"))).filter(F.col("i") <= want)
+    return [(r[0], bytes(r[2])) for r in sorted(least.select("lang", "h", "marks").collect(), key=lambda r: (r[1], r[0], r[2]))]
 
 
 def learn(docs: DataFrame, train: Column, per_lang: int = 200, sample: int = 1600, order: int = 3, bits: int = 15, ridge: float = 0.01) -> Model:

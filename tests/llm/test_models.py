@@ -19,6 +19,18 @@ def test_language(spark, sf):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_every_language_has_its_share_of_the_sample(spark):
+    rng = random.Random(5)
+    langs = [f"l{k:03}" for k in range(120)]
+    sizes = [40 if k < 100 else 14 for k in range(120)]
+    rows = [(1000 * k + i, " ".join(words(rng, 5)), langs[k]) for k in range(120) for i in range(sizes[k])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = Counter(lang for lang, _ in language_id._sample(docs, 200, 1200, 3, 10))
+    assert taken == {lang: 10 for lang in langs}
+    many = spark.createDataFrame([(i, f"word{i}", f"l{i % 500}") for i in range(2000)], "doc_id long, text string, lang string")
+    assert Counter(Counter(lang for lang, _ in language_id._sample(many, 200, 1600, 3, 10)).values()) == {4: 500}
+
+
 def test_folded_weights_are_the_kernel():
     rng = random.Random(1)
     a, b = (language_id.presence(prose(rng), 3, 12).astype(float) for _ in range(2))
