@@ -18,21 +18,21 @@ their own; repeated rows are each counted and judged; other columns are ignored;
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions.stats import gamma_p
 from evidentia.llm._shared import settle
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _FILLED = r"[^\x20\x09-\x0D]"
 WINDOW = 8
-_DIM = 4
+_DIM = 5
 #: Added to each coordinate's variance, so that a coordinate that hardly varies rejects nothing by itself.
-#: The last is wide: repetition that the base rule lets pass doesn't reject a document alone.
-_FLOOR = (0.04, 0.004, 0.004, 0.02)
+#: Where a group has none, symbols, repeated words or repeated lines alone reject from a tenth on.
+_FLOOR = (0.04, 0.004, 0.004, 0.004, 0.004)
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -47,6 +47,7 @@ def counts(docs: DataFrame) -> DataFrame:
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.size("lines").cast("long").alias("n_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
     )
     # Hashes of 1, 2, 4 and 8 words in a row: each step joins two neighbouring runs.
@@ -58,12 +59,11 @@ def counts(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("at", F.array_sort(F.transform(F.filter("s", lambda e, i: (e["x"] == F.get("s", i - 1)["x"]) | (e["x"] == F.get("s", i + 1)["x"])), lambda e: e["i"])))
     step = F.zip_with("at", F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
     covered = F.when(F.col("at").isNull(), F.lit(0)).otherwise(F.aggregate(step, F.lit(0), lambda t, x: t + x))
-    return rows.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
+    return rows.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", covered.cast("long").alias("n_repeat_words"))
 
 
 def _chi2_cdf(x: float, dim: int) -> float:
-    """For an even number of dimensions."""
-    return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(dim // 2))
+    return gamma_p(dim / 2, x / 2)
 
 
 def chi2_quantile(p: float, dim: int) -> float:
@@ -76,7 +76,7 @@ def chi2_quantile(p: float, dim: int) -> float:
 
 def _vector() -> list[Column]:
     n = F.greatest(F.col("n_words"), F.lit(1))
-    return [F.log1p(F.col("n_words")), F.log1p(F.col("word_chars") / n), F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))), F.sqrt(F.col("n_repeat_words") / n)]
+    return [F.log1p(F.col("n_words")), F.log1p(F.col("word_chars") / n), F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))), F.sqrt(F.col("n_repeat_words") / n), F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)))]
 
 
 def _factor(cov: dict[tuple[int, int], Column]) -> dict[str, Column]:

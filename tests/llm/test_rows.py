@@ -125,6 +125,18 @@ def test_rules_reject_outliers_and_keep_the_rest(spark):
     assert not any(got[i].kept for i in range(1000, 1008)) and sum(got[i].kept for i in range(200)) >= 198
 
 
+def test_rules_reject_repeated_lines_and_words(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randrange(2, 9)), "en", f"s{i % 2}") for i in range(200)]
+    rows += [(1000 + i, "\n".join(f"{prose(rng, 1, 8)}\nread more" for _ in range(40)), "en", "s0") for i in range(4)]
+    part = prose(rng, 1, 12)
+    rows += [(2000 + i, f"{prose(rng, 6)}\n{part} a\n{prose(rng, 2)} {part}", "en", "s1") for i in range(4)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].n_repeat_words == 0 and not got[i].base_failed and not got[i].kept for i in range(1000, 1004))
+    assert all(got[i].n_repeat_words == 24 and not got[i].base_failed and not got[i].kept for i in range(2000, 2004))
+    assert sum(got[i].kept for i in range(200)) >= 198
+
+
 def test_rules_on_odd_and_empty_tables(spark):
     got = quality_rules.judge(odd_docs(spark)).collect()
     assert len(got) == 17 and next(r for r in got if r.doc_id == 9).n_words == 30_000
