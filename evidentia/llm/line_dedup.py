@@ -1,17 +1,19 @@
 """Line dedup by site-relative frequency, in DataFrame operations only.
 
-For each host the pages that contain a line are counted, each page once however often it repeats the line,
-and divided by the host's pages. A line that exceeds the ratio, and stands on at least ``min_pages`` pages,
-is boilerplate of that host and is removed from its pages; other hosts keep it.
+For each host the pages that contain a line are counted, each page once however often it repeats the line, and
+divided by the host's pages. Pages of one host with one and the same text count as one page, above and below
+the line, so copies of a page never make its lines boilerplate. A line that exceeds the ratio, and stands on at
+least ``min_pages`` such pages, is boilerplate of that host and is removed from its pages; other hosts keep it.
 
 Lines are compared without spaces, tabs and carriage returns around them, by a 64-bit hash. Counts are summed
 before the shuffle and dealt by host and line, so a host with a third of all pages is spread over all tasks.
-A host's boilerplate has at most (lines of a mean page) / ratio entries, whatever the number of pages; that
-short list joins the pages by host and is broadcast only if the planner finds it small.
+A host's boilerplate has at most (lines of a mean page) / ratio entries, whatever the number of pages. Page
+totals and boilerplate meet the lines and pages by host: broadcast while they are measured to be under
+``BROADCAST_BYTES``, otherwise dealt by host and one of ``SALTS`` numbers, so that no host is one task's.
 
-Defined cases: a null text stays null, has no lines and counts as a page; a null host is the empty host;
-blank lines are neither counted nor removed; repeated rows count as pages each; a text all of whose lines go
-becomes empty; an empty table gives no rows.
+Defined cases: a null text stays null, has no lines and all null texts of a host count as one page; a null host
+is the empty host; blank lines are neither counted nor removed; repeated rows count as one page and lose the
+same lines; a text all of whose lines go becomes empty; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from evidentia.llm._shared import settle
 
 _BLANKS = " \t\r"
+BROADCAST_BYTES = 32 << 20
+SALTS = 64
 
 
 def _key(line: Column) -> Column:
@@ -32,30 +36,47 @@ def _filled(line: Column) -> Column:
     return F.btrim(line, F.lit(_BLANKS)) != ""
 
 
+def _join_by_host(big: DataFrame, small: DataFrame, host: str, spread: Column, small_bytes: int, how: str) -> DataFrame:
+    """``big`` with the row of its host in ``small``; ``spread`` deals a host's rows among the salts."""
+    if small_bytes <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), host, how)
+    salt = "__salt"
+    while salt in big.columns:
+        salt = "_" + salt
+    many = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn(salt, F.pmod(spread, F.lit(SALTS)).cast("int")).join(many, [host, salt], how).drop(salt)
+
+
 def boilerplate(pages: DataFrame, text: Column, host: Column, ratio: tuple[int, int], min_pages: int) -> DataFrame:
     """``host``, ``drop``: the hashes of each host's boilerplate lines."""
-    base = pages.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.split(text, "\n").alias("lines"))
-    total = base.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    lines = base.select("host", F.explode(F.array_distinct(F.transform(F.filter("lines", _filled), _key))).alias("line"))
+    base = pages.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), text.alias("text"))
+    hashed = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), _filled), _key))
+    # One row a distinct text of a host, with the hashes of its lines: much less than the text.
+    own = settle(base.groupBy("host", F.xxhash64("text").alias("page")).agg(F.first(hashed).alias("lines")), "page-lines")
+    total = settle(own.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
+    size = total.agg(F.sum(F.octet_length("host") + 16)).first()[0] or 0
+    lines = own.select("host", F.explode("lines").alias("line"))
     found = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    over = found.join(total, "host").filter(F.col("n") * ratio[1] > F.col("pages") * ratio[0])
+    over = _join_by_host(found, total, "host", F.col("line"), size, "inner").filter(F.col("n") * ratio[1] > F.col("pages") * ratio[0])
     return over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("drop"))
 
 
-def remove_boilerplate(pages: DataFrame, text: str = "text", host: Column | str = "source", ratio: tuple[int, int] = (1, 10), min_pages: int = 2, counts: bool = False) -> DataFrame:
+def remove_boilerplate(pages: DataFrame, text: str = "text", host: Column | str = "source", ratio: tuple[int, int] = (1, 10), min_pages: int = 3, counts: bool = False) -> DataFrame:
     """``pages`` with ``text`` without boilerplate; all other columns stay.
 
-    ratio: numerator and denominator. counts: also add ``n_lines`` and ``n_dropped`` (replacing columns of
-    these names).
+    ratio: numerator and denominator. min_pages: on fewer distinct pages of a host no line is boilerplate, however
+    small the host. counts: also add ``n_lines`` and ``n_dropped`` (replacing columns of these names).
     """
     text_col, host_col = pages[text], pages[host] if isinstance(host, str) else host
     lists = settle(boilerplate(pages, text_col, host_col, ratio, min_pages), "boilerplate")
+    size = lists.agg(F.sum(F.octet_length("host") + 8 * F.size("drop") + 16)).first()[0] or 0
     # Own names for the helper columns, whatever the table has.
     names = [f"__{n}" for n in ("host", "drop", "lines", "kept")]
     while set(names) & set(pages.columns):
         names = [f"_{n}" for n in names]
     h, d, ls, kept = names
-    joined = pages.withColumns({h: F.coalesce(host_col.cast("string"), F.lit("")), ls: F.split(text_col, "\n")}).join(lists.select(F.col("host").alias(h), F.col("drop").alias(d)), h, "left")
+    named = pages.withColumns({h: F.coalesce(host_col.cast("string"), F.lit("")), ls: F.split(text_col, "\n")})
+    joined = _join_by_host(named, lists.select(F.col("host").alias(h), F.col("drop").alias(d)), h, F.xxhash64(text_col), size, "left")
     keep = F.when(F.col(d).isNull(), F.col(ls)).otherwise(F.filter(ls, lambda x: ~(_filled(x) & F.array_contains(F.col(d), _key(x)))))
     out = joined.withColumn(kept, keep)
     extra = {"n_lines": F.coalesce(F.size(ls), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size(ls) - F.size(kept), F.lit(0)).cast("long")} if counts else {}

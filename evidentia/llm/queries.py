@@ -34,11 +34,18 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents appended to a new store, compacted, and read back through its manifest."""
-    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    store.append(table(spark, sf_dir, "documents"))
-    store.compact()
-    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+    """Documents that arrive in four parts, by id, are appended to a new store, compacted, and read back through its manifest.
+
+    versions_alike: the last version before compaction has as many rows, in more files; tiers_left: tiers with enough
+    runs to merge after it.
+    """
+    store, docs = sharding.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"), table(spark, sf_dir, "documents")
+    for arrival in range(4):
+        before = store.append(docs.filter(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)) == arrival).withColumn("arrival", F.lit(arrival)))
+    after = store.compact()
+    alike = store.read(before["version"]).count() == store.read(after["version"]).count() and len(after["files"]) < len(before["files"])
+    figures = (F.lit(alike).alias("versions_alike"), F.lit(len(store.plan(after["files"]))).alias("tiers_left"))
+    return store.read(after["version"]).select("doc_id", "lang", "source", "n_chars", "arrival", F.md5("text").alias("text_md5"), *figures)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +79,13 @@ ORACLE_SQL: dict[str, str] = {
         l AS MATERIALIZED (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)""",
-    "op6_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+    "op6_sharding": "SELECT doc_id, lang, source, n_chars, (coalesce(doc_id, 0) % 4)::INTEGER AS arrival, md5(text) AS text_md5, true AS versions_alike, 0 AS tiers_left FROM documents",
     "op7_line_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS lines FROM documents),
-        pages AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
-        l AS (SELECT host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''))) AS line FROM d),
-        n AS (SELECT host, line, count(*) AS n FROM l GROUP BY host, line HAVING count(*) >= 2),
+        own AS (SELECT DISTINCT host, text, lines FROM d),
+        pages AS (SELECT host, count(*) AS pages FROM own GROUP BY host),
+        l AS (SELECT host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''))) AS line FROM own),
+        n AS (SELECT host, line, count(*) AS n FROM l GROUP BY host, line HAVING count(*) >= 3),
         bad AS (SELECT host, list(line) AS bad FROM n JOIN pages USING (host) WHERE n * 10 > pages GROUP BY host),
         k AS (SELECT doc_id, text, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: trim(x, ' ' || chr(9) || chr(13)) = '' OR NOT list_contains(bad, trim(x, ' ' || chr(9) || chr(13)))) END AS kept
               FROM d LEFT JOIN bad USING (host))

@@ -12,10 +12,11 @@ from tests.llm.test_pairs import brute, brute_hits
 
 
 def without_boilerplate(docs):
-    pages, seen = Counter(s or "" for _, _, s in docs), defaultdict(Counter)
-    for _, text, source in docs:
+    distinct = {(s or "", t) for _, t, s in docs}
+    pages, seen = Counter(s for s, _ in distinct), defaultdict(Counter)
+    for source, text in distinct:
         seen[source or ""].update({x.strip(" \t\r") for x in (text or "").split("\n")} - {""})
-    bad = {s: {x for x, n in c.items() if n >= 2 and 10 * n > pages[s]} for s, c in seen.items()}
+    bad = {s: {x for x, n in c.items() if n >= 3 and 10 * n > pages[s]} for s, c in seen.items()}
     return [(i, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" \t\r") not in bad[s or ""]), s) for i, t, s in docs]
 
 

@@ -155,6 +155,20 @@ def test_lines(spark):
     assert line_dedup.remove_boilerplate(empty_docs(spark)).count() == 0
 
 
+def test_copies_are_no_boilerplate(spark):
+    """Two copies on a small host keep their lines; a line that three distinct pages share goes; SALTS give the same."""
+    rows = [(1, "one\ntwo\nmenu", "a"), (2, "one\ntwo\nmenu", "a"), (3, "else\nmenu", "a"), (4, "last\nmenu", "a"), (5, "x\ny", "b"), (6, "x\ny", "b"), (7, "x\nz", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {1: "one\ntwo", 2: "one\ntwo", 3: "else", 4: "last", 5: "x\ny", 6: "x\ny", 7: "x\nz"}
+    assert {r.doc_id: r.text for r in line_dedup.remove_boilerplate(docs).collect()} == want
+    before, line_dedup.BROADCAST_BYTES = line_dedup.BROADCAST_BYTES, -1
+    try:
+        assert {r.doc_id: r.text for r in line_dedup.remove_boilerplate(docs).collect()} == want
+        assert line_dedup.remove_boilerplate(odd_docs(spark)).columns == odd_docs(spark).columns
+    finally:
+        line_dedup.BROADCAST_BYTES = before
+
+
 def test_shards(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=200_000, base_bytes=1000, min_runs=3)
     docs = odd_docs(spark)
@@ -187,10 +201,65 @@ def test_two_writers_of_one_version(spark, tmp_path):
         return old(version)
 
     b.manifest = stale
-    b._commit(files, schema=docs.schema.json())
+    fields = b._fields(docs.schema, [])
+    assert b._commit(files, fields=fields)
     assert a.version() == 2 and a.read().count() == 34
 
 
+def test_columns_that_change(spark, tmp_path):
+    """New columns are kept, numbers widen, clashing and repeated names live apart, other changes are refused before a write."""
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", min_runs=2, full_every=3)
+    store.append(spark.createDataFrame([(1, "x")], "a long, b string"))
+    store.append(spark.createDataFrame([(2, "y", 0.5, "new")], "a int, b string, c double, B string"))
+    store.append(spark.createDataFrame([(1.5,)], "c float"))
+    twice = spark.createDataFrame([("p", "q")], "b string, d string").toDF("b", "b")
+    store.append(twice)
+    runs = len(store._fs.listStatus(store._at("data")))
+    for wrong in ("a string", "a double", "c long", "b int"):
+        with pytest.raises(ValueError, match="in the store"):
+            store.append(spark.createDataFrame([], wrong))
+    assert len(store._fs.listStatus(store._at("data"))) == runs and store.version() == 4
+    for _ in range(2):
+        got = store.read()
+        assert got.columns == ["a", "b", "c", "B", "b"]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "x", None, None, None), (2, "y", 0.5, "new", None), (None, None, 1.5, None, None), (None, "p", None, None, "q")], key=str)
+        store.compact()
+    assert store.version() == 5 and len(store.manifest()["files"]) == 1
+    assert store.read(2).count() == 2 and store.read(1).count() == 1
+
+
+def test_readers_and_orphans(spark, tmp_path):
+    """A frame opened before compaction still reads; expiry deletes merged files and those of dead jobs, and keeps the rest."""
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", min_runs=2, full_every=4)
+    for i in range(6):
+        store.append(spark.range(i, i + 1))
+    opened = store.read()
+    store.compact()
+    store._write(spark.range(100, 103))  # a job that died before its commit
+    assert opened.count() == 6 and store.read(3).count() == 3
+    assert store.expire(older_than=3600) == 0 and opened.count() == 6
+    assert store.expire(older_than=-60) >= 7
+    assert store.read().count() == 6 and sorted(r.id for r in store.read().collect()) == [*range(6)]
+    store.append(spark.range(6, 7))
+    assert store.read().count() == 7 and store.manifest()["version"] == 8
+
+
+def test_lost_race_of_two_compactions(spark, tmp_path):
+    a, b = (sharding.ShardStore(spark, f"file://{tmp_path}/s", min_runs=2) for _ in range(2))
+    for i in range(4):
+        a.append(spark.range(i, i + 1))
+    write, calls = b._write, []
+
+    def late(df):
+        if not calls:
+            calls.append(a.compact())
+        return write(df)
+
+    b._write = late
+    b.compact()
+    assert a.version() == 5 and a.read().count() == 4 and a.expire(older_than=-60) >= 4
+
+
 def test_empty_store(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
     store.append(empty_docs(spark))
