@@ -1,20 +1,30 @@
 """N-gram Jaccard join with prefix trees.
 
 A document's set holds its distinct word shingles as 48-bit hashes; documents with one and the same set form
-a class, known by a 64-bit hash of the set, and only classes are joined. All sets share one global order, rare
-shingles first, by a count sketch of fixed size over all classes and then by hash. Two sets that reach the
-threshold share a shingle among the first n - ceil(t n) + 1 of each, so classes meet in buckets of such
-shingles; buckets with the same members count once.
-
-Joining goes in two rounds. In the first, each bucket's hub (the member that stands in the most buckets)
-is joined with the others, which links most copies of a text in linear work. In the second, the other members
-of buckets that are not connected yet are joined with each other, those of one hub together, without pairs
-that are connected already, so no link between different components is lost. A join stores the ordered sets of one side in a prefix
-tree with one path for each common beginning; each set of the other side walks it, adds up the overlap along
+a class, known by a 64-bit hash of the set, and only classes are joined. Two sets that reach the threshold t share
+a shingle among the first n - ceil(t n) + 1 of each under any one global order, and among fewer of the smaller.
+
+The order is by exact document frequency, rare shingles first, and then by hash. Frequencies are counted in shards
+of the hashes' range, to which blocks of sets deal their shingles as sorted differences; a shard answers each block
+with those of its shingles that stand in two sets or more. To move less, a fixed share of all shingles, by hash, goes
+first in the order, and only these are counted; it is wide enough for the prefixes of sets of ``SMALL`` shingles and
+more (the few for which it isn't go on in the order of hashes). Smaller sets have an order of their own over all their
+shingles; sets near the limit stand in both. Shingles of one set alone can't be shared, so sets whose prefix holds
+no others are done: no counting table of fixed size or broadcast has a part in this.
+
+What is left meets in buckets of one shingle and one band of sizes; buckets with the same members count once.
+Joining goes in two rounds. In the first, each bucket's hub (the member of least hash, so alike buckets have the same
+hub) is joined with the others, which links most copies of a text in linear work. In the second, the other
+members of buckets that are not connected yet are joined with each other, those of one hub together, without pairs
+that are connected already, so no link between different components is lost. A join stores the sets of one side in a
+prefix tree with one path for each common beginning; each set of the other side walks it, adds up the overlap along
 shared paths, and leaves a subtree as soon as the overlap so far and what can remain of either side stay
 below the threshold. Large groups are cut into pairs of chunks of bounded size; no group is held whole.
 Components come from alternating star steps over the links, in tables.
 
+Hot keys: buckets, hubs and classes are summed before they are shuffled, and each join by such a key has plain tables
+on both sides and leads to another key, so that adaptive execution can split it.
+
 Defined cases: null, empty and blank texts have no shingles and link with nothing; texts with fewer words than
 a shingle have one, the whole sequence; repeated rows share a class; null ids never name a component unless all
 its ids are null; an empty table gives no rows; other columns are ignored, or kept by ``keep_one``.
@@ -22,6 +32,7 @@ its ids are null; an empty table gives no rows; other columns are ignored, or ke
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +47,9 @@ from evidentia.llm._shared import drop, settle, small_batches
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 48
-#: Marks a shingle so early in its set that it can be the first common one of a pair whose smaller set this is.
-_EARLY = np.uint64(1 << 63)
-SKETCH = 1 << 23
-_PARTS = 32
+SMALL = 64
+#: Shingles that a block and a shard hold, and sets and shingles of a chunk, at most (or one set).
+BLOCK, SHARD, CHUNK, CHUNK_KEYS = 400_000, 2_000_000, 256, 500_000
 SLOTS = 1 << 25
 
 
@@ -64,10 +74,9 @@ def _hashes(words: list[bytes], k: int, known: dict[bytes, int]) -> np.ndarray:
     return np.unique(out)
 
 
-def _narrow(hashes: np.ndarray) -> bytes:
-    """The upper 48 bits of each, distinct, six bytes each."""
-    keys = np.unique(hashes >> np.uint64(64 - _BITS)).astype("<u8")
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _narrow(keys: np.ndarray) -> bytes:
+    """Six bytes of each."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
 def _wide(data: bytes) -> np.ndarray:
@@ -77,148 +86,193 @@ def _wide(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def sets_of(docs: DataFrame, k: int, mark: str = "doc_id") -> DataFrame:
-    """mark, n, cls, keys of every row. A task gives the keys of a class once."""
+class Threshold:
+    """Jaccard similarity of at least num / den, and what follows from it for a set of n shingles."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        #: Sets up to this size stand in the order of the small ones.
+        self.cap = SMALL * den // num
+        #: Of 2**16 values of a shingle's lowest bits, those that go first in the order of the large ones.
+        self.first = min(1 << 16, math.ceil((1 << 16) * 2.5 * (den - num) / den) + 1)
+        # A little wider than the threshold, so that near sizes are at most one band apart whatever the rounding.
+        self.band = math.log(den / num) * (1 + 1e-9) if den > num else 1.0
+
+    def prefix(self, n: int) -> int:
+        return n - -(-self.num * n // self.den) + 1
+
+    def early(self, n: int) -> int:
+        """How much of the smaller set must hold the first common shingle."""
+        return n - -(-2 * self.num * n // (self.num + self.den)) + 1
+
+    def counted(self, keys: np.ndarray, n: int) -> np.ndarray:
+        return keys if n <= self.cap else keys[(keys & np.uint64(0xFFFF)) < self.first]
+
+    def worlds(self, counted: np.ndarray, n: int) -> Iterator[np.ndarray]:
+        """The counted shingles of a set in each order it stands in, marked with the order in the lowest bit."""
+        if n <= self.cap:
+            yield counted << np.uint64(1)
+        if n >= SMALL:
+            yield (counted[(counted & np.uint64(0xFFFF)) < self.first] << np.uint64(1)) | np.uint64(1)
+
+
+def sets_of(source: DataFrame, k: int, limit: Threshold) -> DataFrame:
+    """mark, id, n, cls, block, counted, rest, spill of every row of ``source`` (mark, id, text). A task gives the shingles of a class once.
+
+    counted: shingles whose frequency is counted; rest: the others; spill: the first of these, where the counted
+    ones are fewer than the prefix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         seen: set[int] = set()
         known: dict[bytes, int] = {}
+        block, held = TaskContext.get().partitionId() << 32, 0
         for batch in small_batches(batches, "text"):
             if len(known) > 200_000:
                 known.clear()
-            sizes, classes, keys = [], [], []
-            for text in batch.column(1).to_pylist():
+            out: list[list] = [[] for _ in range(6)]
+            for text in batch.column(2).to_pylist():
                 words = (text or "").encode().lower().split()
-                if not words:
-                    sizes.append(0)
-                    classes.append(None)
-                    keys.append(None)
-                    continue
-                found = _hashes(words, k, known)
-                cls = xxhash.xxh3_64_intdigest(found.tobytes())
-                cls -= (cls >> 63) << 64
-                sizes.append(len(found))
-                classes.append(cls)
-                keys.append(None if cls in seen else _narrow(found))
-                seen.add(cls)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.binary())], ["mark", "n", "cls", "keys"])
-
-    return docs.select(docs[mark].cast("long").alias("mark"), docs["text"]).mapInArrow(run, "mark long, n long, cls long, keys binary")
-
-
-def order_codes(sets: DataFrame) -> np.ndarray:
-    """A 16-bit code for each cell of the count sketch, growing with the count of the shingles in it."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.uint32)
-        for batch in small_batches(batches, "keys"):
-            keys = np.concatenate([_wide(x) for x in batch.column(0).to_pylist()])
-            cells, n = np.unique((keys & np.uint64(SKETCH - 1)).astype(np.uint32), return_counts=True)
-            total[cells] += n.astype(np.uint32)
-        parts = [zstandard.compress(p.tobytes(), 1) for p in total.reshape(_PARTS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "data"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(zstandard.decompress(data), "<u4").astype(np.uint64)
-                sums[part] = sums[part] + own if part in sums else own
-        codes = [(1024 * np.log2(s.astype(np.float64) + 1)).astype("<u2").tobytes() for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(codes, pa.binary())], ["part", "data"])
-
-    tasks = 2 * sets.sparkSession.sparkContext.defaultParallelism
-    rows = sets.select("keys").coalesce(tasks).mapInArrow(count, "part int, data binary").repartition(_PARTS, "part").mapInArrow(add, "part int, data binary").collect()
-    out = np.zeros((_PARTS, SKETCH // _PARTS), np.uint16)
-    for part, data in rows:
-        out[part] = np.frombuffer(bytes(data), "<u2")
-    return out.reshape(-1)
-
-
-def _ordered(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return np.sort((codes[(keys & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(_BITS)) | keys)
+                row: tuple = (0, None, None, None, None, None)
+                if words:
+                    found = _hashes(words, k, known)
+                    cls = xxhash.xxh3_64_intdigest(found.tobytes())
+                    cls -= (cls >> 63) << 64
+                    n = len(found)
+                    row = (n, cls, None, None, None, None)
+                    if cls not in seen:
+                        seen.add(cls)
+                        keys = np.unique(found >> np.uint64(64 - _BITS))
+                        counted = limit.counted(keys, n)
+                        others = (keys & np.uint64(0xFFFF)) >= limit.first
+                        rest = keys[others] if len(counted) < len(keys) else keys[:0]
+                        short = limit.prefix(n) - (len(keys) - int(others.sum())) if n >= SMALL else 0
+                        if held > BLOCK:
+                            block, held = block + 1, 0
+                        held += len(counted)
+                        row = (n, cls, block, _narrow(counted), _narrow(rest), _narrow(keys[others][:short]) if short > 0 else None)
+                for col, value in zip(out, row, strict=True):
+                    col.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["mark", "id", "n", "cls", "block", "counted", "rest", "spill"])
+
+    return source.mapInArrow(run, "mark long, id long, n long, cls long, block long, counted binary, rest binary, spill binary")
+
+
+# Frequencies
+
+
+def _squeeze(keys: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte by byte of these, compressed."""
+    steps = np.diff(keys, prepend=np.zeros(1, np.uint64)).astype("<u8")
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _expand(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def frequencies(sets: DataFrame, limit: Threshold) -> DataFrame:
+    """block, keys, counts: for each block, parts of its counted shingles that stand in two sets or more."""
+    expected = sets.agg(F.sum(F.octet_length("counted"))).first()[0] or 0
+    shards = max(2 * sets.sparkSession.sparkContext.defaultParallelism, expected // 6 // SHARD + 1)
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            keys = np.sort(np.concatenate(parts))
+            shard = ((keys >> np.uint64(_BITS + 1 - 32)) * np.uint64(shards)) >> np.uint64(32)
+            own, at = np.unique(shard, return_index=True)
+            rows = [_squeeze(p) for p in np.split(keys, at[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary())], ["shard", "block", "data"])
+
+        block, parts, size = None, [], 0
+        for batch in small_batches(batches, "counted"):
+            for b, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != block or size > 2 * BLOCK:
+                    if size:
+                        yield done()
+                    block, parts, size = b, [], 0
+                parts += limit.worlds(_wide(data), n)
+                size += len(data) // 6
+        if size:
+            yield done()
+
+    def answer(group: pa.Table) -> pa.Table:
+        keys = [_expand(d) for d in group.column("data").to_pylist()]
+        ends = np.cumsum([len(k) for k in keys])
+        _, at, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        found, numbers = [], []
+        for own, part in zip(keys, np.split(counts[at], ends[:-1]), strict=True):
+            keep = (part > 1) & (np.diff(own, prepend=own[:1] + np.uint64(1)) != 0)
+            found.append(_squeeze(own[keep]))
+            numbers.append(zstandard.compress(part[keep].astype("<u4").tobytes(), 1))
+        return pa.table({"block": group.column("block"), "keys": pa.array(found, pa.binary()), "counts": pa.array(numbers, pa.binary())})
+
+    dealt = sets.select("block", "n", "counted").mapInArrow(deal, "shard int, block long, data binary")
+    return dealt.groupBy("shard").applyInArrow(answer, "block long, keys binary, counts binary")
 
-# Buckets
 
+# Buckets
 
-def buckets(sets: DataFrame, codes, num: int, den: int) -> DataFrame:
-    """bucket, cls, n, size: the members of each bucket with two or more, once for each set of members."""
-    expected = sets.agg(F.sum("n")).first()[0] or 0
-    shards = max(2 * sets.sparkSession.sparkContext.defaultParallelism, int(expected * (den - num) / den) // 2_000_000 + 1)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "keys"):
-            classes, sizes = np.array(batch.column(0).to_pylist(), np.int64), np.array(batch.column(1).to_pylist(), np.int64)
-            parts = []
-            for data in batch.column(2).to_pylist():
-                keys = _wide(data)
-                n = len(keys)
-                part = _ordered(keys, codes.value)[: n - -(-num * n // den) + 1] & np.uint64((1 << _BITS) - 1)
-                part[: n - -(-2 * num * n // (num + den)) + 1] |= _EARLY
-                parts.append(part)
-            keys = np.concatenate(parts)
-            own = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            shard = (((keys & ~_EARLY) >> np.uint64(16)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            names, rows = [], []
-            for s in range(shards):
-                pick = order[cuts[s] : cuts[s + 1]]
-                if len(pick):
-                    docs, at = np.unique(own[pick], return_inverse=True)
-                    data = np.array([len(pick), len(docs)], "<i8").tobytes() + keys[pick].astype("<u8").tobytes() + classes[docs].tobytes() + sizes[docs].tobytes() + at.astype("<u4").tobytes()
-                    names.append(s)
-                    rows.append(zstandard.compress(data, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(rows, pa.binary())], ["shard", "data"])
-
-    def gather(group: pa.Table) -> pa.Table:
-        keys, classes, sizes = [], [], []
-        for data in group.column("data").to_pylist():
-            data = zstandard.decompress(data)
-            n, m = np.frombuffer(data, "<i8", 2).tolist()
-            at = np.frombuffer(data, "<u4", n, 16 + 8 * n + 16 * m)
-            keys.append(np.frombuffer(data, "<u8", n, 16))
-            classes.append(np.frombuffer(data, "<i8", m, 16 + 8 * n)[at])
-            sizes.append(np.frombuffer(data, "<i8", m, 16 + 8 * n + 8 * m)[at])
-        key, cls, n = np.concatenate(keys), np.concatenate(classes), np.concatenate(sizes)
-        early = (key & _EARLY) > 0
-        key &= ~_EARLY
-        order = np.lexsort((cls, n, key))
-        key, cls, n, early = key[order], cls[order], n[order], early[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls, n, early = key[new], cls[new], n[new], early[new]
-        # By size: a pair's sizes are near, and its first common shingle comes early in the smaller. A member
-        # stays if it is early and the next is near, or if the last early one before it is; of equal sizes
-        # either may be the smaller.
-        lead, last = (np.full(len(key), -1) for _ in range(2))
-        if len(key):
-            own = np.flatnonzero(early)
-            before = np.searchsorted(own, np.arange(len(key))) - 1
-            lead = np.where(before >= 0, own[np.maximum(before, 0)] if len(own) else -1, -1)
-            after = np.searchsorted(own, np.arange(len(key)), "right")
-            last = np.where(after < len(own), own[np.minimum(after, len(own) - 1)] if len(own) else -1, -1)
-        ahead = np.zeros(len(key), bool)
-        ahead[:-1] = early[:-1] & (key[1:] == key[:-1]) & (n[:-1] * den >= n[1:] * num)
-        behind = (lead >= 0) & (key[lead] == key) & (n[lead] * den >= n * num)
-        level = (last >= 0) & (key[last] == key) & (n[last] == n)
-        met = ahead | behind | level
-        key, cls, n = key[met], cls[met], n[met]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(key)))
-        # A bucket's name is made of its members, so equal buckets have equal names, here and in other shards.
-        mixed = (cls.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) * _MIX
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        name = np.add.reduceat(mixed, first) if len(first) else np.zeros(0, np.uint64)
-        _, keep = np.unique(name, return_index=True)
-        good = np.zeros(len(first), bool)
-        good[keep] = size[keep] > 1
-        row = np.repeat(good, size)
-        return pa.table({"bucket": pa.array(np.repeat(name.view(np.int64), size)[row]), "cls": pa.array(cls[row]), "n": pa.array(n[row]), "size": pa.array(np.repeat(size, size)[row])})
-
-    dealt = sets.select("cls", "n", "keys").mapInArrow(deal, "shard int, data binary")
-    return dealt.groupBy("shard").applyInArrow(gather, "bucket long, cls long, n long, size long").dropDuplicates(["bucket", "cls"])
+def _bucket(keys: np.ndarray, band: int) -> np.ndarray:
+    out = (keys ^ (np.uint64(band + 1) << np.uint64(56))) * _MIX
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
+
+
+def postings(sets: DataFrame, answers: DataFrame, limit: Threshold) -> DataFrame:
+    """bucket, cls, n, early: where each class stands by the shared shingles of its prefix."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = [_expand(d) for d in right.column("keys").to_pylist()]
+        counts = [np.frombuffer(zstandard.decompress(d), "<u4") for d in right.column("counts").to_pylist()]
+        keys, counts = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, counts))
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order].astype(np.uint64)
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for cls, n, data, spill in zip(*(left.column(c).to_pylist() for c in ("cls", "n", "counted", "spill")), strict=True):
+            band, full, early = int(math.log(n) / limit.band), limit.prefix(n), limit.early(n)
+            for own in limit.worlds(_wide(data), n):
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    often = np.where(keys[at] == own, counts[at], 1)
+                else:
+                    often = np.ones(len(own), np.uint64)
+                by = np.lexsort((own, often))[:full]
+                own, shared = own[by], often[by] > 1
+                if len(own) < full and spill:
+                    more = (_wide(spill)[: full - len(own)] << np.uint64(1)) | np.uint64(1)
+                    own, shared = np.concatenate([own, more]), np.concatenate([shared, np.ones(len(more), bool)])
+                # As the larger or equal in its own band, as the smaller also in the next.
+                soon = shared.copy()
+                soon[early:] = False
+                for b, pick in ((band, shared), (band + 1, soon)):
+                    if pick.any():
+                        out[0].append(_bucket(own[pick], b))
+                        out[1].append(np.full(len(out[0][-1]), cls))
+                        out[2].append(np.full(len(out[0][-1]), n))
+                        out[3].append(soon[pick])
+        kinds = (np.int64, np.int64, np.int64, bool)
+        return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0, t)) for c, x, t in zip(("bucket", "cls", "n", "early"), out, kinds, strict=True)})
+
+    own = sets.select("block", "cls", "n", "counted", "spill")
+    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "bucket long, cls long, n long, early boolean")
+
+
+def members_of(posts: DataFrame) -> DataFrame:
+    """bucket, cls, n, size, hub, hub_n: the members of each bucket with two or more, once for each set of members."""
+    once = settle(posts.groupBy("bucket", "cls", "n").agg(F.max("early").alias("early")), "posts")
+    mixed = F.xxhash64("cls")
+    sums = once.groupBy("bucket").agg(F.bit_xor(mixed).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("size"), F.max("early").alias("early"), F.min_by("cls", mixed).alias("hub"), F.min_by("n", mixed).alias("hub_n"))
+    kept = sums.filter("size > 1 and early").groupBy("x", "y", "size").agg(F.min("bucket").alias("bucket"), F.first("hub").alias("hub"), F.first("hub_n").alias("hub_n"))
+    kept = settle(kept.select("bucket", "size", "hub", "hub_n"), "kept-buckets")
+    out = settle(once.select("bucket", "cls", "n").join(kept, "bucket"), "members")
+    drop(once, kept)
+    return out
 
 
 # The prefix tree
@@ -276,10 +330,10 @@ class PrefixTree:
                 stack.append((a, b, end, overlap))
 
 
-def _links(num: int, den: int, codes):
+def _links(num: int, den: int):
     def run(group: pa.Table) -> pa.Table:
         classes, comps, sides = (group.column(c).to_pylist() for c in ("cls", "comp", "side"))
-        sets = [_ordered(_wide(k), codes.value) for k in group.column("keys").to_pylist()]
+        sets = [np.sort(_wide(a + b)) for a, b in zip(group.column("counted").to_pylist(), group.column("rest").to_pylist(), strict=True)]
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -288,7 +342,7 @@ def _links(num: int, den: int, codes):
                 x = up
             return x
 
-        # Side 0 walks the tree of side 1; what stands on both sides (2) does both.
+        # Side 0 walks the tree of side 1.
         stored = [i for i, s in enumerate(sides) if s]
         tree, out = PrefixTree([sets[i] for i in stored]), []
         for i, s in enumerate(sides):
@@ -328,82 +382,107 @@ class Slots:
 
 
 def _needed(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """cls, keys of the classes in ``members`` and a few more, once each. Nearly all others are left out where they are read, so their keys are not moved."""
-    near = sets.select("cls", "keys").filter(Slots(members.select("cls").distinct(), "cls").may_have("cls"))
-    return near.groupBy("cls").agg(F.first("keys").alias("keys"))
+    """cls, counted, rest of the classes in ``members`` and a few more, once each, as a table. Nearly all others are left out where they are read."""
+    slots = Slots(members, "cls")
+    near = sets.select("cls", "counted", "rest").filter(slots.may_have("cls"))
+    out = settle(near.groupBy("cls").agg(F.first(F.struct("counted", "rest")).alias("s")).select("cls", "s.counted", "s.rest"), "keys")
+    slots.shared.destroy()
+    return out
 
 
-def _join(tasks: DataFrame, keys: DataFrame, codes, num: int, den: int, tag: str) -> DataFrame:
+def _join(tasks: DataFrame, keys: DataFrame, num: int, den: int) -> DataFrame:
     """Links a, b found in ``tasks`` (task, cls, comp, side): each task is one bounded group."""
-    return settle(tasks.join(keys.hint("merge"), "cls").groupBy("task").applyInArrow(_links(num, den, codes), "a long, b long"), tag)
+    return settle(tasks.join(keys.hint("merge"), "cls").groupBy("task").applyInArrow(_links(num, den), "a long, b long"), "links")
 
 
 # Components
 
 
 def components(links: DataFrame) -> DataFrame:
-    """cls, root: the least class of each component, for all classes that have a link."""
+    """cls, root: the least class of each component, for all classes that have a link, as a table."""
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
     while True:
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if before == now:
-            return edges.select(F.col("u").alias("cls"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("cls"), F.col("v").alias("root")).distinct())
+            out = settle(edges.select(F.col("u").alias("cls"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("cls"), F.col("v").alias("root")).distinct()), "labels")
+            drop(edges)
+            return out
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # The least neighbours are a table, so that a join by a hot class can be split.
+        least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = settle(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
+        drop(edges, least)
+        least = settle(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         edges = settle(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        drop(large, least)
+
+
+def _parts(count: Column, keys: Column, chunk: int) -> Column:
+    """Into how many chunks so many sets of so many shingles are cut."""
+    return F.greatest(F.ceil(count / chunk), F.ceil(keys / CHUNK_KEYS), F.lit(1)).cast("int")
 
 
-def classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), mark: str = "doc_id", chunk: int = 256) -> tuple[DataFrame, DataFrame]:
-    """The rows (mark, n, cls), and the links' components (cls, root)."""
+def classes(source: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """The rows (mark, id, n, cls) of ``source`` (mark, id, text), and the links' components (cls, root)."""
     num, den = threshold
-    every = settle(sets_of(docs, k, mark), "sets")
-    rows, sets = settle(every.select("mark", "n", "cls"), "rows"), every.filter("keys is not null").select("cls", "n", "keys")
-    codes = docs.sparkSession.sparkContext.broadcast(order_codes(sets))
-    members = settle(buckets(sets, codes, num, den), "buckets")
-    near = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
+    limit = Threshold(num, den)
+    every = settle(sets_of(source, k, limit), "sets")
+    sets = every.filter("counted is not null")
+    answers = settle(frequencies(sets, limit), "frequencies")
+    members = members_of(postings(sets, answers, limit))
+    keys = _needed(sets, members)
+    rows = settle(every.select("mark", "id", "n", "cls"), "rows")
+    drop(every, answers)
 
     # First round: hubs.
-    weight = members.groupBy("cls").agg(F.sum(F.col("size") - 1).alias("weight"))
-    hubs = members.join(weight, "cls").groupBy("bucket").agg(F.max(F.struct("weight", F.col("cls").alias("hub"), F.col("n").alias("hub_n"))).alias("h")).select("bucket", "h.hub", "h.hub_n")
-    keys = settle(_needed(sets, members), "keys")
-    drop(every)
-    stars = settle(members.join(hubs, "bucket").filter((F.col("cls") != F.col("hub")) & near(F.col("n"), F.col("hub_n"))).select("hub", "cls").distinct(), "stars")
-    counts = stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
-    starred = stars.join(counts, "hub").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    stars = members.filter((F.col("cls") != F.col("hub")) & (F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num)).select("hub", "cls", "n").distinct()
+    stars = settle(stars, "stars")
+    counts = settle(stars.groupBy("hub").agg(_parts(F.count(F.lit(1)), F.sum("n"), chunk).alias("parts")), "counts")
+    starred = stars.join(counts, "hub").select("hub", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"))
     spokes = starred.select(F.xxhash64("hub", "part").alias("task"), "cls", F.col("cls").alias("comp"), F.lit(1).alias("side"))
-    centres = starred.select("hub", "part").distinct().select(F.xxhash64("hub", "part").alias("task"), F.col("hub").alias("cls"), F.col("hub").alias("comp"), F.lit(0).alias("side"))
-    links = _join(spokes.unionByName(centres), keys, codes, num, den, "links")
-    labels = settle(components(links), "labels")
+    centres = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.xxhash64("hub", "part").alias("task"), F.col("hub").alias("cls"), F.col("hub").alias("comp"), F.lit(0).alias("side"))
+    links = _join(spokes.unionByName(centres), keys, num, den)
+    labels = components(links)
+    drop(stars, counts)
 
     # Second round: what the buckets of one hub hold besides it, where it is not connected yet.
-    labelled = members.filter("size > 2").join(labels, "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("comp"))
-    besides = labelled.join(hubs.select("bucket", "hub"), "bucket").filter("cls <> hub")
-    split = besides.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
-    work = settle(besides.join(split, "bucket", "left_semi").select(F.col("hub").alias("bucket"), "cls", "comp").distinct(), "work")
-    largest = work.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.sum("c").alias("all"), F.max("c").alias("own"))
-    sized = largest.select("bucket", "main", F.ceil(F.col("all") / chunk).cast("int").alias("parts"), F.greatest(F.ceil((F.col("all") - F.col("own")) / chunk), F.lit(1)).cast("int").alias("rest"))
-    cut = work.join(sized, "bucket").withColumns({"p": F.pmod(F.xxhash64("cls"), F.col("parts")), "q": F.pmod(F.xxhash64("cls", F.lit(1)), F.col("rest"))})
-    # Those outside the largest component walk trees of all members, chunk against chunk.
-    stored = cut.select("bucket", "cls", "comp", F.col("p").cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("q"), F.lit(1).alias("side"))
-    walking = cut.filter(F.col("comp") != F.col("main")).select("bucket", "cls", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.col("q").cast("int").alias("q"), F.lit(0).alias("side"))
-    tasks = stored.unionByName(walking).select(F.xxhash64("bucket", "p", "q").alias("task"), "cls", "comp", "side")
-    more = _join(tasks, keys.filter(Slots(tasks, "cls").may_have("cls")), codes, num, den, "links")
-    if not more.isEmpty():
-        labels = settle(components(links.unionByName(more)), "labels")
+    besides = members.filter("size > 2 and cls <> hub").join(labels, "cls", "left").select("bucket", "hub", "cls", "n", F.coalesce("root", "cls").alias("comp"))
+    besides = settle(besides, "besides")
+    split = settle(besides.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket"), "split")
+    work = settle(besides.join(split, "bucket", "left_semi").select("hub", "cls", "n", "comp").distinct(), "work")
+    drop(members, besides, split)
+    if not work.isEmpty():
+        sums = work.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+        sums = sums.groupBy("hub").agg(F.max(F.struct("c", "comp", "s")).alias("most"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+        sized = settle(sums.select("hub", F.col("most.comp").alias("main"), _parts(F.col("c"), F.col("s"), chunk).alias("parts"), _parts(F.col("c") - F.col("most.c"), F.col("s") - F.col("most.s"), chunk).alias("others")), "sized")
+        cut = work.join(sized, "hub").withColumns({"p": F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"), "q": F.pmod(F.xxhash64("cls", F.lit(1)), F.col("others")).cast("int")})
+        # Those outside the largest component walk trees of all members, chunk against chunk.
+        stored = cut.select("hub", "cls", "comp", "p", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("q"), F.lit(1).alias("side"))
+        walking = cut.filter(F.col("comp") != F.col("main")).select("hub", "cls", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "q", F.lit(0).alias("side"))
+        tasks = stored.unionByName(walking).select(F.xxhash64("hub", "p", "q").alias("task"), "cls", "comp", "side")
+        more = _join(tasks, keys, num, den)
+        if not more.isEmpty():
+            old, labels = labels, components(links.unionByName(more))
+            drop(old)
+        drop(more, sized)
+    drop(links, work, keys)
     return rows, labels
 
 
 def link(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id: the least id of those reachable by links, itself included."""
-    rows, labels = classes(docs, k, threshold)
-    own = rows.filter("cls is not null").groupBy("cls").agg(F.min("mark").alias("least")).join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")
-    return rows.join(named, "cls", "left").select(F.col("mark").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("mark")).otherwise(F.col("component_id")).alias("component_id"))
+    ids = docs["doc_id"].cast("long")
+    rows, labels = classes(docs.select(ids.alias("mark"), ids.alias("id"), docs["text"].alias("text")), k, threshold)
+    filled = rows.filter("cls is not null")
+    own = filled.groupBy("cls").agg(F.min("id").alias("least")).join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    own = settle(own.select("cls", "root", "least"), "classes")
+    roots = settle(own.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    named = settle(own.join(roots, "root").select("cls", "component_id"), "named")
+    found = filled.join(named, "cls").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    return found.unionByName(rows.filter("cls is null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -415,12 +494,15 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)
     while number in docs.columns:
         number = "_" + number
     numbered = docs.withColumn(number, F.monotonically_increasing_id())
-    rows, labels = classes(numbered, k, threshold, number)
-    ids = numbered.select(F.col(number).alias("mark"), docs["doc_id"].alias("id"))
-    own = rows.filter("cls is not null").join(labels, "cls", "left").select("mark", F.coalesce("root", "cls").alias("root")).join(ids, "mark")
+    rows, labels = classes(numbered.select(F.col(number).alias("mark"), docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text")), k, threshold)
+    # Copies of a text first, then the first rows of linked texts: only rows that have any company are moved on.
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("mark").alias("mark"))
-    first = own.groupBy("root").agg(F.min(rank)["mark"].alias("first"))
-    gone = settle(own.join(first, "root").filter("mark <> first").select(F.col("mark").alias(number)), "copies")
+    filled = rows.filter("cls is not null")
+    own = settle(filled.groupBy("cls").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("c")).join(labels, "cls", "left").filter("c > 1 or root is not null").select("cls", F.coalesce("root", "cls").alias("root"), "first"), "classes")
+    roots = settle(own.groupBy("root").agg(F.min("first")["mark"].alias("first")), "roots")
+    firsts = settle(own.select("cls", "root").join(roots, "root").select("cls", "first"), "firsts")
+    gone = settle(filled.join(firsts, "cls").filter("mark <> first").select(F.col("mark").alias(number)), "copies")
+    drop(own, roots, firsts, rows, labels)
     # Rows that surely stay are not moved; only the others meet the list.
     maybe = Slots(gone, number).may_have(number)
     kept = numbered.filter(~maybe).unionByName(numbered.filter(maybe).join(gone, number, "left_anti"))

@@ -72,7 +72,7 @@ def test_join_equals_brute_force(spark, k, num, chunk, seed):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     whole = ngram_join.classes
     try:
-        ngram_join.classes = lambda d, k, t, mark="doc_id": whole(d, k, t, mark, chunk=chunk)
+        ngram_join.classes = lambda d, k, t: whole(d, k, t, chunk=chunk)
         got = [tuple(r) for r in ngram_join.link(docs, k, (num, 100)).collect()]
     finally:
         ngram_join.classes = whole
