@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +83,14 @@ def filter_texts(docs: DataFrame, keep: Callable[[list[str | None]], Sequence[bo
             yield batch.filter(pa.array(keep(batch.column(batch.schema.get_field_index(text)).to_pylist()), pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
+def squeeze(keys: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte by byte of these, compressed."""
+    steps = np.diff(keys, prepend=np.zeros(1, np.uint64)).astype("<u8")
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def expand(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)

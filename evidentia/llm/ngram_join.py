@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm._shared import drop, settle, small_batches
+from evidentia.llm._shared import drop, expand, settle, small_batches, squeeze
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 48
@@ -164,17 +164,6 @@ def sets_of(source: DataFrame, k: int, limit: Threshold) -> DataFrame:
 # Frequencies
 
 
-def _squeeze(keys: np.ndarray) -> bytes:
-    """Sorted numbers as differences, byte by byte of these, compressed."""
-    steps = np.diff(keys, prepend=np.zeros(1, np.uint64)).astype("<u8")
-    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def _expand(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
-
-
 def frequencies(sets: DataFrame, limit: Threshold) -> DataFrame:
     """block, keys, counts: for each block, parts of its counted shingles that stand in two sets or more."""
     expected = sets.agg(F.sum(F.octet_length("counted"))).first()[0] or 0
@@ -185,7 +174,7 @@ def frequencies(sets: DataFrame, limit: Threshold) -> DataFrame:
             keys = np.sort(np.concatenate(parts))
             shard = ((keys >> np.uint64(_BITS + 1 - 32)) * np.uint64(shards)) >> np.uint64(32)
             own, at = np.unique(shard, return_index=True)
-            rows = [_squeeze(p) for p in np.split(keys, at[1:])]
+            rows = [squeeze(p) for p in np.split(keys, at[1:])]
             return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary())], ["shard", "block", "data"])
 
         block, parts, size = None, [], 0
@@ -201,13 +190,13 @@ def frequencies(sets: DataFrame, limit: Threshold) -> DataFrame:
             yield done()
 
     def answer(group: pa.Table) -> pa.Table:
-        keys = [_expand(d) for d in group.column("data").to_pylist()]
+        keys = [expand(d) for d in group.column("data").to_pylist()]
         ends = np.cumsum([len(k) for k in keys])
         _, at, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         found, numbers = [], []
         for own, part in zip(keys, np.split(counts[at], ends[:-1]), strict=True):
             keep = (part > 1) & (np.diff(own, prepend=own[:1] + np.uint64(1)) != 0)
-            found.append(_squeeze(own[keep]))
+            found.append(squeeze(own[keep]))
             numbers.append(zstandard.compress(part[keep].astype("<u4").tobytes(), 1))
         return pa.table({"block": group.column("block"), "keys": pa.array(found, pa.binary()), "counts": pa.array(numbers, pa.binary())})
 
@@ -228,7 +217,7 @@ def postings(sets: DataFrame, answers: DataFrame, limit: Threshold) -> DataFrame
     """bucket, cls, n, early: where each class stands by the shared shingles of its prefix."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = [_expand(d) for d in right.column("keys").to_pylist()]
+        keys = [expand(d) for d in right.column("keys").to_pylist()]
         counts = [np.frombuffer(zstandard.decompress(d), "<u4") for d in right.column("counts").to_pylist()]
         keys, counts = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, counts))
         order = np.argsort(keys, kind="stable")

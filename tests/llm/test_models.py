@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from evidentia.llm import language_id, lm_score, quality_classifier
 from evidentia.llm._shared import fold
@@ -67,10 +68,40 @@ def test_quality_on_odd_and_empty_tables(spark):
 
 
 def test_elias_fano():
+    """Numbers and successors read in place, without and within bounds."""
     rng = np.random.default_rng(2)
-    for n, universe in ((0, 10), (1, 1), (5, 2**52), (1000, 1000), (3000, 2**60), (100, 300)):
+    for n, universe in ((0, 10), (1, 1), (5, 2**52), (1000, 1000), (3000, 2**60), (100, 300), (5000, 2**33), (2000, 40)):
         v = np.sort(rng.integers(0, universe, n).astype(np.uint64))
-        assert np.array_equal(lm_score.ef_decode(lm_score.ef_encode(v, universe)), v)
+        data = lm_score.EliasFano.encode(v, universe)
+        held = lm_score.EliasFano(memoryview(data))
+        assert np.array_equal(held.at(np.arange(n)), v)
+        asked = np.concatenate([v[:50], rng.integers(0, universe, 200).astype(np.uint64)])
+        at, found = held.successor(asked)
+        assert np.array_equal(at, np.searchsorted(v, asked)) and np.array_equal(found, np.isin(asked, v))
+        begin, end = np.full(len(asked), n // 4), np.full(len(asked), n // 2)
+        at, found = held.successor(asked, begin, end)
+        assert np.array_equal(at, n // 4 + np.searchsorted(v[n // 4 : n // 2], asked)) and np.array_equal(found, np.isin(asked, v[n // 4 : n // 2]))
+        assert np.array_equal(lm_score.expand(lm_score.squeeze(v)), v)
+
+
+def test_trie_stays_compact():
+    """A built trie holds no array beside its mapping, and the mapping is much smaller than plain arrays."""
+    rng = np.random.default_rng(3)
+    words, contexts = (np.unique(rng.integers(0, 2**n, size, dtype=np.uint64) & ~np.uint64(1)) for n, size in ((63, 5_000), (52, 20_000)))
+    rank = np.sort(rng.integers(0, len(contexts), 100_000)).astype(np.uint64)
+    entries = np.unique((rank << np.uint64(32)) | rng.integers(0, 2**32, len(rank), dtype=np.uint64))
+    trie = lm_score.Trie(words, np.arange(1, len(words) + 1), contexts, np.full(len(contexts), 7), entries, np.full(len(entries), 0.25), (0, 2**63, 0, 2**52))
+    for part in (trie.words, trie.contexts, trie.begin, trie.entries):
+        assert all(x.base is not None and not x.flags.owndata for x in (part.lows, part.words, part.zeros))
+    assert not any(x.flags.owndata for x in (trie.ones, trie.twos, trie.chances))
+    assert trie.size < 0.65 * (16 * len(words) + 10 * len(contexts) + 8 * len(contexts) + 10 * len(entries))
+    assert np.array_equal(trie.word_counts(words), np.arange(1, len(words) + 1)) and trie.word_counts(words[:9] + np.uint64(2)).sum() == 0
+    at, codes = trie.context_codes(contexts)
+    assert np.array_equal(at, np.arange(len(contexts))) and len(set(codes.tolist())) == 1
+    got = trie.chance_codes((entries >> np.uint64(32)).astype(np.int64), entries & np.uint64(0xFFFFFFFF))
+    assert np.allclose(lm_score.chance_of(got), 0.25, rtol=1e-3)
+    other = (np.array([0, 1, -1]), np.array([5, 6, 7], np.uint64))
+    assert trie.chance_codes(*other).sum() == 0
 
 
 def brute(rows, m2, m3):
@@ -95,14 +126,19 @@ def brute(rows, m2, m3):
     return out
 
 
-def test_scores_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [10**9, 30])
+def test_scores_equal_brute_force(spark, hot):
+    """Also where the words after frequent contexts are dealt in parts."""
     rng = random.Random(9)
     rows = [(i, " ".join(words(rng, rng.randrange(60), 30))) for i in range(60)] + [(60, None), (61, ""), (None, "w1 W2 w3"), (5, "w1 w2"), (5, "w1 w2")]
+    rows += [(100 + i, "w1 w2 " * 9) for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted((tuple(r) for r in lm_score.score(docs, fold("doc_id", 7) == 2, block_bytes=1000, shard_bytes=500, m2=20.0, m3=3.0).collect()), key=lambda r: (str(r[0]), r[2], r[5]))
+    blocks = lm_score.blocks_of(docs.withColumn("held_out", lm_score.F.lit(False)), 1000, 52, hot)
+    assert len(lm_score.hot_contexts(blocks, hot)[0]) > 1 or hot > 100
+    got = sorted((tuple(r) for r in lm_score.score(docs, fold("doc_id", 7) == 2, block_bytes=1000, shard_bytes=500, m2=20.0, m3=3.0, hot=hot).collect()), key=lambda r: (str(r[0]), r[2], r[5]))
     want = sorted(brute(rows, 20.0, 3.0), key=lambda r: (str(r[0]), r[2], r[5]))
     for a, b in zip(got, want, strict=True):
-        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-9 and abs(a[6] - b[6]) <= 2e-3 * max(1, abs(b[6]))
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-9 and abs(a[6] - b[6]) <= 2e-3 * max(1, abs(b[6])) and abs(a[7] * a[2] - a[6]) < 1e-9 * max(1, -a[6])
 
 
 def test_scores_of_odd_empty_and_unlearned_tables(spark):
