@@ -1,17 +1,19 @@
 """Main text of web pages by line-block distribution.
 
-Markup is read in one pass. Each block element is a line; scripts, styles, comments and elements that are
-menus, headers, footers, sidebars, notices, adverts, forms or reader comments, by tag, role, class or id,
-give empty lines, and so do the borders of containers. Over the lines, text lengths (without link text) are
-summed in sliding windows: the main text begins where the sum surges above a threshold and ends where the
-sum dives to nothing. All such stretches are kept. Their edges are then moved out to the borders of the innermost
+Markup is read in one pass, in time linear in the page. Each block element is a line; scripts, styles, comments and
+elements that are menus, headers, footers, sidebars, notices, adverts, forms or reader comments, by tag, role, class
+or id, give empty lines, and so do the borders of containers. Over the lines, text lengths (without link text) are
+summed in sliding windows: the main text begins where the sum surges above a threshold and ends where it dives: at the
+first empty line. All such stretches are kept. Their edges are then moved out to the borders of the innermost
 container that holds nearly all of their text, so that a heading or a short paragraph in it stays. Article and main
 elements are containers like others. An element whose name only has a furniture word among others, like
 main-with-sidebar, stays if it holds more than half of the page's text. Where no sum surges, all lines with text outside links are kept, and
 those in an article or main element.
 
-Defined cases: null and empty pages give empty texts; unclosed or cut markup ends where its parent or the page ends;
-repeated rows are each extracted; other columns are ignored; an empty table gives no rows.
+Character references are decoded within one run of text; a reference that a tag cuts in two is none.
+
+Defined cases: null and empty pages give empty texts; unclosed or cut markup ends where its parent or the page ends, and
+a tag without an end is dropped with what follows; repeated rows are each extracted; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 _TAG = re.compile(
     r"""<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>"']|"[^"<]*"|'[^'<]*')*+)>|([^>]*)>)|[!?][^>]*>)""",
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 # Names of HTML elements, as its standard has them.
 _RAW = frozenset("script style noscript template textarea title svg iframe math object select canvas audio video xmp noembed noframes".split())
@@ -49,7 +51,8 @@ _FURNITURE = frozenset(
 #: A header named after the content stands over it: title and date.
 _CONTENT = frozenset("article content main post entry story body text".split())
 _ABOUT = frozenset("has no with without show hide is".split())
-_SPLIT = re.compile(r"[a-z]+(?![a-z])|[a-z]+")
+_CUT = re.compile(r"<[a-zA-Z/!][^>]*\Z")
+_SPLIT = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 LINK, ARTICLE, SKIP, SURE = 1, 2, 4, 8
@@ -79,157 +82,208 @@ def _furniture(attrs: str, heading: bool) -> int:
     return doubt
 
 
-def lines_of(page: str, spared: frozenset[int] | None = None) -> list[tuple[str, int, bool, tuple[int, ...]]]:
-    """Lines in page order: text, length without link text, whether in an article or main element, containers from outside in.
+class Lines:
+    """Lines of a page in order: their text, length without link text, whether in an article or main element, container.
 
-    An empty text marks a border between containers or a piece of furniture. spared: where the elements begin
-    that stay in spite of a compound name; by default those that hold more than half of the page's text.
+    An empty text marks a border between containers or a piece of furniture. Containers are numbered as they begin, 0
+    is the page; ``parent`` has the one around each.
     """
-    out: list[tuple[str, int, bool, tuple[int, ...]]] = []
-    # Elements in doubt: depth in the stack, where they begin, the page's text before them; and how much those that ended hold.
-    doubts: list[tuple[int, int, int]] = []
-    held: dict[int, int] = {}
-    seen = 0
-    stack: list[tuple[str, int, tuple[int, ...]]] = []
-    parts: list[str] = []
-    links = pos = count = 0
-    flags, path = 0, (0,)
-    end = len(page)
-
-    def flush() -> None:
-        nonlocal links
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+
+    def __init__(self, page: str, spared: frozenset[int] = frozenset()):
+        """spared: where the elements begin that stay in spite of a compound name."""
+        self.text: list[str] = []
+        self.size: list[int] = []
+        self.inside: list[bool] = []
+        self.container: list[int] = []
+        self.parent = [0]
+        #: Text seen outside links and what surely is furniture; and of it, in elements in doubt by where they begin.
+        self.seen, self.doubtful = 0, {}
+        self._stack: list[tuple[str, int, int, int]] = []  # tag, flags, container, and where it begins if in doubt, else -1
+        self._before: list[int] = []
+        self._open: dict[str, list[int]] = {}
+        self._holders: list[int] = []
+        self._parts: list[str] = []
+        self._links, self._flags, self._at = 0, 0, 0
+        self._read(page, spared)
+
+    def _flush(self) -> None:
+        if self._parts:
+            text = " ".join("".join(self._parts).split())
             if text:
-                out.append((text, max(len(text) - links, 0), bool(flags & ARTICLE), path))
-            parts.clear()
-        links = 0
-
-    def border() -> None:
-        if out and out[-1][0]:
-            out.append(("", 0, False, ()))
-
-    def shut(depth: int) -> None:
-        nonlocal flags, path
-        while doubts and doubts[-1][0] >= depth:
-            _, at, before = doubts.pop()
-            held[at] = seen - before
-        del stack[depth:]
-        flags, path = stack[-1][1:] if stack else (0, (0,))
-
-    while pos < end:
-        m = _TAG.search(page, pos)
-        chunk = page[pos : m.start() if m else end]
-        if not m:
-            chunk = re.sub(r"<[a-zA-Z/!][^>]*\Z", "", chunk)
-        if chunk and not flags & (SURE | LINK):
-            seen += len(chunk.strip())
-        if chunk and not flags & SKIP:
-            parts.append(chunk)
-            if flags & LINK:
-                links += len(chunk.strip())
-        if not m:
-            break
-        pos = m.end()
-        if m[1]:
-            stop = page.find("-->", m.end())
-            pos = end if stop < 0 else stop + 3
-            continue
-        if not m[3]:
-            continue
-        tag, attrs = m[3].lower(), m[4] or m[5] or ""
-        if m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if tag in _BLOCK:
-                if not flags & SKIP:
-                    flush()
-                skipped = flags & SKIP
-                if depth >= 0:
-                    shut(depth)
-                if tag in _CONTAINER and not skipped:
-                    border()
-            elif depth >= 0 and not any(t in _CONTAINER for t, _, _ in stack[depth + 1 :]):
-                shut(depth)
-            continue
-        if tag in _RAW:
-            if not attrs.rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-                pos = close.end() if close else end
-            continue
+                self.text.append(text)
+                self.size.append(max(len(text) - self._links, 0))
+                self.inside.append(bool(self._flags & ARTICLE))
+                self.container.append(self._at)
+            self._parts.clear()
+        self._links = 0
+
+    def _border(self) -> None:
+        if self.text and self.text[-1]:
+            self.text.append("")
+            self.size.append(0)
+            self.inside.append(False)
+            self.container.append(-1)
+
+    def _push(self, tag: str, flags: int, container: int, doubt: int) -> None:
+        self._open.setdefault(tag, []).append(len(self._stack))
+        if tag in _CONTAINER:
+            self._holders.append(len(self._stack))
+        self._stack.append((tag, flags, container, doubt))
+        self._before.append(self.seen)
+        self._flags, self._at = flags, container
+
+    def _shut(self, depth: int) -> None:
+        while len(self._stack) > depth:
+            tag, _, _, doubt = self._stack.pop()
+            before = self._before.pop()
+            self._open[tag].pop()
+            if tag in _CONTAINER:
+                self._holders.pop()
+            if doubt >= 0:
+                self.doubtful[doubt] = self.seen - before
+        self._flags, self._at = self._stack[-1][1:3] if self._stack else (0, 0)
+
+    def _words(self, chunk: str) -> None:
+        chunk = html.unescape(chunk) if "&" in chunk else chunk
+        if not self._flags & (SURE | LINK):
+            self.seen += len(chunk.strip())
+        if not self._flags & SKIP:
+            self._parts.append(chunk)
+            if self._flags & LINK:
+                self._links += len(chunk.strip())
+
+    def _end_tag(self, tag: str) -> None:
+        depth = self._open[tag][-1] if self._open.get(tag) else -1
         if tag in _BLOCK:
-            if not flags & SKIP:
-                flush()
+            skipped = self._flags & SKIP
+            if not skipped:
+                self._flush()
+            if depth >= 0:
+                self._shut(depth)
+            if tag in _CONTAINER and not skipped:
+                self._border()
+        elif depth >= 0 and not (self._holders and self._holders[-1] > depth):
+            self._shut(depth)
+
+    def _start_tag(self, tag: str, attrs: str, at: int, spared: frozenset[int]) -> None:
+        stack = self._stack
+        if tag in _BLOCK:
+            if not self._flags & SKIP:
+                self._flush()
             if stack and stack[-1][0] == "p":
-                shut(len(stack) - 1)
+                self._shut(len(stack) - 1)
             if tag in _WITHOUT and stack and stack[-1][0] == tag:
-                shut(len(stack) - 1)
+                self._shut(len(stack) - 1)
         if tag in _VOID or attrs.endswith("/") and tag not in _BLOCK:
-            continue
-        new = flags
+            return
+        if tag == "body":
+            self._shut(0)
+        new, doubt = self._flags, -1
         if tag in ("article", "main"):
             new |= ARTICLE
         if tag == "a":
             new |= LINK
-        doubt = False
-        if tag in _DROP or (tag == "header" and not flags & ARTICLE):
+        if tag in _DROP or (tag == "header" and not self._flags & ARTICLE):
             new |= SKIP | SURE
         elif attrs and tag not in ("html", "body", "article", "main"):
             found = _furniture(attrs, tag[0] == "h" and tag[1:].isdigit())
-            doubt = found == SKIP and not new & SURE
-            if not (doubt and m.start() in (spared or ())):
+            if found == SKIP and not new & SURE:
+                doubt = at
+            if at not in spared or found != SKIP:
                 new |= found
         if tag == "body":
-            shut(0)
             new = 0
         if tag == "a" and stack and stack[-1][0] == "a":
-            shut(len(stack) - 1)
+            self._shut(len(stack) - 1)
+        container = self._at
         if tag in _CONTAINER and not new & SKIP:
-            border()
-            count += 1
-            path = (*path, count)
-        if doubt:
-            doubts.append((len(stack), m.start(), seen))
-        stack.append((tag, new, path))
-        flags = new
-    if not flags & SKIP:
-        flush()
-    shut(0)
-    if spared is None:
-        most = frozenset(at for at, n in held.items() if 2 * n > seen)
-        if most:
-            return lines_of(page, most)
-    return out
+            self._border()
+            self.parent.append(container)
+            container = len(self.parent) - 1
+        self._push(tag, new, container, doubt)
 
+    def _read(self, page: str, spared: frozenset[int]) -> None:
+        pos, end, last = 0, len(page), page.rfind(">")
+        closers: dict[str, re.Pattern] = {}
+        unclosed: set[str] = set()
+        while pos < end:
+            m = _TAG.search(page, pos, last + 1) if pos <= last else None
+            if not m:
+                self._words(_CUT.sub("", page[pos:]))
+                break
+            if m.start() > pos:
+                self._words(page[pos : m.start()])
+            pos = m.end()
+            if m[1]:
+                stop = page.find("-->", pos)
+                pos = end if stop < 0 else stop + 3
+            elif m[3]:
+                tag, attrs = m[3].lower(), m[4] or m[5] or ""
+                if m[2]:
+                    self._end_tag(tag)
+                elif tag in _RAW:
+                    if not attrs.rstrip().endswith("/"):
+                        close = None
+                        if tag not in unclosed:
+                            close = closers.setdefault(tag, re.compile(rf"</{re.escape(tag)}\s*>", re.I)).search(page, pos)
+                        if not close:
+                            unclosed.add(tag)
+                        pos = close.end() if close else end
+                else:
+                    self._start_tag(tag, attrs, m.start(), spared)
+        if not self._flags & SKIP:
+            self._flush()
+        self._shut(0)
 
-def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
-    """The main text: blocks in page order, joined by a line break."""
-    lines = lines_of(page or "")
-    sizes = [size for _, size, _, _ in lines]
-    sums = [sum(sizes[i : i + window]) for i in range(len(lines))]
-    kept, i = [], 0
-    while i < len(lines):
-        if sums[i] < surge or not lines[i][0]:
+
+def lines_of(page: str) -> Lines:
+    """The lines of a page, where elements that only may be furniture stay if they hold more than half of its text."""
+    lines = Lines(page)
+    most = frozenset(at for at, n in lines.doubtful.items() if 2 * n > lines.seen)
+    return Lines(page, most) if most else lines
+
+
+def stretches(sizes: list[int], filled: list[bool], window: int, surge: int) -> list[tuple[int, int]]:
+    """Where the text begins and ends: from each surge of the window's sum to the next dive, an empty line."""
+    upto = [0]
+    for size in sizes:
+        upto.append(upto[-1] + size)
+    out, i = [], 0
+    while i < len(sizes):
+        if not filled[i] or upto[min(i + window, len(sizes))] - upto[i] < surge:
             i += 1
             continue
         stop = i
-        while stop < len(lines) and lines[stop][0]:
+        while stop < len(sizes) and filled[stop]:
             stop += 1
-        kept.append((i, stop, sum(sizes[i:stop])))
+        out.append((i, stop))
         i = stop
+    return out
+
+
+def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
+    """The main text: blocks in page order, joined by a line break."""
+    lines = lines_of(page or "")
+    kept = stretches(lines.size, [bool(t) for t in lines.text], window, surge)
     if not kept:
-        return "\n".join(text for text, size, inside, _ in lines if size or (inside and text))
-    most = max(n for _, _, n in kept)
-    held: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for begin, stop, n in kept:
-        if 8 * n >= most:
-            for _, size, _, path in lines[begin:stop]:
-                for d, container in enumerate(path):
-                    held[container] = held.get(container, 0) + size
-                    depth[container] = d
-    inner = max((c for c, n in held.items() if 10 * n >= 8 * held[0]), key=lambda c: (depth[c], -c))
-    found = {i for begin, stop, _ in kept for i in range(begin, stop)}
-    return "\n".join(text for i, (text, _, _, path) in enumerate(lines) if text and (i in found or inner in path))
+        return "\n".join(t for t, size, inside in zip(lines.text, lines.size, lines.inside, strict=True) if size or (inside and t))
+    totals = [sum(lines.size[a:b]) for a, b in kept]
+    # Text of the greater stretches in each container, and of all that is in it: inner containers have greater numbers.
+    held, depth = [0] * len(lines.parent), [0] * len(lines.parent)
+    for (a, b), total in zip(kept, totals, strict=True):
+        if 8 * total >= max(totals):
+            for c, size in zip(lines.container[a:b], lines.size[a:b], strict=True):
+                held[c] += size
+    for c in range(len(held) - 1, 0, -1):
+        held[lines.parent[c]] += held[c]
+    for c in range(1, len(depth)):
+        depth[c] = depth[lines.parent[c]] + 1
+    inner = max((c for c, n in enumerate(held) if 10 * n >= 8 * held[0]), key=lambda c: (depth[c], -c))
+    within = [False] * len(held)
+    for c in range(len(held)):
+        within[c] = c == inner or (c > 0 and within[lines.parent[c]])
+    found = {i for a, b in kept for i in range(a, b)}
+    return "\n".join(t for i, (t, c) in enumerate(zip(lines.text, lines.container, strict=True)) if t and (i in found or within[c]))
 
 
 def extract(pages: DataFrame, window: int = 3, surge: int = 60) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -65,6 +66,7 @@ def test_names_of_furniture():
 
 def test_extraction_of_damage(spark):
     assert html_extract.main_text(None) == "" and html_extract.main_text("") == ""
+    assert html_extract.main_text("<p>x &am<b>p;</b> &lt;y</p>") == "x &amp; <y"
     assert html_extract.main_text("<article><p>a &lt;b&gt; &am</p><p>cut <b>x</article><footer>no") == "a <b> &am\ncut x"
     assert html_extract.main_text("<article>one<br><p>two</p><script>never closed <p>three") == "one\ntwo"
     assert html_extract.main_text('<article><p title="a>b">t</p><a href="unclosed>x</a><p>u</p></article>').startswith("t")
@@ -96,6 +98,60 @@ def test_compound_names_skip_no_main_text(name):
     assert html_extract.main_text(page.format("x-y", LONG, "sidebar", LONG * 9)) == f"T\n{LONG.strip()}"
 
 
+def brute_stretches(sizes, filled, window, surge):
+    """The definition, line by line: in a stretch if some surging line stands before it with no empty line between."""
+    kept = []
+    for i in range(len(sizes)):
+        j = i
+        while j >= 0 and filled[j]:
+            if sum(sizes[j : j + window]) >= surge:
+                kept.append(i)
+                break
+            j -= 1
+    out = []
+    for i in kept:
+        if out and out[-1][1] == i:
+            out[-1] = (out[-1][0], i + 1)
+        else:
+            out.append((i, i + 1))
+    return out
+
+
+def test_stretches_equal_brute_force():
+    rng = random.Random(12)
+    for _ in range(300):
+        sizes = [rng.choice([0, 0, 5, 20, 40, 90]) for _ in range(rng.randrange(30))]
+        filled = [rng.random() < 0.8 for _ in sizes]
+        sizes = [n if f else 0 for n, f in zip(sizes, filled, strict=True)]
+        window, surge = rng.randrange(1, 5), rng.choice([1, 60, 100])
+        assert html_extract.stretches(sizes, filled, window, surge) == brute_stretches(sizes, filled, window, surge)
+
+
+def test_surges_decide_on_every_page_with_much_text(spark):
+    """On the pages of sf0.01 whose text is no mere title, surge and dive set the borders; an article element alone does not."""
+    decided = short = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        lines = html_extract.lines_of(r.html or "")
+        if html_extract.stretches(lines.size, [bool(t) for t in lines.text], 3, 60):
+            decided += 1
+        else:
+            short += 1
+            assert all(sum(lines.size[i : i + 3]) < 60 for i in range(len(lines.size)))
+    assert decided > 50 * short
+
+
+@pytest.mark.parametrize("name", ['class="content-with-sidebar"', 'class="side-by-side"', 'data-id="comment-7"', 'data-role="banner"', "data-class='ad'"])
+def test_names_that_are_none(name):
+    assert html_extract.main_text(f"<body><div {name}><p>{LONG}</p></div><div class='comment'>{LONG}</div></body>") == LONG.strip()
+
+
+@pytest.mark.parametrize("page", ["<a " * 330_000, "<div>" * 200_000 + LONG, "<b>" + "<div>" * 100_000 + "</b>" * 100_000, "<div class='x-sidebar'>" * 40_000 + LONG, "</x>" * 250_000, "<svg>a" * 160_000, '<a "' * 250_000 + ">", f"<div><p>{LONG}</p>" * 4000], ids=range(8))
+def test_hostile_pages_are_linear(page):
+    begin = time.perf_counter()
+    html_extract.main_text(page)
+    assert len(page) > 800_000 and time.perf_counter() - begin < 4
+
+
 def counts(text):
     w = re.findall("[^\x20\x09-\x0d]+", text or "")
     seen = defaultdict(list)
