@@ -13,8 +13,8 @@ shingles; sets near the limit stand in both. Shingles of one set alone can't be
 no others are done: no counting table of fixed size or broadcast has a part in this.
 
 What is left meets in buckets of one shingle and one band of sizes; buckets with the same members count once.
-Joining goes in two rounds. In the first, each bucket's hub (the member of least hash, so alike buckets have the same
-hub) is joined with the others, which links most copies of a text in linear work. In the second, the other
+Joining goes in two rounds. In the first, each bucket's hub (the member whose shingles are shared the most,
+so alike buckets have the same hub) is joined with the others, which links most copies of a text in linear work. In the second, the other
 members of buckets that are not connected yet are joined with each other, those of one hub together, without pairs
 that are connected already, so no link between different components is lost. A join stores the sets of one side in a
 prefix tree with one path for each common beginning; each set of the other side walks it, adds up the overlap along
@@ -214,7 +214,7 @@ def _bucket(keys: np.ndarray, band: int) -> np.ndarray:
 
 
 def postings(sets: DataFrame, answers: DataFrame, limit: Threshold) -> DataFrame:
-    """bucket, cls, n, early: where each class stands by the shared shingles of its prefix."""
+    """bucket, cls, n, weight, early: where each class stands by the shared shingles of its prefix. weight: how much it shares in all."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = [expand(d) for d in right.column("keys").to_pylist()]
@@ -222,7 +222,7 @@ def postings(sets: DataFrame, answers: DataFrame, limit: Threshold) -> DataFrame
         keys, counts = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, counts))
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order].astype(np.uint64)
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
         for cls, n, data, spill in zip(*(left.column(c).to_pylist() for c in ("cls", "n", "counted", "spill")), strict=True):
             band, full, early = int(math.log(n) / limit.band), limit.prefix(n), limit.early(n)
             for own in limit.worlds(_wide(data), n):
@@ -231,6 +231,7 @@ def postings(sets: DataFrame, answers: DataFrame, limit: Threshold) -> DataFrame
                     often = np.where(keys[at] == own, counts[at], 1)
                 else:
                     often = np.ones(len(own), np.uint64)
+                weight = min(int(often.sum()) - len(own), (1 << 30) - 1)
                 by = np.lexsort((own, often))[:full]
                 own, shared = own[by], often[by] > 1
                 if len(own) < full and spill:
@@ -244,19 +245,22 @@ def postings(sets: DataFrame, answers: DataFrame, limit: Threshold) -> DataFrame
                         out[0].append(_bucket(own[pick], b))
                         out[1].append(np.full(len(out[0][-1]), cls))
                         out[2].append(np.full(len(out[0][-1]), n))
-                        out[3].append(soon[pick])
-        kinds = (np.int64, np.int64, np.int64, bool)
-        return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0, t)) for c, x, t in zip(("bucket", "cls", "n", "early"), out, kinds, strict=True)})
+                        out[3].append(np.full(len(out[0][-1]), weight))
+                        out[4].append(soon[pick])
+        kinds = (np.int64, np.int64, np.int64, np.int64, bool)
+        return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0, t)) for c, x, t in zip(("bucket", "cls", "n", "weight", "early"), out, kinds, strict=True)})
 
     own = sets.select("block", "cls", "n", "counted", "spill")
-    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "bucket long, cls long, n long, early boolean")
+    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "bucket long, cls long, n long, weight long, early boolean")
 
 
 def members_of(posts: DataFrame) -> DataFrame:
     """bucket, cls, n, size, hub, hub_n: the members of each bucket with two or more, once for each set of members."""
-    once = settle(posts.groupBy("bucket", "cls", "n").agg(F.max("early").alias("early")), "posts")
+    once = settle(posts.groupBy("bucket", "cls", "n").agg(F.max("early").alias("early"), F.max("weight").alias("weight")), "posts")
+    # The greatest weight, and of ties one by hash, which all buckets with these members choose alike.
+    rank = F.shiftleft("weight", 32) + F.pmod(F.xxhash64("cls"), F.lit(1 << 32))
     mixed = F.xxhash64("cls")
-    sums = once.groupBy("bucket").agg(F.bit_xor(mixed).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("size"), F.max("early").alias("early"), F.min_by("cls", mixed).alias("hub"), F.min_by("n", mixed).alias("hub_n"))
+    sums = once.groupBy("bucket").agg(F.bit_xor(mixed).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("size"), F.max("early").alias("early"), F.max_by("cls", rank).alias("hub"), F.max_by("n", rank).alias("hub_n"))
     kept = sums.filter("size > 1 and early").groupBy("x", "y", "size").agg(F.min("bucket").alias("bucket"), F.first("hub").alias("hub"), F.first("hub_n").alias("hub_n"))
     kept = settle(kept.select("bucket", "size", "hub", "hub_n"), "kept-buckets")
     out = settle(once.select("bucket", "cls", "n").join(kept, "bucket"), "members")
