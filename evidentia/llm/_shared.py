@@ -94,3 +94,19 @@ def squeeze(keys: np.ndarray) -> bytes:
 def expand(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
+#: A small side under this measured size is broadcast; a greater one is dealt by key and one of so many numbers.
+BROADCAST_BYTES = 32 << 20
+SALTS = 64
+
+
+def join_small(big: DataFrame, small: DataFrame, key: str, spread: Column, small_bytes: int, how: str) -> DataFrame:
+    """``big`` with the rows of its key in ``small``, whose size was measured; ``spread`` deals a hot key's rows among the salts."""
+    if small_bytes <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), key, how)
+    salt = "__salt"
+    while salt in big.columns:
+        salt = "_" + salt
+    many = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn(salt, F.pmod(spread, F.lit(SALTS)).cast("int")).join(many, [key, salt], how).drop(salt)

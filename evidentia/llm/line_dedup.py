@@ -8,8 +8,8 @@ least ``min_pages`` such pages, is boilerplate of that host and is removed from
 Lines are compared without spaces, tabs and carriage returns around them, by a 64-bit hash. Counts are summed
 before the shuffle and dealt by host and line, so a host with a third of all pages is spread over all tasks.
 A host's boilerplate has at most (lines of a mean page) / ratio entries, whatever the number of pages. Page
-totals and boilerplate meet the lines and pages by host: broadcast while they are measured to be under
-``BROADCAST_BYTES``, otherwise dealt by host and one of ``SALTS`` numbers, so that no host is one task's.
+totals and boilerplate meet the lines and pages by host: broadcast while they are measured to be small, otherwise dealt by
+host and a salt, so that no host is one task's.
 
 Defined cases: a null text stays null, has no lines and all null texts of a host count as one page; a null host
 is the empty host; blank lines are neither counted nor removed; repeated rows count as one page and lose the
@@ -21,11 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm._shared import settle
+from evidentia.llm._shared import join_small, settle
 
 _BLANKS = " \t\r"
-BROADCAST_BYTES = 32 << 20
-SALTS = 64
 
 
 def _key(line: Column) -> Column:
@@ -36,17 +34,6 @@ def _filled(line: Column) -> Column:
     return F.btrim(line, F.lit(_BLANKS)) != ""
 
 
-def _join_by_host(big: DataFrame, small: DataFrame, host: str, spread: Column, small_bytes: int, how: str) -> DataFrame:
-    """``big`` with the row of its host in ``small``; ``spread`` deals a host's rows among the salts."""
-    if small_bytes <= BROADCAST_BYTES:
-        return big.join(F.broadcast(small), host, how)
-    salt = "__salt"
-    while salt in big.columns:
-        salt = "_" + salt
-    many = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn(salt, F.pmod(spread, F.lit(SALTS)).cast("int")).join(many, [host, salt], how).drop(salt)
-
-
 def boilerplate(pages: DataFrame, text: Column, host: Column, ratio: tuple[int, int], min_pages: int) -> DataFrame:
     """``host``, ``drop``: the hashes of each host's boilerplate lines."""
     base = pages.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), text.alias("text"))
@@ -57,7 +44,7 @@ def boilerplate(pages: DataFrame, text: Column, host: Column, ratio: tuple[int,
     size = total.agg(F.sum(F.octet_length("host") + 16)).first()[0] or 0
     lines = own.select("host", F.explode("lines").alias("line"))
     found = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    over = _join_by_host(found, total, "host", F.col("line"), size, "inner").filter(F.col("n") * ratio[1] > F.col("pages") * ratio[0])
+    over = join_small(found, total, "host", F.col("line"), size, "inner").filter(F.col("n") * ratio[1] > F.col("pages") * ratio[0])
     return over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("drop"))
 
 
@@ -76,7 +63,7 @@ def remove_boilerplate(pages: DataFrame, text: str = "text", host: Column | str
         names = [f"_{n}" for n in names]
     h, d, ls, kept = names
     named = pages.withColumns({h: F.coalesce(host_col.cast("string"), F.lit("")), ls: F.split(text_col, "\n")})
-    joined = _join_by_host(named, lists.select(F.col("host").alias(h), F.col("drop").alias(d)), h, F.xxhash64(text_col), size, "left")
+    joined = join_small(named, lists.select(F.col("host").alias(h), F.col("drop").alias(d)), h, F.xxhash64(text_col), size, "left")
     keep = F.when(F.col(d).isNull(), F.col(ls)).otherwise(F.filter(ls, lambda x: ~(_filled(x) & F.array_contains(F.col(d), _key(x)))))
     out = joined.withColumn(kept, keep)
     extra = {"n_lines": F.coalesce(F.size(ls), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size(ls) - F.size(kept), F.lit(0)).cast("long")} if counts else {}

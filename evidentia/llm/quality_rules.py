@@ -3,14 +3,22 @@
 Counts are taken inside each row: words, their code points, symbols, repeated lines and the words covered by
 repeated windows. Base rules reject a document with few words or much repetition. The others are judged in
 groups of one language and source: their transformed counts form a vector, a minimum-covariance-determinant
-estimate gives the group's centre and scatter (concentration steps from the coordinates' medians: keep the
-``share`` of rows that lie nearest, estimate anew), and a document whose Mahalanobis distance exceeds the
-chi-squared quantile is rejected. Groups under ``least`` rows are pooled within their language, and
-languages still under it are pooled with each other; a pool under it rejects nothing.
+estimate gives the group's centre and scatter, and a document whose Mahalanobis distance exceeds the chi-squared
+quantile is rejected.
+
+The estimate has several starts: the coordinates' medians and median deviations, the mean and covariance of all
+rows, and those of three parts of an eighth of the rows, by hash. From each, concentration steps keep the ``share`` of
+rows that lie nearest and estimate anew; the start whose covariance has the least determinant wins. ``_FLOOR`` is added
+to the variances, as in the regularised form of the estimate.
+
+The same is done for each language and for all rows. A group's estimate is then mixed with its language's, as if
+``weight`` rows of that were added, the language's with that of all rows, and that with ``weight`` rows of the wide
+scatter ``_WIDE``: a group of one row is judged nearly as its language, one of thousands by itself, and nothing
+changes at any number of rows.
 
 Only the counts, a few numbers a row, are written and read again for the steps. Groups are summed before
-every shuffle, so a source with a third of all rows costs no more than others, and what joins back is one
-row a group.
+every shuffle, so a source with a third of all rows costs no more than others; estimates join back by broadcast while
+they are measured to be small, and else by salted keys.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources are groups of
 their own; repeated rows are each counted and judged; other columns are ignored; an empty table gives no rows.
@@ -24,15 +32,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.stats import gamma_p
-from evidentia.llm._shared import settle
+from evidentia.llm._shared import join_small, settle
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _FILLED = r"[^\x20\x09-\x0D]"
 WINDOW = 8
 _DIM = 5
 #: Added to each coordinate's variance, so that a coordinate that hardly varies rejects nothing by itself.
-#: Where a group has none, symbols, repeated words or repeated lines alone reject from a tenth on.
-_FLOOR = (0.04, 0.004, 0.004, 0.004, 0.004)
+#: In a group without any, at the default level, symbols alone reject from a tenth of the characters on, repeated words
+#: alone from 0.29 of the words, repeated lines alone from 0.24 of the lines and ``_LINES`` more; together from less.
+_FLOOR = (0.04, 0.004, 0.004, 0.0125, 0.01)
+#: Lines added to a document's own, so that one repeated line of a short document is no great share.
+_LINES = 10
+#: Variances of the scatter that stands in for rows that are not there.
+_WIDE = (1.0, 0.1, 0.05, 0.05, 0.05)
+_PAIRS = [(i, j) for i in range(_DIM) for j in range(i + 1)]
+_PARTS = 8
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -76,7 +91,7 @@ def chi2_quantile(p: float, dim: int) -> float:
 
 def _vector() -> list[Column]:
     n = F.greatest(F.col("n_words"), F.lit(1))
-    return [F.log1p(F.col("n_words")), F.log1p(F.col("word_chars") / n), F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))), F.sqrt(F.col("n_repeat_words") / n), F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)))]
+    return [F.log1p(F.col("n_words")), F.log1p(F.col("word_chars") / n), F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))), F.sqrt(F.col("n_repeat_words") / n), F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + _LINES))]
 
 
 def _factor(cov: dict[tuple[int, int], Column]) -> dict[str, Column]:
@@ -98,47 +113,85 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, [s * s for s in solved])
 
 
-def _estimate(rows: DataFrame, scale: float) -> DataFrame:
-    """Centre and factor of each group's rows (g, x0..)."""
-    pairs = [(i, j) for i in range(_DIM) for j in range(i + 1)]
-    sums = rows.groupBy("g").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(_DIM)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in pairs])
-    cov = {(i, j): F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) * scale + (F.lit(_FLOOR[i]) if i == j else F.lit(0.0)) for i, j in pairs}
-    for name, col in _factor(cov).items():
-        sums = sums.withColumn(name, col)
-    return sums.select("g", *[f"m{i}" for i in range(_DIM)], *[f"l{i}{j}" for i, j in pairs])
+def _sums(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(_DIM)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in _PAIRS])
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and median deviations as a first centre and a diagonal factor."""
-    centre = settle(rows.groupBy("g").agg(*[F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(_DIM)]), "centre")
-    near = rows.join(centre, "g").groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(_DIM)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i in range(_DIM)])
-    return near.select("g", *[f"m{i}" for i in range(_DIM)], *[(F.sqrt((F.col(f"d{i}") * 1.4826) ** 2 + _FLOOR[i]) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(_DIM) for j in range(i + 1)])
+def _with_factor(sums: DataFrame, scale: float, floor: tuple[float, ...] = _FLOOR) -> DataFrame:
+    """Covariances c00.. times ``scale`` and with the floor, and their Cholesky factor l00.., added."""
+    cov = {(i, j): F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) * scale + (F.lit(floor[i]) if i == j else F.lit(0.0)) for i, j in _PAIRS}
+    sums = sums.withColumns({f"c{i}{j}": c for (i, j), c in cov.items()})
+    for name, col in _factor({p: F.col("c%d%d" % p) for p in _PAIRS}).items():
+        sums = sums.withColumn(name, col)
+    return sums
 
 
-def judge(docs: DataFrame, share: float = 0.75, level: float = 0.9999, steps: int = 3, least: int = 30, min_words: int = 20, max_repeat: tuple[int, int] = (30, 100)) -> DataFrame:
+def _starts(rows: DataFrame) -> DataFrame:
+    """g, s, m0.., l00..: first centres and factors of each group."""
+    centre = settle(rows.groupBy("g").agg(*[F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(_DIM)]), "centre")
+    near = _joined(rows, centre).groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(_DIM)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i in range(_DIM)])
+    columns = ["g", "s", *[f"m{i}" for i in range(_DIM)], *[f"l{i}{j}" for i, j in _PAIRS]]
+    median = near.select("g", F.lit(0).alias("s"), *[f"m{i}" for i in range(_DIM)], *[(F.sqrt((F.col(f"d{i}") * 1.4826) ** 2 + _FLOOR[i]) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS])
+    part = F.pmod("h", F.lit(_PARTS)).cast("int") + 2
+    parted = rows.withColumn("s", F.explode(F.when(part < 5, F.array(F.lit(1), part)).otherwise(F.array(F.lit(1)))))
+    return settle(median.select(columns).unionByName(_with_factor(_sums(parted, "g", "s"), 1.0).select(columns)), "starts")
+
+
+def _joined(rows: DataFrame, table: DataFrame, key: str = "g", how: str = "inner") -> DataFrame:
+    """Rows with the settled ``table`` of their group."""
+    return join_small(rows, table, key, F.col("h"), 300 * table.count(), how)
+
+
+def estimates(rows: DataFrame, share: float, steps: int) -> DataFrame:
+    """g, n, s, m0.., c00..: the minimum-covariance-determinant estimate of each group of ``rows`` (g, h, x0..), as a table."""
+    scale = share / _chi2_cdf(chi2_quantile(share, _DIM), _DIM + 2)
+    params = _starts(rows)
+    vectors = [f"x{i}" for i in range(_DIM)]
+    for _ in range(max(steps, 1)):
+        measured = _joined(rows, params).select("g", "s", "h", *vectors, _distance().alias("d"))
+        cut = settle(measured.groupBy("g", "s").agg(F.percentile_approx("d", share, 10_000).alias("cut"), F.count(F.lit(1)).alias("n")), "cut")
+        held = _joined(rows, settle(params.drop("n").join(cut, ["g", "s"]), "params")).filter(_distance() <= F.col("cut")).select("g", "s", "n", *vectors)
+        params = settle(_with_factor(_sums(held, "g", "s", "n"), scale), "scatter")
+    volume = reduce(lambda a, b: a + b, [F.log(f"l{i}{i}") for i in range(_DIM)])
+    kept = ["n", "s", *[f"m{i}" for i in range(_DIM)], *[f"c{i}{j}" for i, j in _PAIRS]]
+    best = params.groupBy("g").agg(F.min(F.struct(volume.alias("v"), *kept)).alias("b"))
+    return settle(best.select("g", *[F.col(f"b.{c}").alias(c) for c in kept]), "estimates")
+
+
+def _mixed(own: str, more: str, weight: float) -> dict[str, Column]:
+    """Centre and covariance of n rows with those of ``own`` and ``weight`` rows with those of ``more``; names begin so."""
+    n = F.col(f"{own}n")
+    a, b = n / (n + weight), F.lit(weight) / (n + weight)
+    gap = [F.col(f"{own}m{i}") - F.col(f"{more}m{i}") for i in range(_DIM)]
+    out = {f"{own}m{i}": a * F.col(f"{own}m{i}") + b * F.col(f"{more}m{i}") for i in range(_DIM)}
+    return out | {f"{own}c{i}{j}": a * F.col(f"{own}c{i}{j}") + b * F.col(f"{more}c{i}{j}") + a * b * gap[i] * gap[j] for i, j in _PAIRS}
+
+
+def models(rows: DataFrame, groups: DataFrame, share: float, steps: int, weight: float) -> DataFrame:
+    """own, m0.., l00.. of each group (own, wide): its estimate, mixed with its language's and that of all rows."""
+    found = estimates(rows, share, steps)
+    named = lambda p: found.select(*[F.col(c).alias(p + c) for c in found.columns])
+    wide = F.broadcast(named("a_").filter("a_g = 'all'"))
+    prior = {f"p_m{i}": F.col(f"a_m{i}") for i in range(_DIM)} | {f"p_c{i}{j}": F.lit(_WIDE[i] if i == j else 0.0) for i, j in _PAIRS}
+    joined = groups.join(named("o_"), F.col("own") == F.col("o_g")).join(named("w_"), F.col("wide") == F.col("w_g"))
+    joined = joined.withColumn("all", F.lit("all")).join(wide, F.col("all") == F.col("a_g")).withColumns(prior)
+    for own, more in (("a_", "p_"), ("w_", "a_"), ("o_", "w_")):
+        joined = joined.withColumns(_mixed(own, more, weight))
+    out = joined.select("own", *[F.col(f"o_m{i}").alias(f"m{i}") for i in range(_DIM)], *[F.col(f"o_c{i}{j}").alias(f"c{i}{j}") for i, j in _PAIRS])
+    return settle(_with_factor(out, 1.0, (0.0,) * _DIM), "models")
+
+
+def judge(docs: DataFrame, share: float = 0.75, level: float = 0.9999, steps: int = 4, weight: float = 30.0, min_words: int = 20, max_repeat: tuple[int, int] = (30, 100)) -> DataFrame:
     """The counts of every document, base_failed and kept."""
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * max_repeat[1] > F.col("n_words") * max_repeat[0])
     every = settle(counts(docs).withColumn("base_failed", failed), "counts")
-    # Groups: language and source, or what small ones are pooled into; null stays apart from any name.
+    # Groups by language and source, by language, and all; null stays apart from any name.
     mark = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(c)))
-    keyed = every.withColumns({"own": F.to_json(F.array(mark("lang"), mark("source"))), "wide": F.to_json(F.array(mark("lang")))})
-    fine = keyed.filter(~F.col("base_failed"))
-    small = settle(fine.groupBy("own", "wide").agg(F.count(F.lit(1)).alias("n")).withColumn("wide_n", F.sum(F.when(F.col("n") < least, F.col("n"))).over(_by("wide"))), "groups")
-    small = small.select("own", F.when(F.col("n") >= least, F.col("own")).when(F.col("wide_n") >= least, F.col("wide")).otherwise(F.lit("all")).alias("g"))
     vectors = {f"x{i}": x for i, x in enumerate(_vector())}
-    rows = fine.withColumns(vectors).join(small, "own").select("g", *vectors)
-    params, scale = settle(_start(rows), "start"), share / _chi2_cdf(chi2_quantile(share, _DIM), _DIM + 2)
-    for step in range(steps):
-        measured = rows.join(params, "g").select("g", *vectors, _distance().alias("d"))
-        cut = settle(measured.groupBy("g").agg(F.percentile_approx("d", share, 10_000).alias("cut"), F.count(F.lit(1)).alias("n")), "cut")
-        params = settle(_estimate(measured.join(cut, "g").filter(F.col("d") <= F.col("cut")).select("g", *vectors), scale), "scatter")
-    groups = settle(params.join(cut.select("g", "n"), "g").join(small, "g"), "params") if steps else settle(params.withColumn("n", F.lit(least)).join(small, "g"), "params")
-    far = (F.col("n") >= least) & (_distance() > chi2_quantile(level, _DIM))
-    out = keyed.withColumns(vectors).join(groups, "own", "left")
+    keyed = every.withColumns({"own": F.to_json(F.array(mark("lang"), mark("source"))), "wide": F.to_json(F.array(mark("lang"))), "h": F.xxhash64("doc_id", "n_words", "word_chars"), **vectors})
+    fine = keyed.filter(~F.col("base_failed"))
+    rows = settle(fine.select(F.explode(F.array("own", "wide", F.lit("all"))).alias("g"), "h", *vectors), "vectors")
+    found = models(rows, fine.select("own", "wide").distinct(), share, steps, weight)
+    far = _distance() > chi2_quantile(level, _DIM)
+    out = _joined(keyed, found, "own", "left")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"))
-
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)

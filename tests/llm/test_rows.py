@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from evidentia.llm import html_extract, line_dedup, packing, quality_rules, sharding
+from evidentia.llm import _shared, html_extract, line_dedup, packing, quality_rules, sharding
 from tests.llm.helpers import empty_docs, odd_docs, prose
 
 
@@ -185,14 +185,81 @@ def test_rules_reject_repeated_lines_and_words(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randrange(2, 9)), "en", f"s{i % 2}") for i in range(200)]
     rows += [(1000 + i, "\n".join(f"{prose(rng, 1, 8)}\nread more" for _ in range(40)), "en", "s0") for i in range(4)]
-    part = prose(rng, 1, 12)
-    rows += [(2000 + i, f"{prose(rng, 6)}\n{part} a\n{prose(rng, 2)} {part}", "en", "s1") for i in range(4)]
+    part = prose(rng, 1, 24)
+    rows += [(2000 + i, f"{part} b\n{prose(rng, 5)}\n{part} a\n{prose(rng, 1)}\n{prose(rng, 1)}\n{prose(rng, 1, 12)}\nmore\nmore\nmore", "en", "s1") for i in range(4)]
     got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[i].n_repeat_words == 0 and not got[i].base_failed and not got[i].kept for i in range(1000, 1004))
-    assert all(got[i].n_repeat_words == 24 and not got[i].base_failed and not got[i].kept for i in range(2000, 2004))
+    assert all(got[i].n_repeat_words == 48 and not got[i].base_failed and not got[i].kept for i in range(2000, 2004))
     assert sum(got[i].kept for i in range(200)) >= 198
 
 
+def nearest_rank(x, p):
+    return np.sort(x)[max(int(np.ceil(p * len(x))) - 1, 0)]
+
+
+def estimate(x, h, share, steps):
+    """The estimate of one group in numpy: (log-determinant, centre, covariance) of the best start, and of all."""
+    q = quality_rules
+    floor, scale = np.diag(q._FLOOR), share / q._chi2_cdf(q.chi2_quantile(share, q._DIM), q._DIM + 2)
+    centre = np.array([nearest_rank(c, 0.5) for c in x.T])
+    spread = np.array([nearest_rank(np.abs(c - m), 0.5) for c, m in zip(x.T, centre, strict=True)])
+    found = [(centre, np.diag((1.4826 * spread) ** 2) + floor)]
+    for part in [np.ones(len(x), bool), *(h % q._PARTS == k for k in range(3))]:
+        if part.any():
+            found.append((x[part].mean(axis=0), np.cov(x[part].T, bias=True) + floor))
+    out = []
+    for m, c in found:
+        for _ in range(steps):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            near = x[d <= nearest_rank(d, share)]
+            m, c = near.mean(axis=0), np.cov(near.T, bias=True) * scale + floor
+        out.append((np.linalg.slogdet(c)[1], m, c))
+    return min(out, key=lambda r: r[0]), out
+
+
+def test_verdict_equals_numpy(spark):
+    """Estimates, their mixture and the verdict against a plain computation, in groups of 1 to 120 rows."""
+    rng = random.Random(21)
+    rows = []
+    for n, lang, source in ((120, "en", "a"), (70, "en", "b"), (25, "de", "a"), (6, "de", None), (1, None, "c")):
+        for _ in range(n):
+            text = prose(rng, rng.randrange(2, 9), rng.randrange(8, 20))
+            kind = rng.random()
+            text = text.replace(" ", " #$ ") if kind < 0.1 else text + "\nmore" * rng.randrange(9) if kind < 0.3 else text
+            rows.append((len(rows), text, lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    F, q = quality_rules.F, quality_rules
+    plain = q.counts(docs).withColumns({f"x{i}": c for i, c in enumerate(q._vector())}).withColumn("h", F.xxhash64("doc_id", "n_words", "word_chars")).collect()
+    fine = [r for r in plain if not got[r.doc_id].base_failed]
+    groups = {"all": fine}
+    for r in fine:
+        groups.setdefault((r.lang,), []).append(r)
+        groups.setdefault((r.lang, r.source), []).append(r)
+    best = {}
+    for g, members in groups.items():
+        x, h = np.array([[r[f"x{i}"] for i in range(q._DIM)] for r in members]), np.array([r.h for r in members])
+        first, every = estimate(x, h, 0.75, 4)
+        assert all(first[0] <= e[0] + 1e-9 for e in every)
+        best[g] = (len(members), first[1], first[2])
+
+    def mix(own, more):
+        n, m, c = own
+        a, gap = n / (n + 30), m - more[1]
+        return n, a * m + (1 - a) * more[1], a * c + (1 - a) * more[2] + a * (1 - a) * np.outer(gap, gap)
+
+    whole = mix(best["all"], (0, best["all"][1], np.diag(q._WIDE)))
+    cut, rejected = q.chi2_quantile(0.9999, q._DIM), 0
+    for r in fine:
+        _, m, c = mix(best[r.lang, r.source], mix(best[r.lang,], whole))
+        x = np.array([r[f"x{i}"] for i in range(q._DIM)]) - m
+        d = x @ np.linalg.inv(c) @ x
+        if abs(d - cut) > 1e-6 * cut:
+            assert got[r.doc_id].kept == (d <= cut), (r.lang, r.source, d)
+        rejected += d > cut
+    assert 5 < rejected < len(fine) / 3
+
+
 def test_rules_on_odd_and_empty_tables(spark):
     got = quality_rules.judge(odd_docs(spark)).collect()
     assert len(got) == 17 and next(r for r in got if r.doc_id == 9).n_words == 30_000
@@ -212,17 +279,17 @@ def test_lines(spark):
 
 
 def test_copies_are_no_boilerplate(spark):
-    """Two copies on a small host keep their lines; a line that three distinct pages share goes; SALTS give the same."""
+    """Two copies on a small host keep their lines; a line that three distinct pages share goes; salts give the same."""
     rows = [(1, "one\ntwo\nmenu", "a"), (2, "one\ntwo\nmenu", "a"), (3, "else\nmenu", "a"), (4, "last\nmenu", "a"), (5, "x\ny", "b"), (6, "x\ny", "b"), (7, "x\nz", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     want = {1: "one\ntwo", 2: "one\ntwo", 3: "else", 4: "last", 5: "x\ny", 6: "x\ny", 7: "x\nz"}
     assert {r.doc_id: r.text for r in line_dedup.remove_boilerplate(docs).collect()} == want
-    before, line_dedup.BROADCAST_BYTES = line_dedup.BROADCAST_BYTES, -1
+    before, _shared.BROADCAST_BYTES = _shared.BROADCAST_BYTES, -1
     try:
         assert {r.doc_id: r.text for r in line_dedup.remove_boilerplate(docs).collect()} == want
         assert line_dedup.remove_boilerplate(odd_docs(spark)).columns == odd_docs(spark).columns
     finally:
-        line_dedup.BROADCAST_BYTES = before
+        _shared.BROADCAST_BYTES = before
 
 
 def test_shards(spark, tmp_path):
