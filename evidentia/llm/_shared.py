@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import zstandard
@@ -110,3 +111,54 @@ def join_small(big: DataFrame, small: DataFrame, key: str, spread: Column, small
         salt = "_" + salt
     many = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return big.withColumn(salt, F.pmod(spread, F.lit(SALTS)).cast("int")).join(many, [key, salt], how).drop(salt)
+
+
+SLOTS = 1 << 25
+
+
+class Slots:
+    """A bit map of fixed size of numbers, broadcast: it tells all that are in a table, and few others."""
+
+    def __init__(self, rows: DataFrame, column: str, hashed: bool = False):
+        """hashed: the numbers are hashes already, and their highest bits choose the bit."""
+        self.hashed, self.bits = hashed, SLOTS.bit_length() - 1
+        slot = self._slot(column) + 1  # bit maps count from 1
+        maps = rows.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()
+        bits = np.zeros(SLOTS // 8, np.uint8)
+        for b, m in maps:
+            bits[(b - 1) * 4096 : b * 4096] = np.frombuffer(bytes(m), np.uint8)
+        self.shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def _slot(self, column: str) -> Column:
+        return F.shiftrightunsigned(column, 64 - self.bits) if self.hashed else F.pmod(F.xxhash64(column), F.lit(SLOTS))
+
+    @staticmethod
+    def test(bits: np.ndarray, numbers: np.ndarray, width: int) -> np.ndarray:
+        """Which of these hashes may be in the table."""
+        at = (numbers >> np.uint64(64 - width)).astype(np.int64)
+        return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    def may_have(self, column: str) -> Column:
+        shared = self.shared
+
+        @F.pandas_udf("boolean")
+        def run(slot: pd.Series) -> pd.Series:
+            at = slot.to_numpy(np.int64)
+            return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+        return run(self._slot(column))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, in reading order, and the name of that column. ``docs`` must be a table."""
+    number = "__row"
+    while number in docs.columns:
+        number = "_" + number
+    return docs.withColumn(number, F.monotonically_increasing_id()), number
+
+
+def without(rows: DataFrame, number: str, gone: DataFrame) -> DataFrame:
+    """``rows`` without those whose number is in the table ``gone``, and without the number; rows that surely stay are not moved."""
+    maybe = Slots(gone, number).may_have(number)
+    kept = rows.filter(~maybe).unionByName(rows.filter(maybe).join(gone, number, "left_anti"))
+    return kept.select(*[F.col(f"`{c}`") for c in rows.columns if c != number])

@@ -2,14 +2,13 @@
 
 Words are hashed, every ``k`` words in a row get a fingerprint, and of each ``window - k + 1`` fingerprints
 in a row the least is kept. A shared passage of ``window`` words or more has such a run on both sides, so
-both sides keep the same fingerprint of it: none is missed. Kept fingerprints of the documents are looked up
-among those of the benchmark; around each hit every window of ``window`` words is compared with the
-benchmark's, word by word in a table of windows, and its words are marked. An item with fewer words is one
-window of its own length.
+both sides keep the same fingerprint of it: none is missed. An item with fewer words is one window of its own length,
+whose hash is its fingerprint. Fingerprints and windows of documents and of the benchmark meet in one join, and each hit
+is extended to the words of its window.
 
-The benchmark is the stated query set. It is read in blocks of at most ``block_words`` words, so what is
-broadcast has a fixed bound however long the benchmark is; with more than one block the documents are
-scanned once a block and the marks are merged by document.
+Neither side is ever in one place: the benchmark's windows are a table, too. To move little of the documents, a bit map
+of fixed size (``SLOTS`` bits) of the benchmark's fingerprints is broadcast, and documents only tell the windows whose
+fingerprint it may hold. With a benchmark too large for it the map lets more pass, up to all, and the join stays right.
 
 Defined cases: null texts have no words and are clean; items without words are skipped; a null item id is
 named "null"; rows of the benchmark with one id count as one item; repeated documents are each returned; an
@@ -18,17 +17,15 @@ empty benchmark leaves all documents clean.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm._shared import filter_texts, small_batches
-
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+from evidentia.llm._shared import Slots, numbered, settle, small_batches, without
 
 #: Bytes that belong to words: digits, letters in lower case, and all beyond ASCII; others become spaces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -42,188 +39,128 @@ def words_of(text: str | None) -> list[bytes]:
 def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n words in a row."""
     count = max(len(hashes) - n + 1, 0)
-    out = np.zeros(count, np.uint64)
+    out = np.full(count, n, np.uint64)
     for i in range(n):
         out = out * _STEP + hashes[i : i + count]
     out ^= out >> np.uint64(29)
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-class Index:
-    """The windows and fingerprints of a block of items."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int, k: int):
-        self.window, self.k = window, k
-        vocab: dict[bytes, int] = {}
-        for _, words in items:
-            for word in words:
-                vocab.setdefault(word, len(vocab) + 1)
-        self.vocab = vocab
-        self.table = np.concatenate([[np.uint64(0)], np.random.default_rng(7).integers(1, 2**63, len(vocab), dtype=np.uint64)]).astype(np.uint64)
-        self.items = [item for item, _ in items]
-        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        prints = [np.zeros(0, np.uint64)]
-        for at, (_, words) in enumerate(items):
-            hashes = self.table[[vocab[w] for w in words]]
-            n = min(window, len(words))
-            runs = np.unique(_runs(hashes, n))
-            found.setdefault(n, []).append((runs, np.full(len(runs), at)))
-            if n == window:
-                grams = np.lib.stride_tricks.sliding_window_view(_runs(hashes, k), window - k + 1)
-                prints.append(grams.min(axis=1))
-        self.prints = np.unique(np.concatenate(prints))
-        #: For each window length: the distinct hashes, and where each one's items begin and end.
-        self.windows = {}
-        for n, parts in found.items():
-            keys, owners = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(keys, kind="stable")
-            distinct, begin = np.unique(keys[order], return_index=True)
-            self.windows[n] = (distinct, np.append(begin, len(keys)), owners[order])
-
-    def marks(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each window length, the places in ``ids`` where windows of items begin, and their numbers.
-
-        ids: words by their number here, 0 for others and between documents.
-        """
-        hashes = self.table[ids]
-        unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        for n, (keys, _, _) in self.windows.items():
-            if len(ids) < n:
-                continue
-            at = np.flatnonzero(unknown[n:] == unknown[:-n])
-            if n == self.window and len(at):
-                grams = _runs(hashes, self.k)
-                least = grams[at]
-                for i in range(1, n - self.k + 1):
-                    least = np.minimum(least, grams[at + i])
-                at = at[_found(self.prints, least) >= 0]
-            if not len(at):
-                continue
-            runs = np.zeros(len(at), np.uint64)
-            for i in range(n):
-                runs = runs * _STEP + hashes[at + i]
-            runs ^= runs >> np.uint64(29)
-            which = _found(keys, runs * np.uint64(0xBF58476D1CE4E5B9))
-            yield n, at[which >= 0], which[which >= 0]
-
-
-def _found(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Places of values in sorted keys, -1 where absent."""
-    if not len(keys):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    return np.where(keys[at] == values, at, -1)
-
-
-def _scan(index: Index, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
-    """For each text: its number of words, the spans of words hit, the items."""
-    get, zero = index.vocab.get, [0]
-    parts, sizes = [], []
-    for text in texts:
-        words = words_of(text)
-        sizes.append(len(words))
-        parts += [get(w, 0) for w in words]
-        parts += zero
-    ids = np.array(parts, np.int64)
-    begin = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) + 1)])
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
-    for n, at, which in index.marks(ids):
-        _, offsets, owners = index.windows[n]
-        docs = np.searchsorted(begin, at, side="right") - 1
-        for d, a, w in zip(docs.tolist(), (at - begin[docs]).tolist(), which.tolist(), strict=True):
-            if spans[d] and spans[d][-1][1] >= a >= spans[d][-1][0]:
-                spans[d][-1] = (spans[d][-1][0], max(spans[d][-1][1], a + n))
-            else:
-                spans[d].append((a, a + n))
-            items[d].update(index.items[o] for o in owners[offsets[w] : offsets[w + 1]])
-    return zip(sizes, spans, items, strict=True)
-
-
-def union_length(spans: list[tuple[int, int]]) -> int:
-    total, reach = 0, 0
-    for a, b in sorted(spans):
-        total += max(0, b - max(a, reach))
-        reach = max(reach, b)
-    return total
-
-
-def blocks(benchmark: DataFrame, window: int, k: int, block_words: int) -> Iterator[Index]:
-    """Indexes of the benchmark's items, each over at most ``block_words`` words or one item."""
-    items, size, some = [], 0, False
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").toLocalIterator():
-        words = words_of(row[1])
-        if not words:
-            continue
-        if items and size + len(words) > block_words:
-            yield Index(items, window, k)
-            items, size, some = [], 0, True
-        items.append((row[0], words))
-        size += len(words)
-    if items or not some:
-        yield Index(items, window, k)
-
-
-def _digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_words: int = 4_000_000) -> DataFrame:
+def prints_of(hashes: np.ndarray, n: int, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each n words in a row, their fingerprint and their hash."""
+    runs = _runs(hashes, n)
+    if n < window:
+        return runs, runs
+    grams, least = _runs(hashes, k), None
+    for i in range(n - k + 1):
+        part = grams[i : i + len(runs)]
+        least = part if least is None else np.minimum(least, part)
+    return least, runs
+
+
+class Hasher:
+    """Hashes of words; the table of known ones starts anew when it is full."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > 200_000:
+            known.clear()
+        out = []
+        for w in words:
+            h = known.get(w)
+            if h is None:
+                h = known[w] = xxhash.xxh3_64_intdigest(w)
+            out.append(h)
+        return np.array(out, np.uint64)
+
+
+def windows_of(benchmark: DataFrame, window: int, k: int) -> DataFrame:
+    """print, window, n, item: the windows of all items, as a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in small_batches(batches, "text", 1_000_000):
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = words_of(text)
+                if words:
+                    n = min(window, len(words))
+                    prints, runs = prints_of(hasher(words), n, window, k)
+                    size = len(runs)
+                    yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(runs.view(np.int64)), pa.array(np.full(size, n, np.int32)), pa.array([item] * size, pa.string())], ["print", "window", "n", "item"])
+
+    source = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("null")).alias("item"), benchmark["text"])
+    return settle(source.mapInArrow(run, "print long, window long, n int, item string").distinct(), "windows")
+
+
+def marks_of(source: DataFrame, sizes: list[int], slots: Slots, window: int, k: int) -> DataFrame:
+    """mark, doc_id, n_words, hits (print, window, n, at) of each row of ``source`` (mark, doc_id, text), as a table: windows that the benchmark may hold."""
+    shared, bits = slots.shared, slots.bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in small_batches(batches, "text"):
+            words, counts = [], []
+            for text in batch.column(2).to_pylist():
+                own = words_of(text)
+                counts.append(len(own))
+                words += own
+            hashes, counts = hasher(words), np.array(counts, np.int64)
+            begin = np.cumsum(counts) - counts
+            doc = np.repeat(np.arange(len(counts)), counts)
+            found: list[tuple[np.ndarray, ...]] = [tuple(np.zeros(0, np.int64) for _ in range(5))]
+            for n in sizes:
+                prints, runs = prints_of(hashes, n, window, k)
+                at = np.flatnonzero(Slots.test(shared.value, prints, bits))
+                at = at[doc[at] == doc[at + n - 1]]
+                found.append((doc[at], prints[at].view(np.int64), runs[at].view(np.int64), np.full(len(at), n), at - begin[doc[at]]))
+            own, prints, runs, n, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(own, kind="stable")
+            ends = np.searchsorted(own[order], np.arange(len(counts) + 1)).astype(np.int32)
+            hit = pa.StructArray.from_arrays([pa.array(prints[order]), pa.array(runs[order]), pa.array(n[order].astype(np.int32)), pa.array(at[order])], ["print", "window", "n", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), hit)], ["mark", "doc_id", "n_words", "hits"])
+
+    return settle(source.mapInArrow(run, "mark long, doc_id long, n_words long, hits array<struct<print:long, window:long, n:int, at:long>>"), "marks")
+
+
+def _hits(source: DataFrame, benchmark: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The marks of ``source``, the windows, and mark, window, n, at of each window of the benchmark in a document, as tables."""
+    windows = windows_of(benchmark, window, k)
+    sizes = sorted(r[0] for r in windows.select("n").distinct().collect())  # window lengths, at most ``window``
+    slots = Slots(windows.select(F.col("print")), "print", hashed=True)
+    marks = marks_of(source, sizes, slots, window, k)
+    slots.shared.destroy()
+    told = marks.filter(F.size("hits") > 0).select("mark", F.explode("hits").alias("h")).select("mark", "h.print", "h.window", "h.n", "h.at")
+    # A table on each side, so that a passage that many documents share can be split.
+    known = settle(windows.select("print", "window", "n").distinct(), "known")
+    return marks, windows, settle(told.join(known, ["print", "window", "n"]).select("mark", "window", "n", "at"), "hits")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """Per document: words, words hit, items found and a digest of their ids."""
-    sc, source = docs.sparkSession.sparkContext, docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    shared = [sc.broadcast(index) for index in blocks(benchmark, window, k, block_words)]
-
-    def whole(index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in small_batches(batches, "text"):
-                found = [(n, union_length(spans), len(items), _digest(items), bool(spans)) for n, spans, items in _scan(index.value, batch.column(1).to_pylist())]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-                cols = [pa.array(col, kind) for col, kind in zip(zip(*found, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-        return run
-
-    if len(shared) == 1:
-        return source.mapInArrow(whole(shared[0]), SCHEMA)
-
-    def part(index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in small_batches(batches, "text"):
-                rows = list(_scan(index.value, batch.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array([n for n, _, _ in rows], pa.int64()), pa.array([[x for s in spans for x in s] for _, spans, _ in rows], pa.list_(pa.int64())), pa.array([sorted(items) for _, _, items in rows], pa.list_(pa.string()))],
-                    ["doc_id", "mark", "n_words", "spans", "items"],
-                )
-
-        return run
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc_id, n, spans, items, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hit = union_length(list({(a, b) for flat in spans for a, b in zip(flat[::2], flat[1::2], strict=True)}))
-                names = {x for part in items for x in part}
-                out += [(doc_id, n, hit, len(names), _digest(names), hit > 0)] * copies
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    marked = source.withColumn("mark", F.xxhash64("text"))
-    every = [marked.mapInArrow(part(index), "doc_id long, mark long, n_words long, spans array<long>, items array<string>") for index in shared]
-    union = every[0]
-    for more in every[1:]:
-        union = union.unionByName(more)
-    # Sets of distinct parts: repeated rows of a document add nothing to a group.
-    grouped = union.groupBy("doc_id", "mark", "n_words").agg(F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"), (F.count(F.lit(1)) / len(shared)).cast("int").alias("copies"))
-    return grouped.drop("mark").mapInArrow(merged, SCHEMA)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_words: int = 4_000_000) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no window of the benchmark occurs."""
-    sc = docs.sparkSession.sparkContext
-
-    def clean_of(index):
-        return lambda texts: [not spans for _, spans, _ in _scan(index.value, texts)]
-
-    for index in blocks(benchmark, window, k, block_words):
-        docs = filter_texts(docs, clean_of(sc.broadcast(index)))
-    return docs
+    source = docs.select(F.monotonically_increasing_id().alias("mark"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    marks, windows, hits = _hits(source, benchmark, window, k)
+    # Hit words: the union of the spans of one document, in order of their begin.
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("reach"))
+
+    def add(acc, span):
+        end = span["at"] + span["n"]
+        return F.struct((acc["total"] + F.greatest(end - F.greatest(span["at"], acc["reach"]), F.lit(0).cast("long"))).alias("total"), F.greatest(acc["reach"], end).alias("reach"))
+
+    spans = hits.groupBy("mark").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans")).select("mark", F.aggregate("spans", start, add, lambda acc: acc["total"]).alias("n_hit"))
+    pairs = settle(hits.select("mark", "window", "n").distinct(), "pairs")
+    items = pairs.join(windows.select("window", "n", "item").distinct(), ["window", "n"]).groupBy("mark").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = items.select("mark", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    found = marks.select("mark", "doc_id", "n_words").join(spans, "mark", "left").join(items, "mark", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window of the benchmark occurs. ``docs`` must be a table."""
+    rows, number = numbered(docs)
+    source = rows.select(F.col(number).alias("mark"), F.lit(None).cast("long").alias("doc_id"), docs["text"])
+    _, _, hits = _hits(source, benchmark, window, k)
+    return without(rows, number, settle(hits.select(F.col("mark").alias(number)).distinct(), "contaminated"))

@@ -36,21 +36,19 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm._shared import drop, expand, settle, small_batches, squeeze
+from evidentia.llm._shared import Slots, drop, expand, numbered, settle, small_batches, squeeze, without
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 48
 SMALL = 64
 #: Shingles that a block and a shard hold, and sets and shingles of a chunk, at most (or one set).
 BLOCK, SHARD, CHUNK, CHUNK_KEYS = 400_000, 2_000_000, 256, 500_000
-SLOTS = 1 << 25
 
 
 # Sets
@@ -352,28 +350,6 @@ def _links(num: int, den: int):
     return run
 
 
-class Slots:
-    """A bit map of fixed size of numbers, broadcast: it tells all that are in a table, and few others."""
-
-    def __init__(self, rows: DataFrame, column: str):
-        slot = F.pmod(F.xxhash64(column), F.lit(SLOTS)) + 1  # bit maps count from 1
-        maps = rows.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()
-        bits = np.zeros(SLOTS // 8, np.uint8)
-        for b, m in maps:
-            bits[(b - 1) * 4096 : b * 4096] = np.frombuffer(bytes(m), np.uint8)
-        self.shared = rows.sparkSession.sparkContext.broadcast(bits)
-
-    def may_have(self, column: str) -> Column:
-        shared = self.shared
-
-        @F.pandas_udf("boolean")
-        def run(slot: pd.Series) -> pd.Series:
-            at = slot.to_numpy(np.int64)
-            return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-
-        return run(F.pmod(F.xxhash64(column), F.lit(SLOTS)))
-
-
 def _needed(sets: DataFrame, members: DataFrame) -> DataFrame:
     """cls, counted, rest of the classes in ``members`` and a few more, once each, as a table. Nearly all others are left out where they are read."""
     slots = Slots(members, "cls")
@@ -483,11 +459,8 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)
 
     ``docs`` must be a table: its rows are numbered in reading order, twice.
     """
-    number = "__row"
-    while number in docs.columns:
-        number = "_" + number
-    numbered = docs.withColumn(number, F.monotonically_increasing_id())
-    rows, labels = classes(numbered.select(F.col(number).alias("mark"), docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text")), k, threshold)
+    own_rows, number = numbered(docs)
+    rows, labels = classes(own_rows.select(F.col(number).alias("mark"), docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text")), k, threshold)
     # Copies of a text first, then the first rows of linked texts: only rows that have any company are moved on.
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("mark").alias("mark"))
     filled = rows.filter("cls is not null")
@@ -496,7 +469,4 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)
     firsts = settle(own.select("cls", "root").join(roots, "root").select("cls", "first"), "firsts")
     gone = settle(filled.join(firsts, "cls").filter("mark <> first").select(F.col("mark").alias(number)), "copies")
     drop(own, roots, firsts, rows, labels)
-    # Rows that surely stay are not moved; only the others meet the list.
-    maybe = Slots(gone, number).may_have(number)
-    kept = numbered.filter(~maybe).unionByName(numbered.filter(maybe).join(gone, number, "left_anti"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(own_rows, number, gone)

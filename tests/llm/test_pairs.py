@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from evidentia.llm import decontaminate, ngram_join
+from evidentia.llm import _shared, decontaminate, ngram_join
 from tests.llm.helpers import DOCS, empty_docs, odd_docs, prose, words
 
 
@@ -147,13 +147,44 @@ def planted():
     return rows + [(60, None), (61, ""), (5, "repeated nameless item"), (5, "repeated nameless item")], items
 
 
-@pytest.mark.parametrize("block_words", [4_000_000, 60])
-def test_decontamination_equals_brute_force(spark, block_words):
+@pytest.mark.parametrize("slots", [1 << 25, 1 << 15])
+def test_decontamination_equals_brute_force(spark, slots, monkeypatch):
+    """Also with a bit map so small that it lets many windows pass that no item has."""
+    monkeypatch.setattr(_shared, "SLOTS", slots)
     rows, items = planted()
-    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
+    rng = random.Random(3)
+    items += [(100 + i, " ".join(words(rng, 300, 100_000))) for i in range(40)] + [(200 + i, "a passage that many items of this one benchmark share word by word") for i in range(50)]
+    rows += [(100 + i, " ".join(words(rng, 30)) + " a passage that many items of this one benchmark share word") for i in range(20)]
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_hits(rows, items)
 
 
+def test_one_giant_item(spark):
+    rng = random.Random(4)
+    giant = words(rng, 200_000, 50_000)
+    rows = [(1, " ".join(giant[70_000:70_010])), (2, " ".join(giant[70_000:70_009])), (3, " ".join(giant))]
+    items = [(7, " ".join(giant))]
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in got} == {1: (10, 1), 2: (0, 0), 3: (200_000, 1)}
+
+
+def test_small_and_large_sets_equal_brute_force(spark):
+    """Sets on both sides of the limit between the two orders, and large ones of which only a share is counted."""
+    rng = random.Random(14)
+    rows = []
+    for size in (10, 40, 62, 66, 70, 76, 80, 90, 200, 500):
+        base = words(rng, size, 10**6)
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randrange(max(size // 25, 2))):
+                w[rng.randrange(size)] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w[: size - rng.randrange(size // 12 + 1)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in ngram_join.link(docs, 4, (85, 100)).collect()]
+    want = brute(rows, 4, 85, 100)
+    assert sorted(got, key=str) == want and len({c for _, _, c in want}) < len(rows) - 15
+
+
 def test_clean_keeps_all_columns(spark):
     bench = spark.createDataFrame([(1, "same text here")], "item_id long, text string")
     docs = odd_docs(spark)
