@@ -7,7 +7,7 @@ power of two, so it needs no padding, and no sequence crosses documents. Equal l
 
 Tokens come from a public tokenizer file. That tokenizer splits a text into pieces before it merges bytes, so
 in texts of plain characters each distinct piece is encoded once and looked up afterwards; the table of known
-pieces is bounded and starts anew when full. Words with other characters
+pieces is bounded in entries and in the length of each, and starts anew when full; long texts are read in parts. Words with other characters
 are encoded as they are.
 
 Defined cases: a null text is the empty text and gives one piece, the end token. Repeated rows are packed
@@ -33,6 +33,7 @@ _OTHER = re.compile("[^\\x09-\\x0d\\x20-\\x7eÀ-ÖØ-öø-ÿ]").search
 #: The tokenizer file's own split pattern, narrowed to those characters.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+").findall
 _SPACE = re.compile("[\\x09-\\x0d ]+").split
+_SPACES = re.compile("[\\x09-\\x0d ]").search
 _END_OF_WORD = "</w>"
 
 
@@ -43,9 +44,15 @@ def default_tokenizer() -> str:
 
 
 class PieceEncoder:
-    """Token ids of texts as little-endian 32-bit bytes, by the pieces into which the tokenizer splits a text."""
+    """Token ids of texts as little-endian 32-bit bytes, by the pieces into which the tokenizer splits a text.
 
-    def __init__(self, path: str, limit: int = 400_000):
+    Pieces of up to ``SHORT`` characters are kept, ``limit`` at most, so the table has a bound in bytes; a text is read
+    in parts of about ``PART`` characters, cut at white space.
+    """
+
+    SHORT, PART = 48, 1 << 20
+
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -76,16 +83,41 @@ class PieceEncoder:
             return _PIECES(text.lower())
         return [p for w in _SPACE(text) if w for p in ([" " + w] if _OTHER(w) else _PIECES(w.lower()))]
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        split: list[list[str] | str] = [text if "<|" in text else self._pieces(text) for text in ((t or "") for t in texts)]
-        if len(self.known) > self.limit:
+    def _join(self, split: list[list[str]]) -> list[bytes]:
+        """The ids of each list of keys."""
+        missing = {p for pieces in split for p in pieces}
+        if len(self.known) + len(missing) > self.limit:
             self.known.clear()
-        missing = {p for pieces in split if isinstance(pieces, list) for p in pieces}
         missing.difference_update(self.known)
         self._learn([p for p in missing if p[0] != " "])
         self.known.update((p, self._whole(p)) for p in missing if p[0] == " ")
-        for pieces in split:
-            yield b"".join(map(self.known.__getitem__, pieces)) if isinstance(pieces, list) else self._whole(pieces)
+        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+        for p in missing:
+            if len(p) > self.SHORT:
+                del self.known[p]
+        return out
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """Parts of a text between white space."""
+        begin = 0
+        while len(text) - begin > self.PART:
+            m = _SPACES(text, begin + self.PART)
+            if not m:
+                break
+            yield text[begin : m.start()]
+            begin = m.start()
+        yield text[begin:]
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        plain = [t or "" for t in texts]
+        near = iter(self._join([self._pieces(t) for t in plain if len(t) <= self.PART and "<|" not in t]))
+        for text in plain:
+            if "<|" in text:
+                yield self._whole(text)
+            elif len(text) <= self.PART:
+                yield next(near)
+            else:
+                yield b"".join(self._join([self._pieces(part)])[0] for part in self._parts(text))
 
 
 def lengths(tokens: int, max_len: int = 4096) -> list[int]:
@@ -108,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = 4096, end
         from pyspark import TaskContext
 
         encoder, count = PieceEncoder(path), TaskContext.get().partitionId() << 33
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 2_000_000):
             out, own, kept = [[] for _ in range(5)], [], []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 data = memoryview(ids + end)

@@ -39,6 +39,43 @@ def test_folded_weights_are_the_kernel():
     assert abs(a @ (b / math.sqrt(b.sum())) / math.sqrt(a.sum()) - shared) < 1e-12
 
 
+def test_language_equals_kernel_ridge(spark):
+    """Scores are those of the kernel expansion over landmarks, and these solve the weighted ridge problem; equal scores go to the first language."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"{'xyz'[i % 3]}{w}" for w in words(rng, 12, 60)), "abc"[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs, language_id.F.lit(True), order=3, bits=11, ridge=0.05)
+    sample = language_id._sample(docs, 200, 1600, 3, 11)
+    sets = [set(np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8))).tolist()) for _, m in sample]
+    seen, land = Counter(), []
+    for i, (lang, _) in enumerate(sample):
+        if seen[lang] % 4 == 0:
+            land.append(i)
+        seen[lang] += 1
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    kzz, kxz = (np.array([[kernel(a, sets[j]) for j in land] for a in some]) for some in ([sets[i] for i in land], sets))
+    values, vectors = np.linalg.eigh(kzz)
+    root = vectors[:, values > 1e-6 * values[-1]] / np.sqrt(values[values > 1e-6 * values[-1]])
+    phi = kxz @ root
+    asked = [" ".join(f"{rng.choice('xyz')}{w}" for w in words(rng, 20, 60)) for _ in range(25)]
+    got = model.predict(asked)
+    want = np.zeros((len(asked), 3))
+    for c, lang in enumerate("abc"):
+        y = np.array([1.0 if x == lang else -1.0 for x, _ in sample])
+        w = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+        # The stationary point of sum w (y - phi b - a)^2 + ridge * mean(w) |b|^2, solved with the intercept as a column.
+        full = np.column_stack([phi, np.ones(len(y))])
+        penalty = 0.05 * w.sum() / len(y) * np.diag([1.0] * phi.shape[1] + [0.0])
+        beta = np.linalg.solve(full.T @ (full * w[:, None]) + penalty, full.T @ (w * y))
+        for i, text in enumerate(asked):
+            own = set(np.flatnonzero(language_id.presence(text, 3, 11)).tolist())
+            want[i, c] = np.array([kernel(own, sets[j]) for j in land]) @ root @ beta[:-1] + beta[-1]
+    assert got[0] == ["abc"[i] for i in want.argmax(axis=1)]
+    assert np.allclose(got[1], np.clip((want.max(axis=1) + 1) / 2, 0, 1), atol=1e-4)
+    tied = language_id.Model(["a", "b"], np.zeros((1 << 11, 2), np.float32), np.zeros(2, np.float32), 3, 11)
+    assert tied.predict(["text"]) == (["a"], [0.5])
+
+
 def test_language_on_odd_and_empty_tables(spark):
     got = {(r.doc_id, r.lang_pred, r.score) for r in language_id.identify(odd_docs(spark), fold("doc_id", 5) == 0).collect()}
     assert {(0, "und", 0.0), (1, "und", 0.0), (2, "und", 0.0)} <= got
@@ -56,6 +93,43 @@ def test_quality(spark):
     assert sum(r.predicted == r.quality for r in got) >= 0.95 * len(got) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_descent_equals_plain_loops():
+    """Embeddings, softmax and their updates against the same steps number by number."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(12):
+        at = np.unique(rng.integers(0, 32, rng.integers(1, 9))).astype("<u4")
+        share = rng.random(len(at)).astype("<f4")
+        rows.append((int(rng.integers(0, 2)), at, share / share.sum()))
+    dim, epochs, rate, bits = 3, 4, 0.3, 5
+    model = quality_classifier._descend(rows, dim, epochs, rate, bits)
+    rng = np.random.default_rng(11)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32).astype(float).tolist()
+    out, bias, step = [[0.0] * dim, [0.0] * dim], [0.0, 0.0], 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)):
+            label, at, share = rows[i]
+            mean = [sum(float(s) * vectors[a][d] for a, s in zip(at, share, strict=True)) for d in range(dim)]
+            z = [sum(out[c][d] * mean[d] for d in range(dim)) + bias[c] for c in range(2)]
+            p = [math.exp(x) / sum(map(math.exp, z)) for x in z]
+            grad = [p[c] - (c == label) for c in range(2)]  # of the loss -log p[label] by z
+            now = rate * (1 - step / (epochs * len(rows)))
+            back = [sum(grad[c] * out[c][d] for c in range(2)) for d in range(dim)]
+            for c in range(2):
+                bias[c] -= 0.1 * now * grad[c]
+                for d in range(dim):
+                    out[c][d] -= now * grad[c] * mean[d]
+            for a, s in zip(at, share, strict=True):
+                for d in range(dim):
+                    vectors[a][d] -= now * math.sqrt(len(at)) * float(s) * back[d]
+            step += 1
+    want = [sum(v[d] * (out[1][d] - out[0][d]) for d in range(dim)) for v in vectors]
+    assert np.allclose(model.place, want, atol=1e-4) and abs(model.bias - (bias[1] - bias[0])) < 1e-4
+    p = model.scores(["some words"])
+    places = np.concatenate([*quality_classifier.features("some words", bits)])
+    assert abs(p[0] - 1 / (1 + math.exp(-model.bias - np.mean([model.place[a] for a in places])))) < 1e-6
+
+
 def test_quality_on_odd_and_empty_tables(spark):
     labels = spark.createDataFrame([(6, 1, 0), (7, 0, 0), (7, 0, 0), (None, 1, 0), (8, None, None), (0, 1, 0)], "doc_id long, quality int, toxic int")
     held, docs = fold("doc_id", 5) == 0, odd_docs(spark)

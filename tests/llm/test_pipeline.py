@@ -8,6 +8,7 @@ import numpy as np
 import corpus_pipeline
 from evidentia.llm import packing, quality_classifier
 from evidentia.llm._shared import fold, table
+from tests.llm.helpers import empty_docs, odd_docs
 from tests.llm.test_pairs import brute, brute_hits
 
 
@@ -42,3 +43,18 @@ def test_run_equals_plain_python(spark, sf):
                 start += n
     got = [(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in corpus_pipeline.run(spark, sf).collect()]
     assert len(clean) > 100 and sorted(got) == sorted(want)
+
+
+def test_run_on_odd_repeated_and_empty_tables(spark, tmp_path):
+    """Nulls, repeated rows, a long text and columns with clashing names go through all stages; empty tables give no rows."""
+    docs = odd_docs(spark)
+    labels = "doc_id long, quality int, toxic int"
+    tables = {"odd": (docs, [(6, 1, 0), (7, 0, 0), (None, 1, 0), (9, None, None)], [(1, "same text here"), (None, None)]), "empty": (empty_docs(spark), [], [])}
+    for name, (own, marks, items) in tables.items():
+        own.coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(marks, labels).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = {r.doc_id for r in rows}
+    assert {0, 1, 2, 9} <= ids and not ids & {10, 11} and all(sum(r.ids[-1:]) == 2 for r in rows if r.start + r.length == r.doc_tokens)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0

@@ -37,6 +37,17 @@ def test_packing_round_trip(spark, sf):
     assert packing.pack(empty_docs(spark)).count() == 0
 
 
+def test_packing_of_long_texts_and_full_tables(monkeypatch):
+    """Texts in parts, pieces too long to keep and a table that starts anew give the tokenizer's ids."""
+    rng = random.Random(2)
+    texts = [" ".join(f"{rng.choice('ab é')}w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(6)] + ["x" * 5000 + " y " + "z1" * 900, "", None, "a\nb\tc" * 300]
+    monkeypatch.setattr(packing.PieceEncoder, "PART", 500)
+    encoder = packing.PieceEncoder(packing.default_tokenizer(), limit=300)
+    for got, text in zip(encoder.encode(texts), texts, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert len(encoder.known) <= 700 and max(map(len, encoder.known)) <= packing.PieceEncoder.SHORT
+
+
 def test_packing_buckets(spark, tmp_path):
     packing.write_buckets(odd_docs(spark), str(tmp_path / "b"), max_len=64)
     assert spark.read.parquet(str(tmp_path / "b")).filter("size(ids) <> length OR length > 64").count() == 0
