@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -58,7 +59,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str, max_chars: int = 8_000_000, max_rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def tidy() -> None:
+    """Give memory that is free back to the system: Python workers live on after their tasks, and the driver after its fits."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], text: str, max_chars: int = 2_000_000, max_rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a piece holds at most about ``max_chars`` bytes of the column ``text``, or one row."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
@@ -71,6 +80,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, max_chars: int =
             total += size
         if begin < len(sizes):
             yield batch.slice(begin)
+    tidy()
 
 
 def filter_texts(docs: DataFrame, keep: Callable[[list[str | None]], Sequence[bool]]) -> DataFrame:

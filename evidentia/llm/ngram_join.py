@@ -48,7 +48,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 48
 SMALL = 64
 #: Shingles that a block and a shard hold, and sets and shingles of a chunk, at most (or one set).
-BLOCK, SHARD, CHUNK, CHUNK_KEYS = 400_000, 2_000_000, 256, 500_000
+BLOCK, SHARD, CHUNK, CHUNK_KEYS = 400_000, 1_000_000, 256, 500_000
 
 
 # Sets

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm._grams import buckets, codes
-from evidentia.llm._shared import filter_texts, small_batches
+from evidentia.llm._shared import filter_texts, small_batches, tidy
 
 _SLICE = 1 << 20
 _TWICE = 0x5BD1E995
@@ -116,7 +116,10 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 1500,
 
     rows = texts.mapInArrow(count, "k long, y int, at binary, share binary").orderBy("k", "y", "at").limit(2 * sample).toLocalIterator()
     seen = [(r[1], np.frombuffer(bytes(r[2]), "<u4"), np.frombuffer(bytes(r[3]), "<f4")) for r in rows]
-    return _descend([r for r in seen if len(r[1])], dim, epochs, rate, bits)
+    model = _descend([r for r in seen if len(r[1])], dim, epochs, rate, bits)
+    del rows, seen
+    tidy()
+    return model
 
 
 def score(docs: DataFrame, model: Model, held_out: Column, threshold: float = 0.3) -> DataFrame:
