@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators.running import previous, running
+
 _UNITS = {"hz": 1.0, "khz": 1e3, "mhz": 1e6, "ghz": 1e9}
 
 
@@ -59,21 +62,30 @@ def matches(goal: Goal) -> Column:
     return out
 
 
-def parse_stops(text: str, low: float = 1e5, high: float = 6e9) -> tuple[list[float], list[str]]:
-    """Frequencies in Hz of a list such as ``144-146 MHz step 12.5 kHz, 433.92 MHz``, sorted and once each, and what is wrong with it."""
-    stops, wrong = set(), []
+def parse_stops(text: str, low: float = 1e5, high: float = 6e9, width_hz: float = 2e6) -> tuple[list[float], list[str]]:
+    """Frequencies in Hz of a list such as ``144-146 MHz step 12.5 kHz, 433.92``, in the order typed and once each, and what is wrong with it.
+
+    A number without a unit is in MHz. A range without a step is tiled: middles of as many bands of ``width_hz`` as cover it.
+    """
+    stops, wrong = {}, []
     for part in filter(None, (p.strip().lower() for p in re.split(r"[,;\n]", text))):
-        m = re.fullmatch(r"([0-9.]+)\s*(?:-\s*([0-9.]+)\s*)?(hz|khz|mhz|ghz)(?:\s*step\s*([0-9.]+)\s*(hz|khz|mhz|ghz))?", part)
-        if not m or (m[2] and not m[4]):
-            wrong.append(f"{part!r} is not a frequency or a range with a step")
+        m = re.fullmatch(r"([0-9.]+)\s*(?:-\s*([0-9.]+)\s*)?(hz|khz|mhz|ghz)?(?:\s*step\s*([0-9.]+)\s*(hz|khz|mhz|ghz))?", part)
+        if not m or (m[4] and not m[2]):
+            wrong.append(f"{part!r} is not a frequency or a range")
             continue
-        a = float(m[1]) * _UNITS[m[3]]
-        b, step = (float(m[2]) * _UNITS[m[3]], float(m[4]) * _UNITS[m[5]]) if m[2] else (a, 1.0)
+        unit = _UNITS[m[3] or "mhz"]
+        a = float(m[1]) * unit
+        b = float(m[2]) * unit if m[2] else a
+        step = float(m[4]) * _UNITS[m[5]] if m[4] else width_hz
         if not step or b < a or a < low or b > high:
             wrong.append(f"{part!r} is out of bounds")
             continue
-        stops |= {a + i * step for i in range(int((b - a) / step + 1e-9) + 1)}
-    return sorted(stops), wrong
+        if m[2] and not m[4]:
+            tiles = max(1, math.ceil((b - a) / step - 1e-9))
+            stops.update(dict.fromkeys((a + b) / 2 + (i - (tiles - 1) / 2) * step for i in range(tiles)))
+        else:
+            stops.update(dict.fromkeys(a + i * step for i in range(int((b - a) / step + 1e-9) + 1)))
+    return list(stops), wrong
 
 
 def next_cell(cells: DataFrame, move: int, now: float, explore_every: int = 5, horizon: float = 60.0) -> DataFrame:
@@ -120,10 +132,10 @@ def distinct_finds(finds: DataFrame, slack_s: float = 0.5) -> DataFrame:
 
 def merge_lines(lines: DataFrame, tolerance: float) -> DataFrame:
     """Features (id, hz, margin) nearer than the tolerance as one, kept by the greatest margin: chains of neighbours."""
-    w = Window.orderBy("hz", "id")
-    chained = lines.withColumn("_new", F.coalesce((F.col("hz") - F.lag("hz").over(w) > tolerance).cast("int"), F.lit(1)))
-    chained = chained.withColumn("line", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return chained.groupBy("line").agg(F.max_by("hz", F.struct("margin", -F.col("id"))).alias("hz"), F.max("margin").alias("margin"), F.count(F.lit(1)).alias("members"))
+    at = lines.groupBy("hz").agg(F.max(F.struct("margin", (-F.col("id")).alias("o"))).alias("best"), F.count(F.lit(1)).alias("n"))
+    chained = previous(at, "hz").withColumn("_new", F.coalesce((F.col("hz") - F.col("previous") > tolerance).cast("int"), F.lit(1)))
+    chained = running(chained, "hz", {"line": ("sum", "_new")})
+    return chained.groupBy("line").agg(F.max_by("hz", "best").alias("hz"), F.max("best.margin").alias("margin"), F.sum("n").alias("members"))
 
 
 def detection_verdict(found: Column, false_rate: Column, least: float = 0.9, most: float = 0.01) -> Column:

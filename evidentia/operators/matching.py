@@ -24,6 +24,17 @@ def softmax(v) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
 
 
+BLOCK = 1024
+
+
+def with_blocks(rows: DataFrame, bank: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``rows`` with ``_block``, an array of the bank's rows, once for each block of the bank: an equality join on the block's number."""
+    blocks = max(1, -(-bank.count() // size))
+    number = F.pmod(F.xxhash64(*bank.columns), F.lit(blocks)).cast("int")
+    packed = bank.groupBy(number.alias("_b")).agg(F.collect_list(F.struct(*bank.columns)).alias("_block"))
+    return rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "_b").drop("_b")
+
+
 def prototypes(vectors: DataFrame, vector: str, label: str) -> DataFrame:
     """label, n, centre: the unit-length mean of each class. Dimensions are averaged apart, so no class is collected."""
     parts = vectors.select(F.col(label).alias("label"), F.posexplode(vector).alias("d", "x")).groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
@@ -34,12 +45,14 @@ def prototypes(vectors: DataFrame, vector: str, label: str) -> DataFrame:
 def classify(vectors: DataFrame, id_: str, vector: str, bank: DataFrame, threshold: float | None = None) -> DataFrame:
     """Nearest and second class by 1 - cosine; UNKNOWN beyond the class's threshold (column or number).
 
-    The bank holds one row a class or part of one; it is as small as the number of classes and Spark
-    broadcasts it when its measured size allows, and pairs rows with it otherwise.
+    The bank holds one row a class or part of one. It is cut into blocks of at most ``BLOCK`` rows, and a row meets each
+    block by number and keeps the classes' least distances of it, so what is moved a row grows with blocks, not with the bank.
     """
     limit = F.lit(threshold) if threshold is not None else F.col("threshold")
-    met = vectors.select(F.col(id_).alias("id"), unit(vector).alias("_v")).join(bank.select("label", "centre", limit.alias("_limit")))
-    per_class = met.groupBy("id", "label").agg(F.min(F.struct((1 - dot("_v", "centre")).alias("distance"), F.col("_limit"))).alias("m"))
+    rows = vectors.select(F.col(id_).alias("id"), unit(vector).alias("_v"))
+    met = with_blocks(rows, bank.select("label", "centre", limit.alias("limit")))
+    near = F.transform("_block", lambda x: F.struct(x["label"].alias("label"), (1 - dot("_v", x["centre"])).alias("distance"), x["limit"].alias("limit")))
+    per_class = met.select("id", F.explode(near).alias("x")).groupBy("id", F.col("x.label").alias("label")).agg(F.min(F.struct("x.distance", F.col("x.limit").alias("_limit"))).alias("m"))
     best = per_class.groupBy("id").agg(F.min(F.struct(F.col("m.distance").alias("distance"), "label", F.col("m._limit").alias("limit"))).alias("first"), F.sort_array(F.collect_list("m.distance")).alias("all"))
     return best.select("id", F.col("first.label").alias("nearest"), F.col("first.distance").alias("distance"), F.get("all", F.lit(1)).alias("second"), F.when(F.col("first.distance") <= F.col("first.limit"), F.col("first.label").cast("string")).otherwise(UNKNOWN).alias("answer"))
 

@@ -88,12 +88,35 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def kendall_tau_b(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Tie-corrected tau for values with few distinct pairs: pairs of rows are counted from pairs of cells."""
-    cells = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    x, y = cells.alias("x"), cells.alias("y")
-    sign = F.signum(F.col("x.a") - F.col("y.a")) * F.signum(F.col("x.b") - F.col("y.b"))
-    weight = F.col("x.n") * F.col("y.n")
-    s = x.join(y, (F.col("x.a") < F.col("y.a")) | ((F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")))).agg(F.sum(sign * weight).alias("s"))
+    """Tie-corrected tau. Pairs of rows are never formed: they are counted by running totals, one bit of b's rank at a time.
+
+    Two different ranks of b part at one bit. Among rows whose ranks agree in all higher bits, those with the bit
+    meet those without it, and a running total over a tells how many of these stand lower or higher there.
+    """
+    cells = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    ranks = {}
+    for name in ("a", "b"):
+        at = cells.groupBy(name).agg(F.sum("n").alias("n"))
+        ranks[name] = running(at.withColumn("one", F.lit(1)), name, {"rank": ("sum", "one")}).select(name, (F.col("rank") - 1).alias(f"r{name}"))
+    sizes = ranks["a"].agg(F.max("ra")).first()[0], ranks["b"].agg(F.max("rb")).first()[0]
+    width = (sizes[0] or 0) + 1
+    ranked = cells.join(ranks["a"], "a").join(ranks["b"], "b")
+    bits = max((sizes[1] or 0).bit_length(), 1)
+    level = ranked.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    # One number for bit, higher bits and rank of a: groups stand one after the other.
+    group = F.col("bit") * (1 << bits) + F.expr("shiftright(rb, cast(bit + 1 as int))")
+    one = F.expr("shiftright(rb, cast(bit as int)) & 1")
+    parted = level.select((group * width + F.col("ra")).alias("at"), group.alias("grp"), F.when(one == 1, F.col("n")).otherwise(0).alias("with"), F.when(one == 0, F.col("n")).otherwise(0).alias("without"))
+    summed = parted.groupBy("at", "grp").agg(F.sum("with").alias("with"), F.sum("without").alias("without"))
+    run = running(summed, "at", {"w": ("sum", "with"), "o": ("sum", "without")})
+    # Rows without the bit and of lower a agree in order with one that has it; rows with the bit and of lower a disagree with one without.
+    wide = "decimal(38,0)"
+    terms = run.select("grp", *[F.col(c).cast(wide).alias(c) for c in ("with", "without", "w", "o")])
+    per = terms.groupBy("grp").agg(
+        F.sum(F.col("with") * (F.col("o") - F.col("without"))).alias("agree"), F.sum(F.col("without") * (F.col("w") - F.col("with"))).alias("differ"),
+        F.sum("with").alias("with"), F.sum("without").alias("without"), F.min(F.col("o") - F.col("without")).alias("o"), F.min(F.col("w") - F.col("with")).alias("w"),
+    )
+    s = per.agg(F.coalesce(F.sum(F.col("agree") - F.col("with") * F.col("o") - F.col("differ") + F.col("without") * F.col("w")), F.lit(0)).cast("double").alias("s"))
     pairs = lambda d: F.sum(d * (d - 1) / 2)
     total = cells.agg(F.sum("n").alias("n"))
     ta = cells.groupBy("a").agg(F.sum("n").alias("n")).agg(pairs(F.col("n")).alias("ta"))

@@ -30,17 +30,17 @@ def similar(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
 
 
 def _exploded(rows: DataFrame, text: str, n: int, *keys: str) -> DataFrame:
-    """keys, gram: the words are a column of their own, so that they are found once a row and not once a gram."""
-    return rows.select(*keys, words(F.col(text)).alias("_w")).select(*keys, F.explode(grams(F.col("_w"), n)).alias("gram"))
+    """keys, gram: 64-bit hashes of the distinct grams. The words are a column of their own, so that they are found once a row and not once a gram."""
+    found = rows.select(*keys, words(F.col(text)).alias("_w")).select(*keys, F.explode(grams(F.col("_w"), n)).alias("gram"))
+    return found.select(*keys, F.xxhash64("gram").alias("gram"))
 
 
 def containment(docs: DataFrame, id_: str, text: str, corpus: DataFrame, corpus_text: str, n: int = 3) -> DataFrame:
     """id, grams, seen, contained: the share of a document's word grams that the corpus has."""
-    own = _exploded(docs.withColumn("id", F.col(id_)), text, n, "id")
-    known = _exploded(corpus, corpus_text, n).distinct()
-    total = own.groupBy("id").agg(F.count(F.lit(1)).alias("grams"))
-    seen = own.join(known, "gram", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("seen"))
-    return total.join(seen, "id", "left").select("id", "grams", F.coalesce("seen", F.lit(0)).alias("seen"), (F.coalesce("seen", F.lit(0)) / F.col("grams")).alias("contained"))
+    known = _exploded(corpus, corpus_text, n).distinct().withColumn("known", F.lit(1))
+    met = _exploded(docs.withColumn("id", F.col(id_)), text, n, "id").join(known, "gram", "left")
+    total = met.groupBy("id").agg(F.count(F.lit(1)).alias("grams"), F.count("known").alias("seen"))
+    return total.select("id", "grams", "seen", (F.col("seen") / F.col("grams")).alias("contained"))
 
 
 def sentences(docs: DataFrame, id_: str, text: str) -> DataFrame:
@@ -53,8 +53,9 @@ def new_sentences(docs: DataFrame, id_: str, text: str, corpus: DataFrame, corpu
     """id, idx, grams, fresh, score, novel: the share of a sentence's grams that neither the corpus nor an earlier sentence has."""
     own = _exploded(sentences(docs, id_, text), "sentence", n, "id", "idx")
     known = _exploded(corpus, corpus_text, n).distinct()
-    first = own.groupBy("id", "gram").agg(F.min("idx").alias("first"))
-    fresh = own.join(first, ["id", "gram"]).filter(F.col("idx") == F.col("first")).join(known, "gram", "left_anti").groupBy("id", "idx").agg(F.count(F.lit(1)).alias("fresh"))
+    # Grams are distinct within a sentence, so the first sentence of a document with a gram is where it is fresh.
+    first = own.groupBy("id", "gram").agg(F.min("idx").alias("idx"))
+    fresh = first.join(known, "gram", "left_anti").groupBy("id", "idx").agg(F.count(F.lit(1)).alias("fresh"))
     total = own.groupBy("id", "idx").agg(F.count(F.lit(1)).alias("grams"))
     score = F.coalesce("fresh", F.lit(0)) / F.col("grams")
     return total.join(fresh, ["id", "idx"], "left").select("id", "idx", "grams", F.coalesce("fresh", F.lit(0)).alias("fresh"), score.alias("score"), (score > tau).alias("novel"))

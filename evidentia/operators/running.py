@@ -31,3 +31,17 @@ def running(df: DataFrame, order: str, columns: dict[str, tuple[str, str]], desc
         own = (F.sum if kind == "sum" else F.max)(source).over(inside)
         out = out.withColumn(name, own + F.coalesce(f"_{name}", F.lit(0)) if kind == "sum" else F.greatest(own, F.col(f"_{name}")))
     return out.drop("_part", *[f"_{name}" for name in columns])
+
+
+def previous(df: DataFrame, order: str, name: str = "previous") -> DataFrame:
+    """Adds the value of ``order`` (numeric and distinct) in the row before, null for the first."""
+    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / PARTS for i in range(1, PARTS)], 1000)).first()[0] or []
+    cuts = sorted(set(cuts))
+    bucket: Column = F.lit(0)
+    if cuts:
+        bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(order).cast("double")))
+    parted = df.withColumn("_part", bucket)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    edges = parted.groupBy("_part").agg(F.max(order).alias("_top")).select("_part", F.max("_top").over(before).alias("_edge"))
+    out = parted.join(F.broadcast(edges), "_part")
+    return out.withColumn(name, F.coalesce(F.lag(order).over(Window.partitionBy("_part").orderBy(order)), "_edge")).drop("_part", "_edge")

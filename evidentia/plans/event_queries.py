@@ -100,7 +100,7 @@ def unwrapped_clock(spark, sf):
 
 
 def resampled_values(spark, sf):
-    return events.resample(_ev(spark, sf, "value").filter("who <= 20"), "who", "value", 21_600_000_000, 259_200_000_000).select("who", "us", F.round("value", 6).alias("value"))
+    return events.resample(_ev(spark, sf, "value"), "who", "value", 21_600_000_000, 259_200_000_000).select("who", "us", F.round("value", 6).alias("value"))
 
 
 def presence_windows(spark, sf):
@@ -183,7 +183,7 @@ ORACLE_SQL = {
         m AS (SELECT a.id, a.event_type AS a_kind, b.event_type AS b_kind, min(b.us - a.us) AS d FROM e AS a JOIN e AS b ON a.who <> b.who AND a.event_type <> b.event_type AND b.us BETWEEN a.us + 500000 AND a.us + 300000000 GROUP BY ALL),
         p AS (SELECT a_kind, b_kind, count(*) AS answered, avg(d) AS d FROM m GROUP BY ALL),
         x AS (SELECT a_kind, b_kind, na.n AS calls, answered, d, na.n * (1 - exp(-nb.n * 299500000 / span)) AS mean FROM p JOIN n AS na ON na.event_type = a_kind JOIN n AS nb ON nb.event_type = b_kind, s)
-        SELECT a_kind, b_kind, calls, answered, round(mean, 4) AS expected, round(CASE WHEN answered > 400 THEN exp(-pow(greatest(answered - mean, 0), 2) / (2 * answered)) ELSE {_TAIL.format(k="answered", m="mean")} END, 4) AS p_value, round(d, 0) AS delay_us FROM x""",
+        SELECT a_kind, b_kind, calls, answered, round(mean, 4) AS expected, round({_TAIL.format(k="answered", m="mean")}, 4) AS p_value, round(d, 0) AS delay_us FROM x""",
     "nearest_same_user": f"""
         WITH {_EV}, m AS (SELECT a.id, b.id AS near_id, abs(b.us - a.us) AS off_us, row_number() OVER (PARTITION BY a.id ORDER BY abs(b.us - a.us), b.us, b.id) AS r
             FROM e AS a JOIN e AS b ON a.event_type = 'purchase' AND b.event_type = 'view' AND a.who = b.who AND abs(a.us - b.us) <= 86400000000)
@@ -238,7 +238,7 @@ ORACLE_SQL = {
         WITH {_EV}, c AS (SELECT id, who, us, us % 4294967296 AS clock FROM e), f AS (SELECT *, coalesce((clock < lag(clock) OVER (PARTITION BY who ORDER BY us) - 2147483648)::INT, 0) AS f FROM c)
         SELECT id, (clock + sum(f) OVER (PARTITION BY who ORDER BY us ROWS UNBOUNDED PRECEDING) * 4294967296)::BIGINT AS unwrapped FROM f""",
     "resampled_values": f"""
-        WITH {_EV}, a AS (SELECT who, us, avg(value) AS v FROM e WHERE who <= 20 GROUP BY ALL), s AS (SELECT *, lead(us) OVER (PARTITION BY who ORDER BY us) AS u2, lead(v) OVER (PARTITION BY who ORDER BY us) AS v2 FROM a),
+        WITH {_EV}, a AS (SELECT who, us, avg(value) AS v FROM e GROUP BY ALL), s AS (SELECT *, lead(us) OVER (PARTITION BY who ORDER BY us) AS u2, lead(v) OVER (PARTITION BY who ORDER BY us) AS v2 FROM a),
         g AS (SELECT *, unnest(range(ceil(us / 21600000000)::BIGINT, CASE WHEN u2 IS NULL THEN floor(us / 21600000000)::BIGINT + 1 ELSE ceil(u2 / 21600000000)::BIGINT END)) * 21600000000 AS t FROM s)
         SELECT who, t AS us, round(CASE WHEN u2 IS NULL OR t = us THEN v WHEN u2 - us <= 259200000000 THEN v + (v2 - v) * (t - us) / (u2 - us) END, 6) AS value FROM g""",
     "presence_windows": f"""

@@ -41,7 +41,7 @@ def pooled_variance(spark, sf):
 
 def emitter_match(spark, sf):
     f = _features(spark, sf)
-    probes = f.filter("l_orderkey <= 50").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "feature", "value")
+    probes = f.filter("l_orderkey % 100 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "feature", "value")
     limits = {k: (stats.chi2_quantile(0.5, k) / k) ** 0.5 for k in range(1, 5)}
     return matching.library_match(probes, matching.library(f), limits).select("id", "nearest", F.round("distance", 5).alias("distance"), "used", "answer")
 
@@ -199,7 +199,7 @@ def idw_estimates(spark, sf):
 
 
 def value_variogram(spark, sf):
-    return spatial.variogram(_places(spark, sf).filter("id <= 700"), [0, 2_000, 5_000, 10_000], 0.2).select("lag", "pairs", F.round("metres", 2).alias("metres"), F.round("semivariance", 1).alias("semivariance"))
+    return spatial.variogram(_places(spark, sf), [0, 2_000, 5_000, 10_000], 0.2).select("lag", "pairs", F.round("metres", 2).alias("metres"), F.round("semivariance", 1).alias("semivariance"))
 
 
 def merged_samples(spark, sf):
@@ -226,16 +226,16 @@ def band_counts(spark, sf):
 
 def bearing_cells(spark, sf):
     grid = spark.range(400).select(F.col("id").alias("cell"), (50 + F.floor(F.col("id") / 20) * 0.1).alias("lat"), (5 + F.pmod("id", F.lit(20)) * 0.15).alias("lon"))
-    b = _places(spark, sf, "supplier", "s_suppkey", "s_acctbal").filter("id <= 4").select(F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), geo.bearing_deg(F.col("lat"), F.col("lon"), 51.03, 6.02).alias("deg"), F.lit(5.0).alias("sigma"), (F.col("id") == 2).alias("ambiguous"))
+    b = _places(spark, sf, "supplier", "s_suppkey", "s_acctbal").select(F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), geo.bearing_deg(F.col("lat"), F.col("lon"), 51.03, 6.02).alias("deg"), F.lit(5.0).alias("sigma"), (F.pmod("id", F.lit(3)) == 2).alias("ambiguous"))
     mass = spatial.bearing_posterior(grid, b).withColumn("mass", F.round("mass", 9))
     return spatial.densest(mass, "mass", 0.9).select("cell", F.round("mass", 6).alias("mass"), F.round("credible", 5).alias("credible"))
 
 
 def fingerprint_places(spark, sf):
-    li = _t(spark, sf, "lineitem").filter("l_orderkey <= 400")
+    li = _t(spark, sf, "lineitem")
     long = li.groupBy(F.col("l_suppkey").alias("place"), F.col("l_linenumber").alias("key")).agg(F.avg(-F.col("l_quantity") - 50).alias("level"))
-    heard = li.filter("l_orderkey <= 20").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("key"), (-F.col("l_quantity") - 50).cast("double").alias("level"))
-    return spatial.fingerprint_loglik(heard, spatial.signal_matrix(long)).select("qid", "place", "shared", F.round("loglik", 5).alias("loglik"))
+    heard = li.filter("l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("key"), (-F.col("l_quantity") - 50).cast("double").alias("level"))
+    return spatial.fingerprint_loglik(heard, spatial.signal_matrix(long)).select("qid", "place", "shared", (F.round("loglik", 5) + 0.0).alias("loglik"))
 
 
 # Records
@@ -322,7 +322,7 @@ ORACLE_SQL = {
     "emitter_library": f"WITH {_FEAT}, {_LIB} SELECT emitter, feature, n, round(mean, 4) AS mean, round(var, 3) AS var FROM lib",
     "pooled_variance": f"WITH {_FEAT}, {_LIB} SELECT feature, round(pooled, 3) AS pooled FROM pv",
     "emitter_match": f"""
-        WITH {_FEAT}, {_LIB}, q AS (SELECT l_orderkey * 10 + l_linenumber AS id, feature, value FROM f WHERE l_orderkey <= 50),
+        WITH {_FEAT}, {_LIB}, q AS (SELECT l_orderkey * 10 + l_linenumber AS id, feature, value FROM f WHERE l_orderkey % 100 = 0),
         d AS (SELECT id, emitter, count(*) AS used, sqrt(avg(pow(value - mean, 2) / pooled)) AS distance FROM q JOIN lib USING (feature) JOIN pv USING (feature) WHERE pooled > 0 GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, emitter) AS r FROM d)
         SELECT id, emitter AS nearest, round(distance, 5) AS distance, used, CASE WHEN used = 4 AND distance <= {_LIMIT!r} THEN emitter::VARCHAR ELSE 'UNKNOWN' END AS answer FROM r WHERE r = 1""",
@@ -378,7 +378,7 @@ ORACLE_SQL = {
         e AS (SELECT id, count(*) AS used, coalesce(min_by(value, sid) FILTER (m < 1e-6), sum(value / m / m) FILTER (m >= 1e-6) / sum(1 / m / m) FILTER (m >= 1e-6)) AS estimate FROM k GROUP BY 1)
         SELECT p.id, used, round(estimate, 3) AS estimate FROM p LEFT JOIN e USING (id) WHERE p.id % 3 = 0""",
     "value_variogram": f"""
-        WITH {_P}, q AS (SELECT * FROM p WHERE id <= 700), d AS (SELECT {_HAV.format(a='x.lat', b='x.lon', c='y.lat', d='y.lon')} AS m, x.value - y.value AS v FROM q AS x JOIN q AS y ON x.id < y.id), l AS (SELECT *, CASE WHEN m < 2000 THEN 0 WHEN m < 5000 THEN 1 WHEN m < 10000 THEN 2 END AS lag FROM d)
+        WITH {_P}, d AS (SELECT {_HAV.format(a='x.lat', b='x.lon', c='y.lat', d='y.lon')} AS m, x.value - y.value AS v FROM p AS x JOIN p AS y ON x.id < y.id AND abs(x.lat - y.lat) < 0.2), l AS (SELECT *, CASE WHEN m < 2000 THEN 0 WHEN m < 5000 THEN 1 WHEN m < 10000 THEN 2 END AS lag FROM d)
         SELECT lag, count(*) AS pairs, round(avg(m), 2) AS metres, round(avg(v * v) / 2, 1) AS semivariance FROM l WHERE lag IS NOT NULL GROUP BY 1 HAVING count(*) >= 3""",
     "merged_samples": f"WITH {_P} SELECT floor(lat / 0.25)::BIGINT AS row, floor(lon / 0.25)::BIGINT AS col, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, round(avg(value), 4) AS value FROM p GROUP BY 1, 2",
     "fold_errors": "WITH e AS (SELECT l_orderkey % 5 AS fold, l_quantity * 1400 - l_extendedprice AS e FROM lineitem) SELECT fold, count(*) AS n, round(sqrt(avg(e * e)), 2) AS rmse, round(avg(abs(e)), 2) AS mae, round(avg(e), 2) AS bias FROM e GROUP BY 1",
@@ -419,10 +419,10 @@ ORACLE_SQL = {
         SELECT id, n::BIGINT AS n_words, s::BIGINT AS sentences, round(CASE WHEN n > 0 THEN 1000 * len(list_filter(w, lambda x: list_contains([{_STOP}], x))) / n ELSE 0 END, 5) AS stop_rate, round(n / s, 5) AS sentence_words, round((length(t) - length(replace(t, ',', ''))) / s, 5) AS sentence_commas,
             round(CASE WHEN n > 0 THEN list_avg(list_transform(range(1, greatest(n - 49, 1) + 1), lambda i: len(list_distinct(w[i:i+49])) / least(n, 50))) END, 5) AS richness FROM c""",
     "fingerprint_places": """
-        WITH li AS (SELECT * FROM lineitem WHERE l_orderkey <= 400), k0 AS (SELECT l_suppkey AS place, l_linenumber AS key, avg(-l_quantity - 50) AS level FROM li GROUP BY ALL), k AS (SELECT * FROM k0 WHERE key IN (SELECT key FROM k0 GROUP BY 1 HAVING count(*) >= 3)),
-        h AS (SELECT l_orderkey AS qid, l_linenumber AS key, (-l_quantity - 50)::DOUBLE AS level FROM li WHERE l_orderkey <= 20), m AS (SELECT qid, sum(-2.5 * ln(1 + pow((level + 110) / 6, 2) / 4)) AS missed FROM h GROUP BY 1),
+        WITH li AS (SELECT * FROM lineitem), k0 AS (SELECT l_suppkey AS place, l_linenumber AS key, avg(-l_quantity - 50) AS level FROM li GROUP BY ALL), k AS (SELECT * FROM k0 WHERE key IN (SELECT key FROM k0 GROUP BY 1 HAVING count(*) >= 3)),
+        h AS (SELECT l_orderkey AS qid, l_linenumber AS key, (-l_quantity - 50)::DOUBLE AS level FROM li WHERE l_orderkey % 100 = 0), m AS (SELECT qid, sum(-2.5 * ln(1 + pow((level + 110) / 6, 2) / 4)) AS missed FROM h GROUP BY 1),
         p AS (SELECT qid, place, count(*) AS shared, sum(-2.5 * ln(1 + pow((h.level - k.level) / 6, 2) / 4)) AS hit, sum(-2.5 * ln(1 + pow((h.level + 110) / 6, 2) / 4)) AS ins FROM h JOIN k USING (key) GROUP BY ALL)
-        SELECT qid, place, shared, round(missed - ins + hit, 5) AS loglik FROM p JOIN m USING (qid)""",
+        SELECT qid, place, shared, round(missed - ins + hit, 5) + 0.0 AS loglik FROM p JOIN m USING (qid)""",
     "extracted_licence": rf"""
         WITH g AS (SELECT doc_id, text, nullif(regexp_extract(text, '(?m)^(?:Licensed|Released) under (?:the )?([^\n.]+)', 1), '') AS got FROM documents),
         w AS (SELECT *, CASE WHEN got IS NULL OR trim(got) = '' THEN 'empty' WHEN lower(trim(got, ' .' || chr(9))) IN ('-', 'n/a', 'na', 'nil', 'none', 'null', 'unknown') THEN 'null wording'
@@ -430,7 +430,7 @@ ORACLE_SQL = {
         SELECT doc_id, CASE WHEN why IS NULL THEN got END AS value, why IS NULL AS ok, why FROM w""",
     "bearing_cells": f"""
         WITH grid AS (SELECT i AS cell, 50 + (i // 20) * 0.1 AS lat, 5 + (i % 20) * 0.15 AS lon FROM range(400) AS r(i)), {_PLACE.format(k="s_suppkey", v="s_acctbal", t="supplier")},
-        b AS (SELECT id, lat AS la, lon AS lo, {_BEAR.format(a="lat", b="lon", c="51.03", d="6.02")} AS deg, id = 2 AS amb FROM p WHERE id <= 4),
+        b AS (SELECT id, lat AS la, lon AS lo, {_BEAR.format(a="lat", b="lon", c="51.03", d="6.02")} AS deg, id % 3 = 2 AS amb FROM p),
         o AS (SELECT cell, amb, {_BEAR.format(a="la", b="lo", c="lat", d="lon")} - deg + 180 AS x FROM grid, b), q AS (SELECT cell, amb, abs(x - 360 * floor(x / 360) - 180) AS off FROM o),
         n AS (SELECT cell, CASE WHEN amb THEN (exp(-0.5 * pow(off / 5, 2)) + exp(-0.5 * pow((180 - off) / 5, 2))) / 2 ELSE exp(-0.5 * pow(off / 5, 2)) END / (5 * 2.5066282746310002) AS one FROM q),
         l AS (SELECT cell, sum(ln(0.95 * one + 0.05 / 360)) AS s FROM n GROUP BY 1), e AS (SELECT cell, exp(s - max(s) OVER ()) AS v FROM l), m AS (SELECT cell, round(v / sum(v) OVER (), 9) AS mass FROM e),
