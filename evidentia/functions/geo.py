@@ -170,3 +170,47 @@ def reflection(grazing, permittivity: float, conductivity: float, hz: float, ver
     nr, ni, dr, di = ar - zr, ai - zi, ar + zr, ai + zi
     scale = dr * dr + di * di
     return (nr * dr + ni * di) / scale, (ni * dr - nr * di) / scale
+
+
+def in_region(grid: Column, region: dict | None) -> Column:
+    """Whether a locator lies in a region: ``{"grids": [...]}`` by beginnings, ``{"lat", "lon", "km"}`` by distance; None is everywhere."""
+    if region is None:
+        return F.lit(True)
+    if "grids" in region:
+        out = F.lit(False)
+        for beginning in region["grids"]:
+            out = out | F.upper(grid).startswith(beginning.upper())
+        return F.coalesce(out, F.lit(False))
+    place = locator_centre(grid)
+    return F.coalesce(haversine_m(place["lat"], place["lon"], float(region["lat"]), float(region["lon"])) <= 1000.0 * region["km"], F.lit(False))
+
+
+def two_ray_db(metres, hz: float, h_tx, h_rx, permittivity: float = 15.0, conductivity: float = 0.005, vertical: bool = True) -> Column:
+    """Loss over flat ground of the direct and the reflected ray together."""
+    d, up, down = _col(metres), _col(h_tx), _col(h_rx)
+    direct, bounced = F.sqrt(d * d + (up - down) ** 2), F.sqrt(d * d + (up + down) ** 2)
+    re, im = reflection(F.degrees(F.atan2(up + down, d)), permittivity, conductivity, hz, vertical)
+    turn = 2 * math.pi * hz / LIGHT * (bounced - direct)
+    x = 1 / direct + (re * F.cos(turn) + im * F.sin(turn)) / bounced
+    y = (im * F.cos(turn) - re * F.sin(turn)) / bounced
+    return -20 * F.log10(LIGHT / hz / (4 * math.pi) * F.sqrt(x * x + y * y))
+
+
+def table_gain_dbi(angle, angles: list[float], gains: list[float]) -> Column:
+    """Gain by linear interpolation in a table over the circle; angles grow from 0 and stay under 360."""
+    a = F.pmod(_col(angle), F.lit(360.0))
+    out = F.lit(None).cast("double")
+    ring = [*zip(angles, gains, strict=True), (angles[0] + 360.0, gains[0])]
+    for (a0, g0), (a1, g1) in zip(ring, ring[1:], strict=False):
+        at = F.when(a < angles[0], a + 360).otherwise(a)
+        out = F.when((at >= a0) & (at < a1), g0 + (g1 - g0) * (at - a0) / (a1 - a0)).otherwise(out)
+    return out
+
+
+def ideal_split_loss_db(ways) -> Column:
+    return 10 * F.log10(_col(ways).cast("double"))
+
+
+def expected_input_dbm(power_dbm, attenuation_db, split_db, cable_db=0.0) -> Column:
+    """What a receiver gets through an attenuator, a splitter and a cable."""
+    return _col(power_dbm) - _col(attenuation_db) - _col(split_db) - _col(cable_db)

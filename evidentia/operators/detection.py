@@ -76,3 +76,52 @@ def peaks(cells: DataFrame, keys: list[str], order: str, value: str, apart: int)
 def tile_rows(frames: DataFrame, order: str, value: str, factor: int) -> DataFrame:
     """Max- and mean-pooled rows of so many frames."""
     return frames.groupBy(F.floor(F.col(order) / factor).alias("row")).agg(F.max(value).alias("peak"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+def floor_mask(above_db: Column, pfa: float, pool: int = 1, margin_db: float = 1.0) -> Column:
+    """Whether a cell, in dB over a known floor, exceeds what noise does with this chance, and a margin."""
+    import math
+
+    from evidentia.functions.stats import floor_alpha
+
+    return above_db > 10 * math.log10(floor_alpha(pfa, pool)) + margin_db
+
+
+def tile_layout(rate: float, hop: int, seconds: float, rows: int, overlap: float = 0.5) -> dict[str, int]:
+    """Frames pooled to a row, rows of a tile, and rows by which tiles step: a tile lasts about so many seconds."""
+    pool = max(1, round(seconds * rate / hop / rows))
+    return {"pool": pool, "rows": rows, "step": max(1, round(rows * (1 - overlap)))}
+
+
+def tiles(frames: DataFrame, keys: list[str], frame: str, power: str, layout: dict[str, int]) -> DataFrame:
+    """keys, tile, row, power: mean power of the rows of all tiles; overlapping tiles share rows.
+
+    Each frame is pooled to its row first, so only rows are repeated for the tiles they lie in.
+    """
+    rows = frames.groupBy(*keys, F.floor(F.col(frame) / layout["pool"]).alias("at")).agg(F.avg(power).alias("power"))
+    last = F.floor(F.col("at") / layout["step"])
+    first = F.ceil((F.col("at") - layout["rows"] + 1) / layout["step"])
+    spread = rows.withColumn("tile", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    return spread.select(*keys, "tile", (F.col("at") - F.col("tile") * layout["step"]).alias("row"), "power")
+
+
+def row_time(tile: Column, row: Column, rate: float, hop: int, layout: dict[str, int]) -> Column:
+    """Seconds at which a row of a tile begins."""
+    return (tile * layout["step"] + row) * layout["pool"] * hop / rate
+
+
+def time_row(tile: Column, seconds: Column, rate: float, hop: int, layout: dict[str, int]) -> Column:
+    """The row of a tile at a time, the inverse of ``row_time``."""
+    return seconds * rate / hop / layout["pool"] - tile * layout["step"]
+
+
+def box_snr_db(cells: DataFrame, boxes: DataFrame, keys: list[str], at: str, power: str) -> DataFrame:
+    """boxes (box, keys, first, last) with mean power inside over mean power outside all boxes of the keys, in dB.
+
+    Cells meet boxes by their keys and then by range; boxes of one key must not overlap.
+    """
+    spans = boxes.select(*keys, "box", F.explode(F.sequence("first", "last")).alias(at))
+    marked = cells.join(spans, [*keys, at], "left")
+    noise = marked.filter("box is null").groupBy(*keys).agg(F.avg(power).alias("noise"))
+    inside = marked.filter("box is not null").groupBy(*keys, "box").agg(F.avg(power).alias("signal"))
+    return inside.join(noise, keys).select(*keys, "box", (10 * F.log10(F.col("signal") / F.col("noise"))).alias("snr_db"))

@@ -240,3 +240,24 @@ def presence(rows: DataFrame, value: str, window: str, slide: str, quantile: flo
 def as_sightings(events: DataFrame, id_: str, who: str, ts: str, *more: str) -> DataFrame:
     """The columns by which these operators know events: id, who, us."""
     return events.select(F.col(id_).alias("id"), F.col(who).alias("who"), micros(ts).alias("us"), *more)
+
+
+def difference_peaks(histogram: DataFrame, events: DataFrame, key: str, share: float = 0.5, decay: float = 0.5) -> DataFrame:
+    """Cells of a lag histogram that exceed what chance gives: ``share`` of the key's events less the lag, falling with the cell.
+
+    histogram: key, lag, cell, n, as ``lag_histogram`` has it; cells of a key count from its first.
+    """
+    total = events.groupBy(key).agg(F.count(F.lit(1)).alias("events"))
+    span = histogram.groupBy(key).agg(F.min("cell").alias("first"), (F.max("cell") - F.min("cell") + 1).alias("cells"))
+    limit = share * (F.col("events") - F.col("lag")) * F.exp(-(F.col("cell") - F.col("first")) / (decay * F.col("cells")))
+    return histogram.join(total, key).join(span, key).withColumn("limit", limit).filter(F.col("n") > F.col("limit")).select(key, "lag", "cell", "n", "limit")
+
+
+def social_graph(*edges: tuple[str, DataFrame, str]) -> DataFrame:
+    """who_a, who_b, kinds, weight: all edges (kind, pairs, weight column) of two, the lesser first, with their kinds and summed weights."""
+    rows = None
+    for kind, pairs, weight in edges:
+        own = pairs.select(F.least("who_a", "who_b").alias("who_a"), F.greatest("who_a", "who_b").alias("who_b"), F.lit(kind).alias("kind"), F.col(weight).cast("double").alias("weight"))
+        rows = own if rows is None else rows.unionByName(own)
+    found = rows.filter("who_a <> who_b").groupBy("who_a", "who_b").agg(F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("kinds"), F.sum("weight").alias("weight"))
+    return found

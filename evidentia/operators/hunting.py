@@ -141,3 +141,19 @@ def merge_lines(lines: DataFrame, tolerance: float) -> DataFrame:
 def detection_verdict(found: Column, false_rate: Column, least: float = 0.9, most: float = 0.01) -> Column:
     """A plain sentence from two figures."""
     return F.when(found.isNull() | false_rate.isNull(), "not measured").when(false_rate > most, "too many false alarms").when(found < least, "misses too much").otherwise("good")
+
+
+def recordable(cls: Column, wanted: list[str]) -> Column:
+    """Whether a feature's class is on the record list; an unknown class is not."""
+    return F.coalesce(cls.isin(*wanted), F.lit(False))
+
+
+def next_stops(stops: DataFrame, key: str, backlog: int) -> DataFrame:
+    """The next stop of each receiver (key, stop, order, state): confirmations first, then stops to look at again, then new ones.
+
+    state: confirm, again, new or done. A receiver with more than ``backlog`` stops to confirm waits: its stop is null.
+    """
+    rank = F.when(F.col("state") == "confirm", 0).when(F.col("state") == "again", 1).when(F.col("state") == "new", 2)
+    open_ = F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "order", "stop"))
+    due = stops.groupBy(key).agg(F.min(open_).alias("s"), F.sum((F.col("state") == "confirm").cast("long")).alias("waiting"))
+    return due.select(key, "waiting", F.when(F.col("waiting") <= backlog, F.col("s.stop")).alias("stop"))

@@ -163,3 +163,13 @@ def confirmed(boxes: DataFrame, results: DataFrame, id_: str = "id") -> DataFram
     tried = boxes.filter(F.coalesce(F.col("cls"), F.lit(UNKNOWN)) != UNKNOWN).select(id_)
     best = results.filter("ok").join(tried, id_, "left_semi").groupBy(id_).agg(F.min(F.struct("rank", "decoder", "label")).alias("b"))
     return boxes.join(best, id_, "left").select(*boxes.columns, F.col("b.decoder").alias("decoder"), F.coalesce("b.label", "cls").alias("label"), (F.col("b.label") != F.col("cls")).alias("disagrees"))
+
+
+def box_json(boxes: DataFrame, id_: str, columns: list[str]) -> DataFrame:
+    """id, json: boxes as JSON text."""
+    return boxes.select(F.col(id_).alias("id"), F.to_json(F.struct(*columns)).alias("json"))
+
+
+def boxes_of(rows: DataFrame, schema: str) -> DataFrame:
+    """id and the columns of JSON texts made by ``box_json``; a text that is none gives nulls."""
+    return rows.select("id", F.from_json("json", schema).alias("_b")).select("id", "_b.*")

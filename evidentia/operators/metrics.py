@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.operators.running import running
@@ -138,3 +138,35 @@ def disc_quantile(rows: DataFrame, value: str, q: float) -> DataFrame:
     up = running(at, "v", {"upto": ("sum", "n")})
     total = at.agg(F.sum("n").alias("all"))
     return up.join(F.broadcast(total)).filter(F.col("upto") >= q * F.col("all")).agg(F.min("v").alias("threshold"), F.max("all").alias("n"))
+
+
+def latency(rows: DataFrame, ms: str, *keys: str) -> DataFrame:
+    """Samples, mean, median, 95th percentile and greatest of a latency."""
+    return rows.groupBy(*keys).agg(F.count(ms).alias("n"), F.avg(ms).alias("mean"), F.percentile(ms, 0.5).alias("p50"), F.percentile(ms, 0.95).alias("p95"), F.max(ms).alias("most"))
+
+
+def domain_gap(rows: DataFrame, domain: str, a: str, b: str, truth: str, guess: str) -> DataFrame:
+    """One row: rows and accuracy in two domains, and how much the second loses."""
+    right = (F.col(truth) == F.col(guess)).cast("double")
+    of = lambda d: F.avg(F.when(F.col(domain) == d, right))
+    n = lambda d: F.sum((F.col(domain) == d).cast("long"))
+    return rows.agg(n(a).alias("n_a"), n(b).alias("n_b"), of(a).alias("accuracy_a"), of(b).alias("accuracy_b"), (of(a) - of(b)).alias("gap"))
+
+
+def detection_ap(claims: DataFrame, truths: DataFrame) -> DataFrame:
+    """cls, truths, ap: all-point interpolated average precision of each class of ``truths`` (id, cls).
+
+    claims: predictions (id, cls, score, matched), as ``matching.first_claim`` decides which of them have a truth.
+    """
+    at = claims.groupBy("cls", "score").agg(F.sum(F.col("matched").cast("long")).alias("hit"), F.count(F.lit(1)).alias("n"))
+    down = Window.partitionBy("cls").orderBy(F.desc("score"))
+    upto = at.withColumns({"tp": F.sum("hit").over(down), "all": F.sum("n").over(down)}).withColumn("precision", F.col("tp") / F.col("all"))
+    best = upto.withColumn("best", F.max("precision").over(Window.partitionBy("cls").orderBy("score")))
+    gained = best.groupBy("cls").agg(F.sum(F.col("hit") * F.col("best")).alias("area"))
+    total = truths.groupBy("cls").agg(F.count(F.lit(1)).alias("truths"))
+    return total.join(gained, "cls", "left").select("cls", "truths", (F.coalesce("area", F.lit(0.0)) / F.col("truths")).alias("ap"))
+
+
+def detection_map(aps: DataFrame) -> DataFrame:
+    """One row: classes and the mean of their average precision, over all rows (class by overlap threshold)."""
+    return aps.agg(F.countDistinct("cls").alias("classes"), F.avg("ap").alias("map"))

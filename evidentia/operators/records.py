@@ -87,3 +87,20 @@ def unusual(rows: DataFrame, value: str, baseline: DataFrame, baseline_value: st
     run = running(at.groupBy("v").agg(F.sum("n").alias("n")), "v", {"upto": ("sum", "n")})
     total = baseline.agg(F.count(F.lit(1)).alias("_all"))
     return rows.join(run.select("v", "upto"), rows[value] == run["v"], "left").join(F.broadcast(total)).withColumn("percentile", 100 * F.col("upto") / F.col("_all")).drop("v", "upto", "_all")
+
+
+def annotations(captures: DataFrame, id_: str, labels: str) -> DataFrame:
+    """One row a label of an array column of structs, with its place in the array."""
+    return captures.select(F.col(id_).alias("id"), F.posexplode(labels).alias("place", "_x")).select("id", "place", "_x.*")
+
+
+def stale_originals(trained: DataFrame, originals: DataFrame) -> DataFrame:
+    """Ids a model was trained on (id) that train no more (originals: id, role)."""
+    return trained.join(originals.filter("role = 'train'").select("id"), "id", "left_anti")
+
+
+def agreement(confirmed: DataFrame, *keys: str) -> DataFrame:
+    """Boxes, those that a decoder confirmed, those it called otherwise, and the share that agrees (from ``matching.confirmed``)."""
+    known, off = F.col("decoder").isNotNull(), F.coalesce(F.col("disagrees"), F.lit(False))
+    sums = confirmed.groupBy(*keys).agg(F.count(F.lit(1)).alias("boxes"), F.sum(known.cast("long")).alias("confirmed"), F.sum((known & off).cast("long")).alias("disagreements"))
+    return sums.withColumn("agreement", F.when(F.col("confirmed") > 0, 1 - F.col("disagreements") / F.col("confirmed")))

@@ -234,3 +234,11 @@ def elevation(south: float, west: float, heights: np.ndarray, lat: float, lon: f
     i, j = min(int(y), rows - 2), min(int(x), cols - 2)
     a, b = y - i, x - j
     return float(heights[i, j] * (1 - a) * (1 - b) + heights[i + 1, j] * a * (1 - b) + heights[i, j + 1] * (1 - a) * b + heights[i + 1, j + 1] * a * b)
+
+
+def levels(samples: Column, rail: float = 1.0) -> tuple[Column, Column]:
+    """Mean power in dB of full scale, and the share of samples at the rails, of an array of samples."""
+    n = F.greatest(F.size(samples), F.lit(1))
+    power = F.aggregate(samples, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) / n
+    clipped = F.size(F.filter(samples, lambda x: F.abs(x) >= rail)) / n
+    return 10 * F.log10(F.greatest(power, F.lit(1e-20))), clipped
