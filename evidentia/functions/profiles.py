@@ -32,10 +32,14 @@ def width_class(width_hz: Column) -> Column:
     return F.when(width_hz <= 30_000, "narrow").when(width_hz <= 400_000, "medium").otherwise("wide")
 
 
-def canonical_rate(rate: Column, least: int, most_factor: int = 4096) -> Column:
-    """The lowest rate, by dividing by a whole number, that is still at least ``least``; null if there is none."""
-    divides = F.filter(F.sequence(F.lit(1), F.lit(most_factor)), lambda d: (rate % d == 0) & (rate / d >= least))
-    return F.when(F.size(divides) > 0, (rate / F.array_max(divides)).cast("long"))
+def canonical_rate(rate: Column, least: int) -> Column:
+    """The lowest rate, by dividing by a whole number, that is still at least ``least``; null if there is none.
+
+    Divisors come in pairs, so those up to the root give all.
+    """
+    low = F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt(rate.cast("double")))), lambda d: rate % d == 0)
+    divisors = F.concat(low, F.transform(low, lambda d: (rate / d).cast("long")))
+    return F.when(rate >= least, F.array_min(F.filter(divisors, lambda q: q >= least)))
 
 
 #: A few signal classes: name, family, least and greatest width in Hz, symbol rates, cyclic prefix lags in microseconds.
@@ -57,9 +61,13 @@ def cycle_frequencies(classes: DataFrame) -> DataFrame:
 
 def nearest_class(boxes: DataFrame, classes: DataFrame) -> DataFrame:
     """boxes (id, width_hz) with the class whose middle width is nearest by ratio, among those that could have it."""
-    pairs = boxes.join(F.broadcast(classes), F.col("width_hz").between(F.col("low_hz") / 2, F.col("high_hz") * 2))
-    off = F.abs(F.log(F.col("width_hz") / F.sqrt(F.col("low_hz") * F.col("high_hz"))))
-    return boxes.join(pairs.groupBy("id").agg(F.min(F.struct(off.alias("off"), "name"))["name"].alias("class")), "id", "left")
+    from evidentia.operators.matching import with_blocks
+
+    met = with_blocks(boxes.select("id", "width_hz"), classes.select("name", "low_hz", "high_hz"))
+    fits = F.filter("_block", lambda c: F.col("width_hz").between(c["low_hz"] / 2, c["high_hz"] * 2))
+    near = F.array_min(F.transform(fits, lambda c: F.struct(F.abs(F.log(F.col("width_hz") / F.sqrt(c["low_hz"] * c["high_hz"]))).alias("off"), c["name"].alias("name"))))
+    best = met.select("id", near.alias("near")).groupBy("id").agg(F.min("near")["name"].alias("class"))
+    return boxes.join(best, "id", "left")
 
 
 def tools_for(boxes: DataFrame, tools: DataFrame, common: list[str]) -> DataFrame:

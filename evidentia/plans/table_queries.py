@@ -369,6 +369,13 @@ ORACLE_SQL = {
     "gram_containment": f"""
         WITH d AS ({_grams_of('documents', 'doc_id')}), b AS (SELECT DISTINCT gram FROM ({_grams_of('benchmark', 'item_id')}))
         SELECT id, count(*) AS grams, count(b.gram) AS seen, round(count(b.gram) / count(*), 6) AS contained FROM d LEFT JOIN b ON d.gram = b.gram GROUP BY id""",
+    "novelty_rank": f"""
+        WITH s AS (SELECT doc_id AS id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+        p AS (SELECT id, i, {_WORDS.format(t='l[i]')} AS w FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM s)),
+        g AS (SELECT id, i, unnest({_GRAMS.format(w='w')}) AS gram FROM p WHERE len(w) > 0), b AS (SELECT DISTINCT gram FROM ({_grams_of('benchmark', 'item_id')})),
+        f AS (SELECT id, i, count(*) AS fresh FROM (SELECT id, gram, min(i) AS i FROM g GROUP BY ALL) WHERE gram NOT IN (SELECT gram FROM b) GROUP BY ALL),
+        t AS (SELECT id, i, count(*) AS grams FROM g GROUP BY ALL), r AS (SELECT t.id, grams, coalesce(fresh, 0) / grams AS score FROM t LEFT JOIN f ON f.id = t.id AND f.i = t.i)
+        SELECT id, round(sum(grams * greatest(score - 0.5, 0)), 4) AS added, sum((score > 0.5)::INT)::BIGINT AS novel_sentences FROM r GROUP BY 1""",
     "suspect_text": r"""
         SELECT doc_id, least(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '(?i)\b(ignore|disregard|forget)\b.{0,40}\b(instruction|instructions|above|previous|prompt)\b|\byou are now\b|\bsystem prompt\b'))), 5)::INT AS suspect,
             len(regexp_extract_all(coalesce(text, ''), '(?i)\[(?:redacted|removed|withheld)\]|█{2,}|\bX{4,}\b'))::INT AS redacted, substr(sha256(coalesce(text, '')), 1, 8) AS fence FROM documents""",

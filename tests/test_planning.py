@@ -43,6 +43,8 @@ def test_goals(spark):
     assert [r.m for r in got] == [True, None, False, None]
     stops, wrong = hunting.parse_stops("144-144.05 MHz step 25 kHz, 433.92 MHz, 433.92 MHz, x, 5-1 MHz step 1 kHz")
     assert stops == pytest.approx([144e6, 144.025e6, 144.05e6, 433.92e6]) and len(wrong) == 2
+    stops, wrong = hunting.parse_stops("433.92, 440-445 MHz, 144 - 145 MHz step 500 kHz", width_hz=2e6)
+    assert stops == pytest.approx([433.92e6, 440.5e6, 442.5e6, 444.5e6, 144e6, 144.5e6, 145e6]) and not wrong
 
 
 def test_hunts(spark):
