@@ -18,7 +18,8 @@ Hot contexts: each block also tells which contexts it holds often. The words aft
 all tokens) are dealt by context and a range of the words' hashes. Such a part doesn't know c(h): it stores the
 probability of the whole n-gram, and the block, which gets c(h) with the context, divides.
 
-Words are known by 63-bit hashes, contexts by ``context_bits`` bits and words after a context by 32. Rows of
+Words are known by 63-bit hashes, words after a context by 32 bits, and contexts by 20 bits more than it takes to number
+all tokens (or ``context_bits``), so that at any size of corpus about one context in a million meets another's hash. Rows of
 n-grams are never pruned, capped or sampled.
 
 Defined cases: a null text is empty and has one token, its end; without learning rows all scores of a token
@@ -141,6 +142,17 @@ def pack(*arrays: np.ndarray | bytes) -> bytes:
     return zstandard.compress(np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts), 1)
 
 
+def planes(values: np.ndarray, kind: str) -> bytes:
+    """Numbers byte by byte, all lowest ones first: the higher ones are nearly all zero and compress to nothing."""
+    values = np.ascontiguousarray(values.astype(kind))
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def unplanes(data: memoryview, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
 def unpack(data: bytes) -> list[memoryview]:
     data = memoryview(zstandard.decompress(data))
     count = int(np.frombuffer(data, "<i8", 1)[0])
@@ -248,15 +260,20 @@ class Block:
 
     def store(self) -> bytes:
         none = np.array([d is None for d in self.docs], bool)
-        return pack(np.array([d or 0 for d in self.docs], "<i8"), none, self.held, self.sizes, squeeze(self.words), np.ascontiguousarray(self.at1.astype("<u4").view(np.uint8).reshape(-1, 4).T))
+        # Frequent words have small numbers, so that the higher bytes are nearly all zero.
+        order = np.argsort(-np.bincount(self.at1, minlength=len(self.words)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        return pack(np.array([d or 0 for d in self.docs], "<i8"), none, self.held, self.sizes, self.words[order].astype("<u8"), planes(rank[self.at1], "<u4"))
 
     @classmethod
     def load(cls, data: bytes) -> Block:
         a = unpack(data)
         self = cls()
         self.docs = [None if n else d for d, n in zip(np.frombuffer(a[0], "<i8").tolist(), np.frombuffer(a[1], bool).tolist(), strict=True)]
-        self.held, self.sizes, self.words = np.frombuffer(a[2], bool), np.frombuffer(a[3], "<i8"), expand(bytes(a[4]))
-        self.at1 = np.ascontiguousarray(np.frombuffer(a[5], np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+        self.held, self.sizes, words = np.frombuffer(a[2], bool), np.frombuffer(a[3], "<i8"), np.frombuffer(a[4], "<u8")
+        self.words, place = np.unique(words, return_inverse=True)
+        self.at1 = place.astype(np.uint32)[unplanes(a[5], "<u4")]
         return self
 
     def pairs_of(self, context_bits: int) -> np.ndarray:
@@ -359,11 +376,12 @@ def hot_contexts(blocks: DataFrame, least: int = HOT) -> tuple[np.ndarray, np.nd
     return np.array([r[0] for r in rows], np.int64).astype(np.uint64), np.array([min(HOT_PARTS, -(-r[1] // least)) + 1 for r in rows], np.int64)
 
 
-def score(docs: DataFrame, held_out: Column, block_bytes: int = 5 << 20, shard_bytes: int = 6 << 20, context_bits: int = 52, m2: float = 5000.0, m3: float = 10.0, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, block_bytes: int = 5 << 20, shard_bytes: int = 6 << 20, context_bits: int | None = None, m2: float = 5000.0, m3: float = 10.0, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mean_score of every document."""
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], held_out.alias("held_out"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sc = docs.sparkSession.sparkContext
+    context_bits = context_bits or min(max(int(size // 6).bit_length() + 20, 40), 60)
     shards = max(2 * sc.defaultParallelism, math.ceil(size / shard_bytes))
     blocks = blocks_of(source, block_bytes, context_bits, hot)
     often = sc.broadcast(hot_contexts(blocks, hot))
@@ -380,7 +398,8 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 5 << 20, shard_b
                 for s, w, p in block.cuts(shards, context_bits):
                     e = slice(entry[p.start], entry[p.stop])
                     own.append(s)
-                    rows.append(pack(squeeze(block.words[w]), one[w].astype("<u4"), squeeze(block.contexts[p]), two[p].astype("<u4"), block.children[p].astype("<u4"), after[e], three[e].astype("<u4")))
+                    numbers = (planes(x, "<u4") for x in (two[p], block.children[p], after[e], three[e]))
+                    rows.append(pack(squeeze(block.words[w]), planes(one[w], "<u4"), squeeze(block.contexts[p]), *numbers))
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([name] * len(own), pa.int64()), pa.array(rows, pa.binary())], ["shard", "block", "data"])
 
     def answer(group: pa.Table) -> pa.Table:
@@ -389,7 +408,7 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 5 << 20, shard_b
         span = tuple(shard_base(shard + i, shards, bits) for bits in (64, context_bits) for i in (0, 1))
         for data in group.column("data").to_pylist():
             a = unpack(data)
-            asked.append((expand(bytes(a[0])), np.frombuffer(a[1], "<u4"), expand(bytes(a[2])), *(np.frombuffer(a[i], "<u4") for i in (3, 4, 5, 6))))
+            asked.append((expand(bytes(a[0])), unplanes(a[1], "<u4"), expand(bytes(a[2])), *(unplanes(a[i], "<u4") for i in (3, 4, 5, 6))))
         words, contexts, after = (np.concatenate([a[i] for a in asked]) for i in (0, 2, 5))
         ends1, ends2, ends3 = (np.cumsum([len(a[i]) for a in asked])[:-1] for i in (0, 2, 5))
         one, two, three = (np.concatenate([a[i] for a in asked]).astype(np.float64) for i in (1, 3, 6))
@@ -416,7 +435,7 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 5 << 20, shard_b
         rank, twos = trie.context_codes(contexts)
         threes = trie.chance_codes(rank[own], after)
         del words, contexts, own, after, rank
-        out = [pack(a, b, c) for a, b, c in zip(np.split(ones[of1], ends1), np.split(twos[of2], ends2), np.split(threes[of3], ends3), strict=True)]
+        out = [pack(planes(a, "<i8"), planes(b, "<u2"), planes(c, "<u2")) for a, b, c in zip(np.split(ones[of1], ends1), np.split(twos[of2], ends2), np.split(threes[of3], ends3), strict=True)]
         more = [0] * (len(out) - 1)
         return pa.table({"block": group.column("block"), "shard": group.column("shard"), "data": pa.array(out, pa.binary()), "tokens": pa.array([total, *more], pa.int64()), "kinds": pa.array([kinds, *more], pa.int64())})
 
@@ -430,7 +449,7 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 5 << 20, shard_b
         block.number(context_bits, *often.value)
         parts = dict(zip(right.column("shard").to_pylist(), right.column("data").to_pylist(), strict=True))
         found = [unpack(parts[s]) for s in sorted(parts)]
-        one, two, three = (np.concatenate([np.frombuffer(f[i], kind) for f in found]) for i, kind in enumerate(("<i8", "<u2", "<u2")))
+        one, two, three = (np.concatenate([unplanes(f[i], kind) for f in found]) for i, kind in enumerate(("<i8", "<u2", "<u2")))
         counts2, c = count_of(two), one.copy()
         c[block.begin] = one[block.end]  # documents begin as often as they end
         # A part of a hot context holds chances of whole n-grams.
