@@ -157,3 +157,10 @@ def next_stops(stops: DataFrame, key: str, backlog: int) -> DataFrame:
     open_ = F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "order", "stop"))
     due = stops.groupBy(key).agg(F.min(open_).alias("s"), F.sum((F.col("state") == "confirm").cast("long")).alias("waiting"))
     return due.select(key, "waiting", F.when(F.col("waiting") <= backlog, F.col("s.stop")).alias("stop"))
+
+
+def observed(cells: DataFrame, looks: DataFrame) -> DataFrame:
+    """cells (cell, looks, finds, looked) after more looks (cell, t, finds): counts add up, the last look counts."""
+    new = looks.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.sum("finds").alias("_f"), F.max("t").alias("_t"))
+    own = cells.join(new, "cell", "left")
+    return own.select("cell", (F.col("looks") + F.coalesce("_n", F.lit(0))).alias("looks"), (F.col("finds") + F.coalesce("_f", F.lit(0))).alias("finds"), F.greatest("looked", "_t").alias("looked"))

@@ -170,3 +170,29 @@ def detection_ap(claims: DataFrame, truths: DataFrame) -> DataFrame:
 def detection_map(aps: DataFrame) -> DataFrame:
     """One row: classes and the mean of their average precision, over all rows (class by overlap threshold)."""
     return aps.agg(F.countDistinct("cls").alias("classes"), F.avg("ap").alias("map"))
+
+
+def linear_fit(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
+    """Slope, intercept and error of a least-squares line, the error in dB of the power of ``y``."""
+    own = rows.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter("_x is not null and _y is not null")
+    fit = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), F.regr_syy("_y", "_x").alias("_syy"), F.regr_sxy("_y", "_x").alias("_sxy"), F.sum(F.col("_y") ** 2).alias("_p"))
+    error = F.greatest(F.col("_syy") - F.col("slope") * F.col("_sxy"), F.lit(0.0))
+    return fit.select(*keys, "n", "slope", "intercept", F.when(F.col("_p") > 0, 10 * F.log10(F.greatest(error / F.col("_p"), F.lit(1e-20)))).alias("nmse_db"))
+
+
+def detection_by_level(truths: DataFrame, level: str, found: Column, width: float) -> DataFrame:
+    """bin, n, detected: the share found in bins of a level such as the signal-to-noise ratio."""
+    return truths.groupBy((F.floor(F.col(level) / width) * width).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(found.cast("double")).alias("detected"))
+
+
+def level_at(curve: DataFrame, wanted: float) -> DataFrame:
+    """One row: the level at which a curve (bin, detected) first reaches the wanted share, between bins; null if it never does."""
+    w = Window.orderBy("bin")  # a curve has one row a bin
+    steps = curve.withColumns({"_b": F.lag("bin").over(w), "_d": F.lag("detected").over(w)}).filter(F.col("detected") >= wanted)
+    between = F.when(F.col("_d") < wanted, F.col("_b") + (F.col("bin") - F.col("_b")) * (wanted - F.col("_d")) / (F.col("detected") - F.col("_d"))).otherwise(F.col("bin"))
+    return steps.agg(F.min_by(between, F.col("bin")).alias("level"))
+
+
+def false_alarm_rate(rows: DataFrame, false: Column, seconds: float, *keys: str) -> DataFrame:
+    """False detections, and how many an hour over the time covered."""
+    return rows.groupBy(*keys).agg(F.sum(false.cast("long")).alias("false_marks"), (F.sum(false.cast("long")) * 3600 / seconds).alias("an_hour"))

@@ -64,3 +64,16 @@ def new_sentences(docs: DataFrame, id_: str, text: str, corpus: DataFrame, corpu
 def rank(scored: DataFrame, tau: float = 0.5) -> DataFrame:
     """id, added, novel_sentences: documents by what they add, most first (from ``new_sentences``)."""
     return scored.groupBy("id").agg(F.sum(F.col("grams") * F.greatest(F.col("score") - tau, F.lit(0.0))).alias("added"), F.sum(F.col("novel").cast("int")).alias("novel_sentences")).orderBy(F.desc("added"), F.desc("novel_sentences"), "id")
+
+
+def calibrated(scored: DataFrame, share: float = 0.9, least: float = 0.5) -> DataFrame:
+    """One row: the threshold that this share of a baseline's sentences (from ``new_sentences``) stays under, ``least`` at least."""
+    return scored.agg(F.greatest(F.coalesce(F.percentile("score", share), F.lit(0.0)), F.lit(least)).alias("tau"))
+
+
+def verdicts(scored: DataFrame, threshold: DataFrame, few: int = 3) -> DataFrame:
+    """id, sentences, novel, share, verdict of documents, by a threshold of one row."""
+    per = scored.join(F.broadcast(threshold)).groupBy("id").agg(F.count(F.lit(1)).alias("sentences"), F.sum((F.col("score") > F.col("tau")).cast("long")).alias("novel"))
+    share = F.col("novel") / F.col("sentences")
+    word = F.when(F.col("sentences") < few, "too short").when(share >= 0.5, "new").when(F.col("novel") > 0, "partly new").otherwise("known")
+    return per.select("id", "sentences", "novel", share.alias("share"), word.alias("verdict"))

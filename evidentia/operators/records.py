@@ -104,3 +104,19 @@ def agreement(confirmed: DataFrame, *keys: str) -> DataFrame:
     known, off = F.col("decoder").isNotNull(), F.coalesce(F.col("disagrees"), F.lit(False))
     sums = confirmed.groupBy(*keys).agg(F.count(F.lit(1)).alias("boxes"), F.sum(known.cast("long")).alias("confirmed"), F.sum((known & off).cast("long")).alias("disagreements"))
     return sums.withColumn("agreement", F.when(F.col("confirmed") > 0, 1 - F.col("disagreements") / F.col("confirmed")))
+
+
+def canvas(docs: DataFrame, id_: str, text: str, fields: dict[str, str]) -> DataFrame:
+    """id, field, value, ok, why: each field by the first group of its pattern, judged against the text it comes from."""
+    source = F.coalesce(F.col(text), F.lit(""))
+    parts = []
+    for name, pattern in fields.items():
+        found = F.regexp_extract(source, pattern, 1)
+        parts.append(F.struct(F.lit(name).alias("field"), judged(F.when(found != "", found), source).alias("j")))
+    return docs.select(F.col(id_).alias("id"), F.explode(F.array(*parts)).alias("x")).select("id", "x.field", "x.j.value", "x.j.ok", "x.j.why")
+
+
+def complete(fields: DataFrame) -> DataFrame:
+    """id, found, missing: how many fields of a canvas hold, and the names of the others."""
+    lost = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("field")))), ",")
+    return fields.groupBy("id").agg(F.sum(F.col("ok").cast("long")).alias("found"), lost.alias("missing"))

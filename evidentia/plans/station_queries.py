@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from evidentia.functions import geo, profiles, stats, text, times
-from evidentia.operators import detection, events, hunting, matching, metrics, records, registry, spatial
+from evidentia.operators import detection, events, hunting, matching, metrics, novelty, records, registry, spatial
 from evidentia.plans import event_queries as ev
 from evidentia.plans import table_queries as tq
 from evidentia.sources import captures
@@ -220,9 +220,60 @@ def spoken_numbers(spark, sf):
     return o.select("o_orderkey", text.hz_words(F.col("o_totalprice").cast("double") * 1000 + 1).alias("hz"), text.seconds_words(F.col("o_totalprice").cast("double") / 50 + 0.001).alias("seconds"))
 
 
+def _sentence_scores(spark, sf):
+    return novelty.new_sentences(_t(spark, sf, "documents"), "doc_id", "text", _t(spark, sf, "benchmark"), "text")
+
+
+def novelty_verdicts(spark, sf):
+    """Documents judged by the threshold that nine of ten sentences of all documents stay under, 0.5 at least."""
+    scored = _sentence_scores(spark, sf)
+    return _rounded(novelty.verdicts(scored, novelty.calibrated(scored)), 6, "share")
+
+
+_FIELDS = {"licence": r"(?m)^(?:Licensed|Released) under (?:the )?([^\n.]+)", "opening": r"^([A-Za-z]+)"}
+
+
+def document_canvas(spark, sf):
+    return records.canvas(_t(spark, sf, "documents"), "doc_id", "text", _FIELDS).select("id", "field", "value", "ok", "why")
+
+
+def canvas_gaps(spark, sf):
+    return records.complete(document_canvas(spark, sf))
+
+
+def price_lines(spark, sf):
+    return _rounded(metrics.linear_fit(_t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag"), 4, "slope", "intercept", "nmse_db")
+
+
+def _by_price(spark, sf):
+    claims, _ = _claims(spark, sf)
+    return metrics.detection_by_level(claims.withColumn("level", F.col("score") / 1000), "level", F.col("matched"), 25.0)
+
+
+def detection_curve(spark, sf):
+    return _rounded(_by_price(spark, sf), 6, "detected")
+
+
+def detection_level(spark, sf):
+    return _rounded(metrics.level_at(_by_price(spark, sf), 0.3), 5, "level")
+
+
+def false_marks_an_hour(spark, sf):
+    claims, _ = _claims(spark, sf)
+    return _rounded(metrics.false_alarm_rate(claims, ~F.col("matched"), 86_400.0, "cls"), 5, "an_hour")
+
+
+def looked_at_users(spark, sf):
+    """Cells by user, after the looks of odd events are added to those of even ones."""
+    e = _t(spark, sf, "events").select(F.col("user_id").alias("cell"), times.micros("ts").alias("t"), (F.col("event_type") == "purchase").cast("long").alias("finds"), "event_id")
+    old = e.filter("event_id % 2 = 0").groupBy("cell").agg(F.count(F.lit(1)).alias("looks"), F.sum("finds").alias("finds"), F.max("t").alias("looked"))
+    return hunting.observed(old, e.filter("event_id % 2 = 1"))
+
+
 QUERIES = {f.__name__: f for f in (
     spots_in_region, link_budgets, two_ray_losses, reach_cells, reach_sectors, raster_residuals, run_stamps, event_latency, box_texts, vector_levels, recordable_parts, box_precision, box_mean_precision, language_gap,
     decoder_agreement, cells_over_floor, tile_cells, run_strengths, interval_peaks, user_graph, stale_orders, line_labels, checked_actions, profile_names, clashing_examples, moved_examples, usable_models, next_customer_stops, spoken_numbers,
+    novelty_verdicts, document_canvas, canvas_gaps, price_lines, detection_curve, detection_level, false_marks_an_hour, looked_at_users,
 )}
 
 _SQL = tq.ORACLE_SQL
@@ -244,6 +295,16 @@ _EXAMPLES = """
 _TURN = "(2 * pi() * 446e6 / 299792458.0 * (s2 - s1))"
 _SHOW = "regexp_replace(printf('%.3f', {x}), '\\.?0+$', '') || '{u}'"
 
+_SENTENCES = _SQL["novelty_rank"].replace("SELECT t.id, grams,", "SELECT t.id, t.i, grams,").rpartition("SELECT id, round")[0]
+_CANVAS = rf"""
+    WITH g AS (SELECT doc_id AS id, coalesce(text, '') AS text, 'licence' AS field, nullif(regexp_extract(text, '(?m)^(?:Licensed|Released) under (?:the )?([^\n.]+)', 1), '') AS got FROM documents
+        UNION ALL SELECT doc_id, coalesce(text, ''), 'opening', nullif(regexp_extract(text, '^([A-Za-z]+)', 1), '') FROM documents),
+    w AS (SELECT *, CASE WHEN regexp_matches(got, '(?i)\[(?:redacted|removed|withheld)\]|█{{2,}}|\bX{{4,}}\b') THEN 'redacted' WHEN got IS NULL OR trim(got) = '' THEN 'empty'
+        WHEN lower(trim(got, ' .' || chr(9))) IN ('-', 'n/a', 'na', 'nil', 'none', 'not stated', 'null', 'unknown', 'not known', 'not given') THEN 'null wording'
+        WHEN NOT contains(' ' || array_to_string({tq._WORDS.format(t="text")}, ' ') || ' ', ' ' || array_to_string({tq._WORDS.format(t="got")}, ' ') || ' ') OR len({tq._WORDS.format(t="got")}) = 0 THEN 'no support' END AS why FROM g)
+    SELECT id, field, CASE WHEN why IS NULL THEN got END AS value, why IS NULL AS ok, why FROM w"""
+_CURVE = f"{_CLAIMS}, curve AS (SELECT floor(score / 1000 / 25) * 25 AS bin, count(*) AS n, avg(matched::INT) AS detected FROM g GROUP BY 1)"
+
 ORACLE_SQL = {
     "spots_in_region": f"SELECT id, grid, true AS anywhere FROM ({_SQL['locators']}) WHERE grid LIKE 'JO31%' OR grid LIKE 'JO32%'",
     "link_budgets": "SELECT p_partkey, round(10 * log10(p_size + 1), 5) AS split_db, round(10.0 - p_retailprice::DOUBLE / 100 - 10 * log10(p_size + 1) - 0.5, 5) AS input_dbm FROM part",
@@ -324,4 +385,20 @@ ORACLE_SQL = {
         WITH v AS (SELECT o_orderkey, o_totalprice::DOUBLE * 1000 + 1 AS hz, o_totalprice::DOUBLE / 50 + 0.001 AS s FROM orders)
         SELECT o_orderkey, CASE WHEN hz >= 1e9 THEN {_SHOW.format(x="hz / 1e9", u=" GHz")} WHEN hz >= 1e6 THEN {_SHOW.format(x="hz / 1e6", u=" MHz")} WHEN hz >= 1e3 THEN {_SHOW.format(x="hz / 1e3", u=" kHz")} ELSE {_SHOW.format(x="hz", u=" Hz")} END AS hz,
             CASE WHEN s >= 3600 THEN printf('%.1f h', s / 3600) WHEN s >= 60 THEN printf('%.1f min', s / 60) WHEN s >= 1 THEN printf('%.1f s', s) ELSE printf('%.1f ms', s * 1000) END AS seconds FROM v""",
+    "novelty_verdicts": f"""
+        {_SENTENCES}, c AS (SELECT greatest(quantile_cont(score, 0.9), 0.5) AS tau FROM r), d AS (SELECT id, count(*) AS sentences, sum((score > tau)::INT)::BIGINT AS novel FROM r, c GROUP BY 1)
+        SELECT id, sentences, novel, round(novel / sentences, 6) AS share, CASE WHEN sentences < 3 THEN 'too short' WHEN novel / sentences >= 0.5 THEN 'new' WHEN novel > 0 THEN 'partly new' ELSE 'known' END AS verdict FROM d""",
+    "document_canvas": _CANVAS,
+    "canvas_gaps": f"SELECT id, sum(ok::INT)::BIGINT AS found, coalesce(string_agg(CASE WHEN NOT ok THEN field END, ',' ORDER BY field), '') AS missing FROM ({_CANVAS}) GROUP BY 1",
+    "price_lines": """
+        WITH f AS (SELECT l_returnflag, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem), r AS (SELECT l_returnflag, count(*) AS n, regr_slope(y, x) AS s, regr_intercept(y, x) AS i, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, sum(y * y) AS p FROM f GROUP BY 1)
+        SELECT l_returnflag, n, round(s, 4) AS slope, round(i, 4) AS intercept, round(10 * log10(greatest(greatest(syy - s * sxy, 0) / p, 1e-20)), 4) AS nmse_db FROM r""",
+    "detection_curve": f"{_CURVE} SELECT bin, n, round(detected, 6) AS detected FROM curve",
+    "detection_level": f"""
+        {_CURVE}, l AS (SELECT bin, detected, lag(bin) OVER (ORDER BY bin) AS b, lag(detected) OVER (ORDER BY bin) AS d FROM curve)
+        SELECT round(min_by(CASE WHEN d < 0.3 THEN b + (bin - b) * (0.3::DOUBLE - d) / (detected - d) ELSE bin END, bin), 5) AS level FROM l WHERE detected >= 0.3""",
+    "false_marks_an_hour": f"{_CLAIMS} SELECT cls, sum((NOT matched)::INT)::BIGINT AS false_marks, round(sum((NOT matched)::INT) * 3600 / 86400.0::DOUBLE, 5) AS an_hour FROM g GROUP BY 1",
+    "looked_at_users": """
+        WITH e AS (SELECT user_id AS cell, epoch_us(ts) AS t, (event_type = 'purchase')::INT AS f, event_id % 2 = 0 AS old FROM events)
+        SELECT cell, count(*) AS looks, sum(f)::BIGINT AS finds, max(t) AS looked FROM e WHERE cell IN (SELECT cell FROM e WHERE old) GROUP BY 1""",
 }
