@@ -250,7 +250,7 @@ def difference_peaks(histogram: DataFrame, events: DataFrame, key: str, share: f
     total = events.groupBy(key).agg(F.count(F.lit(1)).alias("events"))
     span = histogram.groupBy(key).agg(F.min("cell").alias("first"), (F.max("cell") - F.min("cell") + 1).alias("cells"))
     limit = share * (F.col("events") - F.col("lag")) * F.exp(-(F.col("cell") - F.col("first")) / (decay * F.col("cells")))
-    return histogram.join(total, key).join(span, key).withColumn("limit", limit).filter(F.col("n") > F.col("limit")).select(key, "lag", "cell", "n", "limit")
+    return histogram.join(total, key).join(span, key).withColumn("bound", limit).filter(F.col("n") > F.col("bound")).select(key, "lag", "cell", "n", "bound")
 
 
 def social_graph(*edges: tuple[str, DataFrame, str]) -> DataFrame:

@@ -142,7 +142,7 @@ def run_strengths(spark, sf):
 
 def interval_peaks(spark, sf):
     e = ev._ev(spark, sf, "event_type")
-    return _rounded(events.difference_peaks(events.lag_histogram(e, "event_type", 3, 5), e, "event_type", 0.2), 5, "limit")
+    return _rounded(events.difference_peaks(events.lag_histogram(e, "event_type", 3, 5), e, "event_type", 0.2), 5, "bound")
 
 
 def user_graph(spark, sf):
@@ -353,7 +353,7 @@ ORACLE_SQL = {
     "interval_peaks": f"""
         WITH g AS ({ev.ORACLE_SQL['lag_histogram']}), t AS (SELECT event_type, count(*) AS total FROM events GROUP BY 1), s AS (SELECT event_type, min(cell) AS low, max(cell) - min(cell) + 1 AS cells FROM g GROUP BY 1),
         l AS (SELECT g.*, 0.2 * (total - lag) * exp(-(cell - low) / (0.5 * cells)) AS lim FROM g JOIN t USING (event_type) JOIN s USING (event_type))
-        SELECT event_type, lag, cell, n, round(lim, 5) AS "limit" FROM l WHERE n > lim""",
+        SELECT event_type, lag, cell, n, round(lim, 5) AS bound FROM l WHERE n > lim""",
     "user_graph": f"""
         WITH {_EV}, a AS (SELECT DISTINCT who, us // 3600000000 AS bin FROM e), b AS (SELECT who, count(*) AS n FROM a GROUP BY 1), s AS (SELECT max(bin) - min(bin) + 1 AS bins FROM a),
         p AS (SELECT x.who AS who_a, y.who AS who_b, count(*) AS together FROM a AS x JOIN a AS y ON x.bin = y.bin AND x.who < y.who GROUP BY ALL HAVING count(*) >= 3),
