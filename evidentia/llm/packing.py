@@ -7,7 +7,7 @@ power of two, so it needs no padding, and no sequence crosses documents. Equal l
 
 Tokens come from a public tokenizer file. That tokenizer splits a text into pieces before it merges bytes, so
 in texts of plain characters each distinct piece is encoded once and looked up afterwards; the table of known
-pieces is bounded in entries and in the length of each, and starts anew when full; long texts are read in parts. Words with other characters
+pieces is bounded in entries and in the length of each, and keeps what the texts at hand use when it is full; long texts are read in parts. Words with other characters
 are encoded as they are.
 
 Defined cases: a null text is the empty text and gives one piece, the end token. Repeated rows are packed
@@ -52,7 +52,7 @@ class PieceEncoder:
 
     SHORT, PART = 48, 1 << 20
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -85,10 +85,10 @@ class PieceEncoder:
 
     def _join(self, split: list[list[str]]) -> list[bytes]:
         """The ids of each list of keys."""
-        missing = {p for pieces in split for p in pieces}
+        here = {p for pieces in split for p in pieces}
+        missing = here.difference(self.known)
         if len(self.known) + len(missing) > self.limit:
-            self.known.clear()
-        missing.difference_update(self.known)
+            self.known = {p: self.known[p] for p in here.difference(missing)}  # what is frequent stands here, too
         self._learn([p for p in missing if p[0] != " "])
         self.known.update((p, self._whole(p)) for p in missing if p[0] == " ")
         out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]

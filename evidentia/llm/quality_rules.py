@@ -126,10 +126,10 @@ def _with_factor(sums: DataFrame, scale: float, floor: tuple[float, ...] = _FLOO
     return sums
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, size: int) -> DataFrame:
     """g, s, m0.., l00..: first centres and factors of each group."""
     centre = settle(rows.groupBy("g").agg(*[F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(_DIM)]), "centre")
-    near = _joined(rows, centre).groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(_DIM)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i in range(_DIM)])
+    near = _joined(rows, centre, size).groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(_DIM)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i in range(_DIM)])
     columns = ["g", "s", *[f"m{i}" for i in range(_DIM)], *[f"l{i}{j}" for i, j in _PAIRS]]
     median = near.select("g", F.lit(0).alias("s"), *[f"m{i}" for i in range(_DIM)], *[(F.sqrt((F.col(f"d{i}") * 1.4826) ** 2 + _FLOOR[i]) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS])
     part = F.pmod("h", F.lit(_PARTS)).cast("int") + 2
@@ -137,20 +137,22 @@ def _starts(rows: DataFrame) -> DataFrame:
     return settle(median.select(columns).unionByName(_with_factor(_sums(parted, "g", "s"), 1.0).select(columns)), "starts")
 
 
-def _joined(rows: DataFrame, table: DataFrame, key: str = "g", how: str = "inner") -> DataFrame:
-    """Rows with the settled ``table`` of their group."""
-    return join_small(rows, table, key, F.col("h"), 300 * table.count(), how)
+def _joined(rows: DataFrame, table: DataFrame, size: int, key: str = "g", how: str = "inner") -> DataFrame:
+    """Rows with the ``table`` of their group, which has so many bytes at most."""
+    return join_small(rows, table, key, F.col("h"), size, how)
 
 
 def estimates(rows: DataFrame, share: float, steps: int) -> DataFrame:
     """g, n, s, m0.., c00..: the minimum-covariance-determinant estimate of each group of ``rows`` (g, h, x0..), as a table."""
     scale = share / _chi2_cdf(chi2_quantile(share, _DIM), _DIM + 2)
-    params = _starts(rows)
-    vectors = [f"x{i}" for i in range(_DIM)]
+    # Five starts a group, each with a name and some 25 numbers.
+    size = 5 * 300 * rows.select("g").distinct().count()
+    params = _starts(rows, size)
+    vectors, numbers = [f"x{i}" for i in range(_DIM)], [*[f"m{i}" for i in range(_DIM)], *[f"l{i}{j}" for i, j in _PAIRS]]
     for _ in range(max(steps, 1)):
-        measured = _joined(rows, params).select("g", "s", "h", *vectors, _distance().alias("d"))
-        cut = settle(measured.groupBy("g", "s").agg(F.percentile_approx("d", share, 10_000).alias("cut"), F.count(F.lit(1)).alias("n")), "cut")
-        held = _joined(rows, settle(params.drop("n").join(cut, ["g", "s"]), "params")).filter(_distance() <= F.col("cut")).select("g", "s", "n", *vectors)
+        measured = _joined(rows, params.select("g", "s", *numbers), size).withColumn("d", _distance())
+        cut = settle(measured.groupBy("g", "s").agg(F.percentile_approx("d", share, 10_000).alias("cut"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in numbers]), "cut")
+        held = _joined(rows, cut, size).filter(_distance() <= F.col("cut")).select("g", "s", "n", *vectors)
         params = settle(_with_factor(_sums(held, "g", "s", "n"), scale), "scatter")
     volume = reduce(lambda a, b: a + b, [F.log(f"l{i}{i}") for i in range(_DIM)])
     kept = ["n", "s", *[f"m{i}" for i in range(_DIM)], *[f"c{i}{j}" for i, j in _PAIRS]]
@@ -181,7 +183,7 @@ def models(rows: DataFrame, groups: DataFrame, share: float, steps: int, weight:
     return settle(_with_factor(out, 1.0, (0.0,) * _DIM), "models")
 
 
-def judge(docs: DataFrame, share: float = 0.75, level: float = 0.9999, steps: int = 4, weight: float = 30.0, min_words: int = 20, max_repeat: tuple[int, int] = (30, 100)) -> DataFrame:
+def judge(docs: DataFrame, share: float = 0.75, level: float = 0.9999, steps: int = 3, weight: float = 30.0, min_words: int = 20, max_repeat: tuple[int, int] = (30, 100)) -> DataFrame:
     """The counts of every document, base_failed and kept."""
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * max_repeat[1] > F.col("n_words") * max_repeat[0])
     every = settle(counts(docs).withColumn("base_failed", failed), "counts")
@@ -193,5 +195,5 @@ def judge(docs: DataFrame, share: float = 0.75, level: float = 0.9999, steps: in
     rows = settle(fine.select(F.explode(F.array("own", "wide", F.lit("all"))).alias("g"), "h", *vectors), "vectors")
     found = models(rows, fine.select("own", "wide").distinct(), share, steps, weight)
     far = _distance() > chi2_quantile(level, _DIM)
-    out = _joined(keyed, found, "own", "left")
+    out = _joined(keyed, found, 300 * found.count(), "own", "left")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"))

@@ -239,7 +239,7 @@ def test_verdict_equals_numpy(spark):
             text = text.replace(" ", " #$ ") if kind < 0.1 else text + "\nmore" * rng.randrange(9) if kind < 0.3 else text
             rows.append((len(rows), text, lang, source))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    got = {r.doc_id: r for r in quality_rules.judge(docs, steps=4).collect()}
     F, q = quality_rules.F, quality_rules
     plain = q.counts(docs).withColumns({f"x{i}": c for i, c in enumerate(q._vector())}).withColumn("h", F.xxhash64("doc_id", "n_words", "word_chars")).collect()
     fine = [r for r in plain if not got[r.doc_id].base_failed]
