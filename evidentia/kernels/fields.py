@@ -41,6 +41,17 @@ def krige(xy: np.ndarray, z: np.ndarray, at: np.ndarray, nugget: float, sill: fl
     return w[:n].T @ z, np.sqrt(np.maximum((w * r).sum(axis=0), 0))
 
 
+def krige_many(xy: np.ndarray, z: np.ndarray, nugget: float, sill: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ordinary kriging at the origin of each of many neighbourhoods of one size: places (many, n, 2), values (many, n)."""
+    many, n = z.shape
+    k = np.ones((many, n + 1, n + 1))
+    k[:, :n, :n], k[:, n, n] = model(np.linalg.norm(xy[:, :, None] - xy[:, None], axis=3), nugget, sill, reach), 0
+    r = np.ones((many, n + 1, 1))
+    r[:, :n, 0] = model(np.linalg.norm(xy, axis=2), nugget, sill, reach)
+    w = np.linalg.pinv(k) @ r
+    return (w[:, :n, 0] * z).sum(axis=1), np.sqrt(np.maximum((w * r).sum(axis=(1, 2)), 0))
+
+
 def knife_edge_db(v: float) -> float:
     return 6.9 + 20 * math.log10(math.sqrt((v - 0.1) ** 2 + 1) + v - 0.1) if v > -0.78 else 0.0
 

@@ -95,16 +95,27 @@ def pulse_trains(pulses: DataFrame, tolerance: float = 0.02) -> DataFrame:
 
 
 def kriged(near: DataFrame, nugget: float, sill: float, reach: float) -> DataFrame:
-    """id, estimate, sigma from each point's neighbours (id, lat, lon, slat, slon, value), as ``spatial.neighbours`` gives them."""
+    """id, estimate, sigma from each point's neighbours (id, lat, lon, slat, slon, value), as ``spatial.neighbours`` gives them.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        k = np.pi / 180 * 6_371_000.0
-        c = np.cos(np.radians(g["lat"].iloc[0]))
-        xy = np.column_stack([(g["slon"] - g["lon"].iloc[0]) * k * c, (g["slat"] - g["lat"].iloc[0]) * k])
-        z, s = fields.krige(xy, g["value"].to_numpy(float), np.zeros((1, 2)), nugget, sill, reach)
-        return pd.DataFrame({"id": [g["id"].iloc[0]], "estimate": z, "sigma": s})
+    A point's neighbours, as few as its caller asks for, come as one row; points with equally many are solved at once.
+    """
 
-    return near.groupBy("id").applyInPandas(run, f"id {dict(near.dtypes)['id']}, estimate double, sigma double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        metres = np.pi / 180 * 6_371_000.0
+        for b in batches:
+            sizes = b["samples"].map(len).to_numpy()
+            out = np.zeros((len(b), 2))
+            for n in np.unique(sizes):
+                pick = np.flatnonzero(sizes == n)
+                flat = np.array([[(s["slat"], s["slon"], s["value"]) for s in b["samples"].iloc[i]] for i in pick])
+                lat, lon = (b[c].to_numpy()[pick][:, None] for c in ("lat", "lon"))
+                xy = np.stack([(flat[:, :, 1] - lon) * metres * np.cos(np.radians(lat)), (flat[:, :, 0] - lat) * metres], axis=2)
+                out[pick] = np.column_stack(fields.krige_many(xy, flat[:, :, 2], nugget, sill, reach))
+            yield pd.DataFrame({"id": b["id"], "estimate": out[:, 0], "sigma": out[:, 1]})
+
+    samples = F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("slat", "slon", "value")])).alias("samples")
+    packed = near.groupBy("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).agg(samples)
+    return packed.mapInPandas(run, f"id {dict(near.dtypes)['id']}, estimate double, sigma double")
 
 
 def reconstruction_errors(rows: DataFrame, id_: str, features: list[str], mean: np.ndarray, scale: np.ndarray, parts: np.ndarray) -> DataFrame:

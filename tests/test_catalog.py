@@ -5,10 +5,13 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 from evidentia import catalog
+from evidentia.kernels import fields, repair
 from evidentia.operators import metrics
+from evidentia.plans import table_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -51,6 +54,57 @@ def test_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() >= 0
 
 
+def test_word_errors_by_plain_counting(spark, sf):
+    """Errors of turns of conversations against an edit distance by hand, and their sum."""
+    got = {(r.conv_id, r.turn): r for r in catalog.QUERIES["conversation_word_errors"](spark, sf).collect()}
+    texts = {(r.conv_id, r.turn): repair.normalised(r.text).split() for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    assert len(got) == sum((c, t + 1) in texts for c, t in texts)
+    for (c, t), r in [*got.items()][:60]:
+        a, b = texts[c, t], texts[c, t + 1]
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row = [i + 1, *row[1:]] if not b else [*_next(row, i, x, b)]
+        assert r.subs + r.dels + r.ins == row[-1] and r.words == len(a) and r.hits == len(a) - r.subs - r.dels
+    total = catalog.QUERIES["corpus_word_error_rate"](spark, sf).first()
+    assert total.words == sum(r.words for r in got.values()) and total.subs == sum(r.subs for r in got.values())
+    assert abs(total.wer - (total.subs + total.dels + total.ins) / total.words) < 1e-6
+
+
+def _next(row, i, x, b):
+    out = [i + 1]
+    for j, y in enumerate(b):
+        out.append(min(row[j] + (x != y), row[j + 1] + 1, out[j] + 1))
+    return out
+
+
+def test_unusual_lines_equal_numpy(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").toPandas()
+    x = np.column_stack([np.log1p(rows.l_extendedprice.astype(float)), np.log1p(rows.l_quantity.astype(float)), rows.l_discount.astype(float), rows.l_tax.astype(float)])
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    values, vectors = np.linalg.eigh(np.cov(z.T, bias=True))
+    order = np.argsort(-values)
+    keep = vectors[:, order[: int(np.searchsorted(np.cumsum(values[order]) / values.sum(), 0.7)) + 1]]
+    want = dict(zip((rows.l_orderkey * 10 + rows.l_linenumber).tolist(), np.sqrt(((z - z @ keep @ keep.T) ** 2).mean(axis=1)).tolist(), strict=True))
+    got = {r.id: r.error for r in catalog.QUERIES["unusual_lines"](spark, sf).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 2e-5 for i in want)
+
+
+def test_kriged_balances_equal_single_solves(spark, sf):
+    p = table_queries._places(spark, sf).collect()
+    samples = [r for r in p if r.id % 3]
+    got = {r.id: r for r in catalog.QUERIES["kriged_balances"](spark, sf).collect()}
+    k = math.pi / 180 * 6_371_000.0
+    for r in [r for r in p if r.id % 3 == 0][:20]:
+        far = lambda s, r=r: 2 * 6_371_000.0 * math.asin(math.sqrt(math.sin(math.radians(s.lat - r.lat) / 2) ** 2 + math.cos(math.radians(r.lat)) * math.cos(math.radians(s.lat)) * math.sin(math.radians(s.lon - r.lon) / 2) ** 2))
+        near = sorted((far(s), s.id, s) for s in samples if far(s) <= 15_000)[:12]
+        if not near:
+            assert r.id not in got
+            continue
+        xy = np.array([((s.lon - r.lon) * k * math.cos(math.radians(r.lat)), (s.lat - r.lat) * k) for _, _, s in near])
+        z, sigma = fields.krige(xy, np.array([s.value for _, _, s in near]), np.zeros((1, 2)), 1e5, 1e6, 10_000)
+        assert abs(got[r.id].estimate - z[0]) < 0.01 and abs(got[r.id].sigma - sigma[0]) < 0.01
+
+
 def test_entry(spark):
     import __spark_entry__
 
