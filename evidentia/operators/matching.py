@@ -24,15 +24,23 @@ def softmax(v) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
 
 
-BLOCK = 1024
+BLOCK, FEW, SPREAD = 1024, 16, 64
 
 
 def with_blocks(rows: DataFrame, bank: DataFrame, size: int = BLOCK) -> DataFrame:
-    """``rows`` with ``_block``, an array of the bank's rows, once for each block of the bank: an equality join on the block's number."""
+    """``rows`` with ``_block``, an array of the bank's rows, once for each block of the bank: an equality join on the block's number.
+
+    A bank counted to be of at most ``FEW`` blocks is broadcast. A greater one is joined by block and one of ``SPREAD`` numbers,
+    so that a block, which all rows meet, is no single task.
+    """
     blocks = max(1, -(-bank.count() // size))
     number = F.pmod(F.xxhash64(*bank.columns), F.lit(blocks)).cast("int")
     packed = bank.groupBy(number.alias("_b")).agg(F.collect_list(F.struct(*bank.columns)).alias("_block"))
-    return rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "_b").drop("_b")
+    dealt = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if blocks <= FEW:
+        return dealt.join(F.broadcast(packed), "_b").drop("_b")
+    many = packed.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return dealt.withColumn("_s", F.pmod(F.xxhash64(rows.columns[0]), F.lit(SPREAD)).cast("int")).join(many, ["_b", "_s"]).drop("_b", "_s")
 
 
 def prototypes(vectors: DataFrame, vector: str, label: str) -> DataFrame:

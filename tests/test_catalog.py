@@ -10,7 +10,7 @@ import pytest
 
 from evidentia import catalog
 from evidentia.kernels import fields, repair
-from evidentia.operators import metrics
+from evidentia.operators import matching, metrics
 from evidentia.plans import table_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -139,6 +139,14 @@ def test_joins_are_by_equality(spark, sf, capsys, name):
             assert re.search(r"BroadcastNestedLoopJoin Build\w+, (Inner|Cross)$", line.rstrip()), line
 
 
+def test_banks_in_many_blocks(spark, sf, monkeypatch):
+    """A bank in many blocks, dealt in parts, gives what one block gives."""
+    want = sorted(map(tuple, catalog.QUERIES["prototype_classes"](spark, sf).collect()))
+    monkeypatch.setattr(matching, "FEW", 1)
+    monkeypatch.setattr(matching.with_blocks, "__defaults__", (3,))
+    assert sorted(map(tuple, catalog.QUERIES["prototype_classes"](spark, sf).collect())) == want
+
+
 def test_ranks_by_plain_counting(spark):
     """Kendall's tau from running totals against all pairs."""
     rng = random.Random(3)
