@@ -8,7 +8,8 @@ two classes stands on it; both are trained by stochastic gradient descent in num
 needs one number for each place, the difference of its two class scores, and reads every text whole.
 
 Defined cases: null and empty texts have no features and get the softmax of the biases, close to the share of
-label 1; labels other than 0 and 1, and null ids, teach nothing; of repeated labels of one id each counts;
+label 1; labels other than 0 and 1, and null ids, teach nothing; of repeated labels of one id each counts; where ids of the
+sample repeat among documents, twice ``sample`` rows are learned from at most, those of the least ids;
 without labels all scores are 0.5; repeated documents are each scored; other columns are ignored.
 """
 
