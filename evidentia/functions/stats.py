@@ -119,7 +119,10 @@ def poisson_tail(count: Column, mean: Column) -> Column:
     ratio = F.when(above, m / (n + 1)).otherwise(first / m)
     most = F.least(10 * F.sqrt(n) + 50, F.when(ratio <= 0, F.lit(1.0)).when(ratio < 1, -40 / F.ln(ratio) + 1)).cast("int")
     step = lambda k: F.when(above, m / (n + k)).otherwise(F.greatest(n - k, F.lit(0)) / m)
-    total = F.aggregate(F.sequence(F.lit(1), most), F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")), lambda a, k: F.struct((a["t"] * step(k)).alias("t"), (a["s"] + a["t"]).alias("s")))["s"]
+    total = F.aggregate(
+        F.sequence(F.lit(1), most), F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")),
+        lambda a, k: F.struct((a["t"] * step(k)).alias("t"), (a["s"] + a["t"]).alias("s"))
+    )["s"]
     part = F.exp(first * F.ln(m) - m - _log_gamma(first + 1)) * total
     tail = F.when(above, part).otherwise(1 - part)
     return F.when(count <= 0, F.lit(1.0)).when(mean <= 0, F.lit(0.0)).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))

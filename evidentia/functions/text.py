@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]+(?:[:.'’\-/][\p{L}\p{N}_]+)*"
 
 # Function words; negations are kept as content.
-STOP = tuple("a an and are as at be been but by for from had has have he her his i in is it its of on or she that the their they this to was we were which will with you".split())
+STOP = tuple(
+    "a an and are as at be been but by for from had has have he her his i in is it its of on or she that the their they this to was we were which will with you".split()
+)
 
 
 def words(text: Column) -> Column:
@@ -48,13 +50,17 @@ def redaction_marks(text: Column) -> Column:
 
 
 def is_null_wording(text: Column) -> Column:
-    return F.lower(F.btrim(F.coalesce(text, F.lit("")), F.lit(" .\t"))).isin("", "-", "n/a", "na", "nil", "none", "not stated", "null", "unknown", "not known", "not given")
+    return F.lower(F.btrim(F.coalesce(text, F.lit("")), F.lit(" .\t"))).isin(
+        "", "-", "n/a", "na", "nil", "none", "not stated", "null", "unknown", "not known", "not given"
+    )
 
 
 def found_in(value: Column, source: Column) -> Column:
     """Whether the words of one text stand in a row in the other."""
     v, s = words(value), words(source)
-    return (F.size(v) > 0) & F.instr(F.concat(F.lit(" "), F.array_join(s, " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(v, " "), F.lit(" "))).cast("boolean")
+    return (F.size(v) > 0) & F.instr(
+        F.concat(F.lit(" "), F.array_join(s, " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(v, " "), F.lit(" "))
+    ).cast("boolean")
 
 
 QUANTITY = r"(?<![\p{L}\p{N}_.])([0-9]+(?:\.[0-9]+)?) ?(km|m|kg|g|s|min|h|hz|khz|mhz|ghz|db|dbm|%)(?![\p{L}\p{N}_])"
@@ -94,4 +100,6 @@ def hz_words(hz: Column) -> Column:
 
 
 def seconds_words(s: Column) -> Column:
-    return F.when(s >= 3600, F.format_string("%.1f h", s / 3600)).when(s >= 60, F.format_string("%.1f min", s / 60)).when(s >= 1, F.format_string("%.1f s", s)).otherwise(F.format_string("%.1f ms", s * 1000))
+    return F.when(
+        s >= 3600, F.format_string("%.1f h", s / 3600)
+    ).when(s >= 60, F.format_string("%.1f min", s / 60)).when(s >= 1, F.format_string("%.1f s", s)).otherwise(F.format_string("%.1f ms", s * 1000))

@@ -23,7 +23,9 @@ def tier_for(method: Column) -> Column:
 
 def check_tier(df: DataFrame, column: str = "tier") -> DataFrame:
     ok = F.coalesce(F.col(column).isin(*TIERS), F.lit(False))
-    return df.withColumn(column, F.when(ok, F.col(column)).otherwise(F.raise_error(F.concat(F.lit("not a tier: "), F.coalesce(F.col(column), F.lit("null"))))))
+    return df.withColumn(
+        column, F.when(ok, F.col(column)).otherwise(F.raise_error(F.concat(F.lit("not a tier: "), F.coalesce(F.col(column), F.lit("null")))))
+    )
 
 
 def is_record(tier: Column) -> Column:

@@ -21,7 +21,10 @@ def iso(us: Column) -> Column:
     day, rest = F.floor(whole / 86_400), F.pmod(whole, F.lit(86_400))
     date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")), "yyyy-MM-dd")
     two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
-    return F.concat(date, F.lit("T"), two(F.floor(rest / 3600)), F.lit(":"), two(F.pmod(F.floor(rest / 60), F.lit(60))), F.lit(":"), two(F.pmod(rest, F.lit(60))), F.lit("Z"))
+    return F.concat(
+        date, F.lit("T"), two(F.floor(rest / 3600)), F.lit(":"), two(F.pmod(F.floor(rest / 60), F.lit(60))), F.lit(":"), two(F.pmod(rest, F.lit(60))),
+        F.lit("Z")
+    )
 
 
 def epoch_of(text: Column) -> Column:

@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
 # Abbreviations after which a full stop ends no sentence.
-ABBREVIATIONS = frozenset("mr mrs ms dr prof st no vs etc e.g i.e fig eq sec approx dept est inc ltd co corp gen col lt sgt capt rev hon jan feb mar apr jun jul aug sep sept oct nov dec".split())
+ABBREVIATIONS = frozenset(
+    "mr mrs ms dr prof st no vs etc e.g i.e fig eq sec approx dept est inc ltd co corp gen col lt sgt capt rev hon jan feb mar apr jun jul aug sep sept oct nov dec".split()
+)
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -18,7 +20,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
         if m[0][0] == ".":
             word = re.search(r"([\w.]+)$", text[: m.start()])
             rest = text[m.end() :].lstrip()
-            if word and (word[1].lower() in ABBREVIATIONS or re.fullmatch(r"[A-Z]", word[1])) or (rest[:1].islower() and "\n" not in text[m.end() : len(text) - len(rest)]):
+            if word and (word[1].lower() in ABBREVIATIONS or re.fullmatch(r"[A-Z]", word[1])) or (
+                rest[:1].islower() and "\n" not in text[m.end() : len(text) - len(rest)]
+            ):
                 continue
         end = m.start() if m[0][0] == "\n" else m.end()
         out.append((begin, end))

@@ -53,7 +53,11 @@ def mask_components(mask: np.ndarray, bridge: int = 1) -> list[tuple[int, int, i
         return x
 
     for r, c in zip(*np.nonzero(wide), strict=True):
-        near = {find(label[y, x]) for y, x in ((r - 1, c - 1), (r - 1, c), (r - 1, c + 1), (r, c - 1)) if 0 <= y and 0 <= x < mask.shape[1] and label[y, x]}
+        near = {
+            find(label[y, x]) for y, x in (
+                (r - 1, c - 1), (r - 1, c), (r - 1, c + 1), (r, c - 1)
+            ) if 0 <= y and 0 <= x < mask.shape[1] and label[y, x]
+        }
         if not near:
             parent.append(len(parent))
             label[r, c] = len(parent) - 1

@@ -188,7 +188,10 @@ def imbalance(x: np.ndarray) -> dict[str, float]:
     pi, pq, c = np.mean(i * i), np.mean(q * q), np.mean(i * q)
     gain, phase = math.sqrt(pq / pi), math.asin(max(-1.0, min(1.0, c / math.sqrt(pi * pq))))
     top, bottom = 1 + gain**2 - 2 * gain * math.cos(phase), 1 + gain**2 + 2 * gain * math.cos(phase)
-    return {"dc_i": float(x.real.mean()), "dc_q": float(x.imag.mean()), "gain": gain, "phase": phase, "image_db": 10 * math.log10(bottom / max(top, 1e-12))}
+    return {
+        "dc_i": float(x.real.mean()), "dc_q": float(x.imag.mean()), "gain": gain, "phase": phase,
+        "image_db": 10 * math.log10(bottom / max(top, 1e-12))
+    }
 
 
 def circularity(x: np.ndarray) -> float:

@@ -28,7 +28,9 @@ def spectra(blocks: DataFrame, rate: float, size: int = 1024) -> DataFrame:
                 out.append((r.capture_id, r.start, float(10 * np.log10(np.mean(np.abs(x) ** 2) + 1e-30)), low, high))
             yield pd.DataFrame(out, columns=["capture_id", "start", "dbfs", "low_hz", "high_hz"])
 
-    return blocks.select("capture_id", "start", "re", "im").mapInPandas(run, "capture_id string, start long, dbfs double, low_hz double, high_hz double")
+    return blocks.select("capture_id", "start", "re", "im").mapInPandas(
+        run, "capture_id string, start long, dbfs double, low_hz double, high_hz double"
+    )
 
 
 def word_errors(pairs: DataFrame, reference: str, hypothesis: str, keys: list[str]) -> DataFrame:
@@ -74,9 +76,16 @@ def smooth_tracks(fixes: DataFrame, gap_s: float) -> DataFrame:
         n, sn, _ = repair.kalman_smooth(t, north, sigma, q, at)
         e, se, _ = repair.kalman_smooth(t, east, sigma, q, at)
         tier = np.where(np.isin(at, t), "cleaned", "inferred")
-        return pd.DataFrame({"track_id": g["track_id"].iloc[0], "t": at + g["t"].iloc[0], "lat": lat0 + n / k, "lon": lon0 + e / (k * np.cos(np.radians(lat0))), "sigma_m": np.hypot(sn, se), "tier": tier})
+        return pd.DataFrame(
+            {
+                "track_id": g["track_id"].iloc[0], "t": at + g["t"].iloc[0], "lat": lat0 + n / k, "lon": lon0 + e / (k * np.cos(np.radians(lat0))),
+                "sigma_m": np.hypot(sn, se), "tier": tier
+            }
+        )
 
-    return fixes.groupBy("track_id").applyInPandas(run, f"track_id {dict(fixes.dtypes)['track_id']}, t double, lat double, lon double, sigma_m double, tier string")
+    return fixes.groupBy("track_id").applyInPandas(
+        run, f"track_id {dict(fixes.dtypes)['track_id']}, t double, lat double, lon double, sigma_m double, tier string"
+    )
 
 
 def pulse_trains(pulses: DataFrame, tolerance: float = 0.02) -> DataFrame:
@@ -89,7 +98,9 @@ def pulse_trains(pulses: DataFrame, tolerance: float = 0.02) -> DataFrame:
             train[own] = i
             out += [(t, i, pri, "measured") for t in toa[own]] + [(t, i, pri, "inferred") for t in repair.missing_pulses(toa[own], pri)]
         out += [(t, -1, np.nan, "measured") for t in toa[train < 0]]
-        return pd.DataFrame(sorted(out), columns=["toa_s", "train", "pri_s", "tier"]).assign(scene=g["scene"].iloc[0])[["scene", "toa_s", "train", "pri_s", "tier"]]
+        return pd.DataFrame(
+            sorted(out), columns=["toa_s", "train", "pri_s", "tier"]
+        ).assign(scene=g["scene"].iloc[0])[["scene", "toa_s", "train", "pri_s", "tier"]]
 
     return pulses.groupBy("scene").applyInPandas(run, f"scene {dict(pulses.dtypes)['scene']}, toa_s double, train long, pri_s double, tier string")
 
@@ -123,13 +134,18 @@ def reconstruction_errors(rows: DataFrame, id_: str, features: list[str], mean:
     z = [(F.col(c) - float(m)) / float(s) for c, m, s in zip(features, mean, scale, strict=True)]
     scores = [sum((zi * float(p) for zi, p in zip(z, row, strict=True)), F.lit(0.0)) for row in parts]
     back = [sum((sc * float(parts[k][i]) for k, sc in enumerate(scores)), F.lit(0.0)) for i in range(len(z))]
-    return rows.select(F.col(id_).alias("id"), F.sqrt(sum(((zi - b) ** 2 for zi, b in zip(z, back, strict=True)), F.lit(0.0)) / len(z)).alias("error"))
+    return rows.select(
+        F.col(id_).alias("id"), F.sqrt(sum(((zi - b) ** 2 for zi, b in zip(z, back, strict=True)), F.lit(0.0)) / len(z)).alias("error")
+    )
 
 
 def fit_components(rows: DataFrame, features: list[str], share: float = 0.9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, scale and components from sums over all rows: what comes to the driver is one row of len(features)**2 numbers."""
     n = len(features)
-    got = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)], *[F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if j <= i]).first()
+    got = rows.agg(
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
+        *[F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if j <= i]
+    ).first()
     mean = np.array([got[f"m{i}"] for i in range(n)], float)
     cov = np.array([[got[f"c{max(i, j)}_{min(i, j)}"] for j in range(n)] for i in range(n)], float)
     scale = np.sqrt(np.where(np.diag(cov) > 0, np.diag(cov), 1.0))

@@ -21,7 +21,9 @@ def truncated_floor(cells: DataFrame, key: str, power: str, q: float = 0.25, cut
     Each round solves m = mean under c + c / (exp(c / m) - 1) once more, with c from the quantile floor.
     """
     start = quantile_floor(cells, key, power, q).select(key, "floor", (cut * F.col("floor")).alias("c"))
-    under = cells.join(start, key).filter(F.col(power) <= F.col("c")).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(power).alias("below"), F.first("c").alias("c"), F.first("floor").alias("m"))
+    under = cells.join(start, key).filter(F.col(power) <= F.col("c")).groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(power).alias("below"), F.first("c").alias("c"), F.first("floor").alias("m")
+    )
     for _ in range(rounds):
         under = under.withColumn("m", F.when(F.col("m") > 0, F.col("below") + F.col("c") / (F.exp(F.col("c") / F.col("m")) - 1)).otherwise(0.0))
     return under.select(key, "n", F.col("m").alias("floor"))
@@ -62,7 +64,9 @@ def bridged_runs(cells: DataFrame, keys: list[str], order: str, hit: Column, bri
     on = cells.filter(hit)
     marked = on.withColumn("_new", F.when(F.col(order) - F.lag(order).over(w) <= bridge + 1, 0).otherwise(1))
     marked = marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= least).drop("run")
+    return marked.groupBy(*keys, "run").agg(
+        F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("hits")
+    ).filter(F.col("hits") >= least).drop("run")
 
 
 def peaks(cells: DataFrame, keys: list[str], order: str, value: str, apart: int) -> DataFrame:
@@ -70,12 +74,16 @@ def peaks(cells: DataFrame, keys: list[str], order: str, value: str, apart: int)
     w = Window.partitionBy(*keys).orderBy(order)
     left, right = F.max(value).over(w.rowsBetween(-apart, -1)), F.max(value).over(w.rowsBetween(1, apart))
     marked = cells.withColumns({"_l": left, "_r": right})
-    return marked.filter((F.coalesce(F.col(value) > F.col("_l"), F.lit(True))) & (F.coalesce(F.col(value) >= F.col("_r"), F.lit(True)))).drop("_l", "_r")
+    return marked.filter(
+        (F.coalesce(F.col(value) > F.col("_l"), F.lit(True))) & (F.coalesce(F.col(value) >= F.col("_r"), F.lit(True)))
+    ).drop("_l", "_r")
 
 
 def tile_rows(frames: DataFrame, order: str, value: str, factor: int) -> DataFrame:
     """Max- and mean-pooled rows of so many frames."""
-    return frames.groupBy(F.floor(F.col(order) / factor).alias("row")).agg(F.max(value).alias("peak"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return frames.groupBy(F.floor(F.col(order) / factor).alias("row")).agg(
+        F.max(value).alias("peak"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")
+    )
 
 
 def floor_mask(above_db: Column, pfa: float, pool: int = 1, margin_db: float = 1.0) -> Column:

@@ -17,11 +17,15 @@ from evidentia.functions.times import micros
 
 def activity_matrix(events: DataFrame, rows: str, hour: Column, who: str, value: str, reach: str, open_at: int = 1) -> DataFrame:
     """Every row value by every hour of the day: count, distinct, median, greatest, open or not; none is left out."""
-    counted = events.groupBy(F.col(rows).alias("row"), hour.cast("int").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(who).alias("n_who"), F.median(value).alias("median_value"), F.max(reach).alias("max_reach"))
+    counted = events.groupBy(F.col(rows).alias("row"), hour.cast("int").alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(who).alias("n_who"), F.median(value).alias("median_value"), F.max(reach).alias("max_reach")
+    )
     cells = events.select(F.col(rows).alias("row")).distinct().select("row", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
     full = cells.join(counted, ["row", "hour"], "left")
     n = F.coalesce("n", F.lit(0))
-    return full.select("row", "hour", n.alias("n"), F.coalesce("n_who", F.lit(0)).alias("n_who"), "median_value", "max_reach", (n >= open_at).alias("open"))
+    return full.select(
+        "row", "hour", n.alias("n"), F.coalesce("n_who", F.lit(0)).alias("n_who"), "median_value", "max_reach", (n >= open_at).alias("open")
+    )
 
 
 def first_within(left: DataFrame, right: DataFrame, key: str, low_us: int, high_us: int, same: bool = False) -> DataFrame:
@@ -31,12 +35,17 @@ def first_within(left: DataFrame, right: DataFrame, key: str, low_us: int, high_
     """
     width = max(high_us - low_us, 1)
     k = F.col(key)
-    a = left.select("id", k.alias("a_key"), "us", F.explode(F.array(F.floor((F.col("us") + low_us) / width), F.floor((F.col("us") + low_us) / width) + 1)).alias("bucket"))
+    a = left.select(
+        "id", k.alias("a_key"), "us",
+        F.explode(F.array(F.floor((F.col("us") + low_us) / width), F.floor((F.col("us") + low_us) / width) + 1)).alias("bucket")
+    )
     b = right.select(F.col("id").alias("hit_id"), k.alias("b_key"), F.col("us").alias("hit_us"), F.floor(F.col("us") / width).alias("bucket"))
     other = (F.col("a_key") == F.col("b_key")) if same else (F.col("a_key") != F.col("b_key"))
     found = a.join(b, "bucket").filter(other & F.col("hit_us").between(F.col("us") + low_us, F.col("us") + high_us))
     best = found.groupBy("id").agg(F.min(F.struct("hit_us", "hit_id", "b_key")).alias("h"))
-    return left.join(best, "id", "left").select("id", k, "us", F.col("h.hit_id").alias("hit_id"), F.col("h.b_key").alias("hit_key"), (F.col("h.hit_us") - F.col("us")).alias("delay_us"))
+    return left.join(best, "id", "left").select(
+        "id", k, "us", F.col("h.hit_id").alias("hit_id"), F.col("h.b_key").alias("hit_key"), (F.col("h.hit_us") - F.col("us")).alias("delay_us")
+    )
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
@@ -57,13 +66,24 @@ def call_response(events: DataFrame, kind: str, low_us: int, high_us: int) -> Da
     span = events.agg((F.max("us") - F.min("us")).alias("span"))
     totals = events.groupBy(k.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     width = max(high_us - low_us, 1)
-    a = events.select("id", F.col("who").alias("a_who"), k.alias("a_kind"), "us", F.explode(F.array(F.floor((F.col("us") + low_us) / width), F.floor((F.col("us") + low_us) / width) + 1)).alias("bucket"))
+    a = events.select(
+        "id", F.col("who").alias("a_who"), k.alias("a_kind"), "us",
+        F.explode(F.array(F.floor((F.col("us") + low_us) / width), F.floor((F.col("us") + low_us) / width) + 1)).alias("bucket")
+    )
     b = events.select(F.col("who").alias("b_who"), k.alias("b_kind"), F.col("us").alias("b_us"), F.floor(F.col("us") / width).alias("bucket"))
-    met = a.join(b, "bucket").filter((F.col("a_who") != F.col("b_who")) & (F.col("a_kind") != F.col("b_kind")) & F.col("b_us").between(F.col("us") + low_us, F.col("us") + high_us))
-    answered = met.groupBy("id", "a_kind", "b_kind").agg(F.min(F.col("b_us") - F.col("us")).alias("delay")).groupBy("a_kind", "b_kind").agg(F.count(F.lit(1)).alias("answered"), F.avg("delay").alias("delay_us"))
-    pairs = answered.join(totals.select(F.col("kind").alias("a_kind"), F.col("n").alias("calls")), "a_kind").join(totals.select(F.col("kind").alias("b_kind"), F.col("n").alias("others")), "b_kind").join(F.broadcast(span))
+    met = a.join(b, "bucket").filter(
+        (F.col("a_who") != F.col("b_who")) & (F.col("a_kind") != F.col("b_kind")) & F.col("b_us").between(F.col("us") + low_us, F.col("us") + high_us)
+    )
+    answered = met.groupBy("id", "a_kind", "b_kind").agg(F.min(F.col("b_us") - F.col("us")).alias("delay")).groupBy("a_kind", "b_kind").agg(
+        F.count(F.lit(1)).alias("answered"), F.avg("delay").alias("delay_us")
+    )
+    pairs = answered.join(totals.select(F.col("kind").alias("a_kind"), F.col("n").alias("calls")), "a_kind").join(
+        totals.select(F.col("kind").alias("b_kind"), F.col("n").alias("others")), "b_kind"
+    ).join(F.broadcast(span))
     chance = F.col("calls") * (1 - F.exp(-F.col("others") * (high_us - low_us) / F.col("span")))
-    return pairs.select("a_kind", "b_kind", "calls", "answered", chance.alias("expected"), poisson_tail(F.col("answered"), chance).alias("p_value"), "delay_us")
+    return pairs.select(
+        "a_kind", "b_kind", "calls", "answered", chance.alias("expected"), poisson_tail(F.col("answered"), chance).alias("p_value"), "delay_us"
+    )
 
 
 def co_occurrence(events: DataFrame, bin_us: int, least: int = 2) -> DataFrame:
@@ -71,8 +91,12 @@ def co_occurrence(events: DataFrame, bin_us: int, least: int = 2) -> DataFrame:
     active = events.select("who", F.floor(F.col("us") / bin_us).alias("bin")).distinct()
     own = active.groupBy("who").agg(F.count(F.lit(1)).alias("bins"))
     span = active.agg((F.max("bin") - F.min("bin") + 1).alias("all_bins"))
-    pairs = active.alias("a").join(active.alias("b"), (F.col("a.bin") == F.col("b.bin")) & (F.col("a.who") < F.col("b.who"))).groupBy(F.col("a.who").alias("who_a"), F.col("b.who").alias("who_b")).agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= least)
-    full = pairs.join(own.select(F.col("who").alias("who_a"), F.col("bins").alias("bins_a")), "who_a").join(own.select(F.col("who").alias("who_b"), F.col("bins").alias("bins_b")), "who_b").join(F.broadcast(span))
+    pairs = active.alias("a").join(
+        active.alias("b"), (F.col("a.bin") == F.col("b.bin")) & (F.col("a.who") < F.col("b.who"))
+    ).groupBy(F.col("a.who").alias("who_a"), F.col("b.who").alias("who_b")).agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= least)
+    full = pairs.join(
+        own.select(F.col("who").alias("who_a"), F.col("bins").alias("bins_a")), "who_a"
+    ).join(own.select(F.col("who").alias("who_b"), F.col("bins").alias("bins_b")), "who_b").join(F.broadcast(span))
     mean = F.col("bins_a") * F.col("bins_b") / F.col("all_bins")
     return full.select("who_a", "who_b", "together", (F.col("together") / mean).alias("lift"), poisson_tail(F.col("together"), mean).alias("p_value"))
 
@@ -88,7 +112,9 @@ def week_profiles(events: DataFrame) -> DataFrame:
 def alike_schedules(events: DataFrame, least: float = 0.7) -> DataFrame:
     """Pairs whose week profiles have at least this cosine, joined by slot."""
     p = week_profiles(events)
-    dot = p.alias("a").join(p.alias("b"), (F.col("a.slot") == F.col("b.slot")) & (F.col("a.who") < F.col("b.who"))).groupBy(F.col("a.who").alias("who_a"), F.col("b.who").alias("who_b")).agg(F.sum(F.col("a.share") * F.col("b.share")).alias("cosine"))
+    dot = p.alias("a").join(
+        p.alias("b"), (F.col("a.slot") == F.col("b.slot")) & (F.col("a.who") < F.col("b.who"))
+    ).groupBy(F.col("a.who").alias("who_a"), F.col("b.who").alias("who_b")).agg(F.sum(F.col("a.share") * F.col("b.share")).alias("cosine"))
     return dot.filter(F.col("cosine") >= least)
 
 
@@ -97,9 +123,19 @@ def co_movement(fixes: DataFrame, gap_us: int, near_m: float, speed: float, shar
     from evidentia.functions.geo import haversine_m
 
     a = fixes.select("who", "us", "lat", "lon", F.explode(F.array(*[F.floor(F.col("us") / gap_us) + i for i in (-1, 0, 1)])).alias("bucket"))
-    b = fixes.select(F.col("who").alias("who_b"), F.col("us").alias("us_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.floor(F.col("us") / gap_us).alias("bucket"))
+    b = fixes.select(
+        F.col("who").alias("who_b"), F.col("us").alias("us_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"),
+        F.floor(F.col("us") / gap_us).alias("bucket")
+    )
     met = a.join(b, "bucket").filter((F.col("who") < F.col("who_b")) & (F.abs(F.col("us") - F.col("us_b")) <= gap_us))
-    best = met.groupBy("who", "us", "who_b").agg(F.min(F.struct(F.abs(F.col("us") - F.col("us_b")).alias("off"), "us_b", haversine_m(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")).alias("m"))).alias("h"))
+    best = met.groupBy("who", "us", "who_b").agg(
+        F.min(
+            F.struct(
+                F.abs(F.col("us") - F.col("us_b")).alias("off"), "us_b",
+                haversine_m(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")).alias("m")
+            )
+        ).alias("h")
+    )
     close = F.col("h.m") <= near_m + speed * F.col("h.off") / 1e6
     pairs = best.groupBy(F.col("who").alias("who_a"), "who_b").agg(F.count(F.lit(1)).alias("met"), F.avg(close.cast("double")).alias("close_share"))
     return pairs.filter(F.col("close_share") >= share)
@@ -132,9 +168,15 @@ def pace(events: DataFrame) -> DataFrame:
     """Per ``who``: median wait, scaled median deviation, and the kind of rhythm."""
     waits = intervals(events).filter("wait_us > 0")
     middle = waits.groupBy("who").agg(F.median("wait_us").alias("median_us"), F.count(F.lit(1)).alias("n"))
-    spread = waits.join(middle, "who").groupBy("who").agg(F.first("median_us").alias("median_us"), F.first("n").alias("n"), (1.4826 * F.median(F.abs(F.col("wait_us") - F.col("median_us")))).alias("mad_us"))
+    spread = waits.join(middle, "who").groupBy("who").agg(
+        F.first("median_us").alias("median_us"), F.first("n").alias("n"),
+        (1.4826 * F.median(F.abs(F.col("wait_us") - F.col("median_us")))).alias("mad_us")
+    )
     ratio = F.col("mad_us") / F.col("median_us")
-    return spread.select("who", "n", "median_us", "mad_us", F.when(F.col("n") < 3, "few").when(ratio < 0.02, "constant").when(ratio < 0.2, "jittered").otherwise("irregular").alias("kind"))
+    return spread.select(
+        "who", "n", "median_us", "mad_us",
+        F.when(F.col("n") < 3, "few").when(ratio < 0.02, "constant").when(ratio < 0.2, "jittered").otherwise("irregular").alias("kind")
+    )
 
 
 def islands(rows: DataFrame, keys: list[str], order: list[str], flag: Column) -> DataFrame:
@@ -151,7 +193,9 @@ def unchanged_runs(rows: DataFrame, keys: list[str], order: list[str], value: st
     w = Window.partitionBy(*keys).orderBy(*order)
     marked = rows.withColumn("_new", F.when(F.col(value).eqNullSafe(F.lag(value).over(w)), 0).otherwise(1))
     marked = marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "run").agg(F.first(value).alias("value"), F.min(order[0]).alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("run")
+    return marked.groupBy(*keys, "run").agg(
+        F.first(value).alias("value"), F.min(order[0]).alias("first"), F.count(F.lit(1)).alias("n")
+    ).filter(F.col("n") >= least).drop("run")
 
 
 def stuck_threshold(repeat_share: float, n: int, alpha: float = 0.01) -> int:
@@ -170,7 +214,10 @@ def busy_spans(events: DataFrame, length: Column) -> DataFrame:
     spans = spans.withColumn("burst", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     bursts = spans.groupBy("who", "burst").agg(F.min("us").alias("us"), F.max("end").alias("end"))
     bursts = bursts.withColumn("wait", F.lead("us").over(Window.partitionBy("who").orderBy("us")) - F.col("us"))
-    return bursts.groupBy("who").agg(F.count(F.lit(1)).alias("bursts"), F.sum(F.col("end") - F.col("us")).alias("busy_us"), (F.sum(F.col("end") - F.col("us")) / (F.max("end") - F.min("us"))).alias("duty"), F.median("wait").alias("period_us"))
+    return bursts.groupBy("who").agg(
+        F.count(F.lit(1)).alias("bursts"), F.sum(F.col("end") - F.col("us")).alias("busy_us"),
+        (F.sum(F.col("end") - F.col("us")) / (F.max("end") - F.min("us"))).alias("duty"), F.median("wait").alias("period_us")
+    )
 
 
 def drift(events: DataFrame, value: str) -> DataFrame:
@@ -191,8 +238,12 @@ def lag_histogram(events: DataFrame, key: str, lags: int, per_decade: int = 10)
     """Differences to the next 1 to ``lags`` events of the key, counted on a geometric grid of seconds."""
     w = Window.partitionBy(key).orderBy("us", "id")
     lagged = events.select(key, *[(F.lead("us", c).over(w) - F.col("us")).alias(f"d{c}") for c in range(1, lags + 1)])
-    long = lagged.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("lag"), F.col(f"d{c}").alias("us")) for c in range(1, lags + 1)])).alias("x")).filter("x.us > 0")
-    return long.groupBy(key, F.col("x.lag").alias("lag"), F.floor(per_decade * F.log10(F.col("x.us") / 1e6)).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    long = lagged.select(
+        key, F.explode(F.array(*[F.struct(F.lit(c).alias("lag"), F.col(f"d{c}").alias("us")) for c in range(1, lags + 1)])).alias("x")
+    ).filter("x.us > 0")
+    return long.groupBy(
+        key, F.col("x.lag").alias("lag"), F.floor(per_decade * F.log10(F.col("x.us") / 1e6)).cast("int").alias("cell")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def pri_spectrum(events: DataFrame, key: str, lags: int, periods_us: list[int]) -> DataFrame:
@@ -200,14 +251,20 @@ def pri_spectrum(events: DataFrame, key: str, lags: int, periods_us: list[int])
     w = Window.partitionBy(key).orderBy("us", "id")
     lagged = events.select(key, "us", *[(F.lead("us", c).over(w) - F.col("us")).alias(f"d{c}") for c in range(1, lags + 1)])
     long = lagged.select(key, "us", F.explode(F.array(*[F.col(f"d{c}") for c in range(1, lags + 1)])).alias("d")).filter("d > 0")
-    trial = long.withColumn("period_us", F.explode(F.array(*[F.lit(p).cast("long") for p in periods_us]))).filter(F.abs(F.col("d") - F.col("period_us")) <= 0.2 * F.col("period_us"))
+    trial = long.withColumn(
+        "period_us", F.explode(F.array(*[F.lit(p).cast("long") for p in periods_us]))
+    ).filter(F.abs(F.col("d") - F.col("period_us")) <= 0.2 * F.col("period_us"))
     angle = 2 * math.pi * F.col("us") / F.col("d")
-    return trial.groupBy(key, "period_us").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.sum(F.cos(angle)) ** 2 + F.sum(F.sin(angle)) ** 2).alias("strength"))
+    return trial.groupBy(key, "period_us").agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.sum(F.cos(angle)) ** 2 + F.sum(F.sin(angle)) ** 2).alias("strength")
+    )
 
 
 def decayed(events: DataFrame, now_us: int, half_life_us: int) -> DataFrame:
     """Per ``who``: events, each halved in weight for every half-life since."""
-    return events.groupBy("who").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pow(F.lit(0.5), (F.lit(now_us) - F.col("us")) / half_life_us)).alias("weight"))
+    return events.groupBy("who").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.pow(F.lit(0.5), (F.lit(now_us) - F.col("us")) / half_life_us)).alias("weight")
+    )
 
 
 def unwrap_clock(rows: DataFrame, keys: list[str], order: str, clock: str, bits: int = 32) -> DataFrame:
@@ -226,7 +283,9 @@ def resample(rows: DataFrame, key: str, value: str, step_us: int, max_gap_us: in
     last = F.when(F.col("to_us").isNull(), F.floor(F.col("us") / step_us)).otherwise(F.ceil(F.col("to_us") / step_us) - 1)
     grid = steps.filter(last >= first).withColumn("at", F.explode(F.sequence(first, last)))
     at = F.col("at") * step_us
-    inside = F.when(F.col("to_us").isNull() | (at == F.col("us")), F.col(value)).when(F.col("to_us") - F.col("us") <= max_gap_us, F.col(value) + (F.col("to") - F.col(value)) * (at - F.col("us")) / (F.col("to_us") - F.col("us")))
+    inside = F.when(F.col("to_us").isNull() | (at == F.col("us")), F.col(value)).when(
+        F.col("to_us") - F.col("us") <= max_gap_us, F.col(value) + (F.col("to") - F.col(value)) * (at - F.col("us")) / (F.col("to_us") - F.col("us"))
+    )
     return grid.select(key, at.alias("us"), inside.alias(value))
 
 
@@ -257,7 +316,12 @@ def social_graph(*edges: tuple[str, DataFrame, str]) -> DataFrame:
     """who_a, who_b, kinds, weight: all edges (kind, pairs, weight column) of two, the lesser first, with their kinds and summed weights."""
     rows = None
     for kind, pairs, weight in edges:
-        own = pairs.select(F.least("who_a", "who_b").alias("who_a"), F.greatest("who_a", "who_b").alias("who_b"), F.lit(kind).alias("kind"), F.col(weight).cast("double").alias("weight"))
+        own = pairs.select(
+            F.least("who_a", "who_b").alias("who_a"), F.greatest("who_a", "who_b").alias("who_b"), F.lit(kind).alias("kind"),
+            F.col(weight).cast("double").alias("weight")
+        )
         rows = own if rows is None else rows.unionByName(own)
-    found = rows.filter("who_a <> who_b").groupBy("who_a", "who_b").agg(F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("kinds"), F.sum("weight").alias("weight"))
+    found = rows.filter("who_a <> who_b").groupBy("who_a", "who_b").agg(
+        F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("kinds"), F.sum("weight").alias("weight")
+    )
     return found

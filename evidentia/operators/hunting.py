@@ -37,7 +37,10 @@ def parse_goal(words: str) -> Goal:
     size = lambda m: float(m[1]) * _UNITS[(m[2] or "") + "hz"] if m else None
     family = next((f for f in ("digital voice", "paging", "aviation", "telemetry", "cellular", "broadcast", "analog") if f in text), None)
     bursty = True if re.search(r"\bburst", text) else False if re.search(r"\b(steady|continuous)\b", text) else None
-    return Goal(float(band[1]) * scale if band else None, float(band[2]) * scale if band else None, size(wide), size(thin), family, bool(re.search(r"\b(new|unknown|unseen)\b", text)), bursty)
+    return Goal(
+        float(band[1]) * scale if band else None, float(band[2]) * scale if band else None, size(wide), size(thin), family,
+        bool(re.search(r"\b(new|unknown|unseen)\b", text)), bursty
+    )
 
 
 def matches(goal: Goal) -> Column:
@@ -94,13 +97,17 @@ def next_cell(cells: DataFrame, move: int, now: float, explore_every: int = 5, h
     age = F.least(F.lit(now) - F.col("looked"), F.lit(horizon))
     rate = (F.col("finds") + 0.5) / (F.col("looks") + 1)
     explore = move % explore_every == explore_every - 1
-    score = F.when(F.col("looks") == 0, F.lit(1e12) - F.abs(F.col("centre_hz") - F.col("here_hz"))).otherwise(F.lit(now) - F.col("looked") if explore else rate * age)
+    score = F.when(
+        F.col("looks") == 0, F.lit(1e12) - F.abs(F.col("centre_hz") - F.col("here_hz"))
+    ).otherwise(F.lit(now) - F.col("looked") if explore else rate * age)
     return cells.agg(F.max(F.struct(score.alias("score"), -F.col("cell"), F.col("cell").alias("cell")))["cell"].alias("cell"))
 
 
 def valid_action(low_hz: float, high_hz: float, most_dwell: float) -> Column:
     """{ok, why} of an action row (kind, centre_hz, dwell_s)."""
-    why = F.when(~F.coalesce(F.col("kind").isin("look", "dwell", "stop"), F.lit(False)), "unknown kind of action").when((F.col("kind") != "stop") & ~F.coalesce(F.col("centre_hz").between(low_hz, high_hz), F.lit(False)), "frequency out of range").when((F.col("kind") == "dwell") & ~F.coalesce((F.col("dwell_s") > 0) & (F.col("dwell_s") <= most_dwell), F.lit(False)), "dwell out of range")
+    why = F.when(~F.coalesce(F.col("kind").isin("look", "dwell", "stop"), F.lit(False)), "unknown kind of action").when((F.col("kind") != "stop") & ~F.coalesce(F.col("centre_hz").between(low_hz, high_hz), F.lit(False)), "frequency out of range").when(
+        (F.col("kind") == "dwell") & ~F.coalesce((F.col("dwell_s") > 0) & (F.col("dwell_s") <= most_dwell), F.lit(False)), "dwell out of range"
+    )
     return F.struct(why.isNull().alias("ok"), why.alias("why"))
 
 
@@ -110,7 +117,9 @@ def score_finds(finds: DataFrame, bursts: DataFrame, slack_s: float = 0.5) -> Da
     Times meet through one-second cells.
     """
     b = bursts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("t0") - slack_s), F.floor(F.col("t1") + slack_s))))
-    met = finds.withColumn("cell", F.floor("t")).join(b, "cell").filter(F.col("t").between(F.col("t0") - slack_s, F.col("t1") + slack_s) & F.col("centre_hz").between(F.col("f_lo"), F.col("f_hi")))
+    met = finds.withColumn("cell", F.floor("t")).join(b, "cell").filter(
+        F.col("t").between(F.col("t0") - slack_s, F.col("t1") + slack_s) & F.col("centre_hz").between(F.col("f_lo"), F.col("f_hi"))
+    )
     first = met.groupBy("find").agg(F.min(F.struct("t0", "burst"))["burst"].alias("burst"))
     return finds.join(first, "find", "left").select("find", "t", "burst")
 
@@ -120,7 +129,10 @@ def hunt_summary(scored: DataFrame, bursts: DataFrame) -> DataFrame:
     earliest = scored.filter("burst is not null").groupBy("burst").agg(F.min("t").alias("t"))
     hit = bursts.join(earliest, "burst", "left")
     false = scored.agg(F.sum(F.col("burst").isNull().cast("long")).alias("false_marks"))
-    return hit.agg(F.count(F.lit(1)).alias("bursts"), F.count("t").alias("found"), (F.count("t") / F.count(F.lit(1))).alias("share"), F.median(F.when(F.col("t").isNotNull(), F.greatest(F.col("t") - F.col("t0"), F.lit(0.0)))).alias("wait_s")).join(F.broadcast(false))
+    return hit.agg(
+        F.count(F.lit(1)).alias("bursts"), F.count("t").alias("found"), (F.count("t") / F.count(F.lit(1))).alias("share"),
+        F.median(F.when(F.col("t").isNotNull(), F.greatest(F.col("t") - F.col("t0"), F.lit(0.0)))).alias("wait_s")
+    ).join(F.broadcast(false))
 
 
 def distinct_finds(finds: DataFrame, slack_s: float = 0.5) -> DataFrame:
@@ -140,7 +152,9 @@ def merge_lines(lines: DataFrame, tolerance: float) -> DataFrame:
 
 def detection_verdict(found: Column, false_rate: Column, least: float = 0.9, most: float = 0.01) -> Column:
     """A plain sentence from two figures."""
-    return F.when(found.isNull() | false_rate.isNull(), "not measured").when(false_rate > most, "too many false alarms").when(found < least, "misses too much").otherwise("good")
+    return F.when(
+        found.isNull() | false_rate.isNull(), "not measured"
+    ).when(false_rate > most, "too many false alarms").when(found < least, "misses too much").otherwise("good")
 
 
 def recordable(cls: Column, wanted: list[str]) -> Column:
@@ -163,4 +177,7 @@ def observed(cells: DataFrame, looks: DataFrame) -> DataFrame:
     """cells (cell, looks, finds, looked) after more looks (cell, t, finds): counts add up, the last look counts."""
     new = looks.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.sum("finds").alias("_f"), F.max("t").alias("_t"))
     own = cells.join(new, "cell", "left")
-    return own.select("cell", (F.col("looks") + F.coalesce("_n", F.lit(0))).alias("looks"), (F.col("finds") + F.coalesce("_f", F.lit(0))).alias("finds"), F.greatest("looked", "_t").alias("looked"))
+    return own.select(
+        "cell", (F.col("looks") + F.coalesce("_n", F.lit(0))).alias("looks"), (F.col("finds") + F.coalesce("_f", F.lit(0))).alias("finds"),
+        F.greatest("looked", "_t").alias("looked")
+    )

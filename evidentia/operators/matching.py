@@ -45,8 +45,12 @@ def with_blocks(rows: DataFrame, bank: DataFrame, size: int = BLOCK) -> DataFram
 
 def prototypes(vectors: DataFrame, vector: str, label: str) -> DataFrame:
     """label, n, centre: the unit-length mean of each class. Dimensions are averaged apart, so no class is collected."""
-    parts = vectors.select(F.col(label).alias("label"), F.posexplode(vector).alias("d", "x")).groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
-    means = parts.groupBy("label").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("mean"))
+    parts = vectors.select(F.col(label).alias("label"), F.posexplode(vector).alias("d", "x")).groupBy("label", "d").agg(
+        F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n")
+    )
+    means = parts.groupBy("label").agg(
+        F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("mean")
+    )
     return means.select("label", "n", unit("mean").alias("centre"))
 
 
@@ -59,21 +63,38 @@ def classify(vectors: DataFrame, id_: str, vector: str, bank: DataFrame, thresho
     limit = F.lit(threshold) if threshold is not None else F.col("threshold")
     rows = vectors.select(F.col(id_).alias("id"), unit(vector).alias("_v"))
     met = with_blocks(rows, bank.select("label", "centre", limit.alias("limit")))
-    near = F.transform("_block", lambda x: F.struct(x["label"].alias("label"), (1 - dot("_v", x["centre"])).alias("distance"), x["limit"].alias("limit")))
-    per_class = met.select("id", F.explode(near).alias("x")).groupBy("id", F.col("x.label").alias("label")).agg(F.min(F.struct("x.distance", F.col("x.limit").alias("_limit"))).alias("m"))
-    best = per_class.groupBy("id").agg(F.min(F.struct(F.col("m.distance").alias("distance"), "label", F.col("m._limit").alias("limit"))).alias("first"), F.sort_array(F.collect_list("m.distance")).alias("all"))
-    return best.select("id", F.col("first.label").alias("nearest"), F.col("first.distance").alias("distance"), F.get("all", F.lit(1)).alias("second"), F.when(F.col("first.distance") <= F.col("first.limit"), F.col("first.label").cast("string")).otherwise(UNKNOWN).alias("answer"))
+    near = F.transform(
+        "_block", lambda x: F.struct(x["label"].alias("label"), (1 - dot("_v", x["centre"])).alias("distance"), x["limit"].alias("limit"))
+    )
+    per_class = met.select("id", F.explode(near).alias("x")).groupBy("id", F.col("x.label").alias("label")).agg(
+        F.min(F.struct("x.distance", F.col("x.limit").alias("_limit"))).alias("m")
+    )
+    best = per_class.groupBy("id").agg(
+        F.min(F.struct(F.col("m.distance").alias("distance"), "label", F.col("m._limit").alias("limit"))).alias("first"),
+        F.sort_array(F.collect_list("m.distance")).alias("all")
+    )
+    return best.select(
+        "id", F.col("first.label").alias("nearest"), F.col("first.distance").alias("distance"), F.get("all", F.lit(1)).alias("second"),
+        F.when(F.col("first.distance") <= F.col("first.limit"), F.col("first.label").cast("string")).otherwise(UNKNOWN).alias("answer")
+    )
 
 
 def class_thresholds(vectors: DataFrame, vector: str, label: str, quantile: float = 0.95, least: int = 10, widen: float = 1.25) -> DataFrame:
     """Per class the quantile of leave-one-out distances, wider for small classes, between 1e-4 and 2."""
-    parts = vectors.select(F.col(label).alias("label"), F.posexplode(vector).alias("d", "x")).groupBy("label", "d").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
-    sums = parts.groupBy("label").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("d", "s"))), lambda s: s["s"]).alias("total"))
+    parts = vectors.select(F.col(label).alias("label"), F.posexplode(vector).alias("d", "x")).groupBy("label", "d").agg(
+        F.sum(F.col("x").cast("double")).alias("s"), F.count(F.lit(1)).alias("n")
+    )
+    sums = parts.groupBy("label").agg(
+        F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("d", "s"))), lambda s: s["s"]).alias("total")
+    )
     rows = vectors.select(F.col(label).alias("label"), F.col(vector).alias("v")).join(sums, "label").filter("n > 1")
     rest = unit(F.zip_with("total", "v", lambda t, x: t - x.cast("double")))
     own = rows.select("label", "n", (1 - dot(rest, unit("v"))).alias("distance"))
     cut = own.groupBy("label").agg(F.max("n").alias("n"), F.expr(f"percentile(distance, {quantile})").alias("q"))
-    return cut.select("label", "n", F.least(F.greatest(F.when(F.col("n") < least, F.col("q") * widen).otherwise(F.col("q")), F.lit(1e-4)), F.lit(2.0)).alias("threshold"))
+    return cut.select(
+        "label", "n",
+        F.least(F.greatest(F.when(F.col("n") < least, F.col("q") * widen).otherwise(F.col("q")), F.lit(1e-4)), F.lit(2.0)).alias("threshold")
+    )
 
 
 # Emitter libraries: named features, compared in units of their scatter
@@ -81,7 +102,9 @@ def class_thresholds(vectors: DataFrame, vector: str, label: str, quantile: floa
 
 def library(long: DataFrame) -> DataFrame:
     """emitter, feature, n, mean, var of long rows (emitter, feature, value); nulls and NaN are no observations."""
-    return long.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("emitter", "feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
+    return long.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("emitter", "feature").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var")
+    )
 
 
 def pooled_variance(lib: DataFrame) -> DataFrame:
@@ -96,13 +119,17 @@ def library_distances(probes: DataFrame, lib: DataFrame) -> DataFrame:
     """
     scaled = lib.join(pooled_variance(lib), "feature").filter("pooled > 0").select("emitter", "feature", "mean", "pooled")
     met = probes.filter(F.col("value").isNotNull()).join(scaled, "feature")
-    return met.groupBy("id", "emitter").agg(F.count(F.lit(1)).alias("used"), F.sqrt(F.avg((F.col("value") - F.col("mean")) ** 2 / F.col("pooled"))).alias("distance"))
+    return met.groupBy("id", "emitter").agg(
+        F.count(F.lit(1)).alias("used"), F.sqrt(F.avg((F.col("value") - F.col("mean")) ** 2 / F.col("pooled"))).alias("distance")
+    )
 
 
 def library_match(probes: DataFrame, lib: DataFrame, limits: dict[int, float]) -> DataFrame:
     """The nearest emitter, or UNKNOWN beyond the limit for the number of features used."""
     d = library_distances(probes, lib)
-    best = d.groupBy("id").agg(F.min(F.struct("distance", "emitter", "used")).alias("b")).select("id", F.col("b.emitter").alias("nearest"), F.col("b.distance").alias("distance"), F.col("b.used").alias("used"))
+    best = d.groupBy("id").agg(F.min(F.struct("distance", "emitter", "used")).alias("b")).select(
+        "id", F.col("b.emitter").alias("nearest"), F.col("b.distance").alias("distance"), F.col("b.used").alias("used")
+    )
     limit = F.lit(None).cast("double")
     for k, v in limits.items():
         limit = F.when(F.col("used") == k, F.lit(v)).otherwise(limit)
@@ -123,7 +150,9 @@ def ledger_labels(features: DataFrame, ledgers: list[tuple[str, DataFrame, float
     """id, value, label: the first ledger, in the given order, that has a value within its tolerance, else new."""
     out, names = features, []
     for name, rows, tolerance in ledgers:
-        hit = within(features.select("id", "value"), rows.select(F.col("value").alias("known")), "value", "known", tolerance).select("id").distinct().withColumn(f"_in_{name}", F.lit(name))
+        hit = within(
+            features.select("id", "value"), rows.select(F.col("value").alias("known")), "value", "known", tolerance
+        ).select("id").distinct().withColumn(f"_in_{name}", F.lit(name))
         out, names = out.join(hit, "id", "left"), [*names, f"_in_{name}"]
     return out.select("id", "value", F.coalesce(*names, F.lit("new")).alias("label"))
 
@@ -137,7 +166,9 @@ def overlaps(a: DataFrame, b: DataFrame, low: str, high: str, width: float, keys
     right = cells(b)
     right = right.select(*[F.col(c).alias(c if c in keys or c == "_cell" else f"{c}_b") for c in right.columns])
     met = cells(a).join(right, [*keys, "_cell"])
-    return met.filter((F.col(low) < F.col(f"{high}_b")) & (F.col(f"{low}_b") < F.col(high)) & (F.col("_cell") == F.floor(F.greatest(low, f"{low}_b") / width))).drop("_cell")
+    return met.filter(
+        (F.col(low) < F.col(f"{high}_b")) & (F.col(f"{low}_b") < F.col(high)) & (F.col("_cell") == F.floor(F.greatest(low, f"{low}_b") / width))
+    ).drop("_cell")
 
 
 def box_iou(pairs: DataFrame, t: tuple[str, str] = ("t0", "t1"), f: tuple[str, str] = ("f0", "f1")) -> DataFrame:
@@ -150,7 +181,9 @@ def box_iou(pairs: DataFrame, t: tuple[str, str] = ("t0", "t1"), f: tuple[str, s
 
 def first_claim(pairs: DataFrame, left: str, right: str, score: str, order: str, least: float) -> DataFrame:
     """Each left row tries only its best right row; of those that try one, the first in order has it, others have none."""
-    best = pairs.filter(F.col(score) >= least).groupBy(left).agg(F.max(F.struct(F.col(score), -F.col(right), F.col(right).alias("r"), F.col(order).alias("o"))).alias("b"))
+    best = pairs.filter(F.col(score) >= least).groupBy(left).agg(
+        F.max(F.struct(F.col(score), -F.col(right), F.col(right).alias("r"), F.col(order).alias("o"))).alias("b")
+    )
     tries = best.select(left, F.col("b.r").alias(right), F.col(f"b.{score}").alias(score), F.col("b.o").alias(order))
     rank = F.row_number().over(Window.partitionBy(right).orderBy(F.desc(order), left))
     return tries.withColumn("matched", rank == 1)
@@ -170,7 +203,10 @@ def confirmed(boxes: DataFrame, results: DataFrame, id_: str = "id") -> DataFram
     """
     tried = boxes.filter(F.coalesce(F.col("cls"), F.lit(UNKNOWN)) != UNKNOWN).select(id_)
     best = results.filter("ok").join(tried, id_, "left_semi").groupBy(id_).agg(F.min(F.struct("rank", "decoder", "label")).alias("b"))
-    return boxes.join(best, id_, "left").select(*boxes.columns, F.col("b.decoder").alias("decoder"), F.coalesce("b.label", "cls").alias("label"), (F.col("b.label") != F.col("cls")).alias("disagrees"))
+    return boxes.join(best, id_, "left").select(
+        *boxes.columns, F.col("b.decoder").alias("decoder"), F.coalesce("b.label", "cls").alias("label"),
+        (F.col("b.label") != F.col("cls")).alias("disagrees")
+    )
 
 
 def box_json(boxes: DataFrame, id_: str, columns: list[str]) -> DataFrame:

@@ -19,7 +19,10 @@ def class_scores(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     real = m.groupBy(F.col("truth").alias("class")).agg(F.sum("n").alias("support"), hit.alias("hits"))
     said = m.groupBy(F.col("guess").alias("class")).agg(F.sum("n").alias("said"))
     both = real.join(said, "class", "left").withColumn("said", F.coalesce("said", F.lit(0)))
-    return both.select("class", "support", F.when(F.col("said") > 0, F.col("hits") / F.col("said")).otherwise(0.0).alias("precision"), (F.col("hits") / F.col("support")).alias("recall"), (2 * F.col("hits") / (F.col("support") + F.col("said"))).alias("f1"))
+    return both.select(
+        "class", "support", F.when(F.col("said") > 0, F.col("hits") / F.col("said")).otherwise(0.0).alias("precision"),
+        (F.col("hits") / F.col("support")).alias("recall"), (2 * F.col("hits") / (F.col("support") + F.col("said"))).alias("f1")
+    )
 
 
 def summary_scores(rows: DataFrame, truth: str, guess: str) -> DataFrame:
@@ -30,13 +33,17 @@ def summary_scores(rows: DataFrame, truth: str, guess: str) -> DataFrame:
 
 def score_by_bin(rows: DataFrame, right: Column, by: str, width: float) -> DataFrame:
     """Mean correctness per bin of another value; null has a bin of its own."""
-    return rows.groupBy((F.floor(F.col(by) / width) * width).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(right.cast("double")).alias("score"))
+    return rows.groupBy((F.floor(F.col(by) / width) * width).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(right.cast("double")).alias("score")
+    )
 
 
 def reliability(rows: DataFrame, confidence: str, right: Column, bins: int = 15) -> DataFrame:
     """Equal bins of confidence, the first closed at 0, others open below."""
     cell = F.least(F.greatest(F.ceil(F.col(confidence) * bins), F.lit(1)), F.lit(bins)).cast("int")
-    return rows.groupBy(cell.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(confidence).alias("confidence"), F.avg(right.cast("double")).alias("accuracy"))
+    return rows.groupBy(cell.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(confidence).alias("confidence"), F.avg(right.cast("double")).alias("accuracy")
+    )
 
 
 def calibration_error(rows: DataFrame, confidence: str, right: Column, bins: int = 15) -> DataFrame:
@@ -46,7 +53,9 @@ def calibration_error(rows: DataFrame, confidence: str, right: Column, bins: int
 
 def _cumulative(rows: DataFrame, score: str, label: str) -> DataFrame:
     """By distinct score: labels 1 and 0 at it, and at or above it."""
-    at = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg"))
+    at = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("score")).agg(
+        F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg")
+    )
     return running(at, "score", {"tp": ("sum", "pos"), "fp": ("sum", "neg")}, desc=True)
 
 
@@ -63,7 +72,10 @@ def best_threshold(rows: DataFrame, score: str, label: str) -> DataFrame:
     total = c.agg(F.sum("pos").alias("all"))
     f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("all"))
     scored = c.join(F.broadcast(total)).withColumn("f1", f1)
-    return scored.agg(F.max(F.struct("f1", "score", "tp", "fp", "all")).alias("b")).select(F.col("b.score").alias("threshold"), F.col("b.f1").alias("f1"), (F.col("b.tp") / (F.col("b.tp") + F.col("b.fp"))).alias("precision"), (F.col("b.tp") / F.col("b.all")).alias("recall"))
+    return scored.agg(F.max(F.struct("f1", "score", "tp", "fp", "all")).alias("b")).select(
+        F.col("b.score").alias("threshold"), F.col("b.f1").alias("f1"), (F.col("b.tp") / (F.col("b.tp") + F.col("b.fp"))).alias("precision"),
+        (F.col("b.tp") / F.col("b.all")).alias("recall")
+    )
 
 
 def operating_point(rows: DataFrame, score: str, label: str, false_rate: float) -> DataFrame:
@@ -71,7 +83,9 @@ def operating_point(rows: DataFrame, score: str, label: str, false_rate: float)
     c = _cumulative(rows, score, label)
     total = c.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     inside = c.join(F.broadcast(total)).filter(F.col("fp") <= false_rate * F.col("n"))
-    return inside.agg(F.min(F.struct("score", "tp", "fp", "p", "n")).alias("b")).select(F.col("b.score").alias("threshold"), (F.col("b.tp") / F.col("b.p")).alias("detected"), (F.col("b.fp") / F.col("b.n")).alias("false_rate"))
+    return inside.agg(F.min(F.struct("score", "tp", "fp", "p", "n")).alias("b")).select(
+        F.col("b.score").alias("threshold"), (F.col("b.tp") / F.col("b.p")).alias("detected"), (F.col("b.fp") / F.col("b.n")).alias("false_rate")
+    )
 
 
 def average_rank(rows: DataFrame, value: str, name: str, tiebreak: str | None = None) -> DataFrame:
@@ -93,7 +107,9 @@ def kendall_tau_b(rows: DataFrame, a: str, b: str) -> DataFrame:
     Two different ranks of b part at one bit. Among rows whose ranks agree in all higher bits, those with the bit
     meet those without it, and a running total over a tells how many of these stand lower or higher there.
     """
-    cells = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    cells = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(
+        F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")
+    ).agg(F.count(F.lit(1)).alias("n"))
     ranks = {}
     for name in ("a", "b"):
         at = cells.groupBy(name).agg(F.sum("n").alias("n"))
@@ -106,7 +122,10 @@ def kendall_tau_b(rows: DataFrame, a: str, b: str) -> DataFrame:
     # One number for bit, higher bits and rank of a: groups stand one after the other.
     group = F.col("bit") * (1 << bits) + F.expr("shiftright(rb, cast(bit + 1 as int))")
     one = F.expr("shiftright(rb, cast(bit as int)) & 1")
-    parted = level.select((group * width + F.col("ra")).alias("at"), group.alias("grp"), F.when(one == 1, F.col("n")).otherwise(0).alias("with"), F.when(one == 0, F.col("n")).otherwise(0).alias("without"))
+    parted = level.select(
+        (group * width + F.col("ra")).alias("at"), group.alias("grp"), F.when(one == 1, F.col("n")).otherwise(0).alias("with"),
+        F.when(one == 0, F.col("n")).otherwise(0).alias("without")
+    )
     summed = parted.groupBy("at", "grp").agg(F.sum("with").alias("with"), F.sum("without").alias("without"))
     run = running(summed, "at", {"w": ("sum", "with"), "o": ("sum", "without")})
     # Rows without the bit and of lower a agree in order with one that has it; rows with the bit and of lower a disagree with one without.
@@ -116,13 +135,19 @@ def kendall_tau_b(rows: DataFrame, a: str, b: str) -> DataFrame:
         F.sum(F.col("with") * (F.col("o") - F.col("without"))).alias("agree"), F.sum(F.col("without") * (F.col("w") - F.col("with"))).alias("differ"),
         F.sum("with").alias("with"), F.sum("without").alias("without"), F.min(F.col("o") - F.col("without")).alias("o"), F.min(F.col("w") - F.col("with")).alias("w"),
     )
-    s = per.agg(F.coalesce(F.sum(F.col("agree") - F.col("with") * F.col("o") - F.col("differ") + F.col("without") * F.col("w")), F.lit(0)).cast("double").alias("s"))
+    s = per.agg(
+        F.coalesce(
+            F.sum(F.col("agree") - F.col("with") * F.col("o") - F.col("differ") + F.col("without") * F.col("w")), F.lit(0)
+        ).cast("double").alias("s")
+    )
     pairs = lambda d: F.sum(d * (d - 1) / 2)
     total = cells.agg(F.sum("n").alias("n"))
     ta = cells.groupBy("a").agg(F.sum("n").alias("n")).agg(pairs(F.col("n")).alias("ta"))
     tb = cells.groupBy("b").agg(F.sum("n").alias("n")).agg(pairs(F.col("n")).alias("tb"))
     every = F.col("n") * (F.col("n") - 1) / 2
-    return s.join(F.broadcast(total)).join(F.broadcast(ta)).join(F.broadcast(tb)).select("n", (F.col("s") / F.sqrt((every - F.col("ta")) * (every - F.col("tb")))).alias("tau_b"))
+    return s.join(F.broadcast(total)).join(F.broadcast(ta)).join(F.broadcast(tb)).select(
+        "n", (F.col("s") / F.sqrt((every - F.col("ta")) * (every - F.col("tb")))).alias("tau_b")
+    )
 
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
@@ -142,7 +167,10 @@ def disc_quantile(rows: DataFrame, value: str, q: float) -> DataFrame:
 
 def latency(rows: DataFrame, ms: str, *keys: str) -> DataFrame:
     """Samples, mean, median, 95th percentile and greatest of a latency."""
-    return rows.groupBy(*keys).agg(F.count(ms).alias("n"), F.avg(ms).alias("mean"), F.percentile(ms, 0.5).alias("p50"), F.percentile(ms, 0.95).alias("p95"), F.max(ms).alias("most"))
+    return rows.groupBy(*keys).agg(
+        F.count(ms).alias("n"), F.avg(ms).alias("mean"), F.percentile(ms, 0.5).alias("p50"), F.percentile(ms, 0.95).alias("p95"),
+        F.max(ms).alias("most")
+    )
 
 
 def domain_gap(rows: DataFrame, domain: str, a: str, b: str, truth: str, guess: str) -> DataFrame:
@@ -175,21 +203,30 @@ def detection_map(aps: DataFrame) -> DataFrame:
 def linear_fit(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     """Slope, intercept and error of a least-squares line, the error in dB of the power of ``y``."""
     own = rows.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter("_x is not null and _y is not null")
-    fit = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), F.regr_syy("_y", "_x").alias("_syy"), F.regr_sxy("_y", "_x").alias("_sxy"), F.sum(F.col("_y") ** 2).alias("_p"))
+    fit = own.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"),
+        F.regr_syy("_y", "_x").alias("_syy"), F.regr_sxy("_y", "_x").alias("_sxy"), F.sum(F.col("_y") ** 2).alias("_p")
+    )
     error = F.greatest(F.col("_syy") - F.col("slope") * F.col("_sxy"), F.lit(0.0))
-    return fit.select(*keys, "n", "slope", "intercept", F.when(F.col("_p") > 0, 10 * F.log10(F.greatest(error / F.col("_p"), F.lit(1e-20)))).alias("nmse_db"))
+    return fit.select(
+        *keys, "n", "slope", "intercept", F.when(F.col("_p") > 0, 10 * F.log10(F.greatest(error / F.col("_p"), F.lit(1e-20)))).alias("nmse_db")
+    )
 
 
 def detection_by_level(truths: DataFrame, level: str, found: Column, width: float) -> DataFrame:
     """bin, n, detected: the share found in bins of a level such as the signal-to-noise ratio."""
-    return truths.groupBy((F.floor(F.col(level) / width) * width).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(found.cast("double")).alias("detected"))
+    return truths.groupBy((F.floor(F.col(level) / width) * width).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(found.cast("double")).alias("detected")
+    )
 
 
 def level_at(curve: DataFrame, wanted: float) -> DataFrame:
     """One row: the level at which a curve (bin, detected) first reaches the wanted share, between bins; null if it never does."""
     w = Window.orderBy("bin")  # a curve has one row a bin
     steps = curve.withColumns({"_b": F.lag("bin").over(w), "_d": F.lag("detected").over(w)}).filter(F.col("detected") >= wanted)
-    between = F.when(F.col("_d") < wanted, F.col("_b") + (F.col("bin") - F.col("_b")) * (wanted - F.col("_d")) / (F.col("detected") - F.col("_d"))).otherwise(F.col("bin"))
+    between = F.when(
+        F.col("_d") < wanted, F.col("_b") + (F.col("bin") - F.col("_b")) * (wanted - F.col("_d")) / (F.col("detected") - F.col("_d"))
+    ).otherwise(F.col("bin"))
     return steps.agg(F.min_by(between, F.col("bin")).alias("level"))
 
 

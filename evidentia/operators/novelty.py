@@ -10,21 +10,27 @@ from evidentia.functions.text import content_words, grams, words
 
 def terms(docs: DataFrame, id_: str, text: str) -> DataFrame:
     """id, term, tf of content words."""
-    return docs.select(F.col(id_).alias("id"), F.explode(content_words(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return docs.select(
+        F.col(id_).alias("id"), F.explode(content_words(F.col(text))).alias("term")
+    ).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def weights(own: DataFrame, corpus: DataFrame) -> DataFrame:
     """id, term, w: unit-length vectors of (1 + ln tf) by the corpus's smoothed idf; unseen terms get the greatest."""
     n = corpus.agg(F.countDistinct("id").alias("n"))
     df = corpus.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = own.join(df, "term", "left").join(F.broadcast(n)).select("id", "term", ((1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1)).alias("w"))
+    raw = own.join(df, "term", "left").join(F.broadcast(n)).select(
+        "id", "term", ((1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1)).alias("w")
+    )
     length = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("length"))
     return raw.join(length, "id").select("id", "term", (F.col("w") / F.col("length")).alias("w"))
 
 
 def similar(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """id, other, cosine, place: the k most alike of the corpus for each query (both: id, term, w); ties go to the lesser id."""
-    met = queries.join(corpus.select(F.col("id").alias("other"), "term", F.col("w").alias("w2")), "term").groupBy("id", "other").agg(F.sum(F.col("w") * F.col("w2")).alias("cosine"))
+    met = queries.join(
+        corpus.select(F.col("id").alias("other"), "term", F.col("w").alias("w2")), "term"
+    ).groupBy("id", "other").agg(F.sum(F.col("w") * F.col("w2")).alias("cosine"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
     return met.withColumn("place", place).filter(F.col("place") <= k)
 
@@ -58,12 +64,17 @@ def new_sentences(docs: DataFrame, id_: str, text: str, corpus: DataFrame, corpu
     fresh = first.join(known, "gram", "left_anti").groupBy("id", "idx").agg(F.count(F.lit(1)).alias("fresh"))
     total = own.groupBy("id", "idx").agg(F.count(F.lit(1)).alias("grams"))
     score = F.coalesce("fresh", F.lit(0)) / F.col("grams")
-    return total.join(fresh, ["id", "idx"], "left").select("id", "idx", "grams", F.coalesce("fresh", F.lit(0)).alias("fresh"), score.alias("score"), (score > tau).alias("novel"))
+    return total.join(fresh, ["id", "idx"], "left").select(
+        "id", "idx", "grams", F.coalesce("fresh", F.lit(0)).alias("fresh"), score.alias("score"), (score > tau).alias("novel")
+    )
 
 
 def rank(scored: DataFrame, tau: float = 0.5) -> DataFrame:
     """id, added, novel_sentences: documents by what they add, most first (from ``new_sentences``)."""
-    return scored.groupBy("id").agg(F.sum(F.col("grams") * F.greatest(F.col("score") - tau, F.lit(0.0))).alias("added"), F.sum(F.col("novel").cast("int")).alias("novel_sentences")).orderBy(F.desc("added"), F.desc("novel_sentences"), "id")
+    return scored.groupBy("id").agg(
+        F.sum(F.col("grams") * F.greatest(F.col("score") - tau, F.lit(0.0))).alias("added"),
+        F.sum(F.col("novel").cast("int")).alias("novel_sentences")
+    ).orderBy(F.desc("added"), F.desc("novel_sentences"), "id")
 
 
 def calibrated(scored: DataFrame, share: float = 0.9, least: float = 0.5) -> DataFrame:
@@ -73,7 +84,9 @@ def calibrated(scored: DataFrame, share: float = 0.9, least: float = 0.5) -> Dat
 
 def verdicts(scored: DataFrame, threshold: DataFrame, few: int = 3) -> DataFrame:
     """id, sentences, novel, share, verdict of documents, by a threshold of one row."""
-    per = scored.join(F.broadcast(threshold)).groupBy("id").agg(F.count(F.lit(1)).alias("sentences"), F.sum((F.col("score") > F.col("tau")).cast("long")).alias("novel"))
+    per = scored.join(F.broadcast(threshold)).groupBy("id").agg(
+        F.count(F.lit(1)).alias("sentences"), F.sum((F.col("score") > F.col("tau")).cast("long")).alias("novel")
+    )
     share = F.col("novel") / F.col("sentences")
     word = F.when(F.col("sentences") < few, "too short").when(share >= 0.5, "new").when(F.col("novel") > 0, "partly new").otherwise("known")
     return per.select("id", "sentences", "novel", share.alias("share"), word.alias("verdict"))

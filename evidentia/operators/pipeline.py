@@ -36,7 +36,9 @@ def frame_powers(blocks: DataFrame, size: int) -> DataFrame:
                 n = len(power)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(power.reshape(-1)))
                 frame = batch.column(1)[i].as_py() // size + np.arange(n)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n, pa.string()), pa.array(frame), flat], ["capture_id", "frame", "power"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(0)[i].as_py()] * n, pa.string()), pa.array(frame), flat], ["capture_id", "frame", "power"]
+                )
 
     return blocks.select("capture_id", "start", "re", "im").mapInArrow(run, "capture_id string, frame long, power array<float>")
 
@@ -48,7 +50,10 @@ def tile_floor(power: np.ndarray, pooled: int, near: int = 64) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(wide, 2 * near + 1), axis=1)
 
 
-def detect(blocks: DataFrame, rate: float, centre_hz: float, layout: dict[str, int], size: int = 256, pfa: float = 1e-5, bridge: int = 1, least_cells: int = 3) -> DataFrame:
+def detect(
+    blocks: DataFrame, rate: float, centre_hz: float, layout: dict[str, int], size: int = 256, pfa: float = 1e-5, bridge: int = 1,
+    least_cells: int = 3
+) -> DataFrame:
     """capture_id, t0, t1, f_lo, f_hi, snr_db, cells: what stands out of the floor, each part once, from the tile that owns its time.
 
     layout: as ``detection.tile_layout`` has it for a hop of ``size``.
@@ -76,7 +81,12 @@ def detect(blocks: DataFrame, rate: float, centre_hz: float, layout: dict[str, i
                     snr = 10 * np.log10(power[r0:r1, c0:c1].mean() / floor[c0:c1].mean())
                     own = (rows - step) // 2
                     begin = tile * step * dt
-                    out.append((capture, tile, begin + r0 * dt, begin + r1 * dt, centre_hz + (c0 - size / 2 - 0.5) * df, centre_hz + (c1 - size / 2 - 0.5) * df, snr, cells, begin + own * dt if tile else 0.0, begin + (own + step) * dt))
+                    out.append(
+                        (
+                            capture, tile, begin + r0 * dt, begin + r1 * dt, centre_hz + (c0 - size / 2 - 0.5) * df,
+                            centre_hz + (c1 - size / 2 - 0.5) * df, snr, cells, begin + own * dt if tile else 0.0, begin + (own + step) * dt
+                        )
+                    )
         kinds = [pa.string(), pa.int64(), *[pa.float64()] * 5, pa.int64(), pa.float64(), pa.float64()]
         names = [c.split()[0] for c in BOX.split(", ")]
         return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
@@ -89,7 +99,9 @@ def detect(blocks: DataFrame, rate: float, centre_hz: float, layout: dict[str, i
 def as_labels(boxes: DataFrame, rate: float, source: str) -> DataFrame:
     """capture_id, sample_start, sample_count, f_lo, f_hi, source of boxes."""
     start, stop = F.round(F.col("t0") * rate).cast("long"), F.round(F.col("t1") * rate).cast("long")
-    return boxes.select("capture_id", start.alias("sample_start"), (stop - start).alias("sample_count"), "f_lo", "f_hi", F.lit(source).alias("source"))
+    return boxes.select(
+        "capture_id", start.alias("sample_start"), (stop - start).alias("sample_count"), "f_lo", "f_hi", F.lit(source).alias("source")
+    )
 
 
 def relabelled(labels: DataFrame, boxes: DataFrame, rate: float, source: str) -> DataFrame:

@@ -45,7 +45,9 @@ def dataset_plan(originals: DataFrame, copies: DataFrame, stale: DataFrame) -> D
     parents = originals.filter("role = 'train'").select(F.col("id").alias("parent"))
     live = copies.join(stale, "generator", "left_anti")
     joined = live.filter("not fresh").join(parents, "parent", "left_semi").unionByName(live.filter("fresh"))
-    return originals.select("id", "type", "role", F.lit("original").alias("kind")).unionByName(joined.select("id", "type", F.lit("train").alias("role"), F.lit("copy").alias("kind")))
+    return originals.select("id", "type", "role", F.lit("original").alias("kind")).unionByName(
+        joined.select("id", "type", F.lit("train").alias("role"), F.lit("copy").alias("kind"))
+    )
 
 
 def weak_tests(originals: DataFrame) -> DataFrame:
@@ -54,7 +56,9 @@ def weak_tests(originals: DataFrame) -> DataFrame:
     test = originals.filter("role = 'test'")
     apart = test.join(train, "grp", "left_anti").groupBy("type").agg(F.countDistinct("grp").alias("apart"))
     every = test.groupBy("type").agg(F.countDistinct("grp").alias("tests"))
-    return every.join(apart, "type", "left").select("type", "tests", F.coalesce("apart", F.lit(0)).alias("apart"), (F.coalesce("apart", F.lit(0)) == 0).alias("weak"))
+    return every.join(apart, "type", "left").select(
+        "type", "tests", F.coalesce("apart", F.lit(0)).alias("apart"), (F.coalesce("apart", F.lit(0)) == 0).alias("weak")
+    )
 
 
 def problems(rows: DataFrame, id_: str, rules: dict[str, Column]) -> DataFrame:
@@ -67,7 +71,9 @@ def judged(value: Column, source: Column, choices: list[str] | None = None, conf
     """{value, ok, why} of an extracted value: it is kept only if it says something the source supports."""
     from evidentia.functions.text import REDACTED, found_in, is_null_wording
 
-    why = F.when(value.rlike("(?i)" + REDACTED), "redacted").when(value.isNull() | (F.btrim(value) == ""), "empty").when(is_null_wording(value), "null wording")
+    why = F.when(value.rlike("(?i)" + REDACTED), "redacted").when(
+        value.isNull() | (F.btrim(value) == ""), "empty"
+    ).when(is_null_wording(value), "null wording")
     if confidence is not None:
         why = why.when(confidence < least, "low confidence")
     if choices:
@@ -83,10 +89,14 @@ def coverage(rows: DataFrame, hit: Column, *keys: str) -> DataFrame:
 
 def unusual(rows: DataFrame, value: str, baseline: DataFrame, baseline_value: str) -> DataFrame:
     """Adds the share of the baseline at or under each value; no row is dropped."""
-    at = baseline.groupBy(F.col(baseline_value).alias("v")).agg(F.count(F.lit(1)).alias("n")).unionByName(rows.select(F.col(value).alias("v"), F.lit(0).cast("long").alias("n")).distinct())
+    at = baseline.groupBy(F.col(baseline_value).alias("v")).agg(F.count(F.lit(1)).alias("n")).unionByName(
+        rows.select(F.col(value).alias("v"), F.lit(0).cast("long").alias("n")).distinct()
+    )
     run = running(at.groupBy("v").agg(F.sum("n").alias("n")), "v", {"upto": ("sum", "n")})
     total = baseline.agg(F.count(F.lit(1)).alias("_all"))
-    return rows.join(run.select("v", "upto"), rows[value] == run["v"], "left").join(F.broadcast(total)).withColumn("percentile", 100 * F.col("upto") / F.col("_all")).drop("v", "upto", "_all")
+    return rows.join(
+        run.select("v", "upto"), rows[value] == run["v"], "left"
+    ).join(F.broadcast(total)).withColumn("percentile", 100 * F.col("upto") / F.col("_all")).drop("v", "upto", "_all")
 
 
 def annotations(captures: DataFrame, id_: str, labels: str) -> DataFrame:
@@ -102,7 +112,9 @@ def stale_originals(trained: DataFrame, originals: DataFrame) -> DataFrame:
 def agreement(confirmed: DataFrame, *keys: str) -> DataFrame:
     """Boxes, those that a decoder confirmed, those it called otherwise, and the share that agrees (from ``matching.confirmed``)."""
     known, off = F.col("decoder").isNotNull(), F.coalesce(F.col("disagrees"), F.lit(False))
-    sums = confirmed.groupBy(*keys).agg(F.count(F.lit(1)).alias("boxes"), F.sum(known.cast("long")).alias("confirmed"), F.sum((known & off).cast("long")).alias("disagreements"))
+    sums = confirmed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("boxes"), F.sum(known.cast("long")).alias("confirmed"), F.sum((known & off).cast("long")).alias("disagreements")
+    )
     return sums.withColumn("agreement", F.when(F.col("confirmed") > 0, 1 - F.col("disagreements") / F.col("confirmed")))
 
 

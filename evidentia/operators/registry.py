@@ -15,7 +15,9 @@ CARD = "name string, version int, kind string, profile string, classes array<str
 
 def refusal(profile: str, kind: str, sha256: Column) -> Column:
     """Why a model may not be used for a profile and kind with weights of this hash; null if it may."""
-    return F.when(F.col("retired"), "retired").when(F.col("profile") != profile, F.concat(F.lit("made for "), "profile")).when(F.col("kind") != kind, F.concat(F.lit("is a "), "kind")).when(F.col("sha256") != sha256, "weights differ from the card")
+    return F.when(F.col("retired"), "retired").when(
+        F.col("profile") != profile, F.concat(F.lit("made for "), "profile")
+    ).when(F.col("kind") != kind, F.concat(F.lit("is a "), "kind")).when(F.col("sha256") != sha256, "weights differ from the card")
 
 
 def usable(cards: DataFrame, profile: str, kind: str) -> DataFrame:
@@ -27,13 +29,19 @@ def verdict(kind: str) -> Column:
     """A plain sentence from a card's metrics, as ``metrics`` has them."""
     m = lambda k: F.col("metrics")[k]
     if kind == "finder":
-        return F.when(m("recall").isNull(), "not tested").when(m("false_rate") > 0.01, "too many false alarms").when(m("recall") < 0.8, "misses too much").otherwise("good")
-    return F.when(m("real_accuracy").isNull(), "tested on made-up signals only").when(m("real_accuracy") >= 0.9, "good").when(m("real_accuracy") >= 0.7, "usable").otherwise("not usable")
+        return F.when(m("recall").isNull(), "not tested").when(
+            m("false_rate") > 0.01, "too many false alarms"
+        ).when(m("recall") < 0.8, "misses too much").otherwise("good")
+    return F.when(
+        m("real_accuracy").isNull(), "tested on made-up signals only"
+    ).when(m("real_accuracy") >= 0.9, "good").when(m("real_accuracy") >= 0.7, "usable").otherwise("not usable")
 
 
 def overlapping_examples(examples: DataFrame, width: int) -> DataFrame:
     """Pairs of live originals of one recording whose spans overlap: the library refuses them. examples: id, recording, start, stop, kind, removed."""
-    own = examples.filter("kind = 'original' AND NOT removed").select("id", "recording", F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"))
+    own = examples.filter("kind = 'original' AND NOT removed").select(
+        "id", "recording", F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop")
+    )
     return overlaps(own, own, "start", "stop", float(width), ["recording"]).filter("id < id_b").select("recording", "id", "id_b")
 
 
@@ -101,4 +109,10 @@ def shards(files: DataFrame) -> DataFrame:
 
 def report(facts: Column) -> Column:
     """Facts (a map) as markdown lines, in order of their names."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(facts)), lambda e: F.concat(F.lit("- **"), e["key"], F.lit("**: "), F.coalesce(e["value"].cast("string"), F.lit("not known")))), "\n")
+    return F.array_join(
+        F.transform(
+            F.array_sort(F.map_entries(facts)),
+            lambda e: F.concat(F.lit("- **"), e["key"], F.lit("**: "), F.coalesce(e["value"].cast("string"), F.lit("not known")))
+        ),
+        "\n"
+    )

@@ -24,7 +24,9 @@ def running(df: DataFrame, order: str, columns: dict[str, tuple[str, str]], desc
     direction = F.desc if desc else F.asc
     totals = parted.groupBy("_part").agg(*[(F.sum if kind == "sum" else F.max)(source).alias(f"_{name}") for name, (kind, source) in columns.items()])
     before = Window.orderBy(direction("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_part", *[(F.sum if kind == "sum" else F.max)(f"_{name}").over(before).alias(f"_{name}") for name, (kind, _) in columns.items()])
+    totals = totals.select(
+        "_part", *[(F.sum if kind == "sum" else F.max)(f"_{name}").over(before).alias(f"_{name}") for name, (kind, _) in columns.items()]
+    )
     inside = Window.partitionBy("_part").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
     out = parted.join(F.broadcast(totals), "_part")
     for name, (kind, source) in columns.items():

@@ -21,7 +21,10 @@ def measures(docs: DataFrame, id_: str, text: str, width: int = 50) -> DataFrame
     base = docs.select(F.col(id_).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("w", words(F.col("t")))
     n, s = F.size("w"), F.greatest(F.regexp_count("t", F.lit(r"[.!?](?=\s|$)")), F.lit(1))
     rate = F.when(n > 0, 1000 * F.size(F.filter("w", lambda x: x.isin(*STOP))) / n).otherwise(0.0)
-    return base.select("id", n.cast("long").alias("n_words"), rate.alias("stop_rate"), s.cast("long").alias("sentences"), (n / s).alias("sentence_words"), (F.regexp_count("t", F.lit(",")) / s).alias("sentence_commas"), richness(F.col("w"), width).alias("richness"))
+    return base.select(
+        "id", n.cast("long").alias("n_words"), rate.alias("stop_rate"), s.cast("long").alias("sentences"), (n / s).alias("sentence_words"),
+        (F.regexp_count("t", F.lit(",")) / s).alias("sentence_commas"), richness(F.col("w"), width).alias("richness")
+    )
 
 
 def function_rates(docs: DataFrame, id_: str, text: str, most: int = 30) -> DataFrame:
@@ -39,7 +42,9 @@ def delta(rates: DataFrame, groups: DataFrame) -> DataFrame:
     z = rates.groupBy("word").agg(F.stddev_samp("rate").alias("sd")).filter("sd > 0")
     means = rates.join(groups, "id").groupBy("grp", "word").agg(F.avg("rate").alias("rate")).join(z, "word")
     pair = means.alias("a").join(means.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.grp") < F.col("b.grp")))
-    return pair.groupBy(F.col("a.grp").alias("group_a"), F.col("b.grp").alias("group_b")).agg(F.avg(F.abs(F.col("a.rate") - F.col("b.rate")) / F.col("a.sd")).alias("delta"))
+    return pair.groupBy(F.col("a.grp").alias("group_a"), F.col("b.grp").alias("group_b")).agg(
+        F.avg(F.abs(F.col("a.rate") - F.col("b.rate")) / F.col("a.sd")).alias("delta")
+    )
 
 
 def length_histogram(lengths: DataFrame, group: str, value: str, edges: tuple[int, ...] = (5, 10, 15, 20, 30, 40)) -> DataFrame:
@@ -56,7 +61,9 @@ def divergence_bits(shares: DataFrame) -> DataFrame:
     names = shares.select("grp").distinct()
     pairs = names.alias("x").join(names.alias("y"), F.col("x.grp") < F.col("y.grp")).select(F.col("x.grp").alias("a"), F.col("y.grp").alias("b"))
     cells = pairs.join(shares.select("cell").distinct())
-    left, right = shares.select(F.col("grp").alias("a"), "cell", F.col("share").alias("p")), shares.select(F.col("grp").alias("b"), "cell", F.col("share").alias("q"))
+    left, right = shares.select(
+        F.col("grp").alias("a"), "cell", F.col("share").alias("p")
+    ), shares.select(F.col("grp").alias("b"), "cell", F.col("share").alias("q"))
     both = cells.join(left, ["a", "cell"], "left").join(right, ["b", "cell"], "left").na.fill(0.0, ["p", "q"])
     m = (F.col("p") + F.col("q")) / 2
     part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / m)).otherwise(0.0)

@@ -29,7 +29,10 @@ def first_response(spark, sf):
 
 
 def call_response(spark, sf):
-    return events.call_response(_ev(spark, sf, "event_type"), "event_type", 500_000, 300_000_000).select("a_kind", "b_kind", "calls", "answered", F.round("expected", 4).alias("expected"), F.round("p_value", 4).alias("p_value"), F.round("delay_us", 0).alias("delay_us"))
+    return events.call_response(_ev(spark, sf, "event_type"), "event_type", 500_000, 300_000_000).select(
+        "a_kind", "b_kind", "calls", "answered", F.round("expected", 4).alias("expected"), F.round("p_value", 4).alias("p_value"),
+        F.round("delay_us", 0).alias("delay_us")
+    )
 
 
 def nearest_same_user(spark, sf):
@@ -39,7 +42,9 @@ def nearest_same_user(spark, sf):
 
 
 def co_occurrence(spark, sf):
-    return events.co_occurrence(_ev(spark, sf), 3_600_000_000, 3).select("who_a", "who_b", "together", F.round("lift", 4).alias("lift"), F.round("p_value", 5).alias("p_value"))
+    return events.co_occurrence(_ev(spark, sf), 3_600_000_000, 3).select(
+        "who_a", "who_b", "together", F.round("lift", 4).alias("lift"), F.round("p_value", 5).alias("p_value")
+    )
 
 
 def alike_schedules(spark, sf):
@@ -51,7 +56,9 @@ def week_profiles(spark, sf):
 
 
 def daily_rhythm(spark, sf):
-    return events.rhythm(_ev(spark, sf), 86_400_000_000).select("who", "n", F.round("resultant", 6).alias("resultant"), F.round("p_value", 6).alias("p_value"))
+    return events.rhythm(_ev(spark, sf), 86_400_000_000).select(
+        "who", "n", F.round("resultant", 6).alias("resultant"), F.round("p_value", 6).alias("p_value")
+    )
 
 
 def event_gaps(spark, sf):
@@ -63,15 +70,21 @@ def event_pace(spark, sf):
 
 
 def loud_runs(spark, sf):
-    return events.islands(_ev(spark, sf, "value"), ["who"], ["us", "id"], F.col("value") > 50).select("who", F.col("first").alias("first_us"), F.col("last").alias("last_us"), "n")
+    return events.islands(_ev(spark, sf, "value"), ["who"], ["us", "id"], F.col("value") > 50).select(
+        "who", F.col("first").alias("first_us"), F.col("last").alias("last_us"), "n"
+    )
 
 
 def repeated_types(spark, sf):
-    return events.unchanged_runs(_ev(spark, sf, "event_type"), ["who"], ["us", "id"], "event_type", 3).select("who", "value", F.col("first").alias("first_us"), "n")
+    return events.unchanged_runs(
+        _ev(spark, sf, "event_type"), ["who"], ["us", "id"], "event_type", 3
+    ).select("who", "value", F.col("first").alias("first_us"), "n")
 
 
 def busy_spans(spark, sf):
-    return events.busy_spans(_ev(spark, sf, "value"), (F.col("value") * 60_000_000).cast("long")).select("who", "bursts", "busy_us", F.round("duty", 6).alias("duty"), F.round("period_us", 1).alias("period_us"))
+    return events.busy_spans(_ev(spark, sf, "value"), (F.col("value") * 60_000_000).cast("long")).select(
+        "who", "bursts", "busy_us", F.round("duty", 6).alias("duty"), F.round("period_us", 1).alias("period_us")
+    )
 
 
 def value_drift(spark, sf):
@@ -87,7 +100,9 @@ def lag_histogram(spark, sf):
 
 
 def pri_spectrum(spark, sf):
-    return events.pri_spectrum(_ev(spark, sf, "event_type"), "event_type", 2, [600_000_000, 1_200_000_000, 2_400_000_000]).select("event_type", "period_us", "n", F.round("strength", 4).alias("strength"))
+    return events.pri_spectrum(
+        _ev(spark, sf, "event_type"), "event_type", 2, [600_000_000, 1_200_000_000, 2_400_000_000]
+    ).select("event_type", "period_us", "n", F.round("strength", 4).alias("strength"))
 
 
 def decayed_counts(spark, sf):
@@ -100,11 +115,15 @@ def unwrapped_clock(spark, sf):
 
 
 def resampled_values(spark, sf):
-    return events.resample(_ev(spark, sf, "value"), "who", "value", 21_600_000_000, 259_200_000_000).select("who", "us", F.round("value", 6).alias("value"))
+    return events.resample(
+        _ev(spark, sf, "value"), "who", "value", 21_600_000_000, 259_200_000_000
+    ).select("who", "us", F.round("value", 6).alias("value"))
 
 
 def presence_windows(spark, sf):
-    return events.presence(_t(spark, sf, "events"), "value", "2 hours", "1 hour").select(micros("begin").alias("begin_us"), "n", F.round("motion", 6).alias("motion"), "present")
+    return events.presence(_t(spark, sf, "events"), "value", "2 hours", "1 hour").select(
+        micros("begin").alias("begin_us"), "n", F.round("motion", 6).alias("motion"), "present"
+    )
 
 
 def hourly_power(spark, sf):
@@ -114,7 +133,9 @@ def hourly_power(spark, sf):
 
 
 def cfar_hits(spark, sf):
-    return detection.ca_cfar(hourly_power(spark, sf), ["event_type"], "hour", "power", 0.01).select("event_type", "hour", "cells", F.round("noise", 6).alias("noise"), F.round("threshold", 4).alias("threshold"), "hit")
+    return detection.ca_cfar(hourly_power(spark, sf), ["event_type"], "hour", "power", 0.01).select(
+        "event_type", "hour", "cells", F.round("noise", 6).alias("noise"), F.round("threshold", 4).alias("threshold"), "hit"
+    )
 
 
 def noise_floor(spark, sf):
@@ -122,15 +143,21 @@ def noise_floor(spark, sf):
 
 
 def truncated_noise_floor(spark, sf):
-    return detection.truncated_floor(hourly_power(spark, sf), "event_type", "power", rounds=2).select("event_type", "n", F.round("floor", 6).alias("floor"))
+    return detection.truncated_floor(
+        hourly_power(spark, sf), "event_type", "power", rounds=2
+    ).select("event_type", "n", F.round("floor", 6).alias("floor"))
 
 
 def local_ratio(spark, sf):
-    return detection.local_ratio(hourly_power(spark, sf), ["event_type"], "hour", "power", 4).select("event_type", "hour", F.round("ratio", 6).alias("ratio"))
+    return detection.local_ratio(
+        hourly_power(spark, sf), ["event_type"], "hour", "power", 4
+    ).select("event_type", "hour", F.round("ratio", 6).alias("ratio"))
 
 
 def power_peaks(spark, sf):
-    return detection.peaks(hourly_power(spark, sf), ["event_type"], "hour", "power", 5).select("event_type", "hour", F.round("power", 4).alias("power"))
+    return detection.peaks(
+        hourly_power(spark, sf), ["event_type"], "hour", "power", 5
+    ).select("event_type", "hour", F.round("power", 4).alias("power"))
 
 
 def hit_runs(spark, sf):
@@ -138,11 +165,15 @@ def hit_runs(spark, sf):
 
 
 def opened_floor(spark, sf):
-    return detection.opened(hourly_power(spark, sf), ["event_type"], "hour", "power").select("event_type", "hour", F.round("opened", 4).alias("opened"))
+    return detection.opened(hourly_power(spark, sf), ["event_type"], "hour", "power").select(
+        "event_type", "hour", F.round("opened", 4).alias("opened")
+    )
 
 
 def pooled_rows(spark, sf):
-    return detection.tile_rows(hourly_power(spark, sf), "hour", "power", 24).select("row", F.round("peak", 4).alias("peak"), F.round("mean", 6).alias("mean"), "n")
+    return detection.tile_rows(hourly_power(spark, sf), "hour", "power", 24).select(
+        "row", F.round("peak", 4).alias("peak"), F.round("mean", 6).alias("mean"), "n"
+    )
 
 
 def newest_event(spark, sf):

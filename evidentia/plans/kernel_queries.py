@@ -14,7 +14,9 @@ def _t(spark, sf, name):
 
 def conversation_word_errors(spark, sf):
     c = _t(spark, sf, "conversations")
-    a, b = c.select("conv_id", "turn", F.col("text").alias("said")), c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("heard"))
+    a, b = c.select("conv_id", "turn", F.col("text").alias("said")), c.select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("heard")
+    )
     return arrays.word_errors(a.join(b, ["conv_id", "turn"]), "said", "heard", ["conv_id", "turn"])
 
 
@@ -23,9 +25,13 @@ def corpus_word_error_rate(spark, sf):
 
 
 def unusual_lines(spark, sf):
-    li = _t(spark, sf, "lineitem").withColumns({"id": F.col("l_orderkey") * 10 + F.col("l_linenumber"), "log_price": F.log1p("l_extendedprice"), "log_quantity": F.log1p("l_quantity")})
+    li = _t(spark, sf, "lineitem").withColumns(
+        {"id": F.col("l_orderkey") * 10 + F.col("l_linenumber"), "log_price": F.log1p("l_extendedprice"), "log_quantity": F.log1p("l_quantity")}
+    )
     features = ["log_price", "log_quantity", "l_discount", "l_tax"]
-    return arrays.reconstruction_errors(li, "id", features, *arrays.fit_components(li, features, 0.7)).select("id", F.round("error", 5).alias("error"))
+    return arrays.reconstruction_errors(
+        li, "id", features, *arrays.fit_components(li, features, 0.7)
+    ).select("id", F.round("error", 5).alias("error"))
 
 
 def kriged_balances(spark, sf):
@@ -36,7 +42,9 @@ def kriged_balances(spark, sf):
 
 
 def event_pulse_trains(spark, sf):
-    e = _t(spark, sf, "events").select(F.col("user_id").alias("scene"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) / 1e6").alias("toa_s"))
+    e = _t(spark, sf, "events").select(
+        F.col("user_id").alias("scene"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) / 1e6").alias("toa_s")
+    )
     return arrays.pulse_trains(e)
 
 

@@ -46,7 +46,9 @@ def two_ray_losses(spark, sf):
 
 def reach_cells(spark, sf):
     cells = tq._places(spark, sf).withColumnRenamed("id", "cell")
-    return _rounded(spatial.predicted_reach(cells, 51.0, 6.5, 30.0, F.lit(2.15), 446e6, -90.0, 8.0, 60_000.0), 4, "metres", "bearing", "rx_dbm").select("cell", "metres", "bearing", "rx_dbm", "covered")
+    return _rounded(
+        spatial.predicted_reach(cells, 51.0, 6.5, 30.0, F.lit(2.15), 446e6, -90.0, 8.0, 60_000.0), 4, "metres", "bearing", "rx_dbm"
+    ).select("cell", "metres", "bearing", "rx_dbm", "covered")
 
 
 def reach_sectors(spark, sf):
@@ -87,12 +89,19 @@ def recordable_parts(spark, sf):
 
 
 def _claims(spark, sf):
-    b = tq._boxes(spark, sf).join(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("cls"), F.col("o_totalprice").cast("double").alias("score")), "id")
+    b = tq._boxes(spark, sf).join(
+        _t(spark, sf, "orders").select(
+            F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("cls"), F.col("o_totalprice").cast("double").alias("score")
+        ),
+        "id"
+    )
     guesses, truths = b.filter("id % 2 = 0"), b.filter("id % 2 = 1")
     # Only boxes of one class and group meet.
     pairs = matching.box_iou(matching.overlaps(guesses, truths, "t0", "t1", 7.0, ["grp", "cls"])).withColumn("iou", F.round("iou", 9))
     claimed = matching.first_claim(pairs, "id", "id_b", "iou", "score", 0.2).filter("matched").select("id", F.lit(True).alias("hit"))
-    return guesses.join(claimed, "id", "left").select("id", "cls", "score", F.coalesce("hit", F.lit(False)).alias("matched")), truths.select("id", "cls")
+    return guesses.join(claimed, "id", "left").select(
+        "id", "cls", "score", F.coalesce("hit", F.lit(False)).alias("matched")
+    ), truths.select("id", "cls")
 
 
 def box_precision(spark, sf):
@@ -104,7 +113,9 @@ def box_mean_precision(spark, sf):
 
 
 def language_gap(spark, sf):
-    d = tq._scored(spark, sf).join(_t(spark, sf, "documents").select("doc_id", "lang"), "doc_id").withColumn("guess", (F.col("score") > 0.9).cast("int"))
+    d = tq._scored(spark, sf).join(
+        _t(spark, sf, "documents").select("doc_id", "lang"), "doc_id"
+    ).withColumn("guess", (F.col("score") > 0.9).cast("int"))
     return _rounded(metrics.domain_gap(d, "lang", "en", "de", "quality", "guess"), 6, "accuracy_a", "accuracy_b", "gap")
 
 
@@ -117,7 +128,9 @@ def cells_over_floor(spark, sf):
     h = ev.hourly_power(spark, sf)
     floor = detection.quantile_floor(h, "event_type", "power").select("event_type", "floor")
     above = h.join(floor, "event_type").withColumn("above_db", 10 * F.log10(F.col("power") / F.col("floor")))
-    return above.select("event_type", "hour", F.round("above_db", 5).alias("above_db"), detection.floor_mask(F.col("above_db"), 0.05, 2, 0.5).alias("over"))
+    return above.select(
+        "event_type", "hour", F.round("above_db", 5).alias("above_db"), detection.floor_mask(F.col("above_db"), 0.05, 2, 0.5).alias("over")
+    )
 
 
 _LAYOUT = detection.tile_layout(1 / 3600, 1, 7 * 86_400.0, 7)
@@ -131,7 +144,9 @@ def tile_cells(spark, sf):
     rows = detection.tiles(frames, ["event_type"], "frame", "power", _LAYOUT)
     at = detection.row_time(F.col("tile"), F.col("row"), 1 / 3600, 1, _LAYOUT)
     back = detection.time_row(F.col("tile"), at, 1 / 3600, 1, _LAYOUT)
-    return rows.select("event_type", "tile", "row", F.round("power", 5).alias("power"), F.round(at, 3).alias("begin_s"), F.round(back, 6).alias("back"))
+    return rows.select(
+        "event_type", "tile", "row", F.round("power", 5).alias("power"), F.round(at, 3).alias("begin_s"), F.round(back, 6).alias("back")
+    )
 
 
 def run_strengths(spark, sf):
@@ -160,24 +175,41 @@ def stale_orders(spark, sf):
 def line_labels(spark, sf):
     """Labels in an array of each order, one row a label, with those of one source replaced."""
     li = _t(spark, sf, "lineitem")
-    packed = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_linestatus").alias("source"), "l_quantity"))).alias("labels"))
-    old = records.annotations(packed, "l_orderkey", "labels").select("id", "l_linenumber", "source", F.col("l_quantity").cast("double").alias("value"))
-    new = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0).cast(old.schema["l_linenumber"].dataType).alias("l_linenumber"), F.lit("O").alias("source"), F.col("o_totalprice").cast("double").alias("value"))
+    packed = li.groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_linestatus").alias("source"), "l_quantity"))).alias("labels")
+    )
+    old = records.annotations(packed, "l_orderkey", "labels").select(
+        "id", "l_linenumber", "source", F.col("l_quantity").cast("double").alias("value")
+    )
+    new = _t(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.lit(0).cast(old.schema["l_linenumber"].dataType).alias("l_linenumber"), F.lit("O").alias("source"),
+        F.col("o_totalprice").cast("double").alias("value")
+    )
     return records.replace_source(old, new, "O")
 
 
 def checked_actions(spark, sf):
     o = _t(spark, sf, "orders")
-    kind = F.when(F.pmod("o_custkey", F.lit(5)) == 0, "stop").when(F.pmod("o_custkey", F.lit(5)) == 1, "dwell").when(F.pmod("o_custkey", F.lit(5)) == 2, "transmit").otherwise("look")
-    rows = o.select("o_orderkey", kind.alias("kind"), F.col("o_totalprice").cast("double").alias("centre_hz"), F.pmod("o_orderkey", F.lit(90)).cast("double").alias("dwell_s"))
+    kind = F.when(F.pmod("o_custkey", F.lit(5)) == 0, "stop").when(F.pmod("o_custkey", F.lit(5)) == 1, "dwell").when(
+        F.pmod("o_custkey", F.lit(5)) == 2, "transmit"
+    ).otherwise("look")
+    rows = o.select(
+        "o_orderkey", kind.alias("kind"), F.col("o_totalprice").cast("double").alias("centre_hz"),
+        F.pmod("o_orderkey", F.lit(90)).cast("double").alias("dwell_s")
+    )
     return rows.select("o_orderkey", hunting.valid_action(50_000.0, 200_000.0, 60.0).alias("v")).select("o_orderkey", "v.ok", "v.why")
 
 
 def profile_names(spark, sf):
     """Identities made of a part's type and size, and taken apart again."""
     family = F.regexp_replace(F.lower("p_type"), "[^a-z0-9]+", "-")
-    made = _t(spark, sf, "part").select("p_partkey", profiles.make_id(family, F.col("p_size") * 1000, F.lit("ci16"), F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]+", "-"))).alias("name"))
-    return made.select("p_partkey", "name", profiles.parse_id(F.col("name")).alias("x")).select("p_partkey", "name", "x.family", "x.rate", "x.kind", "x.variant")
+    made = _t(spark, sf, "part").select(
+        "p_partkey",
+        profiles.make_id(family, F.col("p_size") * 1000, F.lit("ci16"), F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]+", "-"))).alias("name")
+    )
+    return made.select(
+        "p_partkey", "name", profiles.parse_id(F.col("name")).alias("x")
+    ).select("p_partkey", "name", "x.family", "x.rate", "x.kind", "x.variant")
 
 
 def _examples(spark, sf):
@@ -185,7 +217,9 @@ def _examples(spark, sf):
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
     return o.select(
         F.col("o_orderkey").alias("id"), F.pmod("o_custkey", F.lit(40)).cast("string").alias("recording"), day.alias("start"), (day + 2).alias("stop"),
-        F.when(F.pmod("o_orderkey", F.lit(3)) == 0, "copy").otherwise("original").alias("kind"), (F.pmod("o_orderkey", F.lit(11)) == 0).alias("removed"), records.role(F.col("o_custkey")).alias("role"),
+        F.when(
+            F.pmod("o_orderkey", F.lit(3)) == 0, "copy"
+        ).otherwise("original").alias("kind"), (F.pmod("o_orderkey", F.lit(11)) == 0).alias("removed"), records.role(F.col("o_custkey")).alias("role"),
     )
 
 
@@ -203,21 +237,32 @@ def moved_examples(spark, sf):
 def usable_models(spark, sf):
     p = _t(spark, sf, "part")
     kind = F.substring("p_type", 1, 3)
-    cards = p.select(F.concat_ws("/", "p_brand", kind, F.pmod("p_size", F.lit(5))).alias("name"), F.col("p_partkey").alias("version"), F.col("p_brand").alias("profile"), kind.alias("kind"), (F.col("p_size") > 25).alias("retired"))
+    cards = p.select(
+        F.concat_ws("/", "p_brand", kind, F.pmod("p_size", F.lit(5))).alias("name"), F.col("p_partkey").alias("version"),
+        F.col("p_brand").alias("profile"), kind.alias("kind"), (F.col("p_size") > 25).alias("retired")
+    )
     first = cards.agg(F.min("profile"), F.min("kind")).first()
     return registry.usable(cards, first[0], first[1]).select("name", "version")
 
 
 def next_customer_stops(spark, sf):
     o = _t(spark, sf, "orders")
-    state = F.when(F.pmod("o_orderkey", F.lit(9)) == 0, "confirm").when(F.pmod("o_orderkey", F.lit(7)) == 0, "again").when(F.col("o_orderstatus") == "O", "new").otherwise("done")
-    stops = o.select(F.col("o_custkey").alias("receiver"), F.col("o_orderkey").alias("stop"), F.col("o_totalprice").cast("double").alias("order"), state.alias("state"))
+    state = F.when(
+        F.pmod("o_orderkey", F.lit(9)) == 0, "confirm"
+    ).when(F.pmod("o_orderkey", F.lit(7)) == 0, "again").when(F.col("o_orderstatus") == "O", "new").otherwise("done")
+    stops = o.select(
+        F.col("o_custkey").alias("receiver"), F.col("o_orderkey").alias("stop"), F.col("o_totalprice").cast("double").alias("order"),
+        state.alias("state")
+    )
     return hunting.next_stops(stops, "receiver", 2)
 
 
 def spoken_numbers(spark, sf):
     o = _t(spark, sf, "orders")
-    return o.select("o_orderkey", text.hz_words(F.col("o_totalprice").cast("double") * 1000 + 1).alias("hz"), text.seconds_words(F.col("o_totalprice").cast("double") / 50 + 0.001).alias("seconds"))
+    return o.select(
+        "o_orderkey", text.hz_words(F.col("o_totalprice").cast("double") * 1000 + 1).alias("hz"),
+        text.seconds_words(F.col("o_totalprice").cast("double") / 50 + 0.001).alias("seconds")
+    )
 
 
 def _sentence_scores(spark, sf):
@@ -242,7 +287,9 @@ def canvas_gaps(spark, sf):
 
 
 def price_lines(spark, sf):
-    return _rounded(metrics.linear_fit(_t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag"), 4, "slope", "intercept", "nmse_db")
+    return _rounded(
+        metrics.linear_fit(_t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag"), 4, "slope", "intercept", "nmse_db"
+    )
 
 
 def _by_price(spark, sf):
@@ -265,8 +312,12 @@ def false_marks_an_hour(spark, sf):
 
 def looked_at_users(spark, sf):
     """Cells by user, after the looks of odd events are added to those of even ones."""
-    e = _t(spark, sf, "events").select(F.col("user_id").alias("cell"), times.micros("ts").alias("t"), (F.col("event_type") == "purchase").cast("long").alias("finds"), "event_id")
-    old = e.filter("event_id % 2 = 0").groupBy("cell").agg(F.count(F.lit(1)).alias("looks"), F.sum("finds").alias("finds"), F.max("t").alias("looked"))
+    e = _t(spark, sf, "events").select(
+        F.col("user_id").alias("cell"), times.micros("ts").alias("t"), (F.col("event_type") == "purchase").cast("long").alias("finds"), "event_id"
+    )
+    old = e.filter("event_id % 2 = 0").groupBy("cell").agg(
+        F.count(F.lit(1)).alias("looks"), F.sum("finds").alias("finds"), F.max("t").alias("looked")
+    )
     return hunting.observed(old, e.filter("event_id % 2 = 1"))
 
 

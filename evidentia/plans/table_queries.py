@@ -18,17 +18,23 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def prototype_classes(spark, sf):
     v = _t(spark, sf, "embeddings")
-    return matching.classify(v, "vec_id", "embedding", matching.prototypes(v, "embedding", "label"), 0.8).select("id", "nearest", F.round("distance", 5).alias("distance"), F.round("second", 5).alias("second"), "answer")
+    return matching.classify(v, "vec_id", "embedding", matching.prototypes(v, "embedding", "label"), 0.8).select(
+        "id", "nearest", F.round("distance", 5).alias("distance"), F.round("second", 5).alias("second"), "answer"
+    )
 
 
 def prototype_thresholds(spark, sf):
-    return matching.class_thresholds(_t(spark, sf, "embeddings"), "embedding", "label").select("label", "n", F.round("threshold", 5).alias("threshold"))
+    return matching.class_thresholds(_t(spark, sf, "embeddings"), "embedding", "label").select(
+        "label", "n", F.round("threshold", 5).alias("threshold")
+    )
 
 
 def _features(spark, sf):
     li = _t(spark, sf, "lineitem")
     cols = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
-    return li.select(F.col("l_suppkey").alias("emitter"), F.col("l_orderkey"), F.col("l_linenumber"), F.explode(cols).alias("x")).select("emitter", "l_orderkey", "l_linenumber", "x.feature", "x.value")
+    return li.select(
+        F.col("l_suppkey").alias("emitter"), F.col("l_orderkey"), F.col("l_linenumber"), F.explode(cols).alias("x")
+    ).select("emitter", "l_orderkey", "l_linenumber", "x.feature", "x.value")
 
 
 def emitter_library(spark, sf):
@@ -43,7 +49,9 @@ def emitter_match(spark, sf):
     f = _features(spark, sf)
     probes = f.filter("l_orderkey % 100 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "feature", "value")
     limits = {k: (stats.chi2_quantile(0.5, k) / k) ** 0.5 for k in range(1, 5)}
-    return matching.library_match(probes, matching.library(f), limits).select("id", "nearest", F.round("distance", 5).alias("distance"), "used", "answer")
+    return matching.library_match(probes, matching.library(f), limits).select(
+        "id", "nearest", F.round("distance", 5).alias("distance"), "used", "answer"
+    )
 
 
 def ledger_labels(spark, sf):
@@ -62,7 +70,11 @@ def order_overlaps(spark, sf):
 def _boxes(spark, sf):
     o = _t(spark, sf, "orders")
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double")
-    return o.select(F.col("o_orderkey").alias("id"), F.pmod("o_custkey", F.lit(50)).alias("grp"), day.alias("t0"), (day + 1 + F.pmod("o_orderkey", F.lit(9))).alias("t1"), F.pmod("o_custkey", F.lit(13)).cast("double").alias("f0"), (F.pmod("o_custkey", F.lit(13)) + 4).cast("double").alias("f1"))
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.pmod("o_custkey", F.lit(50)).alias("grp"), day.alias("t0"),
+        (day + 1 + F.pmod("o_orderkey", F.lit(9))).alias("t1"), F.pmod("o_custkey", F.lit(13)).cast("double").alias("f0"),
+        (F.pmod("o_custkey", F.lit(13)) + 4).cast("double").alias("f1")
+    )
 
 
 def claimed_boxes(spark, sf):
@@ -79,8 +91,13 @@ def owned_boxes(spark, sf):
 
 def confirmed_labels(spark, sf):
     o, li = _t(spark, sf, "orders"), _t(spark, sf, "lineitem")
-    boxes = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", matching.UNKNOWN).otherwise(F.col("o_orderstatus")).alias("cls"))
-    results = li.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("d"), F.col("l_linenumber").cast("string")).alias("decoder"), F.col("l_linenumber").alias("rank"), (F.col("l_discount") > 0.05).alias("ok"), F.col("l_linestatus").alias("label"))
+    boxes = o.select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", matching.UNKNOWN).otherwise(F.col("o_orderstatus")).alias("cls")
+    )
+    results = li.select(
+        F.col("l_orderkey").alias("id"), F.concat(F.lit("d"), F.col("l_linenumber").cast("string")).alias("decoder"),
+        F.col("l_linenumber").alias("rank"), (F.col("l_discount") > 0.05).alias("ok"), F.col("l_linestatus").alias("label")
+    )
     return matching.confirmed(boxes, results).select("id", "decoder", "label", "disagrees")
 
 
@@ -98,16 +115,22 @@ def label_confusion(spark, sf):
 
 
 def label_scores(spark, sf):
-    return metrics.class_scores(_scored(spark, sf).withColumn("guess", (F.col("score") > 0.9).cast("int")), "quality", "guess").select("class", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return metrics.class_scores(
+        _scored(spark, sf).withColumn("guess", (F.col("score") > 0.9).cast("int")), "quality", "guess"
+    ).select("class", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def label_summary(spark, sf):
-    return metrics.summary_scores(_scored(spark, sf).withColumn("guess", (F.col("score") > 0.9).cast("int")), "quality", "guess").select("n", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"))
+    return metrics.summary_scores(
+        _scored(spark, sf).withColumn("guess", (F.col("score") > 0.9).cast("int")), "quality", "guess"
+    ).select("n", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"))
 
 
 def label_reliability(spark, sf):
     s = _scored(spark, sf)
-    return metrics.reliability(s, "score", F.col("quality") == 1).select("bin", "n", F.round("confidence", 6).alias("confidence"), F.round("accuracy", 6).alias("accuracy"))
+    return metrics.reliability(s, "score", F.col("quality") == 1).select(
+        "bin", "n", F.round("confidence", 6).alias("confidence"), F.round("accuracy", 6).alias("accuracy")
+    )
 
 
 def label_calibration(spark, sf):
@@ -119,11 +142,15 @@ def label_average_precision(spark, sf):
 
 
 def label_best_threshold(spark, sf):
-    return metrics.best_threshold(_scored(spark, sf), "score", "quality").select("threshold", *[F.round(c, 6).alias(c) for c in ("f1", "precision", "recall")])
+    return metrics.best_threshold(_scored(spark, sf), "score", "quality").select(
+        "threshold", *[F.round(c, 6).alias(c) for c in ("f1", "precision", "recall")]
+    )
 
 
 def label_operating_point(spark, sf):
-    return metrics.operating_point(_scored(spark, sf), "score", "quality", 0.1).select("threshold", F.round("detected", 6).alias("detected"), F.round("false_rate", 6).alias("false_rate"))
+    return metrics.operating_point(_scored(spark, sf), "score", "quality", 0.1).select(
+        "threshold", F.round("detected", 6).alias("detected"), F.round("false_rate", 6).alias("false_rate")
+    )
 
 
 def label_auc(spark, sf):
@@ -149,39 +176,56 @@ def price_quantile(spark, sf):
 def tfidf_nearest(spark, sf):
     d, b = _t(spark, sf, "documents"), _t(spark, sf, "benchmark")
     corpus = novelty.terms(b, "item_id", "text")
-    return novelty.similar(novelty.weights(novelty.terms(d, "doc_id", "text"), corpus), novelty.weights(corpus, corpus), 1).select("id", F.round("cosine", 6).alias("cosine"))
+    return novelty.similar(
+        novelty.weights(novelty.terms(d, "doc_id", "text"), corpus), novelty.weights(corpus, corpus), 1
+    ).select("id", F.round("cosine", 6).alias("cosine"))
 
 
 def gram_containment(spark, sf):
-    return novelty.containment(_t(spark, sf, "documents"), "doc_id", "text", _t(spark, sf, "benchmark"), "text").select("id", "grams", "seen", F.round("contained", 6).alias("contained"))
+    return novelty.containment(
+        _t(spark, sf, "documents"), "doc_id", "text", _t(spark, sf, "benchmark"), "text"
+    ).select("id", "grams", "seen", F.round("contained", 6).alias("contained"))
 
 
 def novelty_rank(spark, sf):
-    return novelty.rank(novelty.new_sentences(_t(spark, sf, "documents"), "doc_id", "text", _t(spark, sf, "benchmark"), "text")).select("id", F.round("added", 4).alias("added"), "novel_sentences")
+    return novelty.rank(
+        novelty.new_sentences(_t(spark, sf, "documents"), "doc_id", "text", _t(spark, sf, "benchmark"), "text")
+    ).select("id", F.round("added", 4).alias("added"), "novel_sentences")
 
 
 def document_style(spark, sf):
-    return style.measures(_t(spark, sf, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn")), "key", "text").select("id", "n_words", "sentences", *[F.round(c, 5).alias(c) for c in ("stop_rate", "sentence_words", "sentence_commas", "richness")])
+    return style.measures(_t(spark, sf, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn")), "key", "text").select(
+        "id", "n_words", "sentences", *[F.round(c, 5).alias(c) for c in ("stop_rate", "sentence_words", "sentence_commas", "richness")]
+    )
 
 
 def style_delta(spark, sf):
     d = _t(spark, sf, "documents")
-    return style.delta(style.function_rates(d, "doc_id", "text"), d.select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"))).select("group_a", "group_b", F.round("delta", 5).alias("delta"))
+    return style.delta(
+        style.function_rates(d, "doc_id", "text"), d.select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"))
+    ).select("group_a", "group_b", F.round("delta", 5).alias("delta"))
 
 
 def style_divergence(spark, sf):
     d = _t(spark, sf, "documents").withColumn("n", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))
-    return style.divergence_bits(style.length_histogram(d, "lang", "n", (50, 100, 200, 400, 800))).select("group_a", "group_b", F.round("bits", 6).alias("bits"))
+    return style.divergence_bits(
+        style.length_histogram(d, "lang", "n", (50, 100, 200, 400, 800))
+    ).select("group_a", "group_b", F.round("bits", 6).alias("bits"))
 
 
 def suspect_text(spark, sf):
     c = _t(spark, sf, "documents")
-    return c.select("doc_id", F.size(text.suspect_lines(F.col("text"))).alias("suspect"), F.size(text.redaction_marks(F.col("text"))).alias("redacted"), text.fence_id(F.col("text")).alias("fence"))
+    return c.select(
+        "doc_id", F.size(text.suspect_lines(F.col("text"))).alias("suspect"), F.size(text.redaction_marks(F.col("text"))).alias("redacted"),
+        text.fence_id(F.col("text")).alias("fence")
+    )
 
 
 def extracted_licence(spark, sf):
     d = _t(spark, sf, "documents").withColumn("got", F.regexp_extract("text", r"(?m)^(?:Licensed|Released) under (?:the )?([^\n.]+)", 1))
-    return d.select("doc_id", records.judged(F.when(F.col("got") != "", F.col("got")), F.col("text")).alias("j")).select("doc_id", "j.value", "j.ok", "j.why")
+    return d.select(
+        "doc_id", records.judged(F.when(F.col("got") != "", F.col("got")), F.col("text")).alias("j")
+    ).select("doc_id", "j.value", "j.ok", "j.why")
 
 
 # Places: customers stand on a grid made from their keys
@@ -189,31 +233,46 @@ def extracted_licence(spark, sf):
 
 def _places(spark, sf, name="customer", key="c_custkey", value="c_acctbal"):
     k = F.col(key)
-    return _t(spark, sf, name).select(k.alias("id"), (50 + F.pmod(k * 37, F.lit(211)) / 100).alias("lat"), (5 + F.pmod(k * 91, F.lit(307)) / 100).alias("lon"), F.col(value).cast("double").alias("value"))
+    return _t(spark, sf, name).select(
+        k.alias("id"), (50 + F.pmod(k * 37, F.lit(211)) / 100).alias("lat"), (5 + F.pmod(k * 91, F.lit(307)) / 100).alias("lon"),
+        F.col(value).cast("double").alias("value")
+    )
 
 
 def idw_estimates(spark, sf):
     p = _places(spark, sf)
     samples = p.filter("id % 3 <> 0").select(F.col("id").alias("sid"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), "value")
-    return spatial.idw(p.filter("id % 3 = 0").select("id", "lat", "lon"), samples, 15_000, 0.25, 8).select("id", "used", F.round("estimate", 3).alias("estimate"))
+    return spatial.idw(
+        p.filter("id % 3 = 0").select("id", "lat", "lon"), samples, 15_000, 0.25, 8
+    ).select("id", "used", F.round("estimate", 3).alias("estimate"))
 
 
 def value_variogram(spark, sf):
-    return spatial.variogram(_places(spark, sf), [0, 2_000, 5_000, 10_000], 0.2).select("lag", "pairs", F.round("metres", 2).alias("metres"), F.round("semivariance", 1).alias("semivariance"))
+    return spatial.variogram(_places(spark, sf), [0, 2_000, 5_000, 10_000], 0.2).select(
+        "lag", "pairs", F.round("metres", 2).alias("metres"), F.round("semivariance", 1).alias("semivariance")
+    )
 
 
 def merged_samples(spark, sf):
-    return spatial.merged(_places(spark, sf), 0.25).select("row", "col", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("value", 4).alias("value"))
+    return spatial.merged(_places(spark, sf), 0.25).select(
+        "row", "col", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("value", 4).alias("value")
+    )
 
 
 def fold_errors(spark, sf):
     li = _t(spark, sf, "lineitem")
-    return spatial.fold_errors(li.withColumn("guess", F.col("l_quantity") * 1400), "l_extendedprice", "guess", F.pmod("l_orderkey", F.lit(5))).select("fold", "n", *[F.round(c, 2).alias(c) for c in ("rmse", "mae", "bias")])
+    return spatial.fold_errors(
+        li.withColumn("guess", F.col("l_quantity") * 1400), "l_extendedprice", "guess", F.pmod("l_orderkey", F.lit(5))
+    ).select("fold", "n", *[F.round(c, 2).alias(c) for c in ("rmse", "mae", "bias")])
 
 
 def geodesy(spark, sf):
     p = _places(spark, sf)
-    return p.select("id", F.round(geo.haversine_m(F.col("lat"), F.col("lon"), 52.0, 6.0), 2).alias("metres"), F.round(geo.bearing_deg(F.col("lat"), F.col("lon"), 52.0, 6.0), 5).alias("bearing"), F.round(geo.fspl_db(geo.haversine_m(F.col("lat"), F.col("lon"), 52.0, 6.0), 446e6), 5).alias("loss_db"))
+    return p.select(
+        "id", F.round(geo.haversine_m(F.col("lat"), F.col("lon"), 52.0, 6.0), 2).alias("metres"),
+        F.round(geo.bearing_deg(F.col("lat"), F.col("lon"), 52.0, 6.0), 5).alias("bearing"),
+        F.round(geo.fspl_db(geo.haversine_m(F.col("lat"), F.col("lon"), 52.0, 6.0), 446e6), 5).alias("loss_db")
+    )
 
 
 def locators(spark, sf):
@@ -225,8 +284,13 @@ def band_counts(spark, sf):
 
 
 def bearing_cells(spark, sf):
-    grid = spark.range(400).select(F.col("id").alias("cell"), (50 + F.floor(F.col("id") / 20) * 0.1).alias("lat"), (5 + F.pmod("id", F.lit(20)) * 0.15).alias("lon"))
-    b = _places(spark, sf, "supplier", "s_suppkey", "s_acctbal").select(F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), geo.bearing_deg(F.col("lat"), F.col("lon"), 51.03, 6.02).alias("deg"), F.lit(5.0).alias("sigma"), (F.pmod("id", F.lit(3)) == 2).alias("ambiguous"))
+    grid = spark.range(400).select(
+        F.col("id").alias("cell"), (50 + F.floor(F.col("id") / 20) * 0.1).alias("lat"), (5 + F.pmod("id", F.lit(20)) * 0.15).alias("lon")
+    )
+    b = _places(spark, sf, "supplier", "s_suppkey", "s_acctbal").select(
+        F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), geo.bearing_deg(F.col("lat"), F.col("lon"), 51.03, 6.02).alias("deg"),
+        F.lit(5.0).alias("sigma"), (F.pmod("id", F.lit(3)) == 2).alias("ambiguous")
+    )
     mass = spatial.bearing_posterior(grid, b).withColumn("mass", F.round("mass", 9))
     return spatial.densest(mass, "mass", 0.9).select("cell", F.round("mass", 6).alias("mass"), F.round("credible", 5).alias("credible"))
 
@@ -234,8 +298,12 @@ def bearing_cells(spark, sf):
 def fingerprint_places(spark, sf):
     li = _t(spark, sf, "lineitem")
     long = li.groupBy(F.col("l_suppkey").alias("place"), F.col("l_linenumber").alias("key")).agg(F.avg(-F.col("l_quantity") - 50).alias("level"))
-    heard = li.filter("l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("key"), (-F.col("l_quantity") - 50).cast("double").alias("level"))
-    return spatial.fingerprint_loglik(heard, spatial.signal_matrix(long)).select("qid", "place", "shared", (F.round("loglik", 5) + 0.0).alias("loglik"))
+    heard = li.filter("l_orderkey % 100 = 0").select(
+        F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("key"), (-F.col("l_quantity") - 50).cast("double").alias("level")
+    )
+    return spatial.fingerprint_loglik(heard, spatial.signal_matrix(long)).select(
+        "qid", "place", "shared", (F.round("loglik", 5) + 0.0).alias("loglik")
+    )
 
 
 # Records
@@ -247,34 +315,54 @@ def rolled_counts(spark, sf):
 
 def dataset_plan(spark, sf):
     o = _t(spark, sf, "orders")
-    originals = o.filter("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("type"), F.col("o_custkey").alias("grp"), records.role(F.col("o_custkey")).alias("role"))
-    copies = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("type"), (F.col("o_orderkey") - 1).alias("parent"), F.pmod("o_custkey", F.lit(7)).alias("generator"), (F.pmod("o_custkey", F.lit(11)) == 0).alias("fresh"))
+    originals = o.filter("o_orderkey % 2 = 1").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("type"), F.col("o_custkey").alias("grp"),
+        records.role(F.col("o_custkey")).alias("role")
+    )
+    copies = o.filter("o_orderkey % 2 = 0").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("type"), (F.col("o_orderkey") - 1).alias("parent"),
+        F.pmod("o_custkey", F.lit(7)).alias("generator"), (F.pmod("o_custkey", F.lit(11)) == 0).alias("fresh")
+    )
     return records.dataset_plan(originals, copies, spark.createDataFrame([(3,), (5,)], "generator long"))
 
 
 def weak_tests(spark, sf):
     o = _t(spark, sf, "orders")
-    return records.weak_tests(o.select(F.col("o_orderpriority").alias("type"), F.col("o_custkey").alias("grp"), records.role(F.col("o_orderkey")).alias("role")))
+    return records.weak_tests(
+        o.select(F.col("o_orderpriority").alias("type"), F.col("o_custkey").alias("grp"), records.role(F.col("o_orderkey")).alias("role"))
+    )
 
 
 def row_problems(spark, sf):
     li = _t(spark, sf, "lineitem")
     key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")
-    return records.problems(li.withColumn("id", key), "id", {"quantity must be under 49": F.col("l_quantity") < 49, "discount must not exceed tax by 0.09": F.col("l_discount") - F.col("l_tax") < 0.09})
+    return records.problems(
+        li.withColumn("id", key), "id",
+        {"quantity must be under 49": F.col("l_quantity") < 49, "discount must not exceed tax by 0.09": F.col("l_discount") - F.col("l_tax") < 0.09}
+    )
 
 
 def role_coverage(spark, sf):
-    return records.coverage(_t(spark, sf, "lineitem"), F.col("l_discount") > 0.05, "l_returnflag").select("l_returnflag", "trials", "hits", F.round("share", 6).alias("share"))
+    return records.coverage(
+        _t(spark, sf, "lineitem"), F.col("l_discount") > 0.05, "l_returnflag"
+    ).select("l_returnflag", "trials", "hits", F.round("share", 6).alias("share"))
 
 
 def unusual_orders(spark, sf):
     o = _t(spark, sf, "orders")
-    return records.unusual(o.select("o_orderkey", "o_totalprice"), "o_totalprice", o.filter("o_orderstatus = 'F'"), "o_totalprice").select("o_orderkey", F.round("percentile", 5).alias("percentile"))
+    return records.unusual(
+        o.select("o_orderkey", "o_totalprice"), "o_totalprice", o.filter("o_orderstatus = 'F'"), "o_totalprice"
+    ).select("o_orderkey", F.round("percentile", 5).alias("percentile"))
 
 
 def tiers_of_priorities(spark, sf):
-    o = _t(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "measurement").when(F.col("o_orderstatus") == "O", "interpolate").otherwise("operator").alias("method"))
-    return tiers.check_tier(o.withColumn("tier", tiers.tier_for(F.col("method")))).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.first(tiers.is_record(F.col("tier"))).alias("record"))
+    o = _t(spark, sf, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderstatus") == "F", "measurement").when(F.col("o_orderstatus") == "O", "interpolate").otherwise("operator").alias("method")
+    )
+    return tiers.check_tier(o.withColumn("tier", tiers.tier_for(F.col("method")))).groupBy("tier").agg(
+        F.count(F.lit(1)).alias("n"), F.first(tiers.is_record(F.col("tier"))).alias("record")
+    )
 
 
 _NAMES = """prototype_classes prototype_thresholds emitter_library pooled_variance emitter_match ledger_labels order_overlaps claimed_boxes owned_boxes confirmed_labels label_confusion label_scores label_summary

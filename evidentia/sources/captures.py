@@ -22,7 +22,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 #: NumPy type, scale and offset of each encoding of one component.
-ENCODINGS = {"cu8": ("u1", 127.5, 127.5), "ci8": ("i1", 128.0, 0.0), "ci16": ("<i2", 32768.0, 0.0), "ci16q11": ("<i2", 2048.0, 0.0), "cf32": ("<f4", 1.0, 0.0)}
+ENCODINGS = {
+    "cu8": ("u1", 127.5, 127.5), "ci8": ("i1", 128.0, 0.0), "ci16": ("<i2", 32768.0, 0.0), "ci16q11": ("<i2", 2048.0, 0.0), "cf32": ("<f4", 1.0, 0.0)
+}
 
 
 def to_complex(data: bytes, kind: str) -> np.ndarray:
@@ -62,10 +64,18 @@ def write_meta(base: str, meta: dict) -> None:
     os.replace(draft, base + ".json")
 
 
-def write_pair(base: str, x: np.ndarray, rate: float, centre_hz: float = 0.0, kind: str = "cf32", labels: list[dict] = (), extra: dict | None = None) -> None:
+def write_pair(
+    base: str, x: np.ndarray, rate: float, centre_hz: float = 0.0, kind: str = "cf32", labels: list[dict] = (), extra: dict | None = None
+) -> None:
     with open(base + ".iq", "wb") as f:
         f.write(from_complex(x, kind))
-    write_meta(base, {"kind": kind, "rate": rate, "captures": [{"start": 0, "centre_hz": centre_hz}], "labels": sorted(labels, key=lambda a: a["start"]), **(extra or {})})
+    write_meta(
+        base,
+        {
+            "kind": kind, "rate": rate, "captures": [{"start": 0, "centre_hz": centre_hz}], "labels": sorted(labels, key=lambda a: a["start"]),
+            **(extra or {})
+        }
+    )
 
 
 def sample_count(base: str, meta: dict | None = None) -> int:
@@ -136,7 +146,10 @@ def power_dbfs(blocks: DataFrame) -> DataFrame:
     """Per capture: samples, mean power in dB of full scale, share of samples at the rails."""
     square = F.aggregate(F.zip_with("re", "im", lambda a, b: a.cast("double") * a + b.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
     rail = F.size(F.filter(F.zip_with("re", "im", lambda a, b: F.greatest(F.abs(a), F.abs(b))), lambda x: x >= 0.999))
-    return blocks.groupBy("capture_id").agg(F.sum(F.size("re")).alias("samples"), (10 * F.log10(F.sum(square) / F.sum(F.size("re")))).alias("dbfs"), (F.sum(rail) / F.sum(F.size("re"))).alias("clipped"))
+    return blocks.groupBy("capture_id").agg(
+        F.sum(F.size("re")).alias("samples"), (10 * F.log10(F.sum(square) / F.sum(F.size("re")))).alias("dbfs"),
+        (F.sum(rail) / F.sum(F.size("re"))).alias("clipped")
+    )
 
 
 def decode(data: Column, kind: str) -> Column:
@@ -178,7 +191,9 @@ def wav_table(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [read_wav(bytes(c)) for c in b["content"]]
-            yield pd.DataFrame({"path": b["path"], "rate": [r[0] for r in rows], "samples": [r[1].astype(np.float32) for r in rows], "clipped": [r[2] for r in rows]})
+            yield pd.DataFrame(
+                {"path": b["path"], "rate": [r[0] for r in rows], "samples": [r[1].astype(np.float32) for r in rows], "clipped": [r[2] for r in rows]}
+            )
 
     return files.select("path", "content").mapInPandas(run, "path string, rate double, samples array<float>, clipped long")
 
@@ -233,7 +248,9 @@ def elevation(south: float, west: float, heights: np.ndarray, lat: float, lon: f
         return math.nan
     i, j = min(int(y), rows - 2), min(int(x), cols - 2)
     a, b = y - i, x - j
-    return float(heights[i, j] * (1 - a) * (1 - b) + heights[i + 1, j] * a * (1 - b) + heights[i, j + 1] * (1 - a) * b + heights[i + 1, j + 1] * a * b)
+    return float(
+        heights[i, j] * (1 - a) * (1 - b) + heights[i + 1, j] * a * (1 - b) + heights[i, j + 1] * (1 - a) * b + heights[i + 1, j + 1] * a * b
+    )
 
 
 def levels(samples: Column, rail: float = 1.0) -> tuple[Column, Column]:

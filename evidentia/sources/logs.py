@@ -58,7 +58,12 @@ def channel_state(lines: DataFrame, order: str, column: str = "value") -> DataFr
     names = F.split("header", ",")
     value = lambda name: F.try_element_at(fields, F.array_position(names, name).cast("int"))
     iq = F.transform(F.split(F.btrim(body), r"[\s,]+"), lambda x: x.try_cast("int"))
-    out = frames.withColumns({"seq": value("seq").try_cast("long"), "mac": value("mac"), "rssi": value("rssi").try_cast("int"), "len": value("len").try_cast("int"), "iq": iq})
+    out = frames.withColumns(
+        {
+            "seq": value("seq").try_cast("long"), "mac": value("mac"), "rssi": value("rssi").try_cast("int"), "len": value("len").try_cast("int"),
+            "iq": iq
+        }
+    )
     skip = (
         F.when(~text.contains("]"), "torn line")
         .when(F.col("len").isNull() | (F.size("iq") != F.col("len")), "length does not fit")
@@ -70,24 +75,38 @@ def channel_state(lines: DataFrame, order: str, column: str = "value") -> DataFr
 def amplitudes(frames: DataFrame) -> DataFrame:
     """Adds ``amp``: magnitudes of the pairs in ``iq``."""
     n = (F.size("iq") / 2).cast("int")
-    return frames.withColumn("amp", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.sqrt((F.get("iq", 2 * i) * F.get("iq", 2 * i) + F.get("iq", 2 * i + 1) * F.get("iq", 2 * i + 1)).cast("double"))))
+    return frames.withColumn(
+        "amp",
+        F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.sqrt((F.get("iq", 2 * i) * F.get("iq", 2 * i) + F.get("iq", 2 * i + 1) * F.get("iq", 2 * i + 1)).cast("double"))
+        )
+    )
 
 
 def _first(df: DataFrame, names: list[str], kind: str = "double") -> Column:
     have = [c for c in df.columns if c.strip().lower() in names]
-    return F.coalesce(*[F.col(f"`{c}`").try_cast(kind) for c in sorted(have, key=lambda c: names.index(c.strip().lower()))]) if have else F.lit(None).cast(kind)
+    return F.coalesce(
+        *[F.col(f"`{c}`").try_cast(kind) for c in sorted(have, key=lambda c: names.index(c.strip().lower()))]
+    ) if have else F.lit(None).cast(kind)
 
 
 def tracks(rows: DataFrame) -> DataFrame:
     """t, lat, lon, alt, sigma by their usual names; rows without time or place, or off the globe, are left out."""
-    out = rows.select(_first(rows, ["t", "time", "timestamp", "epoch"]).alias("t"), _first(rows, ["lat", "latitude"]).alias("lat"), _first(rows, ["lon", "lng", "longitude"]).alias("lon"), _first(rows, ["alt", "altitude", "ele"]).alias("alt"), _first(rows, ["sigma", "accuracy"]).alias("sigma"))
+    out = rows.select(
+        _first(rows, ["t", "time", "timestamp", "epoch"]).alias("t"), _first(rows, ["lat", "latitude"]).alias("lat"),
+        _first(rows, ["lon", "lng", "longitude"]).alias("lon"), _first(rows, ["alt", "altitude", "ele"]).alias("alt"),
+        _first(rows, ["sigma", "accuracy"]).alias("sigma")
+    )
     return out.filter(F.col("t").isNotNull() & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
 
 
 def drive_log(rows: DataFrame) -> DataFrame:
     """t, lat, lon, key, value: every other numeric column of a drive is a signal heard, an empty cell is none."""
     keys = [c for c in rows.columns if c not in ("t", "lat", "lon")]
-    wide = rows.select(*[F.col(c).try_cast("double").alias(c) for c in ("t", "lat", "lon")], *[F.col(f"`{c}`").try_cast("double").alias(c) for c in keys])
+    wide = rows.select(
+        *[F.col(c).try_cast("double").alias(c) for c in ("t", "lat", "lon")], *[F.col(f"`{c}`").try_cast("double").alias(c) for c in keys]
+    )
     return wide.unpivot(["t", "lat", "lon"], keys, "key", "value").filter("value is not null")
 
 
@@ -104,14 +123,19 @@ def feature(geometry: Column, properties: Column, tier: Column) -> Column:
 
     ok = F.coalesce(tier.isin(*TIERS), F.lit(False))
     checked = F.when(ok, tier).otherwise(F.raise_error(F.lit("a feature needs a tier")))
-    return F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), F.to_json(F.map_concat(properties, F.create_map(F.lit("tier"), checked))), F.lit("}"))
+    return F.concat(
+        F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'),
+        F.to_json(F.map_concat(properties, F.create_map(F.lit("tier"), checked))), F.lit("}")
+    )
 
 
 def write_log(spark: SparkSession, path: str) -> DataFrame:
     """Entries of an append-only JSON lines catalogue: the newest of each path; a torn last line is left out."""
     from evidentia.operators.records import newest
 
-    rows = spark.read.schema("seq long, path string, kind string, sha256 string, size long, mtime double, time string, note string").option("mode", "DROPMALFORMED").json(path)
+    rows = spark.read.schema(
+        "seq long, path string, kind string, sha256 string, size long, mtime double, time string, note string"
+    ).option("mode", "DROPMALFORMED").json(path)
     return newest(rows.filter("path is not null"), ["path"], ["seq"])
 
 
@@ -119,7 +143,9 @@ def verify(entries: DataFrame, files: DataFrame) -> DataFrame:
     """path, state of entries (path, sha256, size) against files (path, sha256, size): ok, changed, missing or unlisted."""
     f = files.select("path", F.col("sha256").alias("has_sha"), F.col("size").alias("has_size"))
     both = entries.select("path", "sha256", "size", F.lit(True).alias("listed")).join(f, "path", "full")
-    state = F.when(F.col("has_sha").isNull(), "missing").when(F.col("listed").isNull(), "unlisted").when((F.col("size") != F.col("has_size")) | (F.col("sha256") != F.col("has_sha")), "changed").otherwise("ok")
+    state = F.when(F.col("has_sha").isNull(), "missing").when(F.col("listed").isNull(), "unlisted").when(
+        (F.col("size") != F.col("has_size")) | (F.col("sha256") != F.col("has_sha")), "changed"
+    ).otherwise("ok")
     return both.select("path", state.alias("state"))
 
 
@@ -135,6 +161,8 @@ def flat_export(nodes: DataFrame, id_: str, maps: list[str], path: str) -> None:
 def flat_import(spark: SparkSession, path: str, schema: str, id_: str, maps: list[str]) -> DataFrame:
     out = spark.read.schema(schema).options(header=True, escape='"', multiLine=True).csv(f"{path}/main")
     for c in maps:
-        part = spark.read.schema(f"{id_} {dict(out.dtypes)[id_]}, key string, value string").options(header=True, escape='"', multiLine=True).csv(f"{path}/{c}")
+        part = spark.read.schema(
+            f"{id_} {dict(out.dtypes)[id_]}, key string, value string"
+        ).options(header=True, escape='"', multiLine=True).csv(f"{path}/{c}")
         out = out.join(part.groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias(c)), id_, "left")
     return out

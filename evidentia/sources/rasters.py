@@ -31,7 +31,9 @@ def geotiff_bytes(values: np.ndarray, north: float, west: float, size_deg: float
     keys = (1, 1, 0, 3, 1024, 0, 1, 2, 1025, 0, 1, 1, 2048, 0, 1, 4326)
     tags = [
         (_WIDTH, 4, (cols,)), (_HEIGHT, 4, (rows,)), (_BITS, 3, (32,)), (_COMPRESSION, 3, (1,)), (_PHOTOMETRIC, 3, (1,)), (_OFFSETS, 4, (0,)), (_SAMPLES, 3, (1,)), (_ROWS, 4, (rows,)), (_SIZES, 4, (len(data),)),
-        (_FORMAT, 3, (3,)), (_SCALE, 12, (size_deg, size_deg, 0.0)), (_TIE, 12, (0.0, 0.0, 0.0, west, north, 0.0)), (_KEYS, 3, keys), (_NODATA, 2, f"{nodata:g}".encode() + b"\0"),
+        (_FORMAT, 3, (3,)), (_SCALE, 12, (size_deg, size_deg, 0.0)), (
+            _TIE, 12, (0.0, 0.0, 0.0, west, north, 0.0)
+        ), (_KEYS, 3, keys), (_NODATA, 2, f"{nodata:g}".encode() + b"\0"),
     ]
     at, extra, entries = 8 + 2 + 12 * len(tags) + 4, b"", []
     for tag, kind, value in tags:
@@ -86,10 +88,15 @@ def rasters(files: DataFrame) -> DataFrame:
                 north, west, size, values = parse_geotiff(content)
                 row, col = np.nonzero(~np.isnan(values))
                 n = len(row)
-                cols = [pa.array([path] * n, pa.string()), *(pa.array(np.full(n, v)) for v in (north, west, size)), pa.array(row), pa.array(col), pa.array(values[row, col])]
+                cols = [
+                    pa.array([path] * n, pa.string()), *(pa.array(np.full(n, v)) for v in (north, west, size)), pa.array(row), pa.array(col),
+                    pa.array(values[row, col])
+                ]
                 yield pa.RecordBatch.from_arrays(cols, ["path", "north", "west", "size_deg", "row", "col", "cell_value"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, north double, west double, size_deg double, row long, col long, cell_value double")
+    return files.select("path", "content").mapInArrow(
+        run, "path string, north double, west double, size_deg double, row long, col long, cell_value double"
+    )
 
 
 def raster_files(cells: DataFrame, north: float, west: float, size_deg: float, edge: int = 512) -> DataFrame:
@@ -102,7 +109,10 @@ def raster_files(cells: DataFrame, north: float, west: float, size_deg: float, e
         content = geotiff_bytes(values, north - tr * edge * size_deg, west + tc * edge * size_deg, size_deg)
         return pa.table({"tile_row": [tr], "tile_col": [tc], "content": pa.array([content], pa.binary())})
 
-    own = cells.select(F.floor(F.col("row") / edge).alias("tile_row"), F.floor(F.col("col") / edge).alias("tile_col"), F.col("row").cast("long"), F.col("col").cast("long"), F.col("cell_value").cast("double"))
+    own = cells.select(
+        F.floor(F.col("row") / edge).alias("tile_row"), F.floor(F.col("col") / edge).alias("tile_col"), F.col("row").cast("long"),
+        F.col("col").cast("long"), F.col("cell_value").cast("double")
+    )
     return own.groupBy("tile_row", "tile_col").applyInArrow(build, "tile_row long, tile_col long, content binary")
 
 
@@ -120,7 +130,9 @@ def mosaic_elevation(points: DataFrame, tiles: DataFrame) -> DataFrame:
     placed = tiles.select(where("content").alias("c"), "content").select("c.south", "c.west", "content")
     placed = placed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
     own = points.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    own = own.withColumns({"south": F.floor("lat").cast("int"), "west": F.floor("lon").cast("int"), "piece": F.pmod(F.xxhash64("id"), F.lit(PIECES)).cast("int")})
+    own = own.withColumns(
+        {"south": F.floor("lat").cast("int"), "west": F.floor("lon").cast("int"), "piece": F.pmod(F.xxhash64("id"), F.lit(PIECES)).cast("int")}
+    )
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         heights = np.full(len(left), np.nan)

@@ -24,12 +24,16 @@ def with_time(events: DataFrame, us: str = "us", late: str = "10 minutes") -> Da
 
 def activity(events: DataFrame, key: str, window: str, slide: str | None = None) -> DataFrame:
     """Counts, distinct-ish and sums by window and key; rows later than the watermark are left out."""
-    return events.groupBy(F.window("event_time", window, slide), key).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("who").alias("who"), F.sum("value").alias("value")).select(F.col("window.start").alias("begin"), key, "n", "who", "value")
+    return events.groupBy(F.window("event_time", window, slide), key).agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("who").alias("who"), F.sum("value").alias("value")
+    ).select(F.col("window.start").alias("begin"), key, "n", "who", "value")
 
 
 def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
     """Sessions of a key that end after a silence."""
-    return events.groupBy(F.session_window("event_time", gap), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session_window.start").alias("begin"), F.col("session_window.end").alias("end"), "n")
+    return events.groupBy(F.session_window("event_time", gap), key).agg(F.count(F.lit(1)).alias("n")).select(
+        key, F.col("session_window.start").alias("begin"), F.col("session_window.end").alias("end"), "n"
+    )
 
 
 def new_only(events: DataFrame, *keys: str) -> DataFrame:
@@ -37,7 +41,9 @@ def new_only(events: DataFrame, *keys: str) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(list(keys))
 
 
-def floor_step(floor: np.ndarray | None, settle: int, power: np.ndarray, rate: float = 0.1, snap_db: float = 1.0, gate_db: float = 3.0, settle_rows: int = 4) -> tuple[np.ndarray, np.ndarray, int]:
+def floor_step(
+    floor: np.ndarray | None, settle: int, power: np.ndarray, rate: float = 0.1, snap_db: float = 1.0, gate_db: float = 3.0, settle_rows: int = 4
+) -> tuple[np.ndarray, np.ndarray, int]:
     """What is over the floor in dB under the floor so far, then the new floor and settle count.
 
     While settling the floor snaps to what it sees; later bins far above it are left out and steps are clipped.
@@ -66,7 +72,9 @@ def noise_floor(rows: DataFrame, key: str = "receiver") -> DataFrame:
         state.update((floor.tolist(), settle))
         yield pd.DataFrame(out, columns=[key, "us", "above"])
 
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} string, us long, above array<double>", "floor array<double>, settle int", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(
+        run, f"{key} string, us long, above array<double>", "floor array<double>, settle int", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def link_cost(track: dict, box: tuple[float, float, float, float, str]) -> float:
@@ -84,7 +92,9 @@ def link_cost(track: dict, box: tuple[float, float, float, float, str]) -> float
     return (1 - overlap if overlap > 0 else 1.5) + 0.05 * max(wait, 0) + (0.5 if cls and track["cls"] and cls != track["cls"] else 0.0)
 
 
-def track_step(tracks: list[dict], boxes: list[tuple], next_id: int, gate: float = 2.0, silence: float = 10.0) -> tuple[list[dict], list[dict], int, list[int]]:
+def track_step(
+    tracks: list[dict], boxes: list[tuple], next_id: int, gate: float = 2.0, silence: float = 10.0
+) -> tuple[list[dict], list[dict], int, list[int]]:
     """Give boxes of one moment to tracks at least total cost: live tracks, closed ones, next number, track of each box."""
     closed, live = [], []
     now = max((b[1] for b in boxes), default=0.0)
@@ -115,7 +125,10 @@ def tracker(boxes: DataFrame, key: str = "stream", silence: float = 10.0) -> Dat
     schema = f"{key} string, track long, first double, last double, f_lo double, f_hi double, cls string, bursts long, busy double, hops long"
 
     def rows(k, tracks):
-        return pd.DataFrame([(k, t["id"], t["first"], t["last"], t["low"], t["high"], t["cls"], t["bursts"], t["busy"], t["hops"]) for t in tracks], columns=[key, "track", "first", "last", "f_lo", "f_hi", "cls", "bursts", "busy", "hops"])
+        return pd.DataFrame(
+            [(k, t["id"], t["first"], t["last"], t["low"], t["high"], t["cls"], t["bursts"], t["busy"], t["hops"]) for t in tracks],
+            columns=[key, "track", "first", "last", "f_lo", "f_hi", "cls", "bursts", "busy", "hops"]
+        )
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracks, next_id = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
@@ -160,4 +173,6 @@ def epochs(blocks: DataFrame) -> DataFrame:
     w = Window.partitionBy("receiver").orderBy("start")
     moved = F.abs(F.col("centre_hz") - F.lag("centre_hz").over(w)) > 0.5
     jumped = F.abs(F.col("start") - F.lag("start").over(w) - F.lag("n").over(w)) > 1.5
-    return blocks.withColumn("_new", F.coalesce((moved | jumped).cast("int"), F.lit(0))).withColumn("epoch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return blocks.withColumn("_new", F.coalesce((moved | jumped).cast("int"), F.lit(0))).withColumn(
+        "epoch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ).drop("_new")
