@@ -89,7 +89,13 @@ def windows_of(benchmark: DataFrame, window: int, k: int) -> DataFrame:
                     n = min(window, len(words))
                     prints, runs = prints_of(hasher(words), n, window, k)
                     size = len(runs)
-                    yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(runs.view(np.int64)), pa.array(np.full(size, n, np.int32)), pa.array([item] * size, pa.string())], ["print", "window", "n", "item"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(prints.view(np.int64)), pa.array(runs.view(np.int64)), pa.array(np.full(size, n, np.int32)),
+                            pa.array([item] * size, pa.string())
+                        ],
+                        ["print", "window", "n", "item"]
+                    )
 
     source = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("null")).alias("item"), benchmark["text"])
     return settle(source.mapInArrow(run, "print long, window long, n int, item string").distinct(), "windows")
@@ -119,10 +125,18 @@ def marks_of(source: DataFrame, sizes: list[int], slots: Slots, window: int, k:
             own, prints, runs, n, at = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.argsort(own, kind="stable")
             ends = np.searchsorted(own[order], np.arange(len(counts) + 1)).astype(np.int32)
-            hit = pa.StructArray.from_arrays([pa.array(prints[order]), pa.array(runs[order]), pa.array(n[order].astype(np.int32)), pa.array(at[order])], ["print", "window", "n", "at"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), hit)], ["mark", "doc_id", "n_words", "hits"])
+            hit = pa.StructArray.from_arrays(
+                [pa.array(prints[order]), pa.array(runs[order]), pa.array(n[order].astype(np.int32)), pa.array(at[order])],
+                ["print", "window", "n", "at"]
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), hit)],
+                ["mark", "doc_id", "n_words", "hits"]
+            )
 
-    return settle(source.mapInArrow(run, "mark long, doc_id long, n_words long, hits array<struct<print:long, window:long, n:int, at:long>>"), "marks")
+    return settle(
+        source.mapInArrow(run, "mark long, doc_id long, n_words long, hits array<struct<print:long, window:long, n:int, at:long>>"), "marks"
+    )
 
 
 def _hits(source: DataFrame, benchmark: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -147,15 +161,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 
     def add(acc, span):
         end = span["at"] + span["n"]
-        return F.struct((acc["total"] + F.greatest(end - F.greatest(span["at"], acc["reach"]), F.lit(0).cast("long"))).alias("total"), F.greatest(acc["reach"], end).alias("reach"))
-
-    spans = hits.groupBy("mark").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans")).select("mark", F.aggregate("spans", start, add, lambda acc: acc["total"]).alias("n_hit"))
+        return F.struct(
+            (acc["total"] + F.greatest(end - F.greatest(span["at"], acc["reach"]), F.lit(0).cast("long"))).alias("total"),
+            F.greatest(acc["reach"], end).alias("reach")
+        )
+
+    spans = hits.groupBy("mark").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans")).select(
+        "mark", F.aggregate("spans", start, add, lambda acc: acc["total"]).alias("n_hit")
+    )
     pairs = settle(hits.select("mark", "window", "n").distinct(), "pairs")
-    items = pairs.join(windows.select("window", "n", "item").distinct(), ["window", "n"]).groupBy("mark").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = pairs.join(
+        windows.select("window", "n", "item").distinct(), ["window", "n"]
+    ).groupBy("mark").agg(F.array_sort(F.collect_set("item")).alias("items"))
     items = items.select("mark", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     found = marks.select("mark", "doc_id", "n_words").join(spans, "mark", "left").join(items, "mark", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:

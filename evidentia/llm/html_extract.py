@@ -290,6 +290,11 @@ def extract(pages: DataFrame, window: int = 3, surge: int = 60) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "html"):
             texts = [main_text(page, window, surge) for page in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"]).mapInArrow(run, SCHEMA)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                ["page_id", "url", "text", "n_chars"]
+            )
+
+    return pages.select(
+        pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"]
+    ).mapInArrow(run, SCHEMA)

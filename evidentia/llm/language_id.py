@@ -73,7 +73,9 @@ class Model:
 
 def _sample(rows: DataFrame, per_lang: int, sample: int, order: int, bits: int) -> list:
     """Rows (lang, packed presence) of the training sample."""
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")).withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
+    rows = rows.filter(
+        F.col("lang").isNotNull() & F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")
+    ).withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
     counts = settle(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     found = counts.count()
     if not found:
@@ -119,7 +121,9 @@ def learn(docs: DataFrame, train: Column, per_lang: int = 200, sample: int = 160
         w = np.where(y[:, c] > 0, 0.5 / n[c], 0.5 / max(len(rows) - n[c], 1))
         mean, target = w @ phi / w.sum(), w @ y[:, c] / w.sum()
         centred = phi - mean
-        beta = np.linalg.solve(centred.T @ (centred * w[:, None]) + ridge * np.eye(phi.shape[1]) * w.sum() / len(rows), centred.T @ (w * (y[:, c] - target)))
+        beta = np.linalg.solve(
+            centred.T @ (centred * w[:, None]) + ridge * np.eye(phi.shape[1]) * w.sum() / len(rows), centred.T @ (w * (y[:, c] - target))
+        )
         weights[:, c] = z.T @ (root @ beta)
         bias[c] = target - mean @ beta
     return Model(langs, weights.astype(np.float32), bias.astype(np.float32), order, bits)
@@ -133,6 +137,11 @@ def identify(docs: DataFrame, held_out: Column, model: Model | None = None, **op
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             langs, scores = shared.value.predict(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out.alias("held_out"), docs["text"]).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                ["doc_id", "held_out", "lang_pred", "score"]
+            )
+
+    return docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), held_out.alias("held_out"), docs["text"]
+    ).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -48,7 +48,9 @@ def boilerplate(pages: DataFrame, text: Column, host: Column, ratio: tuple[int,
     return over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("drop"))
 
 
-def remove_boilerplate(pages: DataFrame, text: str = "text", host: Column | str = "source", ratio: tuple[int, int] = (1, 10), min_pages: int = 3, counts: bool = False) -> DataFrame:
+def remove_boilerplate(
+    pages: DataFrame, text: str = "text", host: Column | str = "source", ratio: tuple[int, int] = (1, 10), min_pages: int = 3, counts: bool = False
+) -> DataFrame:
     """``pages`` with ``text`` without boilerplate; all other columns stay.
 
     ratio: numerator and denominator. min_pages: on fewer distinct pages of a host no line is boilerplate, however
@@ -66,7 +68,9 @@ def remove_boilerplate(pages: DataFrame, text: str = "text", host: Column | str
     joined = join_small(named, lists.select(F.col("host").alias(h), F.col("drop").alias(d)), h, F.xxhash64(text_col), size, "left")
     keep = F.when(F.col(d).isNull(), F.col(ls)).otherwise(F.filter(ls, lambda x: ~(_filled(x) & F.array_contains(F.col(d), _key(x)))))
     out = joined.withColumn(kept, keep)
-    extra = {"n_lines": F.coalesce(F.size(ls), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size(ls) - F.size(kept), F.lit(0)).cast("long")} if counts else {}
+    extra = {
+        "n_lines": F.coalesce(F.size(ls), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size(ls) - F.size(kept), F.lit(0)).cast("long")
+    } if counts else {}
     columns = [F.array_join(kept, "\n").alias(text) if c == text else F.col(f"`{c}`") for c in pages.columns if c not in extra]
     return out.select(*columns, *[v.alias(k) for k, v in extra.items()])
 

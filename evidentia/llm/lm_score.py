@@ -193,7 +193,10 @@ def _taken(values: np.ndarray, at: np.ndarray, held: np.ndarray) -> np.ndarray:
 class Trie:
     """Words, contexts and the words after them in one mapping, which ends with the object."""
 
-    def __init__(self, words: np.ndarray, ones: np.ndarray, contexts: np.ndarray, twos: np.ndarray, entries: np.ndarray, chances: np.ndarray, span: tuple[int, int, int, int]):
+    def __init__(
+        self, words: np.ndarray, ones: np.ndarray, contexts: np.ndarray, twos: np.ndarray, entries: np.ndarray, chances: np.ndarray,
+        span: tuple[int, int, int, int]
+    ):
         """words and contexts: sorted hashes, in the ranges that ``span`` gives; entries: sorted, the rank of the context in the upper 32 bits."""
         begin = np.searchsorted(entries >> np.uint64(32), np.arange(len(contexts) + 1, dtype=np.uint64))
         levels = [
@@ -264,7 +267,9 @@ class Block:
         order = np.argsort(-np.bincount(self.at1, minlength=len(self.words)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
-        return pack(np.array([d or 0 for d in self.docs], "<i8"), none, self.held, self.sizes, self.words[order].astype("<u8"), planes(rank[self.at1], "<u4"))
+        return pack(
+            np.array([d or 0 for d in self.docs], "<i8"), none, self.held, self.sizes, self.words[order].astype("<u8"), planes(rank[self.at1], "<u4")
+        )
 
     @classmethod
     def load(cls, data: bytes) -> Block:
@@ -350,7 +355,10 @@ def blocks_of(source: DataFrame, block_bytes: int, context_bits: int, hot: int =
         def done() -> pa.RecordBatch:
             block = Block.of_texts(ids, held, texts)
             often, times = block.often(context_bits, max(1, hot * HOT_IN_BLOCK // HOT))
-            cols = [pa.array([number], pa.int64()), pa.array([block.store()], pa.binary()), *(pa.array([x.astype(np.int64)], pa.list_(pa.int64())) for x in (often, times))]
+            cols = [
+                pa.array([number], pa.int64()), pa.array([block.store()], pa.binary()),
+                *(pa.array([x.astype(np.int64)], pa.list_(pa.int64())) for x in (often, times))
+            ]
             return pa.RecordBatch.from_arrays(cols, ["block", "data", "often", "times"])
 
         for batch in small_batches(batches, "text", block_bytes // 4, 100_000):
@@ -376,7 +384,10 @@ def hot_contexts(blocks: DataFrame, least: int = HOT) -> tuple[np.ndarray, np.nd
     return np.array([r[0] for r in rows], np.int64).astype(np.uint64), np.array([min(HOT_PARTS, -(-r[1] // least)) + 1 for r in rows], np.int64)
 
 
-def score(docs: DataFrame, held_out: Column, block_bytes: int = 5 << 20, shard_bytes: int = 6 << 20, context_bits: int | None = None, m2: float = 5000.0, m3: float = 10.0, hot: int = HOT) -> DataFrame:
+def score(
+    docs: DataFrame, held_out: Column, block_bytes: int = 5 << 20, shard_bytes: int = 6 << 20, context_bits: int | None = None, m2: float = 5000.0,
+    m3: float = 10.0, hot: int = HOT
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mean_score of every document."""
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], held_out.alias("held_out"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -400,7 +411,9 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 5 << 20, shard_b
                     own.append(s)
                     numbers = (planes(x, "<u4") for x in (two[p], block.children[p], after[e], three[e]))
                     rows.append(pack(squeeze(block.words[w]), planes(one[w], "<u4"), squeeze(block.contexts[p]), *numbers))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([name] * len(own), pa.int64()), pa.array(rows, pa.binary())], ["shard", "block", "data"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own, pa.int32()), pa.array([name] * len(own), pa.int64()), pa.array(rows, pa.binary())], ["shard", "block", "data"]
+                )
 
     def answer(group: pa.Table) -> pa.Table:
         asked = []
@@ -428,16 +441,27 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 5 << 20, shard_b
         seen = three > 0
         at = own[seen]
         chance = three[seen] / np.where(contexts[at] & np.uint64(1), _JOINT, two[at] + m3)
-        trie = Trie(words[one > 0], one[one > 0], contexts[held], two[held], (rank[at].astype(np.uint64) << np.uint64(32)) | after[seen], chance, span)
+        trie = Trie(
+            words[one > 0], one[one > 0], contexts[held], two[held], (rank[at].astype(np.uint64) << np.uint64(32)) | after[seen], chance, span
+        )
         total, kinds = int(one.sum()), int((one > 0).sum())
         del one, two, three, held, seen, chance, at
         ones = trie.word_counts(words)
         rank, twos = trie.context_codes(contexts)
         threes = trie.chance_codes(rank[own], after)
         del words, contexts, own, after, rank
-        out = [pack(planes(a, "<i8"), planes(b, "<u2"), planes(c, "<u2")) for a, b, c in zip(np.split(ones[of1], ends1), np.split(twos[of2], ends2), np.split(threes[of3], ends3), strict=True)]
+        out = [
+            pack(planes(a, "<i8"), planes(b, "<u2"), planes(c, "<u2")) for a, b, c in zip(
+                np.split(ones[of1], ends1), np.split(twos[of2], ends2), np.split(threes[of3], ends3), strict=True
+            )
+        ]
         more = [0] * (len(out) - 1)
-        return pa.table({"block": group.column("block"), "shard": group.column("shard"), "data": pa.array(out, pa.binary()), "tokens": pa.array([total, *more], pa.int64()), "kinds": pa.array([kinds, *more], pa.int64())})
+        return pa.table(
+            {
+                "block": group.column("block"), "shard": group.column("shard"), "data": pa.array(out, pa.binary()),
+                "tokens": pa.array([total, *more], pa.int64()), "kinds": pa.array([kinds, *more], pa.int64())
+            }
+        )
 
     dealt = blocks.select("block", "data").mapInArrow(deal, "shard int, block long, data binary")
     answers = settle(dealt.groupBy("shard").applyInArrow(answer, "block long, shard int, data binary, tokens long, kinds long"), "lm-answers")
@@ -477,4 +501,6 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 5 << 20, shard_b
         )
 
     whole = blocks.select("block", "data").groupBy("block").cogroup(answers.select("block", "shard", "data").groupBy("block"))
-    return whole.applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_score double")
+    return whole.applyInArrow(
+        finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_score double"
+    )

@@ -154,7 +154,10 @@ def sets_of(source: DataFrame, k: int, limit: Threshold) -> DataFrame:
                 for col, value in zip(out, row, strict=True):
                     col.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["mark", "id", "n", "cls", "block", "counted", "rest", "spill"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))],
+                ["mark", "id", "n", "cls", "block", "counted", "rest", "spill"]
+            )
 
     return source.mapInArrow(run, "mark long, id long, n long, cls long, block long, counted binary, rest binary, spill binary")
 
@@ -173,7 +176,9 @@ def frequencies(sets: DataFrame, limit: Threshold) -> DataFrame:
             shard = ((keys >> np.uint64(_BITS + 1 - 32)) * np.uint64(shards)) >> np.uint64(32)
             own, at = np.unique(shard, return_index=True)
             rows = [squeeze(p) for p in np.split(keys, at[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary())], ["shard", "block", "data"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(own.astype(np.int32)), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary())], ["shard", "block", "data"]
+            )
 
         block, parts, size = None, [], 0
         for batch in small_batches(batches, "counted"):
@@ -246,7 +251,13 @@ def postings(sets: DataFrame, answers: DataFrame, limit: Threshold) -> DataFrame
                         out[3].append(np.full(len(out[0][-1]), weight))
                         out[4].append(soon[pick])
         kinds = (np.int64, np.int64, np.int64, np.int64, bool)
-        return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0, t)) for c, x, t in zip(("bucket", "cls", "n", "weight", "early"), out, kinds, strict=True)})
+        return pa.table(
+            {
+                c: pa.array(np.concatenate(x) if x else np.zeros(0, t)) for c, x, t in zip(
+                    ("bucket", "cls", "n", "weight", "early"), out, kinds, strict=True
+                )
+            }
+        )
 
     own = sets.select("block", "cls", "n", "counted", "spill")
     return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "bucket long, cls long, n long, weight long, early boolean")
@@ -258,8 +269,13 @@ def members_of(posts: DataFrame) -> DataFrame:
     # The greatest weight, and of ties one by hash, which all buckets with these members choose alike.
     rank = F.shiftleft("weight", 32) + F.pmod(F.xxhash64("cls"), F.lit(1 << 32))
     mixed = F.xxhash64("cls")
-    sums = once.groupBy("bucket").agg(F.bit_xor(mixed).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("size"), F.max("early").alias("early"), F.max_by("cls", rank).alias("hub"), F.max_by("n", rank).alias("hub_n"))
-    kept = sums.filter("size > 1 and early").groupBy("x", "y", "size").agg(F.min("bucket").alias("bucket"), F.first("hub").alias("hub"), F.first("hub_n").alias("hub_n"))
+    sums = once.groupBy("bucket").agg(
+        F.bit_xor(mixed).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("size"),
+        F.max("early").alias("early"), F.max_by("cls", rank).alias("hub"), F.max_by("n", rank).alias("hub_n")
+    )
+    kept = sums.filter("size > 1 and early").groupBy("x", "y", "size").agg(
+        F.min("bucket").alias("bucket"), F.first("hub").alias("hub"), F.first("hub_n").alias("hub_n")
+    )
     kept = settle(kept.select("bucket", "size", "hub", "hub_n"), "kept-buckets")
     out = settle(once.select("bucket", "cls", "n").join(kept, "bucket"), "members")
     drop(once, kept)
@@ -374,17 +390,26 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if before == now:
-            out = settle(edges.select(F.col("u").alias("cls"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("cls"), F.col("v").alias("root")).distinct()), "labels")
+            out = settle(
+                edges.select(F.col("u").alias("cls"), F.col("v").alias("root")).unionByName(
+                    edges.select(F.col("v").alias("cls"), F.col("v").alias("root")).distinct()
+                ),
+                "labels"
+            )
             drop(edges)
             return out
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # The least neighbours are a table, so that a join by a hot class can be split.
         least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = settle(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
+        large = settle(
+            both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges"
+        )
         drop(edges, least)
         least = settle(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        small = large.join(least, "u").select(
+            F.col("v").alias("u"), F.col("m").alias("v")
+        ).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         edges = settle(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         drop(large, least)
 
@@ -407,30 +432,48 @@ def classes(source: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100
     drop(every, answers)
 
     # First round: hubs.
-    stars = members.filter((F.col("cls") != F.col("hub")) & (F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num)).select("hub", "cls", "n").distinct()
+    stars = members.filter(
+        (F.col("cls") != F.col("hub")) & (F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num)
+    ).select("hub", "cls", "n").distinct()
     stars = settle(stars, "stars")
     counts = settle(stars.groupBy("hub").agg(_parts(F.count(F.lit(1)), F.sum("n"), chunk).alias("parts")), "counts")
     starred = stars.join(counts, "hub").select("hub", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"))
     spokes = starred.select(F.xxhash64("hub", "part").alias("task"), "cls", F.col("cls").alias("comp"), F.lit(1).alias("side"))
-    centres = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.xxhash64("hub", "part").alias("task"), F.col("hub").alias("cls"), F.col("hub").alias("comp"), F.lit(0).alias("side"))
+    centres = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(
+        F.xxhash64("hub", "part").alias("task"), F.col("hub").alias("cls"), F.col("hub").alias("comp"), F.lit(0).alias("side")
+    )
     links = _join(spokes.unionByName(centres), keys, num, den)
     labels = components(links)
     drop(stars, counts)
 
     # Second round: what the buckets of one hub hold besides it, where it is not connected yet.
-    besides = members.filter("size > 2 and cls <> hub").join(labels, "cls", "left").select("bucket", "hub", "cls", "n", F.coalesce("root", "cls").alias("comp"))
+    besides = members.filter("size > 2 and cls <> hub").join(labels, "cls", "left").select(
+        "bucket", "hub", "cls", "n", F.coalesce("root", "cls").alias("comp")
+    )
     besides = settle(besides, "besides")
-    split = settle(besides.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket"), "split")
+    split = settle(
+        besides.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket"), "split"
+    )
     work = settle(besides.join(split, "bucket", "left_semi").select("hub", "cls", "n", "comp").distinct(), "work")
     drop(members, besides, split)
     if not work.isEmpty():
         sums = work.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
         sums = sums.groupBy("hub").agg(F.max(F.struct("c", "comp", "s")).alias("most"), F.sum("c").alias("c"), F.sum("s").alias("s"))
-        sized = settle(sums.select("hub", F.col("most.comp").alias("main"), _parts(F.col("c"), F.col("s"), chunk).alias("parts"), _parts(F.col("c") - F.col("most.c"), F.col("s") - F.col("most.s"), chunk).alias("others")), "sized")
-        cut = work.join(sized, "hub").withColumns({"p": F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"), "q": F.pmod(F.xxhash64("cls", F.lit(1)), F.col("others")).cast("int")})
+        sized = settle(
+            sums.select(
+                "hub", F.col("most.comp").alias("main"), _parts(F.col("c"), F.col("s"), chunk).alias("parts"),
+                _parts(F.col("c") - F.col("most.c"), F.col("s") - F.col("most.s"), chunk).alias("others")
+            ),
+            "sized"
+        )
+        cut = work.join(sized, "hub").withColumns(
+            {"p": F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"), "q": F.pmod(F.xxhash64("cls", F.lit(1)), F.col("others")).cast("int")}
+        )
         # Those outside the largest component walk trees of all members, chunk against chunk.
         stored = cut.select("hub", "cls", "comp", "p", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("q"), F.lit(1).alias("side"))
-        walking = cut.filter(F.col("comp") != F.col("main")).select("hub", "cls", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "q", F.lit(0).alias("side"))
+        walking = cut.filter(F.col("comp") != F.col("main")).select(
+            "hub", "cls", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "q", F.lit(0).alias("side")
+        )
         tasks = stored.unionByName(walking).select(F.xxhash64("hub", "p", "q").alias("task"), "cls", "comp", "side")
         more = _join(tasks, keys, num, den)
         if not more.isEmpty():
@@ -451,7 +494,9 @@ def link(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) ->
     roots = settle(own.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     named = settle(own.join(roots, "root").select("cls", "component_id"), "named")
     found = filled.join(named, "cls").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    return found.unionByName(rows.filter("cls is null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    return found.unionByName(
+        rows.filter("cls is null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    )
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -460,11 +505,18 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)
     ``docs`` must be a table: its rows are numbered in reading order, twice.
     """
     own_rows, number = numbered(docs)
-    rows, labels = classes(own_rows.select(F.col(number).alias("mark"), docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text")), k, threshold)
+    rows, labels = classes(
+        own_rows.select(F.col(number).alias("mark"), docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text")), k, threshold
+    )
     # Copies of a text first, then the first rows of linked texts: only rows that have any company are moved on.
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("mark").alias("mark"))
     filled = rows.filter("cls is not null")
-    own = settle(filled.groupBy("cls").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("c")).join(labels, "cls", "left").filter("c > 1 or root is not null").select("cls", F.coalesce("root", "cls").alias("root"), "first"), "classes")
+    own = settle(
+        filled.groupBy("cls").agg(
+            F.min(rank).alias("first"), F.count(F.lit(1)).alias("c")
+        ).join(labels, "cls", "left").filter("c > 1 or root is not null").select("cls", F.coalesce("root", "cls").alias("root"), "first"),
+        "classes"
+    )
     roots = settle(own.groupBy("root").agg(F.min("first")["mark"].alias("first")), "roots")
     firsts = settle(own.select("cls", "root").join(roots, "root").select("cls", "first"), "firsts")
     gone = settle(filled.join(firsts, "cls").filter("mark <> first").select(F.col("mark").alias(number)), "copies")

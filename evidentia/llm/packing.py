@@ -154,7 +154,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = 4096, end
                     own.append(n.bit_length() - 1)
                     start += n
             rows = len(own)
-            cols = [pa.array(c, pa.int64()) for c in out] + [pa.array(np.arange(count, count + rows)), pa.array(np.zeros(rows, np.int64)), pa.array(own, pa.int32())]
+            cols = [pa.array(c, pa.int64()) for c in out] + [
+                pa.array(np.arange(count, count + rows)), pa.array(np.zeros(rows, np.int64)), pa.array(own, pa.int32())
+            ]
             count += rows
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
             if with_ids:

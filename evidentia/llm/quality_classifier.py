@@ -92,7 +92,9 @@ def _descend(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int, epochs: i
     return Model((vectors @ (output[1] - output[0])).astype(np.float32), float(bias[1] - bias[0]), bits)
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 1500, dim: int = 8, epochs: int = 8, rate: float = 0.3, bits: int = 16) -> Model:
+def learn(
+    docs: DataFrame, labels: DataFrame, train: Column, sample: int = 1500, dim: int = 8, epochs: int = 8, rate: float = 0.3, bits: int = 16
+) -> Model:
     """Learn from documents where ``train`` holds and ``labels`` (doc_id, quality) has 0 or 1."""
     marks = labels.select(labels["doc_id"].alias("k"), labels["quality"].cast("int").alias("y")).filter("y in (0, 1) and k is not null")
     own = docs.filter(train).select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
@@ -113,7 +115,9 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 1500,
                     n += np.bincount(at, minlength=1 << bits)
                 at = np.flatnonzero(n)
                 out.append((at.astype("<u4").tobytes(), (n[at] / max(n.sum(), 1)).astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], ["k", "y", "at", "share"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], ["k", "y", "at", "share"]
+            )
 
     rows = texts.mapInArrow(count, "k long, y int, at binary, share binary").orderBy("k", "y", "at").limit(2 * sample).toLocalIterator()
     seen = [(r[1], np.frombuffer(bytes(r[2]), "<u4"), np.frombuffer(bytes(r[3]), "<f4")) for r in rows]
@@ -129,9 +133,14 @@ def score(docs: DataFrame, model: Model, held_out: Column, threshold: float = 0.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             scores = shared.value.scores(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out.alias("held_out"), docs["text"]).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
+                ["doc_id", "held_out", "score", "predicted"]
+            )
+
+    return docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), held_out.alias("held_out"), docs["text"]
+    ).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -52,8 +52,13 @@ _PARTS = 8
 
 def counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of every row."""
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    rows = base.withColumns({"words": F.array_remove(F.split("text", _SPACE), ""), "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(_FILLED))})
+    base = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"),
+        F.coalesce(docs["text"], F.lit("")).alias("text")
+    )
+    rows = base.withColumns(
+        {"words": F.array_remove(F.split("text", _SPACE), ""), "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(_FILLED))}
+    )
     rows = rows.select(
         "doc_id",
         "lang",
@@ -69,12 +74,23 @@ def counts(docs: DataFrame) -> DataFrame:
     for width in (1, 2, 4):
         rows = rows.withColumn("h", F.zip_with("h", F.slice("h", width + 1, F.greatest(F.size("h"), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
     rows = rows.withColumn("h", F.slice("h", 1, F.greatest(F.size("h") - (WINDOW - 1), F.lit(0))))
-    rows = rows.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
+    rows = rows.withColumn(
+        "s", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
+    )
     # In hash order, a window that equals a neighbour occurs twice or more.
-    rows = rows.withColumn("at", F.array_sort(F.transform(F.filter("s", lambda e, i: (e["x"] == F.get("s", i - 1)["x"]) | (e["x"] == F.get("s", i + 1)["x"])), lambda e: e["i"])))
-    step = F.zip_with("at", F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
+    rows = rows.withColumn(
+        "at",
+        F.array_sort(
+            F.transform(F.filter("s", lambda e, i: (e["x"] == F.get("s", i - 1)["x"]) | (e["x"] == F.get("s", i + 1)["x"])), lambda e: e["i"])
+        )
+    )
+    step = F.zip_with(
+        "at", F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))
+    )
     covered = F.when(F.col("at").isNull(), F.lit(0)).otherwise(F.aggregate(step, F.lit(0), lambda t, x: t + x))
-    return rows.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", covered.cast("long").alias("n_repeat_words"))
+    return rows.select(
+        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", covered.cast("long").alias("n_repeat_words")
+    )
 
 
 def _chi2_cdf(x: float, dim: int) -> float:
@@ -91,7 +107,10 @@ def chi2_quantile(p: float, dim: int) -> float:
 
 def _vector() -> list[Column]:
     n = F.greatest(F.col("n_words"), F.lit(1))
-    return [F.log1p(F.col("n_words")), F.log1p(F.col("word_chars") / n), F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))), F.sqrt(F.col("n_repeat_words") / n), F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + _LINES))]
+    return [
+        F.log1p(F.col("n_words")), F.log1p(F.col("word_chars") / n), F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
+        F.sqrt(F.col("n_repeat_words") / n), F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + _LINES))
+    ]
 
 
 def _factor(cov: dict[tuple[int, int], Column]) -> dict[str, Column]:
@@ -114,7 +133,9 @@ def _distance() -> Column:
 
 
 def _sums(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(_DIM)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in _PAIRS])
+    return rows.groupBy(*by).agg(
+        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(_DIM)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in _PAIRS]
+    )
 
 
 def _with_factor(sums: DataFrame, scale: float, floor: tuple[float, ...] = _FLOOR) -> DataFrame:
@@ -129,9 +150,15 @@ def _with_factor(sums: DataFrame, scale: float, floor: tuple[float, ...] = _FLOO
 def _starts(rows: DataFrame, size: int) -> DataFrame:
     """g, s, m0.., l00..: first centres and factors of each group."""
     centre = settle(rows.groupBy("g").agg(*[F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(_DIM)]), "centre")
-    near = _joined(rows, centre, size).groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(_DIM)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i in range(_DIM)])
+    near = _joined(rows, centre, size).groupBy("g").agg(
+        *[F.first(f"m{i}").alias(f"m{i}") for i in range(_DIM)],
+        *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i in range(_DIM)]
+    )
     columns = ["g", "s", *[f"m{i}" for i in range(_DIM)], *[f"l{i}{j}" for i, j in _PAIRS]]
-    median = near.select("g", F.lit(0).alias("s"), *[f"m{i}" for i in range(_DIM)], *[(F.sqrt((F.col(f"d{i}") * 1.4826) ** 2 + _FLOOR[i]) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS])
+    median = near.select(
+        "g", F.lit(0).alias("s"), *[f"m{i}" for i in range(_DIM)],
+        *[(F.sqrt((F.col(f"d{i}") * 1.4826) ** 2 + _FLOOR[i]) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS]
+    )
     part = F.pmod("h", F.lit(_PARTS)).cast("int") + 2
     parted = rows.withColumn("s", F.explode(F.when(part < 5, F.array(F.lit(1), part)).otherwise(F.array(F.lit(1)))))
     return settle(median.select(columns).unionByName(_with_factor(_sums(parted, "g", "s"), 1.0).select(columns)), "starts")
@@ -151,7 +178,12 @@ def estimates(rows: DataFrame, share: float, steps: int) -> DataFrame:
     vectors, numbers = [f"x{i}" for i in range(_DIM)], [*[f"m{i}" for i in range(_DIM)], *[f"l{i}{j}" for i, j in _PAIRS]]
     for _ in range(max(steps, 1)):
         measured = _joined(rows, params.select("g", "s", *numbers), size).withColumn("d", _distance())
-        cut = settle(measured.groupBy("g", "s").agg(F.percentile_approx("d", share, 10_000).alias("cut"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in numbers]), "cut")
+        cut = settle(
+            measured.groupBy("g", "s").agg(
+                F.percentile_approx("d", share, 10_000).alias("cut"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in numbers]
+            ),
+            "cut"
+        )
         held = _joined(rows, cut, size).filter(_distance() <= F.col("cut")).select("g", "s", "n", *vectors)
         params = settle(_with_factor(_sums(held, "g", "s", "n"), scale), "scatter")
     volume = reduce(lambda a, b: a + b, [F.log(f"l{i}{i}") for i in range(_DIM)])
@@ -183,17 +215,28 @@ def models(rows: DataFrame, groups: DataFrame, share: float, steps: int, weight:
     return settle(_with_factor(out, 1.0, (0.0,) * _DIM), "models")
 
 
-def judge(docs: DataFrame, share: float = 0.75, level: float = 0.9999, steps: int = 3, weight: float = 30.0, min_words: int = 20, max_repeat: tuple[int, int] = (30, 100)) -> DataFrame:
+def judge(
+    docs: DataFrame, share: float = 0.75, level: float = 0.9999, steps: int = 3, weight: float = 30.0, min_words: int = 20,
+    max_repeat: tuple[int, int] = (30, 100)
+) -> DataFrame:
     """The counts of every document, base_failed and kept."""
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * max_repeat[1] > F.col("n_words") * max_repeat[0])
     every = settle(counts(docs).withColumn("base_failed", failed), "counts")
     # Groups by language and source, by language, and all; null stays apart from any name.
     mark = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(c)))
     vectors = {f"x{i}": x for i, x in enumerate(_vector())}
-    keyed = every.withColumns({"own": F.to_json(F.array(mark("lang"), mark("source"))), "wide": F.to_json(F.array(mark("lang"))), "h": F.xxhash64("doc_id", "n_words", "word_chars"), **vectors})
+    keyed = every.withColumns(
+        {
+            "own": F.to_json(F.array(mark("lang"), mark("source"))), "wide": F.to_json(F.array(mark("lang"))),
+            "h": F.xxhash64("doc_id", "n_words", "word_chars"), **vectors
+        }
+    )
     fine = keyed.filter(~F.col("base_failed"))
     rows = settle(fine.select(F.explode(F.array("own", "wide", F.lit("all"))).alias("g"), "h", *vectors), "vectors")
     found = models(rows, fine.select("own", "wide").distinct(), share, steps, weight)
     far = _distance() > chi2_quantile(level, _DIM)
     out = _joined(keyed, found, 300 * found.count(), "own", "left")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept")
+    )

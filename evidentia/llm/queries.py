@@ -68,7 +68,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_packing, op4_quality_rules, op5_lm_scoring, op6_sharding, op7_line_dedup, op8_language_id, op9_quality_classifier, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (
+        op1_ngram_jaccard_join, op2_html_extraction, op3_packing, op4_quality_rules, op5_lm_scoring, op6_sharding, op7_line_dedup, op8_language_id,
+        op9_quality_classifier, op10_decontamination
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""

@@ -36,11 +36,16 @@ _WHOLE = ["byte", "short", "integer", "long"]
 def _holds(kept: DataType, new: DataType) -> bool:
     """Whether every value of ``new`` is one of ``kept``."""
     a, b = kept.typeName(), new.typeName()
-    return kept == new or b == "void" or (a in _WHOLE and b in _WHOLE[: _WHOLE.index(a)]) or (a == "double" and b in ("float", "byte", "short", "integer"))
+    return kept == new or b == "void" or (a in _WHOLE and b in _WHOLE[: _WHOLE.index(a)]) or (
+        a == "double" and b in ("float", "byte", "short", "integer")
+    )
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fanout: int = 4, min_runs: int = 4, base_bytes: int = 1 << 20, full_every: int = 20):
+    def __init__(
+        self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fanout: int = 4, min_runs: int = 4, base_bytes: int = 1 << 20,
+        full_every: int = 20
+    ):
         self.spark, self.path = spark, path.rstrip("/")
         self.target, self.fanout, self.min_runs, self.base, self.full_every = target_bytes, fanout, min_runs, base_bytes, full_every
         self._jvm = spark.sparkContext._jvm
@@ -94,7 +99,9 @@ class ShardStore:
                 return None
             known |= {(f["name"], f["nth"]): f for f in fields}
             new = {"version": old["version"] + 1, "fields": [*known.values()], "files": [f for f in old["files"] if f["path"] not in remove] + add}
-            written = new if new["version"] % self.full_every == 1 else {"version": new["version"], "fields": new["fields"], "add": add, "remove": sorted(remove)}
+            written = new if new["version"] % self.full_every == 1 else {
+                "version": new["version"], "fields": new["fields"], "add": add, "remove": sorted(remove)
+            }
             draft = self._at("manifests", f".{uuid.uuid4().hex}")
             out = self._fs.create(draft, False)
             out.write(bytearray(json.dumps(written).encode()))
@@ -140,7 +147,9 @@ class ShardStore:
             nth = seen[field.name] = seen.get(field.name, -1) + 1
             name = stored.get((field.name, nth))
             if name is None:
-                name = field.name if not nth and field.name.lower() not in taken and field.name.lower() not in {f.name.lower() for f in schema if f.name != field.name} else f"{field.name}#{uuid.uuid4().hex[:8]}"
+                name = field.name if not nth and field.name.lower() not in taken and field.name.lower() not in {
+                    f.name.lower() for f in schema if f.name != field.name
+                } else f"{field.name}#{uuid.uuid4().hex[:8]}"
                 taken.add(name.lower())
             out.append({"name": field.name, "nth": nth, "stored": name, "type": field.dataType.json()})
         return out
@@ -150,7 +159,11 @@ class ShardStore:
     def _write(self, df: DataFrame) -> list[dict]:
         run = f"data/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{run}")
-        return [{"path": f"{run}/{s.getPath().getName()}", "bytes": s.getLen()} for s in self._fs.listStatus(self._at(run)) if s.getPath().getName().startswith("part-")]
+        return [
+            {
+                "path": f"{run}/{s.getPath().getName()}", "bytes": s.getLen()
+            } for s in self._fs.listStatus(self._at(run)) if s.getPath().getName().startswith("part-")
+        ]
 
     def append(self, arrival: DataFrame) -> dict:
         """Add the rows of ``arrival`` as one version."""

@@ -17,9 +17,19 @@ def prose(rng, lines=4, per=15, vocabulary=400):
 def odd_docs(spark):
     """Nulls in any column, empty and long texts, ties, repeated rows, and columns whose names clash."""
     rng = random.Random(3)
-    texts = [None, "", " \t\n", "one", "it's <|endoftext|>   x", "İΣ é ​ \U0001f600", prose(rng), prose(rng), prose(rng), " ".join(words(rng, 30_000)), "same text here", "same text here", "x" * 50_000]
-    rows = [(i, t, random.Random(i).choice(["en", "de", None]), ["s0", "s1", None][i % 3], None if t is None else len(t), None, "c", None, "h", "d", i) for i, t in enumerate(texts)]
-    rows += [(None, "no id at all", None, None, None, True, None, "n", None, None, 1), rows[6], rows[6], (6, "same id, other text", "en", "s0", 5, None, None, None, None, None, None)]
+    texts = [
+        None, "", " \t\n", "one", "it's <|endoftext|>   x", "İΣ é ​ \U0001f600", prose(rng), prose(rng), prose(rng), " ".join(words(rng, 30_000)),
+        "same text here", "same text here", "x" * 50_000
+    ]
+    rows = [
+        (
+            i, t, random.Random(i).choice(["en", "de", None]), ["s0", "s1", None][i % 3], None if t is None else len(t), None, "c", None, "h", "d", i
+        ) for i, t in enumerate(texts)
+    ]
+    rows += [
+        (None, "no id at all", None, None, None, True, None, "n", None, None, 1), rows[6], rows[6],
+        (6, "same id, other text", "en", "s0", 5, None, None, None, None, None, None)
+    ]
     return spark.createDataFrame(rows, ODD)
 
 

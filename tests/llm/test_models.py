@@ -164,7 +164,9 @@ def test_trie_stays_compact():
     words, contexts = (np.unique(rng.integers(0, 2**n, size, dtype=np.uint64) & ~np.uint64(1)) for n, size in ((63, 5_000), (52, 20_000)))
     rank = np.sort(rng.integers(0, len(contexts), 100_000)).astype(np.uint64)
     entries = np.unique((rank << np.uint64(32)) | rng.integers(0, 2**32, len(rank), dtype=np.uint64))
-    trie = lm_score.Trie(words, np.arange(1, len(words) + 1), contexts, np.full(len(contexts), 7), entries, np.full(len(entries), 0.25), (0, 2**63, 0, 2**52))
+    trie = lm_score.Trie(
+        words, np.arange(1, len(words) + 1), contexts, np.full(len(contexts), 7), entries, np.full(len(entries), 0.25), (0, 2**63, 0, 2**52)
+    )
     for part in (trie.words, trie.contexts, trie.begin, trie.entries):
         assert all(x.base is not None and not x.flags.owndata for x in (part.lows, part.words, part.zeros))
     assert not any(x.flags.owndata for x in (trie.ones, trie.twos, trie.chances))
@@ -204,12 +206,17 @@ def brute(rows, m2, m3):
 def test_scores_equal_brute_force(spark, hot):
     """Also where the words after frequent contexts are dealt in parts."""
     rng = random.Random(9)
-    rows = [(i, " ".join(words(rng, rng.randrange(60), 30))) for i in range(60)] + [(60, None), (61, ""), (None, "w1 W2 w3"), (5, "w1 w2"), (5, "w1 w2")]
+    rows = [(i, " ".join(words(rng, rng.randrange(60), 30))) for i in range(60)] + [
+        (60, None), (61, ""), (None, "w1 W2 w3"), (5, "w1 w2"), (5, "w1 w2")
+    ]
     rows += [(100 + i, "w1 w2 " * 9) for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     blocks = lm_score.blocks_of(docs.withColumn("held_out", lm_score.F.lit(False)), 1000, 52, hot)
     assert len(lm_score.hot_contexts(blocks, hot)[0]) > 1 or hot > 100
-    got = sorted((tuple(r) for r in lm_score.score(docs, fold("doc_id", 7) == 2, block_bytes=1000, shard_bytes=500, m2=20.0, m3=3.0, hot=hot).collect()), key=lambda r: (str(r[0]), r[2], r[5]))
+    got = sorted(
+        (tuple(r) for r in lm_score.score(docs, fold("doc_id", 7) == 2, block_bytes=1000, shard_bytes=500, m2=20.0, m3=3.0, hot=hot).collect()),
+        key=lambda r: (str(r[0]), r[2], r[5])
+    )
     want = sorted(brute(rows, 20.0, 3.0), key=lambda r: (str(r[0]), r[2], r[5]))
     for a, b in zip(got, want, strict=True):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-9 and abs(a[6] - b[6]) <= 2e-3 * max(1, abs(b[6])) and abs(a[7] * a[2] - a[6]) < 1e-9 * max(1, -a[6])

@@ -133,7 +133,9 @@ def brute_hits(rows, items, n=10):
 
 def planted():
     rng = random.Random(8)
-    items = [(i, " ".join(words(rng, rng.randrange(11, 40)))) for i in range(12)] + [(20, "Tiny Item-three words"), (21, "mono"), (22, None), (23, "..."), (None, "nameless item"), (3, " ".join(words(rng, 15)))]
+    items = [(i, " ".join(words(rng, rng.randrange(11, 40)))) for i in range(12)] + [
+        (20, "Tiny Item-three words"), (21, "mono"), (22, None), (23, "..."), (None, "nameless item"), (3, " ".join(words(rng, 15)))
+    ]
     rows = []
     for d in range(60):
         w = words(rng, rng.randrange(5, 80))
@@ -153,9 +155,13 @@ def test_decontamination_equals_brute_force(spark, slots, monkeypatch):
     monkeypatch.setattr(_shared, "SLOTS", slots)
     rows, items = planted()
     rng = random.Random(3)
-    items += [(100 + i, " ".join(words(rng, 300, 100_000))) for i in range(40)] + [(200 + i, "a passage that many items of this one benchmark share word by word") for i in range(50)]
+    items += [(100 + i, " ".join(words(rng, 300, 100_000))) for i in range(40)] + [
+        (200 + i, "a passage that many items of this one benchmark share word by word") for i in range(50)
+    ]
     rows += [(100 + i, " ".join(words(rng, 30)) + " a passage that many items of this one benchmark share word") for i in range(20)]
-    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    got = decontaminate.contamination(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    )
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_hits(rows, items)
 
 
@@ -164,7 +170,9 @@ def test_one_giant_item(spark):
     giant = words(rng, 200_000, 50_000)
     rows = [(1, " ".join(giant[70_000:70_010])), (2, " ".join(giant[70_000:70_009])), (3, " ".join(giant))]
     items = [(7, " ".join(giant))]
-    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = decontaminate.contamination(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
     assert {r.doc_id: (r.n_hit, r.n_items) for r in got} == {1: (10, 1), 2: (0, 0), 3: (200_000, 1)}
 
 

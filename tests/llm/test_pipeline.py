@@ -49,7 +49,10 @@ def test_run_on_odd_repeated_and_empty_tables(spark, tmp_path):
     """Nulls, repeated rows, a long text and columns with clashing names go through all stages; empty tables give no rows."""
     docs = odd_docs(spark)
     labels = "doc_id long, quality int, toxic int"
-    tables = {"odd": (docs, [(6, 1, 0), (7, 0, 0), (None, 1, 0), (9, None, None)], [(1, "same text here"), (None, None)]), "empty": (empty_docs(spark), [], [])}
+    tables = {
+        "odd": (docs, [(6, 1, 0), (7, 0, 0), (None, 1, 0), (9, None, None)], [(1, "same text here"), (None, None)]),
+        "empty": (empty_docs(spark), [], [])
+    }
     for name, (own, marks, items) in tables.items():
         own.coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame(marks, labels).write.parquet(f"{tmp_path}/{name}/labels.parquet")

@@ -17,10 +17,14 @@ def test_packing_round_trip(spark, sf):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    docs = odd_docs(spark).select("doc_id", "text").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").selectExpr("doc_id + 1000 AS doc_id", "text"))
+    docs = odd_docs(spark).select("doc_id", "text").unionByName(
+        spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").selectExpr("doc_id + 1000 AS doc_id", "text")
+    )
     pieces = defaultdict(list)
     rows = packing.pack(docs, with_ids=True).collect()
-    assert len({r.sequence_id for r in rows}) == len(rows) and all(r.offset == 0 and r.length & (r.length - 1) == 0 and r.length <= 4096 and r.length == 1 << r.bucket for r in rows)
+    assert len({r.sequence_id for r in rows}) == len(rows) and all(
+        r.offset == 0 and r.length & (r.length - 1) == 0 and r.length <= 4096 and r.length == 1 << r.bucket for r in rows
+    )
     assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
     for r in rows:
         pieces[r.doc_id].append(r)
@@ -40,7 +44,9 @@ def test_packing_round_trip(spark, sf):
 def test_packing_of_long_texts_and_full_tables(monkeypatch):
     """Texts in parts, pieces too long to keep and a table that starts anew give the tokenizer's ids."""
     rng = random.Random(2)
-    texts = [" ".join(f"{rng.choice('ab é')}w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(6)] + ["x" * 5000 + " y " + "z1" * 900, "", None, "a\nb\tc" * 300]
+    texts = [
+        " ".join(f"{rng.choice('ab é')}w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(6)
+    ] + ["x" * 5000 + " y " + "z1" * 900, "", None, "a\nb\tc" * 300]
     monkeypatch.setattr(packing.PieceEncoder, "PART", 500)
     encoder = packing.PieceEncoder(packing.default_tokenizer(), limit=300)
     for got, text in zip(encoder.encode(texts), texts, strict=True):
@@ -65,7 +71,9 @@ LONG = "The main story goes on with many words that make up a long paragraph, as
 WANT = ["Head & title", "First bold text with space.", "Short.", LONG.strip(), "point one", "point two"]
 
 
-@pytest.mark.parametrize(("open_", "close"), [("<article>", "</article>"), ("<main>", "</main>"), ('<div id="content">', "</div>"), ("<div class='post-body'>", "</div>")])
+@pytest.mark.parametrize(
+    ("open_", "close"), [("<article>", "</article>"), ("<main>", "</main>"), ('<div id="content">', "</div>"), ("<div class='post-body'>", "</div>")]
+)
 def test_extraction(open_, close):
     assert html_extract.main_text(PAGE.format(open=open_, close=close, long=LONG)).split("\n") == WANT
 
@@ -81,24 +89,34 @@ def test_extraction_of_damage(spark):
     assert html_extract.main_text("<article><p>a &lt;b&gt; &am</p><p>cut <b>x</article><footer>no") == "a <b> &am\ncut x"
     assert html_extract.main_text("<article>one<br><p>two</p><script>never closed <p>three") == "one\ntwo"
     assert html_extract.main_text('<article><p title="a>b">t</p><a href="unclosed>x</a><p>u</p></article>').startswith("t")
-    rows = spark.createDataFrame([(1, "u", "<article>x</article>", "z"), (2, None, None, None), (None, "u", "", "z")], "page_id long, url string, html string, text string")
+    rows = spark.createDataFrame(
+        [(1, "u", "<article>x</article>", "z"), (2, None, None, None), (None, "u", "", "z")], "page_id long, url string, html string, text string"
+    )
     assert [tuple(r) for r in html_extract.extract(rows).collect()] == [(1, "u", "x", 1), (2, None, "", 0), (None, "u", "", 0)]
     assert html_extract.extract(rows.limit(0)).count() == 0
 
 
 def test_article_elements_do_not_replace_the_sums():
     story, card = f"<p>{LONG}</p><p>{LONG}</p>", "<article><p>{}</p></article>"
-    got = html_extract.main_text(f"<body><div>{story}{story}</div>{card.format('Teaser of another story.')}{card.format('One more.')}</body>").split("\n")
+    got = html_extract.main_text(
+        f"<body><div>{story}{story}</div>{card.format('Teaser of another story.')}{card.format('One more.')}</body>"
+    ).split("\n")
     assert got[:4] == [LONG.strip()] * 4
-    assert html_extract.main_text(f"<body><article><div>{story}</div><div>Filed under odds</div></article></body>") == f"{LONG.strip()}\n{LONG.strip()}"
-    assert html_extract.main_text("<body><p>Short text.</p><article><p>Card <a>link</a></p><p><a>all link</a></p></article></body>") == "Short text.\nCard link\nall link"
+    assert html_extract.main_text(
+        f"<body><article><div>{story}</div><div>Filed under odds</div></article></body>"
+    ) == f"{LONG.strip()}\n{LONG.strip()}"
+    assert html_extract.main_text(
+        "<body><p>Short text.</p><article><p>Card <a>link</a></p><p><a>all link</a></p></article></body>"
+    ) == "Short text.\nCard link\nall link"
 
 
 def test_every_stretch_stays():
     lead, story = "A lead of some length. " * 13, "\n".join(f"<p>{LONG}</p>" for _ in range(8))
     got = html_extract.main_text(f"<body><div class='w'><div><p>{lead}</p></div><div>{story}</div></div></body>").split("\n")
     assert got == [lead.strip()] + [LONG.strip()] * 8
-    assert html_extract.main_text(f"<body><h1>Title above</h1><article><div>{story}</div></article></body>") == "\n".join(["Title above"] + [LONG.strip()] * 8)
+    assert html_extract.main_text(
+        f"<body><h1>Title above</h1><article><div>{story}</div></article></body>"
+    ) == "\n".join(["Title above"] + [LONG.strip()] * 8)
 
 
 @pytest.mark.parametrize("name", ["main-with-sidebar", "content-share", "layoutSidebarLeft"])
@@ -151,12 +169,21 @@ def test_surges_decide_on_every_page_with_much_text(spark):
     assert decided > 50 * short
 
 
-@pytest.mark.parametrize("name", ['class="content-with-sidebar"', 'class="side-by-side"', 'data-id="comment-7"', 'data-role="banner"', "data-class='ad'"])
+@pytest.mark.parametrize(
+    "name", ['class="content-with-sidebar"', 'class="side-by-side"', 'data-id="comment-7"', 'data-role="banner"', "data-class='ad'"]
+)
 def test_names_that_are_none(name):
     assert html_extract.main_text(f"<body><div {name}><p>{LONG}</p></div><div class='comment'>{LONG}</div></body>") == LONG.strip()
 
 
-@pytest.mark.parametrize("page", ["<a " * 330_000, "<div>" * 200_000 + LONG, "<b>" + "<div>" * 100_000 + "</b>" * 100_000, "<div class='x-sidebar'>" * 40_000 + LONG, "</x>" * 250_000, "<svg>a" * 160_000, '<a "' * 250_000 + ">", f"<div><p>{LONG}</p>" * 4000], ids=range(8))
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 330_000, "<div>" * 200_000 + LONG, "<b>" + "<div>" * 100_000 + "</b>" * 100_000, "<div class='x-sidebar'>" * 40_000 + LONG,
+        "</x>" * 250_000, "<svg>a" * 160_000, '<a "' * 250_000 + ">", f"<div><p>{LONG}</p>" * 4000
+    ],
+    ids=range(8)
+)
 def test_hostile_pages_are_linear(page):
     begin = time.perf_counter()
     html_extract.main_text(page)
@@ -175,7 +202,9 @@ def counts(text):
 
 def test_rule_counts_equal_brute_force(spark):
     rng = random.Random(4)
-    texts = [prose(rng, vocabulary=v) for v in (2, 5, 9, 400) for _ in range(5)] + ["a\na\n\n a", "x " * 9, "# * $ % & | < >", " ".join(["q r s t u v w x y"] * 3), None, "\x0b\x0c a"]
+    texts = [prose(rng, vocabulary=v) for v in (2, 5, 9, 400) for _ in range(5)] + [
+        "a\na\n\n a", "x " * 9, "# * $ % & | < >", " ".join(["q r s t u v w x y"] * 3), None, "\x0b\x0c a"
+    ]
     rows = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in quality_rules.judge(rows).collect()}
     for i, t in enumerate(texts):
@@ -197,7 +226,11 @@ def test_rules_reject_repeated_lines_and_words(spark):
     rows = [(i, prose(rng, rng.randrange(2, 9)), "en", f"s{i % 2}") for i in range(200)]
     rows += [(1000 + i, "\n".join(f"{prose(rng, 1, 8)}\nread more" for _ in range(40)), "en", "s0") for i in range(4)]
     part = prose(rng, 1, 24)
-    rows += [(2000 + i, f"{part} b\n{prose(rng, 5)}\n{part} a\n{prose(rng, 1)}\n{prose(rng, 1)}\n{prose(rng, 1, 12)}\nmore\nmore\nmore", "en", "s1") for i in range(4)]
+    rows += [
+        (
+            2000 + i, f"{part} b\n{prose(rng, 5)}\n{part} a\n{prose(rng, 1)}\n{prose(rng, 1)}\n{prose(rng, 1, 12)}\nmore\nmore\nmore", "en", "s1"
+        ) for i in range(4)
+    ]
     got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[i].n_repeat_words == 0 and not got[i].base_failed and not got[i].kept for i in range(1000, 1004))
     assert all(got[i].n_repeat_words == 48 and not got[i].base_failed and not got[i].kept for i in range(2000, 2004))
@@ -241,7 +274,9 @@ def test_verdict_equals_numpy(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in quality_rules.judge(docs, steps=4).collect()}
     F, q = quality_rules.F, quality_rules
-    plain = q.counts(docs).withColumns({f"x{i}": c for i, c in enumerate(q._vector())}).withColumn("h", F.xxhash64("doc_id", "n_words", "word_chars")).collect()
+    plain = q.counts(docs).withColumns({f"x{i}": c for i, c in enumerate(q._vector())}).withColumn(
+        "h", F.xxhash64("doc_id", "n_words", "word_chars")
+    ).collect()
     fine = [r for r in plain if not got[r.doc_id].base_failed]
     groups = {"all": fine}
     for r in fine:
@@ -278,7 +313,9 @@ def test_rules_on_odd_and_empty_tables(spark):
 
 
 def test_lines(spark):
-    rows = [(i, f"menu \nown line {i}\n\n{'both' if i < 2 else 'x' + str(i)}", "a") for i in range(30)] + [(100, "menu\nmenu", "b"), (101, None, "b"), (102, "", None), (103, "lone", None)]
+    rows = [
+        (i, f"menu \nown line {i}\n\n{'both' if i < 2 else 'x' + str(i)}", "a") for i in range(30)
+    ] + [(100, "menu\nmenu", "b"), (101, None, "b"), (102, "", None), (103, "lone", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", line_dedup.F.lit("clash"))
     got = {r.doc_id: r for r in line_dedup.remove_boilerplate(docs, counts=True).collect()}
     assert got[5].text == "own line 5\n\nx5" and got[5].n_dropped == 1 and got[0].text == "own line 0\n\nboth"
@@ -291,7 +328,10 @@ def test_lines(spark):
 
 def test_copies_are_no_boilerplate(spark):
     """Two copies on a small host keep their lines; a line that three distinct pages share goes; salts give the same."""
-    rows = [(1, "one\ntwo\nmenu", "a"), (2, "one\ntwo\nmenu", "a"), (3, "else\nmenu", "a"), (4, "last\nmenu", "a"), (5, "x\ny", "b"), (6, "x\ny", "b"), (7, "x\nz", "b")]
+    rows = [
+        (1, "one\ntwo\nmenu", "a"), (2, "one\ntwo\nmenu", "a"), (3, "else\nmenu", "a"), (4, "last\nmenu", "a"), (5, "x\ny", "b"), (6, "x\ny", "b"),
+        (7, "x\nz", "b")
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     want = {1: "one\ntwo", 2: "one\ntwo", 3: "else", 4: "last", 5: "x\ny", 6: "x\ny", 7: "x\nz"}
     assert {r.doc_id: r.text for r in line_dedup.remove_boilerplate(docs).collect()} == want
@@ -356,7 +396,9 @@ def test_columns_that_change(spark, tmp_path):
     for _ in range(2):
         got = store.read()
         assert got.columns == ["a", "b", "c", "B", "b"]
-        assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "x", None, None, None), (2, "y", 0.5, "new", None), (None, None, 1.5, None, None), (None, "p", None, None, "q")], key=str)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(
+            [(1, "x", None, None, None), (2, "y", 0.5, "new", None), (None, None, 1.5, None, None), (None, "p", None, None, "q")], key=str
+        )
         store.compact()
     assert store.version() == 5 and len(store.manifest()["files"]) == 1
     assert store.read(2).count() == 2 and store.read(1).count() == 1
