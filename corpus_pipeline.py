@@ -37,7 +37,10 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, with_ids=True)
 
 
-STAGES = [("quality classifier", quality_stage), ("line dedup", lines_stage), ("n-gram Jaccard join", copies_stage), ("benchmark decontamination", benchmark_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality classifier", quality_stage), ("line dedup", lines_stage), ("n-gram Jaccard join", copies_stage),
+    ("benchmark decontamination", benchmark_stage), ("packing", packing_stage)
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,7 +79,12 @@ def _next(row, i, x, b):
 
 def test_unusual_lines_equal_numpy(spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").toPandas()
-    x = np.column_stack([np.log1p(rows.l_extendedprice.astype(float)), np.log1p(rows.l_quantity.astype(float)), rows.l_discount.astype(float), rows.l_tax.astype(float)])
+    x = np.column_stack(
+        [
+            np.log1p(rows.l_extendedprice.astype(float)), np.log1p(rows.l_quantity.astype(float)), rows.l_discount.astype(float),
+            rows.l_tax.astype(float)
+        ]
+    )
     z = (x - x.mean(axis=0)) / x.std(axis=0)
     values, vectors = np.linalg.eigh(np.cov(z.T, bias=True))
     order = np.argsort(-values)

@@ -94,7 +94,9 @@ def test_prefix_channels_and_lags():
     assert np.argmax((np.abs(y) ** 2).mean(axis=1)) in (2, 6)
     burst = np.concatenate([np.zeros(100), rng.standard_normal(300), np.zeros(600)]) + 0.01 * rng.standard_normal(1000)
     assert signal.align(burst, np.roll(burst, 37)) == 37
-    found = signal.envelope_bursts(np.concatenate([0.1 * rng.standard_normal(2000), rng.standard_normal(300), 0.1 * rng.standard_normal(2000)]), 30, 8, 100)
+    found = signal.envelope_bursts(
+        np.concatenate([0.1 * rng.standard_normal(2000), rng.standard_normal(300), 0.1 * rng.standard_normal(2000)]), 30, 8, 100
+    )
     assert len(found) == 1 and abs(found[0][0] - 2000) < 40
 
 
@@ -151,7 +153,11 @@ def test_assignment_is_the_best():
         c = rng.random((n, m))
         got = repair.assign(c)
         k = min(n, m)
-        best = min(sum(c[i, j] for i, j in zip(range(n), p, strict=False)) if n <= m else sum(c[i, j] for j, i in enumerate(p)) for p in permutations(range(max(n, m)), k))
+        best = min(
+            sum(
+                c[i, j] for i, j in zip(range(n), p, strict=False)
+            ) if n <= m else sum(c[i, j] for j, i in enumerate(p)) for p in permutations(range(max(n, m)), k)
+        )
         assert len(got) == k and sum(c[i, j] for i, j in got) == pytest.approx(best)
     assert repair.assign(np.array([[np.inf, 1.0], [np.inf, np.inf]])) == [(0, 1)]
 

@@ -37,15 +37,22 @@ def test_floor_follows_and_signals_do_not_move_it(spark, tmp_path):
     rows = [("r", i, rng.gamma(20, 1 / 20, 32).tolist()) for i in range(60)]
     for i in range(40, 60):
         rows[i][2][5] += 100
-    got = sorted(drained(live.noise_floor(stream(spark, rows, "receiver string, us long, power array<double>", str(tmp_path / "a"))), "floor"), key=lambda r: r.us)
+    got = sorted(
+        drained(live.noise_floor(stream(spark, rows, "receiver string, us long, power array<double>", str(tmp_path / "a"))), "floor"),
+        key=lambda r: r.us
+    )
     assert len(got) == 60 and got[0].above == [0.0] * 32
     last = np.array(got[59].above)
     assert last[5] > 18 and np.abs(np.delete(last, 5)).max() < 4
 
 
 def test_tracks(spark, tmp_path):
-    boxes = [("s", float(t), t + 0.2, 100.0, 112.0, "A") for t in range(100, 120)] + [("s", float(t), t + 0.3, 300.0, 325.0, "B") for t in range(100, 120, 2)] + [("s", 160.0, 160.1, 10.0, 12.0, None)]
-    s = stream(spark, boxes, "stream string, t0 double, t1 double, f_lo double, f_hi double, cls string", str(tmp_path / "a")).withColumn("event_time", F.timestamp_micros((F.col("t0") * 1_000_000).cast("long"))).withWatermark("event_time", "1 second")
+    boxes = [("s", float(t), t + 0.2, 100.0, 112.0, "A") for t in range(100, 120)] + [
+        ("s", float(t), t + 0.3, 300.0, 325.0, "B") for t in range(100, 120, 2)
+    ] + [("s", 160.0, 160.1, 10.0, 12.0, None)]
+    s = stream(
+        spark, boxes, "stream string, t0 double, t1 double, f_lo double, f_hi double, cls string", str(tmp_path / "a")
+    ).withColumn("event_time", F.timestamp_micros((F.col("t0") * 1_000_000).cast("long"))).withWatermark("event_time", "1 second")
     got = drained(live.tracker(s), "tracks")
     assert {(r.cls, r.bursts) for r in got} >= {("A", 20), ("B", 10)}
 

@@ -8,7 +8,9 @@ RATE, SIZE = 256_000.0, 256
 
 
 def blocks_of(spark, name, x, block=4096):
-    rows = [(name, at, x[at : at + block].real.astype(float).tolist(), x[at : at + block].imag.astype(float).tolist()) for at in range(0, len(x), block)]
+    rows = [
+        (name, at, x[at : at + block].real.astype(float).tolist(), x[at : at + block].imag.astype(float).tolist()) for at in range(0, len(x), block)
+    ]
     return spark.createDataFrame(rows, "capture_id string, start long, re array<float>, im array<float>").repartition(3)
 
 
@@ -30,7 +32,9 @@ def test_bursts_are_found_once_and_noise_gives_none(spark):
     assert {r.capture_id for r in got} == {"a"}
     for t0, t1, hz in planted:
         own = [r for r in got if r.f_lo <= 1e6 + hz <= r.f_hi]
-        assert abs(sum(r.t1 - r.t0 for r in own) - (t1 - t0)) < 0.02 and abs(min(r.t0 for r in own) - t0) < 0.01 and all(r.snr_db > 5 and r.f_hi - r.f_lo < 6000 for r in own)
+        assert abs(sum(r.t1 - r.t0 for r in own) - (t1 - t0)) < 0.02 and abs(min(r.t0 for r in own) - t0) < 0.01 and all(
+            r.snr_db > 5 and r.f_hi - r.f_lo < 6000 for r in own
+        )
         spans = sorted((r.t0, r.t1) for r in own)
         assert all(a[1] <= b[0] + 1e-9 for a, b in zip(spans, spans[1:], strict=False))
     assert sum(any(r.f_lo <= 1e6 + hz <= r.f_hi for _, _, hz in planted) for r in got) == len(got)
@@ -39,7 +43,10 @@ def test_bursts_are_found_once_and_noise_gives_none(spark):
 def test_labels_of_one_source_are_replaced(spark):
     x = noise(65_536, 3) + np.where(np.arange(65_536) // 8192 == 4, 0.7, 0)
     boxes = pipeline.detect(blocks_of(spark, "a", x), RATE, 0.0, detection.tile_layout(RATE, SIZE, 0.25, 64), SIZE, pfa=1e-6)
-    old = spark.createDataFrame([("a", 1, 2, 0.0, 1.0, "hand"), ("a", 1, 2, 0.0, 1.0, "finder")], "capture_id string, sample_start long, sample_count long, f_lo double, f_hi double, source string")
+    old = spark.createDataFrame(
+        [("a", 1, 2, 0.0, 1.0, "hand"), ("a", 1, 2, 0.0, 1.0, "finder")],
+        "capture_id string, sample_start long, sample_count long, f_lo double, f_hi double, source string"
+    )
     got = pipeline.relabelled(old, boxes, RATE, "finder").collect()
     assert [r for r in got if r.source == "hand"] and sum(r.source == "finder" for r in got) == boxes.count() >= 1
     assert all(abs(r.sample_start - 32_768) <= 2048 for r in got if r.source == "finder")

@@ -16,7 +16,10 @@ def test_geotiff_round_trip(spark, tmp_path):
     for r in rasters.raster_files(grid, 52.0, 5.0, 0.25, edge=4).collect():
         (tmp_path / f"{r.tile_row}-{r.tile_col}.tif").write_bytes(bytes(r.content))
     got = rasters.rasters(spark.read.format("binaryFile").load(str(tmp_path)))
-    back = got.select(F.round((52.0 - F.col("north")) / 0.25).cast("long") + F.col("row"), F.round((F.col("west") - 5.0) / 0.25).cast("long") + F.col("col"), "cell_value")
+    back = got.select(
+        F.round((52.0 - F.col("north")) / 0.25).cast("long") + F.col("row"), F.round((F.col("west") - 5.0) / 0.25).cast("long") + F.col("col"),
+        "cell_value"
+    )
     assert sorted(map(tuple, back.collect())) == sorted(cells) and {x.size_deg for x in got.collect()} == {0.25}
 
 
@@ -41,7 +44,9 @@ def test_mosaic(spark):
 
 
 def test_geojson_lines(spark, tmp_path):
-    rows = spark.createDataFrame([('{"type":"Point","coordinates":[5,52]}', "a"), ('{"type":"Point","coordinates":[6,53]}', "b")], "g string, name string")
+    rows = spark.createDataFrame(
+        [('{"type":"Point","coordinates":[5,52]}', "a"), ('{"type":"Point","coordinates":[6,53]}', "b")], "g string, name string"
+    )
     path = str(tmp_path / "f")
     rasters.geojson_lines(rows, logs.feature(F.col("g"), F.create_map(F.lit("name"), F.col("name")), F.lit("measured")), path)
     (tmp_path / "f" / "extra.txt").write_text("not json\n")

@@ -38,7 +38,9 @@ def test_images_and_sound():
     assert 0.2 < scenes.otsu(noisy) < 0.9 and scenes.noise_sigma(0.05 * rng.standard_normal((200, 200))) == pytest.approx(0.05, rel=0.1)
     kernel = np.ones((3, 3)) / 9
     blurred = np.real(np.fft.ifft2(np.fft.fft2(page) * np.fft.fft2(np.roll(np.pad(kernel, ((0, 61), (0, 61))), (-1, -1), (0, 1)))))
-    assert scenes.psnr(scenes.deblur(blurred, kernel, 1e-4), page) > scenes.psnr(blurred, page) + 5 and scenes.sharpness(page) > scenes.sharpness(blurred)
+    assert scenes.psnr(
+        scenes.deblur(blurred, kernel, 1e-4), page
+    ) > scenes.psnr(blurred, page) + 5 and scenes.sharpness(page) > scenes.sharpness(blurred)
     ink = noisy < scenes.otsu(noisy)
     ink[60, 60] = True
     assert scenes.ink_f1(scenes.without_specks(ink), page < 0.5) > 0.99
@@ -53,7 +55,11 @@ def test_images_and_sound():
 def test_vital_signs():
     rng, fs = np.random.default_rng(2), 20.0
     t = np.arange(0, 90, 1 / fs)
-    h = np.array([g * np.sin(2 * np.pi * 0.25 * t) + 0.15 * g * np.sin(2 * np.pi * 1.2 * t) + 0.2 * rng.standard_normal(len(t)) for g in rng.uniform(0.2, 2, 12)]).T
+    h = np.array(
+        [
+            g * np.sin(2 * np.pi * 0.25 * t) + 0.15 * g * np.sin(2 * np.pi * 1.2 * t) + 0.2 * rng.standard_normal(len(t)) for g in rng.uniform(0.2, 2, 12)
+        ]
+    ).T
     got = scenes.vital_signs(h, fs)
     assert len(got) == 13 and all(abs(b - 15) < 0.6 and abs(r - 72) < 2 for _, b, r in got)
     x = np.sin(2 * np.pi * 0.25 * t)
@@ -72,15 +78,29 @@ def test_made_signals():
     truth, noise = np.array([1.0, -2.0]), np.array([0.3, 0.4])
     known = lambda x, a: (x - np.sqrt(a) * truth) / np.sqrt(1 - a)
     start = np.sqrt(0.1) * truth + np.sqrt(0.9) * noise
-    assert scenes.ddim(start, np.array([0.1, 0.5, 0.9]), known) == pytest.approx(truth) and scenes.denoise_step(start, 0.1, known) == pytest.approx(truth)
+    assert scenes.ddim(
+        start, np.array([0.1, 0.5, 0.9]), known
+    ) == pytest.approx(truth) and scenes.denoise_step(start, 0.1, known) == pytest.approx(truth)
 
 
 def test_registries(spark, tmp_path):
-    cards = spark.createDataFrame([("m", 1, "finder", "p", ["a"], "h", {"recall": 0.9, "false_rate": 0.0}, False), ("m", 2, "finder", "p", ["a"], "h", {"recall": 0.9}, True), ("n", 1, "recognizer", "q", [], "h", {}, False)], registry.CARD)
+    cards = spark.createDataFrame(
+        [
+            ("m", 1, "finder", "p", ["a"], "h", {"recall": 0.9, "false_rate": 0.0}, False),
+            ("m", 2, "finder", "p", ["a"], "h", {"recall": 0.9}, True), ("n", 1, "recognizer", "q", [], "h", {}, False)
+        ],
+        registry.CARD
+    )
     assert registry.usable(cards, "p", "finder").count() == 0 and registry.usable(cards.filter("version = 1"), "p", "finder").count() == 1
     assert {r.w for r in cards.select(registry.refusal("p", "finder", F.lit("h")).alias("w")).collect()} == {None, "retired", "made for q"}
     assert cards.filter("version = 1 AND name = 'm'").select(registry.verdict("finder").alias("v")).first().v == "good"
-    ex = spark.createDataFrame([(1, "r", 0, 10, "original", "train", False), (2, "r", 5, 15, "original", "train", False), (3, "r", 10, 20, "original", "train", True), (4, "s", 0, 9, "original", "test", False)], "id long, recording string, start long, stop long, kind string, role string, removed boolean")
+    ex = spark.createDataFrame(
+        [
+            (1, "r", 0, 10, "original", "train", False), (2, "r", 5, 15, "original", "train", False), (3, "r", 10, 20, "original", "train", True),
+            (4, "s", 0, 9, "original", "test", False)
+        ],
+        "id long, recording string, start long, stop long, kind string, role string, removed boolean"
+    )
     assert [(r.id, r.id_b) for r in registry.overlapping_examples(ex, 8).collect()] == [(1, 2)]
     gone = registry.remove(ex, ex.filter("id = 2"))
     assert registry.overlapping_examples(gone, 8).count() == 0 and not registry.remove(gone, ex, back=True).filter("removed").count()
@@ -93,4 +113,6 @@ def test_registries(spark, tmp_path):
     got = {r.name: (r["shape"], r.kind) for r in registry.shards(spark.read.format("binaryFile").load(str(tmp_path / "a.npz"))).collect()}
     assert got == {"x": ([3, 4], "float32"), "y": ([2], "float64")}
     assert registry.recipe([{"b": 1, "a": 2}])[0] == '[{"a":2,"b":1}]'
-    assert spark.range(1).select(registry.report(F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit(None).cast("string"))).alias("m")).first().m == "- **a**: not known\n- **b**: 2"
+    assert spark.range(1).select(
+        registry.report(F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit(None).cast("string"))).alias("m")
+    ).first().m == "- **a**: not known\n- **b**: 2"
