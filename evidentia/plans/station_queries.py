@@ -330,29 +330,41 @@ QUERIES = {f.__name__: f for f in (
 _SQL = tq.ORACLE_SQL
 _EV, _HOURLY = ev._EV, ev._HOURLY
 _REACH = f"""
-    WITH {tq._P}, m AS (SELECT id AS cell, {tq._HAV.format(a="51.0", b="6.5", c="lat", d="lon")} AS metres, {tq._BEAR.format(a="51.0", b="6.5", c="lat", d="lon")} AS bearing FROM p),
-    r AS (SELECT *, 30 + 2.15 - 20 * log10(4 * pi() * greatest(metres, 1) / (299792458.0 / 446e6)) AS rx_dbm FROM m WHERE metres <= 60000), q AS (SELECT *, rx_dbm >= -82 AS covered FROM r)"""
+    WITH {tq._P}, m AS (SELECT id AS cell, {tq._HAV.format(a="51.0", b="6.5", c="lat", d="lon")} AS metres,
+        {tq._BEAR.format(a="51.0", b="6.5", c="lat", d="lon")} AS bearing FROM p),
+    r AS (SELECT *, 30 + 2.15 - 20 * log10(4 * pi() * greatest(metres, 1) / (299792458.0 / 446e6)) AS rx_dbm FROM m WHERE metres <= 60000),
+        q AS (SELECT *, rx_dbm >= -82 AS covered FROM r)"""
 _MASK = 10 * math.log10(stats.floor_alpha(0.05, 2)) + 0.5
 _CLAIMS = f"""
     WITH {tq._BOX}, k AS (SELECT b.*, o_orderstatus AS cls, o_totalprice::DOUBLE AS score FROM b JOIN orders ON o_orderkey = id),
-    c AS (SELECT x.id, y.id AS id_b, x.score, round({tq._IOU}, 9) AS iou FROM k AS x JOIN k AS y ON x.id % 2 = 0 AND y.id % 2 = 1 AND x.grp = y.grp AND x.cls = y.cls AND x.t0 < y.t1 AND y.t0 < x.t1),
-    f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY iou DESC, id_b) AS r FROM c WHERE iou >= 0.2), u AS (SELECT id, row_number() OVER (PARTITION BY id_b ORDER BY score DESC, id) = 1 AS matched FROM f WHERE r = 1),
-    g AS (SELECT k.id, k.cls, k.score, coalesce(matched, false) AS matched FROM k LEFT JOIN u USING (id) WHERE k.id % 2 = 0), a AS (SELECT cls, score, sum(matched::INT) AS hit, count(*) AS n FROM g GROUP BY ALL),
-    d AS (SELECT *, sum(hit) OVER w / sum(n) OVER w AS prec FROM a WINDOW w AS (PARTITION BY cls ORDER BY score DESC)), e AS (SELECT *, max(prec) OVER (PARTITION BY cls ORDER BY score) AS best FROM d),
-    s AS (SELECT cls, sum(hit * best) AS area FROM e GROUP BY 1), t AS (SELECT cls, count(*) AS truths FROM k WHERE id % 2 = 1 GROUP BY 1), ap AS (SELECT t.cls, truths, coalesce(area, 0) / truths AS ap FROM t LEFT JOIN s USING (cls))"""
+    c AS (SELECT x.id, y.id AS id_b, x.score, round({tq._IOU}, 9) AS iou FROM k AS x JOIN k AS y ON x.id % 2 = 0 AND y.id % 2 = 1 AND x.grp = y.grp
+        AND x.cls = y.cls AND x.t0 < y.t1 AND y.t0 < x.t1),
+    f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY iou DESC, id_b) AS r FROM c WHERE iou >= 0.2), u AS (SELECT id,
+        row_number() OVER (PARTITION BY id_b ORDER BY score DESC, id) = 1 AS matched FROM f WHERE r = 1),
+    g AS (SELECT k.id, k.cls, k.score, coalesce(matched, false) AS matched FROM k LEFT JOIN u USING (id) WHERE k.id % 2 = 0), a AS (SELECT cls, score,
+        sum(matched::INT) AS hit, count(*) AS n FROM g GROUP BY ALL),
+    d AS (SELECT *, sum(hit) OVER w / sum(n) OVER w AS prec FROM a WINDOW w AS (PARTITION BY cls ORDER BY score DESC)), e AS (SELECT *,
+        max(prec) OVER (PARTITION BY cls ORDER BY score) AS best FROM d),
+    s AS (SELECT cls, sum(hit * best) AS area FROM e GROUP BY 1), t AS (SELECT cls, count(*) AS truths FROM k WHERE id % 2 = 1 GROUP BY 1),
+        ap AS (SELECT t.cls, truths, coalesce(area, 0) / truths AS ap FROM t LEFT JOIN s USING (cls))"""
 _EXAMPLES = """
-    WITH x AS (SELECT o_orderkey AS id, (o_custkey % 40)::VARCHAR AS recording, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS start, CASE WHEN o_orderkey % 3 = 0 THEN 'copy' ELSE 'original' END AS kind,
+    WITH x AS (SELECT o_orderkey AS id, (o_custkey % 40)::VARCHAR AS recording, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS start, CASE
+        WHEN o_orderkey % 3 = 0 THEN 'copy' ELSE 'original' END AS kind,
         o_orderkey % 11 = 0 AS removed, CASE o_custkey % 5 WHEN 2 THEN 'test' WHEN 4 THEN 'val' ELSE 'train' END AS role FROM orders)"""
 _TURN = "(2 * pi() * 446e6 / 299792458.0 * (s2 - s1))"
 _SHOW = "regexp_replace(printf('%.3f', {x}), '\\.?0+$', '') || '{u}'"
 
 _SENTENCES = _SQL["novelty_rank"].replace("SELECT t.id, grams,", "SELECT t.id, t.i, grams,").rpartition("SELECT id, round")[0]
 _CANVAS = rf"""
-    WITH g AS (SELECT doc_id AS id, coalesce(text, '') AS text, 'licence' AS field, nullif(regexp_extract(text, '(?m)^(?:Licensed|Released) under (?:the )?([^\n.]+)', 1), '') AS got FROM documents
+    WITH g AS (SELECT doc_id AS id, coalesce(text, '') AS text, 'licence' AS field, nullif(regexp_extract(text,
+        '(?m)^(?:Licensed|Released) under (?:the )?([^\n.]+)', 1), '') AS got FROM documents
         UNION ALL SELECT doc_id, coalesce(text, ''), 'opening', nullif(regexp_extract(text, '^([A-Za-z]+)', 1), '') FROM documents),
-    w AS (SELECT *, CASE WHEN regexp_matches(got, '(?i)\[(?:redacted|removed|withheld)\]|█{{2,}}|\bX{{4,}}\b') THEN 'redacted' WHEN got IS NULL OR trim(got) = '' THEN 'empty'
-        WHEN lower(trim(got, ' .' || chr(9))) IN ('-', 'n/a', 'na', 'nil', 'none', 'not stated', 'null', 'unknown', 'not known', 'not given') THEN 'null wording'
-        WHEN NOT contains(' ' || array_to_string({tq._WORDS.format(t="text")}, ' ') || ' ', ' ' || array_to_string({tq._WORDS.format(t="got")}, ' ') || ' ') OR len({tq._WORDS.format(t="got")}) = 0 THEN 'no support' END AS why FROM g)
+    w AS (SELECT *, CASE WHEN regexp_matches(got, '(?i)\[(?:redacted|removed|withheld)\]|█{{2,}}|\bX{{4,}}\b') THEN 'redacted'
+        WHEN got IS NULL OR trim(got) = '' THEN 'empty'
+        WHEN lower(trim(got, ' .' || chr(9))) IN ('-', 'n/a', 'na', 'nil', 'none', 'not stated', 'null', 'unknown', 'not known',
+            'not given') THEN 'null wording'
+        WHEN NOT contains(' ' || array_to_string({tq._WORDS.format(t="text")}, ' ') || ' ', ' ' || array_to_string({tq._WORDS.format(t="got")},
+            ' ') || ' ') OR len({tq._WORDS.format(t="got")}) = 0 THEN 'no support' END AS why FROM g)
     SELECT id, field, CASE WHEN why IS NULL THEN got END AS value, why IS NULL AS ok, why FROM w"""
 _CURVE = f"{_CLAIMS}, curve AS (SELECT floor(score / 1000 / 25) * 25 AS bin, count(*) AS n, avg(matched::INT) AS detected FROM g GROUP BY 1)"
 
@@ -360,94 +372,129 @@ ORACLE_SQL = {
     "spots_in_region": f"SELECT id, grid, true AS anywhere FROM ({_SQL['locators']}) WHERE grid LIKE 'JO31%' OR grid LIKE 'JO32%'",
     "link_budgets": "SELECT p_partkey, round(10 * log10(p_size + 1), 5) AS split_db, round(10.0 - p_retailprice::DOUBLE / 100 - 10 * log10(p_size + 1) - 0.5, 5) AS input_dbm FROM part",
     "two_ray_losses": f"""
-        WITH {tq._P}, m AS (SELECT id, {tq._HAV.format(a="lat", b="lon", c="52.0", d="6.0")} AS d, {tq._BEAR.format(a="52.0", b="6.0", c="lat", d="lon")} AS az FROM p),
-        r AS (SELECT *, sqrt(d * d + 28.0 * 28) AS s1, sqrt(d * d + 32.0 * 32) AS s2, sin(atan2(32.0, d)) AS s, 15.0 - pow(cos(atan2(32.0, d)), 2) AS re, -0.005 * 299792458.0 / 446e6 * 60 AS loss FROM m),
-        z AS (SELECT *, sqrt(sqrt(re * re + loss * loss)) * cos(atan2(loss, re) / 2) AS zr, sqrt(sqrt(re * re + loss * loss)) * sin(atan2(loss, re) / 2) AS zi FROM r),
+        WITH {tq._P}, m AS (SELECT id, {tq._HAV.format(a="lat", b="lon", c="52.0", d="6.0")} AS d,
+            {tq._BEAR.format(a="52.0", b="6.0", c="lat", d="lon")} AS az FROM p),
+        r AS (SELECT *, sqrt(d * d + 28.0 * 28) AS s1, sqrt(d * d + 32.0 * 32) AS s2, sin(atan2(32.0, d)) AS s, 15.0 - pow(cos(atan2(32.0, d)),
+            2) AS re, -0.005 * 299792458.0 / 446e6 * 60 AS loss FROM m),
+        z AS (SELECT *, sqrt(sqrt(re * re + loss * loss)) * cos(atan2(loss, re) / 2) AS zr, sqrt(sqrt(re * re + loss * loss)) * sin(atan2(loss,
+            re) / 2) AS zi FROM r),
         q AS (SELECT *, 15 * s - zr AS nr, loss * s - zi AS ni, 15 * s + zr AS dr, loss * s + zi AS di FROM z),
         g AS (SELECT *, (nr * dr + ni * di) / (dr * dr + di * di) AS gr, (ni * dr - nr * di) / (dr * dr + di * di) AS gi FROM q),
         h AS (SELECT *, 1 / s1 + (gr * cos({_TURN}) + gi * sin({_TURN})) / s2 AS x, (gi * cos({_TURN}) - gr * sin({_TURN})) / s2 AS y FROM g)
         SELECT id, round(-20 * log10(299792458.0 / 446e6 / (4 * pi()) * sqrt(x * x + y * y)), 4) AS loss_db,
-               round(CASE WHEN az < 90 THEN 6 - 6 * az / 90 WHEN az < 200 THEN -12 * (az - 90) / 110 ELSE -12 + 18 * (az - 200) / 160 END, 4) AS gain_dbi FROM h""",
+               round(CASE WHEN az < 90 THEN 6 - 6 * az / 90 WHEN az < 200 THEN -12 * (az - 90) / 110 ELSE -12 + 18 * (az - 200) / 160 END,
+                   4) AS gain_dbi FROM h""",
     "reach_cells": f"{_REACH} SELECT cell, round(metres, 4) AS metres, round(bearing, 4) AS bearing, round(rx_dbm, 4) AS rx_dbm, covered FROM q",
     "reach_sectors": f"{_REACH} SELECT (floor(bearing * 12 / 360)::INT % 12)::INT AS sector, count(*) AS cells, sum(covered::INT)::BIGINT AS covered, round(max(CASE WHEN covered THEN metres END), 3) AS farthest_m FROM q GROUP BY 1",
     "raster_residuals": f"""
-        WITH {tq._P}, c AS (SELECT *, floor((53.0::DOUBLE - lat) / 0.5::DOUBLE) AS row, floor((lon - 5.0::DOUBLE) / 0.5::DOUBLE) AS col FROM p), g AS (SELECT row, col, avg(value) AS v FROM c WHERE id % 2 = 0 GROUP BY ALL)
+        WITH {tq._P}, c AS (SELECT *, floor((53.0::DOUBLE - lat) / 0.5::DOUBLE) AS row, floor((lon - 5.0::DOUBLE) / 0.5::DOUBLE) AS col FROM p),
+            g AS (SELECT row, col, avg(value) AS v FROM c WHERE id % 2 = 0 GROUP BY ALL)
         SELECT id, round(value - v, 4) AS residual FROM c JOIN g USING (row, col) WHERE id % 2 = 1""",
     "run_stamps": f"WITH {_EV} SELECT id, strftime(ts, '%Y%m%d-%H%M%SZ') || '-night-watch' AS run, us // 1000000 * 1000000 AS second_us FROM e",
     "event_latency": "SELECT event_type, count(value) AS n, round(avg(value), 5) AS mean, round(quantile_cont(value, 0.5), 5) AS p50, round(quantile_cont(value, 0.95), 5) AS p95, round(max(value), 5) AS most FROM events GROUP BY 1",
     "box_texts": f"WITH {tq._BOX} SELECT * FROM b",
     "vector_levels": """
-        SELECT vec_id, round(10 * log10(greatest(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding), 1e-20)), 4) AS dbfs,
+        SELECT vec_id, round(10 * log10(greatest(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding), 1e-20)),
+            4) AS dbfs,
                round(len(list_filter(embedding, lambda x: abs(x::DOUBLE) >= 0.2)) / len(embedding), 6) AS clipped FROM embeddings""",
     "recordable_parts": f"SELECT id, label IN ('new', 'background') AS record FROM ({_SQL['ledger_labels']})",
     "box_precision": f"{_CLAIMS} SELECT cls, truths, round(ap, 6) AS ap FROM ap",
     "box_mean_precision": f"{_CLAIMS} SELECT count(DISTINCT cls) AS classes, round(avg(ap), 6) AS map FROM ap",
     "language_gap": f"""
         WITH {tq._SCORED}, r AS (SELECT lang, ((score > 0.9)::INT = quality)::INT AS ok FROM s JOIN documents USING (doc_id))
-        SELECT count(*) FILTER (lang = 'en') AS n_a, count(*) FILTER (lang = 'de') AS n_b, round(avg(ok) FILTER (lang = 'en'), 6) AS accuracy_a, round(avg(ok) FILTER (lang = 'de'), 6) AS accuracy_b,
+        SELECT count(*) FILTER (lang = 'en') AS n_a, count(*) FILTER (lang = 'de') AS n_b, round(avg(ok) FILTER (lang = 'en'), 6) AS accuracy_a,
+            round(avg(ok) FILTER (lang = 'de'), 6) AS accuracy_b,
                round(avg(ok) FILTER (lang = 'en') - avg(ok) FILTER (lang = 'de'), 6) AS gap FROM r""",
     "decoder_agreement": f"""
-        WITH c AS ({_SQL['confirmed_labels']}), s AS (SELECT o_orderpriority AS priority, count(*) AS boxes, count(decoder) AS confirmed, count(*) FILTER (decoder IS NOT NULL AND coalesce(disagrees, false)) AS disagreements
+        WITH c AS ({_SQL['confirmed_labels']}), s AS (SELECT o_orderpriority AS priority, count(*) AS boxes, count(decoder) AS confirmed,
+            count(*) FILTER (decoder IS NOT NULL AND coalesce(disagrees, false)) AS disagreements
             FROM c JOIN orders ON o_orderkey = id GROUP BY 1)
         SELECT *, round(CASE WHEN confirmed > 0 THEN 1 - disagreements / confirmed END, 6) AS agreement FROM s""",
     "cells_over_floor": f"""
-        WITH {_HOURLY}, f AS (SELECT event_type, quantile_cont(power, 0.25) / -ln(0.75) AS floor FROM h GROUP BY 1), a AS (SELECT event_type, hour, 10 * log10(power / floor) AS above FROM h JOIN f USING (event_type))
+        WITH {_HOURLY}, f AS (SELECT event_type, quantile_cont(power, 0.25) / -ln(0.75) AS floor FROM h GROUP BY 1), a AS (SELECT event_type, hour,
+            10 * log10(power / floor) AS above FROM h JOIN f USING (event_type))
         SELECT event_type, hour, round(above, 5) AS above_db, above > {_MASK!r} AS over FROM a""",
     "tile_cells": f"""
-        WITH {_HOURLY}, r AS (SELECT event_type, (hour - (SELECT min(hour) FROM h)) // {_LAYOUT['pool']} AS k, avg(power) AS power FROM h GROUP BY ALL),
-        t AS (SELECT *, unnest(range(greatest(ceil((k - {_LAYOUT['rows'] - 1}) / {_LAYOUT['step']})::BIGINT, 0), k // {_LAYOUT['step']} + 1)) AS tile FROM r)
-        SELECT event_type, tile, k - tile * {_LAYOUT['step']} AS row, round(power, 5) AS power, round(k * {_LAYOUT['pool']} * 3600.0, 3)::DOUBLE AS begin_s, (k - tile * {_LAYOUT['step']})::DOUBLE AS back FROM t""",
+        WITH {_HOURLY}, r AS (SELECT event_type, (hour - (SELECT min(hour) FROM h)) // {_LAYOUT['pool']} AS k, avg(power) AS power FROM h
+            GROUP BY ALL),
+        t AS (SELECT *, unnest(range(greatest(ceil((k - {_LAYOUT['rows'] - 1}) / {_LAYOUT['step']})::BIGINT, 0), k // {_LAYOUT['step']} + 1)) AS tile
+            FROM r)
+        SELECT event_type, tile, k - tile * {_LAYOUT['step']} AS row, round(power, 5) AS power, round(k * {_LAYOUT['pool']} * 3600.0,
+            3)::DOUBLE AS begin_s, (k - tile * {_LAYOUT['step']})::DOUBLE AS back FROM t""",
     "run_strengths": f"""
-        WITH {_HOURLY}, b AS (SELECT event_type, "first", "last" FROM ({ev.ORACLE_SQL['hit_runs']})), m AS (SELECT h.*, b.first AS box FROM h LEFT JOIN b ON b.event_type = h.event_type AND hour BETWEEN b.first AND b.last),
+        WITH {_HOURLY}, b AS (SELECT event_type, "first", "last" FROM ({ev.ORACLE_SQL['hit_runs']})), m AS (SELECT h.*, b.first AS box FROM h LEFT
+            JOIN b ON b.event_type = h.event_type AND hour BETWEEN b.first AND b.last),
         n AS (SELECT event_type, avg(power) AS noise FROM m WHERE box IS NULL GROUP BY 1)
-        SELECT event_type, box, round(10 * log10(avg(power) / any_value(noise)), 5) AS snr_db FROM m JOIN n USING (event_type) WHERE box IS NOT NULL GROUP BY ALL""",
+        SELECT event_type, box, round(10 * log10(avg(power) / any_value(noise)), 5) AS snr_db FROM m JOIN n USING (event_type) WHERE box IS NOT NULL
+            GROUP BY ALL""",
     "interval_peaks": f"""
-        WITH g AS ({ev.ORACLE_SQL['lag_histogram']}), t AS (SELECT event_type, count(*) AS total FROM events GROUP BY 1), s AS (SELECT event_type, min(cell) AS low, max(cell) - min(cell) + 1 AS cells FROM g GROUP BY 1),
+        WITH g AS ({ev.ORACLE_SQL['lag_histogram']}), t AS (SELECT event_type, count(*) AS total FROM events GROUP BY 1), s AS (SELECT event_type,
+            min(cell) AS low, max(cell) - min(cell) + 1 AS cells FROM g GROUP BY 1),
         l AS (SELECT g.*, 0.2 * (total - lag) * exp(-(cell - low) / (0.5 * cells)) AS lim FROM g JOIN t USING (event_type) JOIN s USING (event_type))
         SELECT event_type, lag, cell, n, round(lim, 5) AS bound FROM l WHERE n > lim""",
     "user_graph": f"""
-        WITH {_EV}, a AS (SELECT DISTINCT who, us // 3600000000 AS bin FROM e), b AS (SELECT who, count(*) AS n FROM a GROUP BY 1), s AS (SELECT max(bin) - min(bin) + 1 AS bins FROM a),
-        p AS (SELECT x.who AS who_a, y.who AS who_b, count(*) AS together FROM a AS x JOIN a AS y ON x.bin = y.bin AND x.who < y.who GROUP BY ALL HAVING count(*) >= 3),
-        q AS (SELECT who_a, who_b, 'together' AS kind, together / (ba.n * bb.n / bins) AS w FROM p JOIN b AS ba ON ba.who = who_a JOIN b AS bb ON bb.who = who_b, s),
-        c AS (SELECT who, ((us // 3600000000) + 72) % 168 AS slot, count(*) AS n FROM e GROUP BY ALL), f AS (SELECT who, slot, n / sqrt(sum(n * n) OVER (PARTITION BY who)) AS share FROM c),
-        k AS (SELECT x.who AS who_a, y.who AS who_b, 'schedule' AS kind, sum(x.share * y.share) AS w FROM f AS x JOIN f AS y ON x.slot = y.slot AND x.who < y.who GROUP BY ALL HAVING sum(x.share * y.share) >= 0.45)
-        SELECT who_a, who_b, string_agg(kind, '+' ORDER BY kind) AS kinds, round(sum(w), 5) AS weight FROM (SELECT * FROM q UNION ALL SELECT * FROM k) GROUP BY ALL""",
+        WITH {_EV}, a AS (SELECT DISTINCT who, us // 3600000000 AS bin FROM e), b AS (SELECT who, count(*) AS n FROM a GROUP BY 1),
+            s AS (SELECT max(bin) - min(bin) + 1 AS bins FROM a),
+        p AS (SELECT x.who AS who_a, y.who AS who_b, count(*) AS together FROM a AS x JOIN a AS y ON x.bin = y.bin AND x.who < y.who GROUP BY ALL
+            HAVING count(*) >= 3),
+        q AS (SELECT who_a, who_b, 'together' AS kind, together / (ba.n * bb.n / bins) AS w FROM p JOIN b AS ba ON ba.who = who_a
+            JOIN b AS bb ON bb.who = who_b, s),
+        c AS (SELECT who, ((us // 3600000000) + 72) % 168 AS slot, count(*) AS n FROM e GROUP BY ALL), f AS (SELECT who, slot,
+            n / sqrt(sum(n * n) OVER (PARTITION BY who)) AS share FROM c),
+        k AS (SELECT x.who AS who_a, y.who AS who_b, 'schedule' AS kind, sum(x.share * y.share) AS w FROM f AS x JOIN f AS y ON x.slot = y.slot
+            AND x.who < y.who GROUP BY ALL HAVING sum(x.share * y.share) >= 0.45)
+        SELECT who_a, who_b, string_agg(kind, '+' ORDER BY kind) AS kinds, round(sum(w), 5) AS weight FROM (SELECT * FROM q UNION ALL SELECT * FROM k)
+            GROUP BY ALL""",
     "stale_orders": "SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 100000 AND o_custkey % 5 IN (2, 4)",
     "line_labels": """
         SELECT l_orderkey AS id, l_linenumber, l_linestatus AS source, l_quantity::DOUBLE AS value FROM lineitem WHERE l_linestatus <> 'O'
         UNION ALL SELECT o_orderkey, 0, 'O', o_totalprice::DOUBLE FROM orders""",
     "checked_actions": """
-        WITH a AS (SELECT o_orderkey, CASE o_custkey % 5 WHEN 0 THEN 'stop' WHEN 1 THEN 'dwell' WHEN 2 THEN 'transmit' ELSE 'look' END AS kind, o_totalprice::DOUBLE AS hz, (o_orderkey % 90)::DOUBLE AS d FROM orders),
-        w AS (SELECT o_orderkey, CASE WHEN kind = 'transmit' THEN 'unknown kind of action' WHEN kind <> 'stop' AND NOT hz BETWEEN 50000 AND 200000 THEN 'frequency out of range' WHEN kind = 'dwell' AND NOT (d > 0 AND d <= 60) THEN 'dwell out of range' END AS why FROM a)
+        WITH a AS (SELECT o_orderkey, CASE o_custkey % 5 WHEN 0 THEN 'stop' WHEN 1 THEN 'dwell' WHEN 2 THEN 'transmit' ELSE 'look' END AS kind,
+            o_totalprice::DOUBLE AS hz, (o_orderkey % 90)::DOUBLE AS d FROM orders),
+        w AS (SELECT o_orderkey, CASE WHEN kind = 'transmit' THEN 'unknown kind of action' WHEN kind <> 'stop' AND NOT hz BETWEEN 50000
+            AND 200000 THEN 'frequency out of range' WHEN kind = 'dwell' AND NOT (d > 0 AND d <= 60) THEN 'dwell out of range' END AS why FROM a)
         SELECT o_orderkey, why IS NULL AS ok, why FROM w""",
     "profile_names": """
-        WITH f AS (SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g') AS family, (p_size * 1000)::BIGINT AS rate, lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '-', 'g')) AS variant FROM part)
+        WITH f AS (SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g') AS family, (p_size * 1000)::BIGINT AS rate,
+            lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '-', 'g')) AS variant FROM part)
         SELECT p_partkey, family || '_' || rate || '_ci16_' || variant AS name, family, rate, 'ci16' AS kind, variant FROM f""",
     "clashing_examples": f"{_EXAMPLES} SELECT a.recording, a.id, b.id AS id_b FROM x AS a JOIN x AS b ON a.recording = b.recording AND a.id < b.id AND a.start < b.start + 2 AND b.start < a.start + 2 WHERE a.kind = 'original' AND b.kind = 'original' AND NOT a.removed AND NOT b.removed",
     "moved_examples": f"{_EXAMPLES} SELECT id, CASE WHEN recording = '7' THEN 'test' ELSE role END AS role, CASE WHEN id % 8 = 0 THEN false WHEN id % 4 = 0 THEN true ELSE removed END AS removed FROM x",
     "usable_models": """
-        WITH c AS (SELECT concat_ws('/', p_brand, p_type[1:3], p_size % 5) AS name, p_partkey AS version, p_brand AS profile, p_type[1:3] AS kind, p_size > 25 AS retired, row_number() OVER (PARTITION BY p_brand, p_type[1:3], p_size % 5 ORDER BY p_partkey DESC) AS r FROM part)
+        WITH c AS (SELECT concat_ws('/', p_brand, p_type[1:3], p_size % 5) AS name, p_partkey AS version, p_brand AS profile, p_type[1:3] AS kind,
+            p_size > 25 AS retired, row_number() OVER (PARTITION BY p_brand, p_type[1:3], p_size % 5 ORDER BY p_partkey DESC) AS r FROM part)
         SELECT name, version FROM c WHERE r = 1 AND profile = (SELECT min(profile) FROM c) AND kind = (SELECT min(kind) FROM c) AND NOT retired""",
     "next_customer_stops": """
-        WITH s AS (SELECT o_custkey AS receiver, o_orderkey AS stop, o_totalprice::DOUBLE AS o, CASE WHEN o_orderkey % 9 = 0 THEN 0 WHEN o_orderkey % 7 = 0 THEN 1 WHEN o_orderstatus = 'O' THEN 2 END AS r FROM orders),
-        k AS (SELECT *, row_number() OVER (PARTITION BY receiver ORDER BY r NULLS LAST, o, stop) AS i, count(*) FILTER (r = 0) OVER (PARTITION BY receiver) AS waiting FROM s)
+        WITH s AS (SELECT o_custkey AS receiver, o_orderkey AS stop, o_totalprice::DOUBLE AS o, CASE WHEN o_orderkey % 9 = 0 THEN 0
+            WHEN o_orderkey % 7 = 0 THEN 1 WHEN o_orderstatus = 'O' THEN 2 END AS r FROM orders),
+        k AS (SELECT *, row_number() OVER (PARTITION BY receiver ORDER BY r NULLS LAST, o, stop) AS i,
+            count(*) FILTER (r = 0) OVER (PARTITION BY receiver) AS waiting FROM s)
         SELECT receiver, waiting, CASE WHEN waiting <= 2 AND r IS NOT NULL THEN stop END AS stop FROM k WHERE i = 1""",
     "spoken_numbers": f"""
         WITH v AS (SELECT o_orderkey, o_totalprice::DOUBLE * 1000 + 1 AS hz, o_totalprice::DOUBLE / 50 + 0.001 AS s FROM orders)
-        SELECT o_orderkey, CASE WHEN hz >= 1e9 THEN {_SHOW.format(x="hz / 1e9", u=" GHz")} WHEN hz >= 1e6 THEN {_SHOW.format(x="hz / 1e6", u=" MHz")} WHEN hz >= 1e3 THEN {_SHOW.format(x="hz / 1e3", u=" kHz")} ELSE {_SHOW.format(x="hz", u=" Hz")} END AS hz,
-            CASE WHEN s >= 3600 THEN printf('%.1f h', s / 3600) WHEN s >= 60 THEN printf('%.1f min', s / 60) WHEN s >= 1 THEN printf('%.1f s', s) ELSE printf('%.1f ms', s * 1000) END AS seconds FROM v""",
+        SELECT o_orderkey, CASE WHEN hz >= 1e9 THEN {_SHOW.format(x="hz / 1e9", u=" GHz")} WHEN hz >= 1e6 THEN {_SHOW.format(x="hz / 1e6", u=" MHz")}
+            WHEN hz >= 1e3 THEN {_SHOW.format(x="hz / 1e3", u=" kHz")} ELSE {_SHOW.format(x="hz", u=" Hz")} END AS hz,
+            CASE WHEN s >= 3600 THEN printf('%.1f h', s / 3600) WHEN s >= 60 THEN printf('%.1f min', s / 60) WHEN s >= 1 THEN printf('%.1f s', s)
+                ELSE printf('%.1f ms', s * 1000) END AS seconds FROM v""",
     "novelty_verdicts": f"""
-        {_SENTENCES}, c AS (SELECT greatest(quantile_cont(score, 0.9), 0.5) AS tau FROM r), d AS (SELECT id, count(*) AS sentences, sum((score > tau)::INT)::BIGINT AS novel FROM r, c GROUP BY 1)
-        SELECT id, sentences, novel, round(novel / sentences, 6) AS share, CASE WHEN sentences < 3 THEN 'too short' WHEN novel / sentences >= 0.5 THEN 'new' WHEN novel > 0 THEN 'partly new' ELSE 'known' END AS verdict FROM d""",
+        {_SENTENCES}, c AS (SELECT greatest(quantile_cont(score, 0.9), 0.5) AS tau FROM r), d AS (SELECT id, count(*) AS sentences,
+            sum((score > tau)::INT)::BIGINT AS novel FROM r, c GROUP BY 1)
+        SELECT id, sentences, novel, round(novel / sentences, 6) AS share, CASE WHEN sentences < 3 THEN 'too short'
+            WHEN novel / sentences >= 0.5 THEN 'new' WHEN novel > 0 THEN 'partly new' ELSE 'known' END AS verdict FROM d""",
     "document_canvas": _CANVAS,
     "canvas_gaps": f"SELECT id, sum(ok::INT)::BIGINT AS found, coalesce(string_agg(CASE WHEN NOT ok THEN field END, ',' ORDER BY field), '') AS missing FROM ({_CANVAS}) GROUP BY 1",
     "price_lines": """
-        WITH f AS (SELECT l_returnflag, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem), r AS (SELECT l_returnflag, count(*) AS n, regr_slope(y, x) AS s, regr_intercept(y, x) AS i, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, sum(y * y) AS p FROM f GROUP BY 1)
-        SELECT l_returnflag, n, round(s, 4) AS slope, round(i, 4) AS intercept, round(10 * log10(greatest(greatest(syy - s * sxy, 0) / p, 1e-20)), 4) AS nmse_db FROM r""",
+        WITH f AS (SELECT l_returnflag, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem), r AS (SELECT l_returnflag,
+            count(*) AS n, regr_slope(y, x) AS s, regr_intercept(y, x) AS i, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, sum(y * y) AS p FROM f
+            GROUP BY 1)
+        SELECT l_returnflag, n, round(s, 4) AS slope, round(i, 4) AS intercept, round(10 * log10(greatest(greatest(syy - s * sxy, 0) / p, 1e-20)),
+            4) AS nmse_db FROM r""",
     "detection_curve": f"{_CURVE} SELECT bin, n, round(detected, 6) AS detected FROM curve",
     "detection_level": f"""
         {_CURVE}, l AS (SELECT bin, detected, lag(bin) OVER (ORDER BY bin) AS b, lag(detected) OVER (ORDER BY bin) AS d FROM curve)
-        SELECT round(min_by(CASE WHEN d < 0.3 THEN b + (bin - b) * (0.3::DOUBLE - d) / (detected - d) ELSE bin END, bin), 5) AS level FROM l WHERE detected >= 0.3""",
+        SELECT round(min_by(CASE WHEN d < 0.3 THEN b + (bin - b) * (0.3::DOUBLE - d) / (detected - d) ELSE bin END, bin), 5) AS level FROM l
+            WHERE detected >= 0.3""",
     "false_marks_an_hour": f"{_CLAIMS} SELECT cls, sum((NOT matched)::INT)::BIGINT AS false_marks, round(sum((NOT matched)::INT) * 3600 / 86400.0::DOUBLE, 5) AS an_hour FROM g GROUP BY 1",
     "looked_at_users": """
         WITH e AS (SELECT user_id AS cell, epoch_us(ts) AS t, (event_type = 'purchase')::INT AS f, event_id % 2 = 0 AS old FROM events)

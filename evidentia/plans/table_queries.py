@@ -399,41 +399,61 @@ _BANDS = " ".join(f"WHEN value BETWEEN {lo} AND {hi} THEN '{name}'" for name, lo
 
 ORACLE_SQL = {
     "prototype_classes": f"""
-        WITH m AS (SELECT label, d, avg(embedding[d]::DOUBLE) AS m FROM embeddings, range(1, 65) AS r(d) GROUP BY ALL), u AS (SELECT label, list(m ORDER BY d) AS v FROM m GROUP BY 1), c AS (SELECT label, v, sqrt({_DOT.format(a='v', b='v')}) AS n FROM u),
-        x AS (SELECT vec_id AS id, label, 1 - list_sum(list_transform(range(1, 65), lambda i: e.embedding[i]::DOUBLE * c.v[i])) / n / sqrt(list_sum(list_transform(range(1, 65), lambda i: e.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE))) AS distance FROM (SELECT vec_id, embedding FROM embeddings) AS e, c),
-        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, label) AS r, lead(distance) OVER (PARTITION BY id ORDER BY distance, label) AS second FROM x)
-        SELECT id, label AS nearest, round(distance, 5) AS distance, round(second, 5) AS second, CASE WHEN distance <= 0.8 THEN label::VARCHAR ELSE 'UNKNOWN' END AS answer FROM r WHERE r = 1""",
+        WITH m AS (SELECT label, d, avg(embedding[d]::DOUBLE) AS m FROM embeddings, range(1, 65) AS r(d) GROUP BY ALL), u AS (SELECT label, list(m
+            ORDER BY d) AS v FROM m GROUP BY 1), c AS (SELECT label, v, sqrt({_DOT.format(a='v', b='v')}) AS n FROM u),
+        x AS (SELECT vec_id AS id, label, 1 - list_sum(list_transform(range(1, 65),
+            lambda i: e.embedding[i]::DOUBLE * c.v[i])) / n / sqrt(list_sum(list_transform(range(1, 65),
+            lambda i: e.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE))) AS distance FROM (SELECT vec_id, embedding FROM embeddings) AS e, c),
+        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, label) AS r, lead(distance) OVER (PARTITION BY id ORDER BY distance,
+            label) AS second FROM x)
+        SELECT id, label AS nearest, round(distance, 5) AS distance, round(second, 5) AS second, CASE WHEN distance <= 0.8 THEN label::VARCHAR
+            ELSE 'UNKNOWN' END AS answer FROM r WHERE r = 1""",
     "prototype_thresholds": """
-        WITH e AS (SELECT vec_id, label, d, embedding[d]::DOUBLE AS x FROM embeddings, range(1, 65) AS r(d)), t AS (SELECT *, sum(x) OVER (PARTITION BY label, d) - x AS o FROM e), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),
+        WITH e AS (SELECT vec_id, label, d, embedding[d]::DOUBLE AS x FROM embeddings, range(1, 65) AS r(d)), t AS (SELECT *,
+            sum(x) OVER (PARTITION BY label, d) - x AS o FROM e), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),
         d AS (SELECT vec_id, label, 1 - sum(x * o) / sqrt(sum(x * x)) / sqrt(sum(o * o)) AS q FROM t GROUP BY ALL)
-        SELECT label, any_value(n) AS n, round(least(greatest(CASE WHEN any_value(n) < 10 THEN quantile_cont(q, 0.95) * 1.25 ELSE quantile_cont(q, 0.95) END, 0.0001), 2.0), 5) AS threshold FROM d JOIN n USING (label) WHERE n > 1 GROUP BY label""",
+        SELECT label, any_value(n) AS n, round(least(greatest(CASE WHEN any_value(n) < 10 THEN quantile_cont(q, 0.95) * 1.25 ELSE quantile_cont(q,
+            0.95) END, 0.0001), 2.0), 5) AS threshold FROM d JOIN n USING (label) WHERE n > 1 GROUP BY label""",
     "emitter_library": f"WITH {_FEAT}, {_LIB} SELECT emitter, feature, n, round(mean, 4) AS mean, round(var, 3) AS var FROM lib",
     "pooled_variance": f"WITH {_FEAT}, {_LIB} SELECT feature, round(pooled, 3) AS pooled FROM pv",
     "emitter_match": f"""
         WITH {_FEAT}, {_LIB}, q AS (SELECT l_orderkey * 10 + l_linenumber AS id, feature, value FROM f WHERE l_orderkey % 100 = 0),
-        d AS (SELECT id, emitter, count(*) AS used, sqrt(avg(pow(value - mean, 2) / pooled)) AS distance FROM q JOIN lib USING (feature) JOIN pv USING (feature) WHERE pooled > 0 GROUP BY ALL),
+        d AS (SELECT id, emitter, count(*) AS used, sqrt(avg(pow(value - mean, 2) / pooled)) AS distance FROM q JOIN lib USING (feature)
+            JOIN pv USING (feature) WHERE pooled > 0 GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, emitter) AS r FROM d)
-        SELECT id, emitter AS nearest, round(distance, 5) AS distance, used, CASE WHEN used = 4 AND distance <= {_LIMIT!r} THEN emitter::VARCHAR ELSE 'UNKNOWN' END AS answer FROM r WHERE r = 1""",
+        SELECT id, emitter AS nearest, round(distance, 5) AS distance, used, CASE WHEN used = 4 AND distance <= {_LIMIT!r} THEN emitter::VARCHAR
+            ELSE 'UNKNOWN' END AS answer FROM r WHERE r = 1""",
     "ledger_labels": """
         WITH f AS (SELECT p_partkey AS id, p_retailprice::DOUBLE AS value FROM part)
-        SELECT id, value, CASE WHEN EXISTS (SELECT 1 FROM f AS k WHERE k.id % 7 = 0 AND abs(k.value - f.value) <= 0.05) THEN 'receiver' WHEN EXISTS (SELECT 1 FROM f AS k WHERE k.id % 5 = 0 AND abs(k.value - f.value) <= 0.2) THEN 'background' ELSE 'new' END AS label FROM f""",
+        SELECT id, value, CASE WHEN EXISTS (SELECT 1 FROM f AS k WHERE k.id % 7 = 0 AND abs(k.value - f.value) <= 0.05) THEN 'receiver'
+            WHEN EXISTS (SELECT 1 FROM f AS k WHERE k.id % 5 = 0 AND abs(k.value - f.value) <= 0.2) THEN 'background' ELSE 'new' END AS label
+            FROM f""",
     "order_overlaps": f"WITH {_BOX} SELECT x.id, y.id AS id_b, round({_IOU}, 6) AS iou FROM b AS x JOIN b AS y ON x.grp = y.grp AND x.id < y.id AND x.t0 < y.t1 AND y.t0 < x.t1 WHERE {_IOU} > 0.2",
     "claimed_boxes": f"""
-        WITH {_BOX}, p AS (SELECT x.id, y.id AS id_b, x.t0, round({_IOU}, 9) AS iou FROM b AS x JOIN b AS y ON x.grp = y.grp AND x.id % 2 = 0 AND y.id % 2 = 1 AND x.t0 < y.t1 AND y.t0 < x.t1),
+        WITH {_BOX}, p AS (SELECT x.id, y.id AS id_b, x.t0, round({_IOU}, 9) AS iou FROM b AS x JOIN b AS y ON x.grp = y.grp AND x.id % 2 = 0
+            AND y.id % 2 = 1 AND x.t0 < y.t1 AND y.t0 < x.t1),
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY iou DESC, id_b) AS r FROM p WHERE iou >= 0.2)
         SELECT id, id_b, round(iou, 6) AS iou, row_number() OVER (PARTITION BY id_b ORDER BY t0 DESC, id) = 1 AS matched FROM r WHERE r = 1""",
     "owned_boxes": f"WITH {_BOX}, o AS (SELECT *, floor(t0 / 10) * 10 AS a FROM b) SELECT id, greatest(t0, a) AS t0, least(t1, a + 10) AS t1 FROM o WHERE (t0 + t1) / 2 >= a AND (t0 + t1) / 2 < a + 10",
     "confirmed_labels": """
         WITH b AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'UNKNOWN' ELSE o_orderstatus END AS cls FROM orders),
-        r AS (SELECT l_orderkey AS id, l_linenumber, l_linestatus AS label, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linestatus) AS r FROM lineitem WHERE l_discount > 0.05)
-        SELECT b.id, 'd' || l_linenumber AS decoder, coalesce(label, cls) AS label, label <> cls AS disagrees FROM b LEFT JOIN (SELECT * FROM r WHERE r = 1) AS r ON r.id = b.id AND cls <> 'UNKNOWN'""",
+        r AS (SELECT l_orderkey AS id, l_linenumber, l_linestatus AS label, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,
+            l_linestatus) AS r FROM lineitem WHERE l_discount > 0.05)
+        SELECT b.id, 'd' || l_linenumber AS decoder, coalesce(label, cls) AS label, label <> cls AS disagrees FROM b LEFT JOIN (SELECT * FROM r
+            WHERE r = 1) AS r ON r.id = b.id AND cls <> 'UNKNOWN'""",
     "label_confusion": f"WITH {_SCORED} SELECT quality AS truth, (score > 0.9)::INT AS guess, count(*) AS n FROM s GROUP BY ALL",
     "label_scores": f"""
-        WITH {_SCORED}, q AS (SELECT quality AS t, (score > 0.9)::INT AS g FROM s), c AS (SELECT DISTINCT t AS class FROM q), x AS (SELECT class, (SELECT count(*) FROM q WHERE t = class) AS support, (SELECT count(*) FROM q WHERE g = class) AS said, (SELECT count(*) FROM q WHERE t = class AND g = class) AS hits FROM c)
-        SELECT class, support, round(CASE WHEN said > 0 THEN hits / said ELSE 0 END, 6) AS precision, round(hits / support, 6) AS recall, round(2 * hits / (support + said), 6) AS f1 FROM x""",
+        WITH {_SCORED}, q AS (SELECT quality AS t, (score > 0.9)::INT AS g FROM s), c AS (SELECT DISTINCT t AS class FROM q), x AS (SELECT class,
+            (SELECT count(*) FROM q WHERE t = class) AS support, (SELECT count(*) FROM q WHERE g = class) AS said, (SELECT count(*) FROM q
+            WHERE t = class AND g = class) AS hits FROM c)
+        SELECT class, support, round(CASE WHEN said > 0 THEN hits / said ELSE 0 END, 6) AS precision, round(hits / support, 6) AS recall,
+            round(2 * hits / (support + said), 6) AS f1 FROM x""",
     "label_summary": f"""
-        WITH {_SCORED}, q AS (SELECT quality AS t, (score > 0.9)::INT AS g FROM s), c AS (SELECT DISTINCT t AS class FROM q), x AS (SELECT class, (SELECT count(*) FROM q WHERE t = class) AS support, (SELECT count(*) FROM q WHERE g = class) AS said, (SELECT count(*) FROM q WHERE t = class AND g = class) AS hits FROM c)
-        SELECT count(*) AS n, round(avg((t = g)::INT), 6) AS accuracy, round((SELECT avg(2 * hits / (support + said)) FROM x), 6) AS macro_f1 FROM q""",
+        WITH {_SCORED}, q AS (SELECT quality AS t, (score > 0.9)::INT AS g FROM s), c AS (SELECT DISTINCT t AS class FROM q), x AS (SELECT class,
+            (SELECT count(*) FROM q WHERE t = class) AS support, (SELECT count(*) FROM q WHERE g = class) AS said, (SELECT count(*) FROM q
+            WHERE t = class AND g = class) AS hits FROM c)
+        SELECT count(*) AS n, round(avg((t = g)::INT), 6) AS accuracy, round((SELECT avg(2 * hits / (support + said)) FROM x), 6) AS macro_f1
+            FROM q""",
     "label_reliability": f"WITH {_SCORED} SELECT least(greatest(ceil(score * 15), 1), 15)::INT AS bin, count(*) AS n, round(avg(score), 6) AS confidence, round(avg((quality = 1)::INT), 6) AS accuracy FROM s GROUP BY 1",
     "label_calibration": f"WITH {_SCORED}, r AS (SELECT least(greatest(ceil(score * 15), 1), 15)::INT AS bin, count(*) AS n, avg(score) AS c, avg((quality = 1)::INT) AS a FROM s GROUP BY 1) SELECT sum(n)::BIGINT AS n, round(sum(n * abs(a - c)) / sum(n), 6) AS ece FROM r",
     "label_average_precision": f"WITH {_SCORED}, {_CUM}, b AS (SELECT *, max(tp / (tp + fp)) OVER (ORDER BY score) AS best FROM c) SELECT sum(pos)::BIGINT AS positives, round(sum(pos * best) / sum(pos), 6) AS ap FROM b",
@@ -441,58 +461,86 @@ ORACLE_SQL = {
     "label_operating_point": f"WITH {_SCORED}, {_CUM}, t AS (SELECT sum(pos) AS p, sum(neg) AS n FROM g) SELECT min(score) AS threshold, round(min_by(tp / p, score), 6) AS detected, round(min_by(fp / n, score), 6) AS false_rate FROM c, t WHERE fp <= 0.1 * n",
     "label_auc": f"WITH {_SCORED}, {_CUM} SELECT sum(pos)::BIGINT AS positives, sum(neg)::BIGINT AS negatives, round(sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM c",
     "price_spearman": """
-        WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS b FROM lineitem)
+        WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS a,
+            rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS b FROM lineitem)
         SELECT count(*) AS n, round(corr(a, b), 6) AS spearman FROM r""",
     "price_kendall": """
-        WITH c AS (SELECT trunc(l_quantity)::INT AS a, floor(l_extendedprice / 10000) AS b, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT sum(n) AS n FROM c),
-        s AS (SELECT sum(sign(x.a - y.a) * sign(x.b - y.b) * x.n * y.n) / 2 AS s FROM c AS x, c AS y), ta AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY a)), tb AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY b))
+        WITH c AS (SELECT trunc(l_quantity)::INT AS a, floor(l_extendedprice / 10000) AS b, count(*) AS n FROM lineitem GROUP BY ALL),
+            t AS (SELECT sum(n) AS n FROM c),
+        s AS (SELECT sum(sign(x.a - y.a) * sign(x.b - y.b) * x.n * y.n) / 2 AS s FROM c AS x, c AS y), ta AS (SELECT sum(n * (n - 1) / 2) AS v
+            FROM (SELECT sum(n) AS n FROM c GROUP BY a)), tb AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY b))
         SELECT t.n::BIGINT AS n, round(s / sqrt((t.n * (t.n - 1) / 2 - ta.v) * (t.n * (t.n - 1) / 2 - tb.v)), 6) AS tau_b FROM t, s, ta, tb""",
     "price_quantile": "SELECT min(o_totalprice) AS threshold, any_value(n) AS n FROM (SELECT o_totalprice, count(*) OVER (ORDER BY o_totalprice) AS upto, count(*) OVER () AS n FROM orders) WHERE upto >= 0.95 * n",
     "tfidf_nearest": f"""
-        WITH dt AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_WORDS.format(t='text')}) AS term FROM documents) WHERE term NOT IN ({_STOP}) GROUP BY ALL), bt AS (SELECT id, term, count(*) AS tf FROM (SELECT item_id AS id, unnest({_WORDS.format(t='text')}) AS term FROM benchmark) WHERE term NOT IN ({_STOP}) GROUP BY ALL),
+        WITH dt AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_WORDS.format(t='text')}) AS term FROM documents)
+            WHERE term NOT IN ({_STOP}) GROUP BY ALL), bt AS (SELECT id, term, count(*) AS tf FROM (SELECT item_id AS id,
+            unnest({_WORDS.format(t='text')}) AS term FROM benchmark) WHERE term NOT IN ({_STOP}) GROUP BY ALL),
         n AS (SELECT count(DISTINCT id) AS n FROM bt), df AS (SELECT term, count(*) AS df FROM bt GROUP BY 1),
-        dw AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM dt LEFT JOIN df USING (term), n), bw AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM bt LEFT JOIN df USING (term), n),
-        dn AS (SELECT id, sqrt(sum(w * w)) AS l FROM dw GROUP BY 1), bn AS (SELECT id, sqrt(sum(w * w)) AS l FROM bw GROUP BY 1), c AS (SELECT dw.id, bw.id AS o, sum(dw.w * bw.w) AS s FROM dw JOIN bw USING (term) GROUP BY ALL)
+        dw AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM dt LEFT JOIN df USING (term), n), bw AS (SELECT id,
+            term, (1 + ln(tf)) * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM bt LEFT JOIN df USING (term), n),
+        dn AS (SELECT id, sqrt(sum(w * w)) AS l FROM dw GROUP BY 1), bn AS (SELECT id, sqrt(sum(w * w)) AS l FROM bw GROUP BY 1), c AS (SELECT dw.id,
+            bw.id AS o, sum(dw.w * bw.w) AS s FROM dw JOIN bw USING (term) GROUP BY ALL)
         SELECT c.id, round(max(s / dn.l / bn.l), 6) AS cosine FROM c JOIN dn ON dn.id = c.id JOIN bn ON bn.id = c.o GROUP BY c.id""",
     "gram_containment": f"""
         WITH d AS ({_grams_of('documents', 'doc_id')}), b AS (SELECT DISTINCT gram FROM ({_grams_of('benchmark', 'item_id')}))
-        SELECT id, count(*) AS grams, count(b.gram) AS seen, round(count(b.gram) / count(*), 6) AS contained FROM d LEFT JOIN b ON d.gram = b.gram GROUP BY id""",
+        SELECT id, count(*) AS grams, count(b.gram) AS seen, round(count(b.gram) / count(*), 6) AS contained FROM d LEFT JOIN b ON d.gram = b.gram
+            GROUP BY id""",
     "novelty_rank": f"""
-        WITH s AS (SELECT doc_id AS id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+        WITH s AS (SELECT doc_id AS id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(10),
+            'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
         p AS (SELECT id, i, {_WORDS.format(t='l[i]')} AS w FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM s)),
-        g AS (SELECT id, i, unnest({_GRAMS.format(w='w')}) AS gram FROM p WHERE len(w) > 0), b AS (SELECT DISTINCT gram FROM ({_grams_of('benchmark', 'item_id')})),
-        f AS (SELECT id, i, count(*) AS fresh FROM (SELECT id, gram, min(i) AS i FROM g GROUP BY ALL) WHERE gram NOT IN (SELECT gram FROM b) GROUP BY ALL),
-        t AS (SELECT id, i, count(*) AS grams FROM g GROUP BY ALL), r AS (SELECT t.id, grams, coalesce(fresh, 0) / grams AS score FROM t LEFT JOIN f ON f.id = t.id AND f.i = t.i)
+        g AS (SELECT id, i, unnest({_GRAMS.format(w='w')}) AS gram FROM p WHERE len(w) > 0), b AS (SELECT DISTINCT gram
+            FROM ({_grams_of('benchmark', 'item_id')})),
+        f AS (SELECT id, i, count(*) AS fresh FROM (SELECT id, gram, min(i) AS i FROM g GROUP BY ALL) WHERE gram NOT IN (SELECT gram FROM b)
+            GROUP BY ALL),
+        t AS (SELECT id, i, count(*) AS grams FROM g GROUP BY ALL), r AS (SELECT t.id, grams, coalesce(fresh, 0) / grams AS score FROM t LEFT
+            JOIN f ON f.id = t.id AND f.i = t.i)
         SELECT id, round(sum(grams * greatest(score - 0.5, 0)), 4) AS added, sum((score > 0.5)::INT)::BIGINT AS novel_sentences FROM r GROUP BY 1""",
     "suspect_text": r"""
-        SELECT doc_id, least(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '(?i)\b(ignore|disregard|forget)\b.{0,40}\b(instruction|instructions|above|previous|prompt)\b|\byou are now\b|\bsystem prompt\b'))), 5)::INT AS suspect,
-            len(regexp_extract_all(coalesce(text, ''), '(?i)\[(?:redacted|removed|withheld)\]|█{2,}|\bX{4,}\b'))::INT AS redacted, substr(sha256(coalesce(text, '')), 1, 8) AS fence FROM documents""",
+        SELECT doc_id, least(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x,
+            '(?i)\b(ignore|disregard|forget)\b.{0,40}\b(instruction|instructions|above|previous|prompt)\b|\byou are now\b|\bsystem prompt\b'))),
+            5)::INT AS suspect,
+            len(regexp_extract_all(coalesce(text, ''), '(?i)\[(?:redacted|removed|withheld)\]|█{2,}|\bX{4,}\b'))::INT AS redacted,
+                substr(sha256(coalesce(text, '')), 1, 8) AS fence FROM documents""",
     "idw_estimates": f"""
-        WITH {_P}, n AS (SELECT x.id, y.id AS sid, y.value, {_HAV.format(a='x.lat', b='x.lon', c='y.lat', d='y.lon')} AS m FROM p AS x JOIN p AS y ON x.id % 3 = 0 AND y.id % 3 <> 0 AND abs(x.lat - y.lat) < 0.3),
+        WITH {_P}, n AS (SELECT x.id, y.id AS sid, y.value, {_HAV.format(a='x.lat', b='x.lon', c='y.lat', d='y.lon')} AS m FROM p AS x
+            JOIN p AS y ON x.id % 3 = 0 AND y.id % 3 <> 0 AND abs(x.lat - y.lat) < 0.3),
         k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, sid) AS r FROM n WHERE m <= 15000) WHERE r <= 8),
-        e AS (SELECT id, count(*) AS used, coalesce(min_by(value, sid) FILTER (m < 1e-6), sum(value / m / m) FILTER (m >= 1e-6) / sum(1 / m / m) FILTER (m >= 1e-6)) AS estimate FROM k GROUP BY 1)
+        e AS (SELECT id, count(*) AS used, coalesce(min_by(value, sid) FILTER (m < 1e-6),
+            sum(value / m / m) FILTER (m >= 1e-6) / sum(1 / m / m) FILTER (m >= 1e-6)) AS estimate FROM k GROUP BY 1)
         SELECT p.id, used, round(estimate, 3) AS estimate FROM p LEFT JOIN e USING (id) WHERE p.id % 3 = 0""",
     "value_variogram": f"""
-        WITH {_P}, d AS (SELECT {_HAV.format(a='x.lat', b='x.lon', c='y.lat', d='y.lon')} AS m, x.value - y.value AS v FROM p AS x JOIN p AS y ON x.id < y.id AND abs(x.lat - y.lat) < 0.2), l AS (SELECT *, CASE WHEN m < 2000 THEN 0 WHEN m < 5000 THEN 1 WHEN m < 10000 THEN 2 END AS lag FROM d)
-        SELECT lag, count(*) AS pairs, round(avg(m), 2) AS metres, round(avg(v * v) / 2, 1) AS semivariance FROM l WHERE lag IS NOT NULL GROUP BY 1 HAVING count(*) >= 3""",
+        WITH {_P}, d AS (SELECT {_HAV.format(a='x.lat', b='x.lon', c='y.lat', d='y.lon')} AS m, x.value - y.value AS v FROM p AS x
+            JOIN p AS y ON x.id < y.id AND abs(x.lat - y.lat) < 0.2), l AS (SELECT *, CASE WHEN m < 2000 THEN 0 WHEN m < 5000 THEN 1
+            WHEN m < 10000 THEN 2 END AS lag FROM d)
+        SELECT lag, count(*) AS pairs, round(avg(m), 2) AS metres, round(avg(v * v) / 2, 1) AS semivariance FROM l WHERE lag IS NOT NULL GROUP BY 1
+            HAVING count(*) >= 3""",
     "merged_samples": f"WITH {_P} SELECT floor(lat / 0.25)::BIGINT AS row, floor(lon / 0.25)::BIGINT AS col, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, round(avg(value), 4) AS value FROM p GROUP BY 1, 2",
     "fold_errors": "WITH e AS (SELECT l_orderkey % 5 AS fold, l_quantity * 1400 - l_extendedprice AS e FROM lineitem) SELECT fold, count(*) AS n, round(sqrt(avg(e * e)), 2) AS rmse, round(avg(abs(e)), 2) AS mae, round(avg(e), 2) AS bias FROM e GROUP BY 1",
     "geodesy": f"""
         WITH {_P}, m AS (SELECT *, {_HAV.format(a='lat', b='lon', c='52.0', d='6.0')} AS m FROM p)
-        SELECT id, round(m, 2) AS metres, round({_BEAR.format(a='lat', b='lon', c='52.0', d='6.0')}, 5) AS bearing, round(20 * log10(4 * pi() * greatest(m, 1) / (299792458.0 / 446e6)), 5) AS loss_db FROM m""",
+        SELECT id, round(m, 2) AS metres, round({_BEAR.format(a='lat', b='lon', c='52.0', d='6.0')}, 5) AS bearing,
+            round(20 * log10(4 * pi() * greatest(m, 1) / (299792458.0 / 446e6)), 5) AS loss_db FROM m""",
     "locators": f"""
-        WITH {_P}, a AS (SELECT id, lon + 180 AS x, lat + 90 AS y FROM p), b AS (SELECT *, floor(x / 20)::INT AS a1, floor(y / 10)::INT AS b1 FROM a), c AS (SELECT *, x - a1 * 20.0 AS x2, y - b1 * 10.0 AS y2 FROM b),
+        WITH {_P}, a AS (SELECT id, lon + 180 AS x, lat + 90 AS y FROM p), b AS (SELECT *, floor(x / 20)::INT AS a1, floor(y / 10)::INT AS b1 FROM a),
+            c AS (SELECT *, x - a1 * 20.0 AS x2, y - b1 * 10.0 AS y2 FROM b),
         d AS (SELECT *, floor(x2 / 2)::INT AS a2, floor(y2 / 1)::INT AS b2 FROM c), e AS (SELECT *, x2 - a2 * 2.0 AS x3, y2 - b2 * 1.0 AS y3 FROM d)
-        SELECT id, chr(65 + a1) || chr(65 + b1) || a2 || b2 || chr(97 + floor(x3 / (2.0 / 24))::INT) || chr(97 + floor(y3 / (1.0 / 24))::INT) AS grid FROM e""",
+        SELECT id, chr(65 + a1) || chr(65 + b1) || a2 || b2 || chr(97 + floor(x3 / (2.0 / 24))::INT) || chr(97 + floor(y3 / (1.0 / 24))::INT) AS grid
+            FROM e""",
     "band_counts": f"SELECT CASE {_BANDS} ELSE '' END AS band, count(*) AS n FROM events GROUP BY 1",
     "rolled_counts": "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "dataset_plan": """
-        WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS type, CASE o_custkey % 5 WHEN 2 THEN 'test' WHEN 4 THEN 'val' ELSE 'train' END AS role FROM orders WHERE o_orderkey % 2 = 1)
+        WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS type, CASE o_custkey % 5 WHEN 2 THEN 'test' WHEN 4 THEN 'val' ELSE 'train' END AS role
+            FROM orders WHERE o_orderkey % 2 = 1)
         SELECT id, type, role, 'original' AS kind FROM o UNION ALL
-        SELECT o_orderkey, o_orderpriority, 'train', 'copy' FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey % 7 NOT IN (3, 5) AND (o_custkey % 11 = 0 OR o_orderkey - 1 IN (SELECT id FROM o WHERE role = 'train'))""",
+        SELECT o_orderkey, o_orderpriority, 'train', 'copy' FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey % 7 NOT IN (3, 5)
+            AND (o_custkey % 11 = 0 OR o_orderkey - 1 IN (SELECT id FROM o WHERE role = 'train'))""",
     "weak_tests": """
-        WITH o AS (SELECT o_orderpriority AS type, o_custkey AS grp, CASE o_orderkey % 5 WHEN 2 THEN 'test' WHEN 4 THEN 'val' ELSE 'train' END AS role FROM orders)
-        SELECT type, count(DISTINCT grp) AS tests, count(DISTINCT CASE WHEN grp NOT IN (SELECT grp FROM o WHERE role = 'train') THEN grp END) AS apart, count(DISTINCT CASE WHEN grp NOT IN (SELECT grp FROM o WHERE role = 'train') THEN grp END) = 0 AS weak FROM o WHERE role = 'test' GROUP BY 1""",
+        WITH o AS (SELECT o_orderpriority AS type, o_custkey AS grp, CASE o_orderkey % 5 WHEN 2 THEN 'test' WHEN 4 THEN 'val' ELSE 'train' END AS role
+            FROM orders)
+        SELECT type, count(DISTINCT grp) AS tests, count(DISTINCT CASE WHEN grp NOT IN (SELECT grp FROM o
+            WHERE role = 'train') THEN grp END) AS apart, count(DISTINCT CASE WHEN grp NOT IN (SELECT grp FROM o
+            WHERE role = 'train') THEN grp END) = 0 AS weak FROM o WHERE role = 'test' GROUP BY 1""",
     "row_problems": """
         SELECT l_orderkey * 10 + l_linenumber AS id, 'quantity must be under 49' AS problem FROM lineitem WHERE NOT l_quantity < 49 UNION ALL
         SELECT l_orderkey * 10 + l_linenumber, 'discount must not exceed tax by 0.09' FROM lineitem WHERE NOT l_discount - l_tax < 0.09""",
@@ -500,35 +548,58 @@ ORACLE_SQL = {
     "unusual_orders": "WITH f AS (SELECT o_totalprice AS v FROM orders WHERE o_orderstatus = 'F'), r AS (SELECT v, count(*) OVER (ORDER BY v) AS upto FROM f) SELECT o_orderkey, round(100 * coalesce((SELECT max(upto) FROM r WHERE v <= o_totalprice), 0) / (SELECT count(*) FROM f), 5) AS percentile FROM orders",
     "tiers_of_priorities": f"SELECT {_TIER} AS tier, count(*) AS n, {_TIER} = 'measured' AS record FROM orders GROUP BY ALL",
     "style_divergence": """
-        WITH l AS (SELECT lang, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents), c AS (SELECT lang AS g, CASE WHEN n <= 50 THEN 0 WHEN n <= 100 THEN 1 WHEN n <= 200 THEN 2 WHEN n <= 400 THEN 3 WHEN n <= 800 THEN 4 ELSE 5 END AS cell, count(*) AS n FROM l GROUP BY ALL),
-        s AS (SELECT g, cell, n / sum(n) OVER (PARTITION BY g) AS p FROM c), k AS (SELECT a.g AS a, b.g AS b, cell FROM (SELECT DISTINCT g FROM s) AS a JOIN (SELECT DISTINCT g FROM s) AS b ON a.g < b.g, (SELECT DISTINCT cell FROM s)),
-        j AS (SELECT k.a, k.b, coalesce(x.p, 0) AS p, coalesce(y.p, 0) AS q FROM k LEFT JOIN s AS x ON x.g = a AND x.cell = k.cell LEFT JOIN s AS y ON y.g = b AND y.cell = k.cell)
-        SELECT a AS group_a, b AS group_b, round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 6) AS bits FROM j GROUP BY ALL""",
+        WITH l AS (SELECT lang, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents), c AS (SELECT lang AS g,
+            CASE WHEN n <= 50 THEN 0 WHEN n <= 100 THEN 1 WHEN n <= 200 THEN 2 WHEN n <= 400 THEN 3 WHEN n <= 800 THEN 4 ELSE 5 END AS cell,
+            count(*) AS n FROM l GROUP BY ALL),
+        s AS (SELECT g, cell, n / sum(n) OVER (PARTITION BY g) AS p FROM c), k AS (SELECT a.g AS a, b.g AS b, cell FROM (SELECT DISTINCT g
+            FROM s) AS a JOIN (SELECT DISTINCT g FROM s) AS b ON a.g < b.g, (SELECT DISTINCT cell FROM s)),
+        j AS (SELECT k.a, k.b, coalesce(x.p, 0) AS p, coalesce(y.p, 0) AS q FROM k LEFT JOIN s AS x ON x.g = a AND x.cell = k.cell LEFT
+            JOIN s AS y ON y.g = b AND y.cell = k.cell)
+        SELECT a AS group_a, b AS group_b, round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE
+            WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 6) AS bits FROM j GROUP BY ALL""",
     "style_delta": f"""
-        WITH w AS (SELECT doc_id AS id, lang, unnest({_WORDS.format(t='text')}) AS word FROM documents), n AS (SELECT id, lang, count(*) AS n FROM w GROUP BY ALL), c AS (SELECT id, word, count(*) AS c FROM w WHERE word IN ({_STOP}) GROUP BY ALL),
-        top AS (SELECT word FROM c GROUP BY 1 ORDER BY sum(c) DESC, word LIMIT 30), r AS (SELECT n.id, lang, top.word, 1000 * coalesce(c, 0) / n AS rate FROM n CROSS JOIN top LEFT JOIN c ON c.id = n.id AND c.word = top.word),
+        WITH w AS (SELECT doc_id AS id, lang, unnest({_WORDS.format(t='text')}) AS word FROM documents), n AS (SELECT id, lang, count(*) AS n FROM w
+            GROUP BY ALL), c AS (SELECT id, word, count(*) AS c FROM w WHERE word IN ({_STOP}) GROUP BY ALL),
+        top AS (SELECT word FROM c GROUP BY 1 ORDER BY sum(c) DESC, word LIMIT 30), r AS (SELECT n.id, lang, top.word, 1000 * coalesce(c,
+            0) / n AS rate FROM n CROSS JOIN top LEFT JOIN c ON c.id = n.id AND c.word = top.word),
         z AS (SELECT word, stddev_samp(rate) AS sd FROM r GROUP BY 1), m AS (SELECT lang, word, avg(rate) AS rate FROM r GROUP BY ALL)
-        SELECT a.lang AS group_a, b.lang AS group_b, round(avg(abs(a.rate - b.rate) / sd), 5) AS delta FROM m AS a JOIN m AS b ON a.word = b.word AND a.lang < b.lang JOIN z ON z.word = a.word WHERE sd > 0 GROUP BY ALL""",
+        SELECT a.lang AS group_a, b.lang AS group_b, round(avg(abs(a.rate - b.rate) / sd), 5) AS delta FROM m AS a JOIN m AS b ON a.word = b.word
+            AND a.lang < b.lang JOIN z ON z.word = a.word WHERE sd > 0 GROUP BY ALL""",
     "document_style": f"""
-        WITH b AS (SELECT conv_id * 1000 + turn AS id, coalesce(text, '') AS t, {_WORDS.format(t='text')} AS w FROM conversations), c AS (SELECT *, len(w) AS n, greatest(len(regexp_extract_all(t, '[.!?](\\s|$)')), 1) AS s FROM b)
-        SELECT id, n::BIGINT AS n_words, s::BIGINT AS sentences, round(CASE WHEN n > 0 THEN 1000 * len(list_filter(w, lambda x: list_contains([{_STOP}], x))) / n ELSE 0 END, 5) AS stop_rate, round(n / s, 5) AS sentence_words, round((length(t) - length(replace(t, ',', ''))) / s, 5) AS sentence_commas,
-            round(CASE WHEN n > 0 THEN list_avg(list_transform(range(1, greatest(n - 49, 1) + 1), lambda i: len(list_distinct(w[i:i+49])) / least(n, 50))) END, 5) AS richness FROM c""",
+        WITH b AS (SELECT conv_id * 1000 + turn AS id, coalesce(text, '') AS t, {_WORDS.format(t='text')} AS w FROM conversations), c AS (SELECT *,
+            len(w) AS n, greatest(len(regexp_extract_all(t, '[.!?](\\s|$)')), 1) AS s FROM b)
+        SELECT id, n::BIGINT AS n_words, s::BIGINT AS sentences, round(CASE WHEN n > 0 THEN 1000 * len(list_filter(w,
+            lambda x: list_contains([{_STOP}], x))) / n ELSE 0 END, 5) AS stop_rate, round(n / s, 5) AS sentence_words,
+            round((length(t) - length(replace(t, ',', ''))) / s, 5) AS sentence_commas,
+            round(CASE WHEN n > 0 THEN list_avg(list_transform(range(1, greatest(n - 49, 1) + 1), lambda i: len(list_distinct(w[i:i+49])) / least(n,
+                50))) END, 5) AS richness FROM c""",
     "fingerprint_places": """
-        WITH li AS (SELECT * FROM lineitem), k0 AS (SELECT l_suppkey AS place, l_linenumber AS key, avg(-l_quantity - 50) AS level FROM li GROUP BY ALL), k AS (SELECT * FROM k0 WHERE key IN (SELECT key FROM k0 GROUP BY 1 HAVING count(*) >= 3)),
-        h AS (SELECT l_orderkey AS qid, l_linenumber AS key, (-l_quantity - 50)::DOUBLE AS level FROM li WHERE l_orderkey % 100 = 0), m AS (SELECT qid, sum(-2.5 * ln(1 + pow((level + 110) / 6, 2) / 4)) AS missed FROM h GROUP BY 1),
-        p AS (SELECT qid, place, count(*) AS shared, sum(-2.5 * ln(1 + pow((h.level - k.level) / 6, 2) / 4)) AS hit, sum(-2.5 * ln(1 + pow((h.level + 110) / 6, 2) / 4)) AS ins FROM h JOIN k USING (key) GROUP BY ALL)
+        WITH li AS (SELECT * FROM lineitem), k0 AS (SELECT l_suppkey AS place, l_linenumber AS key, avg(-l_quantity - 50) AS level FROM li
+            GROUP BY ALL), k AS (SELECT * FROM k0 WHERE key IN (SELECT key FROM k0 GROUP BY 1 HAVING count(*) >= 3)),
+        h AS (SELECT l_orderkey AS qid, l_linenumber AS key, (-l_quantity - 50)::DOUBLE AS level FROM li WHERE l_orderkey % 100 = 0),
+            m AS (SELECT qid, sum(-2.5 * ln(1 + pow((level + 110) / 6, 2) / 4)) AS missed FROM h GROUP BY 1),
+        p AS (SELECT qid, place, count(*) AS shared, sum(-2.5 * ln(1 + pow((h.level - k.level) / 6, 2) / 4)) AS hit,
+            sum(-2.5 * ln(1 + pow((h.level + 110) / 6, 2) / 4)) AS ins FROM h JOIN k USING (key) GROUP BY ALL)
         SELECT qid, place, shared, round(missed - ins + hit, 5) + 0.0 AS loglik FROM p JOIN m USING (qid)""",
     "extracted_licence": rf"""
-        WITH g AS (SELECT doc_id, text, nullif(regexp_extract(text, '(?m)^(?:Licensed|Released) under (?:the )?([^\n.]+)', 1), '') AS got FROM documents),
-        w AS (SELECT *, CASE WHEN got IS NULL OR trim(got) = '' THEN 'empty' WHEN lower(trim(got, ' .' || chr(9))) IN ('-', 'n/a', 'na', 'nil', 'none', 'null', 'unknown') THEN 'null wording'
-            WHEN NOT contains(' ' || array_to_string({_WORDS.format(t='text')}, ' ') || ' ', ' ' || array_to_string({_WORDS.format(t='got')}, ' ') || ' ') THEN 'no support' END AS why FROM g)
+        WITH g AS (SELECT doc_id, text, nullif(regexp_extract(text, '(?m)^(?:Licensed|Released) under (?:the )?([^\n.]+)', 1), '') AS got
+            FROM documents),
+        w AS (SELECT *, CASE WHEN got IS NULL OR trim(got) = '' THEN 'empty' WHEN lower(trim(got, ' .' || chr(9))) IN ('-', 'n/a', 'na', 'nil',
+            'none', 'null', 'unknown') THEN 'null wording'
+            WHEN NOT contains(' ' || array_to_string({_WORDS.format(t='text')}, ' ') || ' ', ' ' || array_to_string({_WORDS.format(t='got')},
+                ' ') || ' ') THEN 'no support' END AS why FROM g)
         SELECT doc_id, CASE WHEN why IS NULL THEN got END AS value, why IS NULL AS ok, why FROM w""",
     "bearing_cells": f"""
-        WITH grid AS (SELECT i AS cell, 50 + (i // 20) * 0.1 AS lat, 5 + (i % 20) * 0.15 AS lon FROM range(400) AS r(i)), {_PLACE.format(k="s_suppkey", v="s_acctbal", t="supplier")},
+        WITH grid AS (SELECT i AS cell, 50 + (i // 20) * 0.1 AS lat, 5 + (i % 20) * 0.15 AS lon FROM range(400) AS r(i)),
+            {_PLACE.format(k="s_suppkey", v="s_acctbal", t="supplier")},
         b AS (SELECT id, lat AS la, lon AS lo, {_BEAR.format(a="lat", b="lon", c="51.03", d="6.02")} AS deg, id % 3 = 2 AS amb FROM p),
-        o AS (SELECT cell, amb, {_BEAR.format(a="la", b="lo", c="lat", d="lon")} - deg + 180 AS x FROM grid, b), q AS (SELECT cell, amb, abs(x - 360 * floor(x / 360) - 180) AS off FROM o),
-        n AS (SELECT cell, CASE WHEN amb THEN (exp(-0.5 * pow(off / 5, 2)) + exp(-0.5 * pow((180 - off) / 5, 2))) / 2 ELSE exp(-0.5 * pow(off / 5, 2)) END / (5 * 2.5066282746310002) AS one FROM q),
-        l AS (SELECT cell, sum(ln(0.95 * one + 0.05 / 360)) AS s FROM n GROUP BY 1), e AS (SELECT cell, exp(s - max(s) OVER ()) AS v FROM l), m AS (SELECT cell, round(v / sum(v) OVER (), 9) AS mass FROM e),
-        d AS (SELECT mass, sum(mass) AS own FROM m GROUP BY 1), c AS (SELECT mass, own, sum(own) OVER (ORDER BY mass DESC) - own / 2 AS credible FROM d)
+        o AS (SELECT cell, amb, {_BEAR.format(a="la", b="lo", c="lat", d="lon")} - deg + 180 AS x FROM grid, b), q AS (SELECT cell, amb,
+            abs(x - 360 * floor(x / 360) - 180) AS off FROM o),
+        n AS (SELECT cell, CASE WHEN amb THEN (exp(-0.5 * pow(off / 5, 2)) + exp(-0.5 * pow((180 - off) / 5, 2))) / 2 ELSE exp(-0.5 * pow(off / 5,
+            2)) END / (5 * 2.5066282746310002) AS one FROM q),
+        l AS (SELECT cell, sum(ln(0.95 * one + 0.05 / 360)) AS s FROM n GROUP BY 1), e AS (SELECT cell, exp(s - max(s) OVER ()) AS v FROM l),
+            m AS (SELECT cell, round(v / sum(v) OVER (), 9) AS mass FROM e),
+        d AS (SELECT mass, sum(mass) AS own FROM m GROUP BY 1), c AS (SELECT mass, own, sum(own) OVER (ORDER BY mass DESC) - own / 2 AS credible
+            FROM d)
         SELECT cell, round(m.mass, 6) AS mass, round(credible, 5) AS credible FROM m JOIN c ON c.mass = m.mass""",
 }
