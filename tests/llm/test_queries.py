@@ -12,6 +12,9 @@ SCHEMAS = {
     "op5_lm_scoring": "doc_id:bigint held_out:boolean n_tokens:bigint n_known:bigint train_tokens:bigint base_score:double score:double",
     "op6_sharding": "doc_id:bigint", "op7_line_dedup": "doc_id:bigint text:string", "op8_language_id": "doc_id:bigint held_out:boolean lang_pred:string score:double",
     "op9_quality_classifier": "doc_id:bigint held_out:boolean score:double predicted:int", "op10_decontamination": "doc_id:bigint n_words:bigint n_hit:bigint n_items:bigint items_sha256:string contaminated:boolean",
+    "op11_fill_in_middle": "doc_id:bigint n:bigint form:string prefix_chars:bigint middle_chars:bigint output_sha256:string restored_sha256:string",
+    "op12_best_fit_packing": "doc_id:bigint piece:int start:bigint length:bigint ids_crc32:bigint sequence_id:bigint offset:bigint",
+    "op13_ranked_lexical_search": "item_id:bigint rank:int doc_id:bigint score:bigint",
 }
 
 
