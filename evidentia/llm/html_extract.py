@@ -1,14 +1,21 @@
 """Main text of web pages by line-block distribution.
 
-Markup is read in one pass, in time linear in the page. Each block element is a line; scripts, styles, comments and
-elements that are menus, headers, footers, sidebars, notices, adverts, forms or reader comments, by tag, role, class
-or id, give empty lines, and so do the borders of containers. Over the lines, text lengths (without link text) are
-summed in sliding windows: the main text begins where the sum surges above a threshold and ends where it dives: at the
-first empty line. All such stretches are kept. Their edges are then moved out to the borders of the innermost
-container that holds nearly all of their text, so that a heading or a short paragraph in it stays. Article and main
-elements are containers like others. An element whose name only has a furniture word among others, like
-main-with-sidebar, stays if it holds more than half of the page's text. Where no sum surges, all lines with text outside links are kept, and
-those in an article or main element.
+Markup is read in one pass, in time linear in the page. Each block element is a line, and the borders of containers are
+empty lines. Over the lines, text lengths (without link text) are summed in sliding windows. The page's own distribution
+sets the threshold: a third of the sum that half of the page's text reaches. The main text begins where the sum surges
+to the threshold and ends where it dives below it; all such stretches are found text. The innermost container that
+holds nearly all of it is the body of the article. Of what else stands in the body, lines come back that lie between
+its first surge and its last dive, or directly in a container with as much found text as a surge, such as a short last paragraph; boxes
+after it and before the line at which it surges, such as teasers and linkless lists of other pages, stay out. Article and main elements are containers like
+others.
+
+Scripts, styles, comments and what is hidden have no lines. Names say what sums can't: elements that are menus, headers,
+footers, sidebars, notices, adverts, forms or reader comments, by tag, role, class or id, give empty lines, whatever their
+sums. A name counts for nothing on what holds the page: a form, or an element whose name only has such a word
+among others, like main-with-sidebar, with more than half of all text, and any other with more than nineteen twentieths.
+Without names at all (``names=False``) the sums alone part the text from the rest.
+
+On a page whose text is all in links, what stands in an article or main element is the text.
 
 Character references are decoded within one run of text; a reference that a tag cuts in two is none.
 
@@ -55,31 +62,30 @@ _CUT = re.compile(r"<[a-zA-Z/!][^>]*\Z")
 _SPLIT = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-LINK, ARTICLE, SKIP, SURE = 1, 2, 4, 8
+LINK, ARTICLE, SKIP, HIDDEN = 1, 2, 4, 8
+#: Of twenty parts of a page's text, how many an element must exceed for its name to count for nothing.
+_HOLDS, _MUST_HOLD = 10, 19
 
 
-def _furniture(attrs: str, heading: bool) -> int:
-    """SKIP, with SURE unless only a part of a compound name says so; else 0."""
-    doubt = 0
+def _furniture(attrs: str, heading: bool) -> tuple[int, int]:
+    """SKIP or HIDDEN or 0, and how much of the page an element must hold for its name to count for nothing."""
+    found, share = 0, _MUST_HOLD
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" and not value:
-            return SKIP | SURE
-        if name == "aria-hidden":
-            if value.lower() == "true":
-                return SKIP | SURE
-        elif name == "style":
+        if name == "hidden" and not value or name == "aria-hidden" and value.lower() == "true":
+            return HIDDEN, share
+        if name == "style":
             if re.search(r"display\s*:\s*none", value, re.I):
-                return SKIP | SURE
+                return HIDDEN, share
         elif name in ("class", "id", "role"):
             for word in value.split():
                 parts = _SPLIT.findall(_CAMEL.sub("-", word).lower())
-                found = [p for p in parts if p in _FURNITURE]
-                if found and parts[0] not in _ABOUT and not (found == ["header"] and (heading or parts[0] in _CONTENT)):
-                    if len(found) == len(parts):
-                        return SKIP | SURE
-                    doubt = SKIP
-    return doubt
+                own = [p for p in parts if p in _FURNITURE]
+                if own and parts[0] not in _ABOUT and not (own == ["header"] and (heading or parts[0] in _CONTENT)):
+                    if not found or len(own) == len(parts):
+                        share = _MUST_HOLD if len(own) == len(parts) else _HOLDS
+                    found = SKIP
+    return found, share
 
 
 class Lines:
@@ -89,16 +95,19 @@ class Lines:
     is the page; ``parent`` has the one around each.
     """
 
-    def __init__(self, page: str, spared: frozenset[int] = frozenset()):
-        """spared: where the elements begin that stay in spite of a compound name."""
+    def __init__(self, page: str, spared: frozenset[int] = frozenset(), names: bool = True):
+        """spared: where the elements begin whose names count for nothing; names: whether any do."""
+        self._names = names
         self.text: list[str] = []
         self.size: list[int] = []
         self.inside: list[bool] = []
         self.container: list[int] = []
         self.parent = [0]
-        #: Text seen outside links and what surely is furniture; and of it, in elements in doubt by where they begin.
-        self.seen, self.doubtful = 0, {}
-        self._stack: list[tuple[str, int, int, int]] = []  # tag, flags, container, and where it begins if in doubt, else -1
+        #: Text seen outside links; and of it, in elements with names of furniture, by where they begin and the share that they must hold.
+        self.seen, self.named = 0, {}
+        self._stack: list[tuple[str, int, int, tuple[int, int] | None]] = []  # tag, flags, container, and if named where it begins, and the share
+        #: For each container whether it is a table or a cell, whose lines count as its parent's.
+        self.table = [False]
         self._before: list[int] = []
         self._open: dict[str, list[int]] = {}
         self._holders: list[int] = []
@@ -124,28 +133,30 @@ class Lines:
             self.inside.append(False)
             self.container.append(-1)
 
-    def _push(self, tag: str, flags: int, container: int, doubt: int) -> None:
+    def _push(self, tag: str, flags: int, container: int, named: tuple[int, int] | None) -> None:
         self._open.setdefault(tag, []).append(len(self._stack))
         if tag in _CONTAINER:
             self._holders.append(len(self._stack))
-        self._stack.append((tag, flags, container, doubt))
+        self._stack.append((tag, flags, container, named))
         self._before.append(self.seen)
         self._flags, self._at = flags, container
 
     def _shut(self, depth: int) -> None:
         while len(self._stack) > depth:
-            tag, _, _, doubt = self._stack.pop()
+            tag, _, _, named = self._stack.pop()
             before = self._before.pop()
             self._open[tag].pop()
             if tag in _CONTAINER:
                 self._holders.pop()
-            if doubt >= 0:
-                self.doubtful[doubt] = self.seen - before
+            if named:
+                self.named[named] = self.seen - before
         self._flags, self._at = self._stack[-1][1:3] if self._stack else (0, 0)
 
     def _words(self, chunk: str) -> None:
         chunk = html.unescape(chunk) if "&" in chunk else chunk
-        if not self._flags & (SURE | LINK):
+        if self._flags & HIDDEN:
+            return
+        if not self._flags & LINK:
             self.seen += len(chunk.strip())
         if not self._flags & SKIP:
             self._parts.append(chunk)
@@ -155,7 +166,7 @@ class Lines:
     def _end_tag(self, tag: str) -> None:
         depth = self._open[tag][-1] if self._open.get(tag) else -1
         if tag in _BLOCK:
-            skipped = self._flags & SKIP
+            skipped = self._flags & (SKIP | HIDDEN)
             if not skipped:
                 self._flush()
             if depth >= 0:
@@ -168,7 +179,7 @@ class Lines:
     def _start_tag(self, tag: str, attrs: str, at: int, spared: frozenset[int]) -> None:
         stack = self._stack
         if tag in _BLOCK:
-            if not self._flags & SKIP:
+            if not self._flags & (SKIP | HIDDEN):
                 self._flush()
             if stack and stack[-1][0] == "p":
                 self._shut(len(stack) - 1)
@@ -178,29 +189,31 @@ class Lines:
             return
         if tag == "body":
             self._shut(0)
-        new, doubt = self._flags, -1
+        new, named = self._flags, None
         if tag in ("article", "main"):
             new |= ARTICLE
         if tag == "a":
             new |= LINK
+        found, share = _furniture(attrs, tag[0] == "h" and tag[1:].isdigit()) if attrs and tag not in ("html", "body", "article", "main") else (0, 0)
         if tag in _DROP or (tag == "header" and not self._flags & ARTICLE):
-            new |= SKIP | SURE
-        elif attrs and tag not in ("html", "body", "article", "main"):
-            found = _furniture(attrs, tag[0] == "h" and tag[1:].isdigit())
-            if found == SKIP and not new & SURE:
-                doubt = at
-            if at not in spared or found != SKIP:
-                new |= found
+            found, share = found | SKIP, _HOLDS if tag == "form" and not found else _MUST_HOLD
+        if tag == "head":
+            found = HIDDEN
+        if found == SKIP and self._names:
+            named = (at, share)
+        if found & HIDDEN or (named and at not in spared):
+            new |= found
         if tag == "body":
             new = 0
         if tag == "a" and stack and stack[-1][0] == "a":
             self._shut(len(stack) - 1)
         container = self._at
-        if tag in _CONTAINER and not new & SKIP:
+        if tag in _CONTAINER and not new & (SKIP | HIDDEN):
             self._border()
             self.parent.append(container)
+            self.table.append(tag in ("table", "td"))
             container = len(self.parent) - 1
-        self._push(tag, new, container, doubt)
+        self._push(tag, new, container, named)
 
     def _read(self, page: str, spared: frozenset[int]) -> None:
         pos, end, last = 0, len(page), page.rfind(">")
@@ -231,65 +244,95 @@ class Lines:
                         pos = close.end() if close else end
                 else:
                     self._start_tag(tag, attrs, m.start(), spared)
-        if not self._flags & SKIP:
+        if not self._flags & (SKIP | HIDDEN):
             self._flush()
         self._shut(0)
 
 
-def lines_of(page: str) -> Lines:
-    """The lines of a page, where elements that only may be furniture stay if they hold more than half of its text."""
-    lines = Lines(page)
-    most = frozenset(at for at, n in lines.doubtful.items() if 2 * n > lines.seen)
+def lines_of(page: str, names: bool = True) -> Lines:
+    """The lines of a page, where names count for nothing on elements that hold it."""
+    lines = Lines(page, names=names)
+    most = frozenset(at for (at, share), n in lines.named.items() if 20 * n > share * lines.seen)
     return Lines(page, most) if most else lines
 
 
-def stretches(sizes: list[int], filled: list[bool], window: int, surge: int) -> list[tuple[int, int]]:
-    """Where the text begins and ends: from each surge of the window's sum to the next dive, an empty line."""
+def window_sums(sizes: list[int], window: int) -> list[int]:
+    """The sum of each line and those after it in the window."""
     upto = [0]
     for size in sizes:
         upto.append(upto[-1] + size)
+    return [upto[min(i + window, len(sizes))] - upto[i] for i in range(len(sizes))]
+
+
+def threshold(sizes: list[int], sums: list[int], share: float) -> float:
+    """A share of the sum that half of the text reaches; a page's text is at least one character."""
+    half, total = 0, sum(sizes)
+    for at in sorted(range(len(sizes)), key=sums.__getitem__, reverse=True):
+        half += sizes[at]
+        if 2 * half >= total:
+            return max(share * sums[at], 1.0)
+    return 1.0
+
+
+def stretches(sums: list[int], filled: list[bool], surge: float) -> list[tuple[int, int]]:
+    """Where text begins and ends: from a line with text where the sum surges to the next line where it has dived below."""
     out, i = [], 0
-    while i < len(sizes):
-        if not filled[i] or upto[min(i + window, len(sizes))] - upto[i] < surge:
+    while i < len(sums):
+        if not filled[i] or sums[i] < surge:
             i += 1
             continue
         stop = i
-        while stop < len(sizes) and filled[stop]:
+        while stop < len(sums) and sums[stop] >= surge:
             stop += 1
         out.append((i, stop))
         i = stop
     return out
 
 
-def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
+def main_text(page: str | None, window: int = 3, share: float = 1 / 3, names: bool = True) -> str:
     """The main text: blocks in page order, joined by a line break."""
-    lines = lines_of(page or "")
-    kept = stretches(lines.size, [bool(t) for t in lines.text], window, surge)
+    lines = lines_of(page or "", names)
+    filled = [bool(t) for t in lines.text]
+    sums = window_sums(lines.size, window)
+    surge = threshold(lines.size, sums, share)
+    kept = stretches(sums, filled, surge)
     if not kept:
-        return "\n".join(t for t, size, inside in zip(lines.text, lines.size, lines.inside, strict=True) if size or (inside and t))
-    totals = [sum(lines.size[a:b]) for a, b in kept]
-    # Text of the greater stretches in each container, and of all that is in it: inner containers have greater numbers.
-    held, depth = [0] * len(lines.parent), [0] * len(lines.parent)
-    for (a, b), total in zip(kept, totals, strict=True):
-        if 8 * total >= max(totals):
-            for c, size in zip(lines.container[a:b], lines.size[a:b], strict=True):
-                held[c] += size
+        return "\n".join(t for t, inside in zip(lines.text, lines.inside, strict=True) if inside and t)
+    # A table's lines count as those of the container around it. Inner containers have greater numbers.
+    parent, home = lines.parent, list(range(len(lines.parent)))
+    for c in range(1, len(parent)):
+        home[c] = home[parent[c]] if lines.table[c] else c
+    held, depth = [0] * len(parent), [0] * len(parent)
+    for a, b in kept:
+        for i in range(a, b):
+            if filled[i]:
+                held[home[lines.container[i]]] += lines.size[i]
+    direct = [n >= surge for n in held]
     for c in range(len(held) - 1, 0, -1):
-        held[lines.parent[c]] += held[c]
+        held[parent[c]] += held[c]
     for c in range(1, len(depth)):
-        depth[c] = depth[lines.parent[c]] + 1
-    inner = max((c for c, n in enumerate(held) if 10 * n >= 8 * held[0]), key=lambda c: (depth[c], -c))
+        depth[c] = depth[parent[c]] + 1
+    body = max((c for c, n in enumerate(held) if 10 * n >= 8 * held[0]), key=lambda c: (depth[c], -c))
     within = [False] * len(held)
     for c in range(len(held)):
-        within[c] = c == inner or (c > 0 and within[lines.parent[c]])
-    found = {i for a, b in kept for i in range(a, b)}
-    return "\n".join(t for i, (t, c) in enumerate(zip(lines.text, lines.container, strict=True)) if t and (i in found or within[c]))
+        within[c] = c == body or (c > 0 and within[parent[c]])
+    found = [False] * len(filled)
+    for a, b in kept:
+        found[a:b] = [True] * (b - a)
+    own = [i for i, c in enumerate(lines.container) if found[i] and filled[i] and within[c]]
+    first, last = (own[0], own[-1]) if own else (0, -1)
+    return "\n".join(
+        t for i, (t, c) in enumerate(zip(lines.text, lines.container, strict=True))
+        if t and (found[i] or (within[c] and (first < i < last or direct[home[c]])))
+    )
+
 
+def extract(pages: DataFrame, window: int = 3, share: float = 1 / 3) -> DataFrame:
+    """page_id, url, text, n_chars of every page. share: of the sum that half of a page's text reaches, what a window must have."""
 
-def extract(pages: DataFrame, window: int = 3, surge: int = 60) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "html"):
-            texts = [main_text(page, window, surge) for page in batch.column(2).to_pylist()]
+            texts = [main_text(page, window, share) for page in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"]
