@@ -7,13 +7,14 @@ words as numbers. For every block the distinct n-grams, with their counts in the
 the hash of the context, the words before the last. Each shard adds up the counts, builds a trie, and looks up the
 n-grams of all blocks in it, each distinct one once; the block then puts its answers together into document scores.
 
-The trie lies in one mapping and is only read there. Its levels are the words with their counts; the contexts, an
+The trie lies in one mapping, which lives as long as its group of blocks is answered, and is only read there. Its levels are the words with their counts; the contexts, an
 Elias-Fano sequence of their hashes, with quantised counts and Elias-Fano pointers to where each one's words begin;
 and the words after contexts, made monotone by the context's rank in an Elias-Fano sequence, with the quantised
 smoothed probability c(hw) / (c(h) + m) of each. A look-up finds the context, reads its two pointers, and between them
 looks for the successor of the word: the bucket of its high bits by select, then its low bits.
 
-Hot contexts: each block also tells which contexts it holds often. The words after contexts that the corpus holds
+Hot contexts: each block also tells which contexts it holds often, and a share of the others by hash, in proportion to their
+occurrences, so that contexts spread thinly over many blocks are found, too. The words after contexts that the corpus holds
 ``HOT`` times or more (the ``HOT_LIST`` most frequent ones at most; any other has less than a 1/HOT_LIST share of
 all tokens) are dealt by context and a range of the words' hashes. Such a part doesn't know c(h): it stores the
 probability of the whole n-gram, and the block, which gets c(h) with the context, divides.
@@ -45,7 +46,7 @@ from evidentia.llm._shared import expand, settle, small_batches, squeeze
 
 _END, _BEGIN = b"\x00end", b"\x00begin"  # no word has these bytes in front and white space is not among words
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-HOT, HOT_LIST, HOT_IN_BLOCK, HOT_PARTS = 200_000, 100_000, 256, 4096
+HOT, HOT_LIST, HOT_IN_BLOCK, HOT_PARTS, HOT_MARGIN = 200_000, 100_000, 256, 4096, 0.8
 _JOINT = float(1 << 40)
 
 
@@ -291,10 +292,16 @@ class Block:
         self.pair_here = self.at1[:-1] != self.end
         return ((pair * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - context_bits)) & ~np.uint64(1)
 
-    def often(self, context_bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts that stand here so often, and how often."""
+    def often(self, context_bits: int, least: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts and how often they stand here; those that stand here less than ``least`` times are told as ``least`` with the fitting chance.
+
+        Sums over blocks are right in the mean however thinly a context is spread. Chance is a hash of context and ``block``.
+        """
         found, n = np.unique(self.pairs_of(context_bits)[self.pair_here], return_counts=True)
-        return found[n >= least], n[n >= least]
+        draw = (found ^ (np.array([block], np.uint64) * _MIX)) * np.uint64(0xBF58476D1CE4E5B9)
+        draw = ((draw ^ (draw >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
+        told = draw * np.uint64(least) < (n.astype(np.uint64) << np.uint64(32))
+        return found[told], np.maximum(n[told], least)
 
     def number(self, context_bits: int, hot: np.ndarray, parts: np.ndarray) -> None:
         """Find the distinct contexts and entries, and where each stands. hot: sorted contexts whose words are dealt in parts."""
@@ -354,7 +361,7 @@ def blocks_of(source: DataFrame, block_bytes: int, context_bits: int, hot: int =
 
         def done() -> pa.RecordBatch:
             block = Block.of_texts(ids, held, texts)
-            often, times = block.often(context_bits, max(1, hot * HOT_IN_BLOCK // HOT))
+            often, times = block.often(context_bits, max(1, hot * HOT_IN_BLOCK // HOT), number)
             cols = [
                 pa.array([number], pa.int64()), pa.array([block.store()], pa.binary()),
                 *(pa.array([x.astype(np.int64)], pa.list_(pa.int64())) for x in (often, times))
@@ -377,9 +384,12 @@ def blocks_of(source: DataFrame, block_bytes: int, context_bits: int, hot: int =
 
 
 def hot_contexts(blocks: DataFrame, least: int = HOT) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted contexts that the corpus holds often, and in how many parts their words are dealt."""
+    """Sorted contexts that the corpus holds often, and in how many parts their words are dealt.
+
+    Sums of what the blocks tell stray by some four hundredths where contexts are spread thinly, hence the margin.
+    """
     sums = blocks.select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("n"))
-    rows = sums.filter(F.col("n") >= least).orderBy(F.desc("n"), "often").limit(HOT_LIST).collect()
+    rows = sums.filter(F.col("n") >= HOT_MARGIN * least).orderBy(F.desc("n"), "often").limit(HOT_LIST).collect()
     rows.sort()
     return np.array([r[0] for r in rows], np.int64).astype(np.uint64), np.array([min(HOT_PARTS, -(-r[1] // least)) + 1 for r in rows], np.int64)
 

@@ -222,6 +222,26 @@ def test_scores_equal_brute_force(spark, hot):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-9 and abs(a[6] - b[6]) <= 2e-3 * max(1, abs(b[6])) and abs(a[7] * a[2] - a[6]) < 1e-9 * max(1, -a[6])
 
 
+def test_contexts_spread_thinly_over_many_blocks_are_hot(spark):
+    """Contexts that stand in no block as often as it tells surely are found all the same, and others are not; few are told."""
+    rng, least, told, size = random.Random(4), 24_000, [], 0
+    sure = least * lm_score.HOT_IN_BLOCK // lm_score.HOT
+    thin = [f"w{i}" for i in range(4)]
+    for number in range(1200):
+        text = " ".join(f"{a} x y{rng.randrange(9)} {rng.randrange(10**9)}" for a in thin for _ in range(20)) + " w1 z" * 5
+        block = lm_score.Block.of_texts([number], [False], [text])
+        often, times = block.often(52, sure, number)
+        told += zip(often.astype("int64").tolist(), times.tolist(), strict=True)
+        size += len(text.split())
+    assert sure > 20 and len(told) < size / sure * 2
+    rows = [([c], [n]) for c, n in told]
+    blocks = spark.createDataFrame(rows, "often array<long>, times array<long>")
+    found, parts = lm_score.hot_contexts(blocks, least)
+    block = lm_score.Block.of_texts([0], [False], [" ".join(f"{a} x" for a in thin)])
+    want = set(block.pairs_of(52)[[2, 4, 6, 8]].tolist())  # w0 x and so on, behind the two marks of the begin
+    assert want <= set(found.tolist()) and len(found) <= len(want) and (parts > 1).all()
+
+
 def test_scores_of_odd_empty_and_unlearned_tables(spark):
     assert lm_score.score(odd_docs(spark), fold("doc_id", 7) == 2).count() == 17
     assert lm_score.score(empty_docs(spark), fold("doc_id", 7) == 2).count() == 0
