@@ -5,7 +5,8 @@ a class, known by a 64-bit hash of the set, and only classes are joined. Two set
 a shingle among the first n - ceil(t n) + 1 of each under any one global order, and among fewer of the smaller.
 
 The order is by exact document frequency, rare shingles first, and then by hash. Frequencies are counted in shards
-of the hashes' range, to which blocks of sets deal their shingles as sorted differences; a shard answers each block
+of the hashes' range, to which blocks of sets deal their distinct shingles, as sorted differences, with the numbers of
+their sets, so that one in all sets is one entry a block; a shard answers each block
 with those of its shingles that stand in two sets or more. To move less, a fixed share of all shingles, by hash, goes
 first in the order, and only these are counted; it is wide enough for the prefixes of sets of ``SMALL`` shingles and
 more (the few for which it isn't go on in the order of hashes). Smaller sets have an order of their own over all their
@@ -84,6 +85,15 @@ def _wide(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def _counted(n: np.ndarray) -> bytes:
+    """Numbers of sets; 2^32 - 1 stands for all greater ones too, which only order shingles."""
+    return zstandard.compress(np.minimum(n, 0xFFFFFFFF).astype("<u4").tobytes(), 1)
+
+
+def _counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<u4")
+
+
 class Threshold:
     """Jaccard similarity of at least num / den, and what follows from it for a set of n shingles."""
 
@@ -172,12 +182,13 @@ def frequencies(sets: DataFrame, limit: Threshold) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
-            keys = np.sort(np.concatenate(parts))
+            keys, times = np.unique(np.concatenate(parts), return_counts=True)
             shard = ((keys >> np.uint64(_BITS + 1 - 32)) * np.uint64(shards)) >> np.uint64(32)
             own, at = np.unique(shard, return_index=True)
-            rows = [squeeze(p) for p in np.split(keys, at[1:])]
+            rows, numbers = [squeeze(p) for p in np.split(keys, at[1:])], [_counted(n) for n in np.split(times, at[1:])]
             return pa.RecordBatch.from_arrays(
-                [pa.array(own.astype(np.int32)), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary())], ["shard", "block", "data"]
+                [pa.array(own.astype(np.int32)), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary()), pa.array(numbers, pa.binary())],
+                ["shard", "block", "data", "times"]
             )
 
         block, parts, size = None, [], 0
@@ -195,15 +206,17 @@ def frequencies(sets: DataFrame, limit: Threshold) -> DataFrame:
     def answer(group: pa.Table) -> pa.Table:
         keys = [expand(d) for d in group.column("data").to_pylist()]
         ends = np.cumsum([len(k) for k in keys])
-        _, at, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        times = np.concatenate([_counts(d) for d in group.column("times").to_pylist()])
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.bincount(at, times).astype(np.int64)  # exact below 2^53
         found, numbers = [], []
         for own, part in zip(keys, np.split(counts[at], ends[:-1]), strict=True):
-            keep = (part > 1) & (np.diff(own, prepend=own[:1] + np.uint64(1)) != 0)
+            keep = part > 1
             found.append(squeeze(own[keep]))
-            numbers.append(zstandard.compress(part[keep].astype("<u4").tobytes(), 1))
+            numbers.append(_counted(part[keep]))
         return pa.table({"block": group.column("block"), "keys": pa.array(found, pa.binary()), "counts": pa.array(numbers, pa.binary())})
 
-    dealt = sets.select("block", "n", "counted").mapInArrow(deal, "shard int, block long, data binary")
+    dealt = sets.select("block", "n", "counted").mapInArrow(deal, "shard int, block long, data binary, times binary")
     return dealt.groupBy("shard").applyInArrow(answer, "block long, keys binary, counts binary")
 
 
@@ -221,7 +234,7 @@ def postings(sets: DataFrame, answers: DataFrame, limit: Threshold) -> DataFrame
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = [expand(d) for d in right.column("keys").to_pylist()]
-        counts = [np.frombuffer(zstandard.decompress(d), "<u4") for d in right.column("counts").to_pylist()]
+        counts = [_counts(d) for d in right.column("counts").to_pylist()]
         keys, counts = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, counts))
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order].astype(np.uint64)

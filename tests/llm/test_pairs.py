@@ -89,6 +89,17 @@ def test_prefix_tree_equals_pairwise():
         assert got == [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(probe, s)) >= 80 * len(np.union1d(probe, s))]
 
 
+def test_a_shingle_of_all_sets_is_one_entry_a_block(spark):
+    """What is dealt to the shards does not grow with the holders of a shingle, and its frequency is exact."""
+    limit = ngram_join.Threshold(85, 100)
+    docs = spark.createDataFrame([(i, i, "one two three four " + f"w{i} " * 5) for i in range(3000)], "mark long, id long, text string").coalesce(1)
+    sets = ngram_join.sets_of(docs, 4, limit)
+    answers = ngram_join.frequencies(sets, limit).collect()
+    counts = [n for r in answers for n in ngram_join._counts(r["counts"]).tolist()]
+    assert counts.count(3000) == 1 and len(counts) == len([k for r in answers for k in ngram_join.expand(r["keys"]).tolist()])
+    assert sets.select("block").distinct().count() == 1
+
+
 def test_join_of_odd_and_empty_tables(spark):
     got = ngram_join.link(odd_docs(spark)).collect()
     assert len(got) == 17
