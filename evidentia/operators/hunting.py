@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators.matching import within
 from evidentia.operators.running import previous, running
 
 _UNITS = {"hz": 1.0, "khz": 1e3, "mhz": 1e6, "ghz": 1e9}
@@ -150,6 +153,63 @@ def merge_lines(lines: DataFrame, tolerance: float) -> DataFrame:
     return chained.groupBy("line").agg(F.max_by("hz", "best").alias("hz"), F.max("best.margin").alias("margin"), F.sum("n").alias("members"))
 
 
+def places_apart(sightings: DataFrame, key: str, order: list[str], place: str, stop: str, span: str, apart: float, enough: int) -> DataFrame:
+    """key, places: how many places, taken in order, lie apart from all taken before: at another stop, farther than ``apart`` and than the span.
+
+    Counting ends at ``enough``, so a key's state is that many places however often it was sighted. A key's sightings are dealt to one
+    task, sorted there, and read as they come. Null places are none; a null stop is different from every other.
+    """
+    kind = sightings.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken, begun, arrow = None, [], False, pa.int64()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], arrow), pa.array([len(taken)], pa.int32())], [key, "places"])
+
+        for batch in batches:
+            arrow = batch.column(0).type
+            for k, at, where, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or k != now:
+                    if begun:
+                        yield told()
+                    now, taken, begun = k, [], True
+                if at is not None and len(taken) < enough and all(
+                    abs(at - p) > max(apart, width or 0.0) and (where is None or where != q) for p, q in taken
+                ):
+                    taken.append((at, where))
+        if begun:
+            yield told()
+
+    rows = sightings.repartition(key).sortWithinPartitions(key, *order).select(
+        key, F.col(place).cast("double").alias("_p"), F.col(stop).cast("string").alias("_s"), F.col(span).cast("double").alias("_w")
+    )
+    return rows.mapInArrow(run, f"{key} {kind}, places int")
+
+
+def confirmations(first: DataFrame, second: DataFrame, drift: float, widest: float) -> DataFrame:
+    """id, confirmed_by, margin: for each feature of a first look that of the second which reproduces it with the greatest margin, or null.
+
+    Features: id, conj, value, line, low, high, resolution, margin. Conjugate ones are the same if their lines differ by ``drift`` of the line at
+    most, others if their values differ by three times the coarser resolution (``widest`` at most) and their bands overlap. They meet
+    in buckets; of equal margins the lesser id counts.
+    """
+    names = ["id", "conj", "value", "line", "low", "high", "resolution", "margin"]
+    b = second.select(*[F.col(c).alias(f"{c}_b") for c in names])
+    plain = within(first.filter("NOT conj"), b.filter("NOT conj_b"), "value", "value_b", 3 * widest).filter(
+        (F.abs(F.col("value") - F.col("value_b")) <= 3 * F.least(F.greatest("resolution", "resolution_b"), F.lit(widest)))
+        & (F.col("low") < F.col("high_b")) & (F.col("low_b") < F.col("high"))
+    )
+    # Buckets as wide as the drift at a line: lines on a logarithmic scale.
+    scaled = lambda df, c, to: df.filter(F.col(c) > 0).withColumn(to, F.ln(c))
+    lines = within(scaled(first.filter("conj"), "line", "_l"), scaled(b.filter("conj_b"), "line_b", "_lb"), "_l", "_lb", 1.01 * drift).filter(
+        F.abs(F.col("line") - F.col("line_b")) <= drift * F.col("line")
+    )
+    met = plain.select("id", "id_b", "margin_b").unionByName(lines.select("id", "id_b", "margin_b"))
+    best = met.groupBy("id").agg(F.max(F.struct("margin_b", (-F.col("id_b")).alias("o"))).alias("s"))
+    return first.select("id").join(best, "id", "left").select("id", (-F.col("s.o")).alias("confirmed_by"), F.col("s.margin_b").alias("margin"))
+
+
 def detection_verdict(found: Column, false_rate: Column, least: float = 0.9, most: float = 0.01) -> Column:
     """A plain sentence from two figures."""
     return F.when(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators.tables import forget, written
+
 UNKNOWN = "UNKNOWN"
 
 
@@ -54,6 +56,66 @@ def prototypes(vectors: DataFrame, vector: str, label: str) -> DataFrame:
     return means.select("label", "n", unit("mean").alias("centre"))
 
 
+def vector_sums(vectors: DataFrame, keys: list[str], vector: str = "v") -> DataFrame:
+    """keys, n, total: sums of vectors by key, each dimension apart, so that no group is collected; sums of sums are sums."""
+    parts = vectors.select(*keys, F.posexplode(vector).alias("d", "x")).groupBy(*keys, "d").agg(
+        F.sum(F.col("x").cast("double")).alias("s"), F.count(F.lit(1)).alias("n")
+    )
+    return parts.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("d", "s"))), lambda s: s["s"]).alias("total")
+    )
+
+
+def taught(sums: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """``vector_sums`` of what both hold: a bank learns from new examples without the old ones."""
+    both = sums.select(*keys, "n", "total").unionByName(more.select(*keys, "n", "total"))
+    counts = both.groupBy(*keys).agg(F.sum("n").alias("n"))
+    parts = both.select(*keys, F.posexplode("total").alias("d", "x")).groupBy(*keys, "d").agg(F.sum("x").alias("s"))
+    totals = parts.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "s"))), lambda s: s["s"]).alias("total"))
+    return counts.join(totals, keys)
+
+
+def _nearest_part(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """rows (label, id, v) with part, distance: the nearest centre of its class; of equal ones the lesser part."""
+    packed = centres.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("part", "centre"))).alias("_c"))
+    packed = F.broadcast(packed) if packed.count() <= BLOCK else packed
+    far = F.transform("_c", lambda c: F.struct((1 - dot("v", c["centre"])).alias("distance"), c["part"].alias("part")))
+    return rows.join(packed, "label").withColumn("_m", F.array_min(far)).select(
+        *rows.columns, F.col("_m.part").alias("part"), F.col("_m.distance").alias("distance")
+    )
+
+
+def sub_prototypes(vectors: DataFrame, id_: str, vector: str, label: str, parts: int, rounds: int = 10) -> DataFrame:
+    """label, part, n, centre: every class in at most ``parts`` parts by spherical k-means.
+
+    The first centre of a class is its vector of least id, each further one the vector farthest from those before, of equal ones the least
+    id; so seeds are fixed. A round gives each vector to the nearest centre of its class and sums the vectors of a part by
+    dimension; only centres are written between rounds. Rounds end early when no centre moves. Zero vectors and null labels are left out;
+    a class of fewer different vectors has fewer parts.
+    """
+    rows = vectors.select(F.col(label).alias("label"), F.col(id_).alias("id"), unit(vector).alias("v")).filter(
+        F.col("label").isNotNull() & F.exists("v", lambda x: x != 0)
+    )
+    centres = written(rows.groupBy("label").agg(F.min_by("v", "id").alias("centre")).select("label", F.lit(0).alias("part"), "centre"), "centres")
+    for part in range(1, parts):
+        far = _nearest_part(rows, centres).groupBy("label").agg(F.max_by("v", F.struct(F.round("distance", 12), -F.col("id"))).alias("centre"), F.max("distance").alias("most"))
+        new = far.filter("most > 1e-9").select("label", F.lit(part).alias("part"), "centre")
+        old, centres = centres, written(centres.unionByName(new), "centres")
+        forget(old)
+    for _ in range(rounds):
+        sums = vector_sums(_nearest_part(rows, centres), ["label", "part"])
+        moved = sums.select("label", "part", "n", unit("total").alias("centre"))
+        new = written(centres.select("label", "part", F.col("centre").alias("_old")).join(moved, ["label", "part"], "left").select(
+            "label", "part", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("centre", "_old").alias("centre"), "_old"
+        ), "centres")
+        still = new.filter(1 - dot("centre", "_old") > 1e-12).isEmpty()
+        forget(centres)
+        centres = new.select("label", "part", "n", "centre")
+        if still:
+            break
+    return centres
+
+
 def classify(vectors: DataFrame, id_: str, vector: str, bank: DataFrame, threshold: float | None = None) -> DataFrame:
     """Nearest and second class by 1 - cosine; UNKNOWN beyond the class's threshold (column or number).
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.operators.matching import overlaps
@@ -56,6 +56,43 @@ def remove(examples: DataFrame, ids: DataFrame, back: bool = False) -> DataFrame
     return examples.join(marked, "id", "left").withColumn("removed", F.when(F.col("_hit"), F.lit(not back)).otherwise(F.col("removed"))).drop("_hit")
 
 
+def share_of(column: str, seed: int) -> Column:
+    """A number in [0, 1) from the hash of a seed and a value; the same on any machine."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column).cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def example_sets(examples: DataFrame, cap: int, test: float = 0.2, seed: int = 0) -> DataFrame:
+    """examples (id, cls, recording, original) of a training set, with ``split``: train or test.
+
+    A recording is on one side only, by its hash. In training, originals of a class stay, all of them, and its copies fill it up to
+    ``cap``, those of the least hashes; copies are no tests. The rank stops at ``cap``, so a task hands on that many
+    rows of a class at most and a class with a third of all rows is no burden. Removed examples must be left out before.
+    """
+    side = F.when(share_of("recording", seed) < test, "test").otherwise("train")
+    rows = examples.withColumn("split", side)
+    tests, originals = rows.filter("split = 'test' AND original"), rows.filter("split = 'train' AND original")
+    ranked = Window.partitionBy("cls").orderBy("_share", "id")
+    copies = rows.filter("split = 'train' AND NOT original").withColumn("_share", share_of("id", seed)).withColumn("_r", F.row_number().over(ranked))
+    copies = copies.filter(F.col("_r") <= cap)
+    held = originals.groupBy("cls").agg(F.count(F.lit(1)).alias("_n"))
+    held = F.broadcast(held)  # one row a class
+    fill = copies.join(held, "cls", "left").filter(F.col("_r") <= F.greatest(cap - F.coalesce("_n", F.lit(0)), F.lit(0)))
+    return tests.unionByName(originals).unionByName(fill.select(*rows.columns))
+
+
+def spread_windows(cuts: DataFrame, samples: str, length: int, most: int) -> DataFrame:
+    """cuts with ``start`` of each of their windows and whether it is ``padded``: spread from end to end, ``most`` at most, half to even.
+
+    A cut of less than a window has one, padded; one without samples has none.
+    """
+    n = F.col(samples)
+    count = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(n / length)))
+    steps = F.sequence(F.lit(0), (count - 1).cast("int"))
+    start = F.transform(steps, lambda i: F.when(count == 1, F.lit(0)).otherwise(F.bround((n - length) * i / (count - 1), 0)).cast("long"))
+    return cuts.filter(n > 0).withColumn("start", F.explode(start)).withColumn("padded", n < length)
+
+
 def build(spark: SparkSession, kernel, n: int, path: str, schema: str, seed: int = 0) -> None:
     """A dataset of n made rows: ``kernel(seed, id)`` makes one, splits follow the id's hash, files are partitioned by split."""
     import pandas as pd
