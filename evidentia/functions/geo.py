@@ -181,13 +181,13 @@ def in_region(grid: Column, region: dict | None) -> Column:
         for beginning in region["grids"]:
             out = out | F.upper(grid).startswith(beginning.upper())
         return F.coalesce(out, F.lit(False))
-    place = locator_centre(grid)
-    return F.coalesce(haversine_m(place["lat"], place["lon"], float(region["lat"]), float(region["lon"])) <= 1000.0 * region["km"], F.lit(False))
+    lat, lon = locator_centre(grid)
+    return F.coalesce(haversine_m(lat, lon, float(region["lat"]), float(region["lon"])) <= 1000.0 * region["km"], F.lit(False))
 
 
 def two_ray_db(metres, hz: float, h_tx, h_rx, permittivity: float = 15.0, conductivity: float = 0.005, vertical: bool = True) -> Column:
-    """Loss over flat ground of the direct and the reflected ray together."""
-    d, up, down = _col(metres), _col(h_tx), _col(h_rx)
+    """Loss over flat ground of the direct and the reflected ray together; nearer than a metre counts as a metre."""
+    d, up, down = F.greatest(_col(metres).cast("double"), F.lit(1.0)), _col(h_tx), _col(h_rx)
     direct, bounced = F.sqrt(d * d + (up - down) ** 2), F.sqrt(d * d + (up + down) ** 2)
     re, im = reflection(F.degrees(F.atan2(up + down, d)), permittivity, conductivity, hz, vertical)
     turn = 2 * math.pi * hz / LIGHT * (bounced - direct)

@@ -45,6 +45,11 @@ def suspect_lines(text: Column, most: int = 5) -> Column:
     return F.slice(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(SUSPECT)), 1, most)
 
 
+def suspect_count(text: Column) -> Column:
+    """How many such lines there are."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(SUSPECT)))
+
+
 def redaction_marks(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?i)" + REDACTED), 0)
 

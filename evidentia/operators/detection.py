@@ -126,10 +126,14 @@ def time_row(tile: Column, seconds: Column, rate: float, hop: int, layout: dict[
 def box_snr_db(cells: DataFrame, boxes: DataFrame, keys: list[str], at: str, power: str) -> DataFrame:
     """boxes (box, keys, first, last) with mean power inside over mean power outside all boxes of the keys, in dB.
 
-    Cells meet boxes by their keys and then by range; boxes of one key must not overlap.
+    Cells meet boxes by their keys and stretches of 64 cells, and then by range; boxes of one key must not overlap.
     """
-    spans = boxes.select(*keys, "box", F.explode(F.sequence("first", "last")).alias(at))
-    marked = cells.join(spans, [*keys, at], "left")
+    stretch = lambda c: F.floor(F.col(c) / 64)
+    spans = boxes.select(*[F.col(k).alias(f"_{k}") for k in keys], "box", "first", "last", F.explode(F.sequence(stretch("first"), stretch("last"))).alias("_s"))
+    met = (stretch(at) == F.col("_s")) & F.col(at).between(F.col("first"), F.col("last"))
+    for k in keys:
+        met = met & (F.col(k) == F.col(f"_{k}"))
+    marked = cells.join(spans, met, "left")
     noise = marked.filter("box is null").groupBy(*keys).agg(F.avg(power).alias("noise"))
     inside = marked.filter("box is not null").groupBy(*keys, "box").agg(F.avg(power).alias("signal"))
     return inside.join(noise, keys).select(*keys, "box", (10 * F.log10(F.col("signal") / F.col("noise"))).alias("snr_db"))

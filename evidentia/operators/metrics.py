@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from evidentia.operators.running import running
 
+#: Keys of rank correlation below so many bits are plain numbers.
+LONG_BITS = 62
+
 
 def confusion(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     return rows.groupBy(F.col(truth).alias("truth"), F.col(guess).alias("guess")).agg(F.count(F.lit(1)).alias("n"))
@@ -120,10 +123,12 @@ def kendall_tau_b(rows: DataFrame, a: str, b: str) -> DataFrame:
     bits = max((sizes[1] or 0).bit_length(), 1)
     level = ranked.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
     # One number for bit, higher bits and rank of a: groups stand one after the other.
-    group = F.col("bit") * (1 << bits) + F.expr("shiftright(rb, cast(bit + 1 as int))")
+    group = F.col("bit").cast("long") * (1 << bits) + F.expr("shiftright(rb, cast(bit + 1 as int))")
+    if bits * width << bits >= 1 << LONG_BITS:
+        group, width = group.cast("decimal(19,0)"), F.lit(width).cast("decimal(18,0)")
     one = F.expr("shiftright(rb, cast(bit as int)) & 1")
     parted = level.select(
-        (group * width + F.col("ra")).alias("at"), group.alias("grp"), F.when(one == 1, F.col("n")).otherwise(0).alias("with"),
+        (group * width + F.col("ra")).alias("at"), group.cast("long").alias("grp"), F.when(one == 1, F.col("n")).otherwise(0).alias("with"),
         F.when(one == 0, F.col("n")).otherwise(0).alias("without")
     )
     summed = parted.groupBy("at", "grp").agg(F.sum("with").alias("with"), F.sum("without").alias("without"))

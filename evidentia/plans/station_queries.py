@@ -25,7 +25,8 @@ def spots_in_region(spark, sf):
     """Customers whose locator is in two fields, and how many of them lie within 100 km of a place."""
     spots = tq._places(spark, sf).withColumn("grid", geo.locator(F.col("lat"), F.col("lon")))
     here = spots.filter(geo.in_region(F.col("grid"), {"grids": ["jo31", "JO32"]}))
-    return here.select("id", "grid", geo.in_region(F.col("grid"), None).alias("anywhere"))
+    near = geo.in_region(F.col("grid"), {"lat": 51.5, "lon": 6.5, "km": 100.0})
+    return here.select("id", "grid", geo.in_region(F.col("grid"), None).alias("anywhere"), near.alias("near"))
 
 
 def link_budgets(spark, sf):
@@ -369,7 +370,11 @@ _CANVAS = rf"""
 _CURVE = f"{_CLAIMS}, curve AS (SELECT floor(score / 1000 / 25) * 25 AS bin, count(*) AS n, avg(matched::INT) AS detected FROM g GROUP BY 1)"
 
 ORACLE_SQL = {
-    "spots_in_region": f"SELECT id, grid, true AS anywhere FROM ({_SQL['locators']}) WHERE grid LIKE 'JO31%' OR grid LIKE 'JO32%'",
+    "spots_in_region": f"""
+        WITH g AS (SELECT id, grid, upper(grid) AS u FROM ({_SQL['locators']}) WHERE grid LIKE 'JO31%' OR grid LIKE 'JO32%'),
+        c AS (SELECT *, (ascii(u[2]) - 65) * 10 + u[4]::INT + (ascii(u[6]) - 65) / 24 + 0.5 / 24 - 90 AS lat,
+            (ascii(u[1]) - 65) * 20 + u[3]::INT * 2 + (ascii(u[5]) - 65) / 12 + 1 / 24 - 180 AS lon FROM g)
+        SELECT id, grid, true AS anywhere, {tq._HAV.format(a="lat", b="lon", c="51.5", d="6.5")} <= 100000 AS near FROM c""",
     "link_budgets": "SELECT p_partkey, round(10 * log10(p_size + 1), 5) AS split_db, round(10.0 - p_retailprice::DOUBLE / 100 - 10 * log10(p_size + 1) - 0.5, 5) AS input_dbm FROM part",
     "two_ray_losses": f"""
         WITH {tq._P}, m AS (SELECT id, {tq._HAV.format(a="lat", b="lon", c="52.0", d="6.0")} AS d,

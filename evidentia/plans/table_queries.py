@@ -216,7 +216,7 @@ def style_divergence(spark, sf):
 def suspect_text(spark, sf):
     c = _t(spark, sf, "documents")
     return c.select(
-        "doc_id", F.size(text.suspect_lines(F.col("text"))).alias("suspect"), F.size(text.redaction_marks(F.col("text"))).alias("redacted"),
+        "doc_id", F.size(text.suspect_lines(F.col("text"))).alias("suspect"), text.suspect_count(F.col("text")).alias("suspect_all"), F.size(text.redaction_marks(F.col("text"))).alias("redacted"),
         text.fence_id(F.col("text")).alias("fence")
     )
 
@@ -499,7 +499,8 @@ ORACLE_SQL = {
     "suspect_text": r"""
         SELECT doc_id, least(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x,
             '(?i)\b(ignore|disregard|forget)\b.{0,40}\b(instruction|instructions|above|previous|prompt)\b|\byou are now\b|\bsystem prompt\b'))),
-            5)::INT AS suspect,
+            5)::INT AS suspect, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x,
+            '(?i)\b(ignore|disregard|forget)\b.{0,40}\b(instruction|instructions|above|previous|prompt)\b|\byou are now\b|\bsystem prompt\b')))::INT AS suspect_all,
             len(regexp_extract_all(coalesce(text, ''), '(?i)\[(?:redacted|removed|withheld)\]|█{2,}|\bX{4,}\b'))::INT AS redacted,
                 substr(sha256(coalesce(text, '')), 1, 8) AS fence FROM documents""",
     "idw_estimates": f"""

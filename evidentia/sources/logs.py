@@ -43,12 +43,19 @@ def skipped(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("skip").agg(F.count(F.lit(1)).alias("n"))
 
 
-def channel_state(lines: DataFrame, order: str, column: str = "value") -> DataFrame:
-    """Frames of a console log: ``CSI_DATA,seq,mac,rssi,...,len,[i q i q ...]``; columns by the last header line before.
+def console_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, n, value: the lines of logs; n grows along each file."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value")
+
+
+def channel_state(lines: DataFrame, order: str, column: str = "value", by: tuple[str, ...] = ("file",)) -> DataFrame:
+    """Frames of console logs: ``CSI_DATA,seq,mac,rssi,...,len,[i q i q ...]``; columns by the last header line before in the same log.
+
+    by: the columns that tell logs apart, as ``console_lines`` has them; those that are missing are left out, and without any all lines are one log.
 
     Adds ``iq`` (integers), ``skip`` (a reason or null). A header names columns; without one the default holds.
     """
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*[c for c in by if c in lines.columns]).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     text = F.col(column)
     head = F.when(text.rlike(r"^type,"), text)
     rows = lines.withColumn("header", F.coalesce(F.last(head, ignorenulls=True).over(w), F.lit("type,seq,mac,rssi,rate,len,data")))
