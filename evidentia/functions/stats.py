@@ -108,11 +108,21 @@ def _log_gamma(x: Column) -> Column:
     """Of x >= 1, by Stirling's series at x + 8."""
     y = x + 8
     series = (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
-    return series - sum((F.ln(x + i) for i in range(1, 8)), F.ln(x))
+    below = x
+    for i in range(1, 8):
+        below = below * (x + i)
+    return series - F.ln(below)
+
+
+#: Up to this count a Poisson tail's terms are written out, so that they are compiled.
+SHORT_TAIL = 40
 
 
 def poisson_tail(count: Column, mean: Column) -> Column:
-    """P(X >= count) of a Poisson variable: terms from the count away from the mean, in units of the first, till they vanish."""
+    """P(X >= count) of a Poisson variable: terms from the count away from the mean, in units of the first, till they vanish.
+
+    Above a count of n some 6 sqrt(n) terms matter, below it n: for small counts all are one nested product.
+    """
     n, m = count.cast("double"), F.greatest(mean.cast("double"), F.lit(1e-300))
     above = n > m
     first = F.when(above, n).otherwise(n - 1)
@@ -123,6 +133,10 @@ def poisson_tail(count: Column, mean: Column) -> Column:
         F.sequence(F.lit(1), most), F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")),
         lambda a, k: F.struct((a["t"] * step(k)).alias("t"), (a["s"] + a["t"]).alias("s"))
     )["s"]
+    over = under = F.lit(1.0)
+    for k in range(SHORT_TAIL, 0, -1):
+        over, under = 1 + over * m / (n + k), 1 + under * F.greatest(n - k, F.lit(0.0)) / m
+    total = F.when(count <= SHORT_TAIL, F.when(above, over).otherwise(under)).otherwise(total)
     part = F.exp(first * F.ln(m) - m - _log_gamma(first + 1)) * total
     tail = F.when(above, part).otherwise(1 - part)
     return F.when(count <= 0, F.lit(1.0)).when(mean <= 0, F.lit(0.0)).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))

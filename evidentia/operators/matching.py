@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ def softmax(v) -> Column:
 
 
 BLOCK, FEW, SPREAD = 1024, 16, 64
+#: Rows of probes, and probes at once, that meet a part of a library.
+PROBES, CHUNK = 200_000, 2000
 
 
 def with_blocks(rows: DataFrame, bank: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -186,10 +191,56 @@ def library_distances(probes: DataFrame, lib: DataFrame) -> DataFrame:
     )
 
 
+def _nearest_emitters(left: pa.Table, right: pa.Table) -> pa.Table:
+    """id, distance, emitter, used: the nearest emitter of ``right`` for each probe of ``left`` that shares a feature with any.
+
+    Every row of a probe counts, also several of one feature.
+    """
+    right = right.rename_columns([c[1:] for c in right.column_names]).combine_chunks()
+    left = left.combine_chunks()
+    left = left.take(pc.sort_indices(left, sort_keys=[("id", "ascending")])).combine_chunks()
+    emitters, names = (right.column(c).combine_chunks().unique() for c in ("emitter", "feature"))
+    emitters = emitters.take(pc.sort_indices(emitters))
+    at, of = (pc.index_in(right.column(c).combine_chunks(), v).to_numpy(zero_copy_only=False) for c, v in (("emitter", emitters), ("feature", names)))
+    mean, pooled = (np.full((len(names), len(emitters)), np.nan) for _ in range(2))
+    mean[of, at], pooled[of, at] = right.column("mean").to_numpy(), right.column("pooled").to_numpy()
+    known = pc.index_in(left.column("feature").combine_chunks(), names)
+    left, feature = left.filter(known.is_valid()).combine_chunks(), known.drop_null().to_numpy(zero_copy_only=False)
+    value, ids = left.column("value").to_numpy(), left.column("id").combine_chunks()
+    own = ids.unique()
+    begin = np.append(np.searchsorted(pc.index_in(ids, own).to_numpy(zero_copy_only=False), np.arange(len(own))), len(ids)) if len(ids) else np.zeros(1, int)
+    best, far, used = (np.zeros(len(own), t) for t in (np.int64, float, np.int64))
+    for a in range(0, len(own), CHUNK):
+        b = min(a + CHUNK, len(own))
+        rows = slice(begin[a], begin[b])
+        d = (value[rows, None] - mean[feature[rows]]) ** 2 / pooled[feature[rows]]
+        n = np.add.reduceat(np.isfinite(d), begin[a:b] - begin[a], axis=0)
+        total = np.add.reduceat(np.nan_to_num(d, posinf=0.0), begin[a:b] - begin[a], axis=0)
+        d = np.where(n > 0, np.sqrt(total / np.maximum(n, 1)), np.inf)
+        best[a:b] = near = d.argmin(axis=1)  # of equal ones the lesser emitter
+        far[a:b], used[a:b] = d[np.arange(b - a), near], n[np.arange(b - a), near]
+    found = pa.table({"id": own, "distance": pa.array(far), "emitter": emitters.take(pa.array(best)), "used": pa.array(used)})
+    return found.filter(pa.array(used > 0))
+
+
 def library_match(probes: DataFrame, lib: DataFrame, limits: dict[int, float]) -> DataFrame:
-    """The nearest emitter, or UNKNOWN beyond the limit for the number of features used."""
-    d = library_distances(probes, lib)
-    best = d.groupBy("id").agg(F.min(F.struct("distance", "emitter", "used")).alias("b")).select(
+    """The nearest emitter, or UNKNOWN beyond the limit for the number of features used.
+
+    Emitters are dealt in parts of about ``BLOCK`` and probes in parts of about ``PROBES``; each two parts meet once, as matrices, and
+    give every probe's nearest of the part. No pair of probe and emitter is a row.
+    """
+    scaled = lib.join(pooled_variance(lib), "feature").filter("pooled > 0").select("emitter", "feature", "mean", "pooled")
+    asked = probes.filter(F.col("value").isNotNull()).select("id", "feature", F.col("value").cast("double").alias("value"))
+    banks = max(1, -(-scaled.select("emitter").distinct().count() // BLOCK))
+    parts = max(1, -(-asked.count() // PROBES))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_p", number("id", parts)).withColumn("_b", every(banks))
+    right = scaled.withColumn("_b", number("emitter", banks)).withColumn("_p", every(parts))
+    kinds = probes.schema["id"].dataType.simpleString(), lib.schema["emitter"].dataType.simpleString()
+    right = right.select(*[F.col(c).alias(f"r{c}") for c in right.columns])
+    near = left.groupBy("_p", "_b").cogroup(right.groupBy("r_p", "r_b")).applyInArrow(_nearest_emitters, f"id {kinds[0]}, distance double, emitter {kinds[1]}, used long")
+    best = near.groupBy("id").agg(F.min(F.struct("distance", "emitter", "used")).alias("b")).select(
         "id", F.col("b.emitter").alias("nearest"), F.col("b.distance").alias("distance"), F.col("b.used").alias("used")
     )
     limit = F.lit(None).cast("double")
