@@ -1,4 +1,4 @@
-"""Field and diffraction kernels: kriging, profiles over terrain, spectra of arrays."""
+"""Kernels of fields: variogram fits and kriging."""
 
 from __future__ import annotations
 
@@ -50,147 +50,3 @@ def krige_many(xy: np.ndarray, z: np.ndarray, nugget: float, sill: float, reach:
     r[:, :n, 0] = model(np.linalg.norm(xy, axis=2), nugget, sill, reach)
     w = np.linalg.pinv(k) @ r
     return (w[:, :n, 0] * z).sum(axis=1), np.sqrt(np.maximum((w * r).sum(axis=(1, 2)), 0))
-
-
-def knife_edge_db(v: float) -> float:
-    return 6.9 + 20 * math.log10(math.sqrt((v - 0.1) ** 2 + 1) + v - 0.1) if v > -0.78 else 0.0
-
-
-def edge_parameter(d1: float, d2: float, over: float, wavelength: float) -> float:
-    return over * math.sqrt(2 * (d1 + d2) / (wavelength * d1 * d2))
-
-
-def bullington_db(d: np.ndarray, h: np.ndarray, tx: float, rx: float, wavelength: float) -> float:
-    """Loss over a profile by the one edge where the steepest sight lines of both ends meet. h: ground with bulge."""
-    total, a, b = d[-1], h[0] + tx, h[-1] + rx
-    inner = slice(1, -1)
-    up, down = ((h[inner] - a) / d[inner]).max(), ((h[inner] - b) / (total - d[inner])).max()
-    if up <= (b - a) / total:
-        v = max(edge_parameter(x, total - x, y - (a * (total - x) + b * x) / total, wavelength) for x, y in zip(d[inner], h[inner], strict=True))
-    else:
-        x = (b - a + down * total) / (up + down)
-        v = edge_parameter(x, total - x, a + up * x - (a * (total - x) + b * x) / total, wavelength)
-    loss = knife_edge_db(v)
-    return loss + (1 - math.exp(-loss / 6)) * (10 + 0.02 * total / 1000)
-
-
-def deygout_db(d: np.ndarray, h: np.ndarray, tx: float, rx: float, wavelength: float, depth: int = 3) -> float:
-    """Loss of the main edge and, on both sides of it, of the next ones."""
-
-    def part(i: int, j: int, left: int) -> float:
-        if j - i < 2 or not left:
-            return 0.0
-        x, base = d[i + 1 : j] - d[i], np.array([heights[i], heights[j]])
-        line = base[0] + (base[1] - base[0]) * x / (d[j] - d[i])
-        v = (h[i + 1 : j] - line) * np.sqrt(2 * (d[j] - d[i]) / (wavelength * x * (d[j] - d[i] - x)))
-        k = int(np.argmax(v))
-        if v[k] <= -0.78:
-            return 0.0
-        return knife_edge_db(float(v[k])) + part(i, i + 1 + k, left - 1) + part(i + 1 + k, j, left - 1)
-
-    heights = h.astype(float).copy()
-    heights[0], heights[-1] = h[0] + tx, h[-1] + rx
-    return part(0, len(d) - 1, depth)
-
-
-def steering(positions: np.ndarray, azimuth_deg: np.ndarray, wavelength: float) -> np.ndarray:
-    """Phases of a plane wave from each azimuth at each element (east, north)."""
-    a = np.radians(azimuth_deg)
-    return np.exp(2j * np.pi / wavelength * (positions @ np.vstack([np.sin(a), np.cos(a)])))
-
-
-def music(x: np.ndarray, positions: np.ndarray, azimuth_deg: np.ndarray, wavelength: float, sources: int = 1) -> np.ndarray:
-    """Pseudospectrum over azimuth of snapshots x (elements, samples)."""
-    r = x @ x.conj().T / x.shape[1]
-    _, e = np.linalg.eigh(r)
-    noise = e[:, : len(r) - sources]
-    s = steering(positions, azimuth_deg, wavelength)
-    return len(r) / np.maximum((np.abs(noise.conj().T @ s) ** 2).sum(axis=0), 1e-12)
-
-
-def dijkstra(edges: list[tuple[int, int, float]], begin: int, end: int | None = None) -> dict[int, tuple[float, int]]:
-    """Distance and predecessor of the nodes reached over undirected edges."""
-    import heapq
-
-    near: dict[int, list[tuple[int, float]]] = {}
-    for a, b, w in edges:
-        near.setdefault(a, []).append((b, w))
-        near.setdefault(b, []).append((a, w))
-    out: dict[int, tuple[float, int]] = {}
-    heap = [(0.0, begin, -1)]
-    while heap:
-        d, n, via = heapq.heappop(heap)
-        if n in out:
-            continue
-        out[n] = (d, via)
-        if n == end:
-            break
-        for m, w in near.get(n, ()):
-            if m not in out:
-                heapq.heappush(heap, (d + w, m, n))
-    return out
-
-
-def pca(x: np.ndarray, share: float = 0.9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, scale and the components that hold the share of variance."""
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(scale > 0, scale, 1.0)
-    _, s, v = np.linalg.svd((x - mean) / scale, full_matrices=False)
-    run = np.cumsum(s**2) / (s**2).sum()
-    return mean, scale, v[: int(np.searchsorted(run, share)) + 1]
-
-
-def pca_error(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    z = (x - mean) / scale
-    return np.sqrt(((z - z @ parts.T @ parts) ** 2).mean(axis=1))
-
-
-def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The divisor of logits that makes the labels likeliest."""
-    one = np.arange(len(labels))
-
-    def loss(log_t: float) -> float:
-        z = logits / math.exp(log_t)
-        z = z - z.max(axis=1, keepdims=True)
-        return float(-(z[one, labels] - np.log(np.exp(z).sum(axis=1))).mean())
-
-    low, high, g = -3.0, 3.0, (math.sqrt(5) - 1) / 2
-    for _ in range(80):
-        a, b = high - g * (high - low), low + g * (high - low)
-        low, high = (low, b) if loss(a) < loss(b) else (a, high)
-    return math.exp((low + high) / 2)
-
-
-def platt(score: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve through scores, by Newton's steps."""
-    x, w = np.column_stack([score, np.ones(len(score))]), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (label - p))
-        w = w + step
-        if np.abs(step).max() < 1e-10:
-            break
-    return float(w[0]), float(w[1])
-
-
-def vital_rate(x: np.ndarray, fs: float, low: float, high: float) -> tuple[float, float]:
-    """Strongest rate per second in a band of a signal, refined between bins, and its share of the band's power."""
-    x = (x - x.mean()) * np.hanning(len(x))
-    n = 1 << (4 * len(x) - 1).bit_length()
-    p, f = np.abs(np.fft.rfft(x, n)) ** 2, np.fft.rfftfreq(n, 1 / fs)
-    inside = np.flatnonzero((f >= low) & (f <= high))
-    k = inside[np.argmax(p[inside])]
-    if 0 < k < len(p) - 1:
-        a, b, c = np.log(p[k - 1 : k + 2] + 1e-30)
-        f0 = f[k] + 0.5 * (a - c) / (a - 2 * b + c) * (f[1] - f[0]) if a - 2 * b + c < 0 else f[k]
-    else:
-        f0 = f[k]
-    near = inside[np.abs(inside - k) <= max(2, n // len(x))]
-    return float(f0), float(p[near].sum() / p[inside].sum())
-
-
-def codebook_ml(x: np.ndarray, words: np.ndarray) -> tuple[int, float]:
-    """The code word of greatest noncoherent correlation, and its lead over the second."""
-    c = np.abs(words.conj() @ x)
-    order = np.argsort(-c)
-    return int(order[0]), float(c[order[0]] / max(c[order[1]], 1e-30)) if len(c) > 1 else math.inf

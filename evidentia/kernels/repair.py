@@ -53,25 +53,6 @@ def fill_both_ways(x: np.ndarray, begin: int, end: int, order: int = 16, context
     return out
 
 
-def fill_least_squares(x: np.ndarray, begin: int, end: int, order: int = 16, context: int = 512, rounds: int = 3) -> np.ndarray:
-    """Alternate the model and the gap: the samples that make the prediction error least."""
-    out = fill_both_ways(x, begin, end, order, context)
-    lo, hi = max(0, begin - context), min(len(x), end + context)
-    for _ in range(rounds):
-        a = burg(out[lo:hi], order)
-        p = len(a) - 1
-        rows = np.arange(max(begin, lo + p), min(end + p, hi))
-        if not len(rows):
-            break
-        m = np.zeros((len(rows), hi - lo), out.dtype)
-        for k in range(p + 1):
-            m[np.arange(len(rows)), rows - k - lo] = a[k]
-        known = np.ones(hi - lo, bool)
-        known[begin - lo : end - lo] = False
-        out[begin:end] = np.linalg.lstsq(m[:, ~known], -m[:, known] @ out[lo:hi][known], rcond=None)[0]
-    return out
-
-
 def kalman_smooth(t: np.ndarray, z: np.ndarray, sigma: np.ndarray, q: float, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Constant-velocity filter and smoother of one coordinate: positions and deviations at ``at``, log likelihood.
 

@@ -1,42 +1,9 @@
-"""Kernels over grids, images and boxes: merging, contours, densities, roads, restoration, speech, vital signs, seeded signals."""
+"""A kernel over grids: groups of cells."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 
-from evidentia.kernels.signal import frames, hann
-
-# Boxes
-
-
-def iou(a: tuple, b: tuple) -> float:
-    """Overlap of boxes (t0, t1, low, high): shared over joint area."""
-    t, f = min(a[1], b[1]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[2], b[2])
-    if t <= 0 or f <= 0:
-        return 0.0
-    return t * f / ((a[1] - a[0]) * (a[3] - a[2]) + (b[1] - b[0]) * (b[3] - b[2]) - t * f)
-
-
-def merge_boxes(boxes: list[dict], least: float = 0.3) -> list[dict]:
-    """Boxes by time and frequency, each joined to the first kept box it overlaps: sources and flags unite, the surer class stays."""
-    kept: list[dict] = []
-    for b in sorted(boxes, key=lambda x: (x["t0"], x["f_lo"])):
-        span = (b["t0"], b["t1"], b["f_lo"], b["f_hi"])
-        host = next((k for k in kept if iou((k["t0"], k["t1"], k["f_lo"], k["f_hi"]), span) >= least), None)
-        if host is None:
-            kept.append({**b, "sources": set(b.get("sources", ())), "flags": set(b.get("flags", ()))})
-            continue
-        if b.get("cls") and host.get("cls") and b["cls"] != host["cls"]:
-            host["flags"].add("classes disagree")
-        if b.get("confidence", 0) > host.get("confidence", 0):
-            host["cls"], host["confidence"] = b.get("cls"), b["confidence"]
-        host.update(t0=min(host["t0"], b["t0"]), t1=max(host["t1"], b["t1"]), f_lo=min(host["f_lo"], b["f_lo"]), f_hi=max(host["f_hi"], b["f_hi"]))
-        host["sources"] |= set(b.get("sources", ()))
-        host["flags"] |= set(b.get("flags", ()))
-    return kept
-
 
 def mask_components(mask: np.ndarray, bridge: int = 1) -> list[tuple[int, int, int, int, int]]:
     """Boxes (row0, row1, col0, col1, cells) of groups of cells that touch, diagonally too, after gaps along rows are bridged."""
@@ -70,260 +37,3 @@ def mask_components(mask: np.ndarray, bridge: int = 1) -> list[tuple[int, int, i
         b = out.setdefault(find(label[r, c]), [r, r, c, c, 0])
         b[0], b[1], b[2], b[3], b[4] = min(b[0], r), max(b[1], r), min(b[2], c), max(b[3], c), b[4] + int(mask[r, c])
     return sorted((a, b + 1, c, d + 1, n) for a, b, c, d, n in out.values())
-
-
-# Grids
-
-
-def contour(grid: np.ndarray, level: float) -> list[list[tuple[float, float]]]:
-    """Closed or open lines (row, column) where a grid crosses a level, by squares with linear edges."""
-    pad = np.pad(grid.astype(float), 1, constant_values=min(float(grid.min()), level) - 1)
-    segments: dict[tuple, list[tuple]] = {}
-    cross = lambda a, b: (level - a) / (b - a)
-    for r in range(pad.shape[0] - 1):
-        for c in range(pad.shape[1] - 1):
-            q = pad[r, c], pad[r, c + 1], pad[r + 1, c + 1], pad[r + 1, c]
-            on = [v >= level for v in q]
-            edges = []
-            for k, (i, j) in enumerate(((0, 1), (1, 2), (2, 3), (3, 0))):
-                if on[i] != on[j]:
-                    t = cross(q[i], q[j])
-                    edges.append(((r, c + t), (r + t, c + 1), (r + 1, c + 1 - t), (r + 1 - t, c))[k])
-            if len(edges) == 4 and (sum(q) / 4 >= level) == on[0]:
-                edges = edges[1:] + edges[:1]
-            for a, b in zip(edges[::2], edges[1::2], strict=False):
-                a, b = (tuple(round(v - 1, 9) for v in p) for p in (a, b))
-                segments.setdefault(a, []).append(b)
-                segments.setdefault(b, []).append(a)
-    lines = []
-    while segments:
-        at = next((p for p, n in segments.items() if len(n) == 1), next(iter(segments)))
-        line = [at]
-        while segments.get(at):
-            to = segments[at].pop()
-            segments[to].remove(at)
-            if not segments[at]:
-                del segments[at]
-            line.append(to)
-            at = to
-        segments.pop(at, None)
-        lines.append(line)
-    return lines
-
-
-def ring_area(ring: list[tuple[float, float]]) -> float:
-    p = np.array(ring)
-    return float(abs(np.dot(p[:-1, 0], p[1:, 1]) - np.dot(p[1:, 0], p[:-1, 1])) / 2)
-
-
-def inside(point: tuple[float, float], ring: list[tuple[float, float]]) -> bool:
-    y, x, out = *point, False
-    for (y0, x0), (y1, x1) in zip(ring, ring[1:], strict=False):
-        if (y0 > y) != (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0:
-            out = not out
-    return out
-
-
-def density(points: np.ndarray, weights: np.ndarray, cells: np.ndarray, width: float) -> np.ndarray:
-    """Normal kernels of weighted points at cells, as shares of one."""
-    d = ((cells[:, None] - points[None]) ** 2).sum(axis=2)
-    p = np.exp(-0.5 * d / width**2) @ weights
-    return p / p.sum()
-
-
-def snap(point: np.ndarray, nodes: np.ndarray, edges: list[tuple[int, int]]) -> tuple[int, float, float]:
-    """Nearest road edge, how far along it (0 to 1), and the distance to it."""
-    a, b = nodes[[e[0] for e in edges]], nodes[[e[1] for e in edges]]
-    d = b - a
-    t = np.clip(((point - a) * d).sum(axis=1) / np.maximum((d * d).sum(axis=1), 1e-12), 0, 1)
-    off = np.linalg.norm(a + t[:, None] * d - point, axis=1)
-    k = int(np.argmin(off))
-    return k, float(t[k]), float(off[k])
-
-
-# Images
-
-
-def otsu(image: np.ndarray) -> float:
-    """The grey level that parts an image into two classes with the greatest variance between them."""
-    count, edge = np.histogram(image, 256)
-    middle = (edge[:-1] + edge[1:]) / 2
-    w = np.cumsum(count)
-    m = np.cumsum(count * middle)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        between = (m[-1] * w - m * w[-1]) ** 2 / (w * (w[-1] - w))
-    return float(middle[int(np.nanargmax(between[:-1]))])
-
-
-def noise_sigma(image: np.ndarray) -> float:
-    """Deviation of noise from the median of second differences."""
-    d = image[:-1, :-1] - image[1:, :-1] - image[:-1, 1:] + image[1:, 1:]
-    return float(np.median(np.abs(d)) / 0.6745 / 2)
-
-
-def sharpness(image: np.ndarray) -> float:
-    lap = 4 * image[1:-1, 1:-1] - image[:-2, 1:-1] - image[2:, 1:-1] - image[1:-1, :-2] - image[1:-1, 2:]
-    return float(lap.var())
-
-
-def psnr(a: np.ndarray, b: np.ndarray, top: float = 1.0) -> float:
-    e = float(np.mean((a - b) ** 2))
-    return math.inf if e == 0 else 10 * math.log10(top**2 / e)
-
-
-def deblur(image: np.ndarray, kernel: np.ndarray, noise: float = 0.01) -> np.ndarray:
-    """Wiener deconvolution with a known kernel."""
-    pad = np.zeros(image.shape)
-    pad[: kernel.shape[0], : kernel.shape[1]] = kernel
-    pad = np.roll(pad, (-(kernel.shape[0] // 2), -(kernel.shape[1] // 2)), (0, 1))
-    k = np.fft.rfft2(pad)
-    return np.fft.irfft2(np.fft.rfft2(image) * k.conj() / (np.abs(k) ** 2 + noise), image.shape)
-
-
-def ink_f1(guess: np.ndarray, truth: np.ndarray) -> float:
-    both = float((guess & truth).sum())
-    return 2 * both / max(float(guess.sum() + truth.sum()), 1.0)
-
-
-def without_specks(ink: np.ndarray, least: int = 4) -> np.ndarray:
-    out = ink.copy()
-    for r0, r1, c0, c1, n in mask_components(ink, 0):
-        if n < least:
-            out[r0:r1, c0:c1] = False
-    return out
-
-
-# Speech
-
-
-def enhance(x: np.ndarray, fs: float, floor: float = 0.1, memory: float = 0.96) -> np.ndarray:
-    """Reduce slowly changing noise: minimum-controlled averages of the noise, and a gain from the ratio decided before."""
-    size = int(2 ** round(math.log2(0.032 * fs)))
-    hop, w = size // 4, np.sqrt(hann(size))
-    spec = np.fft.rfft(frames(np.concatenate([np.zeros(size), x, np.zeros(2 * size)]), size, hop) * w, axis=1)
-    power = np.abs(spec) ** 2
-    noise, smooth, low, before = power[4:8].mean(axis=0) + 1e-12, power[4].copy(), power[4].copy(), np.ones(power.shape[1])
-    for i, p in enumerate(power):
-        smooth = 0.8 * smooth + 0.2 * p
-        low = np.where(smooth < low, smooth, low * 1.01)
-        speech = smooth > 5 * low
-        noise = np.where(speech, noise, 0.95 * noise + 0.05 * p)
-        post = p / np.maximum(noise, 1e-12)
-        prior = memory * before + (1 - memory) * np.maximum(post - 1, 0)
-        gain = np.maximum(prior / (1 + prior), floor)
-        before = gain**2 * post
-        spec[i] *= gain
-    out = np.zeros(len(x) + 4 * size)
-    for i, f in enumerate(np.fft.irfft(spec, size, axis=1) * w):
-        out[i * hop : i * hop + size] += f
-    return out[size : size + len(x)] / 2
-
-
-def segment_snr_db(clean: np.ndarray, x: np.ndarray, size: int = 256) -> float:
-    c, e = frames(clean, size, size), frames(x - clean, size, size)
-    ratio = 10 * np.log10((c**2).sum(axis=1) / np.maximum((e**2).sum(axis=1), 1e-12) + 1e-12)
-    return float(np.clip(ratio, -10, 35).mean())
-
-
-# Vital signs
-
-
-def bandpass(x: np.ndarray, fs: float, low: float, high: float) -> np.ndarray:
-    """Keep a band without delay, by raised edges over frequency."""
-    f = np.fft.rfftfreq(2 * len(x), 1 / fs)
-    edge = 0.2 * (high - low)
-    g = np.clip((f - low) / edge + 0.5, 0, 1) * np.clip((high - f) / edge + 0.5, 0, 1)
-    mirrored = np.concatenate([x, x[::-1]]) - x.mean()
-    return np.fft.irfft(np.fft.rfft(mirrored) * g, 2 * len(x))[: len(x)]
-
-
-def savgol(x: np.ndarray, half: int, degree: int = 2) -> np.ndarray:
-    """Smooth by a polynomial through each neighbourhood."""
-    t = np.arange(-half, half + 1)
-    h = np.linalg.pinv(np.vander(t, degree + 1, increasing=True))[0]
-    return np.convolve(np.pad(x, half, mode="edge"), h[::-1], "valid")
-
-
-def vital_signs(h: np.ndarray, fs: float, window_s: float = 30.0, hop_s: float = 5.0) -> list[tuple[float, float, float]]:
-    """Start, breathing and heart rate a minute of windows of amplitudes (time, carriers); carriers that move most in a band are averaged."""
-    from evidentia.kernels.fields import vital_rate
-
-    out = []
-    for a in range(0, len(h) - int(window_s * fs) + 1, int(hop_s * fs)):
-        part = h[a : a + int(window_s * fs)]
-        part = (part - part.mean(axis=0)) / np.maximum(part.std(axis=0), 1e-9)
-        rates = []
-        for low, high in ((0.1, 0.6), (0.8, 2.0)):
-            x = np.array([bandpass(c, fs, low, high) for c in part.T])
-            best = x[np.argsort(-x.var(axis=1))[: max(1, len(x) // 3)]]
-            lead = best[0]
-            best = best * np.sign(best @ lead)[:, None]
-            rates.append(60 * vital_rate(best.mean(axis=0), fs, low, high)[0])
-        out.append((a / fs, *rates))
-    return out
-
-
-def pauses(x: np.ndarray, fs: float, depth: float = 0.3, bridge_s: float = 2.0, least_s: float = 10.0) -> list[tuple[float, float]]:
-    """Spans where breathing stops: a short envelope far under the long median, flickers bridged, long enough."""
-    k = int(4 * fs)
-    env = np.sqrt(np.convolve(x**2, np.ones(k) / k, "same"))
-    wide = int(60 * fs)
-    middle = np.array([np.median(env[max(0, i - wide // 2) : i + wide // 2]) for i in range(0, len(env), k)]).repeat(k)[: len(env)]
-    on = np.flatnonzero(np.diff(np.concatenate([[0], (env < depth * middle).astype(int), [0]])))
-    spans: list[list[float]] = []
-    for a, b in zip(on[::2] / fs, on[1::2] / fs, strict=True):
-        if spans and a - spans[-1][1] <= bridge_s:
-            spans[-1][1] = b
-        else:
-            spans.append([a, b])
-    return [(a, b) for a, b in spans if b - a >= least_s]
-
-
-# Seeded signals for tests and training sets
-
-
-def waveform(kind: str, fs: float, seconds: float, seed: int = 0, rate: float = 1200.0) -> np.ndarray:
-    """Unit-power complex signals: tone, fm, bpsk, qpsk, fsk, ofdm or noise."""
-    rng, n = np.random.default_rng(seed), int(fs * seconds)
-    if kind == "tone":
-        return np.exp(2j * np.pi * 0.1 * np.arange(n))
-    if kind == "noise":
-        return (rng.standard_normal(n) + 1j * rng.standard_normal(n)) / math.sqrt(2)
-    if kind == "fm":
-        m = np.cumsum(np.convolve(rng.standard_normal(n), np.hanning(64), "same"))
-        return np.exp(2j * np.pi * 0.05 * m / np.abs(m).max() * math.sqrt(n))
-    if kind == "ofdm":
-        size, prefix = 64, 16
-        syms = np.fft.ifft((rng.choice([-1, 1], (n // 80 + 1, size)) + 1j * rng.choice([-1, 1], (n // 80 + 1, size))), axis=1)
-        x = np.concatenate([syms[:, -prefix:], syms], axis=1).ravel()[:n]
-        return x / np.sqrt(np.mean(np.abs(x) ** 2))
-    per = max(2, int(fs / rate))
-    bits = rng.integers(0, 4, n // per + 2)
-    if kind == "fsk":
-        return np.exp(2j * np.pi * np.cumsum(np.repeat(bits % 2 * 2 - 1, per)[:n] * rate / 4 / fs))
-    points = np.exp(1j * np.pi * bits) if kind == "bpsk" else np.exp(1j * (np.pi / 4 + np.pi / 2 * bits))
-    x = np.convolve(np.repeat(points, per), np.hanning(per) / per * 2, "same")[:n]
-    return x / np.sqrt(np.mean(np.abs(x) ** 2))
-
-
-def fading_mask(n: int, to_bad: float, to_good: float, seed: int = 0) -> np.ndarray:
-    """Good and bad spells of a two-state chain; true where good."""
-    rng, state, out = np.random.default_rng(seed), True, np.empty(n, bool)
-    for i, u in enumerate(rng.random(n)):
-        state = (u >= to_bad) if state else (u < to_good)
-        out[i] = state
-    return out
-
-
-def denoise_step(x: np.ndarray, noise_at: float, eps) -> np.ndarray:
-    """One deterministic step back from a diffusion level: what is left when the predicted noise is taken out."""
-    return (x - math.sqrt(1 - noise_at) * eps(x, noise_at)) / math.sqrt(noise_at)
-
-
-def ddim(x: np.ndarray, levels: np.ndarray, eps) -> np.ndarray:
-    """Deterministic sampling down a sequence of signal shares (small to near 1) with any noise predictor."""
-    for now, to in zip(levels, [*levels[1:], 1.0], strict=True):
-        e = eps(x, now)
-        x0 = (x - math.sqrt(1 - now) * e) / math.sqrt(now)
-        x = math.sqrt(to) * x0 + math.sqrt(1 - to) * e
-    return x

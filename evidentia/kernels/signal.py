@@ -1,4 +1,4 @@
-"""Signal kernels on complex NumPy arrays: spectra, filters, resampling, measures."""
+"""Signal kernels on complex NumPy arrays: spectra and the band that holds most of the power."""
 
 from __future__ import annotations
 
@@ -40,199 +40,3 @@ def occupied_band(x: np.ndarray, fs: float, share: float = 0.99, size: int = 102
         return math.nan, math.nan
     run = np.cumsum(p) / p.sum()
     return float(f[np.searchsorted(run, (1 - share) / 2)]), float(f[min(np.searchsorted(run, (1 + share) / 2), len(f) - 1)])
-
-
-def snr_db(x: np.ndarray, fs: float, low: float, high: float, size: int = 1024) -> float:
-    """Power of a band over the median floor in it."""
-    f, p = psd(x, fs, size)
-    inside = (f >= low) & (f <= high)
-    noise = np.median(p[~inside]) / math.log(2) if (~inside).any() else math.nan
-    signal = p[inside].mean() - noise
-    return 10 * math.log10(signal / noise) if signal > 0 and noise > 0 else -math.inf
-
-
-def lowpass(cutoff: float, fs: float, taps: int = 101) -> np.ndarray:
-    """Blackman-windowed sinc of unit gain at zero frequency."""
-    n = np.arange(taps) - (taps - 1) / 2
-    h = np.sinc(2 * cutoff / fs * n) * np.blackman(taps)
-    return h / h.sum()
-
-
-def shift(x: np.ndarray, hz: float, fs: float) -> np.ndarray:
-    return x * np.exp(-2j * np.pi * hz / fs * np.arange(len(x)))
-
-
-def decimate(x: np.ndarray, factor: int, fs: float, taps_per: int = 20) -> np.ndarray:
-    """Filter to the new band and keep every ``factor``-th sample, without delay."""
-    if factor == 1:
-        return x
-    h = lowpass(0.45 * fs / factor, fs, 2 * taps_per * factor // 2 + 1)
-    return np.convolve(x, h, "same")[::factor]
-
-
-def rational(ratio: float, most: int = 1000) -> tuple[int, int]:
-    """The simplest fraction near a ratio of rates."""
-    from fractions import Fraction
-
-    f = Fraction(ratio).limit_denominator(most)
-    return f.numerator, f.denominator
-
-
-def resample(x: np.ndarray, fs: float, to: float) -> np.ndarray:
-    """Band-limited resampling to any rate: a windowed sinc at each output time."""
-    n, half = int(len(x) * to / fs), 16
-    at = np.arange(n) * fs / to
-    band = min(1.0, to / fs)
-    reach = int(math.ceil(half / band))
-    base = np.floor(at).astype(int)
-    out = np.zeros(n, complex if np.iscomplexobj(x) else float)
-    for k in range(-reach, reach + 1):
-        i = base + k
-        d = (at - i) * band
-        w = np.where(np.abs(d) < half, np.sinc(d) * (0.5 + 0.5 * np.cos(np.pi * d / half)), 0) * band
-        ok = (i >= 0) & (i < len(x))
-        out[ok] += x[i[ok]] * w[ok]
-    return out
-
-
-def symbol_rate(x: np.ndarray, fs: float, low: float, high: float) -> tuple[float, float]:
-    """Strongest line of the squared magnitude between two rates, and how far it stands over the mean."""
-    p = np.abs(np.fft.rfft(np.abs(x) ** 2 - np.mean(np.abs(x) ** 2))) ** 2
-    f = np.fft.rfftfreq(len(x), 1 / fs)
-    inside = np.flatnonzero((f >= low) & (f <= high))
-    if not len(inside):
-        return math.nan, 0.0
-    k = inside[np.argmax(p[inside])]
-    return float(f[k]), float(p[k] / p[inside].mean())
-
-
-def carrier_offset(x: np.ndarray, fs: float, power: int = 1) -> float:
-    """Frequency of the strongest line after raising to a power that takes the modulation away."""
-    p = np.abs(np.fft.fft(x**power)) ** 2
-    return float(np.fft.fftfreq(len(x), 1 / fs)[np.argmax(p)] / power)
-
-
-def envelope_bursts(x: np.ndarray, smooth: int, factor: float, least: int) -> list[tuple[int, int]]:
-    """Runs of the smoothed power over a factor of its median."""
-    p = np.convolve(np.abs(x) ** 2, np.ones(smooth) / smooth, "same")
-    on = np.concatenate([[0], (p > factor * np.median(p)).astype(int), [0]])
-    edge = np.diff(on)
-    return [(int(a), int(b)) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True) if b - a >= least]
-
-
-def caf(x: np.ndarray, alpha: float, lag: int, fs: float, conj: bool = False) -> complex:
-    """Cyclic autocorrelation at one cycle frequency and lag."""
-    a, b = x[lag:], x[: len(x) - lag]
-    return complex(np.mean(a * (b if conj else b.conj()) * np.exp(-2j * np.pi * alpha / fs * np.arange(len(a)))))
-
-
-def spectral_correlation(x: np.ndarray, fs: float, alphas: np.ndarray, size: int = 256) -> np.ndarray:
-    """Coherence between bins that lie a cycle frequency apart, by averaging frames: rows alphas, columns bins."""
-    f = frames(x, size, size // 2) * hann(size)
-    n = np.arange(len(f))[:, None] * (size // 2) + np.arange(size)[None, :]
-    out = np.zeros((len(alphas), size))
-    for i, a in enumerate(alphas):
-        up, down = (np.fft.fft(f * np.exp(s * 1j * np.pi * a / fs * n), axis=1) for s in (-1, 1))
-        cross = np.abs((up * down.conj()).mean(axis=0))
-        out[i] = np.fft.fftshift(cross / np.sqrt((np.abs(up) ** 2).mean(axis=0) * (np.abs(down) ** 2).mean(axis=0) + 1e-30))
-    return out
-
-
-def prefix_correlation(x: np.ndarray, lag: int, length: int) -> tuple[float, int]:
-    """How much a stretch repeats ``lag`` samples later, at the best phase of a symbol: the mark of a cyclic prefix."""
-    a = x[lag:] * x[: len(x) - lag].conj()
-    period = lag + length
-    n = len(a) // period * period
-    if not n:
-        return 0.0, 0
-    rows = np.abs(a[:n].reshape(-1, period).sum(axis=0))
-    power = np.mean(np.abs(x) ** 2) * (n // period)
-    run = np.convolve(np.tile(a[:n].reshape(-1, period).sum(axis=0), 2), np.ones(length), "valid")[:period]
-    k = int(np.argmax(np.abs(run)))
-    return float(np.abs(run[k]) / (power * length)) if rows.size else 0.0, k
-
-
-def channelise(x: np.ndarray, channels: int, taps_per: int = 8) -> np.ndarray:
-    """Polyphase filterbank, critically sampled: rows channels, zero frequency first."""
-    h = lowpass(0.5, channels, channels * taps_per) * channels
-    n = len(x) // channels - taps_per + 1
-    if n <= 0:
-        return np.zeros((channels, 0), complex)
-    blocks = np.lib.stride_tricks.sliding_window_view(x, channels * taps_per)[::channels][:n]
-    return np.fft.fft((blocks * h[::-1]).reshape(n, taps_per, channels).sum(axis=1), axis=1).T / channels
-
-
-def align(a: np.ndarray, b: np.ndarray) -> int:
-    """Samples by which b comes later than a, from their power envelopes."""
-    p, q = (np.abs(v) ** 2 - np.mean(np.abs(v) ** 2) for v in (a, b))
-    n = 1 << (len(p) + len(q)).bit_length()
-    c = np.fft.irfft(np.fft.rfft(q, n) * np.fft.rfft(p, n).conj(), n)
-    k = int(np.argmax(c))
-    return k if k < n // 2 else k - n
-
-
-def cumulants(x: np.ndarray) -> dict[str, float]:
-    """Fourth-order cumulants over power squared, by which modulations differ."""
-    x = x - x.mean()
-    m20, m21 = np.mean(x * x), np.mean(np.abs(x) ** 2)
-    c40 = np.mean(x**4) - 3 * m20**2
-    c41 = np.mean(x**3 * x.conj()) - 3 * m20 * m21
-    c42 = np.mean(np.abs(x) ** 4) - np.abs(m20) ** 2 - 2 * m21**2
-    s = m21**2
-    return {"c20": abs(m20) / m21, "c40": abs(c40) / s, "c41": abs(c41) / s, "c42": float(np.real(c42) / s)}
-
-
-def imbalance(x: np.ndarray) -> dict[str, float]:
-    """Offset, gain and phase error of a quadrature receiver from moments of a circular signal."""
-    i, q = x.real - x.real.mean(), x.imag - x.imag.mean()
-    pi, pq, c = np.mean(i * i), np.mean(q * q), np.mean(i * q)
-    gain, phase = math.sqrt(pq / pi), math.asin(max(-1.0, min(1.0, c / math.sqrt(pi * pq))))
-    top, bottom = 1 + gain**2 - 2 * gain * math.cos(phase), 1 + gain**2 + 2 * gain * math.cos(phase)
-    return {
-        "dc_i": float(x.real.mean()), "dc_q": float(x.imag.mean()), "gain": gain, "phase": phase,
-        "image_db": 10 * math.log10(bottom / max(top, 1e-12))
-    }
-
-
-def circularity(x: np.ndarray) -> float:
-    return float(np.abs(np.mean(x * x)) / np.mean(np.abs(x) ** 2))
-
-
-def wiener_gain(power: np.ndarray, noise: np.ndarray, least: float = 0.05) -> np.ndarray:
-    return np.maximum(np.maximum(power - noise, 0) / np.maximum(power, 1e-30), least)
-
-
-def median_filter(tile: np.ndarray, half: int = 1) -> np.ndarray:
-    w = np.lib.stride_tricks.sliding_window_view(np.pad(tile, half, mode="edge"), (2 * half + 1, 2 * half + 1))
-    return np.median(w, axis=(2, 3))
-
-
-def haar(tile: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """One level of the two-dimensional Haar transform; sides must be even."""
-    a, b = (tile[0::2] + tile[1::2]) / math.sqrt(2), (tile[0::2] - tile[1::2]) / math.sqrt(2)
-    split = lambda m: ((m[:, 0::2] + m[:, 1::2]) / math.sqrt(2), (m[:, 0::2] - m[:, 1::2]) / math.sqrt(2))
-    (ll, lh), (hl, hh) = split(a), split(b)
-    return ll, (lh, hl, hh)
-
-
-def unhaar(low: np.ndarray, high: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    def join(s, d):
-        out = np.empty((s.shape[0], 2 * s.shape[1]))
-        out[:, 0::2], out[:, 1::2] = (s + d) / math.sqrt(2), (s - d) / math.sqrt(2)
-        return out
-
-    a, b = join(low, high[0]), join(high[1], high[2])
-    out = np.empty((2 * a.shape[0], a.shape[1]))
-    out[0::2], out[1::2] = (a + b) / math.sqrt(2), (a - b) / math.sqrt(2)
-    return out
-
-
-def wavelet_denoise(tile: np.ndarray) -> np.ndarray:
-    """Soft thresholds on Haar details, each by noise variance over signal deviation."""
-    low, details = haar(tile)
-    sigma = np.median(np.abs(details[2])) / 0.6745
-    out = []
-    for d in details:
-        spread = math.sqrt(max(np.mean(d**2) - sigma**2, 1e-12))
-        out.append(np.sign(d) * np.maximum(np.abs(d) - sigma**2 / spread, 0))
-    return unhaar(low, tuple(out))

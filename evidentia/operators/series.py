@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.kernels.repair import fill_both_ways
+
 EDGES = ("re", "im")
 
 
@@ -113,6 +115,39 @@ def resampled_labels(labels: DataFrame, from_rate: float, to_rate: float) -> Dat
     return labels.withColumns({c: F.round(F.col(c) * up / down).cast("long") for c in ("sample_start", "sample_count")})
 
 
+def filled(blocks: DataFrame, key: str, size: int, most: int, order: int = 16, context: int = 128) -> DataFrame:
+    """key, at, value, inferred: the real series with its missing samples (NaN in ``re``), predicted from both sides of each gap.
+
+    A gap of up to ``most`` samples is filled by two autoregressive predictions, from the ``context`` samples before and after that are not
+    missing themselves, fading from one to the other; by a straight line if these are few; longer gaps, and those at an end, stay
+    NaN. Every gap is seen with its context in each block that it touches, so blocks don't matter.
+    """
+    halo = context + most
+    if halo > size:
+        raise ValueError(f"blocks must hold {halo} samples at least")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (_arrays(batch, c) for c in ("re", "before_re", "after_re"))
+            for i, (start, own, before, after) in enumerate(zip(batch.column(1).to_pylist(), *columns, strict=True)):
+                x = np.concatenate([before, own, after])
+                missing = np.isnan(x)
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], missing, [0]]).astype(int)))
+                y, first = x.copy(), len(before)
+                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                    if b > first and a < first + len(own) and b - a <= most and a > 0 and b < len(x):
+                        low = max([0, a - context, *(edge[1::2][edge[1::2] <= a - 1].tolist()[-1:])])
+                        high = min([len(x), b + context, *(edge[::2][edge[::2] > b].tolist()[:1])])
+                        y[a:b] = fill_both_ways(x[low:high], a - low, b - low, order, context)[a - low : b - low]
+                at, span = np.arange(start, start + len(own)), slice(first, first + len(own))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(np.full(len(at), i))), pa.array(at), pa.array(y[span]), pa.array(missing[span])], [key, "at", "value", "inferred"]
+                )
+
+    haloed = with_halo(blocks, key, halo, ("re",)).select(key, "start", "re", "before_re", "after_re")
+    return haloed.mapInArrow(run, f"{key} {blocks.schema[key].dataType.simpleString()}, at long, value double, inferred boolean")
+
+
 # Markers
 
 

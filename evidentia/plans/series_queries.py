@@ -19,13 +19,13 @@ def _t(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _samples(spark, sf):
+def _samples(spark, sf, *more):
     """capture, at, x, y: price and quantity about their middles, numbered for each supplier."""
     li = _t(spark, sf, "lineitem")
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     return li.select(
         F.col("l_suppkey").alias("capture"), (F.row_number().over(order) - 1).cast("long").alias("at"), (F.col("l_extendedprice") / 1000 - 38).alias("x"),
-        (F.col("l_quantity") - 25.5).cast("double").alias("y")
+        (F.col("l_quantity") - 25.5).cast("double").alias("y"), *more
     )
 
 

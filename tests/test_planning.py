@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import profiles
-from evidentia.kernels import language
 from evidentia.operators import hunting
 
 
@@ -84,20 +83,3 @@ def test_hunts(spark):
     lines = spark.createDataFrame([(1, 10.0, 1.0), (2, 10.4, 3.0), (3, 20.0, 1.0)], "id long, hz double, margin double")
     assert {(x.hz, x.members) for x in hunting.merge_lines(lines, 0.5).collect()} == {(10.4, 2), (20.0, 1)}
     assert one(spark, hunting.detection_verdict(F.lit(0.95), F.lit(0.001)).alias("v")).v == "good"
-
-
-def test_language():
-    text = "Dr. Smith met J. Bond at 5 p.m. yesterday. He left! Why?\nNew line"
-    assert [text[a:b] for a, b in language.sentences(text)] == ["Dr. Smith met J. Bond at 5 p.m. yesterday.", "He left!", "Why?", "New line"]
-    assert language.detokenize(["Hello", ",", "world", "(", "ok", ")", "!"]) == "Hello, world (ok)!"
-    assert language.truecase("the NASA rocket hit paris", ["We saw NASA in Paris.", "Go to Paris and NASA"]) == "The NASA rocket hit Paris"
-    found = language.glossary_check("The Colour and COLOUR.", {"color": ["colour"]})
-    assert [f["proposal"] for f in found] == ["Color", "COLOR"] and language.apply_edits("The Colour and COLOUR.", found) == "The Color and COLOR."
-    r, a, b = language.closest_passage("quick brown fox", "the quikc brown fox ran")
-    assert r > 0.9 and "the quikc brown fox ran"[a:b] == "quikc brown fox"
-    assert language.last_json('x {"a": 1} then {"b": {"c": 2}} {bad') == {"c": 2} or language.last_json('x {"a": 1} {bad') == {"a": 1}
-    model = language.MaskedModel(["the cat sat on the mat".split(), "the dog sat on the rug".split()] * 3)
-    words, order = model.fill(["the", "cat", None, "on", None, "mat"])
-    assert words == "the cat sat on the mat".split() and sorted(order) == [2, 4]
-    s = model.surprise("the cat sat on the moon".split())
-    assert s[-1] == max(s)

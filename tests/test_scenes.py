@@ -1,7 +1,6 @@
-"""Kernels over grids, images and boxes, and registries."""
+"""Groups of cells, and registries."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from evidentia.kernels import scenes
@@ -9,80 +8,12 @@ from evidentia.operators import registry
 
 
 def test_boxes():
-    a = {"t0": 0, "t1": 1, "f_lo": 0, "f_hi": 10, "cls": "x", "confidence": 0.4, "sources": ["s"]}
-    b = {**a, "t0": 0.1, "t1": 1.2, "cls": "y", "confidence": 0.9, "sources": ["q"]}
-    got = scenes.merge_boxes([b, a, {**a, "t0": 5, "t1": 6}])
-    assert len(got) == 2 and got[0]["cls"] == "y" and got[0]["sources"] == {"s", "q"} and got[0]["flags"] == {"classes disagree"} and got[0]["t1"] == 1.2
     m = np.zeros((8, 8), bool)
     m[1, 1:4] = m[2, 4] = m[4, 4] = True
     m[7, 0] = True
     assert scenes.mask_components(m) == [(1, 5, 1, 5, 5), (7, 8, 0, 1, 1)]
 
 
-def test_grids():
-    y, x = np.mgrid[0:41, 0:41]
-    ring = scenes.contour(12 - np.hypot(y - 20, x - 20), 0.0)
-    assert len(ring) == 1 and ring[0][0] == ring[0][-1] and scenes.ring_area(ring[0]) == pytest.approx(np.pi * 144, rel=0.01)
-    assert scenes.inside((20, 20), ring[0]) and not scenes.inside((20, 35), ring[0])
-    p = scenes.density(np.array([[0.0, 0], [4, 0]]), np.array([1.0, 3]), np.array([[0.0, 0], [4, 0], [9, 9]]), 1.0)
-    assert p.sum() == pytest.approx(1) and p[1] == pytest.approx(3 * p[0], rel=0.01)
-    k, t, d = scenes.snap(np.array([0.5, 1.0]), np.array([[0.0, 0], [1, 0], [1, 5]]), [(0, 1), (1, 2)])
-    assert (k, t, d) == (1, pytest.approx(0.2), pytest.approx(0.5))
-
-
-def test_images_and_sound():
-    rng = np.random.default_rng(1)
-    page = np.ones((64, 64))
-    page[10:50:8] = 0.1
-    noisy = page + 0.05 * rng.standard_normal(page.shape)
-    assert 0.2 < scenes.otsu(noisy) < 0.9 and scenes.noise_sigma(0.05 * rng.standard_normal((200, 200))) == pytest.approx(0.05, rel=0.1)
-    kernel = np.ones((3, 3)) / 9
-    blurred = np.real(np.fft.ifft2(np.fft.fft2(page) * np.fft.fft2(np.roll(np.pad(kernel, ((0, 61), (0, 61))), (-1, -1), (0, 1)))))
-    assert scenes.psnr(
-        scenes.deblur(blurred, kernel, 1e-4), page
-    ) > scenes.psnr(blurred, page) + 5 and scenes.sharpness(page) > scenes.sharpness(blurred)
-    ink = noisy < scenes.otsu(noisy)
-    ink[60, 60] = True
-    assert scenes.ink_f1(scenes.without_specks(ink), page < 0.5) > 0.99
-    fs = 8000.0
-    t = np.arange(int(2 * fs)) / fs
-    clean = np.sin(2 * np.pi * 440 * t) * (np.sin(2 * np.pi * 1.5 * t) > 0)
-    x = clean + 0.2 * rng.standard_normal(len(t))
-    y, quiet = scenes.enhance(x, fs), clean == 0
-    assert scenes.segment_snr_db(clean, y) > scenes.segment_snr_db(clean, x) and np.mean(y[quiet] ** 2) < 0.3 * np.mean(x[quiet] ** 2)
-
-
-def test_vital_signs():
-    rng, fs = np.random.default_rng(2), 20.0
-    t = np.arange(0, 90, 1 / fs)
-    h = np.array(
-        [
-            g * np.sin(2 * np.pi * 0.25 * t) + 0.15 * g * np.sin(2 * np.pi * 1.2 * t) + 0.2 * rng.standard_normal(len(t)) for g in rng.uniform(0.2, 2, 12)
-        ]
-    ).T
-    got = scenes.vital_signs(h, fs)
-    assert len(got) == 13 and all(abs(b - 15) < 0.6 and abs(r - 72) < 2 for _, b, r in got)
-    x = np.sin(2 * np.pi * 0.25 * t)
-    x[(t > 40) & (t < 58)] *= 0.02
-    found = scenes.pauses(x, fs)
-    assert len(found) == 1 and 38 < found[0][0] < 45 and 53 < found[0][1] < 60
-    assert np.abs(scenes.savgol(t**2, 5) - t**2)[5:-5].max() < 1e-6
-
-
-def test_made_signals():
-    for kind in ("tone", "fm", "bpsk", "qpsk", "fsk", "ofdm", "noise"):
-        x = scenes.waveform(kind, 48_000, 0.2)
-        assert len(x) == 9600 and np.mean(np.abs(x) ** 2) == pytest.approx(1, rel=0.05) and np.array_equal(x, scenes.waveform(kind, 48_000, 0.2))
-    bad = 1 - scenes.fading_mask(50_000, 0.01, 0.1).mean()
-    assert bad == pytest.approx(0.01 / 0.11, abs=0.02)
-    truth, noise = np.array([1.0, -2.0]), np.array([0.3, 0.4])
-    known = lambda x, a: (x - np.sqrt(a) * truth) / np.sqrt(1 - a)
-    start = np.sqrt(0.1) * truth + np.sqrt(0.9) * noise
-    assert scenes.ddim(
-        start, np.array([0.1, 0.5, 0.9]), known
-    ) == pytest.approx(truth) and scenes.denoise_step(start, 0.1, known) == pytest.approx(truth)
-
-
 def test_registries(spark, tmp_path):
     cards = spark.createDataFrame(
         [
