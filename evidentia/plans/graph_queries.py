@@ -138,7 +138,7 @@ def filled_masks(spark, sf):
     canvas = _words(_t(spark, sf, "benchmark")).select("item_id", F.posexplode("words").alias("at", "word")).withColumn(
         "word", F.when(F.col("at") % 6 != 3, F.col("word"))
     )
-    return _rounded(infill.fill(canvas, "item_id", pairs, 2, 4).filter("round > 0"), 8, "score")
+    return _rounded(infill.fill(canvas, "item_id", pairs, 2, 4).filter("round > 0"), 8, "score").withColumnRenamed("at", "pos")
 
 
 QUERIES = {
@@ -280,5 +280,5 @@ ORACLE_SQL = {
             FROM (SELECT item_id, {_WORDS} AS w FROM benchmark))),
         al AS (SELECT item, count(*) FILTER (word IS NULL) AS n FROM c0 GROUP BY item), {_round(1, 'c0', 'floor(al.n * cos(pi() / 4))')},
         c1 AS MATERIALIZED (SELECT c.item, c.pos, coalesce(c.word, f.w) AS word FROM c0 AS c LEFT JOIN f1 AS f ON f.item = c.item AND f.pos = c.pos), {_round(2, 'c1', '0')}
-        SELECT item AS item_id, pos::INTEGER AS "at", w AS word, 1 AS round, round(s, 8) AS score FROM f1 UNION ALL SELECT item, pos, w, 2, round(s, 8) FROM f2""",
+        SELECT item AS item_id, pos::INTEGER AS pos, w AS word, 1 AS round, round(s, 8) AS score FROM f1 UNION ALL SELECT item, pos, w, 2, round(s, 8) FROM f2""",
 }

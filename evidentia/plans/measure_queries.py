@@ -61,11 +61,11 @@ def occupied_bands(spark, sf):
 
 
 def median_lines(spark, sf):
-    return _rounded(measures.median_filtered(sq._blocks(spark, sf), "capture", 2), 5, "value")
+    return _rounded(measures.median_filtered(sq._blocks(spark, sf), "capture", 2), 5, "value").withColumnRenamed("at", "pos")
 
 
 def smoothed_lines(spark, sf):
-    return _rounded(measures.weighted(sq._blocks(spark, sf), "capture", measures.smoothing_taps(2)), 7, "value")
+    return _rounded(measures.weighted(sq._blocks(spark, sf), "capture", measures.smoothing_taps(2)), 7, "value").withColumnRenamed("at", "pos")
 
 
 def code_words(spark, sf):
@@ -157,7 +157,7 @@ def filled_lines(spark, sf):
     """Prices of each capture without those of line 7, which are predicted from the others around."""
     x = sq._samples(spark, sf, "l_linenumber").select("capture", "at", F.when(F.col("l_linenumber") == 7, F.lit(float("nan"))).otherwise(F.col("x")).alias("x"))
     found = series.filled(series.blocks_of(x, "capture", "at", S, F.col("x")), "capture", S, 4, 8, 40)
-    return found.filter("inferred").select("capture", "at", "value")
+    return found.filter("inferred").select("capture", F.col("at").alias("pos"), "value")
 
 
 def balance_variograms(spark, sf):
@@ -234,8 +234,8 @@ ORACLE_SQL = {
         u AS (SELECT *, sum(greatest(power - floor, 0)) OVER (PARTITION BY capture ORDER BY pos) AS upto, sum(greatest(power - floor, 0)) OVER (PARTITION BY capture) AS total FROM m)
         SELECT capture, round(any_value(floor), 3) AS floor, min(CASE WHEN upto >= 0.1 * total * (1 - 1e-12) THEN pos END)::INTEGER AS low,
             min(CASE WHEN upto >= 0.9 * total * (1 - 1e-12) THEN pos END)::INTEGER AS high FROM u WHERE total > 0 GROUP BY capture""",
-    "median_lines": f"WITH {sq._S} SELECT capture, pos AS \"at\", round(median(x) OVER (PARTITION BY capture ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 5) AS value FROM s",
-    "smoothed_lines": f"WITH {sq._S} SELECT capture, pos AS \"at\", round({_TAPS}, 7) AS value FROM s WINDOW o AS (PARTITION BY capture ORDER BY pos)",
+    "median_lines": f"WITH {sq._S} SELECT capture, pos, round(median(x) OVER (PARTITION BY capture ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 5) AS value FROM s",
+    "smoothed_lines": f"WITH {sq._S} SELECT capture, pos, round({_TAPS}, 7) AS value FROM s WINDOW o AS (PARTITION BY capture ORDER BY pos)",
     "code_words": f"""
         WITH {sq._S}, k AS (SELECT * FROM (VALUES {_BOOK}) AS k(word, place, v)),
         f AS (SELECT capture, pos // 4 AS symbol, word, round((pow(sum(x * k.v), 2) + pow(sum(y * k.v), 2)) / 4, 9) AS f FROM s JOIN k ON pos % 4 = place GROUP BY ALL),

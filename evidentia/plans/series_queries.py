@@ -59,14 +59,14 @@ def correlation_strips(spark, sf):
 
 def resampled_lines(spark, sf):
     return series.resample(_blocks(spark, sf), "capture", SEGMENT, 3.0, 2.0, 4).select(
-        "capture", "at", F.round("re", 5).alias("re"), F.round("im", 5).alias("im")
+        "capture", F.col("at").alias("pos"), F.round("re", 5).alias("re"), F.round("im", 5).alias("im")
     )
 
 
 def marker_places(spark, sf):
     """Where a short pattern of prices fits each capture best."""
     found = series.find_marker(series.marker_scores(_blocks(spark, sf).withColumn("im", F.transform("re", lambda x: F.lit(0.0))), "capture", SEGMENT, np.array(MARKER)), "capture")
-    return found.select("capture", "at", F.round("score", 6).alias("score"))
+    return found.select("capture", F.col("at").alias("pos"), F.round("score", 6).alias("score"))
 
 
 def aligned_labels(spark, sf):
@@ -148,9 +148,9 @@ ORACLE_SQL = {
             ON s.capture = o.capture AND s.pos BETWEEN o.pos * 3 // 2 - {_REACH} AND o.pos * 3 // 2 + {_REACH}),
         k AS (SELECT *, CASE WHEN abs(d) >= {_HALF} THEN 0 WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) * (0.5 + 0.5 * cos(pi() * d / {_HALF})) END * {_BAND} AS h
             FROM t)
-        SELECT capture, pos AS "at", round(sum(x * h), 5) AS re, round(sum(y * h), 5) AS im FROM k GROUP BY capture, pos""",
+        SELECT capture, pos, round(sum(x * h), 5) AS re, round(sum(y * h), 5) AS im FROM k GROUP BY capture, pos""",
     "marker_places": f"""
-        WITH {_ODD} SELECT capture, arg_min(pos, (-round(score, 9), pos)) AS "at", round(max(round(score, 9)), 6) AS score FROM score GROUP BY capture""",
+        WITH {_ODD} SELECT capture, arg_min(pos, (-round(score, 9), pos)) AS pos, round(max(round(score, 9)), 6) AS score FROM score GROUP BY capture""",
     "aligned_labels": f"""
         WITH {_ODD}, best AS (SELECT capture, pos // {SEGMENT} AS b, arg_min(pos, (-round(score, 12), pos)) AS pos, max(score) AS score FROM score GROUP BY ALL),
         a AS (SELECT capture, arg_min(pos, (-round(score, 9), pos)) AS pos FROM best WHERE pos < 320 GROUP BY capture HAVING round(max(score), 9) >= 0.9),

@@ -185,6 +185,26 @@ def write_wav(x: np.ndarray, rate: int) -> tuple[bytes, int]:
     return out.getvalue(), over
 
 
+def wav_files(samples: DataFrame, key: str, rate: int) -> DataFrame:
+    """path, content, clipped: the samples (key, at, value) of each series as a WAV file of that name; missing samples are silent.
+
+    A file is one row, so its series must fit in one: it comes together as an array, not as a group in Python.
+    """
+    packed = samples.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("double").alias("value")))).alias("s"))
+    rows = packed.select(F.concat(F.col(key).cast("string"), F.lit(".wav")).alias("path"), F.col("s.at").alias("at"), F.col("s.value").alias("value"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = []
+            for at, value in zip(b["at"], b["value"], strict=True):
+                x = np.zeros(int(max(at)) + 1)
+                x[np.asarray(at, int)] = np.nan_to_num(np.asarray(value, float))
+                made.append(write_wav(x, rate))
+            yield pd.DataFrame({"path": b["path"], "content": [m[0] for m in made], "clipped": [m[1] for m in made]})
+
+    return rows.mapInPandas(run, "path string, content binary, clipped long")
+
+
 def wav_table(files: DataFrame) -> DataFrame:
     """path, rate, samples, clipped of files read as ``binaryFile``."""
 
