@@ -10,7 +10,7 @@ of consecutive numbers and are filled together: pieces of one length go to all b
 each as it holds, before any other is touched, which is what dealing them one by one does. A length splits one run at most and opens
 one, and a run at least halves its room whenever it is used, so the plan has some ten times as many rows as there are lengths,
 and is broadcast. A piece's place follows from its rank among those of its length: its rank in its task, and the counts of the
-tasks before. There is one packing of the whole corpus, and no bins are left half empty at the borders of tasks.
+tasks before, which join it by task and length. There is one packing of the whole corpus, and no bins are left half empty at the borders of tasks.
 
 Tokens are those of the tokenizer file. They are made with the same vocabulary's rank file, which is much faster; special
 tokens are split off before.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm._shared import BROADCAST_BYTES, settle, small_batches
+from evidentia.llm._shared import settle, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 _SPECIAL = "<|endoftext|>"
@@ -191,8 +191,6 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, ranks: str | None =
     shared = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(rows.T), longer))
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")
     before = counted.select("task", "length", earlier.alias("before"))
-    if counted.count() * 24 <= BROADCAST_BYTES:
-        before = F.broadcast(before)
     ranked = pieces.join(before, ["task", "length"]).withColumn("rank", F.col("nth") + F.col("before")).drop("task", "nth", "before")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
