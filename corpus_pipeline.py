@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.llm import decontaminate, line_dedup, ngram_join, packing, quality_classifier
-from evidentia.llm._shared import fold, settle, table
+from evidentia.llm._shared import drop, fold, settle, table
 
 #: The quality classifier and the packing of tokens are no SQL.
 ORACLE_SQL = None
@@ -44,8 +44,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. A stage's table goes when the next one's is written; the last one's is what the result reads."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
