@@ -120,15 +120,32 @@ class PieceEncoder:
                 yield b"".join(self._join([self._pieces(part)])[0] for part in self._parts(text))
 
 
+#: The table of a worker process, kept for its next task.
+_WARM: dict[tuple[str, int], PieceEncoder] = {}
+
+
+def _encoder(path: str, known: int, warm: bool) -> PieceEncoder:
+    if not warm:
+        return PieceEncoder(path, known)
+    if (path, known) not in _WARM:
+        _WARM.clear()  # one table a process
+        _WARM[path, known] = PieceEncoder(path, known)
+    return _WARM[path, known]
+
+
 def lengths(tokens: int, max_len: int = 4096) -> list[int]:
     """The pieces of a document of so many tokens."""
     whole, rest = divmod(tokens, max_len)
     return [max_len] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = 4096, end_id: int = 2, with_ids: bool = False, known: int = 400_000) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str | None = None, max_len: int = 4096, end_id: int = 2, with_ids: bool = False, known: int = 800_000, warm: bool = True
+) -> DataFrame:
     """One row a piece; ``with_ids`` adds the ids themselves. ``max_len`` must be a power of two. known: how many pieces of words a task remembers.
 
+    warm: a worker process keeps its table of pieces, and the tokenizer, for its next task, which costs their memory afterwards.
+
     ``sequence_id`` holds the number of the scan's partition and a count within it, so a task that runs
     anew gives the same numbers and no shuffle is needed.
     """
@@ -139,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = 4096, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, count = PieceEncoder(path, known), TaskContext.get().partitionId() << 33
+        encoder, count = _encoder(path, known, warm), TaskContext.get().partitionId() << 33
         for batch in small_batches(batches, "text", 2_000_000):
             out, own, kept = [[] for _ in range(5)], [], []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
