@@ -33,8 +33,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences with their ids. Fewer pieces are remembered than by default: earlier stages have filled the executors."""
-    return packing.pack(docs, with_ids=True, known=200_000)
+    """Training sequences with their ids. Fewer pieces are remembered than by default, and none afterwards: earlier stages have filled the executors."""
+    return packing.pack(docs, with_ids=True, known=200_000, warm=False)
 
 
 STAGES = [
