@@ -2,7 +2,8 @@
 
 The order's values are cut at approximate quantiles into buckets of about ``ROWS`` rows, ``PARTS`` at least and ``MOST`` at most.
 Totals of the buckets, that many rows, give each bucket what stands before it; inside a bucket a window does the rest. The cuts are
-numbers fixed when the operator is made, so all parts of the plan agree on them.
+numbers fixed when the operator is made, so all parts of the plan agree on them; the rows are written once, for they are read by the
+count, the cuts, the totals and the windows.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators.tables import written
+
 PARTS, MOST, ROWS = 64, 4096, 1_000_000
 
 
@@ -32,6 +35,7 @@ def _bucket(df: DataFrame, order: str) -> Column:
 
 def running(df: DataFrame, order: str, columns: dict[str, tuple[str, str]], desc: bool = False) -> DataFrame:
     """Adds columns: name to (``sum`` or ``max``, source), over all rows up to each by ``order``, which must be numeric and distinct."""
+    df = written(df, "running")
     parted = df.withColumn("_part", _bucket(df, order))
     direction = F.desc if desc else F.asc
     totals = parted.groupBy("_part").agg(*[(F.sum if kind == "sum" else F.max)(source).alias(f"_{name}") for name, (kind, source) in columns.items()])
@@ -49,6 +53,7 @@ def running(df: DataFrame, order: str, columns: dict[str, tuple[str, str]], desc
 
 def previous(df: DataFrame, order: str, name: str = "previous") -> DataFrame:
     """Adds the value of ``order`` (numeric and distinct) in the row before, null for the first."""
+    df = written(df, "running")
     parted = df.withColumn("_part", _bucket(df, order))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     edges = parted.groupBy("_part").agg(F.max(order).alias("_top")).select("_part", F.max("_top").over(before).alias("_edge"))
