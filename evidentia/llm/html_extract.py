@@ -12,7 +12,8 @@ others.
 Scripts, styles, comments and what is hidden have no lines. Names say what sums can't: elements that are menus, headers,
 footers, sidebars, notices, adverts, forms or reader comments, by tag, role, class or id, give empty lines, whatever their
 sums. A name counts for nothing on what holds the page: a form, or an element whose name only has such a word
-among others, like main-with-sidebar, with more than half of all text, and any other with more than nineteen twentieths.
+among others, like main-with-sidebar, with more than half of the text outside what surely is furniture, and any other with more
+than nineteen twentieths of all text.
 Without names at all (``names=False``) the sums alone part the text from the rest.
 
 On a page whose text is all in links, what stands in an article or main element is the text.
@@ -62,7 +63,7 @@ _CUT = re.compile(r"<[a-zA-Z/!][^>]*\Z")
 _SPLIT = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-LINK, ARTICLE, SKIP, HIDDEN = 1, 2, 4, 8
+LINK, ARTICLE, SKIP, HIDDEN, SURE = 1, 2, 4, 8, 16
 #: Of twenty parts of a page's text, how many an element must exceed for its name to count for nothing.
 _HOLDS, _MUST_HOLD = 10, 19
 
@@ -103,12 +104,13 @@ class Lines:
         self.inside: list[bool] = []
         self.container: list[int] = []
         self.parent = [0]
-        #: Text seen outside links; and of it, in elements with names of furniture, by where they begin and the share that they must hold.
-        self.seen, self.named = 0, {}
+        #: Text seen outside links, and outside what surely is furniture; and of it, in elements with names of furniture, by where they begin
+        #: and the share that they must hold.
+        self.seen, self.plain, self.named = 0, 0, {}
         self._stack: list[tuple[str, int, int, tuple[int, int] | None]] = []  # tag, flags, container, and if named where it begins, and the share
         #: For each container whether it is a table or a cell, whose lines count as its parent's.
         self.table = [False]
-        self._before: list[int] = []
+        self._before: list[tuple[int, int]] = []
         self._open: dict[str, list[int]] = {}
         self._holders: list[int] = []
         self._parts: list[str] = []
@@ -138,18 +140,18 @@ class Lines:
         if tag in _CONTAINER:
             self._holders.append(len(self._stack))
         self._stack.append((tag, flags, container, named))
-        self._before.append(self.seen)
+        self._before.append((self.seen, self.plain))
         self._flags, self._at = flags, container
 
     def _shut(self, depth: int) -> None:
         while len(self._stack) > depth:
             tag, _, _, named = self._stack.pop()
-            before = self._before.pop()
+            seen, plain = self._before.pop()
             self._open[tag].pop()
             if tag in _CONTAINER:
                 self._holders.pop()
             if named:
-                self.named[named] = self.seen - before
+                self.named[named] = self.seen - seen if named[1] == _MUST_HOLD else self.plain - plain
         self._flags, self._at = self._stack[-1][1:3] if self._stack else (0, 0)
 
     def _words(self, chunk: str) -> None:
@@ -158,6 +160,8 @@ class Lines:
             return
         if not self._flags & LINK:
             self.seen += len(chunk.strip())
+            if not self._flags & SURE:
+                self.plain += len(chunk.strip())
         if not self._flags & SKIP:
             self._parts.append(chunk)
             if self._flags & LINK:
@@ -201,6 +205,7 @@ class Lines:
             found = HIDDEN
         if found == SKIP and self._names:
             named = (at, share)
+            new |= SURE if share == _MUST_HOLD else 0
         if found & HIDDEN or (named and at not in spared):
             new |= found
         if tag == "body":
@@ -252,7 +257,7 @@ class Lines:
 def lines_of(page: str, names: bool = True) -> Lines:
     """The lines of a page, where names count for nothing on elements that hold it."""
     lines = Lines(page, names=names)
-    most = frozenset(at for (at, share), n in lines.named.items() if 20 * n > share * lines.seen)
+    most = frozenset(at for (at, share), n in lines.named.items() if 20 * n > share * (lines.seen if share == _MUST_HOLD else lines.plain))
     return Lines(page, most) if most else lines
 
 
