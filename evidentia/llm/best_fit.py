@@ -191,7 +191,7 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, ranks: str | None =
     shared = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(rows.T), longer))
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")
     before = counted.select("task", "length", earlier.alias("before"))
-    ranked = pieces.join(before, ["task", "length"]).withColumn("rank", F.col("nth") + F.col("before")).drop("task", "nth", "before")
+    ranked = pieces.join(before.hint("merge"), ["task", "length"]).withColumn("rank", F.col("nth") + F.col("before")).drop("task", "nth", "before")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (first, bins, each, used), above = shared.value
