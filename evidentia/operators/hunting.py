@@ -145,7 +145,7 @@ def distinct_finds(finds: DataFrame, slack_s: float = 0.5) -> DataFrame:
     own, so no border parts two. Of finds at one time the lesser number is the earlier.
     """
     widest = finds.agg(F.greatest(F.max("width_hz"), F.lit(1e-9)).alias("_w"))
-    cell_t, cell_f = F.floor(F.col("t") / max(slack_s, 1e-9)), F.floor(F.col("centre_hz") / F.col("_w"))
+    cell_t, cell_f = (F.coalesce(F.floor(x), F.lit(0)) for x in (F.col("t") / max(slack_s, 1e-9), F.col("centre_hz") / F.col("_w")))
     rows = finds.select("find", "t", "centre_hz", "width_hz").join(F.broadcast(widest)).withColumns({"_t": cell_t, "_f": cell_f})
     around = F.array(*[F.struct((F.col("_t") + i).alias("t"), (F.col("_f") + j).alias("f")) for i in (-1, 0) for j in (-1, 0, 1)])
     late = rows.withColumn("_c", F.explode(around)).select("find", "t", "centre_hz", "width_hz", F.col("_c.t").alias("_t"), F.col("_c.f").alias("_f"))

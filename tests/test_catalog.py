@@ -130,7 +130,7 @@ def test_filters_reach_the_scan(spark, sf, capsys):
 
 
 #: A total of one row whose condition the optimizer moves into the join; style_divergence compares every two groups, which is its result.
-ONE_ROW = ("bearing_cells", "label_operating_point", "price_quantile", "style_divergence")
+ONE_ROW = ("bearing_cells", "label_operating_point", "price_quantile", "style_divergence", "user_links")
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
