@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column
@@ -64,6 +65,7 @@ def bisect(f, low: float, high: float, target: float) -> float:
     return (low + high) / 2
 
 
+@functools.cache
 def gamma_quantile(p: float, shape: float) -> float:
     high = shape + 10
     while gamma_p(shape, high) < p:

@@ -21,10 +21,11 @@ from evidentia.operators.tables import forget, written
 
 
 def pair_counts(texts: DataFrame, words: str) -> DataFrame:
-    """a, b, n: how often ``b`` follows ``a`` in the arrays of words."""
+    """a, b, n: how often ``b`` follows ``a`` in the arrays of words, as a table, which scoring and filling read several times."""
     w = F.col(words)
     pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return texts.filter(F.size(w) > 1).select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.filter(F.size(w) > 1).select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return written(counts, "pairs")
 
 
 def surprise(texts: DataFrame, key: str, words: str, pairs: DataFrame, mass: float = 5.0) -> DataFrame:
@@ -56,7 +57,6 @@ def _likely(pairs: DataFrame, given: str, word: str, most: int) -> DataFrame:
 
 def fill(canvas: DataFrame, key: str, pairs: DataFrame, rounds: int = 4, most: int = 8, floor: float = 1e-4) -> DataFrame:
     """key, at, word, round, score of every position of ``canvas`` (key, at, word; null is masked); given words have round 0."""
-    after, before = (written(_likely(pairs, g, w, most), "likely") for g, w in (("a", "b"), ("b", "a")))
     frequent = pairs.groupBy("b").agg(F.sum("n").alias("n")).agg(F.min_by("b", F.struct(-F.col("n"), "b"))).first()[0]
     given = canvas.select(key, "at", "word", F.when(F.col("word").isNotNull(), 0).alias("round"), F.lit(None).cast("double").alias("score"))
     masked = given.groupBy(key).agg(F.sum(F.col("word").isNull().cast("long")).alias("_all"))
@@ -69,8 +69,10 @@ def fill(canvas: DataFrame, key: str, pairs: DataFrame, rounds: int = 4, most: i
         left = known.select(key, (F.col("at") + 1).alias("at"), F.col("word").alias("_l"))
         right = known.select(key, (F.col("at") - 1).alias("at"), F.col("word").alias("_r"))
         asked = open_.join(left, [key, "at"], "left").join(right, [key, "at"], "left")
-        asked = asked.join(after.select(F.col("given").alias("_l"), F.col("words").alias("_lw")), "_l", "left")
-        asked = asked.join(before.select(F.col("given").alias("_r"), F.col("words").alias("_rw")), "_r", "left")
+        for near, given_, word_ in (("_l", "a", "b"), ("_r", "b", "a")):  # only the pairs of words that stand beside a mask
+            beside = asked.select(F.col(near).alias(given_)).filter(F.col(given_).isNotNull()).distinct()
+            likely = _likely(pairs.join(beside, given_, "left_semi"), given_, word_, most)
+            asked = asked.join(likely.select(F.col("given").alias(near), F.col("words").alias(f"{near}w")), near, "left")
         lists = [F.coalesce(F.col(c), F.array().cast("array<struct<w:string,p:double>>")) for c in ("_lw", "_rw")]
         words = F.array_distinct(F.transform(F.concat(*lists), lambda x: x["w"]))
 
@@ -93,5 +95,4 @@ def fill(canvas: DataFrame, key: str, pairs: DataFrame, rounds: int = 4, most: i
         )
         forget(now)
         now = new
-    forget(after, before)
     return now.drop("_all")
