@@ -90,15 +90,17 @@ def _cells(low_x: Column, high_x: Column, low_y: Column, high_y: Column, width:
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
-def snap(points: DataFrame, segments: DataFrame, most: float) -> DataFrame:
+def snap(points: DataFrame, segments: DataFrame, most: float, digits: int = 9) -> DataFrame:
     """id, edge, share, metres: the nearest segment of each point within ``most``, and how far along it lies; of equal ones the lesser edge.
 
     points: id, x, y; segments: edge, ax, ay, bx, by; all in one plane. They meet in cells ``most`` wide that a segment's surroundings touch.
+    Distances are compared, with each other and with ``most``, to ``digits`` decimal places, so that rounding decides no tie.
     """
+    wide = most + 10.0**-digits
     near = segments.withColumn(
         "c", F.explode(
             _cells(
-                F.least("ax", "bx") - most, F.greatest("ax", "bx") + most, F.least("ay", "by") - most, F.greatest("ay", "by") + most, most
+                F.least("ax", "bx") - wide, F.greatest("ax", "bx") + wide, F.least("ay", "by") - wide, F.greatest("ay", "by") + wide, most
             )
         )
     ).select("edge", "ax", "ay", "bx", "by", "c.cx", "c.cy")
@@ -108,5 +110,6 @@ def snap(points: DataFrame, segments: DataFrame, most: float) -> DataFrame:
     along = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / size))).otherwise(0.0)
     met = at.join(near, ["cx", "cy"]).withColumn("share", along)
     off = F.hypot(F.col("x") - F.col("ax") - F.col("share") * dx, F.col("y") - F.col("ay") - F.col("share") * dy)
-    best = met.withColumn("metres", off).filter(F.col("metres") <= most).groupBy("id").agg(F.min(F.struct("metres", "edge", "share")).alias("s"))
+    far = met.withColumn("metres", off).withColumn("_far", F.round("metres", digits))
+    best = far.filter(F.col("_far") <= most).groupBy("id").agg(F.min(F.struct("_far", "edge", "share", "metres")).alias("s"))
     return best.select("id", "s.edge", "s.share", "s.metres")

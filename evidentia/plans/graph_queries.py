@@ -226,7 +226,7 @@ ORACLE_SQL = {
         s AS (SELECT s_suppkey AS edge, 5 + (s_suppkey * 91 % 307) / 100 AS ax, 50 + (s_suppkey * 37 % 211) / 100 AS ay FROM supplier),
         u AS (SELECT *, greatest(0, least(1, ((x - ax) * 0.2 + (y - ay) * 0.1) / 0.05)) AS share FROM p, s),
         m AS (SELECT *, sqrt(pow(x - ax - share * 0.2, 2) + pow(y - ay - share * 0.1, 2)) AS metres FROM u),
-        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY metres, edge) AS r FROM m WHERE metres <= 0.15)
+        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(metres, 9), edge) AS r FROM m WHERE round(metres, 9) <= 0.15)
         SELECT id, edge, round(share, 6) AS share, round(metres, 6) AS metres FROM r WHERE r = 1""",
     "label_parts": f"""
         WITH {_VEC}, s0 AS (SELECT label, arg_min(v, id) AS c FROM v GROUP BY label),
