@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,13 +99,25 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """``x`` with decimal places as printf of C has it: the number that the double is, not its shortest decimal, is rounded, ties to even."""
+
+    @F.pandas_udf("string")
+    def show(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: f"{v:.{digits}f}", na_action="ignore")
+
+    return F.when(F.isnan(x), "NaN").otherwise(show(x.cast("double")))
+
+
 def hz_words(hz: Column) -> Column:
     """A frequency with its natural unit."""
-    show = lambda x, unit: F.concat(F.regexp_replace(F.format_string("%.3f", x), r"\.?0+$", ""), F.lit(unit))
-    return F.when(hz >= 1e9, show(hz / 1e9, " GHz")).when(hz >= 1e6, show(hz / 1e6, " MHz")).when(hz >= 1e3, show(hz / 1e3, " kHz")).otherwise(show(hz, " Hz"))
+    value, unit = hz, F.lit(" Hz")
+    for scale, name in ((1e3, " kHz"), (1e6, " MHz"), (1e9, " GHz")):
+        value, unit = F.when(hz >= scale, hz / scale).otherwise(value), F.when(hz >= scale, name).otherwise(unit)
+    return F.concat(F.regexp_replace(fixed(value, 3), r"\.?0+$", ""), unit)
 
 
 def seconds_words(s: Column) -> Column:
-    return F.when(
-        s >= 3600, F.format_string("%.1f h", s / 3600)
-    ).when(s >= 60, F.format_string("%.1f min", s / 60)).when(s >= 1, F.format_string("%.1f s", s)).otherwise(F.format_string("%.1f ms", s * 1000))
+    value = F.when(s >= 3600, s / 3600).when(s >= 60, s / 60).when(s >= 1, s).otherwise(s * 1000)
+    unit = F.when(s >= 3600, " h").when(s >= 60, " min").when(s >= 1, " s").otherwise(" ms")
+    return F.concat(fixed(value, 1), unit)

@@ -89,3 +89,16 @@ def test_snap_ties_by_rounding(spark):
     ways = [(e, at(e)[0], at(e)[1], at(e)[0] + 0.2, at(e)[1] + 0.1) for e in (297, 388, 433, 524)]
     found = roads.snap(points, spark.createDataFrame(ways, "edge long, ax double, ay double, bx double, by double"), 0.15).collect()
     assert {r.id: (r.edge, round(r.share, 6), round(r.metres, 6)) for r in found} == {11845: (297, 0.3, 0.022361), 11981: (433, 0.3, 0.022361)}
+
+
+def test_numbers_shown_as_printf(spark):
+    """The double is rounded, not its shortest decimal, and ties go to even."""
+    rng = random.Random(5)
+    values = [75.0, 55.05, 0.0005, 0.0625, 2.5e-4, 999.9995, 0.9995, -1.0625, -0.04, 0.0, 2751.9995, 1e-300, 0.05, 0.15, 1e17]
+    values += [round(rng.uniform(0, 5000), 4) for _ in range(500)] + [rng.randrange(8000) / 16 for _ in range(200)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(
+        "v", *[text.fixed(F.col("v"), d).alias(f"d{d}") for d in (1, 3)], text.seconds_words(F.col("v")).alias("s")
+    ).collect()
+    for r in got:
+        assert (r.d1, r.d3) == ("%.1f" % r.v, "%.3f" % r.v), r.v
+    assert next(r.s for r in got if r.v == 75.0) == "1.2 min" and next(r.s for r in got if r.v == 55.05) == "55.0 s"
