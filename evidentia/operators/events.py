@@ -101,21 +101,34 @@ def co_occurrence(events: DataFrame, bin_us: int, least: int = 2) -> DataFrame:
     return full.select("who_a", "who_b", "together", (F.col("together") / mean).alias("lift"), poisson_tail(F.col("together"), mean).alias("p_value"))
 
 
-def week_profiles(events: DataFrame) -> DataFrame:
-    """who, slot (hour of the week, Monday 0), n, share of the unit-length profile."""
+def week_counts(events: DataFrame) -> DataFrame:
+    """who, slot (hour of the week, Monday 0), n."""
     slot = F.pmod(F.floor(F.col("us") / 3_600_000_000) + 72, F.lit(168))  # 1970 began on a Thursday
-    counts = events.groupBy("who", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    return events.groupBy("who", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def week_profiles(events: DataFrame) -> DataFrame:
+    """who, slot, n of ``week_counts``, share of the unit-length profile."""
+    counts = week_counts(events)
     length = counts.groupBy("who").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
     return counts.join(length, "who").select("who", "slot", "n", (F.col("n") / F.col("length")).alias("share"))
 
 
 def alike_schedules(events: DataFrame, least: float = 0.7) -> DataFrame:
-    """Pairs whose week profiles have at least this cosine, joined by slot."""
-    p = week_profiles(events)
+    """Pairs whose week profiles have at least this cosine, joined by slot.
+
+    The product of two profiles is summed in whole numbers, and divided once: no order of sums decides who reaches ``least``.
+    """
+    p = week_counts(events)
+    own = p.groupBy("who").agg(F.sum(F.col("n") * F.col("n")).alias("size"))
     dot = p.alias("a").join(
         p.alias("b"), (F.col("a.slot") == F.col("b.slot")) & (F.col("a.who") < F.col("b.who"))
-    ).groupBy(F.col("a.who").alias("who_a"), F.col("b.who").alias("who_b")).agg(F.sum(F.col("a.share") * F.col("b.share")).alias("cosine"))
-    return dot.filter(F.col("cosine") >= least)
+    ).groupBy(F.col("a.who").alias("who_a"), F.col("b.who").alias("who_b")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("dot"))
+    full = dot.join(own.select(F.col("who").alias("who_a"), F.col("size").alias("size_a")), "who_a").join(
+        own.select(F.col("who").alias("who_b"), F.col("size").alias("size_b")), "who_b"
+    )
+    cosine = F.col("dot") / F.sqrt(F.col("size_a").cast("double") * F.col("size_b").cast("double"))
+    return full.select("who_a", "who_b", cosine.alias("cosine")).filter(F.col("cosine") >= least)
 
 
 def co_movement(fixes: DataFrame, gap_us: int, near_m: float, speed: float, share: float) -> DataFrame:

@@ -48,7 +48,7 @@ def co_occurrence(spark, sf):
 
 
 def alike_schedules(spark, sf):
-    return events.alike_schedules(_ev(spark, sf), 0.45).select("who_a", "who_b", F.round("cosine", 6).alias("cosine"))
+    return events.alike_schedules(_ev(spark, sf), 0.45).select("who_a", "who_b", (F.floor(F.col("cosine") * 1e6 + 0.5) / 1e6).alias("cosine"))
 
 
 def week_profiles(spark, sf):
@@ -237,10 +237,11 @@ ORACLE_SQL = {
         WITH {_EV}, c AS (SELECT who, ((us // 3600000000) + 72) % 168 AS slot, count(*) AS n FROM e GROUP BY ALL)
         SELECT who, slot, n, round(n / sqrt(sum(n * n) OVER (PARTITION BY who)), 6) AS share FROM c""",
     "alike_schedules": f"""
-        WITH {_EV}, c AS (SELECT who, ((us // 3600000000) + 72) % 168 AS slot, count(*) AS n FROM e GROUP BY ALL), p AS (SELECT who, slot,
-            n / sqrt(sum(n * n) OVER (PARTITION BY who)) AS share FROM c)
-        SELECT a.who AS who_a, b.who AS who_b, round(sum(a.share * b.share), 6) AS cosine FROM p AS a JOIN p AS b ON a.slot = b.slot AND a.who < b.who
-            GROUP BY ALL HAVING sum(a.share * b.share) >= 0.45""",
+        WITH {_EV}, c AS (SELECT who, ((us // 3600000000) + 72) % 168 AS slot, count(*) AS n FROM e GROUP BY ALL),
+            o AS (SELECT who, sum(n * n)::DOUBLE AS size FROM c GROUP BY 1),
+        d AS (SELECT a.who AS who_a, b.who AS who_b, sum(a.n * b.n)::DOUBLE AS dot FROM c AS a JOIN c AS b ON a.slot = b.slot AND a.who < b.who GROUP BY ALL),
+        k AS (SELECT who_a, who_b, dot / sqrt(oa.size * ob.size) AS cosine FROM d JOIN o AS oa ON oa.who = who_a JOIN o AS ob ON ob.who = who_b)
+        SELECT who_a, who_b, floor(cosine * 1e6 + 0.5) / 1e6 AS cosine FROM k WHERE cosine >= 0.45""",
     "daily_rhythm": f"""
         WITH {_EV}, r AS (SELECT who, count(*) AS n, sqrt(pow(avg(cos(2 * pi() * (us % 86400000000) / 86400000000)),
             2) + pow(avg(sin(2 * pi() * (us % 86400000000) / 86400000000)), 2)) AS r FROM e GROUP BY who), z AS (SELECT *, n * r * r AS z FROM r)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from evidentia.functions import geo, text
-from evidentia.operators import detection, hunting, metrics, roads, running
+from evidentia.operators import detection, events, hunting, metrics, roads, running
 from evidentia.sources import logs
 
 
@@ -102,3 +102,11 @@ def test_numbers_shown_as_printf(spark):
     for r in got:
         assert (r.d1, r.d3) == ("%.1f" % r.v, "%.3f" % r.v), r.v
     assert next(r.s for r in got if r.v == 75.0) == "1.2 min" and next(r.s for r in got if r.v == 55.05) == "55.0 s"
+
+
+def test_schedules_at_the_bound(spark):
+    """Cosines of exactly one half, which sums of rounded shares miss."""
+    hour = 3_600_000_000
+    rows = [(who, slot * hour) for who, slots in ((1, (0, 1)), (2, (1, 2)), (3, (2, 3, 4)), (4, (9,))) for slot in slots]
+    got = events.alike_schedules(spark.createDataFrame(rows, "who long, us long"), 0.5).collect()
+    assert [tuple(r) for r in got] == [(1, 2, 0.5)]
