@@ -164,7 +164,8 @@ def interval_peaks(spark, sf):
 def user_graph(spark, sf):
     e = ev._ev(spark, sf)
     near, alike = events.co_occurrence(e, 3_600_000_000, 3), events.alike_schedules(e, 0.45)
-    return _rounded(events.social_graph(("together", near, "lift"), ("schedule", alike, "cosine")), 5, "weight")
+    found = events.social_graph(("together", near, "lift"), ("schedule", alike, "cosine"))
+    return found.withColumn("weight", F.floor(F.col("weight") * 1e5 + 0.5) / 1e5)
 
 
 def stale_orders(spark, sf):
@@ -444,11 +445,12 @@ ORACLE_SQL = {
             HAVING count(*) >= 3),
         q AS (SELECT who_a, who_b, 'together' AS kind, together / (ba.n * bb.n / bins) AS w FROM p JOIN b AS ba ON ba.who = who_a
             JOIN b AS bb ON bb.who = who_b, s),
-        c AS (SELECT who, ((us // 3600000000) + 72) % 168 AS slot, count(*) AS n FROM e GROUP BY ALL), f AS (SELECT who, slot,
-            n / sqrt(sum(n * n) OVER (PARTITION BY who)) AS share FROM c),
-        k AS (SELECT x.who AS who_a, y.who AS who_b, 'schedule' AS kind, sum(x.share * y.share) AS w FROM f AS x JOIN f AS y ON x.slot = y.slot
-            AND x.who < y.who GROUP BY ALL HAVING sum(x.share * y.share) >= 0.45)
-        SELECT who_a, who_b, string_agg(kind, '+' ORDER BY kind) AS kinds, round(sum(w), 5) AS weight FROM (SELECT * FROM q UNION ALL SELECT * FROM k)
+        c AS (SELECT who, ((us // 3600000000) + 72) % 168 AS slot, count(*) AS n FROM e GROUP BY ALL),
+            o AS (SELECT who, sum(n * n)::DOUBLE AS size FROM c GROUP BY 1),
+        d AS (SELECT x.who AS who_a, y.who AS who_b, sum(x.n * y.n)::DOUBLE AS dot FROM c AS x JOIN c AS y ON x.slot = y.slot AND x.who < y.who GROUP BY ALL),
+        k0 AS (SELECT who_a, who_b, 'schedule' AS kind, dot / sqrt(oa.size * ob.size) AS w FROM d JOIN o AS oa ON oa.who = who_a JOIN o AS ob ON ob.who = who_b),
+        k AS (SELECT * FROM k0 WHERE w >= 0.45)
+        SELECT who_a, who_b, string_agg(kind, '+' ORDER BY kind) AS kinds, floor(sum(w) * 1e5 + 0.5) / 1e5 AS weight FROM (SELECT * FROM q UNION ALL SELECT * FROM k)
             GROUP BY ALL""",
     "stale_orders": "SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 100000 AND o_custkey % 5 IN (2, 4)",
     "line_labels": """
