@@ -223,19 +223,26 @@ def two_class_threshold(values: DataFrame, key: str, value: str, cells: int = 64
 def in_rings(points: DataFrame, corners: DataFrame, cell: float) -> DataFrame:
     """id, ring of points (id, x, y) inside rings (ring, nth, x, y; closed by themselves): an edge crosses to the right of a point an odd number of times.
 
-    Edges are dealt to the rows of cells, ``cell`` high, that they touch, points to theirs; a point meets the edges of its row.
+    Edges are dealt to the cells, ``cell`` wide and high, of the rows that they touch, from the ring's left end to their own right one; a place
+    meets the edges of its cell, once for all its points.
     """
     w = Window.partitionBy("ring").orderBy("nth")
+    all_ = Window.partitionBy("ring")
     first = Window.partitionBy("ring").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = corners.select(
         "ring", F.col("x").alias("ax"), F.col("y").alias("ay"), F.coalesce(F.lead("x").over(w), F.first("x").over(first)).alias("bx"),
-        F.coalesce(F.lead("y").over(w), F.first("y").over(first)).alias("by")
+        F.coalesce(F.lead("y").over(w), F.first("y").over(first)).alias("by"), F.min("x").over(all_).alias("left")
     ).filter("ay <> by")
-    rows = edges.withColumn("_c", F.explode(F.sequence(F.floor(F.least("ay", "by") / cell), F.floor(F.greatest("ay", "by") / cell))))
-    met = points.select("id", "x", "y", F.floor(F.col("y") / cell).alias("_c")).join(rows, "_c")
+    rows = edges.withColumn("_r", F.explode(F.sequence(F.floor(F.least("ay", "by") / cell), F.floor(F.greatest("ay", "by") / cell))))
+    # One cell more on either side: the crossing is computed, and may be a last bit beyond the corners.
+    dealt = rows.withColumn("_c", F.explode(F.sequence(F.floor(F.col("left") / cell) - 1, F.floor(F.greatest("ax", "bx") / cell) + 1))).drop("left")
+    # Few places meet many edges: by their size alone Spark would join them in one task.
+    places = points.select("x", "y").distinct().repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y")
+    met = places.withColumns({"_r": F.floor(F.col("y") / cell), "_c": F.floor(F.col("x") / cell)}).join(dealt, ["_r", "_c"])
     spans = (F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))
     right = F.col("x") < F.col("ax") + (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
-    return met.filter(spans & right).groupBy("id", "ring").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").select("id", "ring")
+    inside = met.filter(spans & right).groupBy("x", "y", "ring").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
+    return points.select("id", "x", "y").join(inside, ["x", "y"]).select("id", "ring")
 
 
 def ring_areas(corners: DataFrame) -> DataFrame:
