@@ -162,7 +162,7 @@ def filled_lines(spark, sf):
 
 def balance_variograms(spark, sf):
     """The curve through the variogram of the customers' balances."""
-    return spatial.fitted_variogram(spatial.variogram(tq._places(spark, sf), [0, 2_000, 5_000, 10_000, 15_000], 0.2))
+    return spatial.fitted_variogram(spatial.variogram(tq._places(spark, sf), [0, 2_000, 5_000, 10_000, 15_000], 0.25))
 
 
 QUERIES = {

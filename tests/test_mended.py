@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from evidentia.functions import geo, text
-from evidentia.operators import detection, events, hunting, metrics, roads, running
+from evidentia.operators import detection, events, hunting, metrics, roads, running, spatial
 from evidentia.sources import logs
 
 
@@ -110,3 +110,36 @@ def test_schedules_at_the_bound(spark):
     rows = [(who, slot * hour) for who, slots in ((1, (0, 1)), (2, (1, 2)), (3, (2, 3, 4)), (4, (9,))) for slot in slots]
     got = events.alike_schedules(spark.createDataFrame(rows, "who long, us long"), 0.5).collect()
     assert [tuple(r) for r in got] == [(1, 2, 0.5)]
+
+
+def test_neighbours_by_place(spark):
+    """Crowded and lonely places, of which only the k nearest samples count, as comparing all finds them; a place is searched once."""
+    rng = random.Random(3)
+    at = [(50 + rng.randrange(40) / 100, 6 + rng.randrange(40) / 100) for _ in range(300)] + [(50.1, 6.1)] * 60 + [(51.5, 7.5), (51.55, 7.5)]
+    samples = [(i, *at[rng.randrange(len(at))], float(i)) for i in range(500)]
+    points = [(i, *at[rng.randrange(len(at))]) for i in range(150)] + [(900, 51.5, 7.5), (901, 58.0, 9.0)]
+    s = spark.createDataFrame(samples, "sid long, slat double, slon double, value double")
+    p = spark.createDataFrame(points, "id long, lat double, lon double")
+    got = {(r["id"], r["sid"]) for r in spatial.neighbours(p, s, 15_000, 0.25, 5).collect()}
+    far = p.crossJoin(s).select("id", "sid", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")).alias("m")).collect()
+    near = {}
+    for r in far:
+        if r["m"] <= 15_000:
+            near.setdefault(r["id"], []).append((r["m"], r["sid"]))
+    assert got == {(i, sid) for i, found in near.items() for _, sid in sorted(found)[:5]}
+
+
+def test_variogram_of_crowded_places(spark):
+    """Many samples a place: the same figures as all pairs give, and pairs met grow with places alone."""
+    rng = random.Random(4)
+    rows = [(i, 50 + rng.randrange(6) / 100, 6 + rng.randrange(6) / 100, None if i % 17 == 0 else rng.uniform(0, 9)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, value double")
+    got = {r["lag"]: r for r in spatial.variogram(df, [0, 1_000, 3_000, 5_000], 0.1).collect()}
+    b = df.select(*[F.col(c).alias(f"{c}_b") for c in df.columns])
+    pairs = df.join(b, F.col("id") < F.col("id_b")).withColumn("m", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")))
+    lag = F.expr("CASE WHEN m < 1000 THEN 0 WHEN m < 3000 THEN 1 WHEN m < 5000 THEN 2 END").alias("lag")
+    want = pairs.groupBy(lag).agg(F.count(F.lit(1)).alias("n"), F.avg("m").alias("m"), (F.avg((F.col("value") - F.col("value_b")) ** 2) / 2).alias("s"))
+    for r in want.filter("lag IS NOT NULL").collect():
+        g = got.pop(r["lag"])
+        assert g["pairs"] == r["n"] and abs(g["metres"] - r["m"]) < 1e-6 and abs(g["semivariance"] - r["s"]) < 1e-9
+    assert not got
