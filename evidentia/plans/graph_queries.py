@@ -34,7 +34,7 @@ def co_moving_users(spark, sf):
 def user_links(spark, sf):
     """Edges of users by kind, each with its own chance: in the same hours, answers within five minutes, and movement."""
     e = ev._ev(spark, sf)
-    near = events.co_occurrence(e, 3_600_000_000, 3).filter("p_value < 0.01")
+    near = events.co_occurrence(e, 3_600_000_000, 3, 0.01)
     answers = events.answered_pairs(e, 500_000, 300_000_000, 2, 0.05)
     moving = events.co_movement_tested(pq._fixes(spark, sf), 600_000_000, 900.0, 1.0, 2, 0.8, 0.5, 4)
     found = events.social_links(together=(near, False, "together"), answer=(answers, True, "count"), movement=(moving, False, "close"))
