@@ -15,6 +15,9 @@ from evidentia.functions.stats import poisson_tail
 from evidentia.functions.times import micros
 from evidentia.operators import pairs
 
+#: How many reaches of an answer are one span of time.
+SPANS = 16
+
 
 def activity_matrix(events: DataFrame, rows: str, hour: Column, who: str, value: str, reach: str, open_at: int = 1) -> DataFrame:
     """Every row value by every hour of the day: count, distinct, median, greatest, open or not; none is left out."""
@@ -29,23 +32,44 @@ def activity_matrix(events: DataFrame, rows: str, hour: Column, who: str, value:
     )
 
 
+def _first_answers(calls: DataFrame, hits: DataFrame, parts: list[str], low_us: int, high_us: int) -> DataFrame:
+    """Adds ``hit`` (us, id, key) to each call (id, key, us): the first of the hits between low and high later, with another key, or null.
+
+    Both are cut by ``parts``, columns of both, and by time into spans of several reaches; hits in the first reach of a span belong to the
+    span before too. A span is walked backwards in time once: each hit knows the next one of another key, so that a call needs no more
+    than the hit next to it, and no call meets all hits in its reach.
+    """
+    reach = max(high_us - low_us, 1)
+    span = lambda us: F.floor(us / (SPANS * reach))
+    own = F.struct("us", "id", "key")
+    a = calls.select("id", "key", "us", *parts, (F.col("us") + low_us).alias("_at"), F.lit(None).cast(hits.select(own.alias("h")).schema["h"].dataType).alias("_hit"))
+    b = hits.filter("us IS NOT NULL AND key IS NOT NULL").select(
+        F.lit(None).cast(calls.schema["id"].dataType).alias("id"), "key", F.lit(None).cast("long").alias("us"), *parts, F.col("us").alias("_at"), own.alias("_hit")
+    )
+    a = a.withColumn("_span", span(F.col("_at")))
+    b = b.withColumn("_span", F.explode(F.array_distinct(F.array(span(F.col("_at") - reach), span(F.col("_at"))))))
+    back = Window.partitionBy(*parts, "_span").orderBy(F.desc("_at"), F.desc(F.col("_hit").isNotNull()), F.desc("_hit.id"))
+    rows = a.unionByName(b).withColumn("_next", F.last("_hit", True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    # Where the key changes, the next hit is the first of another key for all hits before it with the same key.
+    rows = rows.withColumn("_turn", F.when(F.col("_hit").isNotNull() & (F.col("_next.key") != F.col("key")), F.col("_next")))
+    rows = rows.withColumn("_other", F.last("_turn", True).over(back.rowsBetween(Window.unboundedPreceding, 0))).filter("_hit IS NULL")
+    found = F.when(F.col("_next.key") != F.col("key"), F.col("_next")).when(F.col("_next.key") == F.col("key"), F.col("_other"))
+    rows = rows.withColumn("hit", found)
+    return rows.select("id", "key", "us", *parts, F.when(F.col("hit.us") <= F.col("us") + high_us, F.col("hit")).alias("hit"))
+
+
 def first_within(left: DataFrame, right: DataFrame, key: str, low_us: int, high_us: int, same: bool = False) -> DataFrame:
     """For each row of ``left`` (id, key, us) the first of ``right`` between low and high later, with another key.
 
-    Returns id, key, us, hit_id, hit_key, delay_us; rows without a hit have nulls. Ties go to the lesser id.
+    Ids are distinct. Returns id, key, us, hit_id, hit_key, delay_us; rows without a hit have nulls. Ties go to the lesser id.
     """
-    width = max(high_us - low_us, 1)
-    k = F.col(key)
-    a = left.select(
-        "id", k.alias("a_key"), "us",
-        F.explode(F.array(F.floor((F.col("us") + low_us) / width), F.floor((F.col("us") + low_us) / width) + 1)).alias("bucket")
-    )
-    b = right.select(F.col("id").alias("hit_id"), k.alias("b_key"), F.col("us").alias("hit_us"), F.floor(F.col("us") / width).alias("bucket"))
-    other = (F.col("a_key") == F.col("b_key")) if same else (F.col("a_key") != F.col("b_key"))
-    found = a.join(b, "bucket").filter(other & F.col("hit_us").between(F.col("us") + low_us, F.col("us") + high_us))
-    best = found.groupBy("id").agg(F.min(F.struct("hit_us", "hit_id", "b_key")).alias("h"))
-    return left.join(best, "id", "left").select(
-        "id", k, "us", F.col("h.hit_id").alias("hit_id"), F.col("h.b_key").alias("hit_key"), (F.col("h.hit_us") - F.col("us")).alias("delay_us")
+    a, b = (df.select("id", F.col(key).alias("key"), "us") for df in (left, right.filter(F.col(key).isNotNull())))
+    if same:  # cut by the key, where all hits count as of another
+        a, b = (df.select("id", F.lit(n).alias("key"), "us", F.col("key").alias("_part")) for n, df in enumerate((a, b)))
+    met = _first_answers(a, b, ["_part"] if same else [], low_us, high_us)
+    own, other = ("_part", F.when(F.col("hit").isNotNull(), F.col("_part"))) if same else ("key", F.col("hit.key"))
+    return met.select(
+        "id", F.col(own).alias(key), "us", F.col("hit.id").alias("hit_id"), other.alias("hit_key"), (F.col("hit.us") - F.col("us")).alias("delay_us")
     )
 
 
@@ -61,22 +85,20 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], gap_us: int) ->
 def call_response(events: DataFrame, kind: str, low_us: int, high_us: int) -> DataFrame:
     """For each ordered pair of kinds: calls, answered calls, those that chance would answer, and its tail.
 
-    events: id, who, kind, us. An answer is the first event of the other kind by anybody else in time.
+    events: id (distinct), who, kind, us. An answer is the first event of the other kind by anybody else in time.
     """
     k = F.col(kind)
     span = events.agg((F.max("us") - F.min("us")).alias("span"))
     totals = events.groupBy(k.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    width = max(high_us - low_us, 1)
-    a = events.select(
-        "id", F.col("who").alias("a_who"), k.alias("a_kind"), "us",
-        F.explode(F.array(F.floor((F.col("us") + low_us) / width), F.floor((F.col("us") + low_us) / width) + 1)).alias("bucket")
-    )
-    b = events.select(F.col("who").alias("b_who"), k.alias("b_kind"), F.col("us").alias("b_us"), F.floor(F.col("us") / width).alias("bucket"))
-    met = a.join(b, "bucket").filter(
-        (F.col("a_who") != F.col("b_who")) & (F.col("a_kind") != F.col("b_kind")) & F.col("b_us").between(F.col("us") + low_us, F.col("us") + high_us)
+    # Each call looks for an answer of every other kind.
+    kinds = events.agg(F.collect_set(k).alias("_kinds"))
+    calls = events.join(F.broadcast(kinds)).select(
+        F.struct("id", k.alias("kind")).alias("id"), F.col("who").alias("key"), "us", F.explode(F.filter("_kinds", lambda x: x != k)).alias("b_kind")
     )
-    answered = met.groupBy("id", "a_kind", "b_kind").agg(F.min(F.col("b_us") - F.col("us")).alias("delay")).groupBy("a_kind", "b_kind").agg(
-        F.count(F.lit(1)).alias("answered"), F.avg("delay").alias("delay_us")
+    hits = events.filter(k.isNotNull()).select("id", F.col("who").alias("key"), "us", k.alias("b_kind"))
+    met = _first_answers(calls, hits, ["b_kind"], low_us, high_us).filter("hit IS NOT NULL")
+    answered = met.groupBy(F.col("id.kind").alias("a_kind"), "b_kind").agg(
+        F.count(F.lit(1)).alias("answered"), F.avg(F.col("hit.us") - F.col("us")).alias("delay_us")
     )
     both = answered.join(totals.select(F.col("kind").alias("a_kind"), F.col("n").alias("calls")), "a_kind").join(
         totals.select(F.col("kind").alias("b_kind"), F.col("n").alias("others")), "b_kind"
