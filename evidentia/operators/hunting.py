@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.operators.matching import within
 from evidentia.operators.running import previous, running
 
+#: What tells whether features confirm each other; features looked at at once; parts in which those of a bucket are dealt.
+TESTED, CHUNK, DEALT = ("value", "line", "low", "high", "resolution"), 256, 4
+
 _UNITS = {"hz": 1.0, "khz": 1e3, "mhz": 1e6, "ghz": 1e9}
 
 
@@ -197,27 +200,65 @@ def places_apart(sightings: DataFrame, key: str, order: list[str], place: str, s
     return rows.mapInArrow(run, f"{key} {kind}, places int")
 
 
+def _best_confirmed(test) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """id, confirmed_by, margin: of a group, for each feature of the left the first on the right that passes ``test``, by margin and id.
+
+    The right is gone through in that order, ``CHUNK`` at a time, by those of the left that are still without one.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a = {c: left[c].to_numpy() for c in left.column_names}
+        b = {c[2:]: right[c].to_numpy() for c in right.column_names}
+        order = np.lexsort((b["id"], -b["margin"]))
+        b = {c: v[order] for c, v in b.items()}
+        best = np.full(len(left), -1)
+        for i in range(0, len(left), 8 * CHUNK):
+            rows = np.arange(i, min(i + 8 * CHUNK, len(left)))
+            for k in range(0, len(order), CHUNK):
+                if not len(rows):
+                    break
+                ok = test({c: v[rows, None] for c, v in a.items() if c in TESTED}, {c: v[None, k : k + CHUNK] for c, v in b.items() if c in TESTED})
+                hit = ok.any(axis=1)
+                best[rows[hit]] = k + ok[hit].argmax(axis=1)
+                rows = rows[~hit]
+        found = np.flatnonzero(best >= 0)
+        return pa.table({"id": left["id"].take(pa.array(found)), "confirmed_by": b["id"][best[found]], "margin": b["margin"][best[found]].astype(float)})
+
+    return run
+
+
 def confirmations(first: DataFrame, second: DataFrame, drift: float, widest: float) -> DataFrame:
     """id, confirmed_by, margin: for each feature of a first look that of the second which reproduces it with the greatest margin, or null.
 
     Features: id, conj, value, line, low, high, resolution, margin. Conjugate ones are the same if their lines differ by ``drift`` of the line at
     most, others if their values differ by three times the coarser resolution (``widest`` at most) and their bands overlap. They meet
-    in buckets; of equal margins the lesser id counts.
+    in buckets, dealt in ``DEALT`` parts, in the order of what they look for, so that a feature meets few more than its confirmation; of equal
+    margins the lesser id counts.
     """
-    names = ["id", "conj", "value", "line", "low", "high", "resolution", "margin"]
-    b = second.select(*[F.col(c).alias(f"{c}_b") for c in names])
-    plain = within(first.filter("NOT conj"), b.filter("NOT conj_b"), "value", "value_b", 3 * widest).filter(
-        (F.abs(F.col("value") - F.col("value_b")) <= 3 * F.least(F.greatest("resolution", "resolution_b"), F.lit(widest)))
-        & (F.col("low") < F.col("high_b")) & (F.col("low_b") < F.col("high"))
-    )
+    one, kinds = F.col("_cell").cast("long"), tuple(df.schema["id"].dataType.simpleString() for df in (first, second))
+
+    def met(a: DataFrame, b: DataFrame, by: Column, width: float, test) -> DataFrame:
+        cell = F.floor(by / width)
+        names = ["id", *TESTED, "margin"]
+        left = a.filter(by.isNotNull()).withColumn("_cell", cell).withColumn("_deal", F.pmod(F.xxhash64("id"), F.lit(DEALT))).select(*names, one.alias("_cell"), "_deal")
+        right = b.filter(by.isNotNull()).withColumn("_cell", F.explode(F.array(*[cell + i for i in (-1, 0, 1)]))).withColumn(
+            "_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long")))
+        ).select(*[F.col(c).alias(f"r_{c}") for c in names], one.alias("r__cell"), F.col("_deal").alias("r__deal"))
+        return left.groupBy("_cell", "_deal").cogroup(right.groupBy("r__cell", "r__deal")).applyInArrow(
+            _best_confirmed(test), f"id {kinds[0]}, confirmed_by {kinds[1]}, margin double"
+        )
+
+    def alike(a, b):
+        reach = 3 * np.fmin(np.fmax(a["resolution"], b["resolution"]), widest)
+        return (np.abs(a["value"] - b["value"]) <= reach) & (a["low"] < b["high"]) & (b["low"] < a["high"])
+
+    plain = met(first.filter("NOT conj"), second.filter("NOT conj"), F.col("value"), 3 * widest, alike)
     # Buckets as wide as the drift at a line: lines on a logarithmic scale.
-    scaled = lambda df, c, to: df.filter(F.col(c) > 0).withColumn(to, F.ln(c))
-    lines = within(scaled(first.filter("conj"), "line", "_l"), scaled(b.filter("conj_b"), "line_b", "_lb"), "_l", "_lb", 1.01 * drift).filter(
-        F.abs(F.col("line") - F.col("line_b")) <= drift * F.col("line")
+    lines = met(
+        first.filter("conj AND line > 0"), second.filter("conj AND line > 0"), F.ln("line"), 1.01 * drift, lambda a, b: np.abs(a["line"] - b["line"]) <= drift * a["line"]
     )
-    met = plain.select("id", "id_b", "margin_b").unionByName(lines.select("id", "id_b", "margin_b"))
-    best = met.groupBy("id").agg(F.max(F.struct("margin_b", (-F.col("id_b")).alias("o"))).alias("s"))
-    return first.select("id").join(best, "id", "left").select("id", (-F.col("s.o")).alias("confirmed_by"), F.col("s.margin_b").alias("margin"))
+    best = plain.unionByName(lines).groupBy("id").agg(F.max(F.struct("margin", (-F.col("confirmed_by")).alias("o"))).alias("s"))
+    return first.select("id").join(best, "id", "left").select("id", (-F.col("s.o")).alias("confirmed_by"), F.col("s.margin").alias("margin"))
 
 
 def detection_verdict(found: Column, false_rate: Column, least: float = 0.9, most: float = 0.01) -> Column:
