@@ -19,13 +19,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.stats import gamma_p, gamma_quantile
 from evidentia.operators.series import _arrays
+from evidentia.operators.tables import tasks
 
 
 class Level(NamedTuple):
@@ -69,64 +69,70 @@ def lag_statistic(y: np.ndarray, lag: int, conjugate: bool) -> np.ndarray:
 
 
 CELL = "level int, channel int, conjugate boolean, lag int"
+#: Segments in a row of a capture that come to one task, and numbers that a task works on at once.
+TOGETHER, AT_ONCE = 64, 1 << 18
+
+
+def _side_by_side(blocks: DataFrame, key: str, size: int) -> DataFrame:
+    """key, start, re, im of the whole segments: up to ``TOGETHER`` of a capture in one task and in a row, so that it adds them up before it tells.
+
+    A longer capture goes to many tasks. The number of tasks is named, for work is far more than the bytes that come in.
+    """
+    whole = blocks.filter(F.size("re") == size).select(key, "start", "re", "im")
+    return whole.repartition(tasks(blocks), F.col(key), F.floor(F.col("start") / (size * TOGETHER))).sortWithinPartitions(key, "start")
+
+
+def _runs(keys: pa.Array) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.flatnonzero(np.diff(codes, prepend=-1))
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
 
 def lag_sums(blocks: DataFrame, key: str, size: int, levels: list[Level], plain: tuple[int, ...] = PLAIN_LAGS, conjugate: tuple[int, ...] = CONJUGATE_LAGS) -> DataFrame:
     """key, level, channel, conjugate, lag, bin, stat, segments of all captures' whole segments."""
     kind = blocks.schema[key].dataType.simpleString()
     kinds = [(False, lag) for lag in plain] + [(True, lag) for lag in conjugate]
+    most = max(1, AT_ONCE // size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, list] = {}
-
-        def told(arrow: pa.DataType) -> pa.RecordBatch:
-            cols = list(zip(*sums, strict=True)) or [()] * 5
-            arrays = [pa.array(c, t) for c, t in zip(cols, (arrow, pa.int32(), pa.int32(), pa.bool_(), pa.int32()), strict=True)]
-            stats, counts = [s.tolist() for s, _ in sums.values()], [n for _, n in sums.values()]
-            arrays += [pa.array(stats, pa.list_(pa.float64())), pa.array(counts, pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, [key, "level", "channel", "conjugate", "lag", "stats", "segments"])
-
-        arrow = pa.int64()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            arrow = batch.column(0).type
-            x = np.stack(_arrays(batch, "re")) + 1j * np.stack(_arrays(batch, "im"))
-            names, of = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_inverse=True)
-            first = [batch.column(0)[int(np.flatnonzero(of == i)[0])].as_py() for i in range(len(names))]
-            start = batch.column(1).to_numpy()
-            for level, (decimate, offsets) in enumerate(levels):
-                for c, offset in enumerate(offsets):
-                    y = channel(x, start, offset, decimate)
-                    for conj, lag in kinds:
-                        stat = lag_statistic(y, lag, conj)
-                        added = np.zeros((len(names), stat.shape[1]))
-                        np.add.at(added, of, stat)
-                        for i, n in enumerate(np.bincount(of)):
-                            own = sums.setdefault((first[i], level, c, conj, lag), [0.0, 0])
-                            own[0] = own[0] + added[i]
-                            own[1] += int(n)
-            if len(sums) * size > 4_000_000:
-                yield told(arrow)
-                sums.clear()
-        yield told(arrow)
-
-    whole = blocks.filter(F.size("re") == size).select(key, "start", "re", "im")
-    parts = whole.mapInArrow(run, f"{key} {kind}, {CELL}, stats array<double>, segments long")
+        for whole in batches:
+            for batch in (whole.slice(i, most) for i in range(0, whole.num_rows, most)):
+                x = np.stack(_arrays(batch, "re")) + 1j * np.stack(_arrays(batch, "im"))
+                first, start = _runs(batch.column(0)), batch.column(1).to_numpy()
+                keys, counts = batch.column(0).take(pa.array(first)), np.diff(np.append(first, len(x)))
+                for level, (decimate, offsets) in enumerate(levels):
+                    for c, offset in enumerate(offsets):
+                        y = channel(x, start, offset, decimate)
+                        for conj, lag in kinds:
+                            same = [pa.array(np.full(len(first), v), t) for v, t in ((level, pa.int32()), (c, pa.int32()), (conj, pa.bool_()), (lag, pa.int32()))]
+                            added = np.add.reduceat(lag_statistic(y, lag, conj), first, axis=0)
+                            yield pa.RecordBatch.from_arrays(
+                                [keys, *same, _lists(added), pa.array(counts, pa.int64())], [key, "level", "channel", "conjugate", "lag", "stats", "segments"]
+                            )
+
+    parts = _side_by_side(blocks, key, size).mapInArrow(run, f"{key} {kind}, {CELL}, stats array<double>, segments long")
     cell = [key, "level", "channel", "conjugate", "lag"]
     rows = parts.select(*cell, "segments", F.posexplode("stats").alias("bin", "stat"))
     return rows.groupBy(*cell, "bin").agg(F.sum("stat").alias("stat"), F.sum("segments").alias("segments"))
 
 
-def local_floor(row: np.ndarray) -> np.ndarray:
-    """The scale of each bin: medians of blocks of bins, and the median of the nine blocks around, drawn out between their middles."""
-    blocks = min(128, max(8, len(row) // 64))
-    width = len(row) // blocks
+def local_floor(rows: np.ndarray) -> np.ndarray:
+    """The scale of each bin (last axis): medians of blocks of bins, and the median of the nine blocks around, drawn out between their middles."""
+    bins = rows.shape[-1]
+    blocks = min(128, max(8, bins // 64))
+    width = bins // blocks
     if width < 8:
-        return np.full(len(row), max(float(np.median(row)), 1e-30))
-    middle = np.median(row[: blocks * width].reshape(blocks, width), axis=1)
-    around = np.lib.stride_tricks.sliding_window_view(np.pad(middle, 4, mode="edge"), 9)
-    return np.maximum(np.interp(np.arange(len(row)), (np.arange(blocks) + 0.5) * width, np.median(around, axis=1)), 1e-30)
+        return np.broadcast_to(np.maximum(np.median(rows, axis=-1, keepdims=True), 1e-30), rows.shape)
+    middle = np.median(rows[..., : blocks * width].reshape(*rows.shape[:-1], blocks, width), axis=-1)
+    edges = [(0, 0)] * (middle.ndim - 1) + [(4, 4)]
+    around = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(middle, edges, mode="edge"), 9, axis=-1), axis=-1)
+    at = np.clip((np.arange(bins) + 0.0) / width - 0.5, 0, blocks - 1)
+    left = np.minimum(at.astype(int), blocks - 2)
+    return np.maximum(around[..., left] + (around[..., left + 1] - around[..., left]) * (at - left), 1e-30)
 
 
 def searched(size: int, levels: list[Level], plain: tuple[int, ...] = PLAIN_LAGS, conjugate: tuple[int, ...] = CONJUGATE_LAGS) -> int:
@@ -152,31 +158,56 @@ def features(sums: DataFrame, key: str, size: int, levels: list[Level], pfa: flo
     trials = searched(size, levels, **lags)
     kind = sums.schema[key].dataType.simpleString()
 
-    def find(group: pd.DataFrame) -> pd.DataFrame:
-        level, conj, segments = int(group["level"].iloc[0]), bool(group["conjugate"].iloc[0]), int(group["segments"].max())
-        lags, bins = np.sort(group["lag"].unique()), int(group["bin"].max()) + 1
-        grid = np.zeros((len(lags), bins))
-        grid[np.searchsorted(lags, group["lag"]), group["bin"]] = group["stat"]
-        middle, limit = gamma_quantile(0.5, segments), gamma_quantile(1 - pfa / trials, segments)
-        units = np.stack([row / local_floor(row) * middle for row in grid])
-        best, out = units.max(axis=0), []
+    names = [key, "level", "channel", "conjugate", *[c.split()[0] for c in FEATURE.split(", ")]]
+
+    def found(head: pa.RecordBatch, rows: np.ndarray, level: int, conj: bool, segments: np.ndarray, lags: np.ndarray, grid: np.ndarray) -> pa.RecordBatch:
+        """Features of ``rows`` of one level and product. grid: channel, lag, bin."""
+        bins = grid.shape[2]
+        middle, limit = (np.array([gamma_quantile(p, int(s)) for s in segments]) for p in (0.5, 1 - pfa / trials))
+        units = grid / local_floor(grid) * middle[:, None, None]
+        best = units.max(axis=1)
         allowed = np.arange(bins) >= (0 if conj else NEAR_ZERO)
-        silent = grid.max() <= 0
-        for own in runs_of((best > limit) & allowed & (not silent), 4):
-            k = int(own[np.argmax(best[own])])
-            a, b, c = (best[i] if 0 <= i < bins else best[k] for i in (k - 1, k, k + 1))
-            bend = a - 2 * b + c
-            at = k + (0.5 * (a - c) / bend if bend < 0 and 0 < k < bins - 1 else 0.0)
-            n = size // levels[level].decimate
-            alpha = (at - n if conj and at > n / 2 else at) / n / levels[level].decimate
-            chance = min(1.0, trials * max(1 - gamma_p(segments, float(b)), 0.0))
-            out.append((alpha, int(lags[int(np.argmax(units[:, k]))]), segments, float(b), limit, chance))
-        found = pd.DataFrame(out, columns=[c.split()[0] for c in FEATURE.split(", ")])
-        for name in ("conjugate", "channel", "level", key):
-            found.insert(0, name, group[name].iloc[0])
-        return found
-
-    return sums.groupBy(key, "level", "channel", "conjugate").applyInPandas(find, f"{key} {kind}, level int, channel int, conjugate boolean, {FEATURE}")
+        over = (best > limit[:, None]) & allowed & (grid.max(axis=(1, 2)) > 0)[:, None]
+        of, out = [], []
+        for g in np.flatnonzero(over.any(axis=1)):
+            for own in runs_of(over[g], 4):
+                k = int(own[np.argmax(best[g, own])])
+                a, b, c = (best[g, i] if 0 <= i < bins else best[g, k] for i in (k - 1, k, k + 1))
+                bend = a - 2 * b + c
+                at = k + (0.5 * (a - c) / bend if bend < 0 and 0 < k < bins - 1 else 0.0)
+                n = size // levels[level].decimate
+                alpha = (at - n if conj and at > n / 2 else at) / n / levels[level].decimate
+                chance = min(1.0, trials * max(1 - gamma_p(int(segments[g]), float(b)), 0.0))
+                of.append(int(rows[g]))
+                out.append((alpha, int(lags[int(np.argmax(units[g, :, k]))]), int(segments[g]), float(b), float(limit[g]), chance))
+        own = [head.column(i).take(pa.array(of, pa.int64())) for i in range(4)]
+        kinds = (pa.float64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([*own, *[pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            cells = whole.column(5).offsets.to_numpy()
+            many = max(1, AT_ONCE * whole.num_rows // max(1, int(cells[-1] - cells[0])))
+            for batch in (whole.slice(i, many) for i in range(0, whole.num_rows, many)):
+                level, conj, segments = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 3, 4))
+                lag, bins, stat = (batch.column(i) for i in (5, 6, 7))
+                sizes = np.diff(lag.offsets.to_numpy())
+                of = np.repeat(np.arange(batch.num_rows), sizes)
+                lag, bins, stat = (c.flatten().to_numpy(zero_copy_only=False) for c in (lag, bins, stat))
+                last = np.maximum.reduceat(bins, np.cumsum(sizes) - sizes)
+                shapes = np.column_stack([level, conj, last]).astype(int)
+                for shape in np.unique(shapes, axis=0):
+                    mine = (shapes == shape).all(axis=1)
+                    rows, own = np.flatnonzero(mine), mine[of]
+                    lags = np.unique(lag[own])
+                    grid = np.zeros((len(rows), len(lags), shape[2] + 1))
+                    grid[np.searchsorted(rows, of[own]), np.searchsorted(lags, lag[own]), bins[own]] = stat[own]
+                    yield found(batch, rows, int(shape[0]), bool(shape[1]), segments[rows], lags, grid)
+
+    cells = F.collect_list(F.struct("lag", "bin", "stat")).alias("_c")
+    packed = sums.groupBy(key, "level", "channel", "conjugate").agg(F.max("segments").alias("segments"), cells)
+    rows = packed.select(key, "level", "channel", "conjugate", "segments", *[F.col(f"_c.{c}").alias(c) for c in ("lag", "bin", "stat")])
+    return rows.mapInArrow(run, f"{key} {kind}, level int, channel int, conjugate boolean, {FEATURE}")
 
 
 def distinct_features(found: DataFrame, key: str, tolerance: float) -> DataFrame:
@@ -217,34 +248,22 @@ def spectral_correlation(blocks: DataFrame, key: str, size: int, bins: int = 32)
     A task adds up the segments that it has; the sums of tasks meet by (key, strip, fine).
     """
     kind = blocks.schema[key].dataType.simpleString()
+    most = max(1, AT_ONCE // (size * bins))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
-
-        def told(arrow: pa.DataType) -> pa.RecordBatch:
-            keys = [k for k in sums for _ in range(bins)]
-            rows = [row.tolist() for s, _ in sums.values() for row in s]
-            counts = [n for _, n in sums.values() for _ in range(bins)]
-            strips = list(range(bins)) * len(sums)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys, arrow), pa.array(strips, pa.int32()), pa.array(rows, pa.list_(pa.float64())), pa.array(counts, pa.int64())],
-                [key, "strip", "powers", "segments"]
-            )
-
-        arrow = pa.int64()
-        for batch in batches:
-            arrow = batch.column(0).type
-            for name, re, im in zip(batch.column(0).to_pylist(), _arrays(batch, "re"), _arrays(batch, "im"), strict=True):
-                own = sums.setdefault(name, [0.0, 0])
-                own[0] = own[0] + strips_of((re + 1j * im)[None, :], bins)[0]
-                own[1] += 1
-                if len(sums) * size * bins > 8_000_000:
-                    yield told(arrow)
-                    sums.clear()
-        yield told(arrow)
-
-    whole = blocks.filter(F.size("re") == size).select(key, "re", "im")
-    rows = whole.mapInArrow(run, f"{key} {kind}, strip int, powers array<double>, segments long").select(
+        for whole in batches:
+            for batch in (whole.slice(i, most) for i in range(0, whole.num_rows, most)):
+                x = np.stack(_arrays(batch, "re")) + 1j * np.stack(_arrays(batch, "im"))
+                first = _runs(batch.column(0))
+                added = np.add.reduceat(strips_of(x, bins), first, axis=0)
+                keys = batch.column(0).take(pa.array(np.repeat(first, bins)))
+                counts = np.repeat(np.diff(np.append(first, len(x))), bins)
+                yield pa.RecordBatch.from_arrays(
+                    [keys, pa.array(np.tile(np.arange(bins, dtype=np.int32), len(first))), _lists(added.reshape(-1, added.shape[2])), pa.array(counts, pa.int64())],
+                    [key, "strip", "powers", "segments"]
+                )
+
+    rows = _side_by_side(blocks, key, size).mapInArrow(run, f"{key} {kind}, strip int, powers array<double>, segments long").select(
         key, "strip", "segments", F.posexplode("powers").alias("fine", "power")
     ).groupBy(key, "strip", "fine").agg(F.sum("power").alias("power"), F.sum("segments").alias("segments"))
     signed = lambda c, n: F.when(2 * F.col(c) >= n, F.col(c) - n).otherwise(F.col(c))
