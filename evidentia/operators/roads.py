@@ -14,14 +14,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators.tables import forget, written
+from evidentia.operators.tables import forget, tasks, written
+
+#: Rows of a task that groups edges.
+ROWS = 250_000
+
+
+def _dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``n`` rows dealt by keys before they are grouped, to more tasks the more they are: groups are nearly as many, so each task holds its rows."""
+    return rows.repartition(max(tasks(rows), -(-n // ROWS)), *keys)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """a, b, length of edges (a, b, length) in both directions, the shortest of each."""
     plain = edges.filter("length >= 0 AND a IS NOT NULL AND b IS NOT NULL").select("a", "b", F.col("length").cast("double").alias("length"))
     turned = plain.select(F.col("b").alias("a"), F.col("a").alias("b"), "length")
-    return plain.unionByName(turned).groupBy("a", "b").agg(F.min("length").alias("length"))
+    return _dealt(plain.unionByName(turned), 2 * edges.count(), "a", "b").groupBy("a", "b").agg(F.min("length").alias("length"))
 
 
 def reach(edges: DataFrame, seeds: DataFrame, budget: float, paths: bool = False) -> DataFrame:
@@ -72,7 +80,8 @@ def stretches(edges: DataFrame, reached: DataFrame, low: float, high: float) ->
     at_b = reached.select("source", F.col("node").alias("b"), F.col("cost").alias("db"))
     from_a = ways.join(at_a, "a").select("source", "a", "b", "length", "da", F.lit(None).cast("double").alias("db"))
     from_b = ways.join(at_b, "b").select("source", "a", "b", "length", F.lit(None).cast("double").alias("da"), "db")
-    both = from_a.unionByName(from_b).groupBy("source", "a", "b").agg(F.max("length").alias("length"), F.min("da").alias("da"), F.min("db").alias("db"))
+    met = written(from_a.unionByName(from_b), "stretches")
+    both = _dealt(met, met.count(), "source", "a", "b").groupBy("source", "a", "b").agg(F.max("length").alias("length"), F.min("da").alias("da"), F.min("db").alias("db"))
     far = F.lit(float("inf"))
     da, db = F.coalesce("da", far), F.coalesce("db", far)
     top = F.when(F.col("db").isNull(), F.col("length")).when(F.col("da").isNull(), F.lit(0.0)).otherwise(
