@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from evidentia.operators import cyclic, matching
+from evidentia.operators import cyclic, matching, roads
 
 
 @pytest.mark.parametrize("meetings", [1000, 0])
@@ -85,3 +85,10 @@ def test_strips_and_sums_in_small_portions(spark, monkeypatch):
     monkeypatch.setattr(cyclic, "AT_ONCE", 1)
     for a, c in zip(whole, found(), strict=True):
         assert a.keys() == c.keys() and all(np.allclose(a[k], c[k]) for k in a)
+
+
+def test_edges_go_to_more_tasks_the_more_they_are(spark, monkeypatch):
+    monkeypatch.setattr(roads, "ROWS", 10)
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(100)] + [(1, 0, 3.0)], "a long, b long, length double")
+    ways = roads.both_ways(edges)
+    assert ways.rdd.getNumPartitions() == 21 and ways.count() == 200 and ways.filter("a = 1 AND b = 0").first()["length"] == 1.0
