@@ -127,8 +127,7 @@ def _words(df):
 
 def word_surprise(spark, sf):
     """The words of the benchmark that the documents make least likely: sum and greatest surprise of each item."""
-    pairs = infill.pair_counts(_words(_t(spark, sf, "documents")), "words")
-    found = infill.surprise(_words(_t(spark, sf, "benchmark")), "item_id", "words", pairs)
+    found = infill.surprise_in(_words(_t(spark, sf, "benchmark")), "item_id", "words", _words(_t(spark, sf, "documents")), "words")
     return _rounded(found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.sum("surprise").alias("total"), F.max("surprise").alias("most")), 4, "total", "most")
 
 
