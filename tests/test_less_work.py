@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import infill
+from evidentia.operators import infill, matching
 
 
 def _texts(spark, n, seed):
@@ -41,3 +41,24 @@ def test_a_word_beside_masks_is_looked_up_once(spark, monkeypatch):
     found = infill.fill(canvas, "k", infill.pair_counts(model, "w"), 4)
     assert found.filter("word IS NULL").count() == 0 and found.agg(F.max("round")).first()[0] == 4
     assert len(asked) == len(set(asked)) > 8
+
+
+def test_boxes_of_one_shape_are_met_once(spark, monkeypatch):
+    """The best partner of each box by a plain search: copies, boxes of both sides, without area, across cells, negative, null."""
+    rng, shapes, plain = random.Random(4), [], matching.written
+    box = lambda: ((t := rng.choice([-3.0, 0.0, 1.5, 6.0, 13.0])), t + rng.choice([0, 1, 2, 20]), (f := rng.choice([0.0, 1.0])), f + rng.choice([0, 1, 2]))
+    a, b = ([(i, rng.choice("xy"), *box()) for i in range(s, 600, 2)] for s in (0, 1))
+    kind = "id long, grp string, t0 double, t1 double, f0 double, f1 double"
+    left, right = spark.createDataFrame(a + [(900, "x", None, 1.0, 0.0, 1.0)], kind), spark.createDataFrame(b + [(901, None, 0.0, 1.0, 0.0, 1.0)], kind)
+    monkeypatch.setattr(matching, "written", lambda df, tag: shapes.append(plain(df, tag)) or shapes[-1])
+    got = {r["id"]: (r["id_b"], r["iou"]) for r in matching.best_overlaps(left, right, 7.0, ["grp"], 0.2).collect()}
+    want = {}
+    for i, g, t0, t1, f0, f1 in a:
+        for j, h, u0, u1, e0, e1 in b:
+            if g == h and t0 < u1 and u0 < t1:
+                both = max(min(t1, u1) - max(t0, u0), 0) * max(min(f1, e1) - max(f0, e0), 0)
+                joint = (t1 - t0) * (f1 - f0) + (u1 - u0) * (e1 - e0) - both
+                if joint and round(both / joint, 9) >= 0.2:
+                    want[i] = max(want.get(i, (0, 0)), (round(both / joint, 9), -j))
+    assert got == {i: (-j, iou) for i, (iou, j) in want.items()} and len(got) > 100
+    assert shapes[0].count() == len({x[1:] for x in a}) + 1 < 200
