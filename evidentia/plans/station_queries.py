@@ -98,7 +98,7 @@ def _claims(spark, sf):
     )
     guesses, truths = b.filter("id % 2 = 0"), b.filter("id % 2 = 1")
     # Only boxes of one class and group meet.
-    pairs = matching.box_iou(matching.overlaps(guesses, truths, "t0", "t1", 7.0, ["grp", "cls"])).withColumn("iou", F.round("iou", 9))
+    pairs = matching.best_overlaps(guesses, truths, 28.0, ["grp", "cls"], 0.2)
     claimed = matching.first_claim(pairs, "id", "id_b", "iou", "score", 0.2).filter("matched").select("id", F.lit(True).alias("hit"))
     return guesses.join(claimed, "id", "left").select(
         "id", "cls", "score", F.coalesce("hit", F.lit(False)).alias("matched")
