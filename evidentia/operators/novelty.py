@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import content_words, grams, words
@@ -49,23 +53,69 @@ def containment(docs: DataFrame, id_: str, text: str, corpus: DataFrame, corpus_
     return total.select("id", "grams", "seen", (F.col("seen") / F.col("grams")).alias("contained"))
 
 
+def _pieces(text: Column) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n"), lambda s: F.btrim(s)), lambda s: s != "")
+
+
 def sentences(docs: DataFrame, id_: str, text: str) -> DataFrame:
     """id, idx, sentence: pieces after . ! ? or at line ends, trimmed, without empty ones."""
-    pieces = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[.!?])\s+|\n"), lambda s: F.btrim(s)), lambda s: s != "")
-    return docs.select(F.col(id_).alias("id"), F.posexplode(pieces).alias("idx", "sentence"))
+    return docs.select(F.col(id_).alias("id"), F.posexplode(_pieces(F.col(text))).alias("idx", "sentence"))
+
+
+#: How many grams are put in order at once.
+AT_ONCE = 500_000
+
+
+def _hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of the runs of n tokens, with repeats; a shorter list is one run."""
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(n)]))
+    return F.when(F.size(tokens) > 0, runs).otherwise(F.array().cast("array<long>"))
+
+
+def _first_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, idx, gram, grams: each gram of a document where it is first, and for each sentence a row without gram that has the number of its grams."""
+    for b in batches:
+        ids, docs = b.column(0), b.column(1)
+        to = docs.offsets.to_numpy()
+        inner = docs.values.offsets.to_numpy()
+        row = 0
+        while row < len(ids):
+            end = max(int(np.searchsorted(inner[to], inner[to[row]] + AT_ONCE, side="right")) - 1, row + 1)
+            s0, s1 = to[row], to[end]
+            gram = docs.values.values.to_numpy()[inner[s0] : inner[s1]]
+            sentence = np.repeat(np.arange(s1 - s0), np.diff(inner[s0 : s1 + 1]))
+            doc, idx = np.repeat(np.arange(row, end), np.diff(to[row : end + 1])), np.arange(s0, s1) - np.repeat(to[row:end], np.diff(to[row : end + 1]))
+            order = np.lexsort((sentence, gram))
+            gram, sentence = gram[order], sentence[order]
+            other = np.r_[True, gram[1:] != gram[:-1]][: len(gram)]
+            total = np.bincount(sentence[other | np.r_[True, sentence[1:] != sentence[:-1]][: len(gram)]], minlength=s1 - s0)
+            first = np.flatnonzero(other | np.r_[True, np.diff(doc[sentence]) != 0][: len(gram)])
+            full = np.flatnonzero(total)
+            at = np.r_[sentence[first], full]
+            blank = np.arange(len(at)) >= len(first)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids.take(pa.array(doc[at])), pa.array(idx[at].astype(np.int32)), pa.array(np.r_[gram[first], np.zeros(len(full), np.int64)], mask=blank),
+                    pa.array(np.r_[np.zeros(len(first), np.int64), total[full]], mask=~blank)
+                ],
+                ["id", "idx", "gram", "grams"]
+            )
+            row = end
 
 
 def new_sentences(docs: DataFrame, id_: str, text: str, corpus: DataFrame, corpus_text: str, n: int = 3, tau: float = 0.5) -> DataFrame:
-    """id, idx, grams, fresh, score, novel: the share of a sentence's grams that neither the corpus nor an earlier sentence has."""
-    own = _exploded(sentences(docs, id_, text), "sentence", n, "id", "idx")
-    known = _exploded(corpus, corpus_text, n).distinct()
-    # Grams are distinct within a sentence, so the first sentence of a document with a gram is where it is fresh.
-    first = own.groupBy("id", "gram").agg(F.min("idx").alias("idx"))
-    fresh = first.join(known, "gram", "left_anti").groupBy("id", "idx").agg(F.count(F.lit(1)).alias("fresh"))
-    total = own.groupBy("id", "idx").agg(F.count(F.lit(1)).alias("grams"))
-    score = F.coalesce("fresh", F.lit(0)) / F.col("grams")
-    return total.join(fresh, ["id", "idx"], "left").select(
-        "id", "idx", "grams", F.coalesce("fresh", F.lit(0)).alias("fresh"), score.alias("score"), (score > tau).alias("novel")
+    """id, idx, grams, fresh, score, novel: the share of a sentence's grams that neither the corpus nor an earlier sentence has.
+
+    A document is a row (``id_`` is a key), so its grams are found once, and where they are first in the row's own task; only sentences are shuffled.
+    """
+    tokens = F.transform(_pieces(F.col(text)), lambda s: words(s))  # Words first: a lambda would find them again for each gram.
+    own = docs.select(F.col(id_).alias("id"), F.transform(tokens, lambda w: _hashes(w, n)).alias("_g"))
+    first = own.mapInArrow(_first_grams, f"id {dict(own.dtypes)['id']}, idx int, gram long, grams long")
+    known = corpus.select(words(F.col(corpus_text)).alias("_w")).select(F.explode(_hashes(F.col("_w"), n)).alias("gram")).distinct()
+    fresh, grams = F.count("gram"), F.sum("grams")
+    score = F.col("fresh") / F.col("grams")
+    return first.join(known, "gram", "left_anti").groupBy("id", "idx").agg(grams.alias("grams"), fresh.alias("fresh")).select(
+        "id", "idx", "grams", "fresh", score.alias("score"), (score > tau).alias("novel")
     )
 
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import infill, matching
+from evidentia.operators import infill, matching, novelty
 
 
 def _texts(spark, n, seed):
@@ -62,3 +62,27 @@ def test_boxes_of_one_shape_are_met_once(spark, monkeypatch):
                     want[i] = max(want.get(i, (0, 0)), (round(both / joint, 9), -j))
     assert got == {i: (-j, iou) for i, (iou, j) in want.items()} and len(got) > 100
     assert shapes[0].count() == len({x[1:] for x in a}) + 1 < 200
+
+
+def test_grams_of_a_document_stay_in_its_task(spark, monkeypatch, capsys):
+    """Fresh grams by a plain search, in small portions; no shuffle has a row for each gram."""
+    monkeypatch.setattr(novelty, "AT_ONCE", 7)
+    rng = random.Random(5)
+    lines = [[rng.choices("abcd", k=rng.choice([1, 2, 3, 5, 9])) for _ in range(rng.choice([1, 3, 6]))] for _ in range(40)]
+    texts = [None, "", " .. \n!", *["\n".join("-- !" if len(s) == 1 and i % 3 else " ".join(s) for s in d) for i, d in enumerate(lines)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(3)
+    corpus = spark.createDataFrame([("a b c d a",), ("b",), (None,)], "text string")
+    found = novelty.new_sentences(docs, "k", "text", corpus, "text")
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(max(len(w) - 2, 1))} if w else set()
+    known, want = grams("abcda") | grams("b"), {}
+    for k, x in enumerate(texts):
+        seen = set(known)
+        for i, s in enumerate([s for s in (x or "").split("\n") if s.strip()]):
+            g = grams([w for w in s.split() if w.isalpha()])
+            if g:
+                want[k, i] = (len(g), len(g - seen))
+            seen |= g
+    assert {(r["id"], r["idx"]): (r["grams"], r["fresh"]) for r in found.collect()} == want and len(want) > 50
+    found.explain()
+    assert "hashpartitioning(id" in (plan := capsys.readouterr().out)
+    assert all("gram#" not in x.split(")")[0] for x in plan.split("hashpartitioning(id")[1:])
