@@ -61,12 +61,15 @@ def is_null_wording(text: Column) -> Column:
     )
 
 
-def found_in(value: Column, source: Column) -> Column:
-    """Whether the words of one text stand in a row in the other."""
-    v, s = words(value), words(source)
-    return (F.size(v) > 0) & F.instr(
-        F.concat(F.lit(" "), F.array_join(s, " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(v, " "), F.lit(" "))
-    ).cast("boolean")
+def spaced(text: Column) -> Column:
+    """The words of a text between single spaces, one before and one after."""
+    return F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
+
+
+def found_in(value: Column, source: Column, source_spaced: Column | None = None) -> Column:
+    """Whether the words of one text stand in a row in the other. Who asks for several values has the source ``spaced`` once, as a column of its own."""
+    where = spaced(source) if source_spaced is None else source_spaced
+    return (F.size(words(value)) > 0) & F.instr(where, spaced(value)).cast("boolean")
 
 
 QUANTITY = r"(?<![\p{L}\p{N}_.])([0-9]+(?:\.[0-9]+)?) ?(km|m|kg|g|s|min|h|hz|khz|mhz|ghz|db|dbm|%)(?![\p{L}\p{N}_])"

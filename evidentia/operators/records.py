@@ -67,8 +67,10 @@ def problems(rows: DataFrame, id_: str, rules: dict[str, Column]) -> DataFrame:
     return rows.select(F.col(id_).alias("id"), F.explode(found).alias("problem"))
 
 
-def judged(value: Column, source: Column, choices: list[str] | None = None, confidence: Column | None = None, least: float = 0.5) -> Column:
-    """{value, ok, why} of an extracted value: it is kept only if it says something the source supports."""
+def judged(
+    value: Column, source: Column, choices: list[str] | None = None, confidence: Column | None = None, least: float = 0.5, source_spaced: Column | None = None
+) -> Column:
+    """{value, ok, why} of an extracted value: it is kept only if it says something the source supports (``source_spaced``: see ``text.found_in``)."""
     from evidentia.functions.text import REDACTED, found_in, is_null_wording
 
     why = F.when(value.rlike("(?i)" + REDACTED), "redacted").when(
@@ -78,7 +80,7 @@ def judged(value: Column, source: Column, choices: list[str] | None = None, conf
         why = why.when(confidence < least, "low confidence")
     if choices:
         why = why.when(~F.lower(value).isin(*[c.lower() for c in choices]), "not a choice")
-    why = why.when(~found_in(value, source), "no support")
+    why = why.when(~found_in(value, source, source_spaced), "no support")
     return F.struct(F.when(why.isNull(), value).alias("value"), why.isNull().alias("ok"), why.alias("why"))
 
 
@@ -120,12 +122,16 @@ def agreement(confirmed: DataFrame, *keys: str) -> DataFrame:
 
 def canvas(docs: DataFrame, id_: str, text: str, fields: dict[str, str]) -> DataFrame:
     """id, field, value, ok, why: each field by the first group of its pattern, judged against the text it comes from."""
-    source = F.coalesce(F.col(text), F.lit(""))
+    from evidentia.functions.text import spaced
+
+    # Words and values are columns of their own, so that a text is read once for each, not once for each place that names them.
+    source = docs.select(F.col(id_).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    found = source.select("*", spaced(F.col("_text")).alias("_spaced"), *[F.regexp_extract("_text", p, 1).alias(f"_f{i}") for i, p in enumerate(fields.values())])
     parts = []
-    for name, pattern in fields.items():
-        found = F.regexp_extract(source, pattern, 1)
-        parts.append(F.struct(F.lit(name).alias("field"), judged(F.when(found != "", found), source).alias("j")))
-    return docs.select(F.col(id_).alias("id"), F.explode(F.array(*parts)).alias("x")).select("id", "x.field", "x.j.value", "x.j.ok", "x.j.why")
+    for i, name in enumerate(fields):
+        got = F.col(f"_f{i}")
+        parts.append(F.struct(F.lit(name).alias("field"), judged(F.when(got != "", got), F.col("_text"), source_spaced=F.col("_spaced")).alias("j")))
+    return found.select("id", F.explode(F.array(*parts)).alias("x")).select("id", "x.field", "x.j.value", "x.j.ok", "x.j.why")
 
 
 def complete(fields: DataFrame) -> DataFrame:

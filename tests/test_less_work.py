@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import infill, matching, novelty
+from evidentia.operators import infill, matching, novelty, records
 
 
 def _texts(spark, n, seed):
@@ -86,3 +86,15 @@ def test_grams_of_a_document_stay_in_its_task(spark, monkeypatch, capsys):
     found.explain()
     assert "hashpartitioning(id" in (plan := capsys.readouterr().out)
     assert all("gram#" not in x.split(")")[0] for x in plan.split("hashpartitioning(id")[1:])
+
+
+def test_the_words_of_a_text_are_found_once_for_all_fields(spark, capsys):
+    docs = spark.createDataFrame([(1, "one Two. three"), (2, None), (3, "..."), (4, "x n/a")], "k long, text string")
+    found = records.canvas(docs, "k", "text", {"first": r"^(\S+ \S+)", "last": r"(\S+)$"})
+    assert {(r["id"], r["field"], r["value"], r["why"]) for r in found.collect()} == {
+        (1, "first", "one Two.", None), (1, "last", "three", None), (2, "first", None, "empty"), (2, "last", None, "empty"),
+        (3, "first", None, "empty"), (3, "last", None, "null wording"), (4, "first", "x n/a", None), (4, "last", None, "null wording")
+    }
+    found.explain()
+    (judging,) = [x for x in capsys.readouterr().out.split("\n") if "Generate" in x]
+    assert "_spaced#" in judging and "_text#" not in judging
