@@ -13,10 +13,10 @@ from evidentia.functions.text import content_words, grams, words
 
 
 def terms(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """id, term, tf of content words."""
-    return docs.select(
-        F.col(id_).alias("id"), F.explode(content_words(F.col(text))).alias("term")
-    ).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """id, term, tf of content words. Documents are dealt by id as arrays of words, so that what is grouped by id later on is where it must be."""
+    dealt = docs.select(F.col(id_).alias("id"), content_words(F.col(text)).alias("_w")).repartition("id")
+    # A slice, not the column: of a column Spark finds the words twice, for it filters empty arrays first.
+    return dealt.select("id", F.explode(F.slice("_w", 1, F.size("_w"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def weights(own: DataFrame, corpus: DataFrame) -> DataFrame:

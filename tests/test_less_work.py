@@ -98,3 +98,11 @@ def test_the_words_of_a_text_are_found_once_for_all_fields(spark, capsys):
     found.explain()
     (judging,) = [x for x in capsys.readouterr().out.split("\n") if "Generate" in x]
     assert "_spaced#" in judging and "_text#" not in judging
+
+
+def test_terms_are_dealt_by_document(spark, capsys):
+    docs = spark.createDataFrame([(1, "cat the cat dog"), (2, None), (3, "the"), (4, "dog")], "k long, text string")
+    found = novelty.terms(docs, "k", "text")
+    found.explain()
+    assert (plan := capsys.readouterr().out).count("Exchange") == 1 and "term#" not in plan.split("hashpartitioning(")[1].split(")")[0]
+    assert {tuple(r) for r in found.collect()} == {(1, "cat", 2), (1, "dog", 1), (4, "dog", 1)}
