@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators.cyclic import window_of
 from evidentia.operators.series import _arrays, with_halo
-from evidentia.operators.tables import written
+from evidentia.operators.tables import tasks, written
 
 
 def centred(samples: DataFrame, key: str) -> DataFrame:
@@ -236,8 +236,9 @@ def in_rings(points: DataFrame, corners: DataFrame, cell: float) -> DataFrame:
     rows = edges.withColumn("_r", F.explode(F.sequence(F.floor(F.least("ay", "by") / cell), F.floor(F.greatest("ay", "by") / cell))))
     # One cell more on either side: the crossing is computed, and may be a last bit beyond the corners.
     dealt = rows.withColumn("_c", F.explode(F.sequence(F.floor(F.col("left") / cell) - 1, F.floor(F.greatest("ax", "bx") / cell) + 1))).drop("left")
-    # Few places meet many edges: by their size alone Spark would join them in one task.
-    places = points.select("x", "y").distinct().repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y")
+    # Few places meet many edges: by their size alone Spark would join them in one task. They are dealt before they are made distinct, since Spark
+    # leaves out a repartition by what they are grouped by already.
+    places = points.select("x", "y").repartition(tasks(points), "x", "y").distinct()
     met = places.withColumns({"_r": F.floor(F.col("y") / cell), "_c": F.floor(F.col("x") / cell)}).join(dealt, ["_r", "_c"])
     spans = (F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))
     right = F.col("x") < F.col("ax") + (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))

@@ -80,7 +80,7 @@ def price_thresholds(spark, sf):
 
 def _rings(spark, sf):
     """A triangle north-east of each supplier."""
-    p = tq._places(spark, sf, "supplier", "s_suppkey", "s_acctbal").filter("id % 3 = 0")
+    p = tq._places(spark, sf, "supplier", "s_suppkey", "s_acctbal")
     corners = F.array(*[F.struct(F.lit(i).alias("nth"), (F.col("lat") + a).alias("lat"), (F.col("lon") + o).alias("lon")) for i, (a, o) in enumerate(((0.0, 0.0), (0.3, 0.1), (0.1, 0.4)))])
     return p.select(F.col("id").alias("ring"), F.explode(corners).alias("c")).select("ring", "c.*")
 
@@ -92,7 +92,8 @@ def customers_in_rings(spark, sf):
 
 
 def ring_areas(spark, sf):
-    return _rounded(measures.ring_areas(_rings(spark, sf)), 0, "m2")
+    """Areas of the rings whose number divides by three."""
+    return _rounded(measures.ring_areas(_rings(spark, sf).filter("ring % 3 = 0")), 0, "m2")
 
 
 def terrain_losses(spark, sf):
@@ -196,7 +197,7 @@ _POWER = _spectrum("(x * x + y * y)", "0", True)
 _PLAIN = _spectrum("x", "y", False)
 _BOOK = ", ".join(f"('{w}', {i}, {v})" for w, vs in BOOK for i, v in enumerate(vs))
 _TAPS = " + ".join(f"({t!r}) * coalesce(lag(x, {-k}) OVER o, 0)" if k < 0 else f"({t!r}) * coalesce(lead(x, {k}) OVER o, 0)" for k, t in zip(range(-2, 3), measures.smoothing_taps(2), strict=True))
-_TRI = "t AS (SELECT id AS ring, unnest([0, 1, 2]) AS nth, lat + unnest([0.0, 0.3, 0.1]) AS lat, lon + unnest([0.0, 0.1, 0.4]) AS lon FROM (SELECT s_suppkey AS id, 50 + (s_suppkey * 37 % 211) / 100 AS lat, 5 + (s_suppkey * 91 % 307) / 100 AS lon FROM supplier WHERE s_suppkey % 3 = 0))"
+_TRI = "t AS (SELECT id AS ring, unnest([0, 1, 2]) AS nth, lat + unnest([0.0, 0.3, 0.1]) AS lat, lon + unnest([0.0, 0.1, 0.4]) AS lon FROM (SELECT s_suppkey AS id, 50 + (s_suppkey * 37 % 211) / 100 AS lat, 5 + (s_suppkey * 91 % 307) / 100 AS lon FROM supplier{where}))"
 _EDGES = "e AS (SELECT a.ring, a.{x} AS ax, a.{y} AS ay, b.{x} AS cx, b.{y} AS cy FROM {t} AS a JOIN {t} AS b ON b.ring = a.ring AND b.nth = (a.nth + 1) % 3)"
 
 
@@ -250,11 +251,11 @@ ORACLE_SQL = {
         b AS (SELECT *, round(w0 * (t - w0) * pow(s0 / w0 - (s - s0) / (t - w0), 2) / pow(t, 2), 9) AS b FROM r WHERE t > w0)
         SELECT l_returnflag, round(arg_min(lo + (c + 1) * (hi - lo) / 32, (-b, c)), 3) AS threshold, round(max(b), 3) AS between FROM b GROUP BY l_returnflag""",
     "customers_in_rings": f"""
-        WITH {_TRI}, {_EDGES.format(x='lon', y='lat', t='t')},
+        WITH {_TRI.format(where='')}, {_EDGES.format(x='lon', y='lat', t='t')},
         p AS (SELECT c_custkey AS id, 5 + (c_custkey * 91 % 307) / 100 + 0.0013 AS x, 50 + (c_custkey * 37 % 211) / 100 + 0.0017 AS y FROM customer)
         SELECT id, ring FROM p JOIN e ON (ay > y) <> (cy > y) AND x < ax + (y - ay) / (cy - ay) * (cx - ax) GROUP BY id, ring HAVING count(*) % 2 = 1""",
     "ring_areas": f"""
-        WITH {_TRI}, c AS (SELECT *, avg(lat) OVER (PARTITION BY ring) AS a, avg(lon) OVER (PARTITION BY ring) AS o FROM t),
+        WITH {_TRI.format(where=' WHERE s_suppkey % 3 = 0')}, c AS (SELECT *, avg(lat) OVER (PARTITION BY ring) AS a, avg(lon) OVER (PARTITION BY ring) AS o FROM t),
         f AS (SELECT ring, nth, radians(lon - o) * 6371000.0 * cos(radians(a)) AS x, radians(lat - a) * 6371000.0 AS y FROM c), {_EDGES.format(x='x', y='y', t='f')}
         SELECT ring, round(abs(sum(ax * cy - cx * ay)) / 2, 0) AS m2 FROM e GROUP BY ring""",
     "terrain_losses": f"""
