@@ -163,9 +163,7 @@ def interval_peaks(spark, sf):
 
 
 def user_graph(spark, sf):
-    e = ev._ev(spark, sf)
-    near, alike = events.co_occurrence(e, 3_600_000_000, 3), events.alike_schedules(e, 0.45)
-    found = events.social_graph(("together", near, "lift"), ("schedule", alike, "cosine"))
+    found = events.user_graph(ev._ev(spark, sf), 3_600_000_000, 3, 0.45)
     return found.withColumn("weight", F.floor(F.col("weight") * 1e5 + 0.5) / 1e5)
 
 

@@ -1,8 +1,15 @@
 """Queries of pairs and places that read all of their tables and keep what is written small: against plain work."""
 
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from evidentia import catalog
+from evidentia.operators import events, pairs
+
+HOUR = 3_600_000_000
 
 
 def test_customers_are_looked_for_in_the_rings_of_all_suppliers(spark, sf, capsys):
@@ -20,3 +27,106 @@ def test_customers_are_looked_for_in_the_rings_of_all_suppliers(spark, sf, capsy
     # Places are few, and meet many edges: they keep the tasks they are dealt to.
     found.explain("simple")
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+
+
+def _sightings(spark, users, n, seed):
+    """Sightings, some without a user or a time."""
+    rng = random.Random(seed)
+    rows = [(rng.randrange(users), rng.randrange(400) * HOUR // 2) for _ in range(n)] + [(None, 5), (1, None), (2, None), (users, None)]
+    return spark.createDataFrame(rows, "who long, us long")
+
+
+@pytest.mark.parametrize("name", ["user_graph", "alike_schedules", "user_links"])
+def test_pairs_are_not_written_between_tasks(spark, sf, capsys, name):
+    """Users are, by blocks: not the products of two of them, their edges, or counts to be joined with totals."""
+    catalog.QUERIES[name](spark, sf).explain("simple")
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(_x" in plan and "hashpartitioning(who_a" not in plan and "hashpartitioning(who_b" not in plan
+
+
+def test_a_graph_by_parts_is_that_of_joined_edges(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "LEAST", 3)
+    monkeypatch.setattr(pairs, "PART", 4)
+    monkeypatch.setattr(pairs, "COLUMNS", 7)
+    monkeypatch.setattr(pairs, "AT_ONCE", 9)
+    e = _sightings(spark, 30, 300, 1)
+    near, alike = events.co_occurrence(e, HOUR, 2), events.alike_schedules(e, 0.2)
+    want = {tuple(r)[:3]: r.weight for r in events.social_graph(("together", near, "lift"), ("schedule", alike, "cosine")).collect()}
+    got = {tuple(r)[:3]: r.weight for r in events.user_graph(e, HOUR, 2, 0.2).collect()}
+    assert got == want and len({k for _, _, k in got}) == 3
+
+
+def test_schedules_by_plain_products(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "PART", 5)
+    e = _sightings(spark, 25, 300, 2)
+    week = {}
+    for r in events.week_counts(e).collect():
+        week.setdefault(r.who, {})[r.slot] = r.n
+    want = {}
+    for a in week:
+        for b in week:
+            if None not in (a, b) and a < b:
+                dot = sum(n * week[b].get(s, 0) for s, n in week[a].items() if s is not None)
+                cosine = dot / math.sqrt(sum(n * n for n in week[a].values()) * sum(n * n for n in week[b].values()))
+                if dot and cosine >= 0.2:
+                    want[a, b] = cosine
+    assert {(r.who_a, r.who_b): r.cosine for r in events.alike_schedules(e, 0.2).collect()} == want and len(want) > 10
+
+
+def test_movement_by_parts(spark, monkeypatch):
+    """Several fixes of a user at one time, fixes without a place, turned times, and limits that the chord alone can't tell."""
+    rng = random.Random(3)
+    place = lambda: (None, None) if rng.random() < 0.1 else (50 + rng.randrange(4) / 100, 6 + rng.randrange(4) / 100)
+    rows = [(rng.randrange(14), rng.randrange(150) * 1_000_000, *place()) for _ in range(500)]
+    fixes = spark.createDataFrame(rows, "who long, us long, lat double, lon double")
+    side = 1111.9492664455872  # a hundredth of a degree
+    first, all_ = min(r[1] for r in rows), max(r[1] for r in rows) - min(r[1] for r in rows) + 1
+
+    def metres(a, b):
+        if None in (*a, *b):
+            return math.nan
+        p, q = [math.radians(x) for x in a], [math.radians(x) for x in b]
+        half = math.sin((q[0] - p[0]) / 2) ** 2 + math.cos(p[0]) * math.cos(q[0]) * math.sin((q[1] - p[1]) / 2) ** 2
+        return 2 * 6_371_000.0 * math.asin(math.sqrt(half))
+
+    want = {}
+    for turn in range(3):
+        best = {}
+        for a in rows:
+            for b in rows:
+                us = b[1] if not turn else first + (b[1] - first + math.floor(all_ * turn / 3)) % all_
+                if a[0] < b[0] and abs(a[1] - us) <= 4_000_000:
+                    m = metres(a[2:], b[2:])
+                    key, h = (a[0], a[1], b[0]), (abs(a[1] - us), us, math.isnan(m), m)
+                    best[key] = min(best.get(key, h), h)
+        for (a, _, b), (off, _, none, m) in best.items():
+            c = want.setdefault((a, b), [0, 0, 0, 0, 0])
+            close = not none and m <= side + off / 1e6 * 50 - 1e-3
+            for i, x in ((3, 1), (4, close)) if turn else ((0, 1), (1, not none), (2, close)):
+                c[i] += x
+    want = {k: tuple(c) for k, c in want.items() if c[2] >= 2 and c[2] >= 0.3 * c[0]}
+    for part, at_once in ((512, 1_000_000), (3, 50)):
+        monkeypatch.setattr(pairs, "NEAR", part)
+        monkeypatch.setattr(pairs, "AT_ONCE", at_once)
+        got = pairs.close_meetings(fixes, 4_000_000, side - 1e-3, 50.0, 2, 0.0, 0.3, 2)
+        assert {(r.who_a, r.who_b): tuple(r)[2:] for r in got.collect()} == want and len(want) > 10
+
+
+def test_answers_and_their_chance(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(15), rng.randrange(2000)) for _ in range(300)] + [(3, None)]
+    got = {(r.who_a, r.who_b): r for r in events.answered_pairs(spark.createDataFrame(rows, "who long, us long"), 5, 40, 2, 0.5).collect()}
+    timed = [r for r in rows if r[1] is not None]
+    span = max(t for _, t in timed) - min(t for _, t in timed)
+    want = {}
+    for a, t in timed:
+        for b in {w for w, u in timed if w != a and 5 <= u - t <= 40}:
+            want[a, b] = want.get((a, b), 0) + 1
+    n = {w: sum(r[0] == w for r in rows) for w in range(15)}
+    for (a, b), k in want.items():
+        mean = n[a] * (1 - math.exp(-n[b] * 35 / span))
+        p = 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(k))
+        assert ((a, b) in got) == (k >= 2 and p < 0.5)
+        if (a, b) in got:
+            r = got[a, b]
+            assert r["count"] == k and abs(r.expected - mean) < 1e-9 and abs(r.lift - k / mean) < 1e-9 and abs(r.p_value - p) < 1e-9
