@@ -11,13 +11,16 @@ no edge touches reaches itself; an empty table gives no rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.operators.tables import forget, tasks, written
 
-#: Rows of a task that groups edges.
-ROWS = 250_000
+#: Rows of a task that groups edges; points of a cell that one group takes; distances at once.
+ROWS, CROWD, AT_ONCE = 250_000, 100_000, 200_000
 
 
 def _dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
@@ -102,23 +105,63 @@ def _cells(low_x: Column, high_x: Column, low_y: Column, high_y: Column, width:
 def snap(points: DataFrame, segments: DataFrame, most: float, digits: int = 9) -> DataFrame:
     """id, edge, share, metres: the nearest segment of each point within ``most``, and how far along it lies; of equal ones the lesser edge.
 
-    points: id, x, y; segments: edge, ax, ay, bx, by; all in one plane. They meet in cells ``most`` wide that a segment's surroundings touch.
-    Distances are compared, with each other and with ``most``, to ``digits`` decimal places, so that rounding decides no tie.
+    points: id, x, y; segments: edge, ax, ay, bx, by; all in one plane. They meet in cells ``most`` wide that a segment's surroundings touch, once for
+    all points of one place, as matrices; the points of a crowded cell are dealt in parts. Distances are compared, with each other and with
+    ``most``, to ``digits`` decimal places, so that rounding decides no tie.
     """
     wide = most + 10.0**-digits
-    near = segments.withColumn(
+    plain = lambda df, *names: df.filter(" AND ".join(f"{n} IS NOT NULL AND NOT isnan({n})" for n in names))
+    double = lambda *names: [F.col(n).cast("double").alias(n) for n in names]
+    at = plain(points.select("id", *double("x", "y")), "x", "y").withColumns({"cx": F.floor(F.col("x") / most), "cy": F.floor(F.col("y") / most)})
+    parts = at.groupBy("cx", "cy").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("_parts"))
+    near = plain(segments.select("edge", *double("ax", "ay", "bx", "by")), "ax", "ay", "bx", "by").withColumn(
         "c", F.explode(
             _cells(
                 F.least("ax", "bx") - wide, F.greatest("ax", "bx") + wide, F.least("ay", "by") - wide, F.greatest("ay", "by") + wide, most
             )
         )
-    ).select("edge", "ax", "ay", "bx", "by", "c.cx", "c.cy")
-    at = points.withColumns({"cx": F.floor(F.col("x") / most), "cy": F.floor(F.col("y") / most)})
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    size = dx * dx + dy * dy
-    along = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / size))).otherwise(0.0)
-    met = at.join(near, ["cx", "cy"]).withColumn("share", along)
-    off = F.hypot(F.col("x") - F.col("ax") - F.col("share") * dx, F.col("y") - F.col("ay") - F.col("share") * dy)
-    far = met.withColumn("metres", off).withColumn("_far", F.round("metres", digits))
-    best = far.filter(F.col("_far") <= most).groupBy("id").agg(F.min(F.struct("_far", "edge", "share", "metres")).alias("s"))
+    ).select("edge", "ax", "ay", "bx", "by", F.col("c.cx").alias("r_cx"), F.col("c.cy").alias("r_cy"))
+    near = near.join(parts.toDF("r_cx", "r_cy", "r_parts"), ["r_cx", "r_cy"]).withColumn("r_p", F.explode(F.sequence(F.lit(0), F.col("r_parts") - 1)))
+    own = at.join(parts, ["cx", "cy"]).withColumn("_p", F.pmod(F.xxhash64("x", "y"), F.col("_parts")).cast("int"))
+    kinds = points.schema["id"].dataType.simpleString(), segments.schema["edge"].dataType.simpleString()
+
+    def met(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by([("edge", "ascending")]) if b["edge"].null_count == 0 else b.take(pc.sort_indices(b["edge"], null_placement="at_start"))
+        ax, ay, bx, by = (b[c].to_numpy() for c in ("ax", "ay", "bx", "by"))
+        x, y = a["x"].to_numpy(), a["y"].to_numpy()
+        order = np.lexsort((y, x))
+        heads = np.r_[True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])][: len(order)]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(heads) - 1
+        x, y = x[order[heads]], y[order[heads]]
+        dx, dy = bx - ax, by - ay
+        size = dx * dx + dy * dy
+        per = np.where(size > 0, size, 1.0)
+        dx_, dy_ = np.where(size > 0, dx, 0.0), np.where(size > 0, dy, 0.0)
+        found = np.full(len(x), -1, np.int64), np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
+        step = max(1, AT_ONCE // max(1, len(ax)))
+        for i in range(0, len(x) if len(ax) else 0, step):
+            px, py = x[i : i + step, None], y[i : i + step, None]
+            ox, oy = px - ax, py - ay
+            share = np.minimum(1.0, np.maximum(0.0, (ox * dx_ + oy * dy_) / per))
+            square = (ox - share * dx) ** 2 + (oy - share * dy) ** 2
+            # Only those that rounding could make the nearest are compared as distances.
+            least = (np.sqrt(square.min(axis=1)) + 2 * 10.0**-digits) ** 2 * (1 + 1e-12)
+            p, q = np.nonzero(square <= np.minimum(least, (most + 2 * 10.0**-digits) ** 2 * (1 + 1e-12))[:, None])
+            metres = np.hypot(ox[p, q] - share[p, q] * dx[q], oy[p, q] - share[p, q] * dy[q])
+            far = np.floor(metres * 10.0**digits + 0.5)
+            kept = np.flatnonzero(far <= np.floor(most * 10.0**digits + 0.5))
+            p, q, metres, far = p[kept], q[kept], metres[kept], far[kept]
+            best = np.lexsort((q, far, p))
+            best = best[np.r_[True, p[best][1:] != p[best][:-1]][: len(best)]]
+            for out, v in zip(found, (q[best], share[p[best], q[best]], metres[best], far[best]), strict=True):
+                out[i + p[best]] = v
+        rows = np.flatnonzero(found[0][place] >= 0)
+        edge, share, metres, far = (v[place[rows]] for v in found)
+        return pa.table({"id": a["id"].take(pa.array(rows)), "edge": b["edge"].take(pa.array(edge)), "share": share, "metres": metres, "_far": far})
+
+    # Cells are few and their work is not: they keep the tasks they are dealt to.
+    left, right = (df.repartition(tasks(points), *by).groupBy(*by) for df, by in ((own, ["cx", "cy", "_p"]), (near, ["r_cx", "r_cy", "r_p"])))
+    far = left.cogroup(right).applyInArrow(met, f"id {kinds[0]}, edge {kinds[1]}, share double, metres double, _far double")
+    best = far.groupBy("id").agg(F.min(F.struct("_far", "edge", "share", "metres")).alias("s"))
     return best.select("id", "s.edge", "s.share", "s.metres")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia import catalog
-from evidentia.operators import events, pairs
+from evidentia.operators import events, pairs, roads
 
 HOUR = 3_600_000_000
 
@@ -130,3 +130,27 @@ def test_answers_and_their_chance(spark):
         if (a, b) in got:
             r = got[a, b]
             assert r["count"] == k and abs(r.expected - mean) < 1e-9 and abs(r.lift - k / mean) < 1e-9 and abs(r.p_value - p) < 1e-9
+
+
+def test_points_snap_by_cells(spark, monkeypatch, capsys):
+    """Many points of one place, crowded cells, segments of no length, equal distances, and nulls; no row of a point and a segment is written."""
+    monkeypatch.setattr(roads, "CROWD", 7)
+    rng = random.Random(6)
+    some = lambda n, k: [rng.randrange(n) / k for _ in range(2)]
+    points = [(i, *some(40, 20)) for i in range(300)] + [(i, 0.5, 0.5) for i in range(300, 340)] + [(400, None, 1.0), (401, 1.0, math.nan), (402, 9.0, 9.0)]
+    ways = [(i, *(a := some(20, 10)), *rng.choice([a, some(20, 10)])) for i in range(40)] + [(50, 0.5, 0.7, 0.5, 0.7), (49, 0.5, 0.3, 0.5, 0.3), (60, None, 1.0, 1.0, 1.0)]
+    found = roads.snap(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(ways, "edge long, ax double, ay double, bx double, by double"), 0.2)
+    want = {}
+    for i, x, y in points:
+        for e, ax, ay, bx, by in ways:
+            if None not in (x, ax) and y == y:
+                dx, dy = bx - ax, by - ay
+                size = dx * dx + dy * dy
+                share = max(0.0, min(1.0, ((x - ax) * dx + (y - ay) * dy) / size)) if size else 0.0
+                far = round(math.hypot(x - ax - share * dx, y - ay - share * dy), 9)
+                if far <= 0.2 and (far, e) < want.get(i, (9.0, 0))[:2]:
+                    want[i] = far, e, share
+    assert {r.id: (r.edge, round(r.metres, 9), round(r.share, 9)) for r in found.collect()} == {i: (e, far, round(s, 9)) for i, (far, e, s) in want.items()}
+    assert len({e for _, e, _ in want.values()}) > 10 and 400 not in want
+    found.explain("simple")
+    assert "CoGroup" in capsys.readouterr().out
