@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia import catalog
-from evidentia.operators import events, pairs, roads
+from evidentia.operators import events, pairs, roads, spatial
 
 HOUR = 3_600_000_000
 
@@ -154,3 +154,19 @@ def test_points_snap_by_cells(spark, monkeypatch, capsys):
     assert len({e for _, e, _ in want.values()}) > 10 and 400 not in want
     found.explain("simple")
     assert "CoGroup" in capsys.readouterr().out
+
+
+def test_fingerprints_in_parts(spark, monkeypatch, capsys):
+    """Queries and places in many parts give what few give; results stream out of a group, and groups keep their tasks however few rows they have."""
+    rng = random.Random(9)
+    heard = [(q, rng.randrange(6), -rng.uniform(40, 110)) for q in range(50) for _ in range(3)] + [(70, 99, -50.0), (71, 1, None), (72, None, -50.0)]
+    known = [(p, k, -rng.uniform(40, 110)) for p in range(30) for k in range(6) if rng.random() < 0.5] + [(40, None, -60.0)]
+    h, k = spark.createDataFrame(heard, "qid long, key int, level double"), spark.createDataFrame(known, "place string, key int, level double")
+    few = {tuple(r)[:3]: round(r.loglik, 9) for r in spatial.fingerprint_loglik(h, k).collect()}
+    monkeypatch.setattr(spatial, "HELD", 4)
+    df = spatial.fingerprint_loglik(h, k)
+    assert {tuple(r)[:3]: round(r.loglik, 9) for r in df.collect()} == few and len(few) > 1000
+    df.explain("simple")
+    plan = capsys.readouterr().out
+    assert "CoGroup" not in plan and "REPARTITION_BY_NUM" in plan
+    assert spatial.fingerprint_loglik(h.limit(0), k).count() == spatial.fingerprint_loglik(h, k.limit(0)).count() == 0
